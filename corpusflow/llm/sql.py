@@ -1,3 +1,71 @@
 """DuckDB SQL with the rows of those llm queries that SQL can express."""
 
-ORACLES: dict[str, str] = {}
+WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+MIXING = r"""
+WITH sized AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
+), sizes AS (
+  SELECT source, sum(size)::BIGINT AS source_size, count(*) AS n_docs FROM sized GROUP BY source
+), ranked AS (
+  SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS source_rank, 3 * source_size AS lim FROM sizes
+), weighed AS (
+  SELECT *, 1 + (source_rank - 1) % 3 AS weight, lim::DOUBLE / (1 + (source_rank - 1) % 3) AS ratio FROM ranked
+), filled AS (
+  SELECT *, (sum(source_size) OVER ()
+      - coalesce(sum(lim) OVER (ORDER BY ratio, source_rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
+      / sum(weight) OVER (ORDER BY ratio, source_rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM weighed
+), sources AS (
+  SELECT source, source_rank, source_size, n_docs,
+    coalesce(least(lim::DOUBLE, weight * (SELECT level FROM filled WHERE level <= ratio ORDER BY ratio, source_rank LIMIT 1)), 0.0) AS target
+  FROM filled
+), keyed AS (
+  SELECT d.doc_id, d.size, s.source_rank, s.source_size, s.target, s.n_docs, md5('7:' || coalesce(d.doc_id::VARCHAR, '')) AS key
+  FROM sized d JOIN sources s ON d.source IS NOT DISTINCT FROM s.source
+), dealt AS (
+  SELECT *, ('0x' || substr(key, 1, 8))::BIGINT % ceil(n_docs / 4096.0)::BIGINT AS shard FROM keyed
+), placed AS (
+  SELECT *, sum(size) OVER (PARTITION BY source_rank, shard)::BIGINT AS shard_size,
+    sum(size) OVER (PARTITION BY source_rank, shard ORDER BY key, size, doc_id ROWS UNBOUNDED PRECEDING)::BIGINT AS stop FROM dealt
+), shared AS (
+  SELECT *, stop - size AS start, CASE WHEN source_size > 0 THEN target * shard_size / source_size ELSE 0.0 END AS share FROM placed
+), quotas AS (
+  SELECT *, floor(share / 16 + 0.5)::BIGINT AS quota, ceil(shard_size / 16.0)::BIGINT AS blocks FROM shared
+), passed AS (
+  SELECT *, CASE WHEN shard_size > 0 THEN least(3, (quota * 16) // shard_size) ELSE 0 END AS passes FROM quotas
+), rested AS (
+  SELECT *, CASE WHEN passes >= 3 THEN 0 ELSE floor((quota * 16 - passes * shard_size) / 16.0 + 0.5)::BIGINT END AS rest,
+    CASE WHEN blocks % 1000003 = 0 THEN 998244353 ELSE 1000003 END AS step,
+    ('0x' || substr(md5('7:' || source_rank || ':' || shard), 1, 8))::BIGINT AS offs FROM passed
+)
+SELECT doc_id, size, source_size, target,
+  (passes * size + CASE WHEN size > 0 AND rest > 0 THEN coalesce(list_sum(list_transform(range(start // 16, (stop - 1) // 16 + 1),
+    lambda j: CASE WHEN (step * j + offs) % greatest(blocks, 1) < rest THEN least(stop, (j + 1) * 16) - greatest(start, j * 16) ELSE 0 END)), 0) ELSE 0 END)::BIGINT AS taken,
+  passes::BIGINT AS passes, quota AS quota_blocks
+FROM rested
+"""
+
+DECONTAMINATION = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, {WORDS} AS w FROM documents
+), i AS (
+  SELECT item_id, {WORDS} AS w FROM benchmark
+), iw AS (
+  SELECT DISTINCT item_id, least(13, len(w)) AS l, array_to_string(w[p + 1 : p + least(13, len(w))], ' ') AS t
+  FROM (SELECT item_id, w, unnest(range(0, greatest(len(w) - 12, 1))) AS p FROM i WHERE len(w) > 0)
+), dw AS (
+  SELECT r, p, l, array_to_string(w[p + 1 : p + l], ' ') AS t
+  FROM (SELECT r, w, l, unnest(range(0, len(w) - l + 1)) AS p FROM d, (SELECT DISTINCT l FROM iw))
+), hit AS (
+  SELECT r, p, l, item_id FROM dw JOIN iw USING (l, t)
+), n AS (
+  SELECT r, count(DISTINCT q) AS n_hit FROM (SELECT r, unnest(range(p, p + l)) AS q FROM hit) GROUP BY r
+), ids AS (
+  SELECT r, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM (SELECT DISTINCT r, item_id FROM hit) GROUP BY r
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN n USING (r) LEFT JOIN ids USING (r)
+"""
+
+ORACLES: dict[str, str] = {"op9_source_mixing": MIXING, "op10_decontamination": DECONTAMINATION}
