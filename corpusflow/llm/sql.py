@@ -68,4 +68,32 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM d LEFT JOIN n USING (r) LEFT JOIN ids USING (r)
 """
 
-ORACLES: dict[str, str] = {"op9_source_mixing": MIXING, "op10_decontamination": DECONTAMINATION}
+
+
+def _licenses(threshold: float = 0.8) -> str:
+    """Brute force: all phrases at all places, all templates against all lines."""
+    from corpusflow.llm.license_scan import PHRASES, TEMPLATES, need
+
+    phrases = ", ".join(f"({p.split()}, '{label}')" for p, label in PHRASES.items())
+    templates = ", ".join(f"('{t.label}', {t.words}, {need(len(t.words), threshold)})" for t in TEMPLATES)
+    return rf"""
+WITH phrases(p, label) AS (VALUES {phrases}), templates(label, t, need) AS (VALUES {templates}),
+d AS (SELECT row_number() OVER () AS r, doc_id, text, {WORDS} AS w FROM documents),
+places AS (
+  SELECT r, label, unnest(list_filter(range(0, len(w)), lambda i: w[i + 1 : i + len(p)] = p)) AS i FROM d, phrases
+), base AS (
+  SELECT r, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list(DISTINCT label) AS base FROM places GROUP BY r
+), lines AS (
+  SELECT r, {WORDS} AS b FROM (SELECT r, unnest(string_split(text, chr(10))) AS text FROM d WHERE text IS NOT NULL)
+), met AS (
+  SELECT r, list(DISTINCT label) AS own, max(len(list_intersect(t, b)) / len(t)) AS best
+  FROM lines, templates WHERE len(list_intersect(t, b)) >= need GROUP BY r
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+  array_to_string(list_sort(coalesce(base, [])), ',') AS base_labels,
+  array_to_string(list_sort(list_distinct(coalesce(base, []) || coalesce(own, []))), ',') AS labels, coalesce(best, 0.0) AS score
+FROM d LEFT JOIN base USING (r) LEFT JOIN met USING (r)
+"""
+
+
+ORACLES: dict[str, str] = {"op6_license_scan": _licenses(), "op9_source_mixing": MIXING, "op10_decontamination": DECONTAMINATION}
