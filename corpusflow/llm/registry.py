@@ -11,6 +11,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned outside the held-out fold."""
+    from corpusflow.llm import language_id
+
+    return language_id.predict_held_out(table(spark, sf_dir, "documents"))
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Histogram of encoded lengths with suffix sums."""
+    from corpusflow.llm import token_counts
+
+    return token_counts.length_histogram(token_counts.count_tokens(table(spark, sf_dir, "documents")))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality features and verdict of every document."""
     from corpusflow.llm import quality_rules
@@ -25,6 +39,13 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of every document, learned outside the held-out fold."""
+    from corpusflow.llm import lm_scoring
+
+    return lm_scoring.score(table(spark, sf_dir, "documents"))
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document."""
     from corpusflow.llm import mixing
