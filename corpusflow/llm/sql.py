@@ -70,6 +70,19 @@ FROM d LEFT JOIN n USING (r) LEFT JOIN ids USING (r)
 
 
 
+WARC = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), k AS (
+  SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS keeper FROM p
+)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 1000 AND keeper <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND keeper <> page_id THEN keeper END AS refers_to
+FROM k
+"""
+
+
 def _licenses(threshold: float = 0.8) -> str:
     """Brute force: all phrases at all places, all templates against all lines."""
     from corpusflow.llm.license_scan import PHRASES, TEMPLATES, need
@@ -96,4 +109,4 @@ FROM d LEFT JOIN base USING (r) LEFT JOIN met USING (r)
 """
 
 
-ORACLES: dict[str, str] = {"op6_license_scan": _licenses(), "op9_source_mixing": MIXING, "op10_decontamination": DECONTAMINATION}
+ORACLES: dict[str, str] = {"op2_warc": WARC, "op6_license_scan": _licenses(), "op9_source_mixing": MIXING, "op10_decontamination": DECONTAMINATION}
