@@ -46,6 +46,13 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    from corpusflow.llm import html_extraction
+
+    return html_extraction.extract(table(spark, sf_dir, "pages"))
+
+
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log probabilities of every document, learned outside the held-out fold."""
     from corpusflow.llm import lm_scoring
