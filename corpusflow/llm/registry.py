@@ -32,6 +32,13 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.length_histogram(token_counts.count_tokens(table(spark, sf_dir, "documents")))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups: 3-word n-grams, similarity of 0.9 or more."""
+    from corpusflow.llm import jaccard_join
+
+    return jaccard_join.groups(table(spark, sf_dir, "documents"), jaccard_join.Join(words=3, percent=90))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality features and verdict of every document."""
     from corpusflow.llm import quality_rules
