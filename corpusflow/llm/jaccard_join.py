@@ -10,12 +10,18 @@ one point from the start. The join then narrows regions:
    lie at distance 0 from the same pivot there. Sizes are cut into rings; a ring is also given
    the smaller documents beyond its edge that the triangle inequality (a distance is at least
    1 - smaller size / larger size) doesn't exclude.
-2. Voronoi regions. In each region documents become pivots, and every member's distance to
-   each of them is computed. Links to pivots are final, so pivots leave the region. Members go
-   to their nearest pivot's region, and as guests to each other region whose pivot is at most
-   2r further off; by the triangle inequality no link is lost. Regions whose members are
-   already in one component, and regions without a member of their own, are done.
-3. Small regions are compared pair by pair, larger ones go back to step 2 with more pivots.
+2. Pivot regions. In each first region the document that shares most with others becomes its
+   pivot, and the distance of every member to it is computed. Links to pivots are final. The
+   members of all first regions with the same pivot are one region from here on.
+3. Rings. A region is cut into rings of width r around its pivot; each ring is also given the
+   next one's members, for by the triangle inequality linked documents' distances to the
+   pivot differ by r at most. Large rings take a new pivot and are cut again, recursively.
+   Rings whose members are already in one component are done.
+4. What is left is compared pair by pair in blocks of bounded size, as a product of sparse
+   rows; only links that join two components leave a block.
+
+Voronoi cells with guests within 2r, tried first in place of step 3, replicate nearly every
+member of a group of near copies into every cell, as distances there are all within 2r.
 
 Distances are counted on the n-gram sets themselves (64-bit hashes). Links go to connected
 components; nothing passes the driver.
@@ -35,7 +41,7 @@ from math import ceil, exp, sqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusflow.llm.components import components
@@ -48,13 +54,16 @@ U = np.uint64
 @dataclass(frozen=True)
 class Join:
     """Sets of `words`-word n-grams link when 100 * intersection >= percent * union. Regions of
-    up to leaf members are compared pair by pair; larger ones have `pivots` pivots at first and
-    twice as many each time they come again."""
+    more than block members are cut into rings up to `depth` times, then into blocks."""
 
     words: int = 5
     percent: int = 80
-    leaf: int = 32
-    pivots: int = 4
+    block: int = 256
+    depth: int = 2
+
+    @property
+    def radius(self) -> float:
+        return 1 - self.percent / 100
 
     @property
     def ring(self) -> float:
@@ -193,64 +202,140 @@ def set_items(docs: DataFrame, measured: DataFrame, wanted: DataFrame, join: Joi
 
 
 def distances(pairs: DataFrame, items: DataFrame, join: Join) -> DataFrame:
-    """a, b, distance and linked of the distinct pairs (a, b). Either set may be hot; both
-    joins are plain shuffles, which adaptive execution splits."""
-    left = items.select(F.col("set").alias("a"), F.col("items").alias("x")).hint("merge")
-    right = items.select(F.col("set").alias("b"), F.col("items").alias("y")).hint("merge")
+    """set, pivot, distance and linked of the distinct pairs (set, pivot). A pivot may be hot;
+    both joins are plain shuffles, which adaptive execution splits."""
+    left = items.select("set", F.col("items").alias("x")).hint("merge")
+    right = items.select(F.col("set").alias("pivot"), F.col("items").alias("y")).hint("merge")
     shared = F.size(F.array_intersect("x", "y"))
-    found = pairs.join(left, "a").join(right, "b").select("a", "b", shared.alias("i"), (F.size("x") + F.size("y") - shared).alias("u"))
+    found = pairs.join(left, "set").join(right, "pivot").select("set", "pivot", shared.alias("i"), (F.size("x") + F.size("y") - shared).alias("u"))
     linked = 100 * F.col("i") >= join.percent * F.col("u")
-    return materialize(found.select("a", "b", (1 - F.col("i") / F.col("u")).alias("distance"), linked.alias("linked")), "jaccard-distances")
+    return materialize(found.select("set", "pivot", (1 - F.col("i") / F.col("u")).alias("distance"), linked.alias("linked")), "jaccard-distances")
+
+
+def hubs(cells: DataFrame) -> DataFrame:
+    """pivot and set for each first region's pivot and each member: the pivot is the member
+    that shares its regions with most others. Distinct, without the pivot itself."""
+    sizes = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+    weights = cells.join(sizes.hint("merge"), "cell").groupBy("set").agg(F.sum("n").alias("weight"))
+    pivots = cells.join(weights.hint("merge"), "set").groupBy("cell").agg(F.max_by("set", F.struct("weight", "set")).alias("pivot"))
+    return materialize(cells.join(pivots.hint("merge"), "cell").where("set <> pivot").select("pivot", "set").distinct(), "jaccard-hubs")
+
+
+def with_roots(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """rows (set, ...) with the root of each set's component so far."""
+    known = roots.select(F.col("node").alias("set"), F.col("root").alias("__root"))
+    rows = rows.drop("root").join(known.hint("merge"), "set", "left")
+    return rows.withColumn("root", F.coalesce("__root", "set")).drop("__root")
+
+
+def unsettled(rows: DataFrame) -> DataFrame:
+    """rows of the regions with several components, with the region's number of rows n."""
+    sums = rows.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("p"), F.max("root").alias("q"))
+    sums = sums.where("p <> q").select(F.col("region").alias("r"), "n")
+    return rows.drop("n").join(sums.hint("merge"), F.col("region") == F.col("r")).drop("r")
+
+
+def rings(rows: DataFrame, radius: float) -> DataFrame:
+    """rows (region, set, distance) in the region of their ring and of the next inner one."""
+    ring = F.floor(F.col("distance") / F.lit(radius + 1e-9)).cast("long")
+    both = F.explode(F.array_distinct(F.array(F.greatest(ring - 1, F.lit(0)), ring)))
+    return rows.withColumn("ring", both).withColumn("region", F.xxhash64("region", "ring")).select("region", "set")
+
+
+def _link_rows(join: Join, roots: list[int], items: list[np.ndarray], sides: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Pairs of rows that link and join components. Rows of different sides are compared, or
+    all if there is one side."""
+    sizes = np.array([len(x) for x in items])
+    _, code, often = np.unique(np.concatenate(items), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(items)), sizes)
+    shared = np.zeros((len(items), len(items)), np.float32)
+    common = np.flatnonzero(often > 1)
+    column = np.full(len(often), -1)
+    column[common] = np.arange(len(common))
+    code = column[code]
+    for i in range(0, len(common), 4096):
+        part = (code >= i) & (code < i + 4096)
+        table = np.zeros((len(items), min(4096, len(common) - i)), np.float32)
+        table[row[part], code[part] - i] = 1
+        shared += table @ table.T
+    union = sizes[:, None] + sizes[None, :] - shared
+    near = np.triu(100 * shared >= join.percent * union, 1)
+    if sides.any():
+        near &= sides[:, None] != sides[None, :]
+    parent = {r: r for r in roots}
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for a, b in zip(*np.nonzero(near), strict=True):
+        x, y = find(roots[a]), find(roots[b])
+        if x != y:
+            parent[x] = y
+            yield a, b
+
+
+def compare_blocks(rows: DataFrame, items: DataFrame, join: Join) -> DataFrame:
+    """Links (a, b) between sets of the same region (region, set, root, n). A region's rows are
+    dealt into blocks by hash; each pair of blocks is one bounded group."""
+    blocks = F.ceil(F.col("n") / join.block)
+    own = F.pmod(F.xxhash64("set", F.lit(1)), blocks)
+    other = F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))
+    dealt = rows.withColumn("own", own).select("region", "set", "root", "own", other.alias("other"))
+    low, high = F.least("own", "other"), F.greatest("own", "other")
+    keyed = dealt.select(F.struct("region", low.alias("i"), high.alias("j")).alias("key"), "set", "root", (F.col("own") > F.col("other")).alias("side"))
+    full = keyed.join(items.hint("merge"), "set").select("key", "set", "root", "side", "items").repartition("key").sortWithinPartitions("key")
+
+    def compare(group: list[dict]) -> pa.RecordBatch:
+        # Within one block every pair of rows counts: there all sides are equal.
+        sides = np.array([r["side"] for r in group])
+        across = group[0]["key"]["i"] != group[0]["key"]["j"]
+        found = list(_link_rows(join, [r["root"] for r in group], [r["items"] for r in group], sides if across else np.zeros(len(group), bool)))
+        a, b = ([group[x[i]]["set"] for x in found] for i in (0, 1))
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group: list[dict] = []
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("key", "set", "root", "side")]
+            cuts, values = batch.column("items").offsets.to_numpy(), batch.column("items").values.to_numpy()
+            for i, (key, name, root, side) in enumerate(zip(*columns, strict=True)):
+                if group and group[-1]["key"] != key:
+                    yield compare(group)
+                    group = []
+                group.append({"key": key, "set": name, "root": root, "side": side, "items": values[cuts[i] : cuts[i + 1]].copy()})
+        if group:
+            yield compare(group)
 
-def _pair(x: Column, y: Column) -> list[Column]:
-    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+    return materialize(full.mapInArrow(run, "a long, b long"), "jaccard-links")
 
 
 def links(docs: DataFrame, measured: DataFrame, join: Join) -> DataFrame:
-    """Roots of linked sets: node and root for every set with a link to a different set."""
-    active = first_regions(docs, join).withColumn("home", F.lit(True))
-    wanted = active.select("set").distinct()
-    items = set_items(docs, measured, wanted, join)
-    found, roots = None, None
-    pivots, reach = 1, 2 * (1 - join.percent / 100) + 1e-9
-    while True:
-        if roots is not None:
-            known = roots.select(F.col("node").alias("set"), "root").hint("merge")
-            active = active.join(known, "set", "left").withColumn("root", F.coalesce("root", "set"))
-        else:
-            active = active.withColumn("root", F.col("set"))
-        sums = active.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("p"), F.max("root").alias("q"), F.max("home").alias("own"))
-        sums = sums.where((F.col("p") != F.col("q")) & F.col("own")).select(F.col("cell").alias("c"), "n")
-        active = materialize(active.join(sums.hint("merge"), F.col("cell") == F.col("c")).drop("c"), "jaccard-active")
-        if not active.limit(1).count():
+    """node and root for every set with a link to a different set."""
+    first = first_regions(docs, join)
+    items = set_items(docs, measured, first.select("set").distinct(), join)
+    members = hubs(first)
+    near = distances(members, items, join)
+    found = near.where("linked").select(F.col("set").alias("a"), F.col("pivot").alias("b"))
+    roots = components(found)
+    rows = near.select(F.col("pivot").alias("region"), "set", "distance")
+    for level in range(join.depth):
+        rows = unsettled(with_roots(rows, roots))
+        rows = materialize(unsettled(with_roots(rings(rows, join.radius), roots)), "jaccard-rings")
+        large = rows.where(F.col("n") > join.block)
+        if level + 1 == join.depth or not large.limit(1).count():
             break
-        # Pivots: the first set of each of some groups of components, so that they differ.
-        group = F.pmod(F.xxhash64("root"), F.lit(pivots))
-        small = (F.col("n") <= join.leaf) & F.lit(pivots > 1)
-        chosen = active.where(~small).groupBy("cell", group.alias("g")).agg(F.min("set").alias("pivot")).select(F.col("cell").alias("c"), "pivot")
-        large = materialize(active.where(~small).join(chosen.hint("merge"), F.col("cell") == F.col("c")).select("cell", "set", "home", "root", "pivot"), "jaccard-pivots")
-        pairs = large.where("set <> pivot").select(*_pair(F.col("set"), F.col("pivot")))
-        if pivots > 1:
-            x, y = active.where(small), active.where(small).select(F.col("cell").alias("c"), F.col("set").alias("other"), F.col("root").alias("r"), F.col("home").alias("h"))
-            within = x.join(y.hint("merge"), (F.col("cell") == F.col("c")) & (F.col("set") < F.col("other")) & (F.col("root") != F.col("r")) & (F.col("home") | F.col("h")))
-            pairs = pairs.unionByName(within.select(F.col("set").alias("a"), F.col("other").alias("b")))
-        measured_pairs = distances(pairs.distinct(), items, join)
-        fresh = measured_pairs.where("linked").select("a", "b")
-        found = fresh if found is None else found.unionByName(fresh)
+        chosen = large.groupBy("region").agg(F.min_by("set", F.xxhash64("set", "region")).alias("pivot")).select(F.col("region").alias("r"), "pivot")
+        again = materialize(large.join(chosen.hint("merge"), F.col("region") == F.col("r")).where("set <> pivot").select("region", "set", "pivot"), "jaccard-pivots")
+        near = distances(again.select("set", "pivot").distinct(), items, join)
+        found = found.unionByName(near.where("linked").select(F.col("set").alias("a"), F.col("pivot").alias("b")))
+        small = rows.where(F.col("n") <= join.block)
+        found = found.unionByName(compare_blocks(small, items, join))
         roots = components(found)
-        # Voronoi regions of what is left; a single pivot makes one region.
-        with_d = large.withColumns({"a": F.least("set", "pivot"), "b": F.greatest("set", "pivot")}).join(measured_pairs.select("a", "b", "distance").hint("merge"), ["a", "b"], "left")
-        with_d = with_d.withColumn("distance", F.when(F.col("set") == F.col("pivot"), 0.0).otherwise(F.col("distance")))
-        member = Window.partitionBy("cell", "set")
-        nearest = F.min(F.struct("distance", "pivot")).over(member)
-        placed = with_d.withColumn("near", nearest).withColumn("is_pivot", F.max(F.col("set") == F.col("pivot")).over(member))
-        placed = placed.where(~F.col("is_pivot") & (F.col("distance") <= F.col("near.distance") + reach))
-        active = placed.select(F.xxhash64("cell", "pivot").alias("cell"), "set", (F.col("home") & (F.col("near.pivot") == F.col("pivot"))).alias("home"))
-        pivots = join.pivots if pivots == 1 else 2 * pivots
-    if roots is None:
-        return docs.sparkSession.createDataFrame([], "node long, root long")
-    return roots
+        rows = again.join(near.select("set", "pivot", "distance").hint("merge"), ["set", "pivot"]).select("region", "set", "distance")
+    found = found.unionByName(compare_blocks(rows, items, join))
+    return components(found)
 
 
 def groups(docs: DataFrame, join: Join = Join()) -> DataFrame:
