@@ -352,8 +352,10 @@ def groups(docs: DataFrame, join: Join = Join()) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, join: Join = Join()) -> DataFrame:
-    """One row of docs for each group, that of the smallest doc_id, with all columns; of rows
-    that share this id, each text stays once a group."""
-    found = groups(docs, join).select(F.col("doc_id").alias("__id")).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).distinct()
-    kept = docs.join(found.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id"))).drop("__id")
-    return kept.dropDuplicates(["doc_id", "text"]) if docs.columns else kept
+    """One row of docs for each group, that of the smallest doc_id, with all columns. If rows
+    share this id, each text stays once; rows without an id stay once a text."""
+    found = groups(docs, join).where("doc_id = component_id").select("doc_id").distinct()
+    kept = docs.join(found.hint("merge"), "doc_id").select(*docs.columns).withColumn("__text", F.xxhash64("text"))
+    once = F.row_number().over(Window.partitionBy("doc_id", "__text").orderBy(F.lit(1)))
+    kept = kept.withColumn("__n", once).where("__n = 1").select(*docs.columns)
+    return kept.unionByName(docs.where("doc_id is null").dropDuplicates(["text"]))
