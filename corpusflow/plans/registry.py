@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from corpusflow.plans import answering, corpus, search
+from corpusflow.plans.base import ORACLES, QUERIES
+
+MODULES = (corpus, search, answering)
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(ORACLES)
