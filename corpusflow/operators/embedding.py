@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.ml.functions import predict_batch_udf
+from pyspark.ml.feature import HashingTF, Normalizer
+from pyspark.ml.functions import predict_batch_udf, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
@@ -19,17 +20,15 @@ def embed(texts: DataFrame, make_fn: Callable[[], Callable[[np.ndarray], np.ndar
     return texts.withColumn("embedding", predict_batch_udf(make_fn, return_type=ArrayType(FloatType()), batch_size=batch_size)(column))
 
 
-def embed_hashing(text: Column, dimension: int = 64) -> Column:
-    """A deterministic stand-in for a model: counts of hashed lower-case tokens, signed, scaled
-    to length 1. No tokens give the first unit vector, as a zero vector has no direction."""
-    w = F.transform(tokens(F.lower(text)), lambda t: F.struct(F.pmod(F.xxhash64(t), F.lit(dimension)).cast("int").alias("at"), F.when(F.pmod(F.xxhash64(t, F.lit(1)), F.lit(2)) == 0, 1.0).otherwise(-1.0).alias("sign")))
-    counts = F.aggregate(
-        w, F.array_repeat(F.lit(0.0), dimension),
-        lambda acc, x: F.concat(F.slice(acc, F.lit(1), x["at"]), F.array(F.get(acc, x["at"]) + x["sign"]), F.slice(acc, x["at"] + 2, F.lit(dimension) - x["at"])),
-    )
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda a, x: a + x * x))
-    unit = F.concat(F.array(F.lit(1.0)), F.array_repeat(F.lit(0.0), dimension - 1))
-    return F.when(norm > 0, F.transform(counts, lambda x: x / norm)).otherwise(unit).cast("array<float>")
+def embed_hashing(texts: DataFrame, column: str = "text", dimension: int = 64) -> DataFrame:
+    """Adds `embedding`, a deterministic stand-in for a model: hashed counts of lower-case
+    tokens, scaled to length 1. No tokens give the first unit vector, as a zero vector has no
+    direction. All in the JVM."""
+    words = texts.withColumn("__w", tokens(F.lower(column)))
+    counted = HashingTF(inputCol="__w", outputCol="__tf", numFeatures=dimension).transform(words)
+    unit = F.array(F.lit(1.0), *[F.lit(0.0)] * (dimension - 1)).cast("array<float>")
+    scaled = Normalizer(inputCol="__tf", outputCol="__v").transform(counted).withColumn("embedding", F.when(F.size("__w") > 0, vector_to_array("__v", "float32")).otherwise(unit))
+    return scaled.drop("__w", "__tf", "__v")
 
 
 def norm(vector: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -89,9 +89,9 @@ def join_chunk_metadata(ranked: DataFrame, chunks: DataFrame, documents: DataFra
     return ranked.join(chunks, "chunk_id").join(documents, "document_id")
 
 
-def semantic_search(questions: DataFrame, embed_fn, index: DataFrame, k: int, threshold: float | None = None) -> DataFrame:
-    """Embeds question_id, text by embed_fn (column to column), then retrieves."""
-    return retrieve_topk(questions.select(F.col("question_id").alias("query_id"), embed_fn(F.col("text")).alias("embedding")), index, k, threshold)
+def semantic_search(questions: DataFrame, embed_fn: Callable[[DataFrame], DataFrame], index: DataFrame, k: int, threshold: float | None = None) -> DataFrame:
+    """Embeds questions (question_id, text) by embed_fn, which adds `embedding`, then retrieves."""
+    return retrieve_topk(embed_fn(questions).select(F.col("question_id").alias("query_id"), "embedding"), index, k, threshold)
 
 
 def retrieve_approx(queries: DataFrame, index: DataFrame, k: int, bucket: float = 0.9, tables: int = 8, distance: float = 1.3, seed: int = 7) -> DataFrame:
