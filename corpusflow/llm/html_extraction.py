@@ -17,11 +17,13 @@ whatever their names.
 from __future__ import annotations
 
 import html as entities
+import json
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard as zstd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -190,45 +192,70 @@ def neighbours(keyed: DataFrame) -> DataFrame:
     return placed.select("row", nearest.alias("neighbour"))
 
 
-def parse_pages(pages: DataFrame) -> DataFrame:
-    """page_id, url, row (unique), lines, kinds and hashes of every page, written out."""
+def row_key() -> Column:
+    """Names a page by its id and content; rows that repeat share it."""
+    return F.struct(F.col("page_id").alias("id"), F.xxhash64("url", "html").alias("n"))
+
+
+def line_hashes(pages: DataFrame) -> DataFrame:
+    """row, host, path and hashes (of the text lines) of each distinct page, written out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
-                found = [page_lines(x) for x in part.column(2).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([f[0] for f in found], pa.list_(pa.string())), pa.array([f[1] for f in found], pa.list_(pa.int8()))], names=["page_id", "url", "lines", "kinds"])
+            lines = [page_lines(x.as_py())[0] for x in batch.column("html")]
+            yield pa.RecordBatch.from_arrays([*batch.drop_columns(["html"]).columns, pa.array(lines, pa.list_(pa.string()))], names=["row", "host", "path", "lines"])
 
+    keyed = pages.select(row_key().alias("row"), host(F.col("url")).alias("host"), path(F.col("url")).alias("path"), "html")
     kind = pages.schema["page_id"].dataType.simpleString()
-    parsed = pages.select("page_id", "url", "html").mapInArrow(run, f"page_id {kind}, url string, lines array<string>, kinds array<tinyint>")
-    return materialize(parsed.withColumn("row", F.struct(F.col("page_id").alias("id"), F.monotonically_increasing_id().alias("n"))), "html-lines")
+    parsed = keyed.mapInArrow(run, f"row struct<id: {kind}, n: bigint>, host string, path string, lines array<string>")
+    hashed = parsed.select("row", "host", "path", F.transform("lines", lambda x: F.xxhash64(x)).alias("hashes"))
+    return materialize(hashed.dropDuplicates(["row"]), "html-hashes")
+
+
+def shared_lines(hashed: DataFrame) -> DataFrame:
+    """its (row), neighbour and shared (line numbers) of each page with a neighbour."""
+    near = neighbours(hashed.select("row", "host", "path")).where("neighbour is not null")
+    own = hashed.select("row", F.col("hashes").alias("ours")).hint("merge")
+    other = hashed.select(F.col("row").alias("neighbour"), F.col("hashes").alias("theirs")).hint("merge")
+    both = near.join(other, "neighbour").join(own, "row").select("row", "neighbour", "ours", "theirs")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.flatnonzero(common_lines(np.array(a.as_py(), np.int64), np.array(b.as_py(), np.int64))) for a, b in zip(batch.column(2), batch.column(3), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32()))], names=["its", "neighbour", "shared"])
+
+    kind = hashed.schema["row"].dataType.simpleString()
+    return materialize(both.mapInArrow(run, f"its {kind}, neighbour {kind}, shared array<int>"), "html-shared")
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars, n_lines, n_shared (lines shared with the neighbour) and
-    neighbour (its page_id) of every page."""
-    parsed = parse_pages(pages)
-    hashes = F.transform("lines", lambda x: F.xxhash64(x))
-    near = neighbours(parsed.select("row", host(F.col("url")).alias("host"), path(F.col("url")).alias("path")))
-    theirs = parsed.select(F.col("row").alias("neighbour"), hashes.alias("theirs"))
-    near = near.where("neighbour is not null").join(theirs.hint("merge"), "neighbour").select(F.col("row").alias("its"), "neighbour", "theirs")
-    both = parsed.join(near.hint("merge"), F.col("row") == F.col("its"), "left")
-    both = both.select("page_id", "url", "lines", "kinds", hashes.alias("ours"), "theirs", F.col("neighbour.id").alias("neighbour"))
+    neighbour (its page_id) of every page.
+
+    Pages are parsed twice: first for the lines' hashes, which are all that differencing needs,
+    then for the lines themselves, which are compressed for the one shuffle they pass."""
+    shared = shared_lines(line_hashes(pages))
+    kind = pages.schema["page_id"].dataType.simpleString()
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = zstd.ZstdCompressor(level=3)
+        for batch in batches:
+            packed = [packer.compress(json.dumps(page_lines(x.as_py()), ensure_ascii=False, separators=(",", ":")).encode()) for x in batch.column("html")]
+            yield pa.RecordBatch.from_arrays([*batch.drop_columns(["html"]).columns, pa.array(packed, pa.binary())], names=["page_id", "url", "row", "packed"])
+
+    parsed = pages.select("page_id", "url", row_key().alias("row"), "html").mapInArrow(parse, f"page_id {kind}, url string, row struct<id: {kind}, n: bigint>, packed binary")
+    both = parsed.join(shared.hint("merge"), F.col("row") == F.col("its"), "left").select("page_id", "url", "packed", "shared", F.col("neighbour.id").alias("neighbour"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpacker = zstd.ZstdDecompressor()
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
-                texts, n_lines, n_shared = [], [], []
-                for lines, kinds, ours, theirs in zip(*(part.column(c).to_pylist() for c in ("lines", "kinds", "ours", "theirs")), strict=True):
-                    shared = common_lines(np.array(ours, np.int64), np.array(theirs or [], np.int64))
-                    core = 2 in kinds
-                    kept = [x for x, k, s in zip(lines, kinds, shared, strict=True) if k == 2 or k == 1 and not core and not s]
-                    texts.append("\n".join(kept))
-                    n_lines.append(len(lines))
-                    n_shared.append(int(shared.sum()))
-                yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array(n_lines, pa.int64()), pa.array(n_shared, pa.int64()), part.column("neighbour")], names=["page_id", "url", "text", "n_chars", "n_lines", "n_shared", "neighbour"])
+            texts, n_lines, n_shared = [], [], []
+            for packed, met in zip(batch.column("packed"), batch.column("shared"), strict=True):
+                lines, kinds = json.loads(unpacker.decompress(packed.as_py()))
+                gone, core = set(met.as_py() or ()), 2 in kinds
+                texts.append("\n".join(x for i, (x, k) in enumerate(zip(lines, kinds, strict=True)) if k == 2 or k == 1 and not core and i not in gone))
+                n_lines.append(len(lines))
+                n_shared.append(len(gone))
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array(n_lines, pa.int64()), pa.array(n_shared, pa.int64()), batch.column("neighbour")], names=["page_id", "url", "text", "n_chars", "n_lines", "n_shared", "neighbour"])
 
-    kind = pages.schema["page_id"].dataType.simpleString()
     return both.mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long, n_lines long, n_shared long, neighbour {kind}")
