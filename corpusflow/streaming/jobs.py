@@ -35,9 +35,10 @@ def ingest_batch(incoming: DataFrame, batch: int, root: str) -> None:
     spark.range(1).select(F.lit(batch).alias("batch")).write.mode("append").parquet(f"{root}/versions")
 
 
-def stream_ingest_changes(pages: DataFrame, root: str, checkpoint: str) -> StreamingQuery:
-    """Classifies and merges each micro-batch of pages (MANIFEST's columns but file_name)."""
-    writer = pages.writeStream.foreachBatch(lambda df, batch: ingest_batch(df, batch, root))
+def stream_ingest_changes(pages: DataFrame, root: str, checkpoint: str, first_batch: int = 0) -> StreamingQuery:
+    """Classifies and merges each micro-batch of pages (MANIFEST's columns but file_name).
+    first_batch: number of this stream's first batch, where another stream came before."""
+    writer = pages.writeStream.foreachBatch(lambda df, batch: ingest_batch(df, batch + first_batch, root))
     return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
