@@ -1,0 +1,196 @@
+"""Small fixtures: rules that the test tables never reach."""
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from corpusflow.functions import text as T
+from corpusflow.functions.urls import Rules, resolve_url, url_allowed
+from corpusflow.operators import answers, blocks, chunking, embedding, evaluation, index, ingest, links, retrieval
+from corpusflow.streaming import jobs
+
+
+def one(spark, expression, value):
+    return spark.createDataFrame([(value,)], "v string").select(expression(F.col("v"))).first()[0]
+
+
+@pytest.mark.parametrize("text,want", [("Как переместить?", "Russian"), ("how do I move it", "English"), ("Transform.Translate", "English"), ("Що це є?", None), ("你好 how", None), ("Bonjour monde", None), ("Γειά the", None)])
+def test_language(spark, text, want):
+    assert one(spark, T.detect_language, text) == want
+
+
+def test_normalize(spark):
+    given_text = "  alpha   beta  \r\n\r\n\r\n```csharp\r\n  int  x;  \r\n```  "
+    assert one(spark, T.normalize_text, given_text) == "alpha beta\n\n\n```csharp\n  int  x;\n```"
+    assert one(spark, T.normalize_text, "\n\na\n\n\n\n\nb  c\n") == "a\n\n\nb c"
+    assert one(spark, T.count_tokens, "a b c d") == 4
+    assert one(spark, T.normalize_service_line, " Inherits  from:Behaviour\n/ Implemented in:Core ") == "Inherits from: Behaviour / Implemented in: Core"
+
+
+@pytest.mark.parametrize("answer,want", [("1", True), ("SOURCE 1", True), ("[1]", True), ("Да.", True), ("Нет", True), ("yes", True), ("NO!", True), ("Use Move.", False)])
+def test_uninformative(spark, answer, want):
+    assert one(spark, T.uninformative, answer) is want
+
+
+@pytest.mark.parametrize("href,want", [("../x.html", "https://h.example/a/x.html"), ("x.html", "https://h.example/a/b/x.html"), ("/x", "https://h.example/x"), ("//o.example/x", "https://o.example/x"), ("mailto:a@b", None), ("#f", "https://h.example/a/b/c.html#f"), ("http://z.example/", "http://z.example/")])
+def test_resolve(spark, href, want):
+    assert one(spark, lambda c: resolve_url(F.lit("https://h.example/a/b/c.html"), c), href) == want
+
+
+@pytest.mark.parametrize("url,want", [("https://H.example:443/d/x.HTML", True), ("http://h.example/d/x.html", False), ("https://h.example:444/d/x.html", False), ("https://u@h.example/d/x.html", False), ("https://h.example/d/x.html?q", False), ("https://h.example/e/x.html", False), ("nonsense", False), (None, False)])
+def test_allowed(spark, url, want):
+    assert one(spark, lambda c: url_allowed(c, Rules("h.example", "/d/")), url) is want
+
+
+MEMBERS = """<div class="section"><div class="subsection"><h3>Properties</h3><table class="list"><tr><td><a href="a.html">a</a></td></tr></table></div>
+<div class="subsection"><h3>Inherited Members</h3><table class="list"><tr><td><a href="b.html">b</a></td></tr></table></div>
+<div class="subsection"><h3>Public Methods</h3><div class="subsection"><table class="list"><tr><td><a href="c.html">c</a></td></tr></table></div><table class="list"><tr><td><a href="d.html">d</a></td></tr></table></div></div><a href="e.html">e</a>"""
+
+
+def test_member_links(spark):
+    assert links.member_hrefs(MEMBERS) == ["a.html", "d.html"]
+    assert links.member_hrefs(None) == links.member_hrefs("not valid markup {{{") == []
+    pages = spark.createDataFrame([("https://h.example/d/p.html", MEMBERS), ("https://h.example/d/a.html", "<a")], "url string, html string")
+    found = links.extract_links(pages, Rules("h.example", "/d/")).collect()
+    assert sorted(r.target for r in found) == ["https://h.example/d/a.html", "https://h.example/d/d.html"]
+
+
+def test_titles(spark):
+    rows = [("https://h/x/A.html", "<h1>  Game <em>Class</em> </h1><title>No</title>"), ("https://h/B.html", "<title>  Vector API </title>"), ("https://h/Quat%20X.html", "<p>none</p>"), ("https://host.example/", "")]
+    found = {r.url: r.title for r in links.page_title(spark.createDataFrame(rows, "url string, html string")).collect()}
+    assert list(found.values()) == ["Game Class", "Vector API", "Quat X", "host.example"] or set(found.values()) == {"Game Class", "Vector API", "Quat X", "host.example"}
+
+
+PAGE = """<div id="content-wrap"><h1>T</h1><div class="section"><nav>menu</nav><div class="mb20"><p>Inherits from:<a>Base</a></p><p>/</p></div>
+<div class="subsection"><h2>Description</h2><p>One<br>two <code>x</code></p><ol><li>first</li></ol>
+<table class="list"><tr><th>h</th></tr><tr><td>n</td><td>d</td></tr></table><table><tr><td>dropped</td></tr></table>
+<div class="subsection"><h3>Inherited</h3><pre>    <span>public</span><span>void</span> M()<br>        x;</pre></div></div><form>f</form></div></div>"""
+
+
+def test_blocks(spark):
+    pages = spark.createDataFrame([("p", PAGE), ("q", "<h1>No content</h1>")], "document_id string, html string")
+    found = blocks.html_blocks(pages).orderBy("document_id", "pos").collect()
+    texts = [r.text for r in found if r.document_id == "p"]
+    assert texts == ["Inherits from: Base", "# Description", "One\ntwo `x`", "- first", "- n — d", "### Inherited", "```csharp\npublic void M()\n    x;\n```"]
+    titles = spark.createDataFrame([("p", "T"), ("q", "U")], "document_id string, title string")
+    done = {r.document_id: r for r in blocks.process_documents(blocks.html_blocks(pages), titles).collect()}
+    assert done["p"].content.startswith("# T\n\nInherits from: Base\n\n# Description") and done["q"].error == "main content not found"
+
+
+def chunks(text, size, overlap=0, title="API"):
+    return chunking.heading_chunks("d", title, text, size, overlap)
+
+
+def test_heading_chunks():
+    words = " ".join(f"word{i}" for i in range(32))
+    found = chunks(f"# API\n\n## Description\n\n{words}", 8, 2)
+    assert all(c[4] <= 8 and c[5].count("# API") == 1 for c in found) and [c[3] for c in found] == list(range(len(found)))
+    assert len(chunks("## Empty\n\n## Delegates\n\nx", 20)) == 1
+    one = chunks("p1\n\np2\n\n## Description\n\nbody", 20, title="Nav")
+    assert len(one) == 1 and one[0][2] == "Description" and "p1\n\np2\n\nbody" in one[0][5]
+    assert chunks("only text", 20)[0][2] is None
+    first, second = (" ".join(f"{n}{i}" for i in range(7)) for n in ("first", "second"))
+    assert max(c[4] for c in chunks(f"{first}\n\n{second}", 9, 2)) <= 9
+    code = "```\na\n\n## not a section\n```"
+    assert any(code in c[5] for c in chunks(f"## S\n\n{' '.join(['w'] * 25)}\n\n{code}", 14, 1))
+    with pytest.raises(ValueError):
+        chunks("## A\n\nx", 4)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text("ab #\n`", max_size=30), max_size=8), st.integers(6, 30), st.integers(0, 5))
+def test_chunk_properties(lines, size, overlap):
+    text = "\n".join(lines)
+    found = chunking.heading_chunks("d", "T", text.replace("##", "x"), size, overlap)
+    assert all(c[4] <= size for c in found) and [c[3] for c in found] == list(range(len(found)))
+
+
+def test_chunk_options(spark):
+    docs = spark.createDataFrame([("d", "t", "a b c d e"), ("e", "t", None), ("f", "t", "")], "document_id string, title string, content string")
+    assert [r.content for r in chunking.chunk_overlap(docs, 3, 1).orderBy("ordinal").collect()] == ["a b c", "c d e"]
+    assert chunking.chunk_fixed(docs, 2).count() == 3 and chunking.chunk_heading_aware(docs, 8, 1).count() == 1
+    for bad in ((0, 0), (5, 5), (5, -1)):
+        with pytest.raises(ValueError):
+            chunking.chunk_overlap(docs, *bad)
+
+
+def test_changes(spark):
+    schema = "document_id string, canonical_url string, title string, content_hash string, retrieved_at timestamp, file_name string"
+    old = spark.createDataFrame([("a", "u", "t", "AB", None, "fa"), ("b", "u", "t", "cd", None, "fb"), ("z", "u", "t", "zz", None, "fz")], schema)
+    new = spark.createDataFrame([("a", "u2", "t2", "ab", None), ("b", "u", "t", "ef", None), ("c", "u", "t", "gh", None)], schema.rpartition(",")[0])
+    kinds = {r.document_id: r.change for r in ingest.classify_changes(old, new).collect()}
+    assert kinds == {"a": "Unchanged", "b": "Updated", "c": "New"}
+    merged = ingest.merge_manifest(old, new)
+    rows = {r.document_id: r for r in merged.collect()}
+    assert rows["a"].title == "t2" and rows["a"].file_name == "fa" and rows["z"].content_hash == "zz" and rows["c"].file_name == "c.html"
+    again = ingest.merge_manifest(merged, new)
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, merged.collect()))
+    with pytest.raises(Exception, match="no documents"):
+        ingest.ingest_summary(ingest.classify_changes(old, new).where("false")).collect()
+
+
+def test_cosine(spark):
+    table = spark.createDataFrame([("a", [1.0, 0.0, 0.0]), ("b", [0.8, 0.6, 0.0]), ("c", [0.0, 1.0, 0.0]), ("z", [0.0, 0.0, 0.0])], "chunk_id string, embedding array<float>")
+    ask = spark.createDataFrame([("q", [1.0, 0.0, 0.0])], "query_id string, embedding array<float>")
+    top = [(r.chunk_id, r.similarity, r.initial_rank) for r in retrieval.retrieve_topk(ask, table, 3).orderBy("initial_rank").collect()]
+    assert top == [("a", 1.0, 1), ("b", 0.8, 2), ("c", 0.0, 3)]
+    assert retrieval.retrieve_topk(ask, table, 3, 0.9).count() == 1
+    assert retrieval.retrieve_topk(ask.where("false"), table, 3).count() == 0
+
+
+def test_window_group_limit(spark):
+    plan = retrieval._rank(spark.range(10).selectExpr("id % 2 as query_id", "id as chunk_id", "cast(id as double) as similarity"), 2)
+    assert "WindowGroupLimit" in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_recall(spark):
+    from corpusflow.plans.registry import queries
+
+    assert queries()["ann_recall"](spark, "/root/testdata/sf0.01").agg(F.avg("recall")).first()[0] >= 0.9
+
+
+def test_metrics(spark):
+    questions = spark.createDataFrame([("A", "Answered", ["a", "b"]), ("N", "OutOfDomain", [])], "question_id string, expected_status string, expected_urls array<string>")
+    ranked = spark.createDataFrame([("A", 1, "other"), ("A", 2, "other"), ("A", 3, "b"), ("A", 4, "b")], "question_id string, rank int, url string")
+    rows = {r.question_id: r for r in evaluation.per_question(questions, ranked, (2, 3)).collect()}
+    assert rows["A"].hit_2 == 0 and rows["A"].hit_3 == 1 and rows["A"].reciprocal_rank == 0.333333 and rows["A"].coverage_3 == 0.5
+    assert rows["N"].reciprocal_rank is None
+    assert evaluation.status_match_rate(spark.createDataFrame([], "status string, expected_status string")).first()[0] is None
+    done = questions.selectExpr("question_id", "0 as position").where("question_id = 'N'")
+    with pytest.raises(ValueError):
+        evaluation.resume_remaining(questions.selectExpr("question_id", "1 as position"), done)
+
+
+def test_ranking(spark):
+    found = spark.createDataFrame([("q", i, f"c{i}") for i in (1, 2, 3)], "question_id string, initial_rank int, chunk_id string")
+    order = spark.createDataFrame([("q", [3, 1, 2])], "question_id string, permutation array<int>")
+    rows = sorted((r.final_rank, r.chunk_id, r.reranker_score) for r in answers.apply_ranking(found, order).collect())
+    assert rows == [(1, "c3", 1.0), (2, "c1", 0.5), (3, "c2", 0.0)]
+    bad = spark.createDataFrame([("q", [1, 1, 2])], "question_id string, permutation array<int>")
+    assert answers.apply_ranking(found, bad).where("final_rank is not null").count() == 0
+
+
+def test_snapshot_is_all_or_nothing(spark, tmp_path):
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    tables = {"profiles": frame([("p", 1)], "profile_key string, dimension int"), "documents": frame([("d", "h", 1, 1)], "document_id string, content_hash string, created_at int, updated_at int"), "chunks": frame([("c", "d", 0)], "chunk_id string, document_id string, ordinal int"), "embeddings": frame([("c", "p", [1.0])], "chunk_id string, profile_key string, embedding array<float>")}
+    root = str(tmp_path / "index")
+    index.publish_snapshot(spark, root, tables, 1)
+    bad = frame([("r", "k", "x")], "rule string, key string, detail string")
+    with pytest.raises(ValueError):
+        index.apply_index_batch(spark, root, tables | {"chunks": tables["chunks"].where("false")}, [bad], 2)
+    assert index.read_snapshot(spark, root)["chunks"].count() == 1
+
+
+def test_replay(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "u", "t", "h1", None)], jobs.MANIFEST.rpartition(",")[0])
+    root = str(tmp_path / "m")
+    for batch in (0, 0, 1):
+        jobs.ingest_batch(rows, batch, root)
+    assert jobs.read_manifest(spark, root).count() == 1
+    assert [r.change for r in spark.read.parquet(f"{root}/changes/batch=1").collect()] == ["Unchanged"]
+
+
+def test_hashing_embedder(spark):
+    rows = embedding.embed_hashing(spark.createDataFrame([("a b",), ("",), (None,)], "text string")).collect()
+    assert all(abs(sum(x * x for x in r.embedding) - 1) < 1e-5 for r in rows)
