@@ -204,10 +204,12 @@ def set_items(docs: DataFrame, measured: DataFrame, wanted: DataFrame, join: Joi
 def distances(pairs: DataFrame, items: DataFrame, join: Join) -> DataFrame:
     """set, pivot, distance and linked of the distinct pairs (set, pivot). A pivot may be hot;
     both joins are plain shuffles, which adaptive execution splits."""
-    left = items.select("set", F.col("items").alias("x")).hint("merge")
-    right = items.select(F.col("set").alias("pivot"), F.col("items").alias("y")).hint("merge")
-    shared = F.size(F.array_intersect("x", "y"))
-    found = pairs.join(left, "set").join(right, "pivot").select("set", "pivot", shared.alias("i"), (F.size("x") + F.size("y") - shared).alias("u"))
+    # Both joins with items are by set, so that they share one shuffle of them; only pivots'
+    # items are then sent to their pairs.
+    full = items.hint("merge")
+    pivots = pairs.select(F.col("pivot").alias("set")).distinct().join(full, "set").select(F.col("set").alias("pivot"), F.col("items").alias("y")).hint("merge")
+    shared = F.size(F.array_intersect("items", "y"))
+    found = pairs.join(full, "set").join(pivots, "pivot").select("set", "pivot", shared.alias("i"), (F.size("items") + F.size("y") - shared).alias("u"))
     linked = 100 * F.col("i") >= join.percent * F.col("u")
     return materialize(found.select("set", "pivot", (1 - F.col("i") / F.col("u")).alias("distance"), linked.alias("linked")), "jaccard-distances")
 
