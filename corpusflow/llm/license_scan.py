@@ -20,7 +20,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from math import ceil
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusflow.llm.decontamination import LOWER, SEPARATOR, UPPER, words
@@ -98,11 +98,15 @@ def match_blocks(docs: DataFrame, keys: list[str], templates: Sequence[Template]
 
 
 def scan(docs: DataFrame, templates: Sequence[Template] = TEMPLATES, threshold: float = 0.8) -> DataFrame:
-    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels and score (the
-    largest containment of any block in a template it meets, else 0) of every document."""
+    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels (of phrases and of
+    each block's nearest template) and score (the largest containment of any block in a
+    template it meets, else 0) of every document."""
     mark = F.xxhash64("doc_id", "text")
     marked = docs.select("doc_id", "text", mark.alias("__mark"))
     met = match_blocks(marked, ["doc_id", "__mark"], templates, threshold)
+    # Statements that differ in a word meet each other's templates: a block's label is the nearest's.
+    block = Window.partitionBy("doc_id", "__mark", "block")
+    met = met.withColumn("nearest", F.max("containment").over(block)).where("containment = nearest")
     by_doc = met.groupBy(F.col("doc_id").alias("__id"), F.col("__mark").alias("__key")).agg(F.collect_set("label").alias("own_labels"), F.max("containment").alias("best"))
 
     phrase = "(?<= )(" + "|".join(PHRASES) + ")(?= )"

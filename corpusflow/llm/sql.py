@@ -97,10 +97,12 @@ places AS (
 ), base AS (
   SELECT r, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list(DISTINCT label) AS base FROM places GROUP BY r
 ), lines AS (
-  SELECT r, {WORDS} AS b FROM (SELECT r, unnest(string_split(text, chr(10))) AS text FROM d WHERE text IS NOT NULL)
+  SELECT r, row_number() OVER () AS line, {WORDS} AS b FROM (SELECT r, unnest(string_split(text, chr(10))) AS text FROM d WHERE text IS NOT NULL)
+), pairs AS (
+  SELECT r, label, len(list_intersect(t, b)) / len(t) AS part FROM lines, templates WHERE len(list_intersect(t, b)) >= need
+  QUALIFY part = max(part) OVER (PARTITION BY line)
 ), met AS (
-  SELECT r, list(DISTINCT label) AS own, max(len(list_intersect(t, b)) / len(t)) AS best
-  FROM lines, templates WHERE len(list_intersect(t, b)) >= need GROUP BY r
+  SELECT r, list(DISTINCT label) AS own, max(part) AS best FROM pairs GROUP BY r
 )
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
   array_to_string(list_sort(coalesce(base, [])), ',') AS base_labels,
