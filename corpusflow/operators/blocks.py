@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from corpusflow.functions.text import normalize_service_line, normalize_text
 
+#: Fixed values of the mark-up of the pages that are read: elements and classes that are noise.
 SKIP = {"form", "input", "textarea", "button", "script", "style", "nav", "header", "footer", "aside", "img"}
 SKIP_CLASSES = {"suggest", "suggest-success", "suggest-failed", "suggest-form", "scrollToFeedback"}
 VOID = {"area", "base", "br", "col", "hr", "img", "input", "link", "meta", "wbr"}

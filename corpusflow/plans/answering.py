@@ -186,7 +186,7 @@ def _answered(spark: Spark, sf: str) -> DataFrame:
     return answers.attach_citations(rows, answers.top_evidence(_reranked(spark, sf)))
 
 
-@query(f"WITH {RERANKED} SELECT question_id, string_agg(url, ' ' ORDER BY final_rank DESC) AS urls FROM reranked WHERE final_rank <= 2 GROUP BY 1")
+@query(f"WITH {RERANKED} SELECT q.question_id, string_agg(r.url, ' ' ORDER BY final_rank DESC) AS urls FROM questions q LEFT JOIN reranked r ON r.question_id = q.question_id AND final_rank <= 2 GROUP BY 1")
 def attach_citations(spark: Spark, sf: str) -> DataFrame:
     return _answered(spark, sf).select("question_id", F.array_join(F.transform("citations", lambda c: c["url"]), " ").alias("urls"))
 
