@@ -62,9 +62,9 @@ def missing_content(manifest: DataFrame, raw: DataFrame) -> DataFrame:
 
 
 def exact_duplicates(docs: DataFrame, key: str, content_hash: Column) -> DataFrame:
-    """key, keeper (the least key with the same content) and copy_number from 1 of every row.
+    """key, keeper (the least key with the same content), n_copies and is_duplicate of every row.
 
-    Copies are numbered by a join with one row a content, not within one window per content:
+    Copies find their keeper by a join with one row a content, not within a window per content:
     a content that a third of all rows share stays spread over its keys."""
     hashed = docs.select(key, content_hash.alias("content_hash"))
     groups = hashed.groupBy("content_hash").agg(F.min(key).alias("keeper"), F.count(F.lit(1)).alias("n_copies"))
