@@ -101,7 +101,7 @@ class Rings:
             m = most + 1
             for _ in range(20):  # subspaces that are likely empty come on top
                 empty = m * exp(-t * start / m)
-                m = most + 1 + ceil(empty + 2 * sqrt(empty))
+                m = most + 1 + most // 10 + ceil(empty + 2 * sqrt(empty))
             self.low.append(start)
             self.most.append(most)
             self.m.append(m if most else 0)
@@ -120,8 +120,10 @@ class Rings:
         return np.where(fits, ring, -1)
 
 
-def cells(join: Join, n: int, doc: np.ndarray, h: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Document and cell (64 bits) of each projection, ring by ring above the documents' own."""
+def cells(join: Join, n: int, doc: np.ndarray, h: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Document and cell (64 bits, the last 8 of them the ring) of each projection, ring by ring
+    above the documents' own; then each document's ring (-1: none) and the number of cells
+    that it shares at least with any document that it links with there."""
     size = np.bincount(doc, minlength=n)
     rings = Rings(join, int(size.max(initial=0) / join.percent * 100) + 1)
     value, place = mix(h ^ U(0x14057B7EF767814F)), (mix(h ^ U(0x2545F4914F6CDD1D)) >> U(32)).astype(np.int64)
@@ -141,7 +143,9 @@ def cells(join: Join, n: int, doc: np.ndarray, h: np.ndarray) -> Iterator[tuple[
         sparse = empty >= m - rings.most[ring]
         emit = (count > 0) | sparse[owner]
         label = mix((ring[owner].astype(U) << U(32)) + (np.arange(base[-1]) - base[owner]).astype(U))
-        yield owner[emit], mix(total[emit] + label[emit] + count[emit].astype(U)).view(np.int64)
+        cell = mix(total[emit] + label[emit] + count[emit].astype(U)) & ~U(255) | ring[owner[emit]].astype(U) & U(255)
+        least = m - rings.most[ring] - np.where(sparse, 0, empty)
+        yield owner[emit], cell.view(np.int64), np.where(m > 0, ring, -1), least
 
 
 def measure(docs: DataFrame, join: Join) -> DataFrame:
@@ -158,8 +162,8 @@ def measure(docs: DataFrame, join: Join) -> DataFrame:
 
 
 def first_regions(docs: DataFrame, join: Join) -> DataFrame:
-    """cell and set of every cell that more than one set has, written out. A task names a set
-    once, so copies add no rows."""
+    """cell and set of every cell that more than one set has, of sets that share as many as a
+    link takes; written out. A task names a set once, so copies add no rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -173,13 +177,39 @@ def first_regions(docs: DataFrame, join: Join) -> DataFrame:
                         seen.add(signature[i])
                         fresh[i] = True
                 keep = fresh[doc]
-                for owner, cell in cells(join, scan.n, doc[keep], h[keep]):
+                for owner, cell, _, _ in cells(join, scan.n, doc[keep], h[keep]):
                     yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(signature[owner])], names=["cell", "set"])
 
     rows = docs.select("text").mapInArrow(run, "cell long, set long")
+    found = materialize(_several(rows).distinct(), "jaccard-cells")
+    # Linked sets share a number of cells, not just one: what shares fewer in a ring leaves it.
+    needs = materialize(shared_cells(docs, join), "jaccard-needs")
+    for _ in range(2):
+        found = found.withColumn("ring", F.col("cell").bitwiseAND(F.lit(255)))
+        enough = found.groupBy("set", "ring").count().join(needs.hint("merge"), ["set", "ring"]).where("count >= need").select("set", "ring")
+        found = materialize(_several(found.join(enough.hint("merge"), ["set", "ring"]).select("cell", "set")), "jaccard-cells")
+    return found
+
+
+def _several(rows: DataFrame) -> DataFrame:
+    """Those of rows (cell, set) whose cell has more than one set."""
     cell = Window.partitionBy("cell")
-    several = rows.withColumn("a", F.min("set").over(cell)).withColumn("b", F.max("set").over(cell)).where("a <> b")
-    return materialize(several.select("cell", "set").distinct(), "jaccard-cells")
+    return rows.withColumn("a", F.min("set").over(cell)).withColumn("b", F.max("set").over(cell)).where("a <> b").select("cell", "set")
+
+
+def shared_cells(docs: DataFrame, join: Join) -> DataFrame:
+    """set, ring and need: the cells of a ring that a set shares with any set it links with."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for scan in scans(batch.column(0)):
+                doc, h = sets(scan, join.words)
+                _, signature = signatures(scan.n, doc, h)
+                for _, _, ring, least in cells(join, scan.n, doc, h):
+                    own = ring >= 0
+                    yield pa.RecordBatch.from_arrays([pa.array(signature[own]), pa.array(ring[own] & 255), pa.array(least[own])], names=["set", "ring", "need"])
+
+    return docs.select("text").mapInArrow(run, "set long, ring long, need long").groupBy("set", "ring").agg(F.min("need").alias("need"))
 
 
 def set_items(docs: DataFrame, measured: DataFrame, wanted: DataFrame, join: Join) -> DataFrame:
