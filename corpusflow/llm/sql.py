@@ -111,4 +111,26 @@ FROM d LEFT JOIN base USING (r) LEFT JOIN met USING (r)
 """
 
 
-ORACLES: dict[str, str] = {"op2_warc": WARC, "op6_license_scan": _licenses(), "op9_source_mixing": MIXING, "op10_decontamination": DECONTAMINATION}
+#: Brute force: every pair that shares an n-gram, then all that links reach.
+JACCARD = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT r, array_to_string(w[i + 1 : i + 3], ' ') AS g FROM (SELECT r, w, unnest(range(0, greatest(len(w) - 2, 1))) AS i FROM d WHERE len(w) > 0)
+), n AS (
+  SELECT r, count(*) AS n FROM s GROUP BY r
+), p AS (
+  SELECT a.r AS x, b.r AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.r < b.r GROUP BY 1, 2
+), l AS (
+  SELECT x, y FROM p JOIN n nx ON nx.r = x JOIN n ny ON ny.r = y WHERE 100 * c >= 90 * (nx.n + ny.n - c)
+), e AS (
+  SELECT x, y FROM l UNION ALL SELECT y, x FROM l
+), reach AS (
+  SELECT r, r AS t FROM n UNION SELECT reach.r, e.y FROM reach JOIN e ON e.x = reach.t
+), least_id AS (
+  SELECT reach.r, min(d.doc_id) AS component_id FROM reach JOIN d ON d.r = reach.t GROUP BY 1
+)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(component_id, doc_id) AS component_id FROM d LEFT JOIN n USING (r) LEFT JOIN least_id USING (r)
+"""
+
+ORACLES: dict[str, str] = {"op4_jaccard_join": JACCARD, "op2_warc": WARC, "op6_license_scan": _licenses(), "op9_source_mixing": MIXING, "op10_decontamination": DECONTAMINATION}
