@@ -1,12 +1,17 @@
 """Language-model scores by online logistic context mixing.
 
 A text and an end mark are coded byte by byte as walks down a Huffman tree; each step is a bit.
-Several predictors, each a table of bit counts hashed by a context (the last one, two and
-three bytes, the current word's last bytes) and the tree node, give the odds of a bit. Their
-log odds are combined by weights, of which a gate picks a set; a second stage refines the mix.
-Tables are counted over all training documents. Weights start equal and are adapted online
-while a block of BLOCK bytes is coded, a mini-batch of STEP bits at a time; each block starts
-anew, so a block's cost doesn't depend on how documents are dealt to tasks.
+Several predictors (contexts: the last one, two, three and four bytes, the current word's last
+bytes) give the odds of a bit from how often the tree node was left either way in the context.
+Their log odds are combined by weights, of which a gate picks a set; a second stage refines the
+mix. Weights start equal and are adapted online while a block of BLOCK bytes is coded, a
+mini-batch of STEP bits at a time; each block starts anew, so a block's cost doesn't depend on
+how documents are dealt to tasks.
+
+Contexts are counted exactly over all training documents, in a table that grows with the corpus:
+a row for each predictor, context and byte, which gives the counts of all tree nodes. Frequent
+contexts are looked up in a bounded broadcast table; all others are joined, a row for each piece
+of PIECE bytes and context in it.
 
 Beside it stands the add-one unigram score of the contract, whose counts are exact: words
 frequent in the corpus are looked up in a bounded broadcast table, all others are joined.
@@ -23,24 +28,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard as zstd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusflow.llm.scan import SPACE, scans
 from corpusflow.sources.scratch import materialize
 
-ORDERS = 3
-TABLE_BITS = 17
+ORDERS = 5
 BLOCK = 4096
-STEP = 512
+STEP = 64
 GATES = 8
-RATE, REFINE_RATE = 0.004, 0.0005
-START_WEIGHT = 0.45
-#: Words looked up in the broadcast table; all others are joined.
+RATE, REFINE_RATE = 0.004, 0.002
+START_WEIGHT = 0.35
+#: Words and contexts looked up in broadcast tables; all others are joined.
 FREQUENT_WORDS = 1 << 17
+FREQUENT_CONTEXTS = 1 << 17
+#: Bytes of text whose contexts are joined together; a longer document is a piece of its own.
+PIECE = 1 << 22
+#: Counts of contexts that a task holds before it passes them on.
+HELD = 1 << 21
 #: Hash of the end token, which no word has: words are never empty.
 END = -1
-_K2, _K3 = np.uint64(0xC2B2AE3D27D4EB4F), np.uint32(0x9E3779B1)
 
 
 def held_out(modulus: int = 7, remainder: int = 2):
@@ -49,7 +58,7 @@ def held_out(modulus: int = 7, remainder: int = 2):
 
 class Tree:
     """Huffman codes of the 256 bytes: length of each, place of its first bit in the flat tables
-    and, there, each bit, a hash of the node it leaves and its depth (3 at most)."""
+    and, there, each bit, the node it leaves and its depth (3 at most)."""
 
     def __init__(self, counts: np.ndarray):
         heap = [(int(c) + 1, s, s) for s, c in enumerate(counts)]
@@ -70,10 +79,16 @@ class Tree:
             walks.append(walk[::-1])
         self.length = np.array([len(w) for w in walks])
         self.at = np.concatenate([[0], np.cumsum(self.length)[:-1]])
-        self.nodes = (np.array([n for w in walks for n, _ in w]).astype(np.uint64) * _K2 >> np.uint64(32)).astype(np.uint32)
+        self.nodes = np.array([n for w in walks for n, _ in w])
         self.bits = np.array([b for w in walks for _, b in w], np.int8)
         self.gates = np.array([min(i, 3) for w in walks for i in range(len(w))], np.int8)
 
+    def walk(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First step of each byte, and each step's place in the flat tables."""
+        length = self.length[data]
+        first = np.concatenate([[0], np.cumsum(length)])
+        return first, np.arange(first[-1]) + np.repeat(self.at[data] - first[:-1], length)
+
 
 def with_ends(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The documents' bytes with an end mark (0) after each, and their new offsets."""
@@ -86,35 +101,76 @@ def with_ends(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return out, at
 
 
-class Steps:
-    """All bits of a stretch of bytes: bit, tree depth, slot in each table, and the stretch's
-    bytes' first bits. before: up to 6 bytes that precede the stretch; place: each byte's
+def contexts(data: np.ndarray, place: np.ndarray, before: np.ndarray) -> Iterator[np.ndarray]:
+    """Each predictor's context of each byte, one to one: predictor, number of bytes known (3
+    bits) and those bytes (48 bits). before: up to 6 bytes that precede data; place: each byte's
     place in its document."""
+    n, k = len(data), len(before)
+    full = np.concatenate([np.zeros(6 - k, np.uint8), before, data])
+    space, full = SPACE[full], full.astype(np.int64)
+    own, size = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    for i in range(4):
+        known = place > i
+        own = own | (full[5 - i : 5 - i + n] << (8 * i)) * known
+        size = size + known
+        yield own | size << 48 | i << 51
+    own, size, alive = np.zeros(n, np.int64), np.zeros(n, np.int64), np.ones(n, bool)
+    for i in range(6):
+        alive = alive & (place > i) & ~space[5 - i : 5 - i + n]
+        own |= (full[5 - i : 5 - i + n] << (8 * i)) * alive
+        size += alive
+    yield own | size << 48 | 4 << 51
+
+
+def add_up(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order and the sum of each."""
+    order = np.argsort(keys, kind="stable")
+    keys, n = keys[order], n[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+    return keys[first], np.add.reduceat(n, first) if len(first) else n
+
+
+class Odds:
+    """Log odds of tree nodes in contexts, from counts of (context << 8 | byte)."""
+
+    def __init__(self, tree: Tree, pairs: np.ndarray, n: np.ndarray):
+        first, step = tree.walk(pairs & 255)
+        length = np.diff(first)
+        self.node, at = np.unique(np.repeat(pairs >> 8 << 8, length) | tree.nodes[step], return_inverse=True)
+        n, bit = np.repeat(n, length), tree.bits[step]
+        ones, both = np.bincount(at, n * bit, len(self.node)), np.bincount(at, n, len(self.node))
+        self.odds = np.log((ones + 0.4) / (both - ones + 0.4)).astype(np.float32)
+
+    def fill(self, nodes: np.ndarray, into: np.ndarray) -> None:
+        if len(self.node):
+            at = np.minimum(np.searchsorted(self.node, nodes), len(self.node) - 1)
+            met = self.node[at] == nodes
+            into[met] = self.odds[at[met]]
 
-    def __init__(self, tree: Tree, data: np.ndarray, place: np.ndarray, before: np.ndarray):
-        n, k = len(data), len(before)
-        full = np.concatenate([np.zeros(6 - k, np.uint8), before, data])
-        space, full = SPACE[full], full.astype(np.uint32)
-        # Each of the last bytes plus 1; 0 before the document's start.
-        last = [(full[6 - i : 6 - i + n] + np.uint32(1)) * (place >= i) for i in range(1, 7)]
-        two = (last[0] + (last[1] << np.uint32(9))) * _K3
-        three = (two + last[2]) * _K3
-        word, alive = np.zeros(n, np.uint32), np.ones(n, bool)
-        for i in range(6):
-            alive &= (last[i] > 0) & ~space[5 - i : 5 - i + n]
-            word = (word * _K3 + last[i]) * alive + word * ~alive
-        contexts = [two, three, word * _K3]
-        length = tree.length[data]
-        self.first = np.concatenate([[0], np.cumsum(length)])
-        # A byte's steps are its code's places in the tree's flat tables.
-        step = np.arange(self.first[-1]) + np.repeat(tree.at[data] - self.first[:-1], length)
-        self.bit = tree.bits[step]
-        node = tree.nodes[step]
-        self.gate = tree.gates[step] + np.repeat((4 * (last[0] > 97)).astype(np.int8), length)
-        self.slots = [(((np.repeat(c, length) ^ node) * _K3) >> np.uint32(32 - TABLE_BITS)).astype(np.int64) for c in contexts]
 
+class Steps:
+    """All bits of a stretch of bytes: bit, gate, each predictor's log odds (0 for nodes never
+    seen) and the stretch's bytes' first bits."""
 
-def stretches(data: np.ndarray, offsets: np.ndarray, size: int = BLOCK * 32) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    def __init__(self, tree: Tree, known: list[Odds], data: np.ndarray, place: np.ndarray, before: np.ndarray):
+        self.first, step = tree.walk(data)
+        self.bit = tree.bits[step]
+        length = np.diff(self.first)
+        last = np.concatenate([before[-1:] if len(before) else np.zeros(1, np.uint8), data[:-1]])
+        self.gate = tree.gates[step] + np.repeat((4 * ((last > 96) & (place > 0))).astype(np.int8), length)
+        self.odds = np.zeros((ORDERS, len(step)), np.float32)
+        inside = np.arange(len(step)) - np.repeat(self.first[:-1], length)
+        for k, own in enumerate(contexts(data, place, before)):
+            pairs, at = np.unique(own << 8 | data, return_inverse=True)
+            begin, walk = tree.walk(pairs & 255)
+            odds = np.zeros(len(walk), np.float32)
+            nodes = np.repeat(pairs >> 8 << 8, np.diff(begin)) | tree.nodes[walk]
+            for table in known:
+                table.fill(nodes, odds)
+            self.odds[k] = odds[np.repeat(begin[at], length) + inside]
+
+
+def stretches(data: np.ndarray, offsets: np.ndarray, size: int = BLOCK * 128) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Whole blocks, cut into stretches of bounded size: first byte, end, place and document of
     each byte."""
     place = np.arange(len(data)) - np.repeat(offsets[:-1], np.diff(offsets))
@@ -127,32 +183,78 @@ def stretches(data: np.ndarray, offsets: np.ndarray, size: int = BLOCK * 32) ->
         i = j
 
 
-def count_bits(tree: Tree):
-    """A job that counts ones and zeros for each slot of the tables."""
+def pieces(docs: DataFrame) -> DataFrame:
+    """Documents by pieces of about PIECE bytes, written out: piece, ids, held (out), offsets and
+    packed (the bytes, end marks included)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((ORDERS, 2 << TABLE_BITS), np.int64)
+        packer = zstd.ZstdCompressor(level=3)
         for batch in batches:
-            for scan in scans(batch.column(0)):
+            ids, held = batch.column(0), batch.column(2)
+            for scan in scans(batch.column(1), size=PIECE):
                 data, offsets = with_ends(scan.data, scan.offsets)
-                for i, j, place, _ in stretches(data, offsets):
-                    steps = Steps(tree, data[i:j], place, data[max(0, i - 6) : i])
-                    for k, slots in enumerate(steps.slots):
-                        counts[k] += np.bincount(slots * 2 + steps.bit, minlength=2 << TABLE_BITS)
-        counts = counts.reshape(-1, 2).T
-        used = np.flatnonzero(counts.any(0))
-        for k in range(0, len(used), 100_000):
-            at = used[k : k + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[0, at]), pa.array(counts[1, at])], names=["slot", "zeros", "ones"])
+                row = lambda of: pa.ListArray.from_arrays(pa.array([0, len(of)], pa.int32()), of)
+                own = [row(x.slice(scan.first, scan.n)) for x in (ids, held)]
+                yield pa.RecordBatch.from_arrays([*own, row(pa.array(offsets, pa.int64())), pa.array([packer.compress(data.tobytes())], pa.binary())], names=["ids", "held", "offsets", "packed"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    found = docs.select("doc_id", "text", "held_out").mapInArrow(run, f"ids array<{kind}>, held array<boolean>, offsets array<long>, packed binary")
+    return materialize(found.withColumn("piece", F.monotonically_increasing_id()), "lm-pieces")
+
+
+def unpack(packed: pa.Scalar, offsets: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
+    data = zstd.ZstdDecompressor().decompress(packed.as_py()) if offsets.values[-1].as_py() else b""
+    return np.frombuffer(data, np.uint8), offsets.values.to_numpy()
+
+
+def count_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """pair (context << 8 | byte) and n over the training documents of pieces."""
+    held, size = [], 0
+
+    def passed(keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(keys), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + 100_000]), pa.array(n[i : i + 100_000])], names=["pair", "n"])
+
+    for batch in batches:
+        for packed, offsets, out in zip(batch.column("packed"), batch.column("offsets"), batch.column("held"), strict=True):
+            data, offsets = unpack(packed, offsets)
+            used = ~np.array(out.as_py(), bool)
+            for i, j, place, doc in stretches(data, offsets):
+                mine = used[doc]
+                for own in contexts(data[i:j], place, data[max(0, i - 6) : i]):
+                    found = np.unique((own << 8 | data[i:j])[mine], return_counts=True)
+                    held.append(found)
+                    size += len(found[0])
+                if size > HELD:
+                    held = [add_up(*map(np.concatenate, zip(*held, strict=True)))]
+                    size = len(held[0][0])
+                    if size > HELD // 2:
+                        yield from passed(*held[0])
+                        held, size = [], 0
+    if held:
+        yield from passed(*add_up(*map(np.concatenate, zip(*held, strict=True))))
+
+
+def rare_contexts(frequent: np.ndarray):
+    """A job that lists each piece's contexts that aren't frequent: piece, context."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece, packed, offsets in zip(batch.column("piece"), batch.column("packed"), batch.column("offsets"), strict=True):
+                data, offsets = unpack(packed, offsets)
+                found = [np.unique(own) for i, j, place, _ in stretches(data, offsets) for own in contexts(data[i:j], place, data[max(0, i - 6) : i])]
+                own = np.setdiff1d(np.concatenate(found), frequent)
+                for i in range(0, len(own), 100_000):
+                    part = own[i : i + 100_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), piece.as_py())), pa.array(part)], names=["piece", "context"])
 
     return run
 
 
-def mix_cost(odds: np.ndarray, steps: Steps, begins: np.ndarray, ends: np.ndarray, group: int = 64) -> np.ndarray:
-    """Bits that each block (steps begins[i] to ends[i]) costs. odds: log odds by slot. Blocks
-    of like length are coded side by side."""
-    tables, length, cost = odds.reshape(ORDERS, -1), ends - begins, np.zeros(len(begins))
-    flat = np.stack([own[slots] for own, slots in zip(tables, steps.slots, strict=True)])
+def mix_cost(steps: Steps, begins: np.ndarray, ends: np.ndarray, group: int = 128) -> np.ndarray:
+    """Bits that each block (steps begins[i] to ends[i]) costs. Blocks of like length are coded
+    side by side."""
+    length, cost, flat = ends - begins, np.zeros(len(begins)), steps.odds
     sign = steps.bit.astype(np.float32) * 2 - 1
     order = np.argsort(-length, kind="stable")
     for g in range(0, len(order), group):
@@ -189,15 +291,14 @@ def mix_cost(odds: np.ndarray, steps: Steps, begins: np.ndarray, ends: np.ndarra
     return cost
 
 
-def text_bits(tree: Tree, odds: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Bits of each document and its end mark."""
-    data, offsets = with_ends(data, offsets)
+def text_bits(tree: Tree, known: list[Odds], data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Bits of each document, end marks included. known: tables that hold all contexts' odds."""
     total = np.zeros(len(offsets) - 1)
     for i, j, place, doc in stretches(data, offsets):
-        steps = Steps(tree, data[i:j], place, data[max(0, i - 6) : i])
+        steps = Steps(tree, known, data[i:j], place, data[max(0, i - 6) : i])
         starts = np.flatnonzero(place % BLOCK == 0)
         begins, ends = steps.first[starts], steps.first[np.append(starts[1:], j - i)]
-        total += np.bincount(doc[starts], mix_cost(odds, steps, begins, ends), len(total))
+        total += np.bincount(doc[starts], mix_cost(steps, begins, ends), len(total))
     return total
 
 
@@ -218,6 +319,18 @@ def word_counts(training: DataFrame) -> DataFrame:
     return training.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def most_frequent(counts: DataFrame, room: int) -> DataFrame:
+    """The rows of counts with the largest n, room at most: all from the least count on with
+    which they fit, by quarters of powers of 2."""
+    grade, least = F.floor(4 * F.log2("n")), None
+    for r in sorted(counts.groupBy(grade.alias("g")).count().collect(), key=lambda r: -r.g):  # at most 256 rows
+        room -= r["count"]
+        if room < 0:
+            break
+        least = r.g
+    return counts.where(grade >= (least if least is not None else 256))
+
+
 def score(docs: DataFrame, modulus: int = 7, remainder: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and
     bits_per_byte of every document."""
@@ -232,46 +345,52 @@ def score(docs: DataFrame, modulus: int = 7, remainder: int = 2) -> DataFrame:
     counts = counted.where("word >= 0")
     sums = counts.agg(F.sum("n").alias("n"), F.count("n").alias("v")).first()
     tokens, kinds = (sums.n or 0) + n_docs, sums.v + (n_docs > 0)
-    # Words of at least such a count that FREQUENT_WORDS of them suffice, by quarters of powers of 2.
-    grade = F.floor(4 * F.log2("n"))
-    room, least = FREQUENT_WORDS, None
-    for r in sorted(counts.groupBy(grade.alias("g")).count().collect(), key=lambda r: -r.g):  # at most 256 rows
-        room -= r["count"]
-        if room < 0:
-            break
-        least = r.g
-    top = counts.where(grade >= (least if least is not None else 256)).toArrow().sort_by("word")
+    top = most_frequent(counts, FREQUENT_WORDS).toArrow().sort_by("word")
     words, often = (top.column(c).to_numpy() for c in ("word", "n"))
     tree = Tree(n_bytes)
-    bits = training.select("text").mapInArrow(count_bits(tree), "slot int, zeros long, ones long")
-    table = bits.groupBy("slot").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"))
-    table = table.select("slot", F.log((F.col("ones") + 0.4) / (F.col("zeros") + 0.4)).cast("float").alias("odds")).toArrow()
-    odds = np.zeros(ORDERS << TABLE_BITS, np.float32)
-    odds[table.column("slot").to_numpy()] = table.column("odds").to_numpy()
-    model = spark.sparkContext.broadcast((odds, words, often))
+    cut = pieces(docs)
+    pairs = materialize(cut.mapInArrow(count_contexts, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")), "lm-contexts")
+    pairs = pairs.select(F.shiftright("pair", 8).alias("context"), "pair", "n")
+    by_context = pairs.groupBy("context").agg(F.sum("n").alias("n"))
+    often_met = most_frequent(by_context, FREQUENT_CONTEXTS).select("context")
+    held = pairs.join(F.broadcast(often_met), "context").select("pair", "n").toArrow()  # at most 256 rows a context
+    held = [held.column(c).to_numpy() for c in ("pair", "n")]
+    model = spark.sparkContext.broadcast((Odds(tree, *held), words, often))
+    rare = cut.mapInArrow(rare_contexts(np.unique(held[0] >> 8)), "piece long, context long")
+    # No context here is among the most frequent ones, so none is hot.
+    rest_odds = rare.join(pairs.hint("merge"), "context").select("piece", "pair", "n")
     total = float(np.log10(tokens + 1 * (kinds + 1)))
     end = float(np.log10(n_docs + 1)) - total
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
         odds, word, count = model.value
-        for batch in batches:
-            for scan in scans(batch.column(1)):
-                cost = text_bits(tree, odds, scan.data, scan.offsets)
+        own = Odds(tree, *(right.column(c).to_numpy() for c in ("pair", "n")))
+        found = []
+        for row in range(left.num_rows):
+            at = {c: left.column(c)[row] for c in left.column_names}
+            data, offsets = unpack(at["packed"], at["offsets"])
+            cost = text_bits(tree, [odds, own], data, offsets)
+            keep = np.ones(len(data), bool)
+            keep[offsets[1:] - 1] = False
+            bare = offsets - np.arange(len(offsets))
+            texts = pa.LargeStringArray.from_buffers(len(bare) - 1, pa.py_buffer(bare), pa.py_buffer(data[keep]))
+            for scan in scans(texts):
+                part = slice(scan.first, scan.first + scan.n)
                 h = (scan.word_hashes(lower=True) >> np.uint64(1)).astype(np.int64)
-                at = np.minimum(np.searchsorted(word, h), max(len(word) - 1, 0))
-                met = word[at] == h if len(word) else np.zeros(len(h), bool)
+                at_word = np.minimum(np.searchsorted(word, h), max(len(word) - 1, 0))
+                met = word[at_word] == h if len(word) else np.zeros(len(h), bool)
                 n_words, n_met = scan.per_doc(scan.doc), scan.per_doc(scan.doc[met])
-                base = np.bincount(scan.doc[met], np.log10(count[at[met]] + 1) - total, scan.n) + end if met.any() else np.full(scan.n, end)
-                rest = pa.array(h[~met])
+                base = np.bincount(scan.doc[met], np.log10(count[at_word[met]] + 1) - total, scan.n) + end if met.any() else np.full(scan.n, end)
                 cuts = np.concatenate([[0], np.cumsum(scan.per_doc(scan.doc[~met]))]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(scan.first, scan.n), batch.column(2).slice(scan.first, scan.n), pa.array(n_words + 1), pa.array(n_met + int(n_docs > 0)), pa.array(base),
-                     pa.array(cost * -np.log10(2)), pa.array(cost / (np.diff(scan.offsets) + 1)), pa.ListArray.from_arrays(pa.array(cuts), rest)],
+                found.append(pa.Table.from_arrays(
+                    [at["ids"].values.slice(scan.first, scan.n), at["held"].values.slice(scan.first, scan.n), pa.array(n_words + 1), pa.array(n_met + int(n_docs > 0)), pa.array(base),
+                     pa.array(cost[part] * -np.log10(2)), pa.array(cost[part] / (np.diff(scan.offsets) + 1)), pa.ListArray.from_arrays(pa.array(cuts), pa.array(h[~met]))],
                     names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "bits_per_byte", "rest"],
-                )
+                ))
+        return pa.concat_tables(found)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    scored = docs.mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, bits_per_byte double, rest array<long>")
+    scored = cut.groupBy("piece").cogroup(rest_odds.groupBy("piece")).applyInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, bits_per_byte double, rest array<long>")
     scored = materialize(scored.withColumn("row", F.monotonically_increasing_id()), "lm-scored")
     # Rare words, exactly: no word here is among the most frequent ones, so none is hot.
     rare = scored.select("row", F.explode("rest").alias("word")).groupBy("row", "word").agg(F.count("word").alias("tf"))

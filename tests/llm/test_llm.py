@@ -336,3 +336,23 @@ def test_pipeline(spark):
         assert (i in k3) == (not hit or 20 * len(hit) < len(w))
     mixed = corpus_pipeline.STAGES[-1][1](spark, kept, SF)
     assert mixed.columns == [*docs.columns, "taken"] and all(r.taken > 0 for r in mixed.collect())
+
+
+def test_lm_counts_every_context(spark, monkeypatch):
+    """Counts are exact by (predictor, context, byte); joined contexts score as broadcast ones."""
+    texts = ["", "ab ab\x00a", "Wörter – ünïcode", None, *(sentence(60, s) for s in range(12))]
+    docs = table(spark, texts).withColumn("held_out", lm_scoring.held_out())
+    found = {r.pair: r.n for r in lm_scoring.pieces(docs).mapInArrow(lm_scoring.count_contexts, "pair long, n long").groupBy("pair").agg({"n": "sum"}).withColumnRenamed("sum(n)", "n").collect()}
+    want = collections.Counter()
+    for r in docs.where("not held_out").collect():
+        data = (r.text or "").encode() + b"\0"
+        for i, byte in enumerate(data):
+            word = re.search(rb"[^\x20\x09-\x0D]*\Z", data[max(0, i - 6) : i])[0]
+            for k, context in enumerate([*(data[max(0, i - n) : i] for n in (1, 2, 3, 4)), word]):
+                want[k << 59 | len(context) << 56 | int.from_bytes(context) << 8 | byte] += 1
+    assert found == want
+    plain = sorted((str(r.doc_id), r.score) for r in lm_scoring.score(docs).collect())
+    for name, value in (("FREQUENT_CONTEXTS", 20), ("PIECE", 300), ("HELD", 50)):
+        monkeypatch.setattr(lm_scoring, name, value)
+    joined = sorted((str(r.doc_id), r.score) for r in lm_scoring.score(docs.repartition(5)).collect())
+    assert all(a == b and math.isclose(x, y, rel_tol=1e-5) for (a, x), (b, y) in zip(plain, joined, strict=True))
