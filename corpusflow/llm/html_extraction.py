@@ -3,10 +3,11 @@
 Pages of a host are sorted by URL path. A page's neighbour is the page before or after it,
 whichever shares the longer start of the path. Both pages' text lines (blocks) are aligned by
 longest common subsequence and the shared lines, which a site's template repeats, are deleted.
-What the mark-up says is checked next: a line inside an <article> or <main> stays even if two
-pages share it, for copies of an article are no template; lines in menus, headers, footers,
-sidebars, notices, adverts, forms, scripts, styles and comments go even if they are unique; and
-if a page has an <article> or <main>, lines outside it go.
+What the mark-up says is checked next: lines in menus, headers, footers, sidebars, notices,
+adverts, forms, scripts, styles and comments go even if they are unique. Lines inside an <article>
+or <main> (the core) are aligned with the neighbour's core, and go if shared, unless they make up
+most of both cores' text, for copies of an article are no template. If a page has a core, lines
+outside it go, unless the core holds under CORE_SHARE of what the page has for itself.
 
 Defined results: a null or empty html gives an empty text; a page alone on its host has no
 neighbour, so only the mark-up decides; pages with equal URLs are ordered by page_id; unclosed
@@ -39,6 +40,8 @@ MARKS = set("ad ads adv advert adverts advertisement advertising banner breadcru
 ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*>|<(?P<close>/)?(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
+#: Below this share of a page's own text, a core doesn't rule out lines outside it.
+CORE_SHARE = 1 / 3
 RAW_END = {t: re.compile(rf"</{t}\s*[^>]*>", re.I) for t in ("script", "style", "textarea", "title", "noscript", "template", "svg", "iframe")}
 
 
@@ -156,6 +159,28 @@ def common_lines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return taken
 
 
+def template_lines(a: np.ndarray, kinds: np.ndarray, sizes: np.ndarray, b: np.ndarray, their_kinds: np.ndarray, their_sizes: np.ndarray) -> np.ndarray:
+    """Numbers of the core lines of a page that its neighbour repeats in its core (or, without
+    one, unmarked); none if they are most of both cores' text. a, b: the pages' line hashes."""
+    core = np.flatnonzero(kinds == 2)
+    theirs = their_kinds == (2 if (their_kinds == 2).any() else 1)
+    met = core[common_lines(a[core], b[theirs])]
+    both = 2 * sizes[met].sum()
+    copied = both > sizes[core].sum() and both > their_sizes[theirs].sum()
+    return met[:0] if copied else met
+
+
+def main_lines(lines: list[str], kinds: list[int], shared: set[int], template: set[int]) -> list[str]:
+    """The lines that stay. shared: lines in common with the neighbour; template: core lines
+    that its template repeats."""
+    core = [i for i, k in enumerate(kinds) if k == 2 and i not in template]
+    loose = [i for i, k in enumerate(kinds) if k == 1 and i not in shared]
+    inside, outside = (sum(len(lines[i]) for i in x) for x in (core, loose))
+    if 2 in kinds and inside >= CORE_SHARE * (inside + outside):
+        loose = []
+    return [lines[i] for i in sorted(core + loose)]
+
+
 def host(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1))
 
@@ -198,34 +223,42 @@ def row_key() -> Column:
 
 
 def line_hashes(pages: DataFrame) -> DataFrame:
-    """row, host, path and hashes (of the text lines) of each distinct page, written out."""
+    """row, host, path and hashes, kinds and sizes (of the text lines) of each distinct page,
+    written out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lines = [page_lines(x.as_py())[0] for x in batch.column("html")]
-            yield pa.RecordBatch.from_arrays([*batch.drop_columns(["html"]).columns, pa.array(lines, pa.list_(pa.string()))], names=["row", "host", "path", "lines"])
+            found = [page_lines(x.as_py()) for x in batch.column("html")]
+            lines, kinds = pa.array([x for x, _ in found], pa.list_(pa.string())), pa.array([k for _, k in found], pa.list_(pa.int8()))
+            yield pa.RecordBatch.from_arrays([*batch.drop_columns(["html"]).columns, lines, kinds], names=["row", "host", "path", "lines", "kinds"])
 
     keyed = pages.select(row_key().alias("row"), host(F.col("url")).alias("host"), path(F.col("url")).alias("path"), "html")
     kind = pages.schema["page_id"].dataType.simpleString()
-    parsed = keyed.mapInArrow(run, f"row struct<id: {kind}, n: bigint>, host string, path string, lines array<string>")
-    hashed = parsed.select("row", "host", "path", F.transform("lines", lambda x: F.xxhash64(x)).alias("hashes"))
+    parsed = keyed.mapInArrow(run, f"row struct<id: {kind}, n: bigint>, host string, path string, lines array<string>, kinds array<tinyint>")
+    hashed = parsed.select("row", "host", "path", F.transform("lines", lambda x: F.xxhash64(x)).alias("hashes"), "kinds", F.transform("lines", F.length).alias("sizes"))
     return materialize(hashed.dropDuplicates(["row"]), "html-hashes")
 
 
 def shared_lines(hashed: DataFrame) -> DataFrame:
-    """its (row), neighbour and shared (line numbers) of each page with a neighbour."""
+    """its (row), neighbour, shared (line numbers) and template (line numbers, see
+    template_lines) of each page with a neighbour."""
     near = neighbours(hashed.select("row", "host", "path")).where("neighbour is not null")
-    own = hashed.select("row", F.col("hashes").alias("ours")).hint("merge")
-    other = hashed.select(F.col("row").alias("neighbour"), F.col("hashes").alias("theirs")).hint("merge")
+    lines = F.struct("hashes", "kinds", "sizes")
+    own = hashed.select("row", lines.alias("ours")).hint("merge")
+    other = hashed.select(F.col("row").alias("neighbour"), lines.alias("theirs")).hint("merge")
     both = near.join(other, "neighbour").join(own, "row").select("row", "neighbour", "ours", "theirs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [np.flatnonzero(common_lines(np.array(a.as_py(), np.int64), np.array(b.as_py(), np.int64))) for a, b in zip(batch.column(2), batch.column(3), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32()))], names=["its", "neighbour", "shared"])
+            shared, template = [], []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                (a, *ours), (b, *theirs) = ([np.array(p[c].as_py(), np.int64) for c in ("hashes", "kinds", "sizes")] for p in (x, y))
+                shared.append(np.flatnonzero(common_lines(a, b)))
+                template.append(template_lines(a, *ours, b, *theirs))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shared, pa.list_(pa.int32())), pa.array(template, pa.list_(pa.int32()))], names=["its", "neighbour", "shared", "template"])
 
     kind = hashed.schema["row"].dataType.simpleString()
-    return materialize(both.mapInArrow(run, f"its {kind}, neighbour {kind}, shared array<int>"), "html-shared")
+    return materialize(both.mapInArrow(run, f"its {kind}, neighbour {kind}, shared array<int>, template array<int>"), "html-shared")
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -244,16 +277,16 @@ def extract(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.drop_columns(["html"]).columns, pa.array(packed, pa.binary())], names=["page_id", "url", "row", "packed"])
 
     parsed = pages.select("page_id", "url", row_key().alias("row"), "html").mapInArrow(parse, f"page_id {kind}, url string, row struct<id: {kind}, n: bigint>, packed binary")
-    both = parsed.join(shared.hint("merge"), F.col("row") == F.col("its"), "left").select("page_id", "url", "packed", "shared", F.col("neighbour.id").alias("neighbour"))
+    both = parsed.join(shared.hint("merge"), F.col("row") == F.col("its"), "left").select("page_id", "url", "packed", "shared", "template", F.col("neighbour.id").alias("neighbour"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpacker = zstd.ZstdDecompressor()
         for batch in batches:
             texts, n_lines, n_shared = [], [], []
-            for packed, met in zip(batch.column("packed"), batch.column("shared"), strict=True):
+            for packed, met, repeated in zip(batch.column("packed"), batch.column("shared"), batch.column("template"), strict=True):
                 lines, kinds = json.loads(unpacker.decompress(packed.as_py()))
-                gone, core = set(met.as_py() or ()), 2 in kinds
-                texts.append("\n".join(x for i, (x, k) in enumerate(zip(lines, kinds, strict=True)) if k == 2 or k == 1 and not core and i not in gone))
+                gone = set(met.as_py() or ())
+                texts.append("\n".join(main_lines(lines, kinds, gone, set(repeated.as_py() or ()))))
                 n_lines.append(len(lines))
                 n_shared.append(len(gone))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array(n_lines, pa.int64()), pa.array(n_shared, pa.int64()), batch.column("neighbour")], names=["page_id", "url", "text", "n_chars", "n_lines", "n_shared", "neighbour"])

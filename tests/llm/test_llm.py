@@ -356,3 +356,14 @@ def test_lm_counts_every_context(spark, monkeypatch):
         monkeypatch.setattr(lm_scoring, name, value)
     joined = sorted((str(r.doc_id), r.score) for r in lm_scoring.score(docs.repartition(5)).collect())
     assert all(a == b and math.isclose(x, y, rel_tol=1e-5) for (a, x), (b, y) in zip(plain, joined, strict=True))
+
+
+def test_html_template_in_main(spark):
+    """Shared lines go inside <main> too, copies stay, and teasers don't rule out the text."""
+    wrapped = lambda text: f"<main><div>Menu of the site</div><p>{text}</p><div>Tell your friends</div></main>"
+    teasers = lambda text: f"<body><div>{text}</div><article>See also {text[:9]}</article></body>"
+    a, b = sentence(40, 70), sentence(40, 71)
+    rows = [(1, "http://m/1", wrapped(a)), (2, "http://m/2", wrapped(b)), (3, "http://c/1", wrapped(a)), (4, "http://c/2", wrapped(a)), (5, "http://t/1", teasers(a)), (6, "http://t/2", teasers(b))]
+    found = {r.page_id: r.text for r in html_extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found[1] == a and found[2] == b and found[3] == found[4] == f"Menu of the site\n{a}\nTell your friends"
+    assert a in found[5] and b in found[6]
