@@ -1,6 +1,7 @@
 """License scans by an exact set-similarity join of text blocks with license templates.
 
-A block is a line. It meets a template if it has at least `threshold` of the template's
+A block is a line, or as many consecutive words as a template has that cross a line end, so that
+statements which wrap are found. It meets a template if it has at least `threshold` of the template's
 distinct words. The words of all templates are put into one global order, rarest in the corpus
 first. A block that meets a template T must have one of T's first |T| - need + 1 words (prefix
 filter), at least need words of the templates' vocabulary (length filter), and enough words of
@@ -18,7 +19,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 from math import ceil
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -71,10 +74,8 @@ def frequencies(docs: DataFrame, vocabulary: Sequence[str]) -> dict[str, int]:
     return {w: found.get(w, 0) for w in vocabulary}
 
 
-def match_blocks(docs: DataFrame, keys: list[str], templates: Sequence[Template] = TEMPLATES, threshold: float = 0.8) -> DataFrame:
-    """keys, block (line number from 0), template (its number), label and containment of
-    every block and template that meet."""
-    spark = docs.sparkSession
+def _prefixes(docs: DataFrame, templates: Sequence[Template], threshold: float) -> tuple[list[str], list[tuple]]:
+    """The global order of words, and a row for each word of the templates' prefixes."""
     count = frequencies(docs, sorted({w for t in templates for w in t.words}))
     order = sorted(count, key=lambda w: (count[w], w))
     rows = []
@@ -82,7 +83,55 @@ def match_blocks(docs: DataFrame, keys: list[str], templates: Sequence[Template]
         own = sorted(t.words, key=order.index)
         least = need(len(own), threshold)
         rows += [(number, t.label, own, least, i, w) for i, w in enumerate(own[: len(own) - least + 1])]
-    prefixes = spark.createDataFrame(rows, "template int, label string, own array<string>, need int, i int, word string")
+    return order, rows
+
+
+PREFIX = "template int, label string, own array<string>, need int, i int, word string"
+
+
+def match_windows(docs: DataFrame, keys: list[str], templates: Sequence[Template], rows: list[tuple], threshold: float) -> DataFrame:
+    """keys, label and containment of templates met by words that cross a line end: by a window
+    as long as the template, around one of its prefix words. A template isn't met if a nearer one
+    in the words around has all words that it shares."""
+    length = [len(t.text.split()) for t in templates]
+    prefixes = docs.sparkSession.createDataFrame([(*r, length[r[0]]) for r in rows], PREFIX + ", length int")
+    lines = F.transform(F.split("text", "\n"), words)
+    spoken = docs.where(F.arrays_overlap(words(F.col("text")), _literal(sorted({r[-1] for r in rows})))).where(F.col("text").contains("\n"))
+    spoken = spoken.select(*keys, F.flatten(lines).alias("w"), F.flatten(F.transform(lines, lambda x, i: F.transform(x, lambda _: i))).alias("line"))
+    # Only the words around a prefix word go on, so that a row's size doesn't grow with its document.
+    most, rare = max(length), _literal(sorted({r[-1] for r in rows}))
+    low, high = lambda j: F.greatest(j - most + 1, F.lit(0)), lambda j: F.least(j + most, F.size("w"))
+    at = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda j: F.array_contains(rare, F.get("w", j)) & (F.get("line", low(j)) < F.get("line", high(j) - 1)))
+    around = lambda c, j: F.slice(c, low(j) + 1, high(j) - low(j))
+    places = F.transform(at, lambda j: F.struct(F.get("w", j).alias("word"), (j - low(j)).alias("j"), around("w", j).alias("w"), around("line", j).alias("line")))
+    seen = spoken.select(*keys, F.explode(places).alias("place")).select(*keys, "place.*")
+    # The prefixes are a parameter of the scan, a few rows a template.
+    seen = seen.join(F.broadcast(prefixes), "word")
+    begin = F.greatest(F.col("j") - F.col("length") + 1, F.lit(0))
+    near = lambda c: F.slice(c, begin + 1, F.col("j") + F.col("length") - begin)
+    seen = seen.select(*keys, "template", "label", "own", "need", "length", near("w").alias("w"), near("line").alias("line"))
+    seen = seen.where((F.element_at("line", 1) < F.element_at("line", -1)) & (F.size(F.array_intersect("own", "w")) >= F.col("need")))
+
+    def window(s):
+        met = F.array_intersect("own", F.slice("w", s + 1, F.col("length")))
+        crosses = F.get("line", s) < F.get("line", F.least(s + F.col("length"), F.size("line")) - 1)
+        return F.struct(F.when(crosses, F.size(met)).otherwise(0).alias("n"), met.alias("met"))
+
+    starts = F.sequence(F.lit(0), F.greatest(F.size("w") - F.col("length"), F.lit(0)))
+    best = seen.withColumn("best", F.array_max(F.transform(starts, window))).where("best.n >= need")
+    share = F.col("best.n") / F.size("own")
+    nearer = [
+        (F.size(F.array_intersect(own, "w")) >= need(len(t.words), threshold)) & (F.size(F.array_intersect(own, "w")) / len(t.words) > share) & (F.size(F.array_except("best.met", own)) == 0)
+        for t in templates
+        for own in [_literal(t.words)]
+    ]
+    return best.where(~reduce(or_, nearer)).select(*keys, "label", share.alias("containment"))
+
+
+def match_blocks(docs: DataFrame, keys: list[str], order: list[str], rows: list[tuple]) -> DataFrame:
+    """keys, block (line number from 0), template (its number), label and containment of
+    every line and template that meet."""
+    prefixes = docs.sparkSession.createDataFrame(rows, PREFIX)
     rare = _literal(sorted({r[-1] for r in rows}))
     lines = docs.withColumn("__lower", F.translate("text", UPPER, LOWER)).where(F.arrays_overlap(F.split("__lower", SEPARATOR), rare))
     blocks = lines.select(*keys, F.posexplode(F.split("__lower", "\n")).alias("block", "line"))
@@ -103,10 +152,12 @@ def scan(docs: DataFrame, templates: Sequence[Template] = TEMPLATES, threshold:
     template it meets, else 0) of every document."""
     mark = F.xxhash64("doc_id", "text")
     marked = docs.select("doc_id", "text", mark.alias("__mark"))
-    met = match_blocks(marked, ["doc_id", "__mark"], templates, threshold)
+    order, rows = _prefixes(marked, templates, threshold)
+    met = match_blocks(marked, ["doc_id", "__mark"], order, rows)
     # Statements that differ in a word meet each other's templates: a block's label is the nearest's.
     block = Window.partitionBy("doc_id", "__mark", "block")
-    met = met.withColumn("nearest", F.max("containment").over(block)).where("containment = nearest")
+    met = met.withColumn("nearest", F.max("containment").over(block)).where("containment = nearest").select("doc_id", "__mark", "label", "containment")
+    met = met.unionByName(match_windows(marked, ["doc_id", "__mark"], templates, rows, threshold))
     by_doc = met.groupBy(F.col("doc_id").alias("__id"), F.col("__mark").alias("__key")).agg(F.collect_set("label").alias("own_labels"), F.max("containment").alias("best"))
 
     phrase = "(?<= )(" + "|".join(PHRASES) + ")(?= )"

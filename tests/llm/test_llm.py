@@ -367,3 +367,16 @@ def test_html_template_in_main(spark):
     found = {r.page_id: r.text for r in html_extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert found[1] == a and found[2] == b and found[3] == found[4] == f"Menu of the site\n{a}\nTell your friends"
     assert a in found[5] and b in found[6]
+
+
+def test_license_across_lines(spark):
+    """Notices that wrap are found; so is the nearest of like templates alone."""
+    texts = [
+        "Redistribution and use in source and binary forms, with or without\n * modification, are permitted",
+        "x\nsubject to the terms of the Mozilla Public\n# License, v. 2.0\ny",
+        "This library is free software\nunder the GNU Lesser\nGeneral Public License",
+        "licensed under\nCC BY-NC\n4.0",
+        "released\n" + sentence(9, 1) + "\nunder the MIT",
+    ]
+    rows = license_scan.scan(table(spark, texts)).orderBy("doc_id").collect()
+    assert [r.labels for r in rows] == ["bsd", "mpl", "lgpl", "cc-by,cc-by-nc", ""] and [r.score for r in rows] == [1.0, 1.0, 1.0, 1.0, 0.0]
