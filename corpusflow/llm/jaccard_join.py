@@ -54,12 +54,13 @@ U = np.uint64
 @dataclass(frozen=True)
 class Join:
     """Sets of `words`-word n-grams link when 100 * intersection >= percent * union. Regions of
-    more than block members are cut into rings up to `depth` times, then into blocks."""
+    more than block members are cut into rings again, up to `depth` times and while that makes
+    them smaller; what can't be cut is compared in blocks."""
 
     words: int = 5
     percent: int = 80
     block: int = 256
-    depth: int = 2
+    depth: int = 6
 
     @property
     def radius(self) -> float:
@@ -139,26 +140,30 @@ def cells(join: Join, n: int, doc: np.ndarray, h: np.ndarray) -> Iterator[tuple[
         np.add.at(total, at, value[used])
         owner = np.repeat(np.arange(n), m)
         empty = np.bincount(owner[count == 0], minlength=n)
-        # Agreeing in an empty subspace counts only if no other agreement is certain.
+        # Agreeing in an empty subspace counts only if no other agreement is certain. Of two linked
+        # sets one may emit its empty subspaces and the other not, so a sparse set can count on one
+        # cell only: its partner, if it isn't sparse, has a filled one in common with it.
         sparse = empty >= m - rings.most[ring]
         emit = (count > 0) | sparse[owner]
         label = mix((ring[owner].astype(U) << U(32)) + (np.arange(base[-1]) - base[owner]).astype(U))
         cell = mix(total[emit] + label[emit] + count[emit].astype(U)) & ~U(255) | ring[owner[emit]].astype(U) & U(255)
-        least = m - rings.most[ring] - np.where(sparse, 0, empty)
+        least = np.where(sparse, 1, m - rings.most[ring] - empty)
         yield owner[emit], cell.view(np.int64), np.where(m > 0, ring, -1), least
 
 
 def measure(docs: DataFrame, join: Join) -> DataFrame:
-    """doc_id, n_shingles and set (the set's signature) of every row, written out."""
+    """doc_id, n_shingles, set (the set's signature) and text_hash of every row, written out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for scan in scans(batch.column(1)):
                 size, signature = signatures(scan.n, *sets(scan, join.words))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(scan.first, scan.n), pa.array(size), pa.array(signature)], names=["doc_id", "n_shingles", "set"])
+                own = [batch.column(c).slice(scan.first, scan.n) for c in (0, 2)]
+                yield pa.RecordBatch.from_arrays([own[0], pa.array(size), pa.array(signature), own[1]], names=["doc_id", "n_shingles", "set", "text_hash"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return materialize(docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, set long"), "jaccard-sets")
+    hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    return materialize(hashed.mapInArrow(run, f"doc_id {kind}, n_shingles long, set long, text_hash long"), "jaccard-sets")
 
 
 def first_regions(docs: DataFrame, join: Join) -> DataFrame:
@@ -180,21 +185,25 @@ def first_regions(docs: DataFrame, join: Join) -> DataFrame:
                 for owner, cell, _, _ in cells(join, scan.n, doc[keep], h[keep]):
                     yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(signature[owner])], names=["cell", "set"])
 
-    rows = docs.select("text").mapInArrow(run, "cell long, set long")
-    found = materialize(_several(rows).distinct(), "jaccard-cells")
+    # Written before it is read twice: a cell's sets are counted first, then the rows of cells with
+    # several are fetched by a plain shuffle, which is split where a cell is hot. (Copies in other
+    # tasks count here; they leave with the next step.)
+    rows = materialize(docs.select("text").mapInArrow(run, "cell long, set long"), "jaccard-rows")
+    several = rows.groupBy("cell").count().where("count > 1").select("cell")
+    found = materialize(rows.join(several.hint("merge"), "cell", "left_semi").distinct(), "jaccard-cells")
     # Linked sets share a number of cells, not just one: what shares fewer in a ring leaves it.
     needs = materialize(shared_cells(docs, join), "jaccard-needs")
     for _ in range(2):
-        found = found.withColumn("ring", F.col("cell").bitwiseAND(F.lit(255)))
+        found = materialize(_several(found).withColumn("ring", F.col("cell").bitwiseAND(F.lit(255))), "jaccard-cells")
         enough = found.groupBy("set", "ring").count().join(needs.hint("merge"), ["set", "ring"]).where("count >= need").select("set", "ring")
-        found = materialize(_several(found.join(enough.hint("merge"), ["set", "ring"]).select("cell", "set")), "jaccard-cells")
-    return found
+        found = materialize(found.join(enough.hint("merge"), ["set", "ring"]).select("cell", "set"), "jaccard-cells")
+    return materialize(_several(found), "jaccard-cells")
 
 
 def _several(rows: DataFrame) -> DataFrame:
     """Those of rows (cell, set) whose cell has more than one set."""
-    cell = Window.partitionBy("cell")
-    return rows.withColumn("a", F.min("set").over(cell)).withColumn("b", F.max("set").over(cell)).where("a <> b").select("cell", "set")
+    shared = rows.groupBy("cell").agg(F.min("set").alias("a"), F.max("set").alias("b")).where("a <> b").select("cell")
+    return rows.join(shared.hint("merge"), "cell", "left_semi")
 
 
 def shared_cells(docs: DataFrame, join: Join) -> DataFrame:
@@ -214,8 +223,9 @@ def shared_cells(docs: DataFrame, join: Join) -> DataFrame:
 
 def set_items(docs: DataFrame, measured: DataFrame, wanted: DataFrame, join: Join) -> DataFrame:
     """set and items (its n-gram hashes) of the wanted sets, each from one document."""
-    one = measured.join(wanted.hint("merge"), "set").groupBy("set").agg(F.min("doc_id").alias("__id"))
-    texts = docs.select("doc_id", "text").join(one.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id"))).select("text", "set")
+    one = measured.join(wanted.hint("merge"), "set").groupBy("set").agg(F.min(F.struct(F.col("doc_id").alias("id"), F.col("text_hash").alias("t"))).alias("one"))
+    same = F.col("doc_id").eqNullSafe(F.col("one.id")) & (F.xxhash64("text") == F.col("one.t"))
+    texts = docs.select("doc_id", "text").join(one.hint("merge"), same).select("text", "set")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -352,11 +362,13 @@ def links(docs: DataFrame, measured: DataFrame, join: Join) -> DataFrame:
     found = near.where("linked").select(F.col("set").alias("a"), F.col("pivot").alias("b"))
     roots = components(found)
     rows = near.select(F.col("pivot").alias("region"), "set", "distance")
-    for level in range(join.depth):
+    work = None
+    for _ in range(join.depth):
         rows = unsettled(with_roots(rows, roots))
         rows = materialize(unsettled(with_roots(rings(rows, join.radius), roots)), "jaccard-rings")
         large = rows.where(F.col("n") > join.block)
-        if level + 1 == join.depth or not large.limit(1).count():
+        before, work = work, large.agg(F.sum("n").alias("n")).first().n
+        if not work or before and work > 0.8 * before:
             break
         chosen = large.groupBy("region").agg(F.min_by("set", F.xxhash64("set", "region")).alias("pivot")).select(F.col("region").alias("r"), "pivot")
         again = materialize(large.join(chosen.hint("merge"), F.col("region") == F.col("r")).where("set <> pivot").select("region", "set", "pivot"), "jaccard-pivots")
@@ -366,6 +378,8 @@ def links(docs: DataFrame, measured: DataFrame, join: Join) -> DataFrame:
         found = found.unionByName(compare_blocks(small, items, join))
         roots = components(found)
         rows = again.join(near.select("set", "pivot", "distance").hint("merge"), ["set", "pivot"]).select("region", "set", "distance")
+    else:
+        rows = materialize(unsettled(with_roots(rings(rows, join.radius), roots)), "jaccard-rings")
     found = found.unionByName(compare_blocks(rows, items, join))
     return components(found)
 

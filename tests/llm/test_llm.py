@@ -139,32 +139,97 @@ def test_jaccard_by_force(spark, k, percent):
     assert sorted(r.doc_id for r in kept) == sorted({c for _, c in want.values()})
 
 
+def subspace(h, m):
+    """The subspace of each n-gram hash, of m."""
+    import numpy as np
+
+    from corpusflow.llm.scan import mix
+
+    return (mix(h ^ np.uint64(0x2545F4914F6CDD1D)) >> np.uint64(32)).astype(np.int64) * m >> 32
+
+
+def share_enough(join, x, y):
+    """Whether the sets of hashes x and y both stay in a first region that they share."""
+    import numpy as np
+
+    cells, needs = [set(), set()], [{}, {}]
+    for owner, cell, ring, least in jaccard_join.cells(join, 2, np.repeat([0, 1], [len(x), len(y)]), np.concatenate([x, y])):
+        for o, c in zip(owner, cell, strict=True):
+            cells[o].add(int(c))
+        for o in (0, 1):
+            needs[o][int(ring[o])] = int(least[o])
+    shared = collections.Counter(c & 255 for c in cells[0] & cells[1])
+    return any(shared[k] >= max(needs[0].get(k, 10**9), needs[1].get(k, 10**9)) for k in shared)
+
+
 def test_cells_miss_no_link():
     import numpy as np
 
     from corpusflow.llm.scan import mix
 
-    join, r = jaccard_join.Join(5, 80), random.Random(1)
-    for n in (3, 9, 10, 30, 31, 64, 200, 900):
-        for _ in range(30):
-            x = set(range(n))
-            y = set(x)
-            while True:
-                z = set(y)
-                z.discard(r.choice(sorted(z))) if r.random() < 0.5 else z.add(r.randrange(10**6, 10**7))
-                if not z or 100 * len(x & z) < 80 * len(x | z):
-                    break
-                y = z
-            doc = np.repeat([0, 1], [len(x), len(y)])
-            h = mix(np.array([*x, *y], np.uint64) + np.uint64(7))
-            cells, needs = [set(), set()], [{}, {}]
-            for owner, cell, ring, least in jaccard_join.cells(join, 2, doc, h):
-                for o, c in zip(owner, cell, strict=True):
-                    cells[o].add(int(c))
-                for o in (0, 1):
-                    needs[o][int(ring[o])] = int(least[o])
-            shared = collections.Counter(c & 255 for c in cells[0] & cells[1])
-            assert x == y or shared and any(shared[k] >= max(needs[0].get(k, 10**9), needs[1].get(k, 10**9)) for k in shared)
+    r = random.Random(1)
+    hashes = lambda items: mix(np.array(sorted(items), np.uint64) + np.uint64(7))
+    for join in (jaccard_join.Join(5, 80), jaccard_join.Join(3, 90)):
+        for n in (3, 9, 10, 11, 12, 30, 31, 64, 200, 900):
+            for _ in range(30):
+                x = set(range(n))
+                y = set(x)
+                while True:
+                    z = set(y)
+                    z.discard(r.choice(sorted(z))) if r.random() < 0.5 else z.add(r.randrange(10**6, 10**7))
+                    if not z or 100 * len(x & z) < join.percent * len(x | z):
+                        break
+                    y = z
+                assert x == y or share_enough(join, hashes(x), hashes(y))
+
+
+@pytest.mark.parametrize("k,percent", [(3, 90), (5, 80)])
+def test_cells_on_crafted_layouts(k, percent):
+    """No link is lost if a set's n-grams crowd into few subspaces, or leave some empty."""
+    import numpy as np
+
+    from corpusflow.llm.scan import mix
+
+    join, pool, r = jaccard_join.Join(k, percent), mix(np.arange(1, 60_000, dtype=np.uint64)), random.Random(8)
+    rings = jaccard_join.Rings(join, 200)
+    for n in (*range(4, 40), 64, 100):
+        ring = int(rings.of(np.array([n]), 0)[0])
+        m = int(rings.m[ring])
+        if not m:
+            continue
+        place = subspace(pool, m)
+        for used in sorted({1, 2, m // 2, m - 1, m} - {0}):
+            inside = r.sample(np.flatnonzero(place < used).tolist(), n + 40)
+            outside = np.flatnonzero(place >= used).tolist() or inside[n:]
+            x = inside[:n]
+            for more in (outside, inside[n:]):
+                for gone in range(3):
+                    y = x[gone:]
+                    while 100 * len(set(x) & set(y)) >= percent * len(set(x) | set(y)):
+                        assert share_enough(join, pool[x], pool[y]) or sorted(x) == sorted(y)
+                        y = [*y, r.choice([v for v in more if v not in y])]
+
+
+def test_link_of_a_crowded_set(spark):
+    """11 and 12 shingles, 11 in common; the 11 all lie in one of the ring's three subspaces."""
+    import pyarrow as pa
+
+    from corpusflow.llm.scan import scans
+
+    def places(words):
+        return [int(p) for scan in scans(pa.array([" ".join(words)])) for p in subspace(jaccard_join.sets(scan, 3)[1], 3)]
+
+    words, want = ["a", "b"], 0
+    for i in range(20_000):
+        if len(words) == 14:
+            break
+        want = 0 if len(words) < 13 else 1
+        longer = [*words, f"w{i}"]
+        if sorted(places(longer)) == sorted([*places(words), want] if len(words) > 2 else [want]):
+            words = longer
+    first, second = " ".join(words[:-1]), " ".join(words)
+    found = jaccard_join.groups(table(spark, [(1, first), (2, second)]), jaccard_join.Join(3, 90)).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in found) == [(1, 11, 1), (2, 12, 1)]
 
 
 def test_components(spark):
