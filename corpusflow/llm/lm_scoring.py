@@ -1,12 +1,16 @@
 """Language-model scores by online logistic context mixing.
 
-A text and an end mark are coded byte by byte as walks down a Huffman tree; each step is a bit.
-Several predictors (contexts: the last one, two, three and four bytes, the current word's last
-bytes) give the odds of a bit from how often the tree node was left either way in the context.
-Their log odds are combined by weights, of which a gate picks a set; a second stage refines the
-mix. Weights start equal and are adapted online while a block of BLOCK bytes is coded, a
-mini-batch of STEP bits at a time; each block starts anew, so a block's cost doesn't depend on
-how documents are dealt to tasks.
+A text and an end mark are coded byte by byte as walks down the Huffman tree of the byte before;
+each step is a bit. Several predictors (contexts: the last one, two, three and four bytes, the
+current word's last six bytes) give the odds of a bit from how often the tree node was left either
+way in the context. Their log odds are combined by weights, of which a gate picks a set; a second
+stage refines the mix. Weights start equal and are adapted online while a block of BLOCK bytes is
+coded, a mini-batch of STEP bits at a time; each block starts anew, so a block's cost doesn't
+depend on how documents are dealt to tasks.
+
+Everything that a predictor needs to know of a byte is its key: the byte, the six before it and
+how many of these are the document's. A piece of text has far fewer distinct keys than bytes, so
+odds are looked up once a distinct key and then gathered.
 
 Contexts are counted exactly over all training documents, in a table that grows with the corpus:
 a row for each predictor, context and byte, which gives the counts of all tree nodes. Frequent
@@ -41,11 +45,11 @@ STEP = 64
 GATES = 8
 RATE, REFINE_RATE = 0.004, 0.002
 START_WEIGHT = 0.35
-#: Words and contexts looked up in broadcast tables; all others are joined.
+#: Words, and pairs of context and byte, in broadcast tables; all others are joined.
 FREQUENT_WORDS = 1 << 17
-FREQUENT_CONTEXTS = 1 << 17
+FREQUENT_PAIRS = 1 << 20
 #: Bytes of text whose contexts are joined together; a longer document is a piece of its own.
-PIECE = 1 << 22
+PIECE = 1 << 21
 #: Counts of contexts that a task holds before it passes them on.
 HELD = 1 << 21
 #: Hash of the end token, which no word has: words are never empty.
@@ -56,38 +60,44 @@ def held_out(modulus: int = 7, remainder: int = 2):
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % modulus == remainder
 
 
-class Tree:
-    """Huffman codes of the 256 bytes: length of each, place of its first bit in the flat tables
-    and, there, each bit, the node it leaves and its depth (3 at most)."""
+def huffman(counts: np.ndarray) -> list[list[tuple[int, int]]]:
+    """Walk of each of the 256 bytes down their Huffman tree: inner nodes (0 to 254) and bits."""
+    heap = [(int(c) + 1, s, s) for s, c in enumerate(counts)]
+    heapq.heapify(heap)
+    parent: dict[int, tuple[int, int]] = {}
+    for new in range(256, 511):
+        (a, _, x), (b, _, y) = heapq.heappop(heap), heapq.heappop(heap)
+        parent[x], parent[y] = (new, 0), (new, 1)
+        heapq.heappush(heap, (a + b, new, new))
+    walks = []
+    for s in range(256):
+        walk, at = [], s
+        while at in parent:
+            at, bit = parent[at]
+            walk.append((at - 256, bit))
+        walks.append(walk[::-1])
+    return walks
+
+
+class Trees:
+    """A Huffman tree for each byte before. For a symbol (byte before << 8 | byte): the length of
+    its walk, the place of its first step in the flat tables and, there, each step's bit, the node
+    it leaves and its gate (depth, 3 at most, and whether the byte before is no space or mark)."""
 
     def __init__(self, counts: np.ndarray):
-        heap = [(int(c) + 1, s, s) for s, c in enumerate(counts)]
-        heapq.heapify(heap)
-        parent: dict[int, tuple[int, int]] = {}
-        new = 256
-        while len(heap) > 1:
-            (a, _, x), (b, _, y) = heapq.heappop(heap), heapq.heappop(heap)
-            parent[x], parent[y] = (new, 0), (new, 1)
-            heapq.heappush(heap, (a + b, new, new))
-            new += 1
-        walks = []
-        for s in range(256):
-            walk, at = [], s
-            while at in parent:
-                at, bit = parent[at]
-                walk.append((at - 256, bit))
-            walks.append(walk[::-1])
+        every = huffman(counts.sum(0))
+        walks = [w for row in counts for w in (huffman(row) if row.any() else every)]
         self.length = np.array([len(w) for w in walks])
         self.at = np.concatenate([[0], np.cumsum(self.length)[:-1]])
-        self.nodes = np.array([n for w in walks for n, _ in w])
+        self.nodes = np.array([n for w in walks for n, _ in w], np.uint8)
         self.bits = np.array([b for w in walks for _, b in w], np.int8)
-        self.gates = np.array([min(i, 3) for w in walks for i in range(len(w))], np.int8)
+        self.gates = np.array([min(i, 3) + 4 * (s >> 8 > 96) for s, w in enumerate(walks) for i in range(len(w))], np.int8)
 
-    def walk(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """First step of each byte, and each step's place in the flat tables."""
-        length = self.length[data]
+    def walk(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First step of each symbol, and each step's place in the flat tables."""
+        length = self.length[symbols]
         first = np.concatenate([[0], np.cumsum(length)])
-        return first, np.arange(first[-1]) + np.repeat(self.at[data] - first[:-1], length)
+        return first, np.arange(first[-1]) + np.repeat(self.at[symbols] - first[:-1], length)
 
 
 def with_ends(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -101,25 +111,44 @@ def with_ends(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return out, at
 
 
-def contexts(data: np.ndarray, place: np.ndarray, before: np.ndarray) -> Iterator[np.ndarray]:
-    """Each predictor's context of each byte, one to one: predictor, number of bytes known (3
-    bits) and those bytes (48 bits). before: up to 6 bytes that precede data; place: each byte's
-    place in its document."""
-    n, k = len(data), len(before)
-    full = np.concatenate([np.zeros(6 - k, np.uint8), before, data])
-    space, full = SPACE[full], full.astype(np.int64)
-    own, size = np.zeros(n, np.int64), np.zeros(n, np.int64)
+def byte_keys(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Key of each byte: the byte (8 bits), the six before it (48 bits; 0 beyond the document's
+    start) and how many of these there are (3 bits). Its low 16 bits are the byte's symbol."""
+    full = np.concatenate([np.zeros(7, np.uint8), data])
+    eight = np.ndarray(len(data), ">u8", full.tobytes(), strides=(1,)).astype(np.int64)
+    keys = eight & ((1 << 56) - 1) | 6 << 56
+    sizes = np.diff(offsets)
+    for i in range(6):
+        at = offsets[:-1][sizes > i] + i
+        keys[at] = keys[at] & ((1 << (8 * i + 8)) - 1) | i << 56
+    return keys
+
+
+def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values in order, and each value's place among them; by hash, so that only the
+    distinct values are sorted."""
+    found = pa.array(values).dictionary_encode()
+    own = found.dictionary.to_numpy()
+    order = np.argsort(own)
+    place = np.empty(len(own), np.int64)
+    place[order] = np.arange(len(own))
+    return own[order], place.take(found.indices.to_numpy())
+
+
+def contexts(keys: np.ndarray) -> Iterator[np.ndarray]:
+    """Each predictor's context of each key, one to one: predictor, number of bytes known (3 bits)
+    and those bytes (48 bits). The word's context is the byte before where no word has begun (7)."""
+    six, size = keys >> 8 & ((1 << 48) - 1), keys >> 56
     for i in range(4):
-        known = place > i
-        own = own | (full[5 - i : 5 - i + n] << (8 * i)) * known
-        size = size + known
-        yield own | size << 48 | i << 51
-    own, size, alive = np.zeros(n, np.int64), np.zeros(n, np.int64), np.ones(n, bool)
+        yield six & ((1 << (8 * i + 8)) - 1) | np.minimum(size, i + 1) << 48 | i << 51
+    own, known, alive = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64), np.ones(len(keys), bool)
     for i in range(6):
-        alive = alive & (place > i) & ~space[5 - i : 5 - i + n]
-        own |= (full[5 - i : 5 - i + n] << (8 * i)) * alive
-        size += alive
-    yield own | size << 48 | 4 << 51
+        byte = six >> (8 * i) & 255
+        alive = alive & (size > i) & ~SPACE[byte]
+        own |= (byte << (8 * i)) * alive
+        known += alive
+    between = (known == 0) & (size > 0)
+    yield np.where(between, six & 255 | 7 << 48, own | known << 48) | 4 << 51
 
 
 def add_up(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -133,11 +162,11 @@ def add_up(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Odds:
     """Log odds of tree nodes in contexts, from counts of (context << 8 | byte)."""
 
-    def __init__(self, tree: Tree, pairs: np.ndarray, n: np.ndarray):
-        first, step = tree.walk(pairs & 255)
+    def __init__(self, trees: Trees, pairs: np.ndarray, n: np.ndarray):
+        first, step = trees.walk(pairs & 0xFFFF)
         length = np.diff(first)
-        self.node, at = np.unique(np.repeat(pairs >> 8 << 8, length) | tree.nodes[step], return_inverse=True)
-        n, bit = np.repeat(n, length), tree.bits[step]
+        self.node, at = np.unique(np.repeat(pairs >> 8 << 8, length) | trees.nodes[step], return_inverse=True)
+        n, bit = np.repeat(n, length), trees.bits[step]
         ones, both = np.bincount(at, n * bit, len(self.node)), np.bincount(at, n, len(self.node))
         self.odds = np.log((ones + 0.4) / (both - ones + 0.4)).astype(np.float32)
 
@@ -149,38 +178,23 @@ class Odds:
 
 
 class Steps:
-    """All bits of a stretch of bytes: bit, gate, each predictor's log odds (0 for nodes never
-    seen) and the stretch's bytes' first bits."""
-
-    def __init__(self, tree: Tree, known: list[Odds], data: np.ndarray, place: np.ndarray, before: np.ndarray):
-        self.first, step = tree.walk(data)
-        self.bit = tree.bits[step]
-        length = np.diff(self.first)
-        last = np.concatenate([before[-1:] if len(before) else np.zeros(1, np.uint8), data[:-1]])
-        self.gate = tree.gates[step] + np.repeat((4 * ((last > 96) & (place > 0))).astype(np.int8), length)
-        self.odds = np.zeros((ORDERS, len(step)), np.float32)
-        inside = np.arange(len(step)) - np.repeat(self.first[:-1], length)
-        for k, own in enumerate(contexts(data, place, before)):
-            pairs, at = np.unique(own << 8 | data, return_inverse=True)
-            begin, walk = tree.walk(pairs & 255)
+    """The steps of each distinct key: the first one, number, bit, gate and each predictor's log
+    odds (0 for nodes never seen)."""
+
+    def __init__(self, trees: Trees, known: list[Odds], keys: np.ndarray):
+        self.first, step = trees.walk(keys & 0xFFFF)
+        self.length = np.diff(self.first)
+        self.sign, self.gate = (trees.bits[step] * 2 - 1).astype(np.float32), trees.gates[step].astype(np.int64)
+        self.odds = np.zeros((len(step), ORDERS), np.float32)
+        inside = np.arange(len(step)) - np.repeat(self.first[:-1], self.length)
+        for k, own in enumerate(contexts(keys)):
+            pairs, at = distinct(own << 8 | keys & 255)
+            begin, walk = trees.walk(pairs & 0xFFFF)
             odds = np.zeros(len(walk), np.float32)
-            nodes = np.repeat(pairs >> 8 << 8, np.diff(begin)) | tree.nodes[walk]
+            nodes = np.repeat(pairs >> 8 << 8, np.diff(begin)) | trees.nodes[walk]
             for table in known:
                 table.fill(nodes, odds)
-            self.odds[k] = odds[np.repeat(begin[at], length) + inside]
-
-
-def stretches(data: np.ndarray, offsets: np.ndarray, size: int = BLOCK * 128) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Whole blocks, cut into stretches of bounded size: first byte, end, place and document of
-    each byte."""
-    place = np.arange(len(data)) - np.repeat(offsets[:-1], np.diff(offsets))
-    doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    starts = np.append(np.flatnonzero(place % BLOCK == 0), len(data))
-    i = 0
-    while i < len(data):
-        j = int(starts[np.searchsorted(starts, i + size, "right") - 1])
-        yield i, j, place[i:j], doc[i:j]
-        i = j
+            self.odds[:, k] = odds.take(np.repeat(begin.take(at), self.length) + inside)
 
 
 def pieces(docs: DataFrame) -> DataFrame:
@@ -218,113 +232,129 @@ def count_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     for batch in batches:
         for packed, offsets, out in zip(batch.column("packed"), batch.column("offsets"), batch.column("held"), strict=True):
             data, offsets = unpack(packed, offsets)
-            used = ~np.array(out.as_py(), bool)
-            for i, j, place, doc in stretches(data, offsets):
-                mine = used[doc]
-                for own in contexts(data[i:j], place, data[max(0, i - 6) : i]):
-                    found = np.unique((own << 8 | data[i:j])[mine], return_counts=True)
-                    held.append(found)
-                    size += len(found[0])
-                if size > HELD:
-                    held = [add_up(*map(np.concatenate, zip(*held, strict=True)))]
-                    size = len(held[0][0])
-                    if size > HELD // 2:
-                        yield from passed(*held[0])
-                        held, size = [], 0
+            used = np.repeat(~np.array(out.as_py(), bool), np.diff(offsets))
+            keys, at = distinct(byte_keys(data, offsets)[used])
+            often = np.bincount(at, minlength=len(keys))
+            for own in contexts(keys):
+                pairs, place = distinct(own << 8 | keys & 255)
+                held.append((pairs, np.bincount(place, often, len(pairs)).astype(np.int64)))
+                size += len(pairs)
+            if size > HELD:
+                held = [add_up(*map(np.concatenate, zip(*held, strict=True)))]
+                size = len(held[0][0])
+                if size > HELD // 2:
+                    yield from passed(*held[0])
+                    held, size = [], 0
     if held:
         yield from passed(*add_up(*map(np.concatenate, zip(*held, strict=True))))
 
 
 def rare_contexts(frequent: np.ndarray):
-    """A job that lists each piece's contexts that aren't frequent: piece, context."""
+    """A job that lists each piece's contexts that aren't frequent (sorted): piece, context."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece, packed, offsets in zip(batch.column("piece"), batch.column("packed"), batch.column("offsets"), strict=True):
-                data, offsets = unpack(packed, offsets)
-                found = [np.unique(own) for i, j, place, _ in stretches(data, offsets) for own in contexts(data[i:j], place, data[max(0, i - 6) : i])]
-                own = np.setdiff1d(np.concatenate(found), frequent)
-                for i in range(0, len(own), 100_000):
-                    part = own[i : i + 100_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), piece.as_py())), pa.array(part)], names=["piece", "context"])
+                keys, _ = distinct(byte_keys(*unpack(packed, offsets)))
+                for own in contexts(keys):
+                    own = np.unique(own)
+                    if len(frequent):
+                        own = own[frequent[np.minimum(np.searchsorted(frequent, own), len(frequent) - 1)] != own]
+                    for i in range(0, len(own), 100_000):
+                        part = own[i : i + 100_000]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), piece.as_py())), pa.array(part)], names=["piece", "context"])
 
     return run
 
 
-def mix_cost(steps: Steps, begins: np.ndarray, ends: np.ndarray, group: int = 128) -> np.ndarray:
-    """Bits that each block (steps begins[i] to ends[i]) costs. Blocks of like length are coded
-    side by side."""
-    length, cost, flat = ends - begins, np.zeros(len(begins)), steps.odds
-    sign = steps.bit.astype(np.float32) * 2 - 1
+def mix_cost(steps: Steps, step: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Bits that each block costs: those coded at step[begins[i]:ends[i]]. Blocks are coded side by
+    side, a mini-batch of each at a time."""
+    length, cost = ends - begins, np.zeros(len(begins))
     order = np.argsort(-length, kind="stable")
-    for g in range(0, len(order), group):
-        own = order[g : g + group]
-        longest = -(-int(length[own[0]]) // STEP) * STEP
-        x = np.zeros((ORDERS, len(own), longest), np.float32)
-        y = np.zeros((len(own), longest), np.float32)  # 0 beyond a block's end
-        key = np.zeros((len(own), longest), np.int64)
-        for row, i in enumerate(own):
-            a, b = begins[i], ends[i]
-            x[:, row, : b - a], y[row, : b - a] = flat[:, a:b], sign[a:b]
-            key[row, : b - a] = steps.gate[a:b]
-        key += np.arange(len(own))[:, None] * GATES
-        weights = np.full((ORDERS, len(own) * GATES), START_WEIGHT, np.float32)
-        scale, shift = np.ones((len(own), 1), np.float32), np.zeros((len(own), 1), np.float32)
-        for s in range(0, longest, STEP):
-            live = int(np.searchsorted(-length[own], -s))
-            at = (slice(live), slice(s, s + STEP))
-            gate, side, inputs = key[at], y[at], [x[(k, *at)] for k in range(ORDERS)]
-            z = inputs[0] * weights[0][gate]
-            for k in range(1, ORDERS):
-                z += inputs[k] * weights[k][gate]
-            # With side = 1 or -1 for a one or zero, this is the odds against it; 1 beyond the end.
-            against = np.exp(np.minimum(-side * (scale[:live] * z + shift[:live]), 30))
-            against += 1
-            spent = np.log(against)
-            miss = side - side / against
-            cost[own[:live]] += spent.sum(1) / np.log(2) - (side == 0).sum(1)
-            flat_gate = gate.ravel()
-            for k in range(ORDERS):
-                weights[k] += RATE * np.bincount(flat_gate, (miss * inputs[k]).ravel(), len(own) * GATES)
-            scale[:live, 0] += REFINE_RATE * np.einsum("ij,ij->i", miss, z)
-            shift[:live, 0] += REFINE_RATE * miss.sum(1)
+    n, rounds = len(order), -(-int(length[order[0]]) // STEP)
+    odds, sign, gate = steps.odds.take(step, axis=0), steps.sign.take(step), steps.gate.take(step)
+    x = np.zeros((rounds, n, STEP, ORDERS), np.float32)
+    y = np.zeros((rounds, n, STEP), np.float32)  # 0 beyond a block's end
+    slot = np.zeros((rounds, n, STEP), np.int64)  # a bit's place among (block, gate, bit)
+    for row, i in enumerate(order):
+        for into, values in ((x, odds), (y, sign), (slot, gate)):
+            own, whole = values[begins[i] : ends[i]], int(length[i]) // STEP
+            into[:whole, row] = own[: whole * STEP].reshape(whole, STEP, *own.shape[1:])
+            if whole * STEP < length[i]:
+                into[whole, row, : length[i] - whole * STEP] = own[whole * STEP :]
+    slot = (slot + np.arange(n)[:, None] * GATES) * STEP + np.arange(STEP)
+    weights = np.full((n * GATES, ORDERS), START_WEIGHT, np.float32)
+    scale, shift = np.ones((n, 1), np.float32), np.zeros((n, 1), np.float32)
+    sum_up = np.ones(ORDERS, np.float32)
+    for r in range(rounds):
+        live = int(np.searchsorted(-length[order], -r * STEP))
+        inputs, side, own = x[r, :live], y[r, :live], slot[r, :live]
+        z = (inputs * weights.take(own // STEP, axis=0)) @ sum_up
+        # This is the odds against the bit; 1 beyond the end.
+        against = np.exp(np.minimum(-side * (scale[:live] * z + shift[:live]), 30))
+        against += 1
+        cost[order[:live]] += np.log(against).sum(1) / np.log(2) - (side == 0).sum(1)
+        miss = side - side / against
+        by_gate = np.zeros(live * GATES * STEP, np.float32)
+        by_gate[own.ravel()] = miss.ravel()
+        weights[: live * GATES] += RATE * (by_gate.reshape(live, GATES, STEP) @ inputs).reshape(-1, ORDERS)
+        scale[:live, 0] += REFINE_RATE * np.einsum("ij,ij->i", miss, z)
+        shift[:live, 0] += REFINE_RATE * miss.sum(1)
     return cost
 
 
-def text_bits(tree: Tree, known: list[Odds], data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Bits of each document, end marks included. known: tables that hold all contexts' odds."""
+def text_bits(trees: Trees, known: list[Odds], data: np.ndarray, offsets: np.ndarray, group: int = 64) -> np.ndarray:
+    """Bits of each document, end marks included. known: tables that hold all contexts' odds.
+    Blocks are coded group by group."""
     total = np.zeros(len(offsets) - 1)
-    for i, j, place, doc in stretches(data, offsets):
-        steps = Steps(tree, known, data[i:j], place, data[max(0, i - 6) : i])
-        starts = np.flatnonzero(place % BLOCK == 0)
-        begins, ends = steps.first[starts], steps.first[np.append(starts[1:], j - i)]
-        total += np.bincount(doc[starts], mix_cost(steps, begins, ends), len(total))
+    keys, at = distinct(byte_keys(data, offsets))
+    steps = Steps(trees, known, keys)
+    n_blocks = -(-np.diff(offsets) // BLOCK)
+    doc = np.repeat(np.arange(len(total)), n_blocks)
+    nth = np.arange(len(doc)) - np.repeat(np.cumsum(n_blocks) - n_blocks, n_blocks)
+    starts = offsets[doc] + nth * BLOCK
+    stops = np.minimum(starts + BLOCK, offsets[doc + 1])
+    for g in range(0, len(doc), group):
+        own = slice(g, g + group)
+        part = at[starts[own][0] : stops[own][-1]]
+        length = steps.length.take(part)
+        first = np.concatenate([[0], np.cumsum(length)])
+        step = np.arange(first[-1]) + np.repeat(steps.first.take(part) - first[:-1], length)
+        begins, ends = first[starts[own] - starts[own][0]], first[stops[own] - starts[own][0]]
+        cost = mix_cost(steps, step, begins, ends)
+        total += np.bincount(doc[own], cost, len(total))
     return total
 
 
 def word_counts(training: DataFrame) -> DataFrame:
     """word (64-bit hash) and count over all training documents, end tokens included; rows of
-    the negative words -1 - b hold the byte counts and are taken out by `fit`."""
+    the negative words -1 - s hold the counts of symbols (see Trees)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(256, np.int64)
+        held = np.zeros(1 << 16, np.int64)
         for batch in batches:
             for scan in scans(batch.column(0)):
                 word, n = np.unique(scan.word_hashes(lower=True), return_counts=True)
-                held += np.bincount(scan.data, minlength=256)
-                held[0] += scan.n
+                data, offsets = with_ends(scan.data, scan.offsets)
+                symbols = data.astype(np.int64)
+                symbols[1:] |= symbols[:-1] << 8
+                symbols[offsets[:-1]] &= 255
+                held += np.bincount(symbols, minlength=1 << 16)
                 yield pa.RecordBatch.from_arrays([pa.array((word >> np.uint64(1)).astype(np.int64)), pa.array(n)], names=["word", "n"])
-        yield pa.RecordBatch.from_arrays([pa.array(-1 - np.arange(256)), pa.array(held)], names=["word", "n"])
+        met = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(-1 - met), pa.array(held[met])], names=["word", "n"])
 
     return training.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def most_frequent(counts: DataFrame, room: int) -> DataFrame:
-    """The rows of counts with the largest n, room at most: all from the least count on with
-    which they fit, by quarters of powers of 2."""
+def most_frequent(counts: DataFrame, room: int, size: str = "1") -> DataFrame:
+    """The rows of counts with the largest n whose sizes add up to room at most: all from the least
+    count on with which they fit, by quarters of powers of 2."""
     grade, least = F.floor(4 * F.log2("n")), None
-    for r in sorted(counts.groupBy(grade.alias("g")).count().collect(), key=lambda r: -r.g):  # at most 256 rows
-        room -= r["count"]
+    sums = counts.groupBy(grade.alias("g")).agg(F.sum(F.expr(size)).alias("size"))
+    for r in sorted(sums.collect(), key=lambda r: -r.g):  # at most 256 rows
+        room -= r["size"]
         if room < 0:
             break
         least = r.g
@@ -338,24 +368,24 @@ def score(docs: DataFrame, modulus: int = 7, remainder: int = 2) -> DataFrame:
     docs = docs.select("doc_id", "text").withColumn("held_out", held_out(modulus, remainder))
     training = docs.where(~F.col("held_out"))
     counted = materialize(word_counts(training), "lm-words")
-    n_bytes = np.zeros(256, np.int64)
-    for r in counted.where("word < 0").collect():  # 256 rows
-        n_bytes[-1 - r.word] = r.n
+    symbols = np.zeros(1 << 16, np.int64)
+    for r in counted.where("word < 0").collect():  # at most 65,536 rows
+        symbols[-1 - r.word] = r.n
     n_docs = training.count()
     counts = counted.where("word >= 0")
     sums = counts.agg(F.sum("n").alias("n"), F.count("n").alias("v")).first()
     tokens, kinds = (sums.n or 0) + n_docs, sums.v + (n_docs > 0)
     top = most_frequent(counts, FREQUENT_WORDS).toArrow().sort_by("word")
     words, often = (top.column(c).to_numpy() for c in ("word", "n"))
-    tree = Tree(n_bytes)
+    trees = Trees(symbols.reshape(256, 256))
     cut = pieces(docs)
     pairs = materialize(cut.mapInArrow(count_contexts, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")), "lm-contexts")
     pairs = pairs.select(F.shiftright("pair", 8).alias("context"), "pair", "n")
-    by_context = pairs.groupBy("context").agg(F.sum("n").alias("n"))
-    often_met = most_frequent(by_context, FREQUENT_CONTEXTS).select("context")
-    held = pairs.join(F.broadcast(often_met), "context").select("pair", "n").toArrow()  # at most 256 rows a context
+    by_context = pairs.groupBy("context").agg(F.sum("n").alias("n"), F.count("n").alias("pairs"))
+    often_met = materialize(most_frequent(by_context, FREQUENT_PAIRS, "pairs").select("context"), "lm-frequent")
+    held = pairs.join(F.broadcast(often_met), "context").select("pair", "n").toArrow()  # FREQUENT_PAIRS rows at most
     held = [held.column(c).to_numpy() for c in ("pair", "n")]
-    model = spark.sparkContext.broadcast((Odds(tree, *held), words, often))
+    model = spark.sparkContext.broadcast((Odds(trees, *held), words, often))
     rare = cut.mapInArrow(rare_contexts(np.unique(held[0] >> 8)), "piece long, context long")
     # No context here is among the most frequent ones, so none is hot.
     rest_odds = rare.join(pairs.hint("merge"), "context").select("piece", "pair", "n")
@@ -364,12 +394,12 @@ def score(docs: DataFrame, modulus: int = 7, remainder: int = 2) -> DataFrame:
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         odds, word, count = model.value
-        own = Odds(tree, *(right.column(c).to_numpy() for c in ("pair", "n")))
+        own = Odds(trees, *(right.column(c).to_numpy() for c in ("pair", "n")))
         found = []
         for row in range(left.num_rows):
             at = {c: left.column(c)[row] for c in left.column_names}
             data, offsets = unpack(at["packed"], at["offsets"])
-            cost = text_bits(tree, [odds, own], data, offsets)
+            cost = text_bits(trees, [odds, own], data, offsets)
             keep = np.ones(len(data), bool)
             keep[offsets[1:] - 1] = False
             bare = offsets - np.arange(len(offsets))
