@@ -1,7 +1,8 @@
 """Main text of pages by differencing each page with its nearest neighbour by URL.
 
-Pages of a host are sorted by URL path. A page's neighbour is the page before or after it,
-whichever shares the longer start of the path. Both pages' text lines (blocks) are aligned by
+Pages of a host are sorted by URL path. A page's neighbour is the nearest page before or after it
+that has other text lines (a copy shows nothing of the template), whichever shares the longer
+start of the path. Both pages' text lines (blocks) are aligned by
 longest common subsequence and the shared lines, which a site's template repeats, are deleted.
 What the mark-up says is checked next: lines in menus, headers, footers, sidebars, notices,
 adverts, forms, scripts, styles and comments go even if they are unique. Lines inside an <article>
@@ -10,7 +11,7 @@ most of both cores' text, for copies of an article are no template. If a page ha
 outside it go, unless the core holds under CORE_SHARE of what the page has for itself.
 
 Defined results: a null or empty html gives an empty text; a page alone on its host has no
-neighbour, so only the mark-up decides; pages with equal URLs are ordered by page_id; unclosed
+neighbour, nor have pages whose host has only copies of them, so only the mark-up decides; pages with equal URLs are ordered by page_id; unclosed
 and stray tags are tolerated; rows that repeat get equal rows; other columns are ignored,
 whatever their names.
 """
@@ -35,25 +36,41 @@ NOISE = set("nav header footer aside form script style noscript template button
 BLOCKS = set("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
-#: Words of class and id names that mark noise.
+#: Words of class and id names that mark noise, and words that may stand beside them in a name:
+#: "ad-slot" and "comment-list" are marks, "related-work" and "share-prices" aren't.
 MARKS = set("ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus footer header masthead menu nav navbar navigation newsletter notice popup promo promoted related replies reply share sharing sidebar signup social sponsor sponsored subscribe widget gdpr modal overlay toolbar skip".split())
+BESIDE = set("area articles bar block bottom box button buttons col column container count footer form global group inner item items left link links list main message middle outer page panel post posts right rail section site slot thread top unit user users wrap wrapper".split())
 ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*>|<(?P<close>/)?(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: Every alternative either fails at the next "<" or consumes what it read, so a scan is linear.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^<>]*+>|<(?P<close>/)?(?P<name>[a-zA-Z][^\s/<>]*+)(?P<attrs>(?:[^<>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 #: Below this share of a page's own text, a core doesn't rule out lines outside it.
 CORE_SHARE = 1 / 3
+CORES = {"article", "main", "body"}
+#: Elements that an element of the same kind closes, and those within which it does so.
+LISTED = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+LISTS = {k: {"ul", "ol", "dl", "table", "tr", "select", "menu"} - {k} for k in LISTED}
 RAW_END = {t: re.compile(rf"</{t}\s*[^>]*>", re.I) for t in ("script", "style", "textarea", "title", "noscript", "template", "svg", "iframe")}
 
 
+def is_mark(value: str) -> bool:
+    """Whether a name of a class or id attribute's value marks noise."""
+    for name in value.split():
+        words = [w.lower() for w in re.findall(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+", name)]
+        if any(w in MARKS for w in words) and all(w in MARKS or w in BESIDE or w.isdigit() for w in words):
+            return True
+    return False
+
+
 def _noisy(name: str, attrs: str, inside: bool) -> bool:
     if name in NOISE and not (name == "header" and inside):
         return True
     for kind, value in ATTRIBUTE.findall(attrs) if attrs else ():
-        value = value.strip("\"'").lower()
+        value = value.strip("\"'")
         if kind.lower() == "role":
-            if value in ROLES:
+            if value.lower() in ROLES:
                 return True
-        elif name not in ("html", "body", "article", "main") and MARKS & set(re.split(r"[^a-z0-9]+", value)):
+        elif name not in ("html", "body", "article", "main") and is_mark(value):
             return True
     return False
 
@@ -73,20 +90,26 @@ def page_lines(html: str | None) -> tuple[list[str], list[int]]:
             lines.append(text)
             kinds.append(0 if noise else 2 if main else 1)
 
+    open_at: dict[str, list[int]] = {}  # places in the stack by name
+    blocks: list[int] = []  # places of block elements
+
     def pop() -> None:
         nonlocal noise, main
-        _, a, b = stack.pop()
+        name, a, b = stack.pop()
         noise, main = noise - a, main - b
+        open_at[name].pop()
+        if blocks and blocks[-1] == len(stack):
+            blocks.pop()
+
+    def innermost(names) -> int:
+        return max((open_at[n][-1] for n in names if open_at.get(n)), default=-1)
 
-    def close(names: set[str], until: set[str]) -> None:
+    def close(names, until) -> None:
         """Closes the innermost open element of names, unless one of until is nearer."""
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] in names:
-                while len(stack) > i:
-                    pop()
-                return
-            if stack[i][0] in until:
-                return
+        at = innermost(names)
+        if at >= 0 and at > innermost(until):
+            while len(stack) > at:
+                pop()
 
     source, at = html or "", 0
     while at < len(source):
@@ -108,7 +131,7 @@ def page_lines(html: str | None) -> tuple[list[str], list[int]]:
         if name in BLOCKS:
             flush()
         if found["close"]:
-            close({name}, {"article", "main", "body"} - {name})
+            close((name,), CORES - {name} if name in CORES else CORES)
             continue
         if name in RAW_END:
             end = RAW_END[name].search(source, at)
@@ -116,12 +139,15 @@ def page_lines(html: str | None) -> tuple[list[str], list[int]]:
             continue
         if name in VOID or found["attrs"].rstrip().endswith("/") and name not in BLOCKS:
             continue
-        if name in BLOCKS:
-            close({"p"}, BLOCKS - {"p"})
-        if name in ("li", "dt", "dd", "tr", "td", "th", "option"):
-            close({name} if name not in ("dt", "dd") else {"dt", "dd"}, {"ul", "ol", "dl", "table", "tr", "select", "menu"} - {name})
+        if name in BLOCKS and open_at.get("p") and blocks[-1] == open_at["p"][-1]:
+            close(("p",), ())
+        if name in LISTED:
+            close(LISTED[name], LISTS[name])
         dirty = _noisy(name, found["attrs"], main > 0)
         core = name in ("article", "main") and not noise
+        open_at.setdefault(name, []).append(len(stack))
+        if name in BLOCKS:
+            blocks.append(len(stack))
         stack.append((name, dirty, core))
         noise, main = noise + dirty, main + core
     flush()
@@ -190,19 +216,32 @@ def path(url: Column) -> Column:
 
 
 def neighbours(keyed: DataFrame) -> DataFrame:
-    """row and its neighbour's row, from (row, host, path). All pages are range-sorted once;
-    within a sorted part neighbours are found by a window, and the parts' first and last pages,
-    two rows a part, are looked up from each other. So no host is gathered in one task."""
+    """row and its neighbour's row, from (row, host, path, content). All pages are range-sorted
+    once; consecutive pages of a host with equal content are a run, and a row's candidates are the
+    end of the run before and the start of the run after its own. Within a sorted part they are
+    found by windows; across parts by the parts' edges, one row a part. So no host is gathered in
+    one task."""
     parts = keyed.repartitionByRange("host", "path", "row").sortWithinPartitions("host", "path", "row")
     parts = materialize(parts.withColumn("part", F.spark_partition_id()), "html-order")
     place = F.struct("host", "path", "row")
     order = Window.partitionBy("part").orderBy("host", "path", "row")
-    edges = parts.groupBy("part").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-    by_part = Window.orderBy("part")  # one row a part
-    edges = edges.select("part", F.lag("last").over(by_part).alias("part_before"), F.lead("first").over(by_part).alias("part_after"))
-    placed = parts.join(F.broadcast(edges), "part")
-    before = F.coalesce(F.lag(place).over(order), "part_before")
-    after = F.coalesce(F.lead(place).over(order), "part_after")
+    back = Window.partitionBy("part").orderBy(F.desc("host"), F.desc("path"), F.desc("row"))
+    earlier = (Window.unboundedPreceding, -1)
+    run = F.struct("host", "content")
+    runs = parts.withColumn("starts", ~run.eqNullSafe(F.lag(run).over(order))).withColumn("ends", ~run.eqNullSafe(F.lead(run).over(order)))
+    runs = runs.withColumn("before", F.last(F.when(F.col("ends"), place), ignorenulls=True).over(order.rowsBetween(*earlier)))
+    runs = materialize(runs.withColumn("after", F.last(F.when(F.col("starts"), place), ignorenulls=True).over(back.rowsBetween(*earlier))), "html-runs")
+    edge = F.struct(run.alias("run"), place.alias("place"), "before", "after")
+    edges = runs.groupBy("part").agg(F.min_by(edge, place).alias("first"), F.max_by(edge, place).alias("last")).orderBy("part").collect()  # one row a part
+    found: dict[int, list] = {e.part: [e.part, None, None] for e in edges}
+    for e, f in zip(edges, edges[1:], strict=False):
+        found[f.part][1] = e.last.place if e.last.run != f.first.run else e.last.before or found[e.part][1]
+    for e, f in reversed(list(zip(edges, edges[1:], strict=False))):
+        found[e.part][2] = f.first.place if e.last.run != f.first.run else f.first.after or found[f.part][2]
+    kind = runs.schema["before"].dataType.simpleString()
+    across = keyed.sparkSession.createDataFrame(list(found.values()), f"part int, part_before {kind}, part_after {kind}")
+    placed = runs.join(F.broadcast(across), "part")
+    before, after = F.coalesce("before", "part_before"), F.coalesce("after", "part_after")
     placed = placed.select("row", "host", "path", before.alias("before"), after.alias("after"))
 
     def shared(other: str) -> Column:
@@ -242,7 +281,7 @@ def line_hashes(pages: DataFrame) -> DataFrame:
 def shared_lines(hashed: DataFrame) -> DataFrame:
     """its (row), neighbour, shared (line numbers) and template (line numbers, see
     template_lines) of each page with a neighbour."""
-    near = neighbours(hashed.select("row", "host", "path")).where("neighbour is not null")
+    near = neighbours(hashed.select("row", "host", "path", F.xxhash64("hashes").alias("content"))).where("neighbour is not null")
     lines = F.struct("hashes", "kinds", "sizes")
     own = hashed.select("row", lines.alias("ours")).hint("merge")
     other = hashed.select(F.col("row").alias("neighbour"), lines.alias("theirs")).hint("merge")

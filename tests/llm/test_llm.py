@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import pytest
@@ -348,10 +349,30 @@ def test_html(spark):
 
 
 def test_neighbours_cross_partitions(spark):
-    rows = [((i, i), f"h{i % 3}", f"/{i:04d}") for i in range(300)]
-    frame = spark.createDataFrame(rows, "row struct<id: long, n: long>, host string, path string").repartition(7)
-    found = {r.row.id: r.neighbour.id for r in html_extraction.neighbours(frame).collect()}
-    assert all(abs(found[i] - i) == 3 for i in range(300))
+    """Copies are passed over, also where they fill whole parts of the sort."""
+    copied = lambda i: 0 if i < 3 else 7 if 100 <= i < 200 else i // 3
+    rows = [((i, i), f"h{i % 3}", f"/{i:04d}", copied(i)) for i in range(300)]
+    frame = spark.createDataFrame(rows, "row struct<id: long, n: long>, host string, path string, content long")
+    for parts in (1, 7, 60):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        found = {r.row.id: r.neighbour and r.neighbour.id for r in html_extraction.neighbours(frame.repartition(7)).collect()}
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        assert found == {i: neighbour_by_loop(i, rows) for i in range(300)}
+
+
+def neighbour_by_loop(i, rows):
+    """Nearest row with other content before or after i on its host, by the longer common path."""
+    _, host, path, content = rows[i]
+    own = sorted((p, row[0]) for row, h, p, _ in rows if h == host)
+    at = own.index((path, i))
+    where = {row[0]: c for row, _, _, c in rows}
+    sides = [next((x for x in side if where[x[1]] != content), None) for side in (own[at - 1 :: -1] if at else [], own[at + 1 :])]
+    longest = [-1 if x is None else next((k for k, (a, b) in enumerate(zip(x[0], path, strict=False)) if a != b), min(len(x[0]), len(path))) for x in sides]
+    if max(longest) < 0:
+        return None
+    return sides[0][1] if longest[0] >= longest[1] else sides[1][1]
 
 
 def test_lm_base_score(spark):
@@ -502,3 +523,52 @@ def test_license_across_lines(spark):
     ]
     rows = license_scan.scan(table(spark, texts)).orderBy("doc_id").collect()
     assert [r.labels for r in rows] == ["bsd", "mpl", "lgpl", "cc-by,cc-by-nc", ""] and [r.score for r in rows] == [1.0, 1.0, 1.0, 1.0, 0.0]
+
+
+def test_html_by_loop(spark):
+    """The whole small table, and pages without mark-up, against plain loops."""
+    import numpy as np
+
+    pages = [(r.page_id, r.url, r.html) for r in spark.read.parquet(f"{SF}/pages.parquet").collect()]
+    body = lambda i: "".join(f"<div>{x}</div>" for x in ["Home", "Contact", sentence(20, i), sentence(15, i % 7), "Imprint"])
+    pages += [(10_000 + i, f"http://plain{i % 2}/p/{i:03d}", f"<body>{body(i // 3)}</body>") for i in range(40)]
+    pages += [pages[0], pages[-1], (None, "http://plain0/p/zz", None), (20_000, None, "<p>alone")]
+    frame = spark.createDataFrame([(*p, 1, "x", 3) for p in pages], "page_id long, url string, html string, `row` int, text string, host int").repartition(5)
+    found = html_extraction.extract(frame).collect()
+    parsed, host = {}, {}
+    for page, url, text in set(pages):
+        lines, kinds = html_extraction.page_lines(text)
+        at = re.match(r"(?:[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*))?(.*)", url or "")
+        parsed[page, url, text] = (lines, kinds, (at[1] or "").lower(), at[2])
+        host.setdefault((at[1] or "").lower(), []).append((at[2], -1 if page is None else page, page, url, text))
+    want = collections.Counter()
+    for page, url, text in pages:
+        lines, kinds, h, path = parsed[page, url, text]
+        own = sorted(host[h], key=lambda x: x[:2])
+        at = own.index((path, -1 if page is None else page, page, url, text))
+        sides = [next((x for x in side if parsed[x[2:]][0] != lines), None) for side in (own[at - 1 :: -1] if at else [], own[at + 1 :])]
+        longest = [-1 if x is None else next((k for k, (a, b) in enumerate(zip(x[0], path, strict=False)) if a != b), min(len(x[0]), len(path))) for x in sides]
+        shared, template = set(), set()
+        if max(longest) >= 0:
+            theirs, their_kinds, *_ = parsed[(sides[0] if longest[0] >= longest[1] else sides[1])[2:]]
+            a, b = (np.array([zlib.crc32(x.encode()) for x in y], np.int64) for y in (lines, theirs))
+            ka, kb = np.array(kinds, np.int64), np.array(their_kinds, np.int64)
+            shared = set(np.flatnonzero(html_extraction.common_lines(a, b)).tolist())
+            template = set(html_extraction.template_lines(a, ka, np.array([len(x) for x in lines], np.int64), b, kb, np.array([len(x) for x in theirs], np.int64)).tolist())
+        text = "\n".join(html_extraction.main_lines(lines, kinds, shared, template))
+        want[page, url, text, len(text)] += 1
+    assert collections.Counter((r.page_id, r.url, r.text, r.n_chars) for r in found) == want
+    plain = [t for (page, _, t, _) in want if page is not None and 10_000 <= page < 20_000]
+    assert all(t and "Home" not in t and "Imprint" not in t for t in plain)
+    assert html_extraction.extract(frame.where("false")).count() == 0
+
+
+def test_html_marks_and_speed():
+    page = lambda name: html_extraction.page_lines(f"<article><p>a</p><div class='{name}'>b</div></article>")[1]
+    assert all(page(n) == [2, 2] for n in ("related-work", "share-prices", "leader", "headers-of-state", "adage", "menuetto", "x noticed"))
+    assert all(page(n) == [2, 0] for n in ("ad", "x cookie-banner", "ad-slot", "comment-list", "siteHeader", "post-comments", "sidebar-left"))
+    began = time.time()
+    for odd in ("<a b ", "<b>", "<x><article><b></x>", "<li><ul>", "<a \"", "<a '\"", "<!", "</p>", "<p>", "&lt", "<script>", "<"):
+        html_extraction.page_lines(odd * 200_000)
+    assert time.time() - began < 12
+    assert html_extraction.page_lines("<p>" + "w " * 2_000_000)[0] == ["w " * 1_999_999 + "w"]
