@@ -9,11 +9,12 @@ coded, a mini-batch of STEP bits at a time; each block starts anew, so a block's
 depend on how documents are dealt to tasks.
 
 Everything that a predictor needs to know of a byte is its key: the byte, the six before it and
-how many of these are the document's. A piece of text has far fewer distinct keys than bytes, so
-odds are looked up once a distinct key and then gathered.
+how many of these are the document's. A stretch of text has far fewer distinct keys than bytes, so
+odds are looked up once a distinct key and then gathered. Distinct keys are sorted by byte, the
+byte before it, and so on: then all keys with the same byte and context are neighbours.
 
 Contexts are counted exactly over all training documents, in a table that grows with the corpus:
-a row for each predictor, context and byte, which gives the counts of all tree nodes. Frequent
+a count for each predictor, context and byte, which gives the counts of all tree nodes. Frequent
 contexts are looked up in a bounded broadcast table; all others are joined, a row for each piece
 of PIECE bytes and context in it.
 
@@ -41,17 +42,17 @@ from corpusflow.sources.scratch import materialize
 
 ORDERS = 5
 BLOCK = 4096
-STEP = 64
+STEP = 64  # a power of 2
 GATES = 8
 RATE, REFINE_RATE = 0.004, 0.002
 START_WEIGHT = 0.35
 #: Words, and pairs of context and byte, in broadcast tables; all others are joined.
 FREQUENT_WORDS = 1 << 17
 FREQUENT_PAIRS = 1 << 20
-#: Bytes of text whose contexts are joined together; a longer document is a piece of its own.
-PIECE = 1 << 21
-#: Counts of contexts that a task holds before it passes them on.
-HELD = 1 << 21
+#: Bytes of text whose contexts are joined together (a longer document is a piece of its own), and
+#: of text that is worked on at a time.
+PIECE = 1 << 24
+STRETCH = 1 << 21
 #: Hash of the end token, which no word has: words are never empty.
 END = -1
 
@@ -111,30 +112,53 @@ def with_ends(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return out, at
 
 
-def byte_keys(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Key of each byte: the byte (8 bits), the six before it (48 bits; 0 beyond the document's
-    start) and how many of these there are (3 bits). Its low 16 bits are the byte's symbol."""
-    full = np.concatenate([np.zeros(7, np.uint8), data])
-    eight = np.ndarray(len(data), ">u8", full.tobytes(), strides=(1,)).astype(np.int64)
+def stretches(offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Document, first byte and end of each block, stretch by stretch; blocks lie end to end."""
+    n_blocks = -(-np.diff(offsets) // BLOCK)
+    doc = np.repeat(np.arange(len(n_blocks)), n_blocks)
+    nth = np.arange(len(doc)) - np.repeat(np.cumsum(n_blocks) - n_blocks, n_blocks)
+    starts = offsets[doc] + nth * BLOCK
+    stops = np.minimum(starts + BLOCK, offsets[doc + 1])
+    i = 0
+    while i < len(doc):
+        j = max(i + 1, int(np.searchsorted(stops, starts[i] + STRETCH, "right")))
+        yield doc[i:j], starts[i:j], stops[i:j]
+        i = j
+
+
+def byte_keys(data: np.ndarray, offsets: np.ndarray, first: int, stop: int) -> np.ndarray:
+    """Key of each byte from first (the start of a block) to stop: the byte (8 bits), the six before
+    it (48 bits; 0 beyond the document's start) and how many of these there are (3 bits). Its low 16
+    bits are the byte's symbol."""
+    before = data[max(0, first - 7) : first]
+    full = np.concatenate([np.zeros(7 - len(before), np.uint8), before, data[first:stop]])
+    eight = np.ndarray(stop - first, ">u8", full.tobytes(), strides=(1,)).astype(np.int64)
     keys = eight & ((1 << 56) - 1) | 6 << 56
-    sizes = np.diff(offsets)
+    own = slice(np.searchsorted(offsets, first), np.searchsorted(offsets, stop))
+    begins, ends = offsets[own] - first, np.append(offsets, offsets[-1])[own.start + 1 : own.stop + 1] - first
     for i in range(6):
-        at = offsets[:-1][sizes > i] + i
+        at = begins[ends - begins > i] + i
+        at = at[at < len(keys)]
         keys[at] = keys[at] & ((1 << (8 * i + 8)) - 1) | i << 56
     return keys
 
 
-def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct values in order, and each value's place among them; by hash, so that only the
-    distinct values are sorted."""
-    found = pa.array(values).dictionary_encode()
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, ordered by byte, byte before, and so on, and each key's place among them; by
+    hash, so that only the distinct ones are sorted."""
+    found = pa.array(keys).dictionary_encode()
     own = found.dictionary.to_numpy()
-    order = np.argsort(own)
+    order = np.argsort(own.view(np.uint64).byteswap())
     place = np.empty(len(own), np.int64)
     place[order] = np.arange(len(own))
     return own[order], place.take(found.indices.to_numpy())
 
 
+def firsts(values: np.ndarray) -> np.ndarray:
+    """Whether each value differs from the one before it."""
+    return np.append(True, values[1:] != values[:-1])[: len(values)]
+
+
 def contexts(keys: np.ndarray) -> Iterator[np.ndarray]:
     """Each predictor's context of each key, one to one: predictor, number of bytes known (3 bits)
     and those bytes (48 bits). The word's context is the byte before where no word has begun (7)."""
@@ -153,9 +177,9 @@ def contexts(keys: np.ndarray) -> Iterator[np.ndarray]:
 
 def add_up(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys in order and the sum of each."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys, n = keys[order], n[order]
-    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+    first = np.flatnonzero(firsts(keys))
     return keys[first], np.add.reduceat(n, first) if len(first) else n
 
 
@@ -178,23 +202,30 @@ class Odds:
 
 
 class Steps:
-    """The steps of each distinct key: the first one, number, bit, gate and each predictor's log
-    odds (0 for nodes never seen)."""
+    """The steps of each distinct key: the first one, number, gate, and inputs: each predictor's log
+    odds of the bit that is taken (0 for nodes never seen), then 1 or -1 for a one or zero."""
 
     def __init__(self, trees: Trees, known: list[Odds], keys: np.ndarray):
         self.first, step = trees.walk(keys & 0xFFFF)
         self.length = np.diff(self.first)
-        self.sign, self.gate = (trees.bits[step] * 2 - 1).astype(np.float32), trees.gates[step].astype(np.int64)
-        self.odds = np.zeros((len(step), ORDERS), np.float32)
+        sign, self.gate = (trees.bits[step] * 2 - 1).astype(np.float32), trees.gates[step]
+        self.inputs = np.empty((len(step), ORDERS + 1), np.float32)
+        self.inputs[:, ORDERS] = sign
         inside = np.arange(len(step)) - np.repeat(self.first[:-1], self.length)
         for k, own in enumerate(contexts(keys)):
-            pairs, at = distinct(own << 8 | keys & 255)
+            pairs = own << 8 | keys & 255
+            new = firsts(pairs)
+            at, pairs = np.cumsum(new) - 1, pairs[new]
+            order = np.argsort(pairs)  # for the tables are searched faster in order
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            at, pairs = rank.take(at), pairs[order]
             begin, walk = trees.walk(pairs & 0xFFFF)
             odds = np.zeros(len(walk), np.float32)
-            nodes = np.repeat(pairs >> 8 << 8, np.diff(begin)) | trees.nodes[walk]
+            nodes = np.repeat(pairs >> 8 << 8, np.diff(begin)) | trees.nodes.take(walk)
             for table in known:
                 table.fill(nodes, odds)
-            self.odds[:, k] = odds.take(np.repeat(begin.take(at), self.length) + inside)
+            np.multiply(odds.take(np.repeat(begin.take(at), self.length) + inside), sign, out=self.inputs[:, k])
 
 
 def pieces(docs: DataFrame) -> DataFrame:
@@ -222,49 +253,26 @@ def unpack(packed: pa.Scalar, offsets: pa.Scalar) -> tuple[np.ndarray, np.ndarra
 
 
 def count_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """pair (context << 8 | byte) and n over the training documents of pieces."""
-    held, size = [], 0
-
-    def passed(keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for i in range(0, len(keys), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + 100_000]), pa.array(n[i : i + 100_000])], names=["pair", "n"])
-
+    """Each piece's distinct pairs (context << 8 | byte) with their number n in training documents,
+    if there is any, and its distinct contexts with n = 0: piece, key, n."""
     for batch in batches:
-        for packed, offsets, out in zip(batch.column("packed"), batch.column("offsets"), batch.column("held"), strict=True):
-            data, offsets = unpack(packed, offsets)
-            used = np.repeat(~np.array(out.as_py(), bool), np.diff(offsets))
-            keys, at = distinct(byte_keys(data, offsets)[used])
-            often = np.bincount(at, minlength=len(keys))
-            for own in contexts(keys):
-                pairs, place = distinct(own << 8 | keys & 255)
-                held.append((pairs, np.bincount(place, often, len(pairs)).astype(np.int64)))
-                size += len(pairs)
-            if size > HELD:
-                held = [add_up(*map(np.concatenate, zip(*held, strict=True)))]
-                size = len(held[0][0])
-                if size > HELD // 2:
-                    yield from passed(*held[0])
-                    held, size = [], 0
-    if held:
-        yield from passed(*add_up(*map(np.concatenate, zip(*held, strict=True))))
-
-
-def rare_contexts(frequent: np.ndarray):
-    """A job that lists each piece's contexts that aren't frequent (sorted): piece, context."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for piece, packed, offsets in zip(batch.column("piece"), batch.column("packed"), batch.column("offsets"), strict=True):
-                keys, _ = distinct(byte_keys(*unpack(packed, offsets)))
+        for piece, packed, offsets, out in zip(batch.column("piece"), batch.column("packed"), batch.column("offsets"), batch.column("held"), strict=True):
+            (data, offsets), used, held = unpack(packed, offsets), ~np.array(out.as_py(), bool), []
+            for doc, starts, stops in stretches(offsets):
+                mine = np.repeat(used[doc], stops - starts)
+                keys, at = distinct(byte_keys(data, offsets, starts[0], stops[-1]))
+                often = np.bincount(at[mine], minlength=len(keys))
                 for own in contexts(keys):
-                    own = np.unique(own)
-                    if len(frequent):
-                        own = own[frequent[np.minimum(np.searchsorted(frequent, own), len(frequent) - 1)] != own]
-                    for i in range(0, len(own), 100_000):
-                        part = own[i : i + 100_000]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), piece.as_py())), pa.array(part)], names=["piece", "context"])
-
-    return run
+                    pairs = own << 8 | keys & 255
+                    new = np.flatnonzero(firsts(pairs))
+                    held.append((pairs[new], np.add.reduceat(often, new)))
+            pairs, n = add_up(*map(np.concatenate, zip(*held, strict=True)))
+            own = pairs >> 8  # in order, as pairs are
+            own = own[firsts(own)]
+            for keys, often in ((pairs[n > 0], n[n > 0]), (own, np.zeros(len(own), np.int64))):
+                for i in range(0, len(keys), 100_000):
+                    part = keys[i : i + 100_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), piece.as_py())), pa.array(part), pa.array(often[i : i + 100_000])], names=["piece", "key", "n"])
 
 
 def mix_cost(steps: Steps, step: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -273,57 +281,59 @@ def mix_cost(steps: Steps, step: np.ndarray, begins: np.ndarray, ends: np.ndarra
     length, cost = ends - begins, np.zeros(len(begins))
     order = np.argsort(-length, kind="stable")
     n, rounds = len(order), -(-int(length[order[0]]) // STEP)
-    odds, sign, gate = steps.odds.take(step, axis=0), steps.sign.take(step), steps.gate.take(step)
-    x = np.zeros((rounds, n, STEP, ORDERS), np.float32)
-    y = np.zeros((rounds, n, STEP), np.float32)  # 0 beyond a block's end
+    inputs, gate = steps.inputs.take(step, axis=0), steps.gate.take(step)
+    x = np.zeros((rounds, n, STEP, ORDERS + 1), np.float32)  # 0 beyond a block's end
     slot = np.zeros((rounds, n, STEP), np.int64)  # a bit's place among (block, gate, bit)
     for row, i in enumerate(order):
-        for into, values in ((x, odds), (y, sign), (slot, gate)):
+        for into, values in ((x, inputs), (slot, gate)):
             own, whole = values[begins[i] : ends[i]], int(length[i]) // STEP
             into[:whole, row] = own[: whole * STEP].reshape(whole, STEP, *own.shape[1:])
             if whole * STEP < length[i]:
                 into[whole, row, : length[i] - whole * STEP] = own[whole * STEP :]
-    slot = (slot + np.arange(n)[:, None] * GATES) * STEP + np.arange(STEP)
-    weights = np.full((n * GATES, ORDERS), START_WEIGHT, np.float32)
+    slot += (np.arange(n) * GATES)[:, None]
+    slot *= STEP
+    slot += np.arange(STEP)
+    shift_by = STEP.bit_length() - 1
+    # The last weight is 0: the sign has its part in the second stage alone.
+    weights = np.full((n * GATES, ORDERS + 1), START_WEIGHT, np.float32)
+    weights[:, ORDERS] = 0
+    learns = np.full(ORDERS + 1, RATE, np.float32)
+    learns[ORDERS] = 0
     scale, shift = np.ones((n, 1), np.float32), np.zeros((n, 1), np.float32)
-    sum_up = np.ones(ORDERS, np.float32)
+    sum_up = np.ones(ORDERS + 1, np.float32)
     for r in range(rounds):
         live = int(np.searchsorted(-length[order], -r * STEP))
-        inputs, side, own = x[r, :live], y[r, :live], slot[r, :live]
-        z = (inputs * weights.take(own // STEP, axis=0)) @ sum_up
-        # This is the odds against the bit; 1 beyond the end.
-        against = np.exp(np.minimum(-side * (scale[:live] * z + shift[:live]), 30))
+        own, where = x[r, :live], slot[r, :live]
+        z = (own * weights.take(where >> shift_by, axis=0)) @ sum_up  # log odds of the bit taken
+        sign = own[:, :, ORDERS]
+        against = np.exp(np.minimum(-(scale[:live] * z + shift[:live] * sign), 30))
         against += 1
-        cost[order[:live]] += np.log(against).sum(1) / np.log(2) - (side == 0).sum(1)
-        miss = side - side / against
+        cost[order[:live]] += np.log(against).sum(1) / np.log(2)
+        miss = 1 - 1 / against
         by_gate = np.zeros(live * GATES * STEP, np.float32)
-        by_gate[own.ravel()] = miss.ravel()
-        weights[: live * GATES] += RATE * (by_gate.reshape(live, GATES, STEP) @ inputs).reshape(-1, ORDERS)
+        by_gate[where.ravel()] = miss.ravel()
+        weights[: live * GATES] += (by_gate.reshape(live, GATES, STEP) @ own).reshape(-1, ORDERS + 1) * learns
         scale[:live, 0] += REFINE_RATE * np.einsum("ij,ij->i", miss, z)
-        shift[:live, 0] += REFINE_RATE * miss.sum(1)
-    return cost
+        shift[:live, 0] += REFINE_RATE * np.einsum("ij,ij->i", miss, sign)
+    return cost - (-length % STEP)  # a bit for each place beyond the end
 
 
 def text_bits(trees: Trees, known: list[Odds], data: np.ndarray, offsets: np.ndarray, group: int = 64) -> np.ndarray:
     """Bits of each document, end marks included. known: tables that hold all contexts' odds.
     Blocks are coded group by group."""
     total = np.zeros(len(offsets) - 1)
-    keys, at = distinct(byte_keys(data, offsets))
-    steps = Steps(trees, known, keys)
-    n_blocks = -(-np.diff(offsets) // BLOCK)
-    doc = np.repeat(np.arange(len(total)), n_blocks)
-    nth = np.arange(len(doc)) - np.repeat(np.cumsum(n_blocks) - n_blocks, n_blocks)
-    starts = offsets[doc] + nth * BLOCK
-    stops = np.minimum(starts + BLOCK, offsets[doc + 1])
-    for g in range(0, len(doc), group):
-        own = slice(g, g + group)
-        part = at[starts[own][0] : stops[own][-1]]
-        length = steps.length.take(part)
-        first = np.concatenate([[0], np.cumsum(length)])
-        step = np.arange(first[-1]) + np.repeat(steps.first.take(part) - first[:-1], length)
-        begins, ends = first[starts[own] - starts[own][0]], first[stops[own] - starts[own][0]]
-        cost = mix_cost(steps, step, begins, ends)
-        total += np.bincount(doc[own], cost, len(total))
+    for doc, starts, stops in stretches(offsets):
+        keys, at = distinct(byte_keys(data, offsets, starts[0], stops[-1]))
+        steps = Steps(trees, known, keys)
+        for g in range(0, len(doc), group):
+            own = slice(g, g + group)
+            low = starts[own][0]
+            part = at[low - starts[0] : stops[own][-1] - starts[0]]
+            length = steps.length.take(part)
+            first = np.concatenate([[0], np.cumsum(length)])
+            step = np.arange(first[-1]) + np.repeat(steps.first.take(part) - first[:-1], length)
+            cost = mix_cost(steps, step, first[starts[own] - low], first[stops[own] - low])
+            total += np.bincount(doc[own], cost, len(total))
     return total
 
 
@@ -334,14 +344,17 @@ def word_counts(training: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros(1 << 16, np.int64)
         for batch in batches:
+            words = []
             for scan in scans(batch.column(0)):
-                word, n = np.unique(scan.word_hashes(lower=True), return_counts=True)
+                words.append((scan.word_hashes(lower=True) >> np.uint64(1)).astype(np.int64))
                 data, offsets = with_ends(scan.data, scan.offsets)
                 symbols = data.astype(np.int64)
                 symbols[1:] |= symbols[:-1] << 8
                 symbols[offsets[:-1]] &= 255
                 held += np.bincount(symbols, minlength=1 << 16)
-                yield pa.RecordBatch.from_arrays([pa.array((word >> np.uint64(1)).astype(np.int64)), pa.array(n)], names=["word", "n"])
+            if words:
+                found = pa.array(np.concatenate(words)).value_counts()
+                yield pa.RecordBatch.from_arrays([found.field("values"), found.field("counts")], names=["word", "n"])
         met = np.flatnonzero(held)
         yield pa.RecordBatch.from_arrays([pa.array(-1 - met), pa.array(held[met])], names=["word", "n"])
 
@@ -379,22 +392,27 @@ def score(docs: DataFrame, modulus: int = 7, remainder: int = 2) -> DataFrame:
     words, often = (top.column(c).to_numpy() for c in ("word", "n"))
     trees = Trees(symbols.reshape(256, 256))
     cut = pieces(docs)
-    pairs = materialize(cut.mapInArrow(count_contexts, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")), "lm-contexts")
+    met = materialize(cut.mapInArrow(count_contexts, "piece long, key long, n long"), "lm-met")
+    pairs = materialize(met.where("n > 0").groupBy(F.col("key").alias("pair")).agg(F.sum("n").alias("n")), "lm-pairs")
     pairs = pairs.select(F.shiftright("pair", 8).alias("context"), "pair", "n")
     by_context = pairs.groupBy("context").agg(F.sum("n").alias("n"), F.count("n").alias("pairs"))
     often_met = materialize(most_frequent(by_context, FREQUENT_PAIRS, "pairs").select("context"), "lm-frequent")
     held = pairs.join(F.broadcast(often_met), "context").select("pair", "n").toArrow()  # FREQUENT_PAIRS rows at most
     held = [held.column(c).to_numpy() for c in ("pair", "n")]
     model = spark.sparkContext.broadcast((Odds(trees, *held), words, often))
-    rare = cut.mapInArrow(rare_contexts(np.unique(held[0] >> 8)), "piece long, context long")
-    # No context here is among the most frequent ones, so none is hot.
-    rest_odds = rare.join(pairs.hint("merge"), "context").select("piece", "pair", "n")
+    rare = met.where("n = 0").select("piece", F.col("key").alias("context")).join(F.broadcast(often_met), "context", "left_anti")
+    # No context here is among the most frequent ones, so none is hot; one has 256 bytes at most.
+    packed = pairs.groupBy("context").agg(F.collect_list(F.shiftleft("n", 8).bitwiseOR(F.col("pair").bitwiseAND(F.lit(255)))).alias("bytes"))
+    rest_odds = rare.join(packed.hint("merge"), "context").select("piece", "context", "bytes")
     total = float(np.log10(tokens + 1 * (kinds + 1)))
     end = float(np.log10(n_docs + 1)) - total
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         odds, word, count = model.value
-        own = Odds(trees, *(right.column(c).to_numpy() for c in ("pair", "n")))
+        lists = right.column("bytes").combine_chunks()
+        context = np.repeat(right.column("context").to_numpy(), np.diff(lists.offsets.to_numpy())) if len(lists) else np.zeros(0, np.int64)
+        values = lists.flatten().to_numpy()
+        own = Odds(trees, context << 8 | values & 255, values >> 8)
         found = []
         for row in range(left.num_rows):
             at = {c: left.column(c)[row] for c in left.column_names}

@@ -475,7 +475,9 @@ def test_lm_counts_every_context(spark, monkeypatch):
     """Counts are exact by (predictor, context, byte); joined contexts score as broadcast ones."""
     texts = ["", "ab ab\x00a", "Wörter – ünïcode", None, *(sentence(60, s) for s in range(12))]
     docs = table(spark, texts).withColumn("held_out", lm_scoring.held_out())
-    found = {r.pair: r.n for r in lm_scoring.pieces(docs).mapInArrow(lm_scoring.count_contexts, "pair long, n long").groupBy("pair").agg({"n": "sum"}).withColumnRenamed("sum(n)", "n").collect()}
+    found = collections.Counter()
+    for r in lm_scoring.pieces(docs).mapInArrow(lm_scoring.count_contexts, "piece long, key long, n long").where("n > 0").collect():
+        found[r.key] += r.n
     want = collections.Counter()
     for r in docs.where("not held_out").collect():
         data = (r.text or "").encode() + b"\0"
@@ -486,7 +488,7 @@ def test_lm_counts_every_context(spark, monkeypatch):
                 want[k << 59 | known << 56 | int.from_bytes(context) << 8 | byte] += 1
     assert found == want
     plain = sorted((str(r.doc_id), r.score) for r in lm_scoring.score(docs).collect())
-    for name, value in (("FREQUENT_PAIRS", 60), ("PIECE", 300), ("HELD", 50)):
+    for name, value in (("FREQUENT_PAIRS", 60), ("PIECE", 300), ("STRETCH", 200)):
         monkeypatch.setattr(lm_scoring, name, value)
     joined = sorted((str(r.doc_id), r.score) for r in lm_scoring.score(docs.repartition(5)).collect())
     assert all(a == b and math.isclose(x, y, rel_tol=1e-5) for (a, x), (b, y) in zip(plain, joined, strict=True))
@@ -572,3 +574,113 @@ def test_html_marks_and_speed():
         html_extraction.page_lines(odd * 200_000)
     assert time.time() - began < 12
     assert html_extraction.page_lines("<p>" + "w " * 2_000_000)[0] == ["w " * 1_999_999 + "w"]
+
+
+def test_language_sample(spark):
+    """Copies, partitions and very long texts don't change what is learned; no language is left out."""
+    texts = [sentence(40, s) for s in range(50)] + [sentence(9000, 99)]
+    rows = [(i, t, f"l{i % 5}") for i, t in enumerate(texts)]
+    settings = language_id.Settings(sample_blocks=4, block=500)
+    frames = [spark.createDataFrame(r, "doc_id long, text string, lang string").repartition(n) for r, n in ((rows, 1), (rows[::-1], 13), (rows + [rows[7]] * 200, 200))]
+    found = [language_id.learn(f, settings) for f in frames]
+    assert found[0] == found[1] == found[2] and sorted(found[0]) == [f"l{i}" for i in range(5)]
+    assert all(len(set(d.split(b"\n"))) == 4 for d in found[0].values())
+    many = spark.createDataFrame([(i, f"wort {i} text", f"x{i:03d}") for i in range(400)], "doc_id long, text string, lang string")
+    assert len(language_id.learn(many, language_id.Settings(total_blocks=100))) == 400
+
+
+def test_language_by_loop(spark):
+    """Every text's winner, score and rejection, compressed block by block."""
+    import zstandard
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    learned = language_id.learn(docs.where(~language_id.held_out()))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in language_id.predict_held_out(docs).collect():
+        data = re.sub(r"[\W\d_]+", " ", (texts[r.doc_id] or "").lower()).encode()
+        if not data.strip():
+            assert (r.lang_pred, r.score, r.rejected) == ("und", 0.0, True)
+            continue
+        sizes = {}
+        for lang, dictionary in learned.items():
+            packer = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT), level=6, write_content_size=False, write_checksum=False, write_dict_id=False)
+            sizes[lang] = sum(len(packer.compress(data[i : i + 4096])) for i in range(0, len(data), 4096))
+        first, second = sorted(sizes.values())[:2]
+        near = min(sizes, key=lambda k: (sizes[k], k))
+        assert abs(r.score - (1 - first / second)) < 0.05 and (r.lang_pred == near or r.score < 0.05)
+
+
+def references_by_loop(rows):
+    """Class shares, and shares of the 16 most common words, of each language."""
+    kinds = [(97, 123), (65, 91), (48, 58)]
+
+    def kind(c):
+        o = ord(c)
+        own = [i for i, (a, b) in enumerate(kinds) if a <= o < b]
+        return own[0] if own else 3 if c in " \t" else 4 if c == "\n" else 5 if c in ".,;:!?'\"()-" else 6 if c in "#*$%&|<>" else 8 if o > 127 else 7
+
+    def classes(text):
+        n = collections.Counter(map(kind, text))
+        return [n[i] / max(len(text), 1) for i in range(9)]
+
+    texts, words = collections.defaultdict(str), collections.defaultdict(collections.Counter)
+    for text, lang in rows:
+        if lang is not None and text is not None:
+            texts[lang] += text
+            words[lang].update(WORD.findall(text))
+    return {k: (classes(t), words[k]) for k, t in texts.items()}, classes
+
+
+def distance(p, q):
+    m = [(a + b) / 2 for a, b in zip(p, q, strict=True)]
+    return math.sqrt(max(0.0, sum(a * math.log2(a / c) / 2 for x in (p, q) for a, c in zip(x, m, strict=True) if a)))
+
+
+def test_quality_by_loop(spark):
+    """Distances and verdicts of the whole small table against plain loops."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = docs.collect()
+    refs, classes = references_by_loop([(r.text, r.lang) for r in rows])
+    learned = quality_rules.learn_references(docs)
+    common = {}
+    for i, lang in enumerate(learned.langs):
+        n = refs[lang][1]
+        shares = sorted(learned.words[i, :-1][learned.words[i, :-1] > 0], reverse=True)
+        assert all(math.isclose(a, b / n.total()) for a, (_, b) in zip(shares, n.most_common(16), strict=True))
+        least = n.most_common(16)[-1][1]
+        common[lang] = [w for w in n if n[w] > least], [w for w in n if n[w] == least], least
+    texts = {r.doc_id: r.text or "" for r in rows}
+    for r in quality_rules.judge(docs).collect():
+        words, own = WORD.findall(texts[r.doc_id]), classes(texts[r.doc_id])
+        more = 0.06 * min(max((100 - len(words)) / 50, 0), 1)
+        each = {}
+        for lang, (reference, n) in refs.items():
+            sure, tied, least = common[lang]
+            if len(sure) + len(tied) > 16:
+                each = None
+                break
+            used = collections.Counter(words)
+            mine, theirs = ([c[w] / max(c.total(), 1) for w in (*sure, *tied)] for c in (used, n))
+            each[lang] = distance(own, reference), distance([*mine, 1 - sum(mine)], [*theirs, 1 - sum(theirs)])
+        assert each is not None
+        kept = any(c <= 0.28 + more and d <= 0.30 + more for c, d in each.values())
+        best = min(each.values(), key=sum)
+        assert r.kept == (kept and not r.base_failed)
+        if words:
+            assert math.isclose(r.class_distance, best[0], abs_tol=1e-6) and math.isclose(r.word_distance, best[1], abs_tol=1e-6)
+
+
+def test_quality_references_ignore_layout(spark):
+    rows = [(i, f"{sentence(30, i)} alpha beta", f"l{i % 3}") for i in range(40)]
+    frames = [spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(n) for n in (1, 13, 200)]
+    a, *others = [quality_rules.learn_references(f) for f in frames]
+    assert all(a.langs == b.langs and (a.vocabulary == b.vocabulary).all() and (a.words == b.words).all() and (a.classes == b.classes).all() for b in others)
+    assert len(a.vocabulary) >= 16
+
+
+def test_quality_short_symbol_text(spark):
+    texts = [f"{a} | b{i} | % | {b}" for i, (a, b) in enumerate(zip(VOCABULARY[:20], VOCABULARY[20:40], strict=True))]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    odd = spark.createDataFrame([(10**6, " ".join(texts[:9]), None)], docs.schema)
+    found = quality_rules.judge(docs.unionByName(odd)).where("doc_id = 1000000").first()
+    assert 50 <= found.n_words < 100 and not found.base_failed and not found.kept
