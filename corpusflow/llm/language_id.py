@@ -1,7 +1,8 @@
 """Language identification by compression.
 
 Each language has a raw-content dictionary for Zstandard, made of a bounded sample of labelled
-documents. A text is cut into blocks of equal size that are compressed with every dictionary;
+text: all labelled documents are cut into blocks, and the distinct blocks with the least hashes are
+taken, so neither copies nor partitions nor a document's length change what is learned. A text is cut into blocks of equal size that are compressed with every dictionary;
 the language whose dictionary gives the smallest total wins. The margin by which it is smaller
 than the runner-up is the score; a text is rejected if the margin is narrow.
 
@@ -33,13 +34,13 @@ def plain(text: str) -> str:
 
 @dataclass(frozen=True)
 class Settings:
-    """sample_docs documents a language, sample_chars characters of each, bound what is learned
-    from; langs bounds the languages, the most frequent first. min_margin: texts whose best
-    size is within this share of the runner-up's are rejected."""
+    """A language's dictionary is made of `sample_blocks` blocks of at most `block` characters. If
+    there are so many languages that all dictionaries would have more than `total_blocks` blocks,
+    each gets fewer, one at least. min_margin: texts whose best size is within this share of the
+    runner-up's are rejected."""
 
-    sample_docs: int = 128
-    sample_chars: int = 2000
-    langs: int = 256
+    sample_blocks: int = 96
+    total_blocks: int = 8192
     block: int = 4096
     level: int = 6
     min_margin: float = 0.005
@@ -50,15 +51,24 @@ def held_out(modulus: int = 4, remainder: int = 2):
 
 
 def learn(labelled: DataFrame, settings: Settings = Settings()) -> dict[str, bytes]:
-    """A dictionary for each language of labelled (text, lang): the starts of the documents
-    with the least text hashes, so that it doesn't depend on partitions."""
-    known = labelled.where("lang is not null").where(F.col("text").rlike(r"\p{L}")).select("lang", "text", F.xxhash64("text").alias("h"))
-    langs = [r.lang for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(settings.langs).collect()]
+    """A dictionary for each language of labelled (text, lang): the distinct blocks with the least
+    hashes. Hashes are ranked alone; then the chosen blocks' texts are fetched, one row each."""
+    known = labelled.where("lang is not null").where(F.col("text").rlike(r"\p{L}")).select("lang", "text")
+    size = settings.block
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / size)), lambda i: F.substring("text", i * size + 1, F.lit(size)))
+    hashed = F.transform(blocks, lambda b: F.xxhash64(b))
+    found = known.select("lang", F.explode(hashed).alias("h")).distinct()
+    langs = sorted(r.lang for r in known.select("lang").distinct().collect())  # a row a language
+    room = max(1, min(settings.sample_blocks, settings.total_blocks // max(len(langs), 1)))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    part = known.select("lang", "h", F.substring("text", 1, settings.sample_chars).alias("text")).withColumn("rank", rank)
-    rows = part.where(F.col("rank") <= settings.sample_docs).collect()
-    found = {lang: "\n".join(plain(r.text) for r in sorted(rows, key=lambda r: r["rank"], reverse=True) if r.lang == lang).encode() for lang in langs}
-    return dict(sorted(found.items()))
+    chosen = {(r.lang, r.h): r["rank"] for r in found.withColumn("rank", rank).where(F.col("rank") <= room).collect()}  # total_blocks rows or a row a language
+    if not chosen:
+        return {}
+    wanted = labelled.sparkSession.createDataFrame(list(chosen), "lang string, h long")
+    some = known.select("lang", F.explode(blocks).alias("b")).withColumn("h", F.xxhash64("b"))
+    some = some.join(F.broadcast(wanted), ["lang", "h"]).groupBy("lang", "h").agg(F.min("b").alias("b"))
+    texts = {(r.lang, r.h): r.b for r in some.collect()}  # as many rows
+    return {lang: "\n".join(plain(texts[k]) for k in sorted((k for k in chosen if k[0] == lang), key=chosen.get, reverse=True)).encode("utf-8", "replace") for lang in langs}
 
 
 class Classifier:

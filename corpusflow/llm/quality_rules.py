@@ -5,7 +5,7 @@ histograms of each language by the Jensen-Shannon distance (the root of the dive
 bits, 0 to 1). A document is kept if it is near at least one language in both respects.
 
 Defined results: null and empty texts have no words and fail the base rule; a document under
-a minimum length isn't judged by the histogram that the minimum guards; rows that repeat are
+the minimum length isn't judged by histograms (the base rule rejects it); rows that repeat are
 judged each for itself; without any labelled language only the base rule decides; columns
 beyond doc_id, text and lang are passed through by `filter_documents` and never read.
 """
@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusflow.llm.scan import SPACE, Scan, distinct, scans, windows
+from corpusflow.sources.scratch import materialize
 
 #: The symbols that the contract counts.
 SYMBOLS = "#*$%&|<>"
@@ -39,84 +40,76 @@ CLASS = _class
 
 @dataclass(frozen=True)
 class Rules:
-    """Limits of the verdict. Ordinary prose of 100 words or more stays below 0.22 in classes
-    and 0.28 in words; text with none of a language's common words lies at 0.32 at least."""
+    """Limits of the verdict. Below min_words nothing but the base rule judges; below full_words the
+    limits of both distances grow to widen more. Labelled prose of 100 words or more stays below 0.23
+    in classes and 0.25 in words, and of 50 to 100 words below 0.28 and 0.32; text with none of a
+    language's common words lies at 0.32 at least."""
 
     min_words: int = 50
     max_repeat_percent: int = 50
     common_words: int = 16
     class_distance: float = 0.28
     word_distance: float = 0.30
-    class_min_chars: int = 400
-    word_min_words: int = 100
+    full_words: int = 100
+    widen: float = 0.06
+
+    def wider(self, n_words: np.ndarray) -> np.ndarray:
+        """What short texts get on top of either limit."""
+        return self.widen * np.clip((self.full_words - n_words) / (self.full_words - self.min_words), 0, 1)
 
 
 @dataclass
 class References:
-    """Histograms of each language: classes (languages x CLASSES), the common words and
+    """Histograms of each language: classes (languages x CLASSES), the common words' hashes and
     words (languages x common words and one bin for all others)."""
 
     langs: list[str] = field(default_factory=list)
     classes: np.ndarray | None = None
-    vocabulary: list[str] = field(default_factory=list)
+    vocabulary: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
     words: np.ndarray | None = None
 
 
-#: A word is a candidate for a language's common words if it makes up this share of the
-#: language's words in some piece of about 1 MB: any word of that share in the whole does.
-FLOOR = 1 / 512
-CANDIDATES = 64
+#: Distinct words of a language that a task holds before it passes their counts on.
+HELD = 1 << 20
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts by language: of every word (its hash), and, with a null word, of all words and of
+    the character classes."""
+    words: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+    classes: dict[str, np.ndarray] = {}
+
+    def rows(lang: str, word: pa.Array, n: np.ndarray, counts: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), word, pa.array(n), counts], names=["lang", "word", "n", "counts"])
 
+    def passed(lang: str) -> pa.RecordBatch:
+        h, n = words.pop(lang)
+        return rows(lang, pa.array(h.view(np.int64)), n, pa.nulls(len(n), pa.list_(pa.int64())))
 
-def _firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each language of a piece: its class counts, and its frequent words' counts."""
     for batch in batches:
         langs = np.array(batch.column(1).to_pylist(), object)
         for scan in scans(batch.column(0)):
-            counts, hashes = class_histograms(scan), scan.word_hashes(lower=False)
-            own = langs[scan.first : scan.first + scan.n]
-            out: dict[str, list] = {"lang": [], "word": [], "n": [], "counts": []}
+            own, hashes, counts = langs[scan.first : scan.first + scan.n], scan.word_hashes(lower=False), class_histograms(scan)
             for lang in set(own):
-                at = np.flatnonzero((own == lang)[scan.doc])
-                _, first, n = np.unique(hashes[at], return_index=True, return_counts=True)
-                often = n >= max(2, len(at) * FLOOR)
-                words = [bytes(scan.data[scan.start[i] : scan.end[i]]).decode("utf-8", "replace") for i in at[first[often]]]
-                out["lang"] += [lang] * (1 + len(words))
-                out["word"] += [None, *words]
-                out["n"] += [len(at), *n[often].tolist()]
-                out["counts"] += [counts[own == lang].sum(0).tolist(), *[None] * len(words)]
-            yield pa.RecordBatch.from_pydict({"lang": pa.array(out["lang"], pa.string()), "word": pa.array(out["word"], pa.string()), "n": pa.array(out["n"], pa.int64()), "counts": pa.array(out["counts"], pa.list_(pa.int64()))})
-
-
-def _counts_of(vocabulary: list[str]):
-    """A job that counts the given words in each language."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, by_code = _codes(vocabulary)
-        total: dict[str, np.ndarray] = {}
-        for batch in batches:
-            langs = np.array(batch.column(1).to_pylist(), object)
-            for scan in scans(batch.column(0)):
-                column = _columns(scan.word_hashes(lower=False), codes, by_code)
-                own = langs[scan.first : scan.first + scan.n]
-                for lang in set(own):
-                    mine = np.bincount(column[(own == lang)[scan.doc]], minlength=len(codes) + 1)
-                    total[lang] = total.get(lang, 0) + mine
-        yield pa.RecordBatch.from_pydict({"lang": pa.array(list(total), pa.string()), "counts": pa.array([v.tolist() for v in total.values()], pa.list_(pa.int64()))})
-
-    return run
-
-
-def _codes(vocabulary: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    codes = next(scans(pa.array(vocabulary))).word_hashes(lower=False)
-    by_code = np.argsort(codes)
-    return codes[by_code], by_code
-
-
-def _columns(hashes: np.ndarray, codes: np.ndarray, by_code: np.ndarray) -> np.ndarray:
-    """Index of each word in the vocabulary; its length for any other word."""
-    at = np.minimum(np.searchsorted(codes, hashes), len(codes) - 1)
-    return np.where(codes[at] == hashes, by_code[at], len(codes))
+                h, n = np.unique(hashes[(own == lang)[scan.doc]], return_counts=True)
+                if lang in words:
+                    before, often = words[lang]
+                    h, at = np.unique(np.concatenate([h, before]), return_inverse=True)
+                    n = np.bincount(at, np.concatenate([n, often])).astype(np.int64)
+                words[lang] = h, n
+                classes[lang] = classes.get(lang, 0) + counts[own == lang].sum(0)
+                if len(h) > HELD:
+                    yield passed(lang)
+    for lang in list(words):
+        yield passed(lang)
+    for lang, n in classes.items():
+        yield rows(lang, pa.nulls(1, pa.int64()), np.zeros(1, np.int64), pa.array([n.tolist()], pa.list_(pa.int64())))
+
+
+def _columns(hashes: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
+    """Index of each word in the (sorted) vocabulary; its length for any other word."""
+    at = np.minimum(np.searchsorted(vocabulary, hashes), max(len(vocabulary) - 1, 0))
+    return np.where(vocabulary[at] == hashes, at, len(vocabulary)) if len(vocabulary) else np.zeros(len(hashes), np.int64)
 
 
 def class_histograms(scan: Scan) -> np.ndarray:
@@ -128,34 +121,29 @@ def class_histograms(scan: Scan) -> np.ndarray:
 
 
 def learn_references(docs: DataFrame, rules: Rules = Rules()) -> References:
-    """Histograms over all documents with a language, in two passes: class counts and
-    candidates for the common words, then exact counts of the candidates. What comes to the
-    driver is a row for each language and candidate."""
+    """Histograms over all documents with a language, from exact counts of all their words, so
+    they don't depend on partitions. What comes to the driver is a row for each language and common
+    word; equally common words are taken by hash."""
     known = docs.where("lang is not null and text is not null").select("text", "lang")
-    firsts = known.mapInArrow(_firsts, "lang string, word string, n long, counts array<long>")
+    counted = known.mapInArrow(_counts, "lang string, word long, n long, counts array<long>")
     sums = [F.sum(F.get("counts", F.lit(i))).alias(f"c{i}") for i in range(CLASSES)]
-    firsts = firsts.groupBy("lang", "word").agg(F.sum("n").alias("n"), *sums)
-    rank = F.row_number().over(Window.partitionBy("lang", F.isnull("word")).orderBy(F.desc("n"), "word"))
-    rows = firsts.withColumn("rank", rank).where(F.col("rank") <= CANDIDATES).collect()
-    classes = {r.lang: [r[f"c{i}"] for i in range(CLASSES)] for r in rows if r.word is None}
+    counted = materialize(counted.groupBy("lang", "word").agg(F.sum("n").alias("n"), *sums), "quality-words")
+    classes = {r.lang: [r[f"c{i}"] for i in range(CLASSES)] for r in counted.where("word is null").collect()}
+    total = {r.lang: r.n for r in counted.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     langs = sorted(lang for lang, counts in classes.items() if sum(counts))
-    candidates = sorted({r.word for r in rows if r.word is not None})
-    if not langs or not candidates:
+    if not langs:
         return References()
-    exact = {lang: np.zeros(len(candidates) + 1) for lang in langs}
-    for row in known.mapInArrow(_counts_of(candidates), "lang string, counts array<long>").collect():
-        if row.lang in exact:
-            exact[row.lang] += np.array(row.counts)
-    chosen = {lang: sorted(range(len(candidates)), key=lambda i: (-n[i], candidates[i]))[: rules.common_words] for lang, n in exact.items()}
-    used = sorted({i for lang, own in chosen.items() for i in own if exact[lang][i]})
-    words = np.zeros((len(langs), len(used) + 1))
-    for k, lang in enumerate(langs):
-        for i in chosen[lang]:
-            if exact[lang][i]:
-                words[k, used.index(i)] = exact[lang][i] / exact[lang].sum()
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
+    common = counted.where("word is not null").select("lang", "word", "n").withColumn("rank", rank)
+    rows = common.where(F.col("rank") <= rules.common_words).collect()
+    vocabulary = np.unique(np.array([r.word for r in rows], np.int64).view(np.uint64))
+    words = np.zeros((len(langs), len(vocabulary) + 1))
+    for r in rows:
+        if r.lang in langs:
+            words[langs.index(r.lang), np.searchsorted(vocabulary, np.int64(r.word).view(np.uint64))] = r.n / total[r.lang]
     words[:, -1] = 1 - words.sum(1)
     table = np.array([classes[x] for x in langs], float)
-    return References(langs, table / table.sum(1, keepdims=True), [candidates[i] for i in used], words)
+    return References(langs, table / table.sum(1, keepdims=True), vocabulary, words)
 
 
 def jensen_shannon(p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -208,7 +196,7 @@ def measure(scan: Scan, refs: References, rules: Rules) -> dict[str, np.ndarray]
     classes = class_histograms(scan)
     near, class_d, word_d = np.ones(scan.n, bool), np.zeros(scan.n), np.zeros(scan.n)
     if refs.langs:
-        column = _columns(hashes, *_codes(refs.vocabulary))
+        column = _columns(hashes, refs.vocabulary)
         wide = len(refs.vocabulary) + 1
         words = np.bincount(scan.doc * wide + column, minlength=scan.n * wide).reshape(scan.n, wide)
         p, w = _shares(classes), _shares(words)
@@ -218,7 +206,8 @@ def measure(scan: Scan, refs: References, rules: Rules) -> dict[str, np.ndarray]
             mine = np.concatenate([w[:, own[:-1]], 1 - w[:, own[:-1]].sum(1, keepdims=True)], 1)
             each.append((jensen_shannon(p, refs.classes[i]), jensen_shannon(np.maximum(mine, 0), refs.words[i, own])))
         c, d = np.array([x[0] for x in each]), np.array([x[1] for x in each])
-        fine = ((c <= rules.class_distance) | (classes.sum(1) < rules.class_min_chars)) & ((d <= rules.word_distance) | (n_words < rules.word_min_words))
+        more = rules.wider(n_words)
+        fine = (c <= rules.class_distance + more) & (d <= rules.word_distance + more) | (n_words < rules.min_words)
         near, best = fine.any(0), np.argmin(c + d, 0)
         class_d, word_d = c[best, np.arange(scan.n)], d[best, np.arange(scan.n)]
     out["kept"] = ~out["base_failed"] & near
