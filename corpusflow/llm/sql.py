@@ -4,7 +4,8 @@ WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRST
 
 MIXING = r"""
 WITH sized AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+    md5('7:' || coalesce(doc_id::VARCHAR, md5(text), '')) AS key FROM documents
 ), sizes AS (
   SELECT source, sum(size)::BIGINT AS source_size, count(*) AS n_docs FROM sized GROUP BY source
 ), ranked AS (
@@ -19,18 +20,32 @@ WITH sized AS (
   SELECT source, source_rank, source_size, n_docs,
     coalesce(least(lim::DOUBLE, weight * (SELECT level FROM filled WHERE level <= ratio ORDER BY ratio, source_rank LIMIT 1)), 0.0) AS target
   FROM filled
-), keyed AS (
-  SELECT d.doc_id, d.size, s.source_rank, s.source_size, s.target, s.n_docs, md5('7:' || coalesce(d.doc_id::VARCHAR, '')) AS key
-  FROM sized d JOIN sources s ON d.source IS NOT DISTINCT FROM s.source
+), claims AS (
+  SELECT source_rank, target / (2 * k + 1) AS q
+  FROM (SELECT source_rank, target, unnest(range(0, floor(target / 16)::BIGINT + (SELECT count(*) FROM sources) + 3)) AS k FROM sources) WHERE target > 0
+), seats AS (
+  SELECT source_rank, count(*) AS seats FROM (SELECT source_rank, row_number() OVER (ORDER BY q DESC, source_rank) AS r FROM claims)
+  WHERE r <= (SELECT floor(sum(source_size) / 16 + 0.5) FROM sources) GROUP BY source_rank
 ), dealt AS (
-  SELECT *, ('0x' || substr(key, 1, 8))::BIGINT % ceil(n_docs / 4096.0)::BIGINT AS shard FROM keyed
+  SELECT d.doc_id, d.size, d.key, s.source_rank, s.source_size, s.target, coalesce(seats, 0) AS seats,
+    ('0x' || substr(d.key, 1, 8))::BIGINT % ceil(n_docs / 4096.0)::BIGINT AS shard
+  FROM sized d JOIN sources s ON d.source IS NOT DISTINCT FROM s.source LEFT JOIN seats USING (source_rank)
+), shards AS (
+  SELECT source_rank, shard, sum(size)::BIGINT AS shard_size, any_value(seats) AS seats,
+    CASE WHEN any_value(source_size) > 0 THEN any_value(target) * sum(size)::BIGINT / any_value(source_size) ELSE 0.0 END AS share
+  FROM dealt GROUP BY source_rank, shard
+), shard_claims AS (
+  SELECT source_rank, shard, seats, share / (2 * k + 1) AS q
+  FROM (SELECT *, unnest(range(0, floor(share / 16)::BIGINT + (SELECT count(*) FROM shards) + 3)) AS k FROM shards) WHERE share > 0
+), quota AS (
+  SELECT source_rank, shard, count(*) AS quota
+  FROM (SELECT *, row_number() OVER (PARTITION BY source_rank ORDER BY q DESC, shard) AS r FROM shard_claims) WHERE r <= seats GROUP BY source_rank, shard
 ), placed AS (
-  SELECT *, sum(size) OVER (PARTITION BY source_rank, shard)::BIGINT AS shard_size,
-    sum(size) OVER (PARTITION BY source_rank, shard ORDER BY key, size, doc_id ROWS UNBOUNDED PRECEDING)::BIGINT AS stop FROM dealt
-), shared AS (
-  SELECT *, stop - size AS start, CASE WHEN source_size > 0 THEN target * shard_size / source_size ELSE 0.0 END AS share FROM placed
+  SELECT d.*, shard_size, coalesce(quota, 0)::BIGINT AS quota,
+    sum(size) OVER (PARTITION BY source_rank, shard ORDER BY d.key, size, doc_id ROWS UNBOUNDED PRECEDING)::BIGINT AS stop
+  FROM dealt d JOIN shards USING (source_rank, shard) LEFT JOIN quota USING (source_rank, shard)
 ), quotas AS (
-  SELECT *, floor(share / 16 + 0.5)::BIGINT AS quota, ceil(shard_size / 16.0)::BIGINT AS blocks FROM shared
+  SELECT *, stop - size AS start, ceil(shard_size / 16.0)::BIGINT AS blocks FROM placed
 ), passed AS (
   SELECT *, CASE WHEN shard_size > 0 THEN least(3, (quota * 16) // shard_size) ELSE 0 END AS passes FROM quotas
 ), rested AS (

@@ -684,3 +684,18 @@ def test_quality_short_symbol_text(spark):
     odd = spark.createDataFrame([(10**6, " ".join(texts[:9]), None)], docs.schema)
     found = quality_rules.judge(docs.unionByName(odd)).where("doc_id = 1000000").first()
     assert 50 <= found.n_words < 100 and not found.base_failed and not found.kept
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_apportionment_by_loop(spark, seed):
+    """Seats go one by one to the highest quotient; equal ones to the first."""
+    r = random.Random(seed)
+    rows = [(g, k, float(r.choice([0, 1, 7, 7, r.random() * 100, r.random() * 3000])), house) for g, house in enumerate((0, 1, 5, 40, 333)) for k in range(r.choice((1, 3, 17)))]
+    found = {(x.g, x.k): x.seats for x in mixing.apportion(spark.createDataFrame(rows, "g int, k int, share double, house long"), "k", ["g"]).collect()}
+    want = {(g, k): 0 for g, k, _, _ in rows}
+    for g in {x[0] for x in rows}:
+        own = [(k, t, h) for x, k, t, h in rows if x == g]
+        for _ in range(own[0][2] if any(t for _, t, _ in own) else 0):
+            _, k = min((-t / (2 * want[g, k] + 1), k) for k, t, _ in own)
+            want[g, k] += 1
+    assert found == want
