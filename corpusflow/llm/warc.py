@@ -25,6 +25,7 @@ import hashlib
 import json
 import struct
 from collections.abc import Iterator
+from datetime import UTC, datetime
 
 import pyarrow as pa
 import zstandard as zstd
@@ -36,26 +37,31 @@ from corpusflow.sources.scratch import materialize, scratch_path
 SKIPPABLE_INDEX, SKIPPABLE_TABLE = 0x184D2A50, 0x184D2A5E
 #: Magic number at the end of a seek table (a fixed value of the format), little-endian.
 TABLE_MAGIC = b"\xb1\xea\x92\x8f"
-FRAME_BYTES, BUNDLE_BYTES = 1 << 18, 8 << 20
-
-
-def encode_record(record_id: str, kind: str, uri: str, payload: bytes, digest: str, payload_bytes: int, refers_to: str | None) -> bytes:
-    """One WARC record. A revisit has no payload, but the digest and size of the full one."""
-    block = payload if kind == "response" else b""
-    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{record_id}>", f"WARC-Target-URI: {uri}", f"WARC-Payload-Digest: sha1:{digest}", f"WARC-Payload-Length: {payload_bytes}"]
+#: Bytes of a frame before compression, and of a bundle's frames after it.
+FRAME_BYTES, BUNDLE_BYTES = 1 << 18, 64 << 20
+#: Table of at most this many files (a path and a list of records each) is broadcast.
+BROADCAST_FILES = 1000
+
+
+def encode_record(record_id: str, kind: str, uri: str, payload: bytes, digest: str, payload_bytes: int, refers_to: str | None, date: str) -> bytes:
+    """One WARC record, whose block is an HTTP response. A revisit has its head alone, but the digest
+    and size of the full payload."""
+    head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {payload_bytes}\r\n\r\n".encode()
+    block = head + payload if kind == "response" else head
+    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{record_id}>", f"WARC-Date: {date}", f"WARC-Target-URI: {uri}", "Content-Type: application/http; msgtype=response", f"WARC-Payload-Digest: sha1:{digest}", f"WARC-Payload-Length: {payload_bytes}"]
     if refers_to is not None:
         lines += [f"WARC-Refers-To: <urn:page:{refers_to}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     return "\r\n".join([*lines, f"Content-Length: {len(block)}", "", ""]).encode() + block + b"\r\n\r\n"
 
 
 def decode_record(data: bytes) -> tuple[dict[str, str], bytes]:
-    """Headers (by lower-case name) and block of a record."""
+    """Headers (by lower-case name) and payload of a record: its block without the HTTP head."""
     head, _, rest = data.partition(b"\r\n\r\n")
     version, *lines = head.decode().split("\r\n")
     if version != "WARC/1.1":
         raise ValueError(f"not a WARC record: {version[:40]!r}")
     headers = {k.lower(): v for k, _, v in (x.partition(": ") for x in lines)}
-    return headers, rest[: int(headers["content-length"])]
+    return headers, rest[: int(headers["content-length"])].partition(b"\r\n\r\n")[2]
 
 
 class Bundle:
@@ -65,18 +71,18 @@ class Bundle:
         self.frame_bytes, self.compressor = frame_bytes, zstd.ZstdCompressor(level=level)
         self.frames: list[tuple[bytes, int]] = []
         self.index: list[tuple[str, int, int, int]] = []
-        self.open, self.size = bytearray(), 0
+        self.open, self.size = bytearray(), 0  # size: of the compressed frames
 
     def add(self, record_id: str, record: bytes) -> None:
         self.index.append((record_id, len(self.frames), len(self.open), len(record)))
         self.open += record
-        self.size += len(record)
         if len(self.open) >= self.frame_bytes:
             self._close_frame()
 
     def _close_frame(self) -> None:
         if self.open:
             self.frames.append((self.compressor.compress(bytes(self.open)), len(self.open)))
+            self.size += len(self.frames[-1][0])
             self.open = bytearray()
 
     def finish(self) -> bytes:
@@ -120,14 +126,16 @@ def revisits(pages: DataFrame, min_bytes: int = 1000) -> DataFrame:
     return materialize(shared.where("n > 1").drop("n"), "warc-shared")
 
 
-def write_bundles(pages: DataFrame, path: str, min_bytes: int = 1000, bundle_bytes: int = BUNDLE_BYTES, frame_bytes: int = FRAME_BYTES) -> None:
-    """Writes a record for every page to bundles below path. A page's role is joined by its
+def write_bundles(pages: DataFrame, path: str, min_bytes: int = 1000, bundle_bytes: int = BUNDLE_BYTES, frame_bytes: int = FRAME_BYTES, date: str | None = None) -> None:
+    """Writes a record for every page to bundles below path. date (now by default, one for all): when
+    the pages were fetched, which their table doesn't tell. A page's role is joined by its
     digest: both sides are plain shuffles, so a hot digest is split by adaptive execution."""
     payload = F.coalesce("html", F.lit("")).cast("binary")
     known = pages.select("page_id", "url", payload.alias("payload"), F.sha1(payload).alias("digest"))
     shared = revisits(pages, min_bytes).select(F.col("digest").alias("its_digest"), "n_bytes", "keeper")
     same = (F.col("digest") == F.col("its_digest")) & (F.length("payload") == F.col("n_bytes"))
     rows = known.join(shared.hint("merge"), same, "left").select("page_id", "url", "payload", "digest", "keeper")
+    date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bundle = Bundle(frame_bytes)
@@ -140,11 +148,11 @@ def write_bundles(pages: DataFrame, path: str, min_bytes: int = 1000, bundle_byt
                 name = "" if page is None else str(page)
                 visit = keeper is not None and keeper != page
                 uri = (url or "").replace("\r", "%0D").replace("\n", "%0A")
-                bundle.add(name, encode_record(name, "revisit" if visit else "response", uri, data, digest, len(data), str(keeper) if visit else None))
+                bundle.add(name, encode_record(name, "revisit" if visit else "response", uri, data, digest, len(data), str(keeper) if visit else None, date))
                 if bundle.size >= bundle_bytes:
                     yield close()
                     bundle = Bundle(frame_bytes)
-        if bundle.size:
+        if bundle.index:
             yield close()
 
     bodies = rows.mapInArrow(run, "body binary").select(F.col("body").cast("string").alias("value"))
@@ -171,8 +179,11 @@ def index_bundles(spark: SparkSession, path: str) -> DataFrame:
 
 def fetch(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
     """record_id, headers and payload of the records in wanted (record_id, path, frame, offset,
-    length: rows of the index). Only the frames that hold them are decompressed."""
+    length: rows of the index). Only the frames that hold them are decompressed. A file is read as
+    a whole, once: Spark's readers have no ranges."""
     per_file = wanted.groupBy("path").agg(F.collect_list(F.struct("record_id", "frame", "offset", "length")).alias("records"))
+    per_file = materialize(per_file, "warc-wanted")
+    per_file = per_file.hint("broadcast" if per_file.count() <= BROADCAST_FILES else "merge")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
