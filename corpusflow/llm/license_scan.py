@@ -23,7 +23,7 @@ from functools import reduce
 from math import ceil
 from operator import or_
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusflow.llm.decontamination import LOWER, SEPARATOR, UPPER, words
@@ -42,7 +42,8 @@ class Template:
         return sorted(set(self.text.split()))
 
 
-#: Usual statements and openings of public licenses, in lower-case words.
+#: Usual statements of public licenses and sentences of their notices as published, in
+#: lower-case words.
 TEMPLATES = (
     Template("gpl-3", "this work is licensed under the gnu general public license version 3"),
     Template("apache-2.0", "licensed under the apache license version 2 0"),
@@ -55,6 +56,17 @@ TEMPLATES = (
     Template("lgpl", "this library is free software under the gnu lesser general public license"),
     Template("mpl", "subject to the terms of the mozilla public license v 2 0"),
     Template("all-rights-reserved", "all rights reserved no part may be reproduced"),
+    Template("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    Template("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    Template("apache-2.0", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"),
+    Template("mit", "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software"),
+    Template("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    Template("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
+    Template("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
+    Template("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at"),
+    Template("epl", "this program and the accompanying materials are made available under the terms of the eclipse public license"),
+    Template("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work"),
+    Template("unlicense", "this is free and unencumbered software released into the public domain"),
 )
 
 
@@ -129,8 +141,9 @@ def match_windows(docs: DataFrame, keys: list[str], templates: Sequence[Template
 
 
 def match_blocks(docs: DataFrame, keys: list[str], order: list[str], rows: list[tuple]) -> DataFrame:
-    """keys, block (line number from 0), template (its number), label and containment of
-    every line and template that meet."""
+    """keys, label and containment of every line and template that meet, but for templates whose
+    words in the line are all words of a nearer one: statements that differ in a word meet each
+    other's templates."""
     prefixes = docs.sparkSession.createDataFrame(rows, PREFIX)
     rare = _literal(sorted({r[-1] for r in rows}))
     lines = docs.withColumn("__lower", F.translate("text", UPPER, LOWER)).where(F.arrays_overlap(F.split("__lower", SEPARATOR), rare))
@@ -142,21 +155,23 @@ def match_blocks(docs: DataFrame, keys: list[str], order: list[str], rows: list[
     # The prefixes are a parameter of the scan, a few rows a template.
     pairs = seen.join(F.broadcast(prefixes), "word").where((F.size("has") >= F.col("need")) & (bound >= F.col("need")))
     shared = F.size(F.array_intersect("own", "has"))
-    met = pairs.where(shared >= F.col("need")).select(*keys, "block", "template", "label", (shared / F.size("own")).alias("containment"))
-    return met.dropDuplicates([*keys, "block", "template"])
+    one = F.struct((shared / F.size("own")).alias("containment"), "label", F.array_intersect("own", "has").alias("met"))
+    met = pairs.where(shared >= F.col("need")).select(*keys, "block", "template", one.alias("m"))
+    # A row a template at most.
+    met = met.groupBy(*keys, "block").agg(F.collect_set("m").alias("all"))
+    nearer = lambda m: F.exists("all", lambda o: (o["containment"] > m["containment"]) & (F.size(F.array_except(m["met"], o["met"])) == 0))
+    met = met.select(*keys, F.explode(F.filter("all", lambda m: ~nearer(m))).alias("m"))
+    return met.select(*keys, "m.label", "m.containment")
 
 
 def scan(docs: DataFrame, templates: Sequence[Template] = TEMPLATES, threshold: float = 0.8) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels (of phrases and of
-    each block's nearest template) and score (the largest containment of any block in a
+    each template that a block meets) and score (the largest containment of any block in a
     template it meets, else 0) of every document."""
     mark = F.xxhash64("doc_id", "text")
     marked = docs.select("doc_id", "text", mark.alias("__mark"))
     order, rows = _prefixes(marked, templates, threshold)
     met = match_blocks(marked, ["doc_id", "__mark"], order, rows)
-    # Statements that differ in a word meet each other's templates: a block's label is the nearest's.
-    block = Window.partitionBy("doc_id", "__mark", "block")
-    met = met.withColumn("nearest", F.max("containment").over(block)).where("containment = nearest").select("doc_id", "__mark", "label", "containment")
     met = met.unionByName(match_windows(marked, ["doc_id", "__mark"], templates, rows, threshold))
     by_doc = met.groupBy(F.col("doc_id").alias("__id"), F.col("__mark").alias("__key")).agg(F.collect_set("label").alias("own_labels"), F.max("containment").alias("best"))
 

@@ -114,10 +114,10 @@ places AS (
 ), lines AS (
   SELECT r, row_number() OVER () AS line, {WORDS} AS b FROM (SELECT r, unnest(string_split(text, chr(10))) AS text FROM d WHERE text IS NOT NULL)
 ), pairs AS (
-  SELECT r, label, len(list_intersect(t, b)) / len(t) AS part FROM lines, templates WHERE len(list_intersect(t, b)) >= need
-  QUALIFY part = max(part) OVER (PARTITION BY line)
+  SELECT r, line, label, list_intersect(t, b) AS m, len(list_intersect(t, b)) / len(t) AS part FROM lines, templates WHERE len(list_intersect(t, b)) >= need
 ), met AS (
-  SELECT r, list(DISTINCT label) AS own, max(part) AS best FROM pairs GROUP BY r
+  SELECT r, list(DISTINCT label) AS own, max(part) AS best FROM pairs p
+  WHERE NOT EXISTS (SELECT 1 FROM pairs o WHERE o.line = p.line AND o.part > p.part AND len(list_intersect(p.m, o.m)) = len(p.m)) GROUP BY r
 )
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
   array_to_string(list_sort(coalesce(base, [])), ',') AS base_labels,

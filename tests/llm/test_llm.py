@@ -699,3 +699,59 @@ def test_apportionment_by_loop(spark, seed):
             _, k = min((-t / (2 * want[g, k] + 1), k) for k, t, _ in own)
             want[g, k] += 1
     assert found == want
+
+
+def wrapped(text, width, lead):
+    lines, line = [], ""
+    for w in text.split():
+        if len(line) + len(w) >= width:
+            lines.append(line)
+            line = lead
+        line += " " + w
+    return "\n".join([*lines, line])
+
+
+def test_license_notices_wrap(spark):
+    """Every template is found in a notice wrapped at any width; two in one line are both found."""
+    texts = [f"head of file\n{wrapped(t.text, width, lead)}\ncode" for t in license_scan.TEMPLATES for width, lead in ((10_000, ""), (72, " *"), (30, "#"))]
+    both = "released under the mit license and also licensed under the apache license version 2"
+    rows = license_scan.scan(table(spark, [*texts, both])).orderBy("doc_id").collect()
+    for i, r in enumerate(rows[:-1]):
+        assert license_scan.TEMPLATES[i // 3].label in r.labels.split(",") and r.score == 1.0
+    assert rows[-1].labels == "apache,apache-2.0,mit"
+
+
+def test_license_lines_by_loop(spark):
+    """Labels of lines with words of the templates at random, by trying every template."""
+    r = random.Random(12)
+    texts = []
+    for i in range(150):
+        own = r.sample(license_scan.TEMPLATES, r.choice((1, 1, 2, 3)))
+        words = [w for t in own for w in t.text.split() if r.random() < 0.93] + [r.choice(VOCABULARY) for _ in range(r.randrange(5))]
+        r.shuffle(words)
+        texts.append(" ".join(words))
+    for row in license_scan.scan(table(spark, texts)).collect():
+        words = set(texts[row.doc_id].split())
+        met = [(t, set(t.words) & words) for t in license_scan.TEMPLATES if len(set(t.words) & words) >= license_scan.need(len(t.words), 0.8)]
+        share = lambda x: len(x[1]) / len(x[0].words)
+        left = [x for x in met if not any(share(o) > share(x) and x[1] <= o[1] for o in met)]
+        base = {label for p, label in license_scan.PHRASES.items() if f" {p} " in f" {texts[row.doc_id]} "}
+        assert row.labels == ",".join(sorted({t.label for t, _ in left} | base)) and row.score == max(map(share, met), default=0.0)
+
+
+def test_warc_edges(spark, tmp_path):
+    """Repeated rows, null ids, clashing columns, a very long page; records are whole WARC records."""
+    long = "é" * 1_500_000
+    rows = [(1, "http://a/", long), (1, "http://a/", long), (None, "u", "x"), (2, "http://b/", "<p>\r\n\r\n</p>" * 200), (3, None, None)]
+    pages = spark.createDataFrame([(*r, "k", 5, "d") for r in rows], "page_id long, url string, html string, keeper string, n_bytes int, digest string").repartition(3)
+    found = collections.Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.round_trip(pages).collect())
+    digest = lambda t: hashlib.sha1(t.encode()).hexdigest()
+    assert found == {(1, 3_000_000, digest(long), "response", None): 2, (None, 1, digest("x"), "response", None): 1, (2, 2200, digest("<p>\r\n\r\n</p>" * 200), "response", None): 1, (3, 0, digest(""), "response", None): 1}
+    raw = warc.encode_record("7", "revisit", "http://a/", b"abc", digest("abc"), 3, "9", "2020-01-02T03:04:05Z")
+    head, rest = raw.split(b"\r\n\r\n", 1)
+    lines = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
+    assert {"WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length", "Content-Type"} <= set(lines) and len(rest) == int(lines["Content-Length"]) + 4
+    warc.write_bundles(pages, str(tmp_path / "b"), bundle_bytes=1000, date="2020-01-02T03:04:05Z")
+    index = warc.index_bundles(spark, str(tmp_path / "b"))
+    got = {r.record_id: r for r in warc.fetch(spark, str(tmp_path / "b"), index.where("record_id in ('2', '3')")).collect()}
+    assert got["2"].payload == (b"<p>\r\n\r\n</p>" * 200) and got["3"].payload == b"" and got["2"].headers["warc-date"] == "2020-01-02T03:04:05Z"
