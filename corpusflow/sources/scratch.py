@@ -2,29 +2,71 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no folder (a single machine, tests).
+#: Used only where the session names no folder and runs on a single machine, as in tests.
 DEFAULT_DIR = "/tmp/checkpoints"
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which the driver and all executors share."""
+    """The folder in spark.checkpoint.dir, which the driver and all executors share. Without it a
+    cluster has no such folder, and the job fails instead of losing tables."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return DEFAULT_DIR
 
 
+_made: dict[str, list[str]] = {}
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path below scratch_root(); nothing is ever written twice to one path."""
-    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def drop_scratch(spark: SparkSession) -> int:
+    """Deletes what this application wrote below scratch_root() and returns the number of folders.
+    For when its results are stored elsewhere: DataFrames that read scratch tables fail afterwards."""
+    paths = _made.pop(spark.sparkContext.applicationId, [])
+    conf = spark._jsc.hadoopConfiguration()
+    for path in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(path)
+        path.getFileSystem(conf).delete(path, True)
+    return len(paths)
 
 
 #: Spark's setting to drop the shuffle files of an execution once it has ended.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_lock, _depth, _before = threading.Lock(), 0, None
+
+
+@contextmanager
+def _dropping_shuffles(spark: SparkSession) -> Iterator[None]:
+    """CLEANUP is on from the first writer's start to the last one's end, however many threads
+    write; then it is what it was."""
+    global _depth, _before
+    with _lock:
+        if not _depth:
+            _before = spark.conf.get(CLEANUP, None)
+            spark.conf.set(CLEANUP, "true")
+        _depth += 1
+    try:
+        yield
+    finally:
+        with _lock:
+            _depth -= 1
+            if not _depth:
+                spark.conf.unset(CLEANUP) if _before is None else spark.conf.set(CLEANUP, _before)
 
 
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
@@ -35,10 +77,6 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     shuffle files again, so they go when it ends and disks hold one step's at a time.
     """
     spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
-    try:
+    with _dropping_shuffles(spark):
         df.write.parquet(path)
-    finally:
-        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
