@@ -4,6 +4,11 @@ groups, benchmark decontamination and the source mix.
 Each stage takes all documents that the one before it kept, as a table read back from the
 shared folder. All but the last return the columns of documents; the last adds `taken`, the
 words the mix takes of a document, and leaves out documents of which it takes none.
+
+Defined results: documents with null or empty texts, or under 50 words, leave with the first stage;
+rows that repeat, or differ in their id alone, are one group of copies; a null id stays, once a
+text; an empty table passes all stages; other columns, whatever their names, are passed on (a
+column named taken is replaced by the last stage).
 """
 
 from __future__ import annotations
@@ -40,9 +45,12 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the mix takes, with the words it takes of each, repeats counted."""
-    found = mixing.mix(docs).where("taken > 0").select("doc_id", "taken").dropDuplicates(["doc_id"])
-    return docs.join(found.hint("merge"), "doc_id").select(*docs.columns, F.col("taken"))
+    """Documents that the mix takes, with the words it takes of each, repeats counted. Rows are told
+    apart by a number, so null and repeated ids keep each row's own `taken`."""
+    numbered = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "mix-rows")
+    taken = mixing.mix(numbered, keep=("__row",)).where("taken > 0").select("__row", F.col("taken").alias("__taken"))
+    found = numbered.join(materialize(taken, "mix-taken").hint("merge"), "__row")
+    return found.select(*(F.col(f"`{c}`") for c in docs.columns if c != "taken"), F.col("__taken").alias("taken"))
 
 
 STAGES: list[tuple[str, Stage]] = [
