@@ -755,3 +755,26 @@ def test_warc_edges(spark, tmp_path):
     index = warc.index_bundles(spark, str(tmp_path / "b"))
     got = {r.record_id: r for r in warc.fetch(spark, str(tmp_path / "b"), index.where("record_id in ('2', '3')")).collect()}
     assert got["2"].payload == (b"<p>\r\n\r\n</p>" * 200) and got["3"].payload == b"" and got["2"].headers["warc-date"] == "2020-01-02T03:04:05Z"
+
+
+def test_pipeline_stages_on_odd_rows(spark):
+    """Null and repeated ids, clashing columns, empty tables: each stage keeps rows and columns."""
+    import corpus_pipeline
+
+    long = [" ".join(f"{w}{s}" for w in sentence(160, s).split()) for s in range(3)]
+    half = " ".join(long[2].split()[:80])
+    docs = table(spark, [(None, long[0]), (1, long[1]), (1, half), (2, None), (3, ""), (None, long[0])])
+    stages = dict(corpus_pipeline.STAGES)
+    mixed = stages["mixing"](spark, docs, SF)
+    assert mixed.columns == [*docs.columns, "taken"]
+    assert sorted((str(r.doc_id), len(r.text.split()), r.taken) for r in mixed.collect()) == [("1", 80, 80), ("1", 160, 160), ("None", 160, 160), ("None", 160, 160)]
+    assert stages["mixing"](spark, mixed, SF).columns == mixed.columns
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        found = stage(spark, docs, SF)
+        assert found.columns == docs.columns and found.schema == docs.schema
+        kept[name] = sorted((str(r.doc_id), r.text or "") for r in found.collect())
+        assert stage(spark, docs.where("false"), SF).count() == 0
+    assert ("2", "") not in kept["quality_rules"] and ("3", "") not in kept["quality_rules"]
+    assert kept["near_duplicates"].count(("None", long[0])) == 1 and ("1", half) in kept["near_duplicates"] and ("2", "") in kept["near_duplicates"]
+    assert len(kept["decontamination"]) == 6
