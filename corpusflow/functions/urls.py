@@ -15,29 +15,39 @@ def part(url: Column, group: int) -> Column:
     return F.regexp_extract(url, ABSOLUTE, group)
 
 
+def remove_dots(path: Column) -> Column:
+    """A path without its dot segments: "." names its folder, ".." the folder above, the root's
+    being the root."""
+    start = F.array().cast("array<string>")
+    up = lambda out: F.when(F.size(out) > 1, F.slice(out, F.lit(1), F.size(out) - 1)).otherwise(out)
+    step = lambda out, s: F.when(s == ".", out).when(s == "..", up(out)).otherwise(F.concat(out, F.array(s)))
+    segments = F.split(path, "/")
+    open_end = F.element_at(segments, -1).isin(".", "..")
+    kept = F.aggregate(segments, start, step)
+    joined = F.array_join(F.when(open_end, F.concat(kept, F.array(F.lit("")))).otherwise(kept), "/")
+    return F.when(path.rlike(r"(?:^|/)\.\.?(?:/|$)"), joined).otherwise(path)
+
+
 def resolve_url(base: Column, href: Column) -> Column:
-    """href made absolute against base: whole URLs, //host, /path, ?query, #fragment and
-    relative paths with dot segments at their start; null if it isn't a web link."""
+    """href made absolute against base: whole URLs, //host, /path, ?query, #fragment and relative
+    paths, without dot segments in the path; null if it isn't a web link."""
     href = F.trim(href)
     origin = F.concat(part(base, 1), F.lit("://"), part(base, 2))
     path = part(base, 3)
     folder = F.when(path.contains("/"), F.regexp_extract(path, "^(.*/)[^/]*$", 1)).otherwise(F.lit("/"))
     query = F.when(part(base, 4) != "", F.concat(F.lit("?"), part(base, 4))).otherwise(F.lit(""))
-    plain = F.regexp_replace(href, r"^(\./)+", "")
-    up = F.regexp_extract(plain, r"^((?:\.\./)+)", 1)
-    levels = (F.length(up) / 3).cast("int")
-    kept = F.split(F.regexp_replace(folder, "/$", ""), "/")
-    parent = F.array_join(F.slice(kept, F.lit(1), F.greatest(F.size(kept) - levels, F.lit(1))), "/")
-    relative = F.concat(origin, parent, F.lit("/"), F.regexp_replace(plain, r"^(?:\.\./)+", ""))
-    return (
+    whole = (
         F.when(href.rlike(r"^(?i)https?://"), href)
         .when(href.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:") | (href == ""), F.lit(None))
         .when(href.startswith("//"), F.concat(part(base, 1), F.lit(":"), href))
         .when(href.startswith("/"), F.concat(origin, href))
         .when(href.startswith("?"), F.concat(origin, path, href))
         .when(href.startswith("#"), F.concat(origin, path, query, href))
-        .otherwise(relative)
+        .otherwise(F.concat(origin, folder, href))
     )
+    at, rest = part(whole, 3), F.regexp_extract(whole, r"^[^?#]*(.*)$", 1)
+    clean = F.concat(part(whole, 1), F.lit("://"), part(whole, 2), remove_dots(at), rest)
+    return F.when(at.contains("/."), clean).otherwise(whole)
 
 
 @dataclass(frozen=True)

@@ -39,11 +39,11 @@ def gate_questions(questions: DataFrame, candidates: DataFrame, domain: float =
     candidates), InsufficientEvidence or Eligible. Thresholds are inclusive."""
     best = candidates.groupBy("question_id").agg(F.max("similarity").alias("best"))
     status = F.when(F.col("language").isNull(), "UnsupportedLanguage").when(F.coalesce(F.col("best") < domain, F.lit(True)), "OutOfDomain").when(F.col("best") < evidence, "InsufficientEvidence").otherwise("Eligible")
-    return questions.join(best, "question_id", "left").withColumn("status", status)
+    return questions.join(best.hint("merge"), "question_id", "left").withColumn("status", status)
 
 
 def eligible_candidates(candidates: DataFrame, gated: DataFrame, evidence: float = EVIDENCE) -> DataFrame:
-    return candidates.where(F.col("similarity") >= evidence).join(gated.where("status = 'Eligible'").select("question_id"), "question_id", "left_semi")
+    return candidates.where(F.col("similarity") >= evidence).join(gated.where("status = 'Eligible'").select("question_id").hint("merge"), "question_id", "left_semi")
 
 
 def context_filter(candidates: DataFrame, threshold: float, per_document: int, min_tokens: int) -> DataFrame:
@@ -65,11 +65,11 @@ def score_lexical(questions: DataFrame, candidates: DataFrame, k1: float = 1.2,
     sized = doc.withColumn("len", F.size("w")).withColumn("avg_len", F.avg("len").over(per)).withColumn("n", F.count(F.lit(1)).over(per))
     terms = questions.select("question_id", F.explode(F.array_distinct(words("text"))).alias("t"))
     tf = sized.select("question_id", "chunk_id", "len", "avg_len", "n", F.explode("w").alias("t")).groupBy("question_id", "chunk_id", "len", "avg_len", "n", "t").agg(F.count(F.lit(1)).alias("tf"))
-    met = tf.join(terms, ["question_id", "t"]).withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("question_id", "t")))
+    met = tf.join(terms.hint("merge"), ["question_id", "t"]).withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("question_id", "t")))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     score = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
     sums = met.groupBy("question_id", "chunk_id").agg(F.sum(score).alias("s"))
-    return doc.select("question_id", "chunk_id").join(sums, ["question_id", "chunk_id"], "left").select("question_id", "chunk_id", F.round(F.coalesce("s", F.lit(0.0)), 6).alias("reranker_score"))
+    return doc.select("question_id", "chunk_id").join(sums.hint("merge"), ["question_id", "chunk_id"], "left").select("question_id", "chunk_id", F.round(F.coalesce("s", F.lit(0.0)), 6).alias("reranker_score"))
 
 
 def apply_ranking(candidates: DataFrame, permutations: DataFrame) -> DataFrame:
@@ -77,11 +77,11 @@ def apply_ranking(candidates: DataFrame, permutations: DataFrame) -> DataFrame:
     final_rank from permutations (question_id, permutation: initial ranks, best first). A
     question whose permutation isn't complete keeps null for both."""
     n = candidates.groupBy("question_id").agg(F.count(F.lit(1)).alias("n"))
-    good = permutations.join(n, "question_id").where(F.array_sort("permutation") == F.sequence(F.lit(1), F.col("n").cast("int")))
+    good = permutations.join(n.hint("merge"), "question_id").where(F.array_sort("permutation") == F.sequence(F.lit(1), F.col("n").cast("int")))
     placed = good.select("question_id", "n", F.posexplode("permutation").alias("i", "initial_rank"))
     score = F.when(F.col("n") == 1, 1.0).otherwise(1 - F.col("i") / (F.col("n") - 1))
     placed = placed.select("question_id", "initial_rank", F.round(score, 6).alias("reranker_score"), (F.col("i") + 1).alias("final_rank"))
-    return candidates.join(placed, ["question_id", "initial_rank"], "left")
+    return candidates.join(placed.hint("merge"), ["question_id", "initial_rank"], "left")
 
 
 def rank_shift(ranked: DataFrame) -> DataFrame:
@@ -118,7 +118,7 @@ def _prompt(questions: DataFrame, sources: DataFrame, rules: str, order: str, fi
     system = F.concat_ws("\n", F.lit(rules), tell) if reminder else F.lit(rules)
     ends = [F.lit("\n\nThe question again: "), _quoted(F.col("text"))] if reminder else []
     user = F.concat(F.lit("Question: "), _quoted(F.col("text")), F.lit("\n\n"), records, *ends)
-    return questions.join(listed, "question_id").select("question_id", system.alias("system"), user.alias("user"), F.size("s").alias("source_count"))
+    return questions.join(listed.hint("merge"), "question_id").select("question_id", system.alias("system"), user.alias("user"), F.size("s").alias("source_count"))
 
 
 def build_rerank_prompt(questions: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -211,7 +211,7 @@ def attach_citations(answers: DataFrame, evidence: DataFrame) -> DataFrame:
     cited = answers.select("question_id", F.posexplode("cited").alias("i", "final_rank")).join(evidence.select("question_id", "final_rank", "title", "url", "section"), ["question_id", "final_rank"])
     listed = cited.groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("i", "title", "url", "section"))).alias("c"))
     strip = F.transform("c", lambda x: F.struct(x["title"].alias("title"), x["url"].alias("url"), x["section"].alias("section")))
-    return answers.join(listed, "question_id", "left").withColumn("citations", strip).drop("c")
+    return answers.join(listed.hint("merge"), "question_id", "left").withColumn("citations", strip).drop("c")
 
 
 def finalize_answers(gated: DataFrame, answered: DataFrame, texts: Texts = Texts()) -> DataFrame:

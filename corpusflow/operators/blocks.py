@@ -17,6 +17,7 @@ SKIP = {"form", "input", "textarea", "button", "script", "style", "nav", "header
 SKIP_CLASSES = {"suggest", "suggest-success", "suggest-failed", "suggest-form", "scrollToFeedback"}
 VOID = {"area", "base", "br", "col", "hr", "img", "input", "link", "meta", "wbr"}
 CONTAINERS = {"body", "div", "section", "article", "main", "table", "td", "th", "ul", "ol", "li", "dl", "dd", "dt"}
+WORD = re.compile(r"\w")
 CLOSES_P = {"p", "div", "ul", "ol", "dl", "table", "pre", "h1", "h2", "h3", "h4", "section", "article"}
 
 
@@ -26,17 +27,22 @@ class Node:
         self.classes = set((attrs.get("class") or "").split())
         self.children: list[Node | str] = []
 
+    def below(self) -> Iterator[Node]:
+        """All nodes under this one, in page order."""
+        waiting = [iter(self.children)]
+        while waiting:
+            child = next(waiting[-1], None)
+            if child is None:
+                waiting.pop()
+            elif isinstance(child, Node):
+                yield child
+                waiting.append(iter(child.children))
+
     def find(self, test) -> Node | None:
-        for child in self.children:
-            if isinstance(child, Node):
-                if test(child):
-                    return child
-                if (found := child.find(test)) is not None:
-                    return found
-        return None
+        return next((x for x in self.below() if test(x)), None)
 
     def all(self, tag: str) -> list[Node]:
-        return [y for x in self.children if isinstance(x, Node) for y in ([x] if x.tag == tag else []) + x.all(tag)]
+        return [x for x in self.below() if x.tag == tag]
 
 
 class _Tree(HTMLParser):
@@ -69,36 +75,51 @@ class _Tree(HTMLParser):
         self.at.children.append(data)
 
 
-def inline_text(node: Node | str, in_code: bool = False) -> str:
-    """Text of a node: code in backticks, br as a newline."""
-    if isinstance(node, str):
-        return node
-    if node.tag == "br":
-        return "\n"
-    if node.tag in SKIP or node.classes & SKIP_CLASSES:
-        return ""
-    code = node.tag == "code" and not in_code
-    body = "".join(inline_text(c, in_code or code) for c in node.children)
-    return f"`{body}`" if code else body
+def inline_text(node: Node | str) -> str:
+    """Text of a node: code in backticks, br as a newline. Walks with a stack of its own, as
+    pages may nest more deeply than Python calls do."""
+    out: list[str] = []
+    code = 0
+    waiting: list = [node]
+    while waiting:
+        x = waiting.pop()
+        if x is None:  # the end of a code element
+            code -= 1
+            if not code:
+                out.append("`")
+        elif isinstance(x, str):
+            out.append(x)
+        elif x.tag == "br":
+            out.append("\n")
+        elif x.tag not in SKIP and not x.classes & SKIP_CLASSES:
+            if x.tag == "code":
+                if not code:
+                    out.append("`")
+                code += 1
+                waiting.append(None)
+            waiting.extend(reversed(x.children))
+    return "".join(out)
 
 
 def render_code(node: Node) -> str:
     """Text of a code block: a space between word characters that different nodes put side by
     side, no blank lines at the edges, no common indent, no Declaration heading."""
-    out = ""
-
-    def walk(x: Node | str) -> None:
-        nonlocal out
-        if isinstance(x, str):
-            word = r"[^\W]"
-            out += (" " if out and x and re.match(word, out[-1]) and re.match(word, x[0]) else "") + x
-        elif x.tag == "br":
-            out += "\n"
-        elif x.tag not in ("img", "script", "style") and not (x.tag == "h2" and " ".join(inline_text(x).split()).lower() == "declaration"):
-            for child in x.children:
-                walk(child)
-
-    walk(node)
+    parts: list[str] = []
+    last = ""
+    waiting: list[Node | str] = [node]
+    while waiting:
+        x = waiting.pop()
+        if isinstance(x, Node):
+            if x.tag == "br":
+                parts.append(last := "\n")
+            elif x.tag not in ("img", "script", "style") and not (x.tag == "h2" and " ".join(inline_text(x).split()).lower() == "declaration"):
+                waiting.extend(reversed(x.children))
+        elif x:
+            if last and WORD.match(last) and WORD.match(x[0]):
+                parts.append(" ")
+            parts.append(x)
+            last = x[-1]
+    out = "".join(parts)
     lines = re.split(r"\r\n|\r|\n", out)
     while lines and not lines[0].strip():
         lines.pop(0)
@@ -108,9 +129,14 @@ def render_code(node: Node) -> str:
     return "\n".join(x[min(indent, len(x) - len(x.lstrip(" \t"))) :] for x in lines)
 
 
-def _blocks(parent: Node, depth: int, service: bool) -> Iterator[tuple[str, int, str]]:
-    service |= "mb20" in parent.classes
-    for x in parent.children:
+def _blocks(root: Node) -> Iterator[tuple[str, int, str]]:
+    waiting = [(iter(root.children), 0, "mb20" in root.classes)]
+    while waiting:
+        children, depth, service = waiting[-1]
+        x = next(children, None)
+        if x is None:
+            waiting.pop()
+            continue
         if not isinstance(x, Node) or x.tag in SKIP or x.classes & SKIP_CLASSES or x.tag == "h1":
             continue
         deeper = depth + ("subsection" in x.classes)
@@ -134,7 +160,7 @@ def _blocks(parent: Node, depth: int, service: bool) -> Iterator[tuple[str, int,
             yield "service" if service else "paragraph", 0, inline_text(x)
         else:
             yield "paragraph", 0, "".join(c for c in x.children if isinstance(c, str))
-            yield from _blocks(x, deeper, service)
+            waiting.append((iter(x.children), deeper, service or "mb20" in x.classes))
 
 
 def page_blocks(html: str | None, container: str | None = "section") -> list[tuple[str, int, str]] | None:
@@ -147,7 +173,7 @@ def page_blocks(html: str | None, container: str | None = "section") -> list[tup
     if container is not None:
         wrap = root.find(lambda n: n.attrs.get("id") == "content-wrap")
         root = wrap.find(lambda n: container in n.classes) if wrap is not None else None
-    return None if root is None else [b for b in _blocks(root, 0, False) if b[2].strip()]
+    return None if root is None else [b for b in _blocks(root) if b[2].strip()]
 
 
 def html_blocks(pages: DataFrame, key: str = "document_id", container: str | None = "section") -> DataFrame:
@@ -185,6 +211,6 @@ def process_documents(blocks: DataFrame, titles: DataFrame, key: str = "document
     A document of its title alone, or without a container, is an error."""
     texts = blocks.groupBy(key).agg(F.array_sort(F.collect_list(F.when(F.col("kind") != "error", F.struct("pos", "text")))).alias("b"), F.max(F.col("kind") == "error").alias("lost"))
     joined = F.array_join(F.concat(F.array(F.concat(F.lit("# "), F.col("title"))), F.transform("b", lambda x: x["text"])), "\n\n")
-    out = titles.join(texts, key, "left").withColumn("content", normalize_text(joined))
+    out = titles.join(texts.hint("merge"), key, "left").withColumn("content", normalize_text(joined))
     error = F.when(F.col("lost"), "main content not found").when(F.coalesce(F.size("b"), F.lit(0)) < 1, "no useful text")
     return out.select(key, F.when(error.isNull(), F.col("content")).alias("content"), F.when(error.isNull(), F.sha2("content", 256)).alias("content_hash"), error.alias("error"))

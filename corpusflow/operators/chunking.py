@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from corpusflow.functions.text import count_tokens, tokens
 
 CHUNKS = "document_id string, chunk_id string, section string, ordinal int, approximate_token_count int, content string"
+CHUNKS_OR_ERROR = f"{CHUNKS}, error string"
 
 
 def chunk_id(document_id: Column, ordinal: Column, text: Column) -> Column:
@@ -112,34 +113,36 @@ def pack(units: list[str], budget: int, overlap: int) -> list[str]:
 
 
 def heading_chunks(document_id: str, title: str, text: str, size: int, overlap: int) -> list[tuple]:
-    """Rows of CHUNKS of one document; each chunk starts with its title and section."""
+    """Rows of CHUNKS_OR_ERROR of one document; each chunk starts with its title and section. A
+    title and section that leave no room for a body token make the document one row that says so."""
     out = []
     for name, units in sections(title, text):
         prefix = f"# {title.strip()}" + (f"\n\n## {name}" if name else "")
         budget = size - len(prefix.split())
         if budget < 1:
-            raise ValueError(f"size {size} leaves no room for a body token after the title and section")
+            return [(document_id, None, name or None, None, None, None, f"size {size} leaves no room for a body token after the title and section")]
         fitting = [x for unit in units for x in split_oversized(unit, budget, overlap)]
         for body in pack(fitting, budget, overlap):
             content, n = f"{prefix}\n\n{body.strip()}", len(out)
             name_hash = hashlib.sha256(f"{document_id}\n{n}\n{content}".encode()).hexdigest()
-            out.append((document_id, name_hash, name or None, n, len(content.split()), content))
+            out.append((document_id, name_hash, name or None, n, len(content.split()), content, None))
     return out
 
 
 def chunk_heading_aware(docs: DataFrame, size: int = 512, overlap: int = 64) -> DataFrame:
     """Chunks of documents (document_id, title, content) along their headings. Packing depends
     on the order of units, so each document is folded by itself; documents stay where they
-    are, without a shuffle."""
+    are, without a shuffle. A document that can't be chunked is a row with an error."""
     if not 0 <= overlap < size:
         raise ValueError("overlap must be from 0 to size - 1")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in parts:
             rows = (r for d in frame.itertuples(index=False) for r in heading_chunks(d.document_id, d.title or "", d.content or "", size, overlap))
-            yield pd.DataFrame(list(rows), columns=[c.split()[0] for c in CHUNKS.split(", ")])
+            out = pd.DataFrame(list(rows), columns=[c.split()[0] for c in CHUNKS_OR_ERROR.split(", ")])
+            yield out.astype({"ordinal": "Int32", "approximate_token_count": "Int32"})
 
-    return docs.select("document_id", "title", "content").mapInPandas(run, CHUNKS)
+    return docs.select("document_id", "title", "content").mapInPandas(run, CHUNKS_OR_ERROR)
 
 
 def split_sections(docs: DataFrame) -> DataFrame:
@@ -174,4 +177,5 @@ def chunk_profile(chunked: dict[str, DataFrame]) -> DataFrame:
 
 
 def process_summary(docs: DataFrame, chunks: DataFrame) -> DataFrame:
+    """One row from two of one row each."""
     return docs.agg(F.count(F.lit(1)).alias("documents")).join(chunks.agg(F.count(F.lit(1)).alias("chunks"), F.countDistinct("document_id").alias("chunked_documents")))

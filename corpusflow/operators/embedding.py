@@ -39,7 +39,7 @@ def validate_embeddings(embeddings: DataFrame, profiles: DataFrame) -> DataFrame
     """rule, key and detail of every violation: unknown profile, dimension out of 1 to 2000 or
     other than the profile's, length, values that aren't finite, zero length, repeats."""
     known = profiles.select("profile_key", F.col("dimension").alias("__d"))
-    rows = embeddings.join(known, "profile_key", "left")
+    rows = embeddings.join(known.hint("merge"), "profile_key", "left")
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     rules = {
         "profile_unknown": F.col("__d").isNull(),

@@ -6,6 +6,9 @@ rank, url. Only questions expected to be answered have metrics, others have null
 
 from __future__ import annotations
 
+import hashlib
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,7 +20,7 @@ def per_question(questions: DataFrame, ranked: DataFrame, ks: tuple[int, ...] =
     one group-by. Repeated URLs keep their ranks but count once for coverage."""
     answered = questions.where(F.col("expected_status") == "Answered")
     expected = answered.select("question_id", F.array_distinct("expected_urls").alias("expected"))
-    rows = expected.join(ranked, "question_id", "left").withColumn("hit", F.coalesce(F.array_contains("expected", F.col("url")), F.lit(False)))
+    rows = expected.join(ranked.hint("merge"), "question_id", "left").withColumn("hit", F.coalesce(F.array_contains("expected", F.col("url")), F.lit(False)))
     found = [F.min(F.when(F.col("hit"), F.col("rank"))).alias("first"), F.max(F.size("expected")).alias("n")]
     for k in ks:
         inside = F.col("rank") <= k
@@ -29,7 +32,7 @@ def per_question(questions: DataFrame, ranked: DataFrame, ks: tuple[int, ...] =
             F.when(F.col("first") <= k, 1.0).otherwise(0.0).alias(f"hit_{k}"), F.round(F.try_divide(F.col(f"c{k}"), F.col("n")), 6).alias(f"coverage_{k}"),
             F.when(F.col(f"c{k}") == F.col("n"), 1.0).otherwise(0.0).alias(f"all_hit_{k}"), F.round(F.coalesce(f"p{k}", F.lit(0.0)), 6).alias(f"precision_{k}"))),
     )
-    return questions.select("question_id").join(out, "question_id", "left")
+    return questions.select("question_id").join(out.hint("merge"), "question_id", "left")
 
 
 def summarize(metrics: DataFrame) -> DataFrame:
@@ -38,10 +41,10 @@ def summarize(metrics: DataFrame) -> DataFrame:
     return metrics.agg(F.count(F.lit(1)).alias("questions"), F.count("reciprocal_rank").alias("answered"), *(F.round(F.avg(c), 6).alias(f"mean_{c}") for c in names))
 
 
-def metric_by_k(metrics: DataFrame, name: str, ks: tuple[int, ...] = KS) -> DataFrame:
-    """k, mean of `name` at each k: the sweep over K from one retrieval."""
-    pairs = F.array(*(F.struct(F.lit(k).alias("k"), F.col(f"{name}_{k}").alias("v")) for k in ks))
-    return metrics.select(F.inline(pairs)).groupBy("k").agg(F.round(F.avg("v"), 6).alias(f"mean_{name}"))
+def metrics_by_k(metrics: DataFrame, names: tuple[str, ...] = ("hit", "coverage", "all_hit", "precision"), ks: tuple[int, ...] = KS) -> DataFrame:
+    """k, and the mean of each metric at k: the sweep over K from one retrieval."""
+    rows = F.array(*(F.struct(F.lit(k).alias("k"), *(F.col(f"{n}_{k}").alias(n) for n in names)) for k in ks))
+    return metrics.select(F.inline(rows)).groupBy("k").agg(*(F.round(F.avg(n), 6).alias(f"mean_{n}") for n in names))
 
 
 def status_match_rate(results: DataFrame) -> DataFrame:
@@ -63,13 +66,22 @@ def fingerprint(questions: DataFrame) -> DataFrame:
     return questions.agg(F.sha2(F.concat_ws("|", F.count(F.lit(1)).cast("string"), part(1), part(9), part(17), part(25)), 256).alias("fingerprint"))
 
 
-def resume_remaining(questions: DataFrame, done: DataFrame) -> DataFrame:
-    """Questions after the completed ones, which must be a prefix of known questions."""
+def checkpoint_identity(questions: DataFrame, config: dict, output: str) -> str:
+    """A hash of what a run depends on: the ids in order, the configuration and the output's path."""
+    settings = hashlib.sha256(json.dumps(config, sort_keys=True, default=str).encode()).hexdigest()
+    return hashlib.sha256("|".join([fingerprint(questions).first().fingerprint, settings, output]).encode()).hexdigest()
+
+
+def resume_remaining(questions: DataFrame, done: DataFrame, saved: str | None = None, config: dict | None = None, output: str = "") -> DataFrame:
+    """Questions after the completed ones, which must be a prefix of known questions. saved: the
+    identity that the completed run was started with; if it isn't today's, nothing is resumed."""
+    if saved is not None and saved != checkpoint_identity(questions, config or {}, output):
+        raise ValueError("the questions, the configuration or the output path aren't those of the saved run")
     state = done.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max("position") + 1, F.lit(0)).alias("stop")).first()
-    strangers = done.join(questions, ["question_id", "position"], "left_anti").limit(1).count()
+    strangers = done.join(questions.hint("merge"), ["question_id", "position"], "left_anti").limit(1).count()
     if state.n != state.stop or strangers:
         raise ValueError("completed questions aren't a prefix of the question set")
-    return questions.join(done.select("question_id"), "question_id", "left_anti")
+    return questions.join(done.select("question_id").hint("merge"), "question_id", "left_anti")
 
 
 def append_completed(done: DataFrame, batch: DataFrame) -> DataFrame:
@@ -84,4 +96,4 @@ def append_completed(done: DataFrame, batch: DataFrame) -> DataFrame:
 def compare_runs(a: DataFrame, b: DataFrame, names: list[str]) -> DataFrame:
     """question_id and b - a of each metric, for questions of either run."""
     right = b.select("question_id", *(F.col(n).alias(f"__{n}") for n in names))
-    return a.select("question_id", *names).join(right, "question_id", "full").select("question_id", *(F.round(F.col(f"__{n}") - F.col(n), 6).alias(f"delta_{n}") for n in names))
+    return a.select("question_id", *names).join(right.hint("merge"), "question_id", "full").select("question_id", *(F.round(F.col(f"__{n}") - F.col(n), 6).alias(f"delta_{n}") for n in names))

@@ -1,24 +1,29 @@
-"""The vector index as one snapshot of four tables: profiles, documents, chunks, embeddings.
+"""The vector index: profiles, documents, chunks and embeddings, maintained batch by batch.
 
-Plain files have no transactions, so a batch makes a new version of all tables in a folder of
-its own and publishes it last by one small pointer table. Readers resolve the pointer first;
-if anything fails before, the old snapshot stays what they see.
+All tables but the profiles are cut into buckets by document, so a batch reads and writes only the
+buckets of its own documents (see sources.versions for how a version is published at once).
 """
 
 from __future__ import annotations
 
-import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusflow.operators.integrity import check_unique
+from corpusflow.sources import versions
+from corpusflow.sources.scratch import materialize
+
 TABLES = ("profiles", "documents", "chunks", "embeddings")
+#: Keys of the tables, which a batch must not repeat or leave null.
+KEYS = {"profiles": ["profile_key"], "documents": ["document_id"], "chunks": ["chunk_id"], "embeddings": ["chunk_id", "profile_key"]}
 
 
 def upsert(existing: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
-    """incoming rows replace existing ones of the same keys; all other rows stay."""
-    return existing.join(incoming.select(*keys), keys, "left_anti").unionByName(incoming)
+    """incoming rows replace existing ones of the same keys; all other rows stay. Keys must be
+    distinct and not null, as apply_index_batch checks."""
+    return existing.join(incoming.select(*keys).hint("merge"), keys, "left_anti").unionByName(incoming)
 
 
 def upsert_profiles(existing: DataFrame, incoming: DataFrame) -> DataFrame:
@@ -28,14 +33,14 @@ def upsert_profiles(existing: DataFrame, incoming: DataFrame) -> DataFrame:
 def upsert_documents(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     """By document_id. created_at of a known document stays; updated_at is the batch's."""
     old = existing.select("document_id", F.col("created_at").alias("__created"))
-    stamped = incoming.join(old, "document_id", "left").withColumn("created_at", F.coalesce("__created", "updated_at")).drop("__created")
+    stamped = incoming.join(old.hint("merge"), "document_id", "left").withColumn("created_at", F.coalesce("__created", "updated_at")).drop("__created")
     return upsert(existing, stamped.select(*existing.columns), ["document_id"])
 
 
 def delete_stale_chunks(existing: DataFrame, batch_documents: DataFrame, current: DataFrame) -> DataFrame:
     """existing without those chunks of the batch's documents that aren't current."""
-    stale = existing.join(batch_documents.select("document_id"), "document_id", "left_semi").join(current.select("chunk_id"), "chunk_id", "left_anti")
-    return existing.join(stale.select("chunk_id"), "chunk_id", "left_anti")
+    stale = existing.join(batch_documents.select("document_id").hint("merge"), "document_id", "left_semi").join(current.select("chunk_id").hint("merge"), "chunk_id", "left_anti")
+    return existing.join(stale.select("chunk_id").hint("merge"), "chunk_id", "left_anti")
 
 
 def upsert_chunks(existing: DataFrame, batch_documents: DataFrame, current: DataFrame) -> DataFrame:
@@ -44,7 +49,7 @@ def upsert_chunks(existing: DataFrame, batch_documents: DataFrame, current: Data
 
 def cascade_embeddings(embeddings: DataFrame, chunks: DataFrame) -> DataFrame:
     """Embeddings of any profile whose chunk still exists."""
-    return embeddings.join(chunks.select("chunk_id"), "chunk_id", "left_semi")
+    return embeddings.join(chunks.select("chunk_id").hint("merge"), "chunk_id", "left_semi")
 
 
 def upsert_embeddings(existing: DataFrame, incoming: DataFrame) -> DataFrame:
@@ -62,30 +67,44 @@ def next_snapshot(old: dict[str, DataFrame], batch: dict[str, DataFrame]) -> dic
     }
 
 
-def published(spark: SparkSession, root: str) -> str:
-    """The folder of the last published snapshot."""
-    return spark.read.parquet(f"{root}/pointer").agg(F.max_by("folder", "version").alias("folder")).first().folder
+def _columns(table: DataFrame) -> str:
+    return ", ".join(f"{name} {kind}" for name, kind in table.drop("bucket").dtypes)
+
+
+def _bucketed(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Tables with their rows' buckets; embeddings have those of their chunks' documents."""
+    chunks = tables["chunks"].withColumn("bucket", versions.bucket_of(F.col("document_id")))
+    return {
+        "profiles": tables["profiles"].withColumn("bucket", F.lit(0)),
+        "documents": tables["documents"].withColumn("bucket", versions.bucket_of(F.col("document_id"))),
+        "chunks": chunks,
+        "embeddings": tables["embeddings"].join(chunks.select("chunk_id", "bucket").hint("merge"), "chunk_id"),
+    }
 
 
-def read_snapshot(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    folder = published(spark, root)
-    return {t: spark.read.parquet(f"{folder}/{t}") for t in TABLES}
+def read_snapshot(spark: SparkSession, root: str, schemas: dict[str, str] | None = None, only: list[int] | None = None) -> dict[str, DataFrame]:
+    """The tables as last published (or their buckets in `only`; profiles always whole)."""
+    found = versions.pointers(spark, root)
+    return {t: versions.read(spark, found, t, (schemas or {}).get(t), None if t == "profiles" else only) for t in TABLES}
 
 
 def publish_snapshot(spark: SparkSession, root: str, tables: dict[str, DataFrame], version: int) -> None:
-    """Writes all tables (embeddings partitioned by profile, so a search reads one), then the
-    pointer. Versions must grow."""
-    folder = f"{root}/snapshot-{version}-{uuid.uuid4().hex}"
-    for name in TABLES:
-        writer = tables[name].write
-        (writer.partitionBy("profile_key") if name == "embeddings" else writer).parquet(f"{folder}/{name}")
-    spark.range(1).select(F.lit(version).alias("version"), F.lit(folder).alias("folder")).write.mode("append").parquet(f"{root}/pointer")
+    """Publishes whole tables as a version of an index that has none yet."""
+    everything = list(range(versions.BUCKETS))
+    versions.publish(spark, root, version, _bucketed(tables), {t: [0] if t == "profiles" else everything for t in TABLES})
 
 
 def apply_index_batch(spark: SparkSession, root: str, batch: dict[str, DataFrame], violations: list[DataFrame], version: int) -> None:
-    """Publishes the snapshot after a batch; with any violation nothing is published."""
-    if violations:
-        first = reduce(DataFrame.unionByName, violations).limit(1).collect()
-        if first:
-            raise ValueError(f"batch rejected: {first[0].rule} {first[0].key}")
-    publish_snapshot(spark, root, next_snapshot(read_snapshot(spark, root), batch), version)
+    """Publishes the version after a batch, which rewrites the buckets of the batch's documents only.
+    With any violation, or a key that repeats or is null, nothing is published."""
+    rows = [check_unique(batch[t], keys, f"repeated_{t}") for t, keys in KEYS.items()]
+    rows += [batch[t].where(" or ".join(f"{k} is null" for k in keys)).select(F.lit(f"null_{t}").alias("rule"), F.lit(None).cast("string").alias("key"), F.lit(None).cast("string").alias("detail")) for t, keys in KEYS.items()]
+    first = reduce(DataFrame.unionByName, [*violations, *rows]).limit(1).collect()
+    if first:
+        raise ValueError(f"batch rejected: {first[0].rule} {first[0].key}")
+    schemas = {t: _columns(batch[t]) for t in TABLES}
+    documents = batch["documents"].withColumn("bucket", versions.bucket_of(F.col("document_id")))
+    touched = versions.touched_by(documents)
+    after = next_snapshot(read_snapshot(spark, root, schemas, touched), batch)
+    after["chunks"] = materialize(after["chunks"], "index-chunks")
+    versions.publish(spark, root, version, _bucketed(after), {t: [0] if t == "profiles" else touched for t in TABLES})

@@ -58,7 +58,7 @@ def ingest_summary(changes: DataFrame) -> DataFrame:
 
 def missing_content(manifest: DataFrame, raw: DataFrame) -> DataFrame:
     """Manifest entries without content."""
-    return manifest.join(raw.where("content is not null").select("document_id"), "document_id", "left_anti")
+    return manifest.join(raw.where("content is not null").select("document_id").hint("merge"), "document_id", "left_anti")
 
 
 def exact_duplicates(docs: DataFrame, key: str, content_hash: Column) -> DataFrame:
@@ -68,4 +68,4 @@ def exact_duplicates(docs: DataFrame, key: str, content_hash: Column) -> DataFra
     a content that a third of all rows share stays spread over its keys."""
     hashed = docs.select(key, content_hash.alias("content_hash"))
     groups = hashed.groupBy("content_hash").agg(F.min(key).alias("keeper"), F.count(F.lit(1)).alias("n_copies"))
-    return hashed.join(groups, "content_hash").select(key, "keeper", "n_copies", (F.col(key) != F.col("keeper")).alias("is_duplicate"))
+    return hashed.join(groups.hint("merge"), "content_hash").select(key, "keeper", "n_copies", (F.col(key) != F.col("keeper")).alias("is_duplicate"))

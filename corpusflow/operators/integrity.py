@@ -32,7 +32,7 @@ def check_unique(df: DataFrame, keys: list[str], rule: str, ignore_case: bool =
 
 def check_references(child: DataFrame, parent: DataFrame, key: str, child_key: str, rule: str) -> DataFrame:
     """A row for each child without its parent."""
-    return _rows(child.join(parent.select(key).distinct(), key, "left_anti"), rule, F.col(child_key), F.col(key))
+    return _rows(child.join(parent.select(key).distinct().hint("merge"), key, "left_anti"), rule, F.col(child_key), F.col(key))
 
 
 def check_hashes(documents: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -49,7 +49,7 @@ def check_hashes(documents: DataFrame, chunks: DataFrame) -> DataFrame:
 def check_denormalised(chunks: DataFrame, documents: DataFrame, columns: dict[str, str]) -> DataFrame:
     """Chunk columns that differ from their document's; columns: chunk column to document's."""
     theirs = documents.select("document_id", *(F.col(d).alias(f"__{c}") for c, d in columns.items()))
-    rows = chunks.join(theirs, "document_id")
+    rows = chunks.join(theirs.hint("merge"), "document_id")
     return union(*(_rows(rows.where(~F.col(c).eqNullSafe(F.col(f"__{c}"))), f"{c}_differs", F.col("chunk_id"), F.col(c)) for c in columns))
 
 
@@ -76,6 +76,17 @@ def check_headers(a: DataFrame, b: DataFrame) -> DataFrame:
     return union(_rows(bad, "header_invalid", F.col("side"), F.col("version")), _rows(differ, "headers_differ", F.lit("documents"), F.lit("chunks")))
 
 
+def check_artifacts(documents: DataFrame, chunks: DataFrame) -> DataFrame:
+    """All rules of a pair of artifacts: unique ids, references, hashes and counts, columns that
+    chunks take over from their documents, and the formats of chunks."""
+    taken = {"source_url": "canonical_url", "document_title": "title", "version": "version", "processed_content_hash": "content_hash"}
+    return union(
+        check_unique(documents, ["document_id"], "repeated_document"), check_unique(chunks, ["chunk_id"], "repeated_chunk"),
+        check_unique(chunks, ["document_id", "ordinal"], "repeated_ordinal"), check_references(chunks, documents, "document_id", "chunk_id", "chunk_without_document"),
+        check_hashes(documents, chunks), check_denormalised(chunks, documents, taken), check_constraints(chunks, "chunk_id", chunk_rules()),
+    )
+
+
 def check_questions(questions: DataFrame) -> DataFrame:
     """Rules of a question set, one row for each that a question breaks, ids in any case."""
     status = F.create_map(*(F.lit(x) for kv in CATEGORY_STATUS.items() for x in kv))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import html as entities
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from corpusflow.functions.text import is_blank, squeeze
 from corpusflow.functions.urls import Rules, file_stem, part, resolve_url, url_allowed
@@ -113,7 +115,7 @@ def select_frontier(links: DataFrame, seeds: DataFrame | None, max_pages: int) -
         chosen = links.select(F.col("target").alias("url")).distinct().withColumn("tier", F.lit(1))
     else:
         seeds = seeds.select("url").distinct()
-        members = links.join(seeds, "url", "left_semi").select(F.col("target").alias("url")).distinct().join(seeds, "url", "left_anti")
+        members = links.join(seeds.hint("merge"), "url", "left_semi").select(F.col("target").alias("url")).distinct().join(seeds.hint("merge"), "url", "left_anti")
         chosen = seeds.withColumn("tier", F.lit(0)).unionByName(members.withColumn("tier", F.lit(1)))
     first = chosen.orderBy("tier", "url").limit(max_pages)
     return first.select("url", "tier", F.row_number().over(Window.orderBy("tier", "url")).alias("position"))
@@ -121,7 +123,7 @@ def select_frontier(links: DataFrame, seeds: DataFrame | None, max_pages: int) -
 
 def missing_seeds(links: DataFrame, seeds: DataFrame) -> DataFrame:
     """Seeds that no known page has."""
-    return seeds.select("url").distinct().join(links.select(F.col("url")).distinct(), "url", "left_anti")
+    return seeds.select("url").distinct().join(links.select(F.col("url")).distinct().hint("merge"), "url", "left_anti")
 
 
 def link_graph_stats(links: DataFrame) -> DataFrame:
@@ -129,15 +131,19 @@ def link_graph_stats(links: DataFrame) -> DataFrame:
     out = links.groupBy("url").agg(F.countDistinct("target").alias("out_degree"))
     into = links.groupBy(F.col("target").alias("url")).agg(F.countDistinct(links["url"]).alias("in_degree"))
     zero = F.lit(0)
-    return out.join(into, "url", "full").select("url", F.coalesce("out_degree", zero).alias("out_degree"), F.coalesce("in_degree", zero).alias("in_degree"))
+    return out.join(into.hint("merge"), "url", "full").select("url", F.coalesce("out_degree", zero).alias("out_degree"), F.coalesce("in_degree", zero).alias("in_degree"))
+
+
+@F.pandas_udf(StringType())
+def decode_entities(text: pd.Series) -> pd.Series:
+    """Character references of all kinds as the characters they stand for."""
+    return text.map(entities.unescape, na_action="ignore")
 
 
 def _text(element: str):
     inner = F.regexp_extract("html", rf"(?is)<{element}(?:\s[^>]*)?>(.*?)</{element}\s*>", 1)
     plain = F.regexp_replace(inner, r"(?s)<[^>]*>", "")
-    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        plain = F.replace(plain, F.lit(name), F.lit(char))
-    return squeeze(plain)
+    return squeeze(F.when(plain.contains("&"), decode_entities(plain)).otherwise(plain))
 
 
 def page_title(pages: DataFrame) -> DataFrame:

@@ -7,15 +7,20 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.feature import BucketedRandomProjectionLSH
+from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusflow.operators.embedding import norm
+from corpusflow.sources.scratch import materialize
 
-#: Queries of one pass over the index; their vectors are what is sent to every task.
-QUERY_BLOCK = 4096
+#: Bytes of the queries' vectors that one pass over the index takes, as sent to every task.
+PASS_BYTES = 32 << 20
+#: Scores of one tile: queries of a pass times rows of a batch.
+TILE = 4 << 20
+#: Decimals of a similarity that count for its rank; more would be the noise of its sum.
+RANK_DIGITS = 12
 
 
 def cosine_similarity(a: Column, b: Column) -> Column:
@@ -29,64 +34,109 @@ def filter_profile(embeddings: DataFrame, profile_key: str, dimension: int) -> D
     return embeddings.where((F.col("profile_key") == profile_key) & (F.col("dimension") == dimension))
 
 
-def _rank(scored: DataFrame, k: int) -> DataFrame:
+def _rank(scored: DataFrame, k: int, digits: int) -> DataFrame:
     best = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "chunk_id")
-    return scored.withColumn("initial_rank", F.row_number().over(best)).where(F.col("initial_rank") <= k)
+    ranked = scored.withColumn("initial_rank", F.row_number().over(best)).where(F.col("initial_rank") <= k)
+    return ranked.withColumn("similarity", F.round("similarity", digits))
+
+
+def _unit(column: pa.Array) -> np.ndarray:
+    """Vectors of length 1; not-a-numbers for zero vectors."""
+    values = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    table = values.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(values), -1)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return table / np.linalg.norm(table, axis=1, keepdims=True)
+
+
+def _best(scores: np.ndarray, k: int, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of the k highest scores of each row that reach its floor; of equal scores the
+    first columns."""
+    k = min(k, scores.shape[1])
+    least = np.maximum(np.partition(scores, -k, axis=1)[:, -k], floor)
+    met = (scores >= least[:, None]) & (scores > -np.inf)
+    for i in np.flatnonzero(met.sum(1) > k):  # ties at the end
+        at = np.flatnonzero(met[i])
+        met[i] = False
+        met[i, at[np.argsort(-scores[i, at], kind="stable")[:k]]] = True
+    return np.nonzero(met)
+
+
+def _by_id(column: pa.Array) -> np.ndarray:
+    """Order of the ids, so that equal scores go to the least id."""
+    return np.argsort(np.array(column.to_pylist(), object if pa.types.is_string(column.type) else None), kind="stable")
+
+
+def _scored(ids: pa.Array, vectors: np.ndarray, chunk: pa.Array, unit: np.ndarray, k: int, threshold: float | None, digits: int, floors: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """query_id, chunk_id and similarity of each query's k best chunks of a batch, tile by tile.
+    floors: each query's k-th score so far (columns are its k best), which batches raise."""
+    order = _by_id(chunk)
+    chunk, unit = chunk.take(pa.array(order)), unit[order]
+    step = max(1, TILE // max(1, len(chunk)))
+    for i in range(0, len(ids), step):
+        with np.errstate(invalid="ignore"):
+            scores = np.round(vectors[i : i + step] @ unit.T, RANK_DIGITS)
+        low = np.isnan(scores)
+        if threshold is not None:
+            low |= np.round(scores, digits) < threshold
+        scores[low] = -np.inf
+        row, column = _best(scores, k, floors[i : i + step, 0])
+        found = scores[row, column]
+        if len(row):
+            both = np.full((len(scores), 2 * k), -np.inf)
+            both[:, :k] = floors[i : i + step]
+            place = np.arange(len(row)) - np.searchsorted(row, row)
+            both[row, k + place] = found
+            floors[i : i + step] = np.sort(both, axis=1)[:, k:]
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(row + i)), chunk.take(pa.array(column)), pa.array(found)], names=["query_id", "chunk_id", "similarity"])
 
 
 def retrieve_topk(queries: DataFrame, index: DataFrame, k: int, threshold: float | None = None, digits: int = 6) -> DataFrame:
     """query_id, chunk_id, similarity and initial_rank of the k nearest chunks of each query.
 
-    queries: query_id, embedding; index: chunk_id, embedding. Similarities are rounded, ordered
-    descending, ties by chunk_id; those below the threshold are left out (null keeps all).
-    Queries are taken in blocks; each batch of the index is multiplied with a block as a matrix
-    and passes on at most k rows a query, so no pair of rows is ever formed outside a task.
+    queries: query_id, embedding; index: chunk_id, embedding. Ordered by similarity descending, ties
+    by chunk_id; similarities are rounded after that, and rounded ones below the threshold are left
+    out (null keeps all).
+
+    A pass over the index takes queries of PASS_BYTES at most, which are sent to every task; if
+    there are more, each pass's result is written before the next one's queries are fetched. A task
+    multiplies them with batches of the index tile by tile, and passes on what may be among a
+    query's k best; no pair of rows is ever formed outside a task.
     """
-    n = queries.count()
-    blocks = max(1, -(-n // QUERY_BLOCK))
+    spark = queries.sparkSession
+    queries = queries.where("embedding is not null").select("query_id", "embedding")
+    size = queries.agg(F.coalesce(F.sum(4 * F.size("embedding")), F.lit(0)).alias("n")).first().n
+    passes = max(1, -(-size // PASS_BYTES))
     kind = {f.name: f.dataType.simpleString() for f in [*queries.schema, *index.schema]}
     schema = f"query_id {kind['query_id']}, chunk_id {kind['chunk_id']}, similarity double"
+    rows = index.where("embedding is not null").select("chunk_id", "embedding")
 
-    def unit(column: pa.Array) -> np.ndarray:
-        values = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-        table = values.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(values), -1)
-        with np.errstate(invalid="ignore", divide="ignore"):
-            return table / np.linalg.norm(table, axis=1, keepdims=True)
-
-    parts = []
-    for b in range(blocks):
-        block = queries.where("embedding is not null")
-        block = (block if blocks == 1 else block.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)).select("query_id", "embedding").toArrow()
+    def one(block: DataFrame) -> DataFrame:
+        block = block.toArrow()
         if not block.num_rows:
-            continue
-        sent = queries.sparkSession.sparkContext.broadcast((block.column("query_id").combine_chunks(), unit(block.column("embedding"))))
+            return spark.createDataFrame([], schema)
+        sent = spark.sparkContext.broadcast((block.column("query_id").combine_chunks(), _unit(block.column("embedding"))))
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, vectors = sent.value
+            floors = np.full((len(ids), k), -np.inf)
             for batch in batches:
-                if not batch.num_rows:
-                    continue
-                chunk = batch.column(0)
-                order = np.argsort(np.array(chunk.to_pylist(), object if pa.types.is_string(chunk.type) else None), kind="stable")
-                chunk = chunk.take(pa.array(order))
-                with np.errstate(invalid="ignore"):
-                    scores = np.round(vectors @ unit(batch.column(1))[order].T, digits)
-                scores = np.where(np.isnan(scores) | (scores < (threshold if threshold is not None else -2)), -np.inf, scores)
-                top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-                row, column = np.repeat(np.arange(len(ids)), top.shape[1]), top.ravel()
-                kept = np.isfinite(scores[row, column])
-                row, column = row[kept], column[kept]
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), chunk.take(pa.array(column)), pa.array(scores[row, column])], names=["query_id", "chunk_id", "similarity"])
-
-        parts.append(index.where("embedding is not null").select("chunk_id", "embedding").mapInArrow(run, schema))
-    if not parts:
-        return queries.sparkSession.createDataFrame([], schema + ", initial_rank int")
-    return _rank(reduce(DataFrame.unionByName, parts), k)
+                if batch.num_rows:
+                    yield from _scored(ids, vectors, batch.column(0), _unit(batch.column(1)), k, threshold, digits, floors)
+
+        found = rows.mapInArrow(run, schema)
+        if passes == 1:
+            return found
+        found = materialize(_rank(found, k, RANK_DIGITS).drop("initial_rank"), "topk")
+        sent.destroy()
+        return found
+
+    dealt = F.pmod(F.xxhash64("query_id"), F.lit(passes))
+    return _rank(reduce(DataFrame.unionByName, [one(queries if passes == 1 else queries.where(dealt == i)) for i in range(passes)]), k, digits)
 
 
 def join_chunk_metadata(ranked: DataFrame, chunks: DataFrame, documents: DataFrame) -> DataFrame:
     """Adds the chunk's and its document's columns after ranking, so text never passes a sort."""
-    return ranked.join(chunks, "chunk_id").join(documents, "document_id")
+    return ranked.join(chunks.hint("merge"), "chunk_id").join(documents.hint("merge"), "document_id")
 
 
 def semantic_search(questions: DataFrame, embed_fn: Callable[[DataFrame], DataFrame], index: DataFrame, k: int, threshold: float | None = None) -> DataFrame:
@@ -94,20 +144,73 @@ def semantic_search(questions: DataFrame, embed_fn: Callable[[DataFrame], DataFr
     return retrieve_topk(embed_fn(questions).select(F.col("question_id").alias("query_id"), "embedding"), index, k, threshold)
 
 
-def retrieve_approx(queries: DataFrame, index: DataFrame, k: int, bucket: float = 0.9, tables: int = 8, distance: float = 1.3, seed: int = 7) -> DataFrame:
-    """Approximate top k: unit vectors that share a random-projection bucket in some table are
-    candidates, which are then ranked exactly. For index tables too large to scan per block."""
-    vector = lambda df, key: df.select(F.col(key), "embedding", array_to_vector(F.transform("embedding", lambda x: x / norm(F.col("embedding")))).alias("v"))
-    q, i = vector(queries, "query_id"), vector(index, "chunk_id")
-    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket, numHashTables=tables, seed=seed).fit(i)
-    near = model.approxSimilarityJoin(q, i, distance).select(F.col("datasetA.query_id").alias("query_id"), F.col("datasetB.chunk_id").alias("chunk_id"), F.round(1 - F.col("distCol") * F.col("distCol") / 2, 6).alias("similarity"))
-    return _rank(near.dropDuplicates(["query_id", "chunk_id"]), k)
+def train_lists(index: DataFrame, sample: int = 20_000, rows_per_list: int = 8, most: int = 4096, seed: int = 7) -> np.ndarray:
+    """Centres of inverted lists, by k-means on a bounded sample of unit vectors: the `sample` rows
+    with the least id hashes. A list for each rows_per_list rows of the sample, `most` at most."""
+    known = index.where("embedding is not null").withColumn("n", norm(F.col("embedding"))).where("n > 0")
+    chosen = known.orderBy(F.xxhash64("chunk_id")).limit(sample)
+    unit = materialize(chosen.select(array_to_vector(F.transform("embedding", lambda x: x / F.col("n"))).alias("features")), "ann-sample")
+    lists = min(most, max(1, unit.count() // rows_per_list))
+    if unit.isEmpty():
+        return np.zeros((0, 0))
+    centres = np.array(KMeans(k=lists, seed=seed, maxIter=12, initMode="random").fit(unit).clusterCenters())
+    return centres / np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12)
+
+
+def _to_lists(rows: DataFrame, key: str, centres: np.ndarray, probes: int) -> DataFrame:
+    """key, embedding and list, a row for each of the `probes` nearest centres. The centres are a
+    bounded number (see train_lists)."""
+    kind = {f.name: f.dataType.simpleString() for f in rows.schema}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            unit = _unit(batch.column(1)) if batch.num_rows else np.zeros((0, 1))
+            good = np.flatnonzero(np.isfinite(unit).all(1))
+            if not len(good):
+                continue
+            near = np.argsort(-(unit[good] @ centres.T), axis=1, kind="stable")[:, :probes]
+            at = pa.array(np.repeat(good, near.shape[1]))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(near.ravel().astype(np.int32))], names=[key, "embedding", "list"])
+
+    return rows.where("embedding is not null").select(key, "embedding").mapInArrow(run, f"{key} {kind[key]}, embedding {kind['embedding']}, list int")
+
+
+def retrieve_approx(queries: DataFrame, index: DataFrame, k: int, probe_share: float = 0.4, part_rows: int = 8192, digits: int = 6, centres: np.ndarray | None = None) -> DataFrame:
+    """Approximate top k by inverted lists: every index row is in the list of its nearest centre, and
+    a query is compared with the rows of its nearest lists, exactly: a share of all lists, which
+    the test vectors, being spread evenly, need to be as large as this for a recall of 0.9.
+
+    Lists of over part_rows rows are cut into parts by hash, so that a hot list is many bounded
+    groups; the queries that probe it go to each part."""
+    centres = train_lists(index) if centres is None else centres
+    kind = {f.name: f.dataType.simpleString() for f in [*queries.schema, *index.schema]}
+    schema = f"query_id {kind['query_id']}, chunk_id {kind['chunk_id']}, similarity double"
+    if not len(centres):
+        return _rank(queries.sparkSession.createDataFrame([], schema), k, digits)
+    rows = materialize(_to_lists(index, "chunk_id", centres, 1), "ann-lists")
+    sizes = materialize(rows.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / part_rows).alias("parts")), "ann-sizes")
+    parts = {r.list: r.parts for r in sizes.collect()}  # a row a list
+    cut = F.create_map(*(x for n, p in parts.items() for x in (F.lit(n), F.lit(int(p)))))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("chunk_id"), cut[F.col("list")]).cast("int"))
+    asked = _to_lists(queries, "query_id", centres, max(1, round(probe_share * len(centres)))).withColumn("parts", F.try_element_at(cut, F.col("list"))).where("parts is not null")
+    asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids = left.column("query_id").combine_chunks()
+        found: list[pa.RecordBatch] = []
+        if left.num_rows and right.num_rows:
+            found = list(_scored(ids, _unit(left.column("embedding")), right.column("chunk_id").combine_chunks(), _unit(right.column("embedding")), k, None, digits, np.full((len(ids), k), -np.inf)))
+        names = {"query_id": left.schema.field("query_id").type, "chunk_id": right.schema.field("chunk_id").type, "similarity": pa.float64()}
+        return pa.Table.from_batches(found, pa.schema(names.items()))
+
+    found = asked.groupBy("list", "part").cogroup(rows.groupBy("list", "part")).applyInArrow(run, schema)
+    return _rank(found, k, digits)
 
 
 def ann_recall(approx: DataFrame, exact: DataFrame) -> DataFrame:
     """query_id and recall: the share of the exact chunks that the approximate result has."""
     met = approx.select("query_id", "chunk_id", F.lit(1).alias("met"))
-    return exact.join(met, ["query_id", "chunk_id"], "left").groupBy("query_id").agg(F.round(F.avg(F.coalesce("met", F.lit(0))), 6).alias("recall"))
+    return exact.join(met.hint("merge"), ["query_id", "chunk_id"], "left").groupBy("query_id").agg(F.round(F.avg(F.coalesce("met", F.lit(0))), 6).alias("recall"))
 
 
 def threshold_sweep(candidates: DataFrame, thresholds: list[float]) -> DataFrame:

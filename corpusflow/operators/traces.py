@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def fan_out_models(evidence: DataFrame, gated: DataFrame, models: list[str]) -> DataFrame:
     """The same evidence once for each model (a short list, exploded); refusals get none."""
     open_questions = gated.where("status = 'Eligible'").select("question_id")
-    return evidence.join(open_questions, "question_id", "left_semi").withColumn("model", F.explode(F.array(*map(F.lit, models))))
+    return evidence.join(open_questions.hint("merge"), "question_id", "left_semi").withColumn("model", F.explode(F.array(*map(F.lit, models))))
 
 
 def model_outcomes(runs: DataFrame) -> DataFrame:
@@ -31,6 +31,21 @@ def trace_rollup(results: DataFrame) -> DataFrame:
     return results.groupBy("trace_id", "stage").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("source").alias("sources"), F.max("similarity").alias("best"), F.min("similarity").alias("worst"))
 
 
+def similarity_by_rank(results: DataFrame, most: int = 20) -> DataFrame:
+    """trace_id, stage, position (from 1) and similarity of each stage's `most` best results; equal
+    ones by source. The cap is the report's own."""
+    best = Window.partitionBy("trace_id", "stage").orderBy(F.desc("similarity"), "source")
+    ranked = results.select("trace_id", "stage", "source", "similarity").withColumn("position", F.row_number().over(best))
+    return ranked.where(F.col("position") <= most).select("trace_id", "stage", "position", "similarity")
+
+
+def stage_counts(results: DataFrame, stages: list[str]) -> DataFrame:
+    """One row a trace: how many results each of the named stages had (candidates, results, evidence,
+    citations), and in all."""
+    counts = [F.count_if(F.col("stage") == s).alias(f"n_{s}") for s in stages]
+    return results.groupBy("trace_id").agg(*counts, F.count(F.lit(1)).alias("n"))
+
+
 def sample_traces(traces: DataFrame, rate: float, parts: int = 10_000) -> DataFrame:
     """The traces whose id hashes below the rate: the same ids on every run."""
     bucket = F.conv(F.substring(F.md5(F.col("trace_id").cast("string")), 1, 8), 16, 10).cast("long") % parts

@@ -37,14 +37,14 @@ def _questions(spark: Spark, sf: str) -> DataFrame:
     """Query vectors as questions whose text is the document of the same id."""
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("question_id"), "text")
     rows = table(spark, sf, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("question_id"))
-    return answers.with_language(rows.join(docs, "question_id"))
+    return answers.with_language(rows.join(docs.hint("merge"), "question_id"))
 
 
 def _candidates(spark: Spark, sf: str) -> DataFrame:
     """The ten nearest other vectors of each question, with their documents."""
     near = _top(spark, sf, 11).where("chunk_id <> query_id").withColumnRenamed("query_id", "question_id").drop("initial_rank")
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("title"), F.col("lang").alias("section"), F.concat(F.lit("https://corpus.example/"), "doc_id").alias("url"), F.col("text").alias("content"), F.col("source").alias("document_id"))
-    return near.join(docs, "chunk_id").withColumn("initial_rank", F.expr("cast(row_number() over (partition by question_id order by similarity desc, chunk_id) as int)"))
+    return near.join(docs.hint("merge"), "chunk_id").withColumn("initial_rank", F.expr("cast(row_number() over (partition by question_id order by similarity desc, chunk_id) as int)"))
 
 
 CANDIDATES = f"{top_sql(11)}, questions AS (SELECT doc_id AS question_id, text, {LANGUAGE} AS language FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings WHERE vec_id % 100 = 0)), candidates AS (SELECT query_id AS question_id, chunk_id, similarity, source AS document_id, lang AS section, text AS content, 'https://corpus.example/' || doc_id AS url, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, chunk_id) AS initial_rank FROM top JOIN documents ON doc_id = chunk_id WHERE chunk_id <> query_id)"
@@ -108,12 +108,24 @@ def top_evidence(spark: Spark, sf: str) -> DataFrame:
     return answers.top_evidence(_reranked(spark, sf)).select("question_id", "chunk_id", "final_rank")
 
 
-@query()
+def _prompt_sql(cte: str, rules: str, tell: str, rank: str, fields: dict[str, str], tail: str) -> str:
+    """Prompts by string_agg; fields: name to column."""
+    lines = " || ".join(f"chr(10) || '{name}: ' || to_json(coalesce({column}, ''))::VARCHAR" for name, column in fields.items())
+    return f"""WITH {cte}, sources AS (SELECT question_id, string_agg('SOURCE ' || n || {lines}, chr(10) || chr(10) ORDER BY n) AS listed, count(*)::INTEGER AS source_count
+  FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY {rank}) AS n FROM picked) GROUP BY 1)
+SELECT question_id, '{rules}' {tell} AS system, 'Question: ' || to_json(text)::VARCHAR || chr(10) || chr(10) || listed {tail} AS "user", source_count FROM questions JOIN sources USING (question_id)"""
+
+
+@query(_prompt_sql(f"{CANDIDATES}, picked AS (SELECT * FROM candidates)", answers.RANK_RULES, "", "initial_rank", {"title": "document_id", "section": "section", "text": "content"}, ""))
 def build_rerank_prompt(spark: Spark, sf: str) -> DataFrame:
     return answers.build_rerank_prompt(_questions(spark, sf), _candidates(spark, sf))
 
 
-@query()
+TELL = "|| CASE language WHEN 'Russian' THEN chr(10) || 'Answer strictly in Russian.' WHEN 'English' THEN chr(10) || 'Answer strictly in English.' ELSE '' END"
+AGAIN = "|| chr(10) || chr(10) || 'The question again: ' || to_json(text)::VARCHAR"
+
+
+@query(_prompt_sql(f"{RERANKED}, picked AS (SELECT * FROM reranked WHERE final_rank <= 3)", answers.ANSWER_RULES, TELL, "final_rank", {"title": "document_id", "section": "section", "url": "url", "text": "content"}, AGAIN))
 def build_answer_prompt(spark: Spark, sf: str) -> DataFrame:
     return answers.build_answer_prompt(_questions(spark, sf), answers.top_evidence(_reranked(spark, sf)))
 
@@ -244,6 +256,16 @@ def trace_rollup(spark: Spark, sf: str) -> DataFrame:
     return traces.trace_rollup(_traces(spark, sf))
 
 
+@query("SELECT trace_id, stage, position, similarity FROM (SELECT user_id AS trace_id, event_type AS stage, value AS similarity, row_number() OVER (PARTITION BY user_id, event_type ORDER BY value DESC, json_extract_string(props, '$.k')) AS position FROM events) WHERE position <= 20")
+def similarity_by_rank(spark: Spark, sf: str) -> DataFrame:
+    return traces.similarity_by_rank(_traces(spark, sf))
+
+
+@query("SELECT user_id AS trace_id, count(*) FILTER (event_type = 'click') AS n_click, count(*) FILTER (event_type = 'view') AS n_view, count(*) FILTER (event_type = 'purchase') AS n_purchase, count(*) AS n FROM events GROUP BY 1")
+def stage_counts(spark: Spark, sf: str) -> DataFrame:
+    return traces.stage_counts(_traces(spark, sf), ["click", "view", "purchase"])
+
+
 @query("SELECT user_id AS trace_id, count(*) AS n FROM events WHERE ('0x' || substr(md5(user_id::VARCHAR), 1, 8))::BIGINT % 10000 < 2500 GROUP BY 1")
 def sample_traces(spark: Spark, sf: str) -> DataFrame:
     return traces.sample_traces(_traces(spark, sf), 0.25).groupBy("trace_id").agg(F.count(F.lit(1)).alias("n"))

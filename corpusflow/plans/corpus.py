@@ -76,10 +76,16 @@ def extract_all_links(spark: Spark, sf: str) -> DataFrame:
     return links.all_links(table(spark, sf, "pages"))
 
 
-@query()
+@query(f"WITH {ANCHORS}, h AS (SELECT min(regexp_extract(url, '^https://([^/?#]*)', 1)) AS host FROM pages WHERE url LIKE 'https://%') SELECT DISTINCT url, target FROM anchors, h WHERE target LIKE 'https://' || host || '/%' AND target NOT LIKE '%?%' AND target NOT LIKE '%#%' AND target <> url")
 def extract_links(spark: Spark, sf: str) -> DataFrame:
-    """Direct members' links, within each page's own markup; hosts of the test pages."""
-    return links.extract_links(table(spark, sf, "pages"), Rules("tionsh.example.net"))
+    """Each page's anchors put into a table of direct members; links to the first host by name."""
+    pages = table(spark, sf, "pages")
+    secure = pages.where(F.col("url").startswith("https://"))
+    host = secure.agg(F.min(F.regexp_extract("url", "^https://([^/?#]*)", 1)).alias("h")).first().h
+    anchors = F.array_join(F.regexp_extract_all("html", F.lit(r"(?is)<a\s[^>]*>.*?</a>"), F.lit(0)), "</td></tr><tr><td>")
+    head, tail = '<div class="section"><div class="subsection"><h3>Public Methods</h3><table class="list"><tr><td>', "</td></tr></table></div></div>"
+    made = pages.select("url", F.concat(F.lit(head), anchors, F.lit(tail)).alias("html"))
+    return links.extract_links(made, Rules(host or "", suffix=""))
 
 
 @query(r"SELECT page_id, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || '/up.html' AS rooted, regexp_extract(url, '^([a-z]+://[^?#]*/)', 1) || 'next.html' AS relative, regexp_extract(url, '^([a-z]+):', 1) || '://other.example/x' AS other, regexp_extract(url, '^([^?#]*)', 1) || '?p=2' AS queried FROM pages")
@@ -128,7 +134,7 @@ def html_blocks(spark: Spark, sf: str) -> DataFrame:
 @query()
 def process_documents(spark: Spark, sf: str) -> DataFrame:
     pages = table(spark, sf, "pages")
-    titles = pages.select("page_id", "url").join(links.page_title(pages), "url").select("page_id", "title")
+    titles = pages.select("page_id", "url").join(links.page_title(pages).hint("merge"), "url").select("page_id", "title")
     return blocks.process_documents(blocks.html_blocks(pages, "page_id", container=None), titles, "page_id")
 
 
@@ -237,9 +243,19 @@ def check_unique(spark: Spark, sf: str) -> DataFrame:
     return integrity.check_unique(processed(spark, sf), ["content_hash"], "repeated_text")
 
 
-@query("SELECT 'document_without_label' AS rule, doc_id::VARCHAR AS key, doc_id::VARCHAR AS detail FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+LOST = "SELECT '{rule}' AS rule, {key}::VARCHAR AS key, {key}::VARCHAR AS detail FROM {child} WHERE {key} NOT IN (SELECT {other} FROM {parent})"
+REFERENCES = [
+    ("document_without_label", "documents", "doc_id", "labels", "doc_id"),
+    ("chunk_without_document", "benchmark", "item_id", "documents", "doc_id"),
+    ("embedding_without_chunk", "embeddings", "vec_id", "benchmark", "item_id"),
+    ("chunk_without_embedding", "documents", "doc_id", "embeddings", "vec_id"),
+]
+
+
+@query(" UNION ALL ".join(LOST.format(rule=r, child=c, key=k, parent=p, other=o) for r, c, k, p, o in REFERENCES))
 def check_references(spark: Spark, sf: str) -> DataFrame:
-    return integrity.check_references(table(spark, sf, "documents"), table(spark, sf, "labels"), "doc_id", "doc_id", "document_without_label")
+    """The rules of an index, with given tables in the place of its own."""
+    return integrity.union(*(integrity.check_references(table(spark, sf, c), table(spark, sf, p).withColumnRenamed(o, k), k, k, r) for r, c, k, p, o in REFERENCES))
 
 
 @query(f"WITH {FIXED} SELECT 'token_count' AS rule, {CHUNK_ID} AS key, '0' AS detail FROM chunks WHERE ordinal = 0")
@@ -259,12 +275,20 @@ def check_constraints(spark: Spark, sf: str) -> DataFrame:
     return integrity.check_constraints(_damaged(spark, sf), "chunk_id", integrity.chunk_rules())
 
 
-@query(f"WITH {RAW} SELECT 'headers_differ' AS rule, 'documents' AS key, 'chunks' AS detail WHERE (SELECT count(*) FROM raw) > 0")
+HEADERS = "heads AS (SELECT 'documents' AS side, (SELECT count(DISTINCT source) FROM documents) AS corpus_version, (SELECT max(len(embedding)) FROM embeddings) AS chunk_size, (SELECT max(turn) FROM conversations) AS overlap UNION ALL SELECT 'chunks', (SELECT count(DISTINCT lang) FROM documents), (SELECT min(label) FROM embeddings), (SELECT max(turn) FROM conversations))"
+
+
+@query(f"WITH {HEADERS} SELECT 'header_invalid' AS rule, side AS key, '1' AS detail FROM heads WHERE NOT (chunk_size > 0 AND overlap >= 0 AND overlap < chunk_size) UNION ALL SELECT 'headers_differ', 'documents', 'chunks' FROM heads a JOIN heads b ON a.side = 'documents' AND b.side = 'chunks' AND (a.corpus_version, a.chunk_size, a.overlap) <> (b.corpus_version, b.chunk_size, b.overlap)")
 def check_headers(spark: Spark, sf: str) -> DataFrame:
-    """Headers that say how many pages there were, of two runs of different overlap."""
-    n = raw_pages(spark, sf).agg(F.count(F.lit(1)).alias("corpus_version")).where("corpus_version > 0")
-    header = lambda overlap: n.select(F.lit(1).alias("version"), "corpus_version", F.lit(64).alias("chunk_size"), F.lit(overlap).alias("overlap"))
-    return integrity.check_headers(header(8), header(16))
+    """Headers whose numbers are counted from the tables."""
+    docs, vectors, turns = (table(spark, sf, t) for t in ("documents", "embeddings", "conversations"))
+    overlap = turns.agg(F.max("turn").cast("int").alias("overlap"))
+
+    def header(column: str, size):
+        # One row a side.
+        return docs.agg(F.countDistinct(column).alias("corpus_version")).join(vectors.agg(size.cast("int").alias("chunk_size"))).join(overlap).withColumn("version", F.lit(1))
+
+    return integrity.check_headers(header("source", F.max(F.size("embedding"))), header("lang", F.min("label")))
 
 
 @query("SELECT rule, 'c' || conv_id || '-' || turn AS key, NULL::VARCHAR AS detail FROM conversations, (VALUES ('category', 'system'), ('answered_needs_evidence', 'assistant')) r(rule, who) WHERE role = who UNION ALL SELECT 'status_of_category', 'c' || conv_id || '-' || turn, NULL FROM conversations WHERE role <> 'user'")

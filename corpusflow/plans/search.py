@@ -29,8 +29,8 @@ def _top(spark: Spark, sf: str, k: int = K, threshold: float | None = 0.0) -> Da
 
 def top_sql(k: int = K, threshold: float = 0.0) -> str:
     return f"""q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 100 = 0),
-scored AS (SELECT query_id, vec_id AS chunk_id, label, round(list_cosine_similarity(q.e, i.embedding::DOUBLE[]), 6) AS similarity FROM q, embeddings i),
-top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, chunk_id) AS initial_rank FROM scored WHERE similarity >= {threshold} QUALIFY initial_rank <= {k})"""
+scored AS (SELECT query_id, vec_id AS chunk_id, label, list_cosine_similarity(q.e, i.embedding::DOUBLE[]) AS full_similarity, round(full_similarity, 6) AS similarity FROM q, embeddings i),
+top AS (SELECT * EXCLUDE (full_similarity), row_number() OVER (PARTITION BY query_id ORDER BY round(full_similarity, 12) DESC, chunk_id) AS initial_rank FROM scored WHERE similarity >= {threshold} QUALIFY initial_rank <= {k})"""
 
 
 @query(f"WITH {top_sql(5)} SELECT query_id, chunk_id, similarity, initial_rank FROM top")
@@ -106,7 +106,7 @@ def format_embedding_input(spark: Spark, sf: str) -> DataFrame:
 @query("WITH e AS (SELECT vec_id || '|local:model-b:64' AS key, label FROM embeddings) SELECT 'vector_length' AS rule, key, '64' AS detail FROM e WHERE label = 9 UNION ALL SELECT 'not_finite', key, '64' FROM e WHERE label = 8 UNION ALL SELECT 'zero_vector', key, '64' FROM e WHERE label = 7 UNION ALL SELECT 'repeated', key, '2' FROM e WHERE label = 6")
 def validate_embeddings(spark: Spark, sf: str) -> DataFrame:
     """Vectors damaged by label: 9 too short, 8 infinite, 7 zero, 6 twice."""
-    rows = _profiled(spark, sf).join(table(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), "label"), "chunk_id")
+    rows = _profiled(spark, sf).join(table(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), "label").hint("merge"), "chunk_id")
     bad = F.when(F.col("label") == 9, F.slice("embedding", 1, 63)).when(F.col("label") == 8, F.transform("embedding", lambda x: F.lit(float("inf")).cast("float"))).when(F.col("label") == 7, F.transform("embedding", lambda x: F.lit(0.0).cast("float")))
     rows = rows.withColumn("embedding", F.coalesce(bad, "embedding"))
     rows = rows.unionByName(rows.where("label = 6")).drop("label")
@@ -124,10 +124,18 @@ def retrieve_approx(spark: Spark, sf: str) -> DataFrame:
 
 
 @query()
-def ann_recall(spark: Spark, sf: str) -> DataFrame:
+def ann_recall_of_lists(spark: Spark, sf: str) -> DataFrame:
+    """Recall of retrieve_approx against the exact result."""
     return retrieval.ann_recall(retrieval.retrieve_approx(_queries(spark, sf), _vectors(spark, sf), 5), _top(spark, sf, 5, None))
 
 
+@query(f"WITH {top_sql(5, -1)}, half AS (SELECT query_id, chunk_id FROM scored WHERE label < 5 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(full_similarity, 12) DESC, chunk_id) <= 5) SELECT t.query_id, round(avg((h.chunk_id IS NOT NULL)::INTEGER), 6) AS recall FROM top t LEFT JOIN half h USING (query_id, chunk_id) GROUP BY 1")
+def ann_recall(spark: Spark, sf: str) -> DataFrame:
+    """Recall of a search that knows only the vectors of labels below 5."""
+    half = table(spark, sf, "embeddings").where("label < 5").select(F.col("vec_id").alias("chunk_id"), "embedding")
+    return retrieval.ann_recall(retrieval.retrieve_topk(_queries(spark, sf), half, 5, None), _top(spark, sf, 5, None))
+
+
 @query(f"WITH {top_sql()}, t AS (SELECT query_id, similarity, unnest([0.25, 0.35, 0.45, 0.6])::DOUBLE AS threshold FROM top), p AS (SELECT threshold, query_id, count(*) FILTER (similarity >= threshold) AS n FROM t GROUP BY 1, 2) SELECT threshold, sum(n)::BIGINT AS kept, count(*) FILTER (n > 0) AS answered, count(*) FILTER (n = 0) AS refused FROM p GROUP BY 1")
 def threshold_sweep(spark: Spark, sf: str) -> DataFrame:
     return retrieval.threshold_sweep(_top(spark, sf), [0.25, 0.35, 0.45, 0.6])
@@ -148,7 +156,7 @@ def _questions(spark: Spark, sf: str) -> DataFrame:
 
 def _ranked(spark: Spark, sf: str, threshold: float = 0.0) -> DataFrame:
     labels = table(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), _url(F.col("label")).alias("url"))
-    return _top(spark, sf, K, threshold).join(labels, "chunk_id").select(F.col("query_id").alias("question_id"), F.col("initial_rank").alias("rank"), "url", "similarity", "chunk_id")
+    return _top(spark, sf, K, threshold).join(labels.hint("merge"), "chunk_id").select(F.col("query_id").alias("question_id"), F.col("initial_rank").alias("rank"), "url", "similarity", "chunk_id")
 
 
 def metrics_sql(threshold: float = 0.0) -> str:
@@ -214,9 +222,9 @@ def mean_reciprocal_rank(spark: Spark, sf: str) -> DataFrame:
     return evaluation.summarize(_metrics(spark, sf)).select(F.col("mean_reciprocal_rank").alias("mrr"))
 
 
-@query(f"WITH {metrics_sql()} " + " UNION ALL ".join(f"SELECT {k} AS k, round(avg(coverage_{k}), 6) AS mean_coverage FROM metrics" for k in evaluation.KS))
+@query(f"WITH {metrics_sql()} " + " UNION ALL ".join(f"SELECT {k} AS k, " + ", ".join(f"round(avg({n}_{k}), 6) AS mean_{n}" for n in ("hit", "coverage", "all_hit", "precision")) + " FROM metrics" for k in evaluation.KS))
 def topk_sweep(spark: Spark, sf: str) -> DataFrame:
-    return evaluation.metric_by_k(_metrics(spark, sf), "coverage")
+    return evaluation.metrics_by_k(_metrics(spark, sf))
 
 
 @query(f"WITH a AS (WITH {metrics_sql()} SELECT * FROM metrics), b AS (WITH {metrics_sql(0.2)} SELECT * FROM metrics) SELECT question_id, round(b.reciprocal_rank - a.reciprocal_rank, 6) AS delta_reciprocal_rank, round(b.precision_20 - a.precision_20, 6) AS delta_precision_20 FROM a JOIN b USING (question_id)")
@@ -227,7 +235,7 @@ def compare_runs(spark: Spark, sf: str) -> DataFrame:
 
 def _results(spark: Spark, sf: str) -> DataFrame:
     """Questions with the status that a gate at 0.5 gives them."""
-    rows = _questions(spark, sf).join(_top(spark, sf, 2).where("chunk_id <> query_id").groupBy(F.col("query_id").alias("question_id")).agg(F.max("similarity").alias("best")), "question_id", "left")
+    rows = _questions(spark, sf).join(_top(spark, sf, 2).where("chunk_id <> query_id").groupBy(F.col("query_id").alias("question_id")).agg(F.max("similarity").alias("best")).hint("merge"), "question_id", "left")
     return rows.withColumn("status", F.when(F.coalesce(F.col("best") >= 0.5, F.lit(False)), "Answered").otherwise("OutOfDomain"))
 
 
@@ -283,11 +291,13 @@ def upsert_documents(spark: Spark, sf: str) -> DataFrame:
     return index.upsert_documents(old["documents"], batch["documents"])
 
 
-@query("SELECT unnest(['p1', 'p2']) AS profile_key, 1 AS dimension WHERE (SELECT count(*) FROM documents) > 0")
+@query("SELECT 'local:model-' || label || ':' || len(embedding) AS profile_key, CASE WHEN label >= 4 THEN 'batch' ELSE 'index' END AS origin, max(len(embedding)) AS dimension FROM embeddings GROUP BY 1, 2")
 def upsert_profiles(spark: Spark, sf: str) -> DataFrame:
-    old, batch = _old_new(spark, sf)
-    some = table(spark, sf, "documents").agg(F.count(F.lit(1)).alias("n")).where("n > 0").select("n")
-    return index.upsert_profiles(old["profiles"], batch["profiles"]).join(F.broadcast(some)).drop("n")
+    """A profile for each label; the index knows those below 6, the batch brings those from 4 on."""
+    rows = table(spark, sf, "embeddings")
+    key = T.profile_key(F.lit("local"), F.concat(F.lit("Model-"), "label"), F.size("embedding"))
+    profiles = lambda some, origin: rows.where(some).groupBy(key.alias("profile_key")).agg(F.max(F.size("embedding")).alias("dimension")).withColumn("origin", F.lit(origin))
+    return index.upsert_profiles(profiles("label < 6", "index"), profiles("label >= 4", "batch"))
 
 
 @query("SELECT doc_id || '-0' AS chunk_id, doc_id AS document_id, 0 AS ordinal FROM documents WHERE source < 'src5'")

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusflow.operators.integrity import check_artifacts, check_headers
+from corpusflow.sources.scratch import materialize
+
 ARTIFACT_COLUMNS = ["chunk_id", "document_id", "source_url", "document_title", "version", "processed_content_hash", "section", "ordinal", "approximate_token_count", "content"]
 QUESTION_FILE = "version int, questions array<struct<id:string,language:string,category:string,text:string,expectedStatus:string,requiresMultipleSources:boolean,expectedSourceUrls:array<string>,expectedFacts:array<string>>>"
 
@@ -20,7 +23,7 @@ def load_pages(spark: SparkSession, path: str) -> DataFrame:
 def load_corpus(manifest: DataFrame, raw: DataFrame, strict: bool = False) -> DataFrame:
     """Manifest entries with their content and `violation`: MissingContent, HashMismatch (any
     case) or null. In strict mode a violation fails the job."""
-    rows = manifest.join(raw.select("document_id", "content"), "document_id", "left")
+    rows = manifest.join(raw.select("document_id", "content").hint("merge"), "document_id", "left")
     bad = F.when(F.col("content").isNull(), "MissingContent").when(F.lower("content_hash") != F.sha2("content", 256), "HashMismatch")
     if strict:
         bad = F.when(bad.isNotNull(), F.raise_error(F.concat(bad, F.lit(" "), F.col("document_id")))).cast("string")
@@ -30,21 +33,37 @@ def load_corpus(manifest: DataFrame, raw: DataFrame, strict: bool = False) -> Da
 def denormalise(documents: DataFrame, chunks: DataFrame) -> DataFrame:
     """Chunk rows of the artifact: each with its document's URL, title, version and hash."""
     theirs = documents.select("document_id", F.col("canonical_url").alias("source_url"), F.col("title").alias("document_title"), "version", F.col("content_hash").alias("processed_content_hash"))
-    return chunks.join(theirs, "document_id").select(*ARTIFACT_COLUMNS)
+    return chunks.join(theirs.hint("merge"), "document_id").select(*ARTIFACT_COLUMNS)
+
+
+def _reject(violations: DataFrame) -> None:
+    found = violations.limit(1).collect()
+    if found:
+        raise ValueError(f"invalid artifacts: {found[0].rule} {found[0].key} {found[0].detail}")
 
 
 def write_artifacts(documents: DataFrame, chunks: DataFrame, header: dict[str, int], root: str) -> None:
-    """Documents, denormalised chunks (both sorted) and the header, below a new folder."""
+    """Documents, denormalised chunks (both sorted) and either one's header, below a new folder.
+    Artifacts that break a rule of integrity aren't written."""
+    rows = materialize(denormalise(documents, chunks), "artifact-chunks")
+    _reject(check_artifacts(documents, rows))
+    values = [F.lit(v).alias(k) for k, v in header.items()]
+    heads = documents.sparkSession.range(1).select(*values)
+    _reject(check_headers(heads, heads))
     documents.repartitionByRange("document_id").sortWithinPartitions("document_id").write.mode("errorifexists").parquet(f"{root}/documents")
-    rows = denormalise(documents, chunks)
     rows.repartitionByRange("document_id", "ordinal").sortWithinPartitions("document_id", "ordinal").write.mode("errorifexists").parquet(f"{root}/chunks")
-    values = [F.lit(v).alias(k) for k, v in header.items()]
-    documents.sparkSession.range(1).select(*values).write.mode("errorifexists").json(f"{root}/header")
+    for side in ("documents", "chunks"):
+        heads.write.mode("errorifexists").json(f"{root}/header-{side}")
 
 
 def read_artifacts(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Documents, chunks and header as written."""
-    return spark.read.parquet(f"{root}/documents"), spark.read.parquet(f"{root}/chunks"), spark.read.json(f"{root}/header")
+    """Documents, chunks and header as written, in order of document and ordinal; artifacts that
+    break a rule, or whose headers differ, are rejected."""
+    documents, chunks = spark.read.parquet(f"{root}/documents"), spark.read.parquet(f"{root}/chunks")
+    mine, theirs = (spark.read.json(f"{root}/header-{side}") for side in ("documents", "chunks"))
+    _reject(check_headers(mine, theirs))
+    _reject(check_artifacts(documents, chunks))
+    return documents.orderBy("document_id"), chunks.orderBy("document_id", "ordinal"), mine
 
 
 def load_questions(spark: SparkSession, path: str) -> DataFrame:

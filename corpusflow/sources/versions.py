@@ -1,0 +1,62 @@
+"""Tables in versions, cut into buckets, of which a new version writes only those that change.
+
+Plain files have no transactions. A version's rows go to a folder of its own; the last write is
+one small file of a pointer table, a row for each bucket that changed: version, name, bucket and
+folder. Readers take each bucket's last pointer, so they see a whole version or none of it, and
+buckets that a version doesn't touch stay where they are.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+POINTER = "version long, name string, bucket int, folder string"
+BUCKETS = 64
+
+
+def bucket_of(key: Column, buckets: int = BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
+
+def pointers(spark: SparkSession, root: str, before: int | None = None) -> dict[tuple[str, int], str | None]:
+    """Folder of each (name, bucket); a row a table and bucket. before: only of versions below."""
+    try:
+        rows = spark.read.schema(POINTER).parquet(f"{root}/pointer")
+    except Exception as missing:  # noqa: BLE001
+        if "PATH_NOT_FOUND" not in str(missing):
+            raise
+        return {}
+    rows = rows if before is None else rows.where(F.col("version") < before)
+    last = rows.groupBy("name", "bucket").agg(F.max_by("folder", "version").alias("folder"))
+    return {(r.name, r.bucket): r.folder for r in last.collect()}
+
+
+def read(spark: SparkSession, found: dict[tuple[str, int], str | None], name: str, schema: str | None = None, only: list[int] | None = None) -> DataFrame:
+    """A table (or some of its buckets) by the pointers of one moment; empty if there is none, for
+    which its schema must be given."""
+    folders = sorted(f for (n, b), f in found.items() if n == name and f and (only is None or b in only))
+    if not folders:
+        return spark.createDataFrame([], schema)
+    return (spark.read.schema(schema) if schema else spark.read).parquet(*folders)
+
+
+def publish(spark: SparkSession, root: str, version: int, tables: dict[str, DataFrame], touched: dict[str, list[int]]) -> None:
+    """Writes the touched buckets of tables (which have a column bucket) and then their pointers.
+    A touched bucket without rows is empty from this version on. Versions must grow; one that is
+    written again replaces itself."""
+    rows = []
+    for name, table in tables.items():
+        folder = f"{root}/{name}-{version}-{uuid.uuid4().hex}"
+        table.repartition("bucket").write.partitionBy("bucket").parquet(folder)
+        written = spark.read.schema(f"{table.columns[0]} {table.dtypes[0][1]}, bucket int").parquet(folder)
+        full = set(touched_by(written))
+        rows += [(version, name, b, f"{folder}/bucket={b}" if b in full else None) for b in touched[name]]
+    spark.createDataFrame(rows, POINTER).coalesce(1).write.mode("append").parquet(f"{root}/pointer")
+
+
+def touched_by(table: DataFrame) -> list[int]:
+    """The buckets that a table has rows in, at most as many as there are buckets."""
+    return sorted(r.bucket for r in table.select("bucket").distinct().collect())

@@ -8,31 +8,28 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from corpusflow.operators.ingest import classify_changes, last_arrival, merge_manifest
+from corpusflow.sources import versions
+from corpusflow.sources.scratch import materialize
 
 MANIFEST = "document_id string, canonical_url string, title string, content_hash string, retrieved_at timestamp, file_name string"
 
 
-def read_manifest(spark: SparkSession, root: str, before: int | None = None) -> DataFrame:
-    """The manifest after the last batch (or the last before a given one); empty at first."""
-    try:
-        versions = spark.read.parquet(f"{root}/versions")
-    except Exception as missing:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(missing):
-            raise
-        return spark.createDataFrame([], MANIFEST)
-    known = versions if before is None else versions.where(F.col("batch") < before)
-    last = known.agg(F.max("batch").alias("b")).first().b
-    return spark.createDataFrame([], MANIFEST) if last is None else spark.read.schema(MANIFEST).parquet(f"{root}/batch={last}")
+def read_manifest(spark: SparkSession, root: str, before: int | None = None, only: list[int] | None = None) -> DataFrame:
+    """The manifest after the last batch (or the last before a given one), or some of its buckets;
+    empty at first."""
+    return versions.read(spark, versions.pointers(spark, root, before), "manifest", MANIFEST, only)
 
 
 def ingest_batch(incoming: DataFrame, batch: int, root: str) -> None:
-    """Writes the changes and the manifest of one batch to folders of its number, so that a
-    replayed batch overwrites itself; its version row is the last write."""
+    """Writes the changes of one batch, and those buckets of the manifest that have its documents.
+    A replayed batch overwrites itself; its pointers are the last write."""
     spark = incoming.sparkSession
-    manifest, latest = read_manifest(spark, root, before=batch), last_arrival(incoming, "retrieved_at")
+    latest = materialize(last_arrival(incoming, "retrieved_at").withColumn("bucket", versions.bucket_of(F.col("document_id"))), "stream-batch")
+    touched = versions.touched_by(latest)
+    manifest, latest = read_manifest(spark, root, batch, touched), latest.drop("bucket")
     classify_changes(manifest, latest).select("document_id", "change").write.mode("overwrite").parquet(f"{root}/changes/batch={batch}")
-    merge_manifest(manifest, latest).write.mode("overwrite").parquet(f"{root}/batch={batch}")
-    spark.range(1).select(F.lit(batch).alias("batch")).write.mode("append").parquet(f"{root}/versions")
+    after = merge_manifest(manifest, latest).withColumn("bucket", versions.bucket_of(F.col("document_id")))
+    versions.publish(spark, root, batch, {"manifest": after}, {"manifest": touched})
 
 
 def stream_ingest_changes(pages: DataFrame, root: str, checkpoint: str, first_batch: int = 0) -> StreamingQuery:
