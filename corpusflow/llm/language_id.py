@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 
 LETTER = re.compile(r"[^\W\d_]")
 OTHER = re.compile(r"[\W\d_]+")
+#: Groups by hash in which blocks are ranked before a language's ranks.
+GROUPS = 64
 
 
 def plain(text: str) -> str:
@@ -60,8 +62,12 @@ def learn(labelled: DataFrame, settings: Settings = Settings()) -> dict[str, byt
     found = known.select("lang", F.explode(hashed).alias("h")).distinct()
     langs = sorted(r.lang for r in known.select("lang").distinct().collect())  # a row a language
     room = max(1, min(settings.sample_blocks, settings.total_blocks // max(len(langs), 1)))
+    # Ranked in groups by hash first, so that a language's blocks don't all meet in one task.
+    group = Window.partitionBy("lang", F.pmod("h", F.lit(GROUPS))).orderBy("h")
+    some = found.withColumn("rank", F.row_number().over(group)).where(F.col("rank") <= room)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    chosen = {(r.lang, r.h): r["rank"] for r in found.withColumn("rank", rank).where(F.col("rank") <= room).collect()}  # total_blocks rows or a row a language
+    ranked = some.withColumn("rank", rank).where(F.col("rank") <= room)
+    chosen = {(r.lang, r.h): r["rank"] for r in ranked.collect()}  # total_blocks rows or a row a language
     if not chosen:
         return {}
     wanted = labelled.sparkSession.createDataFrame(list(chosen), "lang string, h long")
