@@ -154,9 +154,55 @@ def page_lines(html: str | None) -> tuple[list[str], list[int]]:
     return lines, kinds
 
 
+#: Cells of the largest table by which common lines are found in one go.
+CELLS = 1 << 22
+
+
+def _lengths(x: np.ndarray, y: np.ndarray) -> Iterator[np.ndarray]:
+    """For each start of x, the lengths of its longest common subsequences with all starts of y."""
+    row = np.zeros(len(y) + 1, np.int32)
+    for item in x:
+        row[1:] = np.maximum.accumulate(np.maximum(row[1:], (row[:-1] + 1) * (y == item)))
+        yield row
+
+
+def _common(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Mask of the items of x that a longest common subsequence with y takes. Where the table of
+    lengths would be large, x is halved at the place of y where both halves have most in common, so
+    that memory grows with the lines and not with their pairs."""
+    taken = np.zeros(len(x), bool)
+    at = np.flatnonzero(np.isin(x, y))  # others are in no common subsequence
+    x, y = x[at], y[np.isin(y, x)]
+    if not len(x):
+        return taken
+    if len(x) > 1 and len(x) * len(y) > CELLS:
+        half = len(x) // 2
+        before, after = None, None
+        for before in _lengths(x[:half], y):
+            pass
+        for after in _lengths(x[half:][::-1], y[::-1]):
+            pass
+        cut = int(np.argmax(before + after[::-1]))
+        taken[at] = np.concatenate([_common(x[:half], y[:cut]), _common(x[half:], y[cut:])])
+        return taken
+    table = np.zeros((len(x) + 1, len(y) + 1), np.int32)
+    for i, row in enumerate(_lengths(x, y)):
+        table[i + 1] = row
+    i, j = len(x), len(y)
+    while i and j:
+        if table[i, j] == table[i - 1, j]:
+            i -= 1
+        elif table[i, j] == table[i, j - 1]:
+            j -= 1
+        else:
+            taken[at[i - 1]] = True
+            i, j = i - 1, j - 1
+    return taken
+
+
 def common_lines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Mask of the lines of a that a longest common subsequence with b takes. Equal starts and
-    ends always belong to one; between them rows of the table are filled as vectors."""
+    ends always belong to one."""
     taken = np.zeros(len(a), bool)
     n = min(len(a), len(b))
     head = int(np.argmin(np.append(a[:n] == b[:n], False)))
@@ -164,24 +210,7 @@ def common_lines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     tail = int(np.argmin(np.append(a[::-1][:n] == b[::-1][:n], False)))
     taken[:head] = True
     taken[len(a) - tail :] = True
-    at = np.arange(head, len(a) - tail)
-    at = at[np.isin(a[at], b[head : len(b) - tail])]  # others are in no common subsequence
-    y = b[head : len(b) - tail]
-    y = y[np.isin(y, a[at])]
-    x = a[at]
-    if len(x) and len(y):
-        table = np.zeros((len(x) + 1, len(y) + 1), np.int32)
-        for i in range(len(x)):
-            np.maximum.accumulate(np.maximum(table[i, 1:], (table[i, :-1] + 1) * (y == x[i])), out=table[i + 1, 1:])
-        i, j = len(x), len(y)
-        while i and j:
-            if table[i, j] == table[i - 1, j]:
-                i -= 1
-            elif table[i, j] == table[i, j - 1]:
-                j -= 1
-            else:
-                taken[at[i - 1]] = True
-                i, j = i - 1, j - 1
+    taken[head : len(a) - tail] = _common(a[head : len(a) - tail], b[head : len(b) - tail])
     return taken
 
 

@@ -319,9 +319,12 @@ def test_bundle_is_plain_zstd():
         assert warc.read_frame(data, frame)[offset : offset + length] == records[int(name)]
 
 
-def test_common_lines():
+@pytest.mark.parametrize("cells", [1 << 22, 6])
+def test_common_lines(monkeypatch, cells):
     import numpy as np
 
+    monkeypatch.setattr(html_extraction, "CELLS", cells)
+
     def longest(a, b):
         t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
         for i, x in enumerate(a):
@@ -330,6 +333,9 @@ def test_common_lines():
         return t[-1][-1]
 
     r = random.Random(2)
+    if cells > 6:  # their table would take 1.6 GB
+        a, b = (np.array([r.randrange(9000) for _ in range(20_000)], np.int64) for _ in "ab")
+        html_extraction.common_lines(a, b)
     for _ in range(300):
         a, b = (np.array([r.randrange(5) for _ in range(r.randrange(10))], np.int64) for _ in "ab")
         mask = html_extraction.common_lines(a, b)
