@@ -59,22 +59,31 @@ def fingerprints(texts: DataFrame, keep: list[str]) -> DataFrame:
     )
 
 
+def _grouped(prints: DataFrame, by: list) -> DataFrame:
+    """by, and the ids of the items that have it, under the name of their group: hits carry the name
+    alone, however many items share a passage."""
+    found = prints.groupBy(*by).agg(F.sort_array(F.collect_set("item_id")).alias("items"))
+    return found.withColumn("items_key", F.xxhash64("items"))
+
+
 def item_fingerprints(items: DataFrame) -> DataFrame:
-    """Distinct surroundings of fingerprints with the ids of the items that have them."""
+    """Distinct surroundings of fingerprints, with items and items_key."""
     own = fingerprints(items, ["item_id"])
-    return own.groupBy("print", F.col("around").alias("item_around"), F.col("before").alias("item_before")).agg(F.collect_set("item_id").alias("items"))
+    return _grouped(own, ["print", F.col("around").alias("item_around"), F.col("before").alias("item_before")])
 
 
 def _small(table: DataFrame) -> DataFrame:
     return table.hint("broadcast" if table.count() <= BROADCAST_ROWS else "merge")
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, start, length and items of every document window that some item has."""
+def hits(docs: DataFrame, benchmark: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """keys, start, length and items_key of every document window that some item has; and the
+    items of each items_key."""
     items = materialize(benchmark.select("item_id", words(F.col("text")).alias("words")).where(F.size("words") > 0), "items")
     spoken = docs.select(*keys, words(F.col("text")).alias("words"))
-    prints = _small(materialize(item_fingerprints(items), "item-prints"))
-    met = fingerprints(spoken, keys).join(prints, "print")
+    prints = materialize(item_fingerprints(items), "item-prints")
+    groups = prints.select("items_key", "items")
+    met = fingerprints(spoken, keys).join(_small(prints.drop("items")), "print")
     # Window at offset o before the print: its first and its last hash must agree.
     ours = lambda o: F.get("around", F.col("before") - o)
     theirs = lambda o: F.get("item_around", F.col("item_before") - o)
@@ -83,14 +92,14 @@ def hits(docs: DataFrame, benchmark: DataFrame, keys: list[str]) -> DataFrame:
         F.sequence(F.lit(0), F.least("before", "item_before")),
         lambda o: F.coalesce((ours(o) == theirs(o)) & (ours(o - reach) == theirs(o - reach)), F.lit(False)),
     )
-    found = met.select(*keys, "place", "items", F.explode(offsets).alias("o")).select(*keys, (F.col("place") - F.col("o")).alias("start"), F.lit(WINDOW).alias("length"), "items")
+    found = met.select(*keys, "place", "items_key", F.explode(offsets).alias("o")).select(*keys, (F.col("place") - F.col("o")).alias("start"), F.lit(WINDOW).alias("length"), "items_key")
     short = items.where(F.size("words") < WINDOW)
     for row in short.select(F.size("words").alias("n")).distinct().orderBy("n").collect():  # at most 12 lengths
-        wanted = short.where(F.size("words") == row.n).groupBy(F.xxhash64("words").alias("print")).agg(F.collect_set("item_id").alias("items"))
-        wanted = _small(materialize(wanted, "short-items"))
+        wanted = materialize(_grouped(short.where(F.size("words") == row.n), [F.xxhash64("words").alias("print")]), "short-items")
+        groups = groups.unionByName(wanted.select("items_key", "items"))
         runs = spoken.select(*keys, F.posexplode(grams("words", row.n)).alias("start", "print"))
-        found = found.unionByName(runs.join(wanted, "print").select(*keys, "start", F.lit(row.n).alias("length"), "items"))
-    return found
+        found = found.unionByName(runs.join(_small(wanted.drop("items")), "print").select(*keys, "start", F.lit(row.n).alias("length"), "items_key"))
+    return found, groups.dropDuplicates(["items_key"])
 
 
 def _covered(spans: Column) -> Column:
@@ -108,11 +117,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, share: int = 20) -> Dat
     A document is contaminated if it has hit words and they are at least one in `share`.
     """
     mark = F.xxhash64("doc_id", "text")
-    found = hits(docs.withColumn("__mark", mark), benchmark, ["doc_id", "__mark"])
-    by_doc = found.groupBy("doc_id", "__mark").agg(
-        F.array_sort(F.collect_set(F.struct("start", "length"))).alias("spans"),
-        F.array_distinct(F.flatten(F.collect_set("items"))).alias("ids"),
-    )
+    found, groups = hits(docs.withColumn("__mark", mark), benchmark, ["doc_id", "__mark"])
+    by_doc = found.groupBy("doc_id", "__mark").agg(F.array_sort(F.collect_set(F.struct("start", "length"))).alias("spans"), F.collect_set("items_key").alias("all"))
+    by_doc = materialize(by_doc, "hit-spans")
+    ids = by_doc.select("doc_id", "__mark", F.explode("all").alias("items_key")).join(groups.hint("merge"), "items_key")
+    ids = ids.groupBy("doc_id", "__mark").agg(F.array_distinct(F.flatten(F.collect_set("items"))).alias("ids"))
+    ids = ids.select(F.col("doc_id").alias("i"), F.col("__mark").alias("m"), "ids").hint("merge")
+    by_doc = by_doc.join(ids, F.col("doc_id").eqNullSafe(F.col("i")) & F.col("__mark").eqNullSafe(F.col("m")))
     ids = F.array_sort(F.transform("ids", lambda x: x.cast("string")))
     by_doc = materialize(
         by_doc.select(F.col("doc_id").alias("__id"), F.col("__mark").alias("__key"), _covered(F.col("spans")).cast("long").alias("n_hit"), F.size("ids").cast("long").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256")),
@@ -130,7 +141,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, share: int = 20) -> Dat
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, share: int = 20) -> DataFrame:
     """The rows of docs that aren't contaminated, with their columns."""
-    found = hits(docs.withColumn("__mark", F.xxhash64("doc_id", "text")), benchmark, ["doc_id", "__mark"])
+    found, _ = hits(docs.withColumn("__mark", F.xxhash64("doc_id", "text")), benchmark, ["doc_id", "__mark"])
     by_doc = found.groupBy("doc_id", "__mark").agg(_covered(F.array_sort(F.collect_set(F.struct("start", "length")))).alias("__hit"))
     by_doc = materialize(by_doc.withColumnsRenamed({"doc_id": "__id", "__mark": "__key"}), "hit-docs")
     gone = (F.col("__hit") > 0) & (share * F.col("__hit") >= F.size(words(F.col("text"))))
