@@ -85,23 +85,25 @@ def test_blocks(spark):
     assert done["p"].content.startswith("# T\n\nInherits from: Base\n\n# Description") and done["q"].error == "main content not found"
 
 
-def chunks(text, size, overlap=0, title="API"):
+def chunks(text, size, overlap=0, title="Tides"):
     return chunking.heading_chunks("d", title, text, size, overlap)
 
 
 def test_heading_chunks():
-    words = " ".join(f"word{i}" for i in range(32))
-    found = chunks(f"# API\n\n## Description\n\n{words}", 8, 2)
-    assert all(c[4] <= 8 and c[5].count("# API") == 1 for c in found) and [c[3] for c in found] == list(range(len(found)))
-    assert len(chunks("## Empty\n\n## Delegates\n\nx", 20)) == 1
-    one = chunks("p1\n\np2\n\n## Description\n\nbody", 20, title="Nav")
-    assert len(one) == 1 and one[0][2] == "Description" and "p1\n\np2\n\nbody" in one[0][5]
-    assert chunks("only text", 20)[0][2] is None
-    first, second = (" ".join(f"{n}{i}" for i in range(7)) for n in ("first", "second"))
-    assert max(c[4] for c in chunks(f"{first}\n\n{second}", 9, 2)) <= 9
-    code = "```\na\n\n## not a section\n```"
-    assert any(code in c[5] for c in chunks(f"## S\n\n{' '.join(['w'] * 25)}\n\n{code}", 14, 1))
-    (error,) = chunks("## A\n\nx", 4)
+    long = " ".join(f"t{i}" for i in range(41))
+    found = chunks(f"# Tides\n\n## Springs and neaps\n\n{long}", 11, 3)
+    assert all(c[4] <= 11 and c[5].startswith("# Tides\n\n## Springs and neaps\n\n") for c in found) and [c[3] for c in found] == list(range(len(found)))
+    said = [w for c in found for w in c[5].split()[6:]]
+    assert set(said) == set(long.split()) and len(said) > 41
+    assert [c[2] for c in chunks("## Nothing here\n\n## Moon\n\nfull", 9)] == ["Moon"]
+    (whole,) = chunks("before any\n\nheading\n\n## Sun\n\nweaker", 30)
+    assert whole[2] == "Sun" and whole[5].endswith("before any\n\nheading\n\nweaker")
+    assert chunks("plain", 9)[0][2] is None
+    units = "\n\n".join(" ".join(f"{n}{i}" for i in range(6)) for n in "abc")
+    assert max(c[4] for c in chunks(units, 8, 4)) <= 8
+    fence = "~~~\n".replace("~", "`") + "## in a fence\n\nleft whole\n" + "```"
+    assert any(fence in c[5] for c in chunks(f"## Code\n\n{' '.join('x' * 30)}\n\n{fence}", 16, 2))
+    (error,) = chunks("## Of the sea\n\nx", 6)
     assert error[:2] == ("d", None) and "no room" in error[-1]
 
 
