@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusflow.functions.text import normalize_service_line, normalize_text
@@ -200,10 +200,64 @@ def html_blocks(pages: DataFrame, key: str = "document_id", container: str | Non
     return blocks.select(key, "pos", "kind", "level", text.otherwise(F.col("clean")).alias("text"))
 
 
-def strip_boilerplate(html: Column) -> Column:
-    """html without noise elements, by expressions alone (for pages without nested noise)."""
-    names = "|".join(sorted(SKIP - {"img", "input"}))
-    return F.regexp_replace(F.regexp_replace(html, rf"(?is)<({names})\b[^>]*>.*?</\1\s*>", ""), r"(?i)<(?:img|input)\b[^>]*>", "")
+TAG = re.compile(r"<!--.*?-->|<(?P<close>/)?(?P<name>[a-zA-Z][^\s/<>]*+)(?P<attrs>(?:[^<>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>", re.S)
+ATTRIBUTE = re.compile(r"\b(class|id)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
+
+
+def _attribute(tag: re.Match, name: str) -> set[str]:
+    return {x for kind, value in ATTRIBUTE.findall(tag["attrs"] or "") if kind.lower() == name for x in value.strip("\"'").split()}
+
+
+def _element(html: str, test, at: int, stop: int) -> tuple[int, int] | None:
+    """Start and end of the inside of the first element from at on whose tag passes the test."""
+    name, start, depth = "", 0, 0
+    for tag in TAG.finditer(html, at, stop):
+        own = (tag["name"] or "").lower()
+        if not depth and own and not tag["close"] and own not in VOID and test(tag):
+            name, start, depth = own, tag.end(), 1
+        elif depth and own == name:
+            depth += -1 if tag["close"] else 1
+            if not depth:
+                return start, tag.start()
+    return (start, stop) if depth else None
+
+
+def main_html(html: str | None, container: str | None = "section") -> str | None:
+    """The mark-up of a page's main container without noise elements and all that they hold, however
+    they nest; None if there is no container. Without a container's name the page is taken whole."""
+    html = html or ""
+    place: tuple[int, int] | None = (0, len(html))
+    if container is not None:
+        place = _element(html, lambda t: "content-wrap" in _attribute(t, "id"), 0, len(html))
+        place = place and _element(html, lambda t: container in _attribute(t, "class"), *place)
+        if place is None:
+            return None
+    (at, stop), out, skip, depth = place, [], None, 0
+    for tag in TAG.finditer(html, at, stop):
+        name = (tag["name"] or "").lower()
+        if skip is None:
+            if name and not tag["close"] and (name in SKIP or _attribute(tag, "class") & SKIP_CLASSES):
+                out.append(html[at : tag.start()])
+                at = tag.end()
+                if name not in VOID:
+                    skip, depth = name, 1
+        elif name == skip:
+            depth += -1 if tag["close"] else 1
+            if not depth:
+                skip, at = None, tag.end()
+    return "".join(out) + (html[at:stop] if skip is None else "")
+
+
+def strip_boilerplate(pages: DataFrame, key: str = "document_id", container: str | None = "section") -> DataFrame:
+    """key, html (see main_html) and error of every page; a page without its container is an error."""
+    kind = pages.schema[key].dataType.simpleString()
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in parts:
+            yield pd.DataFrame({key: frame[key], "html": [main_html(x, container) for x in frame["html"]]})
+
+    found = pages.select(key, "html").mapInPandas(run, f"{key} {kind}, html string")
+    return found.withColumn("error", F.when(F.col("html").isNull(), "main content not found"))
 
 
 def process_documents(blocks: DataFrame, titles: DataFrame, key: str = "document_id") -> DataFrame:

@@ -123,7 +123,7 @@ def page_title(spark: Spark, sf: str) -> DataFrame:
 
 @query(r"SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<nav\b[^>]*>.*?</nav\s*>', '', 'g'), '(?is)<style\b[^>]*>.*?</style\s*>', '', 'g'), '(?is)<script\b[^>]*>.*?</script\s*>', '', 'g'), '(?is)<footer\b[^>]*>.*?</footer\s*>', '', 'g'), '(?i)<(?:img|input)\b[^>]*>', '', 'g') AS html FROM pages")
 def strip_boilerplate(spark: Spark, sf: str) -> DataFrame:
-    return table(spark, sf, "pages").select("page_id", blocks.strip_boilerplate(F.col("html")).alias("html"))
+    return blocks.strip_boilerplate(table(spark, sf, "pages"), "page_id", container=None).drop("error")
 
 
 @query()

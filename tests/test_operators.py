@@ -365,3 +365,12 @@ def test_scratch(spark):
 
     made = scratch.materialize(spark.range(3))
     assert made.count() == 3 and spark.conf.get(scratch.CLEANUP) in (None, "false")
+
+
+def test_strip_boilerplate(spark):
+    page = '<nav>x</nav><div id="content-wrap"><div class="a section"><p>one</p><aside>a<aside>b</aside>c</aside><div class="suggest">s<div>t</div></div><!-- <nav> --><img src=x><p>two</p><script>"<nav>"</script></div>after</div>'
+    rows = {r.document_id: r for r in blocks.strip_boilerplate(spark.createDataFrame([("p", page), ("q", "<p>none"), ("r", None)], "document_id string, html string")).collect()}
+    assert rows["p"].html == "<p>one</p><!-- <nav> --><p>two</p>" and rows["p"].error is None
+    assert rows["q"].html is None and rows["q"].error == rows["r"].error == "main content not found"
+    assert blocks.main_html("a<nav>b<nav>c</nav>d</nav>e<input>f", None) == "aef" and blocks.main_html("a<form>b", None) == "a"
+    assert blocks.main_html("<a b " * 100_000, None) == "<a b " * 100_000
