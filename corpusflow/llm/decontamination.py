@@ -34,11 +34,24 @@ def words(text: Column) -> Column:
     return F.coalesce(parts, F.array().cast("array<string>"))
 
 
-def grams(of: str, k: int) -> Column:
-    """Hash of each run of k words of the array column `of`."""
-    n = F.size(of)
-    runs = F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.xxhash64(F.slice(of, i, k)))
-    return F.when(n >= k, runs).otherwise(F.array().cast("array<bigint>"))
+def _shifted(a: str, b: str, by: int, f) -> Column:
+    """f of each a[i] and b[i + by], as long as b goes."""
+    n = F.greatest(F.size(b) - by, F.lit(0))
+    return F.zip_with(F.slice(a, F.lit(1), n), F.slice(b, F.lit(by + 1), n), f)
+
+
+def with_grams(texts: DataFrame, k: int, out: str) -> DataFrame:
+    """texts with the hash of each run of k words of the array `words`: runs of 1, 2, 4 ... words are
+    hashed first, each from two of half its length, then put together."""
+    texts, sizes = texts.withColumn("__1", F.transform("words", lambda w: F.xxhash64(w))), [1]
+    while 2 * sizes[-1] <= k:
+        sizes.append(2 * sizes[-1])
+        texts = texts.withColumn(f"__{sizes[-1]}", _shifted(f"__{sizes[-2]}", f"__{sizes[-2]}", sizes[-2], lambda x, y: F.xxhash64(x, y)))
+    size = sizes[-1]
+    for more in [s for s in reversed(sizes[:-1]) if (k - sizes[-1]) & s]:
+        texts = texts.withColumn(f"__{size + more}", _shifted(f"__{size}", f"__{more}", size, lambda x, y: F.xxhash64(x, y)))
+        size += more
+    return texts.withColumn(out, F.col(f"__{k}")).drop(*(c for c in texts.columns if c.startswith("__") and c[2:].isdigit()))
 
 
 def fingerprints(texts: DataFrame, keep: list[str]) -> DataFrame:
@@ -46,13 +59,14 @@ def fingerprints(texts: DataFrame, keep: list[str]) -> DataFrame:
     to 6 after it (around), and the number of those before it (before)."""
     reach = WINDOW - GRAM
     key = lambda h, i: F.shiftleft(F.shiftright(h, 28), 28) + (PLACE - i)
-    least = F.transform(F.sequence(F.lit(1), F.size("keys") - reach), lambda i: F.array_min(F.slice("keys", i, reach + 1)))
-    chosen = F.when(F.size("keys") > reach, F.array_distinct(least))
+    rows, size = with_grams(texts, GRAM, "hashes").withColumn("least1", F.transform("hashes", key)), 1
+    while size <= reach:  # minima of runs of 2, 4 ... and last reach + 1 keys
+        more = min(size, reach + 1 - size)
+        rows = rows.withColumn(f"least{size + more}", _shifted(f"least{size}", f"least{size}", more, lambda x, y: F.least(x, y)))
+        size += more
     place = (F.lit(PLACE) - F.col("key").bitwiseAND(F.lit(PLACE))).cast("int")
     return (
-        texts.withColumn("hashes", grams("words", GRAM))
-        .withColumn("keys", F.transform("hashes", key))
-        .select(*keep, "hashes", F.explode(chosen).alias("key"))
+        rows.select(*keep, "hashes", F.explode(F.array_distinct(f"least{reach + 1}")).alias("key"))
         .withColumn("place", place)
         .withColumn("before", F.least(F.col("place"), F.lit(reach)))
         .select(*keep, "place", F.get("hashes", F.col("place")).alias("print"), F.slice("hashes", F.col("place") - F.col("before") + 1, F.col("before") + reach + 1).alias("around"), "before")
@@ -95,9 +109,10 @@ def hits(docs: DataFrame, benchmark: DataFrame, keys: list[str]) -> tuple[DataFr
     found = met.select(*keys, "place", "items_key", F.explode(offsets).alias("o")).select(*keys, (F.col("place") - F.col("o")).alias("start"), F.lit(WINDOW).alias("length"), "items_key")
     short = items.where(F.size("words") < WINDOW)
     for row in short.select(F.size("words").alias("n")).distinct().orderBy("n").collect():  # at most 12 lengths
-        wanted = materialize(_grouped(short.where(F.size("words") == row.n), [F.xxhash64("words").alias("print")]), "short-items")
+        whole = with_grams(short.where(F.size("words") == row.n), row.n, "runs").withColumn("print", F.get("runs", F.lit(0)))
+        wanted = materialize(_grouped(whole, ["print"]), "short-items")
         groups = groups.unionByName(wanted.select("items_key", "items"))
-        runs = spoken.select(*keys, F.posexplode(grams("words", row.n)).alias("start", "print"))
+        runs = with_grams(spoken, row.n, "runs").select(*keys, F.posexplode("runs").alias("start", "print"))
         found = found.unionByName(runs.join(_small(wanted.drop("items")), "print").select(*keys, "start", F.lit(row.n).alias("length"), "items_key"))
     return found, groups.dropDuplicates(["items_key"])
 
