@@ -185,11 +185,12 @@ def first_regions(docs: DataFrame, join: Join) -> DataFrame:
                 for owner, cell, _, _ in cells(join, scan.n, doc[keep], h[keep]):
                     yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(signature[owner])], names=["cell", "set"])
 
-    # Written before it is read twice: a cell's sets are counted first, then the rows of cells with
-    # several are fetched by a plain shuffle, which is split where a cell is hot. (Copies in other
-    # tasks count here; they leave with the next step.)
-    rows = materialize(docs.select("text").mapInArrow(run, "cell long, set long"), "jaccard-rows")
-    several = rows.groupBy("cell").count().where("count > 1").select("cell")
+    # Computed twice instead of written: most cells have one set, and all of them would fill disks. A
+    # cell's sets are counted first; then the rows of cells with several are fetched by a plain
+    # shuffle, which is split where a cell is hot. (Copies in other tasks count here; they leave
+    # with the next step.)
+    rows = docs.select("text").mapInArrow(run, "cell long, set long")
+    several = materialize(rows.groupBy("cell").count().where("count > 1").select("cell"), "jaccard-several")
     found = materialize(rows.join(several.hint("merge"), "cell", "left_semi").distinct(), "jaccard-cells")
     # Linked sets share a number of cells, not just one: what shares fewer in a ring leaves it.
     needs = materialize(shared_cells(docs, join), "jaccard-needs")
