@@ -81,6 +81,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def quality_base_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Those columns of op5_quality_rules that SQL can express."""
+    return op5_quality_rules(spark, sf_dir).drop("kept", "class_distance", "word_distance")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of corpus_pipeline.py over documents."""
     import corpus_pipeline
@@ -90,7 +95,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     own = {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
-    return dict(sorted(own.items(), key=lambda kv: int(kv[0][2:].split("_")[0]))) | {"pipeline": pipeline}
+    return dict(sorted(own.items(), key=lambda kv: int(kv[0][2:].split("_")[0]))) | {"quality_base_columns": quality_base_columns, "pipeline": pipeline}
 
 
 def oracle_sql() -> dict:

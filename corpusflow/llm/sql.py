@@ -148,4 +148,22 @@ WITH RECURSIVE d AS (
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(component_id, doc_id) AS component_id FROM d LEFT JOIN n USING (r) LEFT JOIN least_id USING (r)
 """
 
-ORACLES: dict[str, str] = {"op4_jaccard_join": JACCARD, "op2_warc": WARC, "op6_license_scan": _licenses(), "op9_source_mixing": MIXING, "op10_decontamination": DECONTAMINATION}
+QUALITY = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), g AS (
+  SELECT r, i, array_to_string(w[i + 1 : i + 3], ' ') AS t FROM (SELECT r, w, unnest(range(0, len(w) - 2)) AS i FROM d)
+), twice AS (
+  SELECT r, t FROM g GROUP BY r, t HAVING count(*) > 1
+), covered AS (
+  SELECT r, count(DISTINCT q) AS n FROM (SELECT g.r, unnest(range(i, i + 3)) AS q FROM g JOIN twice USING (r, t)) GROUP BY r
+), lines AS (
+  SELECT r, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+  len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
+  coalesce(n, 0)::BIGINT AS n_repeat_words, len(w) < 50 OR 100 * coalesce(n, 0) > 50 * len(w) AS base_failed
+FROM d JOIN lines USING (r) LEFT JOIN covered USING (r)
+"""
+
+ORACLES: dict[str, str] = {"quality_base_columns": QUALITY, "op4_jaccard_join": JACCARD, "op2_warc": WARC, "op6_license_scan": _licenses(), "op9_source_mixing": MIXING, "op10_decontamination": DECONTAMINATION}
