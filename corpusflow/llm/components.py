@@ -23,7 +23,9 @@ def components(links: DataFrame) -> DataFrame:
     labels: DataFrame | None = None
     while edges.limit(1).count():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("to")), "least")
+        least = materialize(
+            both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("to")), "least"
+        )
         again = least.select(F.col("node").alias("to"), F.col("to").alias("far"))
         step = materialize(least.join(again.hint("merge"), "to").select("node", F.col("far").alias("to")), "step")
         if labels is None:
@@ -33,7 +35,9 @@ def components(links: DataFrame) -> DataFrame:
             labels = materialize(moved.select("node", F.coalesce("to", "root").alias("root")), "labels")
         left = step.select(F.col("node").alias("a"), F.col("to").alias("x")).hint("merge")
         right = step.select(F.col("node").alias("b"), F.col("to").alias("y")).hint("merge")
-        edges = edges.join(left, "a").join(right, "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+        edges = edges.join(left, "a").join(right, "b").where("x <> y").select(
+            F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")
+        )
         edges = materialize(edges.distinct(), "links")
     if labels is None:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -46,12 +46,18 @@ def with_grams(texts: DataFrame, k: int, out: str) -> DataFrame:
     texts, sizes = texts.withColumn("__1", F.transform("words", lambda w: F.xxhash64(w))), [1]
     while 2 * sizes[-1] <= k:
         sizes.append(2 * sizes[-1])
-        texts = texts.withColumn(f"__{sizes[-1]}", _shifted(f"__{sizes[-2]}", f"__{sizes[-2]}", sizes[-2], lambda x, y: F.xxhash64(x, y)))
+        texts = texts.withColumn(
+            f"__{sizes[-1]}", _shifted(f"__{sizes[-2]}", f"__{sizes[-2]}", sizes[-2], lambda x, y: F.xxhash64(x, y))
+        )
     size = sizes[-1]
     for more in [s for s in reversed(sizes[:-1]) if (k - sizes[-1]) & s]:
-        texts = texts.withColumn(f"__{size + more}", _shifted(f"__{size}", f"__{more}", size, lambda x, y: F.xxhash64(x, y)))
+        texts = texts.withColumn(
+            f"__{size + more}", _shifted(f"__{size}", f"__{more}", size, lambda x, y: F.xxhash64(x, y))
+        )
         size += more
-    return texts.withColumn(out, F.col(f"__{k}")).drop(*(c for c in texts.columns if c.startswith("__") and c[2:].isdigit()))
+    return texts.withColumn(out, F.col(f"__{k}")).drop(
+        *(c for c in texts.columns if c.startswith("__") and c[2:].isdigit())
+    )
 
 
 def fingerprints(texts: DataFrame, keep: list[str]) -> DataFrame:
@@ -62,14 +68,20 @@ def fingerprints(texts: DataFrame, keep: list[str]) -> DataFrame:
     rows, size = with_grams(texts, GRAM, "hashes").withColumn("least1", F.transform("hashes", key)), 1
     while size <= reach:  # minima of runs of 2, 4 ... and last reach + 1 keys
         more = min(size, reach + 1 - size)
-        rows = rows.withColumn(f"least{size + more}", _shifted(f"least{size}", f"least{size}", more, lambda x, y: F.least(x, y)))
+        rows = rows.withColumn(
+            f"least{size + more}", _shifted(f"least{size}", f"least{size}", more, lambda x, y: F.least(x, y))
+        )
         size += more
     place = (F.lit(PLACE) - F.col("key").bitwiseAND(F.lit(PLACE))).cast("int")
     return (
         rows.select(*keep, "hashes", F.explode(F.array_distinct(f"least{reach + 1}")).alias("key"))
         .withColumn("place", place)
         .withColumn("before", F.least(F.col("place"), F.lit(reach)))
-        .select(*keep, "place", F.get("hashes", F.col("place")).alias("print"), F.slice("hashes", F.col("place") - F.col("before") + 1, F.col("before") + reach + 1).alias("around"), "before")
+        .select(
+            *keep, "place", F.get("hashes", F.col("place")).alias("print"),
+            F.slice("hashes", F.col("place") - F.col("before") + 1, F.col("before") + reach + 1).alias("around"),
+            "before"
+        )
     )
 
 
@@ -93,7 +105,9 @@ def _small(table: DataFrame) -> DataFrame:
 def hits(docs: DataFrame, benchmark: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     """keys, start, length and items_key of every document window that some item has; and the
     items of each items_key."""
-    items = materialize(benchmark.select("item_id", words(F.col("text")).alias("words")).where(F.size("words") > 0), "items")
+    items = materialize(
+        benchmark.select("item_id", words(F.col("text")).alias("words")).where(F.size("words") > 0), "items"
+    )
     spoken = docs.select(*keys, words(F.col("text")).alias("words"))
     prints = materialize(item_fingerprints(items), "item-prints")
     groups = prints.select("items_key", "items")
@@ -106,21 +120,31 @@ def hits(docs: DataFrame, benchmark: DataFrame, keys: list[str]) -> tuple[DataFr
         F.sequence(F.lit(0), F.least("before", "item_before")),
         lambda o: F.coalesce((ours(o) == theirs(o)) & (ours(o - reach) == theirs(o - reach)), F.lit(False)),
     )
-    found = met.select(*keys, "place", "items_key", F.explode(offsets).alias("o")).select(*keys, (F.col("place") - F.col("o")).alias("start"), F.lit(WINDOW).alias("length"), "items_key")
+    found = met.select(*keys, "place", "items_key", F.explode(offsets).alias("o")).select(
+        *keys, (F.col("place") - F.col("o")).alias("start"), F.lit(WINDOW).alias("length"), "items_key"
+    )
     short = items.where(F.size("words") < WINDOW)
     for row in short.select(F.size("words").alias("n")).distinct().orderBy("n").collect():  # at most 12 lengths
-        whole = with_grams(short.where(F.size("words") == row.n), row.n, "runs").withColumn("print", F.get("runs", F.lit(0)))
+        whole = with_grams(
+            short.where(F.size("words") == row.n), row.n, "runs"
+        ).withColumn("print", F.get("runs", F.lit(0)))
         wanted = materialize(_grouped(whole, ["print"]), "short-items")
         groups = groups.unionByName(wanted.select("items_key", "items"))
         runs = with_grams(spoken, row.n, "runs").select(*keys, F.posexplode("runs").alias("start", "print"))
-        found = found.unionByName(runs.join(_small(wanted.drop("items")), "print").select(*keys, "start", F.lit(row.n).alias("length"), "items_key"))
+        found = found.unionByName(
+            runs.join(_small(wanted.drop("items")), "print").select(
+                *keys, "start", F.lit(row.n).alias("length"), "items_key"
+            )
+        )
     return found, groups.dropDuplicates(["items_key"])
 
 
 def _covered(spans: Column) -> Column:
     """Number of words inside the union of sorted (start, length) spans."""
     step = lambda acc, s: F.struct(
-        (acc["words"] + F.greatest(F.lit(0), s["start"] + s["length"] - F.greatest(s["start"], acc["stop"]))).alias("words"),
+        (
+            acc["words"] + F.greatest(F.lit(0), s["start"] + s["length"] - F.greatest(s["start"], acc["stop"]))
+        ).alias("words"),
         F.greatest(acc["stop"], s["start"] + s["length"]).alias("stop"),
     )
     return F.aggregate(spans, F.struct(F.lit(0).alias("words"), F.lit(0).alias("stop")), step, lambda acc: acc["words"])
@@ -133,7 +157,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, share: int = 20) -> Dat
     """
     mark = F.xxhash64("doc_id", "text")
     found, groups = hits(docs.withColumn("__mark", mark), benchmark, ["doc_id", "__mark"])
-    by_doc = found.groupBy("doc_id", "__mark").agg(F.array_sort(F.collect_set(F.struct("start", "length"))).alias("spans"), F.collect_set("items_key").alias("all"))
+    by_doc = found.groupBy("doc_id", "__mark").agg(
+        F.array_sort(F.collect_set(F.struct("start", "length"))).alias("spans"), F.collect_set("items_key").alias("all")
+    )
     by_doc = materialize(by_doc, "hit-spans")
     ids = by_doc.select("doc_id", "__mark", F.explode("all").alias("items_key")).join(groups.hint("merge"), "items_key")
     ids = ids.groupBy("doc_id", "__mark").agg(F.array_distinct(F.flatten(F.collect_set("items"))).alias("ids"))
@@ -141,11 +167,18 @@ def contamination(docs: DataFrame, benchmark: DataFrame, share: int = 20) -> Dat
     by_doc = by_doc.join(ids, F.col("doc_id").eqNullSafe(F.col("i")) & F.col("__mark").eqNullSafe(F.col("m")))
     ids = F.array_sort(F.transform("ids", lambda x: x.cast("string")))
     by_doc = materialize(
-        by_doc.select(F.col("doc_id").alias("__id"), F.col("__mark").alias("__key"), _covered(F.col("spans")).cast("long").alias("n_hit"), F.size("ids").cast("long").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256")),
+        by_doc.select(
+            F.col("doc_id").alias("__id"), F.col("__mark").alias("__key"),
+            _covered(F.col("spans")).cast("long").alias("n_hit"), F.size("ids").cast("long").alias("n_items"),
+            F.sha2(F.array_join(ids, ","), 256).alias("items_sha256")
+        ),
         "hit-docs",
     )
     counted = docs.select("doc_id", F.size(words(F.col("text"))).cast("long").alias("n_words"), mark.alias("__mark"))
-    joined = counted.join(by_doc.hint("merge"), F.col("__mark").eqNullSafe(F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left")
+    joined = counted.join(
+        by_doc.hint("merge"), F.col("__mark").eqNullSafe(F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__id")),
+        "left"
+    )
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return joined.select(
         "doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"),
@@ -157,7 +190,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, share: int = 20) -> Dat
 def decontaminate(docs: DataFrame, benchmark: DataFrame, share: int = 20) -> DataFrame:
     """The rows of docs that aren't contaminated, with their columns."""
     found, _ = hits(docs.withColumn("__mark", F.xxhash64("doc_id", "text")), benchmark, ["doc_id", "__mark"])
-    by_doc = found.groupBy("doc_id", "__mark").agg(_covered(F.array_sort(F.collect_set(F.struct("start", "length")))).alias("__hit"))
+    by_doc = found.groupBy("doc_id", "__mark").agg(
+        _covered(F.array_sort(F.collect_set(F.struct("start", "length")))).alias("__hit")
+    )
     by_doc = materialize(by_doc.withColumnsRenamed({"doc_id": "__id", "__mark": "__key"}), "hit-docs")
     gone = (F.col("__hit") > 0) & (share * F.col("__hit") >= F.size(words(F.col("text"))))
     on = F.xxhash64("doc_id", "text").eqNullSafe(F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__id"))

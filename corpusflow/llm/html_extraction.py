@@ -32,25 +32,45 @@ from pyspark.sql import functions as F
 from corpusflow.sources.scratch import materialize
 
 #: Elements whose content is never main text, and elements that end a block.
-NOISE = set("nav header footer aside form script style noscript template button select textarea input svg iframe object canvas dialog head menu".split())
-BLOCKS = set("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
+NOISE = set(
+    "nav header footer aside form script style noscript template button select textarea input svg iframe object canvas dialog head menu".split()
+)
+BLOCKS = set(
+    "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split()
+)
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 #: Words of class and id names that mark noise, and words that may stand beside them in a name:
 #: "ad-slot" and "comment-list" are marks, "related-work" and "share-prices" aren't.
-MARKS = set("ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus footer header masthead menu nav navbar navigation newsletter notice popup promo promoted related replies reply share sharing sidebar signup social sponsor sponsored subscribe widget gdpr modal overlay toolbar skip".split())
-BESIDE = set("area articles bar block bottom box button buttons col column container count footer form global group inner item items left link links list main message middle outer page panel post posts right rail section site slot thread top unit user users wrap wrapper".split())
-ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
+MARKS = set(
+    "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus footer header masthead menu nav navbar navigation newsletter notice popup promo promoted related replies reply share sharing sidebar signup social sponsor sponsored subscribe widget gdpr modal overlay toolbar skip".split()
+)
+BESIDE = set(
+    "area articles bar block bottom box button buttons col column container count footer form global group inner item items left link links list main message middle outer page panel post posts right rail section site slot thread top unit user users wrap wrapper".split()
+)
+ROLES = set(
+    "navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split()
+)
 #: Every alternative either fails at the next "<" or consumes what it read, so a scan is linear.
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^<>]*+>|<(?P<close>/)?(?P<name>[a-zA-Z][^\s/<>]*+)(?P<attrs>(?:[^<>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>", re.S)
+TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^<>]*+>|<(?P<close>/)?(?P<name>[a-zA-Z][^\s/<>]*+)(?P<attrs>(?:[^<>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>",
+    re.S
+)
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 #: Below this share of a page's own text, a core doesn't rule out lines outside it.
 CORE_SHARE = 1 / 3
 CORES = {"article", "main", "body"}
 #: Elements that an element of the same kind closes, and those within which it does so.
-LISTED = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+LISTED = {
+    "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"),
+    "option": ("option",)
+}
 LISTS = {k: {"ul", "ol", "dl", "table", "tr", "select", "menu"} - {k} for k in LISTED}
-RAW_END = {t: re.compile(rf"</{t}\s*[^>]*>", re.I) for t in ("script", "style", "textarea", "title", "noscript", "template", "svg", "iframe")}
+RAW_END = {
+    t: re.compile(rf"</{t}\s*[^>]*>", re.I) for t in (
+        "script", "style", "textarea", "title", "noscript", "template", "svg", "iframe"
+    )
+}
 
 
 def is_mark(value: str) -> bool:
@@ -214,7 +234,9 @@ def common_lines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return taken
 
 
-def template_lines(a: np.ndarray, kinds: np.ndarray, sizes: np.ndarray, b: np.ndarray, their_kinds: np.ndarray, their_sizes: np.ndarray) -> np.ndarray:
+def template_lines(
+    a: np.ndarray, kinds: np.ndarray, sizes: np.ndarray, b: np.ndarray, their_kinds: np.ndarray, their_sizes: np.ndarray
+) -> np.ndarray:
     """Numbers of the core lines of a page that its neighbour repeats in its core (or, without
     one, unmarked); none if they are most of both cores' text. a, b: the pages' line hashes."""
     core = np.flatnonzero(kinds == 2)
@@ -257,9 +279,18 @@ def neighbours(keyed: DataFrame) -> DataFrame:
     back = Window.partitionBy("part").orderBy(F.desc("host"), F.desc("path"), F.desc("row"))
     earlier = (Window.unboundedPreceding, -1)
     run = F.struct("host", "content")
-    runs = parts.withColumn("starts", ~run.eqNullSafe(F.lag(run).over(order))).withColumn("ends", ~run.eqNullSafe(F.lead(run).over(order)))
-    runs = runs.withColumn("before", F.last(F.when(F.col("ends"), place), ignorenulls=True).over(order.rowsBetween(*earlier)))
-    runs = materialize(runs.withColumn("after", F.last(F.when(F.col("starts"), place), ignorenulls=True).over(back.rowsBetween(*earlier))), "html-runs")
+    runs = parts.withColumn(
+        "starts", ~run.eqNullSafe(F.lag(run).over(order))
+    ).withColumn("ends", ~run.eqNullSafe(F.lead(run).over(order)))
+    runs = runs.withColumn(
+        "before", F.last(F.when(F.col("ends"), place), ignorenulls=True).over(order.rowsBetween(*earlier))
+    )
+    runs = materialize(
+        runs.withColumn(
+            "after", F.last(F.when(F.col("starts"), place), ignorenulls=True).over(back.rowsBetween(*earlier))
+        ),
+        "html-runs"
+    )
     edge = F.struct(run.alias("run"), place.alias("place"), "before", "after")
     edges = runs.groupBy("part").agg(F.min_by(edge, place).alias("first"), F.max_by(edge, place).alias("last")).orderBy("part").collect()  # one row a part
     found: dict[int, list] = {e.part: [e.part, None, None] for e in edges}
@@ -268,7 +299,9 @@ def neighbours(keyed: DataFrame) -> DataFrame:
     for e, f in reversed(list(zip(edges, edges[1:], strict=False))):
         found[e.part][2] = f.first.place if e.last.run != f.first.run else f.first.after or found[f.part][2]
     kind = runs.schema["before"].dataType.simpleString()
-    across = keyed.sparkSession.createDataFrame(list(found.values()), f"part int, part_before {kind}, part_after {kind}")
+    across = keyed.sparkSession.createDataFrame(
+        list(found.values()), f"part int, part_before {kind}, part_after {kind}"
+    )
     placed = runs.join(F.broadcast(across), "part")
     before, after = F.coalesce("before", "part_before"), F.coalesce("after", "part_after")
     placed = placed.select("row", "host", "path", before.alias("before"), after.alias("after"))
@@ -278,10 +311,14 @@ def neighbours(keyed: DataFrame) -> DataFrame:
         theirs = F.split(F.col(f"{other}.path"), "")
         ours = F.split("path", "")
         differ = F.array_position(F.zip_with(ours, theirs, lambda a, b: F.coalesce(a == b, F.lit(False))), False)
-        return F.when(F.col(f"{other}.host") == F.col("host"), F.when(differ > 0, differ - 1).otherwise(F.size(ours))).otherwise(-1)
+        return F.when(
+            F.col(f"{other}.host") == F.col("host"), F.when(differ > 0, differ - 1).otherwise(F.size(ours))
+        ).otherwise(-1)
 
     placed = placed.withColumn("b", shared("before")).withColumn("a", shared("after"))
-    nearest = F.when((F.col("b") >= 0) & (F.col("b") >= F.col("a")), F.col("before.row")).when(F.col("a") >= 0, F.col("after.row"))
+    nearest = F.when(
+        (F.col("b") >= 0) & (F.col("b") >= F.col("a")), F.col("before.row")
+    ).when(F.col("a") >= 0, F.col("after.row"))
     return placed.select("row", nearest.alias("neighbour"))
 
 
@@ -297,20 +334,33 @@ def line_hashes(pages: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [page_lines(x.as_py()) for x in batch.column("html")]
-            lines, kinds = pa.array([x for x, _ in found], pa.list_(pa.string())), pa.array([k for _, k in found], pa.list_(pa.int8()))
-            yield pa.RecordBatch.from_arrays([*batch.drop_columns(["html"]).columns, lines, kinds], names=["row", "host", "path", "lines", "kinds"])
-
-    keyed = pages.select(row_key().alias("row"), host(F.col("url")).alias("host"), path(F.col("url")).alias("path"), "html")
+            lines, kinds = pa.array(
+                [x for x, _ in found], pa.list_(pa.string())
+            ), pa.array([k for _, k in found], pa.list_(pa.int8()))
+            yield pa.RecordBatch.from_arrays(
+                [*batch.drop_columns(["html"]).columns, lines, kinds], names=["row", "host", "path", "lines", "kinds"]
+            )
+
+    keyed = pages.select(
+        row_key().alias("row"), host(F.col("url")).alias("host"), path(F.col("url")).alias("path"), "html"
+    )
     kind = pages.schema["page_id"].dataType.simpleString()
-    parsed = keyed.mapInArrow(run, f"row struct<id: {kind}, n: bigint>, host string, path string, lines array<string>, kinds array<tinyint>")
-    hashed = parsed.select("row", "host", "path", F.transform("lines", lambda x: F.xxhash64(x)).alias("hashes"), "kinds", F.transform("lines", F.length).alias("sizes"))
+    parsed = keyed.mapInArrow(
+        run, f"row struct<id: {kind}, n: bigint>, host string, path string, lines array<string>, kinds array<tinyint>"
+    )
+    hashed = parsed.select(
+        "row", "host", "path", F.transform("lines", lambda x: F.xxhash64(x)).alias("hashes"), "kinds",
+        F.transform("lines", F.length).alias("sizes")
+    )
     return materialize(hashed.dropDuplicates(["row"]), "html-hashes")
 
 
 def shared_lines(hashed: DataFrame) -> DataFrame:
     """its (row), neighbour, shared (line numbers) and template (line numbers, see
     template_lines) of each page with a neighbour."""
-    near = neighbours(hashed.select("row", "host", "path", F.xxhash64("hashes").alias("content"))).where("neighbour is not null")
+    near = neighbours(
+        hashed.select("row", "host", "path", F.xxhash64("hashes").alias("content"))
+    ).where("neighbour is not null")
     lines = F.struct("hashes", "kinds", "sizes")
     own = hashed.select("row", lines.alias("ours")).hint("merge")
     other = hashed.select(F.col("row").alias("neighbour"), lines.alias("theirs")).hint("merge")
@@ -320,13 +370,23 @@ def shared_lines(hashed: DataFrame) -> DataFrame:
         for batch in batches:
             shared, template = [], []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                (a, *ours), (b, *theirs) = ([np.array(p[c].as_py(), np.int64) for c in ("hashes", "kinds", "sizes")] for p in (x, y))
+                (a, *ours), (b, *theirs) = (
+                    [np.array(p[c].as_py(), np.int64) for c in ("hashes", "kinds", "sizes")] for p in (x, y)
+                )
                 shared.append(np.flatnonzero(common_lines(a, b)))
                 template.append(template_lines(a, *ours, b, *theirs))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shared, pa.list_(pa.int32())), pa.array(template, pa.list_(pa.int32()))], names=["its", "neighbour", "shared", "template"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0), batch.column(1), pa.array(shared, pa.list_(pa.int32())),
+                    pa.array(template, pa.list_(pa.int32()))
+                ],
+                names=["its", "neighbour", "shared", "template"]
+            )
 
     kind = hashed.schema["row"].dataType.simpleString()
-    return materialize(both.mapInArrow(run, f"its {kind}, neighbour {kind}, shared array<int>, template array<int>"), "html-shared")
+    return materialize(
+        both.mapInArrow(run, f"its {kind}, neighbour {kind}, shared array<int>, template array<int>"), "html-shared"
+    )
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -341,22 +401,44 @@ def extract(pages: DataFrame) -> DataFrame:
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstd.ZstdCompressor(level=3)
         for batch in batches:
-            packed = [packer.compress(json.dumps(page_lines(x.as_py()), ensure_ascii=False, separators=(",", ":")).encode()) for x in batch.column("html")]
-            yield pa.RecordBatch.from_arrays([*batch.drop_columns(["html"]).columns, pa.array(packed, pa.binary())], names=["page_id", "url", "row", "packed"])
-
-    parsed = pages.select("page_id", "url", row_key().alias("row"), "html").mapInArrow(parse, f"page_id {kind}, url string, row struct<id: {kind}, n: bigint>, packed binary")
-    both = parsed.join(shared.hint("merge"), F.col("row") == F.col("its"), "left").select("page_id", "url", "packed", "shared", "template", F.col("neighbour.id").alias("neighbour"))
+            packed = [
+                packer.compress(
+                    json.dumps(page_lines(x.as_py()), ensure_ascii=False, separators=(",", ":")).encode()
+                ) for x in batch.column("html")
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.drop_columns(["html"]).columns, pa.array(packed, pa.binary())],
+                names=["page_id", "url", "row", "packed"]
+            )
+
+    parsed = pages.select("page_id", "url", row_key().alias("row"), "html").mapInArrow(
+        parse, f"page_id {kind}, url string, row struct<id: {kind}, n: bigint>, packed binary"
+    )
+    both = parsed.join(shared.hint("merge"), F.col("row") == F.col("its"), "left").select(
+        "page_id", "url", "packed", "shared", "template", F.col("neighbour.id").alias("neighbour")
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpacker = zstd.ZstdDecompressor()
         for batch in batches:
             texts, n_lines, n_shared = [], [], []
-            for packed, met, repeated in zip(batch.column("packed"), batch.column("shared"), batch.column("template"), strict=True):
+            for packed, met, repeated in zip(
+                batch.column("packed"), batch.column("shared"), batch.column("template"), strict=True
+            ):
                 lines, kinds = json.loads(unpacker.decompress(packed.as_py()))
                 gone = set(met.as_py() or ())
                 texts.append("\n".join(main_lines(lines, kinds, gone, set(repeated.as_py() or ()))))
                 n_lines.append(len(lines))
                 n_shared.append(len(gone))
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array(n_lines, pa.int64()), pa.array(n_shared, pa.int64()), batch.column("neighbour")], names=["page_id", "url", "text", "n_chars", "n_lines", "n_shared", "neighbour"])
-
-    return both.mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long, n_lines long, n_shared long, neighbour {kind}")
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()),
+                    pa.array([len(t) for t in texts], pa.int64()), pa.array(n_lines, pa.int64()),
+                    pa.array(n_shared, pa.int64()), batch.column("neighbour")
+                ],
+                names=["page_id", "url", "text", "n_chars", "n_lines", "n_shared", "neighbour"]
+            )
+
+    return both.mapInArrow(
+        run, f"page_id {kind}, url string, text string, n_chars long, n_lines long, n_shared long, neighbour {kind}"
+    )

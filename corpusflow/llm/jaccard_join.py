@@ -121,7 +121,9 @@ class Rings:
         return np.where(fits, ring, -1)
 
 
-def cells(join: Join, n: int, doc: np.ndarray, h: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def cells(join: Join, n: int, doc: np.ndarray, h: np.ndarray) -> Iterator[
+    tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+]:
     """Document and cell (64 bits, the last 8 of them the ring) of each projection, ring by ring
     above the documents' own; then each document's ring (-1: none) and the number of cells
     that it shares at least with any document that it links with there."""
@@ -159,11 +161,16 @@ def measure(docs: DataFrame, join: Join) -> DataFrame:
             for scan in scans(batch.column(1)):
                 size, signature = signatures(scan.n, *sets(scan, join.words))
                 own = [batch.column(c).slice(scan.first, scan.n) for c in (0, 2)]
-                yield pa.RecordBatch.from_arrays([own[0], pa.array(size), pa.array(signature), own[1]], names=["doc_id", "n_shingles", "set", "text_hash"])
+                yield pa.RecordBatch.from_arrays(
+                    [own[0], pa.array(size), pa.array(signature), own[1]],
+                    names=["doc_id", "n_shingles", "set", "text_hash"]
+                )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    return materialize(hashed.mapInArrow(run, f"doc_id {kind}, n_shingles long, set long, text_hash long"), "jaccard-sets")
+    return materialize(
+        hashed.mapInArrow(run, f"doc_id {kind}, n_shingles long, set long, text_hash long"), "jaccard-sets"
+    )
 
 
 def first_regions(docs: DataFrame, join: Join) -> DataFrame:
@@ -183,7 +190,9 @@ def first_regions(docs: DataFrame, join: Join) -> DataFrame:
                         fresh[i] = True
                 keep = fresh[doc]
                 for owner, cell, _, _ in cells(join, scan.n, doc[keep], h[keep]):
-                    yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(signature[owner])], names=["cell", "set"])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(cell), pa.array(signature[owner])], names=["cell", "set"]
+                    )
 
     # Computed twice instead of written: most cells have one set, and all of them would fill disks. A
     # cell's sets are counted first; then the rows of cells with several are fetched by a plain
@@ -217,14 +226,19 @@ def shared_cells(docs: DataFrame, join: Join) -> DataFrame:
                 _, signature = signatures(scan.n, doc, h)
                 for _, _, ring, least in cells(join, scan.n, doc, h):
                     own = ring >= 0
-                    yield pa.RecordBatch.from_arrays([pa.array(signature[own]), pa.array(ring[own] & 255), pa.array(least[own])], names=["set", "ring", "need"])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(signature[own]), pa.array(ring[own] & 255), pa.array(least[own])],
+                        names=["set", "ring", "need"]
+                    )
 
     return docs.select("text").mapInArrow(run, "set long, ring long, need long").groupBy("set", "ring").agg(F.min("need").alias("need"))
 
 
 def set_items(docs: DataFrame, measured: DataFrame, wanted: DataFrame, join: Join) -> DataFrame:
     """set and items (its n-gram hashes) of the wanted sets, each from one document."""
-    one = measured.join(wanted.hint("merge"), "set").groupBy("set").agg(F.min(F.struct(F.col("doc_id").alias("id"), F.col("text_hash").alias("t"))).alias("one"))
+    one = measured.join(wanted.hint("merge"), "set").groupBy("set").agg(
+        F.min(F.struct(F.col("doc_id").alias("id"), F.col("text_hash").alias("t"))).alias("one")
+    )
     same = F.col("doc_id").eqNullSafe(F.col("one.id")) & (F.xxhash64("text") == F.col("one.t"))
     texts = docs.select("doc_id", "text").join(one.hint("merge"), same).select("text", "set")
 
@@ -248,11 +262,18 @@ def distances(pairs: DataFrame, items: DataFrame, join: Join) -> DataFrame:
     # Both joins with items are by set, so that they share one shuffle of them; only pivots'
     # items are then sent to their pairs.
     full = items.hint("merge")
-    pivots = pairs.select(F.col("pivot").alias("set")).distinct().join(full, "set").select(F.col("set").alias("pivot"), F.col("items").alias("y")).hint("merge")
+    pivots = pairs.select(F.col("pivot").alias("set")).distinct().join(full, "set").select(
+        F.col("set").alias("pivot"), F.col("items").alias("y")
+    ).hint("merge")
     shared = F.size(F.array_intersect("items", "y"))
-    found = pairs.join(full, "set").join(pivots, "pivot").select("set", "pivot", shared.alias("i"), (F.size("items") + F.size("y") - shared).alias("u"))
+    found = pairs.join(full, "set").join(pivots, "pivot").select(
+        "set", "pivot", shared.alias("i"), (F.size("items") + F.size("y") - shared).alias("u")
+    )
     linked = 100 * F.col("i") >= join.percent * F.col("u")
-    return materialize(found.select("set", "pivot", (1 - F.col("i") / F.col("u")).alias("distance"), linked.alias("linked")), "jaccard-distances")
+    return materialize(
+        found.select("set", "pivot", (1 - F.col("i") / F.col("u")).alias("distance"), linked.alias("linked")),
+        "jaccard-distances"
+    )
 
 
 def hubs(cells: DataFrame) -> DataFrame:
@@ -260,8 +281,12 @@ def hubs(cells: DataFrame) -> DataFrame:
     that shares its regions with most others. Distinct, without the pivot itself."""
     sizes = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
     weights = cells.join(sizes.hint("merge"), "cell").groupBy("set").agg(F.sum("n").alias("weight"))
-    pivots = cells.join(weights.hint("merge"), "set").groupBy("cell").agg(F.max_by("set", F.struct("weight", "set")).alias("pivot"))
-    return materialize(cells.join(pivots.hint("merge"), "cell").where("set <> pivot").select("pivot", "set").distinct(), "jaccard-hubs")
+    pivots = cells.join(weights.hint("merge"), "set").groupBy("cell").agg(
+        F.max_by("set", F.struct("weight", "set")).alias("pivot")
+    )
+    return materialize(
+        cells.join(pivots.hint("merge"), "cell").where("set <> pivot").select("pivot", "set").distinct(), "jaccard-hubs"
+    )
 
 
 def with_roots(rows: DataFrame, roots: DataFrame) -> DataFrame:
@@ -327,14 +352,22 @@ def compare_blocks(rows: DataFrame, items: DataFrame, join: Join) -> DataFrame:
     other = F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))
     dealt = rows.withColumn("own", own).select("region", "set", "root", "own", other.alias("other"))
     low, high = F.least("own", "other"), F.greatest("own", "other")
-    keyed = dealt.select(F.struct("region", low.alias("i"), high.alias("j")).alias("key"), "set", "root", (F.col("own") > F.col("other")).alias("side"))
+    keyed = dealt.select(
+        F.struct("region", low.alias("i"), high.alias("j")).alias("key"), "set", "root",
+        (F.col("own") > F.col("other")).alias("side")
+    )
     full = keyed.join(items.hint("merge"), "set").select("key", "set", "root", "side", "items").repartition("key").sortWithinPartitions("key")
 
     def compare(group: list[dict]) -> pa.RecordBatch:
         # Within one block every pair of rows counts: there all sides are equal.
         sides = np.array([r["side"] for r in group])
         across = group[0]["key"]["i"] != group[0]["key"]["j"]
-        found = list(_link_rows(join, [r["root"] for r in group], [r["items"] for r in group], sides if across else np.zeros(len(group), bool)))
+        found = list(
+            _link_rows(
+                join, [r["root"] for r in group], [r["items"] for r in group],
+                sides if across else np.zeros(len(group), bool)
+            )
+        )
         a, b = ([group[x[i]]["set"] for x in found] for i in (0, 1))
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
@@ -347,7 +380,9 @@ def compare_blocks(rows: DataFrame, items: DataFrame, join: Join) -> DataFrame:
                 if group and group[-1]["key"] != key:
                     yield compare(group)
                     group = []
-                group.append({"key": key, "set": name, "root": root, "side": side, "items": values[cuts[i] : cuts[i + 1]].copy()})
+                group.append(
+                    {"key": key, "set": name, "root": root, "side": side, "items": values[cuts[i] : cuts[i + 1]].copy()}
+                )
         if group:
             yield compare(group)
 
@@ -371,14 +406,23 @@ def links(docs: DataFrame, measured: DataFrame, join: Join) -> DataFrame:
         before, work = work, large.agg(F.sum("n").alias("n")).first().n
         if not work or before and work > 0.8 * before:
             break
-        chosen = large.groupBy("region").agg(F.min_by("set", F.xxhash64("set", "region")).alias("pivot")).select(F.col("region").alias("r"), "pivot")
-        again = materialize(large.join(chosen.hint("merge"), F.col("region") == F.col("r")).where("set <> pivot").select("region", "set", "pivot"), "jaccard-pivots")
+        chosen = large.groupBy("region").agg(
+            F.min_by("set", F.xxhash64("set", "region")).alias("pivot")
+        ).select(F.col("region").alias("r"), "pivot")
+        again = materialize(
+            large.join(
+                chosen.hint("merge"), F.col("region") == F.col("r")
+            ).where("set <> pivot").select("region", "set", "pivot"),
+            "jaccard-pivots"
+        )
         near = distances(again.select("set", "pivot").distinct(), items, join)
         found = found.unionByName(near.where("linked").select(F.col("set").alias("a"), F.col("pivot").alias("b")))
         small = rows.where(F.col("n") <= join.block)
         found = found.unionByName(compare_blocks(small, items, join))
         roots = components(found)
-        rows = again.join(near.select("set", "pivot", "distance").hint("merge"), ["set", "pivot"]).select("region", "set", "distance")
+        rows = again.join(
+            near.select("set", "pivot", "distance").hint("merge"), ["set", "pivot"]
+        ).select("region", "set", "distance")
     else:
         rows = materialize(unsettled(with_roots(rings(rows, join.radius), roots)), "jaccard-rings")
     found = found.unionByName(compare_blocks(rows, items, join))
@@ -393,7 +437,9 @@ def groups(docs: DataFrame, join: Join = Join()) -> DataFrame:
     rooted = classes.join(roots.hint("merge"), "set", "left").withColumn("root", F.coalesce("root", "set"))
     rooted = materialize(rooted, "jaccard-classes")
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = materialize(rooted.join(smallest.hint("merge"), "root").select(F.col("set").alias("its"), "component_id"), "jaccard-labels")
+    labels = materialize(
+        rooted.join(smallest.hint("merge"), "root").select(F.col("set").alias("its"), "component_id"), "jaccard-labels"
+    )
     out = measured.join(labels.hint("merge"), (F.col("set") == F.col("its")) & (F.col("n_shingles") > 0), "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 

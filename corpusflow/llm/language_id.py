@@ -57,7 +57,10 @@ def learn(labelled: DataFrame, settings: Settings = Settings()) -> dict[str, byt
     hashes. Hashes are ranked alone; then the chosen blocks' texts are fetched, one row each."""
     known = labelled.where("lang is not null").where(F.col("text").rlike(r"\p{L}")).select("lang", "text")
     size = settings.block
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / size)), lambda i: F.substring("text", i * size + 1, F.lit(size)))
+    blocks = F.transform(
+        F.sequence(F.lit(0), F.floor((F.length("text") - 1) / size)),
+        lambda i: F.substring("text", i * size + 1, F.lit(size))
+    )
     hashed = F.transform(blocks, lambda b: F.xxhash64(b))
     found = known.select("lang", F.explode(hashed).alias("h")).distinct()
     langs = sorted(r.lang for r in known.select("lang").distinct().collect())  # a row a language
@@ -74,7 +77,11 @@ def learn(labelled: DataFrame, settings: Settings = Settings()) -> dict[str, byt
     some = known.select("lang", F.explode(blocks).alias("b")).withColumn("h", F.xxhash64("b"))
     some = some.join(F.broadcast(wanted), ["lang", "h"]).groupBy("lang", "h").agg(F.min("b").alias("b"))
     texts = {(r.lang, r.h): r.b for r in some.collect()}  # as many rows
-    return {lang: "\n".join(plain(texts[k]) for k in sorted((k for k in chosen if k[0] == lang), key=chosen.get, reverse=True)).encode("utf-8", "replace") for lang in langs}
+    return {
+        lang: "\n".join(
+            plain(texts[k]) for k in sorted((k for k in chosen if k[0] == lang), key=chosen.get, reverse=True)
+        ).encode("utf-8", "replace") for lang in langs
+    }
 
 
 class Classifier:
@@ -84,7 +91,9 @@ class Classifier:
         for data in dictionaries.values():
             held = zstd.ZstdCompressionDict(data, dict_type=zstd.DICT_TYPE_RAWCONTENT)
             held.precompute_compress(level=settings.level)
-            self.compressors.append(zstd.ZstdCompressor(dict_data=held, write_content_size=False, write_checksum=False, write_dict_id=False))
+            self.compressors.append(
+                zstd.ZstdCompressor(dict_data=held, write_content_size=False, write_checksum=False, write_dict_id=False)
+            )
 
     def __call__(self, text: str | None) -> tuple[str, float, bool]:
         """Language, score and whether it is rejected."""
@@ -105,10 +114,21 @@ def classify(docs: DataFrame, dictionaries: dict[str, bytes], settings: Settings
         model = Classifier(dictionaries, settings)
         for batch in batches:
             found = [model(x.as_py()) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in found], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.bool_())))], names=["doc_id", "lang_pred", "score", "rejected"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0),
+                    *(
+                        pa.array([r[i] for r in found], kind) for i,
+                        kind in enumerate((pa.string(), pa.float64(), pa.bool_()))
+                    )
+                ],
+                names=["doc_id", "lang_pred", "score", "rejected"]
+            )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, rejected boolean")
+    return docs.select("doc_id", "text").mapInArrow(
+        run, f"doc_id {kind}, lang_pred string, score double, rejected boolean"
+    )
 
 
 def filter_documents(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -124,7 +144,9 @@ def filter_documents(docs: DataFrame, settings: Settings = Settings()) -> DataFr
     return docs.mapInArrow(run, docs.schema)
 
 
-def predict_held_out(docs: DataFrame, settings: Settings = Settings(), modulus: int = 4, remainder: int = 2) -> DataFrame:
+def predict_held_out(
+    docs: DataFrame, settings: Settings = Settings(), modulus: int = 4, remainder: int = 2
+) -> DataFrame:
     """Learns from the documents outside the fold, predicts all: doc_id, held_out, lang_pred,
     score, rejected."""
     dictionaries = learn(docs.where(~held_out(modulus, remainder)), settings)

@@ -56,16 +56,46 @@ TEMPLATES = (
     Template("lgpl", "this library is free software under the gnu lesser general public license"),
     Template("mpl", "subject to the terms of the mozilla public license v 2 0"),
     Template("all-rights-reserved", "all rights reserved no part may be reproduced"),
-    Template("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
-    Template("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
-    Template("apache-2.0", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"),
-    Template("mit", "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software"),
-    Template("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
-    Template("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
-    Template("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
-    Template("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at"),
-    Template("epl", "this program and the accompanying materials are made available under the terms of the eclipse public license"),
-    Template("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work"),
+    Template(
+        "gpl",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"
+    ),
+    Template(
+        "lgpl",
+        "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version"
+    ),
+    Template(
+        "apache-2.0",
+        "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"
+    ),
+    Template(
+        "mit",
+        "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software"
+    ),
+    Template(
+        "bsd",
+        "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"
+    ),
+    Template(
+        "bsd",
+        "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
+    ),
+    Template(
+        "isc",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"
+    ),
+    Template(
+        "mpl",
+        "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at"
+    ),
+    Template(
+        "epl",
+        "this program and the accompanying materials are made available under the terms of the eclipse public license"
+    ),
+    Template(
+        "cc0",
+        "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work"
+    ),
     Template("unlicense", "this is free and unencumbered software released into the public domain"),
 )
 
@@ -101,28 +131,48 @@ def _prefixes(docs: DataFrame, templates: Sequence[Template], threshold: float)
 PREFIX = "template int, label string, own array<string>, need int, i int, word string"
 
 
-def match_windows(docs: DataFrame, keys: list[str], templates: Sequence[Template], rows: list[tuple], threshold: float) -> DataFrame:
+def match_windows(
+    docs: DataFrame, keys: list[str], templates: Sequence[Template], rows: list[tuple], threshold: float
+) -> DataFrame:
     """keys, label and containment of templates met by words that cross a line end: by a window
     as long as the template, around one of its prefix words. A template isn't met if a nearer one
     in the words around has all words that it shares."""
     length = [len(t.text.split()) for t in templates]
     prefixes = docs.sparkSession.createDataFrame([(*r, length[r[0]]) for r in rows], PREFIX + ", length int")
     lines = F.transform(F.split("text", "\n"), words)
-    spoken = docs.where(F.arrays_overlap(words(F.col("text")), _literal(sorted({r[-1] for r in rows})))).where(F.col("text").contains("\n"))
-    spoken = spoken.select(*keys, F.flatten(lines).alias("w"), F.flatten(F.transform(lines, lambda x, i: F.transform(x, lambda _: i))).alias("line"))
+    spoken = docs.where(
+        F.arrays_overlap(words(F.col("text")), _literal(sorted({r[-1] for r in rows})))
+    ).where(F.col("text").contains("\n"))
+    spoken = spoken.select(
+        *keys, F.flatten(lines).alias("w"),
+        F.flatten(F.transform(lines, lambda x, i: F.transform(x, lambda _: i))).alias("line")
+    )
     # Only the words around a prefix word go on, so that a row's size doesn't grow with its document.
     most, rare = max(length), _literal(sorted({r[-1] for r in rows}))
     low, high = lambda j: F.greatest(j - most + 1, F.lit(0)), lambda j: F.least(j + most, F.size("w"))
-    at = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda j: F.array_contains(rare, F.get("w", j)) & (F.get("line", low(j)) < F.get("line", high(j) - 1)))
+    at = F.filter(
+        F.sequence(F.lit(0), F.size("w") - 1),
+        lambda j: F.array_contains(rare, F.get("w", j)) & (F.get("line", low(j)) < F.get("line", high(j) - 1))
+    )
     around = lambda c, j: F.slice(c, low(j) + 1, high(j) - low(j))
-    places = F.transform(at, lambda j: F.struct(F.get("w", j).alias("word"), (j - low(j)).alias("j"), around("w", j).alias("w"), around("line", j).alias("line")))
+    places = F.transform(
+        at,
+        lambda j: F.struct(
+            F.get("w", j).alias("word"), (j - low(j)).alias("j"), around("w", j).alias("w"),
+            around("line", j).alias("line")
+        )
+    )
     seen = spoken.select(*keys, F.explode(places).alias("place")).select(*keys, "place.*")
     # The prefixes are a parameter of the scan, a few rows a template.
     seen = seen.join(F.broadcast(prefixes), "word")
     begin = F.greatest(F.col("j") - F.col("length") + 1, F.lit(0))
     near = lambda c: F.slice(c, begin + 1, F.col("j") + F.col("length") - begin)
-    seen = seen.select(*keys, "template", "label", "own", "need", "length", near("w").alias("w"), near("line").alias("line"))
-    seen = seen.where((F.element_at("line", 1) < F.element_at("line", -1)) & (F.size(F.array_intersect("own", "w")) >= F.col("need")))
+    seen = seen.select(
+        *keys, "template", "label", "own", "need", "length", near("w").alias("w"), near("line").alias("line")
+    )
+    seen = seen.where(
+        (F.element_at("line", 1) < F.element_at("line", -1)) & (F.size(F.array_intersect("own", "w")) >= F.col("need"))
+    )
 
     def window(s):
         met = F.array_intersect("own", F.slice("w", s + 1, F.col("length")))
@@ -133,7 +183,9 @@ def match_windows(docs: DataFrame, keys: list[str], templates: Sequence[Template
     best = seen.withColumn("best", F.array_max(F.transform(starts, window))).where("best.n >= need")
     share = F.col("best.n") / F.size("own")
     nearer = [
-        (F.size(F.array_intersect(own, "w")) >= need(len(t.words), threshold)) & (F.size(F.array_intersect(own, "w")) / len(t.words) > share) & (F.size(F.array_except("best.met", own)) == 0)
+        (
+            F.size(F.array_intersect(own, "w")) >= need(len(t.words), threshold)
+        ) & (F.size(F.array_intersect(own, "w")) / len(t.words) > share) & (F.size(F.array_except("best.met", own)) == 0)
         for t in templates
         for own in [_literal(t.words)]
     ]
@@ -146,7 +198,9 @@ def match_blocks(docs: DataFrame, keys: list[str], order: list[str], rows: list[
     other's templates."""
     prefixes = docs.sparkSession.createDataFrame(rows, PREFIX)
     rare = _literal(sorted({r[-1] for r in rows}))
-    lines = docs.withColumn("__lower", F.translate("text", UPPER, LOWER)).where(F.arrays_overlap(F.split("__lower", SEPARATOR), rare))
+    lines = docs.withColumn("__lower", F.translate("text", UPPER, LOWER)).where(
+        F.arrays_overlap(F.split("__lower", SEPARATOR), rare)
+    )
     blocks = lines.select(*keys, F.posexplode(F.split("__lower", "\n")).alias("block", "line"))
     blocks = blocks.select(*keys, "block", F.array_intersect(_literal(order), F.split("line", SEPARATOR)).alias("has"))
     blocks = blocks.where(F.size("has") >= min(r[3] for r in rows))
@@ -159,7 +213,9 @@ def match_blocks(docs: DataFrame, keys: list[str], order: list[str], rows: list[
     met = pairs.where(shared >= F.col("need")).select(*keys, "block", "template", one.alias("m"))
     # A row a template at most.
     met = met.groupBy(*keys, "block").agg(F.collect_set("m").alias("all"))
-    nearer = lambda m: F.exists("all", lambda o: (o["containment"] > m["containment"]) & (F.size(F.array_except(m["met"], o["met"])) == 0))
+    nearer = lambda m: F.exists(
+        "all", lambda o: (o["containment"] > m["containment"]) & (F.size(F.array_except(m["met"], o["met"])) == 0)
+    )
     met = met.select(*keys, F.explode(F.filter("all", lambda m: ~nearer(m))).alias("m"))
     return met.select(*keys, "m.label", "m.containment")
 
@@ -173,27 +229,46 @@ def scan(docs: DataFrame, templates: Sequence[Template] = TEMPLATES, threshold:
     order, rows = _prefixes(marked, templates, threshold)
     met = match_blocks(marked, ["doc_id", "__mark"], order, rows)
     met = met.unionByName(match_windows(marked, ["doc_id", "__mark"], templates, rows, threshold))
-    by_doc = met.groupBy(F.col("doc_id").alias("__id"), F.col("__mark").alias("__key")).agg(F.collect_set("label").alias("own_labels"), F.max("containment").alias("best"))
+    by_doc = met.groupBy(F.col("doc_id").alias("__id"), F.col("__mark").alias("__key")).agg(
+        F.collect_set("label").alias("own_labels"), F.max("containment").alias("best")
+    )
 
     phrase = "(?<= )(" + "|".join(PHRASES) + ")(?= )"
-    spoken = marked.select("doc_id", "__mark", words(F.col("text")).alias("w")).withColumn("n_words", F.size("w").cast("long"))
+    spoken = marked.select(
+        "doc_id", "__mark", words(F.col("text")).alias("w")
+    ).withColumn("n_words", F.size("w").cast("long"))
     firsts = _literal(sorted({p.split()[0] for p in PHRASES}))
-    joined = F.when(F.arrays_overlap("w", firsts), F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" "))).otherwise(F.lit(""))
+    joined = F.when(
+        F.arrays_overlap("w", firsts), F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" "))
+    ).otherwise(F.lit(""))
     counted = lambda c: F.regexp_count(c, F.lit("[^ ]+"))
     places = (
         spoken.select("doc_id", "__mark", "n_words", joined.alias("s"))
-        .select("doc_id", "__mark", "n_words", F.regexp_extract_all("s", F.lit(phrase), 1).alias("found"), F.split("s", phrase).alias("pieces"))
+        .select(
+            "doc_id", "__mark", "n_words", F.regexp_extract_all("s", F.lit(phrase), 1).alias("found"),
+            F.split("s", phrase).alias("pieces")
+        )
         .withColumn("n_base", F.size("found").cast("long"))
         .withColumn("last_piece", F.get("pieces", F.size("pieces") - 1))
         .withColumn("last_found", F.get("found", F.size("found") - 1))
         .select(
             "doc_id", "__mark", "n_words", "n_base",
             F.when(F.col("n_base") > 0, counted(F.get("pieces", F.lit(0)))).cast("long").alias("first_word"),
-            F.when(F.col("n_base") > 0, F.col("n_words") - counted("last_piece") - counted("last_found")).cast("long").alias("last_word"),
-            F.array_compact(F.array(*(F.when(F.array_contains("found", p), label) for p, label in PHRASES.items()))).alias("base"),
+            F.when(
+                F.col("n_base") > 0, F.col("n_words") - counted("last_piece") - counted("last_found")
+            ).cast("long").alias("last_word"),
+            F.array_compact(
+                F.array(*(F.when(F.array_contains("found", p), label) for p, label in PHRASES.items()))
+            ).alias("base"),
         )
     )
-    out = places.join(by_doc.hint("merge"), F.col("__mark").eqNullSafe(F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left")
+    out = places.join(
+        by_doc.hint("merge"), F.col("__mark").eqNullSafe(F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__id")),
+        "left"
+    )
     named = lambda c: F.array_join(F.array_sort(F.array_distinct(c)), ",")
     every = F.concat("base", F.coalesce("own_labels", F.array().cast("array<string>")))
-    return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", named(F.col("base")).alias("base_labels"), named(every).alias("labels"), F.coalesce("best", F.lit(0.0)).alias("score"))
+    return out.select(
+        "doc_id", "n_words", "n_base", "first_word", "last_word", named(F.col("base")).alias("base_labels"),
+        named(every).alias("labels"), F.coalesce("best", F.lit(0.0)).alias("score")
+    )

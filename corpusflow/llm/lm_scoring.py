@@ -92,7 +92,9 @@ class Trees:
         self.at = np.concatenate([[0], np.cumsum(self.length)[:-1]])
         self.nodes = np.array([n for w in walks for n, _ in w], np.uint8)
         self.bits = np.array([b for w in walks for _, b in w], np.int8)
-        self.gates = np.array([min(i, 3) + 4 * (s >> 8 > 96) for s, w in enumerate(walks) for i in range(len(w))], np.int8)
+        self.gates = np.array(
+            [min(i, 3) + 4 * (s >> 8 > 96) for s, w in enumerate(walks) for i in range(len(w))], np.int8
+        )
 
     def walk(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First step of each symbol, and each step's place in the flat tables."""
@@ -240,10 +242,18 @@ def pieces(docs: DataFrame) -> DataFrame:
                 data, offsets = with_ends(scan.data, scan.offsets)
                 row = lambda of: pa.ListArray.from_arrays(pa.array([0, len(of)], pa.int32()), of)
                 own = [row(x.slice(scan.first, scan.n)) for x in (ids, held)]
-                yield pa.RecordBatch.from_arrays([*own, row(pa.array(offsets, pa.int64())), pa.array([packer.compress(data.tobytes())], pa.binary())], names=["ids", "held", "offsets", "packed"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *own, row(pa.array(offsets, pa.int64())),
+                        pa.array([packer.compress(data.tobytes())], pa.binary())
+                    ],
+                    names=["ids", "held", "offsets", "packed"]
+                )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    found = docs.select("doc_id", "text", "held_out").mapInArrow(run, f"ids array<{kind}>, held array<boolean>, offsets array<long>, packed binary")
+    found = docs.select("doc_id", "text", "held_out").mapInArrow(
+        run, f"ids array<{kind}>, held array<boolean>, offsets array<long>, packed binary"
+    )
     return materialize(found.withColumn("piece", F.monotonically_increasing_id()), "lm-pieces")
 
 
@@ -256,7 +266,9 @@ def count_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     """Each piece's distinct pairs (context << 8 | byte) with their number n in training documents,
     if there is any, and its distinct contexts with n = 0: piece, key, n."""
     for batch in batches:
-        for piece, packed, offsets, out in zip(batch.column("piece"), batch.column("packed"), batch.column("offsets"), batch.column("held"), strict=True):
+        for piece, packed, offsets, out in zip(
+            batch.column("piece"), batch.column("packed"), batch.column("offsets"), batch.column("held"), strict=True
+        ):
             (data, offsets), used, held = unpack(packed, offsets), ~np.array(out.as_py(), bool), []
             for doc, starts, stops in stretches(offsets):
                 mine = np.repeat(used[doc], stops - starts)
@@ -272,7 +284,10 @@ def count_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             for keys, often in ((pairs[n > 0], n[n > 0]), (own, np.zeros(len(own), np.int64))):
                 for i in range(0, len(keys), 100_000):
                     part = keys[i : i + 100_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), piece.as_py())), pa.array(part), pa.array(often[i : i + 100_000])], names=["piece", "key", "n"])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(part), piece.as_py())), pa.array(part), pa.array(often[i : i + 100_000])],
+                        names=["piece", "key", "n"]
+                    )
 
 
 def mix_cost(steps: Steps, step: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -400,9 +415,13 @@ def score(docs: DataFrame, modulus: int = 7, remainder: int = 2) -> DataFrame:
     held = pairs.join(F.broadcast(often_met), "context").select("pair", "n").toArrow()  # FREQUENT_PAIRS rows at most
     held = [held.column(c).to_numpy() for c in ("pair", "n")]
     model = spark.sparkContext.broadcast((Odds(trees, *held), words, often))
-    rare = met.where("n = 0").select("piece", F.col("key").alias("context")).join(F.broadcast(often_met), "context", "left_anti")
+    rare = met.where("n = 0").select("piece", F.col("key").alias("context")).join(
+        F.broadcast(often_met), "context", "left_anti"
+    )
     # No context here is among the most frequent ones, so none is hot; one has 256 bytes at most.
-    packed = pairs.groupBy("context").agg(F.collect_list(F.shiftleft("n", 8).bitwiseOR(F.col("pair").bitwiseAND(F.lit(255)))).alias("bytes"))
+    packed = pairs.groupBy("context").agg(
+        F.collect_list(F.shiftleft("n", 8).bitwiseOR(F.col("pair").bitwiseAND(F.lit(255)))).alias("bytes")
+    )
     rest_odds = rare.join(packed.hint("merge"), "context").select("piece", "context", "bytes")
     total = float(np.log10(tokens + 1 * (kinds + 1)))
     end = float(np.log10(n_docs + 1)) - total
@@ -410,7 +429,9 @@ def score(docs: DataFrame, modulus: int = 7, remainder: int = 2) -> DataFrame:
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         odds, word, count = model.value
         lists = right.column("bytes").combine_chunks()
-        context = np.repeat(right.column("context").to_numpy(), np.diff(lists.offsets.to_numpy())) if len(lists) else np.zeros(0, np.int64)
+        context = np.repeat(
+            right.column("context").to_numpy(), np.diff(lists.offsets.to_numpy())
+        ) if len(lists) else np.zeros(0, np.int64)
         values = lists.flatten().to_numpy()
         own = Odds(trees, context << 8 | values & 255, values >> 8)
         found = []
@@ -428,24 +449,36 @@ def score(docs: DataFrame, modulus: int = 7, remainder: int = 2) -> DataFrame:
                 at_word = np.minimum(np.searchsorted(word, h), max(len(word) - 1, 0))
                 met = word[at_word] == h if len(word) else np.zeros(len(h), bool)
                 n_words, n_met = scan.per_doc(scan.doc), scan.per_doc(scan.doc[met])
-                base = np.bincount(scan.doc[met], np.log10(count[at_word[met]] + 1) - total, scan.n) + end if met.any() else np.full(scan.n, end)
+                base = np.bincount(
+                    scan.doc[met], np.log10(count[at_word[met]] + 1) - total, scan.n
+                ) + end if met.any() else np.full(scan.n, end)
                 cuts = np.concatenate([[0], np.cumsum(scan.per_doc(scan.doc[~met]))]).astype(np.int32)
                 found.append(pa.Table.from_arrays(
                     [at["ids"].values.slice(scan.first, scan.n), at["held"].values.slice(scan.first, scan.n), pa.array(n_words + 1), pa.array(n_met + int(n_docs > 0)), pa.array(base),
-                     pa.array(cost[part] * -np.log10(2)), pa.array(cost[part] / (np.diff(scan.offsets) + 1)), pa.ListArray.from_arrays(pa.array(cuts), pa.array(h[~met]))],
+                     pa.array(cost[part] * -np.log10(2)), pa.array(
+                         cost[part] / (np.diff(scan.offsets) + 1)
+                     ), pa.ListArray.from_arrays(pa.array(cuts), pa.array(h[~met]))],
                     names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "bits_per_byte", "rest"],
                 ))
         return pa.concat_tables(found)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    scored = cut.groupBy("piece").cogroup(rest_odds.groupBy("piece")).applyInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, bits_per_byte double, rest array<long>")
+    scored = cut.groupBy("piece").cogroup(rest_odds.groupBy("piece")).applyInArrow(
+        run,
+        f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, bits_per_byte double, rest array<long>"
+    )
     scored = materialize(scored.withColumn("row", F.monotonically_increasing_id()), "lm-scored")
     # Rare words, exactly: no word here is among the most frequent ones, so none is hot.
     rare = scored.select("row", F.explode("rest").alias("word")).groupBy("row", "word").agg(F.count("word").alias("tf"))
     rare = rare.join(counts.hint("merge"), "word", "left")
     n = F.coalesce("n", F.lit(0))
-    sums = rare.groupBy("row").agg(F.sum(F.when(n > 0, F.col("tf")).otherwise(0)).alias("known"), F.sum(F.col("tf") * (F.log10(n + 1) - total)).alias("part"))
+    sums = rare.groupBy("row").agg(
+        F.sum(F.when(n > 0, F.col("tf")).otherwise(0)).alias("known"),
+        F.sum(F.col("tf") * (F.log10(n + 1) - total)).alias("part")
+    )
     return scored.join(sums.hint("merge"), "row", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"),
+        "doc_id", "held_out", "n_tokens", (
+            F.col("n_known") + F.coalesce("known", F.lit(0))
+        ).alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"),
         (F.col("base_score") + F.coalesce("part", F.lit(0.0))).alias("base_score"), "score", "bits_per_byte",
     )

@@ -48,10 +48,15 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap:
     total = F.sum("source_size").over(Window.partitionBy())
     level = (total - F.coalesce(F.sum("limit").over(before), F.lit(0))) / F.sum("weight").over(rest)
     filled = ranked.withColumn("limit", cap * F.col("source_size")).withColumn("level", level)
-    fit = F.when(F.col("level") <= F.col("limit") / F.col("weight"), F.struct((F.col("limit") / F.col("weight")).alias("r"), "source_rank", "level"))
+    fit = F.when(
+        F.col("level") <= F.col("limit") / F.col("weight"),
+        F.struct((F.col("limit") / F.col("weight")).alias("r"), "source_rank", "level")
+    )
     filled = filled.withColumn("chosen", F.min(fit).over(Window.partitionBy())["level"])
     target = F.least(F.col("limit").cast("double"), F.col("weight") * F.col("chosen"))
-    return filled.select("source", "source_rank", "source_size", "n_docs", F.coalesce(target, F.lit(0.0)).alias("target"))
+    return filled.select(
+        "source", "source_rank", "source_size", "n_docs", F.coalesce(target, F.lit(0.0)).alias("target")
+    )
 
 
 def _number(key: Column) -> Column:
@@ -72,12 +77,23 @@ def apportion(claims: DataFrame, key: str, group: list[str] | None = None) -> Da
     all_rows = Window.partitionBy(*group)
     t, total = F.col("share"), F.col("__total")
     slack = F.col("__n") / 2 + 1
-    rows = claims.select(*group, key, "share", "house").withColumn("__total", F.sum("share").over(all_rows)).withColumn("__n", F.count_if(t > 0).over(all_rows))
-    rows = rows.withColumn("__sure", F.when((total > 0) & (F.col("house") > slack), F.floor(t * (F.col("house") - slack) / total + 0.5)).otherwise(0).cast("long"))
-    rows = rows.withColumn("__most", F.when(total > 0, F.floor(t * (F.col("house") + slack) / total + 0.5)).otherwise(0).cast("long"))
+    rows = claims.select(*group, key, "share", "house").withColumn(
+        "__total", F.sum("share").over(all_rows)
+    ).withColumn("__n", F.count_if(t > 0).over(all_rows))
+    rows = rows.withColumn(
+        "__sure",
+        F.when(
+            (total > 0) & (F.col("house") > slack), F.floor(t * (F.col("house") - slack) / total + 0.5)
+        ).otherwise(0).cast("long")
+    )
+    rows = rows.withColumn(
+        "__most", F.when(total > 0, F.floor(t * (F.col("house") + slack) / total + 0.5)).otherwise(0).cast("long")
+    )
     rows = rows.withColumn("__left", F.col("house") - F.sum("__sure").over(all_rows))
     near = F.explode_outer(F.when(F.col("__most") > F.col("__sure"), F.sequence("__sure", F.col("__most") - 1)))
-    quotients = rows.select(*group, key, "__sure", "__left", "share", near.alias("__k")).withColumn("__quotient", t / (2 * F.col("__k") + 1))
+    quotients = rows.select(
+        *group, key, "__sure", "__left", "share", near.alias("__k")
+    ).withColumn("__quotient", t / (2 * F.col("__k") + 1))
     rank = F.row_number().over(all_rows.orderBy(F.desc_nulls_last("__quotient"), key))
     won = F.count_if(F.col("__k").isNotNull() & (F.col("__rank") <= F.col("__left")))
     return quotients.withColumn("__rank", rank).groupBy(*group, key).agg((F.first("__sure") + won).alias("seats"))
@@ -87,7 +103,10 @@ def _sized(table: DataFrame) -> DataFrame:
     return table.hint("broadcast" if table.count() <= BROADCAST_ROWS else "merge")
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, block: int = 16, shard_docs: int = 4096, seed: int = 7, keep: tuple[str, ...] = ()) -> DataFrame:
+def mix(
+    docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, block: int = 16, shard_docs: int = 4096,
+    seed: int = 7, keep: tuple[str, ...] = ()
+) -> DataFrame:
     """doc_id, size, source_size, target, taken, passes, quota_blocks and the columns of keep for each
     document.
 
@@ -103,33 +122,66 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, blo
     sources = materialize(source_targets(sizes, weights, cap), "mix-sources")
     house = F.floor(F.sum("source_size").over(Window.partitionBy()) / b + F.lit(0.5))
     seats = apportion(sources.select("source_rank", col("target").alias("share"), house.alias("house")), "source_rank")
-    sources = materialize(sources.join(seats.hint("merge"), "source_rank").withColumn("shards", F.ceil(col("n_docs") / shard_docs)), "mix-quotas")
-    dealt = sized.join(_sized(sources.withColumnRenamed("source", "its_source")), col("source").eqNullSafe(col("its_source")))
+    sources = materialize(
+        sources.join(seats.hint("merge"), "source_rank").withColumn("shards", F.ceil(col("n_docs") / shard_docs)),
+        "mix-quotas"
+    )
+    dealt = sized.join(
+        _sized(sources.withColumnRenamed("source", "its_source")), col("source").eqNullSafe(col("its_source"))
+    )
     dealt = dealt.withColumn("shard", F.pmod(_number(col("key")), col("shards")))
-    shards = dealt.groupBy("source_rank", "shard").agg(F.sum("size").alias("shard_size"), *(F.first(c).alias(c) for c in ("target", "source_size", "seats")))
+    shards = dealt.groupBy("source_rank", "shard").agg(
+        F.sum("size").alias("shard_size"), *(F.first(c).alias(c) for c in ("target", "source_size", "seats"))
+    )
     share = F.when(col("source_size") > 0, col("target") * col("shard_size") / col("source_size")).otherwise(F.lit(0.0))
     shards = materialize(shards.withColumn("share", share), "mix-shards")
-    quotas = apportion(shards.select("source_rank", "shard", "share", col("seats").alias("house")), "shard", ["source_rank"])
+    quotas = apportion(
+        shards.select("source_rank", "shard", "share", col("seats").alias("house")), "shard", ["source_rank"]
+    )
     quotas = materialize(
         shards.select("source_rank", "shard", "shard_size")
         .join(quotas.hint("merge"), ["source_rank", "shard"])
         .withColumnRenamed("seats", "quota_blocks")
         .withColumn("words", col("quota_blocks") * b)
-        .withColumn("passes", F.when(col("shard_size") > 0, F.least(F.lit(cap).cast("long"), F.floor(col("words") / col("shard_size")))).otherwise(F.lit(0)))
+        .withColumn(
+            "passes",
+            F.when(
+                col("shard_size") > 0, F.least(F.lit(cap).cast("long"), F.floor(col("words") / col("shard_size")))
+            ).otherwise(F.lit(0))
+        )
         .withColumn("blocks", F.ceil(col("shard_size") / b))
-        .withColumn("rest", F.when(col("passes") >= cap, F.lit(0)).otherwise(F.floor((col("words") - col("passes") * col("shard_size")) / b + F.lit(0.5))))
-        .withColumn("step", F.when(col("blocks") % STEPS[0] == 0, F.lit(STEPS[1])).otherwise(F.lit(STEPS[0])).cast("long"))
-        .withColumn("offset", _number(F.md5(F.concat(F.lit(f"{seed}:"), col("source_rank"), F.lit(":"), col("shard"))))),
+        .withColumn(
+            "rest",
+            F.when(col("passes") >= cap, F.lit(0)).otherwise(
+                F.floor((col("words") - col("passes") * col("shard_size")) / b + F.lit(0.5))
+            )
+        )
+        .withColumn(
+            "step", F.when(col("blocks") % STEPS[0] == 0, F.lit(STEPS[1])).otherwise(F.lit(STEPS[0])).cast("long")
+        )
+        .withColumn(
+            "offset", _number(F.md5(F.concat(F.lit(f"{seed}:"), col("source_rank"), F.lit(":"), col("shard"))))
+        ),
         "mix-shard-quotas",
     )
-    stream = Window.partitionBy("source_rank", "shard").orderBy("key", "size", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = dealt.join(_sized(quotas), ["source_rank", "shard"]).withColumn("stop", F.sum("size").over(stream)).withColumn("start", col("stop") - col("size"))
+    stream = Window.partitionBy("source_rank", "shard").orderBy("key", "size", "doc_id").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
+    )
+    placed = dealt.join(
+        _sized(quotas), ["source_rank", "shard"]
+    ).withColumn("stop", F.sum("size").over(stream)).withColumn("start", col("stop") - col("size"))
     last = F.greatest(col("stop") - 1, col("start"))
     part = F.aggregate(
         F.sequence(F.floor(col("start") / b), F.floor(last / b)),
         F.lit(0).cast("long"),
         lambda total, j: total
-        + F.when((col("step") * j + col("offset")) % F.greatest(col("blocks"), F.lit(1)) < col("rest"), F.least(col("stop"), (j + 1) * b) - F.greatest(col("start"), j * b)).otherwise(F.lit(0)),
+        + F.when(
+            (col("step") * j + col("offset")) % F.greatest(col("blocks"), F.lit(1)) < col("rest"),
+            F.least(col("stop"), (j + 1) * b) - F.greatest(col("start"), j * b)
+        ).otherwise(F.lit(0)),
     )
     taken = col("passes") * col("size") + F.when((col("size") > 0) & (col("rest") > 0), part).otherwise(F.lit(0))
-    return placed.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), col("passes").cast("long"), col("quota_blocks").cast("long"), *keep)
+    return placed.select(
+        "doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), col("passes").cast("long"),
+        col("quota_blocks").cast("long"), *keep
+    )

@@ -80,7 +80,9 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     classes: dict[str, np.ndarray] = {}
 
     def rows(lang: str, word: pa.Array, n: np.ndarray, counts: pa.Array) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), word, pa.array(n), counts], names=["lang", "word", "n", "counts"])
+        return pa.RecordBatch.from_arrays(
+            [pa.array([lang] * len(n), pa.string()), word, pa.array(n), counts], names=["lang", "word", "n", "counts"]
+        )
 
     def passed(lang: str) -> pa.RecordBatch:
         h, n = words.pop(lang)
@@ -109,7 +111,9 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _columns(hashes: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
     """Index of each word in the (sorted) vocabulary; its length for any other word."""
     at = np.minimum(np.searchsorted(vocabulary, hashes), max(len(vocabulary) - 1, 0))
-    return np.where(vocabulary[at] == hashes, at, len(vocabulary)) if len(vocabulary) else np.zeros(len(hashes), np.int64)
+    return np.where(
+        vocabulary[at] == hashes, at, len(vocabulary)
+    ) if len(vocabulary) else np.zeros(len(hashes), np.int64)
 
 
 def class_histograms(scan: Scan) -> np.ndarray:
@@ -140,7 +144,9 @@ def learn_references(docs: DataFrame, rules: Rules = Rules()) -> References:
     words = np.zeros((len(langs), len(vocabulary) + 1))
     for r in rows:
         if r.lang in langs:
-            words[langs.index(r.lang), np.searchsorted(vocabulary, np.int64(r.word).view(np.uint64))] = r.n / total[r.lang]
+            words[
+                langs.index(r.lang), np.searchsorted(vocabulary, np.int64(r.word).view(np.uint64))
+            ] = r.n / total[r.lang]
     words[:, -1] = 1 - words.sum(1)
     table = np.array([classes[x] for x in langs], float)
     return References(langs, table / table.sum(1, keepdims=True), vocabulary, words)
@@ -192,7 +198,9 @@ def measure(scan: Scan, refs: References, rules: Rules) -> dict[str, np.ndarray]
         "n_dup_lines": n_lines - scan.per_doc(kinds),
         "n_repeat_words": scan.per_doc(scan.doc[covered]),
     }
-    out["base_failed"] = (n_words < rules.min_words) | (100 * out["n_repeat_words"] > rules.max_repeat_percent * n_words)
+    out["base_failed"] = (n_words < rules.min_words) | (
+        100 * out["n_repeat_words"] > rules.max_repeat_percent * n_words
+    )
     classes = class_histograms(scan)
     near, class_d, word_d = np.ones(scan.n, bool), np.zeros(scan.n), np.zeros(scan.n)
     if refs.langs:
@@ -214,7 +222,10 @@ def measure(scan: Scan, refs: References, rules: Rules) -> dict[str, np.ndarray]
     return out | {"class_distance": class_d, "word_distance": word_d}
 
 
-COLUMNS = {"n_words": "long", "word_chars": "long", "n_symbols": "long", "n_dup_lines": "long", "n_repeat_words": "long", "base_failed": "boolean", "kept": "boolean", "class_distance": "double", "word_distance": "double"}
+COLUMNS = {
+    "n_words": "long", "word_chars": "long", "n_symbols": "long", "n_dup_lines": "long", "n_repeat_words": "long",
+    "base_failed": "boolean", "kept": "boolean", "class_distance": "double", "word_distance": "double"
+}
 
 
 def judge(docs: DataFrame, refs: References | None = None, rules: Rules = Rules()) -> DataFrame:
@@ -225,10 +236,15 @@ def judge(docs: DataFrame, refs: References | None = None, rules: Rules = Rules(
         for batch in batches:
             for scan in scans(batch.column(1)):
                 found = measure(scan, refs, rules)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(scan.first, scan.n), *(pa.array(found[k]) for k in COLUMNS)], names=["doc_id", *COLUMNS])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(scan.first, scan.n), *(pa.array(found[k]) for k in COLUMNS)],
+                    names=["doc_id", *COLUMNS]
+                )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{k} {v}" for k, v in COLUMNS.items()))
+    return docs.select("doc_id", "text").mapInArrow(
+        run, f"doc_id {kind}, " + ", ".join(f"{k} {v}" for k, v in COLUMNS.items())
+    )
 
 
 def filter_documents(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:

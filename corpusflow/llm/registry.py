@@ -95,7 +95,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     own = {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
-    return dict(sorted(own.items(), key=lambda kv: int(kv[0][2:].split("_")[0]))) | {"quality_base_columns": quality_base_columns, "pipeline": pipeline}
+    return dict(sorted(own.items(), key=lambda kv: int(kv[0][2:].split("_")[0]))) | {
+        "quality_base_columns": quality_base_columns, "pipeline": pipeline
+    }
 
 
 def oracle_sql() -> dict:

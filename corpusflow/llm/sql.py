@@ -166,4 +166,7 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, la
 FROM d JOIN lines USING (r) LEFT JOIN covered USING (r)
 """
 
-ORACLES: dict[str, str] = {"quality_base_columns": QUALITY, "op4_jaccard_join": JACCARD, "op2_warc": WARC, "op6_license_scan": _licenses(), "op9_source_mixing": MIXING, "op10_decontamination": DECONTAMINATION}
+ORACLES: dict[str, str] = {
+    "quality_base_columns": QUALITY, "op4_jaccard_join": JACCARD, "op2_warc": WARC, "op6_license_scan": _licenses(),
+    "op9_source_mixing": MIXING, "op10_decontamination": DECONTAMINATION
+}

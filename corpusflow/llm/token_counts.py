@@ -37,7 +37,9 @@ def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
         coder = tiktoken.Encoding("counts", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         for batch in batches:
             counts = [len(coder.encode_ordinary(x.as_py() or "")) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64())], names=["doc_id", "n_tokens"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(counts, pa.int64())], names=["doc_id", "n_tokens"]
+            )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long")
@@ -49,7 +51,9 @@ def length_histogram(counts: DataFrame, length: str = "n_tokens") -> DataFrame:
     are cut at that length)."""
     n = F.col(length)
     bars = counts.groupBy(n.alias("n_tokens")).agg(F.count(F.lit(1)).alias("n_docs"))
-    bars = bars.withColumn("bucket", F.floor(F.col("n_tokens") / BUCKET)).withColumn("tokens", F.col("n_tokens") * F.col("n_docs"))
+    bars = bars.withColumn(
+        "bucket", F.floor(F.col("n_tokens") / BUCKET)
+    ).withColumn("tokens", F.col("n_tokens") * F.col("n_docs"))
     # As many buckets as the longest document has thousands of tokens.
     above = Window.orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.partitionBy()
@@ -59,7 +63,9 @@ def length_histogram(counts: DataFrame, length: str = "n_tokens") -> DataFrame:
         F.sum("d").over(everything).alias("all_docs"), F.sum("t").over(everything).alias("all_tokens"),
     )
     within = Window.partitionBy("bucket").orderBy(F.desc("n_tokens"))
-    out = bars.withColumn("d", F.sum("n_docs").over(within)).withColumn("t", F.sum("tokens").over(within)).join(buckets.hint("merge"), F.col("bucket") == F.col("b"))
+    out = bars.withColumn("d", F.sum("n_docs").over(within)).withColumn("t", F.sum("tokens").over(within)).join(
+        buckets.hint("merge"), F.col("bucket") == F.col("b")
+    )
     docs_ge, tokens_ge = F.col("d") + F.col("docs_above"), F.col("t") + F.col("tokens_above")
     return out.select(
         "n_tokens", "n_docs", docs_ge.alias("docs_ge"), tokens_ge.alias("tokens_ge"),
@@ -71,7 +77,10 @@ def length_histogram(counts: DataFrame, length: str = "n_tokens") -> DataFrame:
 def truncated_total(histogram: DataFrame, limit: int) -> int:
     """Tokens that remain if every document is cut at `limit`."""
     longer = F.col("n_tokens") >= limit
-    row = histogram.agg(F.sum(F.when(~longer, F.col("n_tokens") * F.col("n_docs"))).alias("t"), F.sum(F.when(longer, F.col("n_docs"))).alias("d")).first()
+    row = histogram.agg(
+        F.sum(F.when(~longer, F.col("n_tokens") * F.col("n_docs"))).alias("t"),
+        F.sum(F.when(longer, F.col("n_docs"))).alias("d")
+    ).first()
     return (row.t or 0) + limit * (row.d or 0)
 
 

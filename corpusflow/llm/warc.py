@@ -43,14 +43,24 @@ FRAME_BYTES, BUNDLE_BYTES = 1 << 18, 64 << 20
 BROADCAST_FILES = 1000
 
 
-def encode_record(record_id: str, kind: str, uri: str, payload: bytes, digest: str, payload_bytes: int, refers_to: str | None, date: str) -> bytes:
+def encode_record(
+    record_id: str, kind: str, uri: str, payload: bytes, digest: str, payload_bytes: int, refers_to: str | None,
+    date: str
+) -> bytes:
     """One WARC record, whose block is an HTTP response. A revisit has its head alone, but the digest
     and size of the full payload."""
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {payload_bytes}\r\n\r\n".encode()
     block = head + payload if kind == "response" else head
-    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{record_id}>", f"WARC-Date: {date}", f"WARC-Target-URI: {uri}", "Content-Type: application/http; msgtype=response", f"WARC-Payload-Digest: sha1:{digest}", f"WARC-Payload-Length: {payload_bytes}"]
+    lines = [
+        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{record_id}>", f"WARC-Date: {date}",
+        f"WARC-Target-URI: {uri}", "Content-Type: application/http; msgtype=response",
+        f"WARC-Payload-Digest: sha1:{digest}", f"WARC-Payload-Length: {payload_bytes}"
+    ]
     if refers_to is not None:
-        lines += [f"WARC-Refers-To: <urn:page:{refers_to}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+        lines += [
+            f"WARC-Refers-To: <urn:page:{refers_to}>",
+            "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+        ]
     return "\r\n".join([*lines, f"Content-Length: {len(block)}", "", ""]).encode() + block + b"\r\n\r\n"
 
 
@@ -121,12 +131,17 @@ def revisits(pages: DataFrame, min_bytes: int = 1000) -> DataFrame:
     """digest, n_bytes and keeper (the largest page_id) of each payload that several pages
     share; partial sums make a hot payload one row a task."""
     payload = F.coalesce("html", F.lit("")).cast("binary")
-    sums = pages.select("page_id", F.sha1(payload).alias("digest"), F.length(payload).cast("long").alias("n_bytes")).where(F.col("n_bytes") >= min_bytes)
+    sums = pages.select(
+        "page_id", F.sha1(payload).alias("digest"), F.length(payload).cast("long").alias("n_bytes")
+    ).where(F.col("n_bytes") >= min_bytes)
     shared = sums.groupBy("digest", "n_bytes").agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("n"))
     return materialize(shared.where("n > 1").drop("n"), "warc-shared")
 
 
-def write_bundles(pages: DataFrame, path: str, min_bytes: int = 1000, bundle_bytes: int = BUNDLE_BYTES, frame_bytes: int = FRAME_BYTES, date: str | None = None) -> None:
+def write_bundles(
+    pages: DataFrame, path: str, min_bytes: int = 1000, bundle_bytes: int = BUNDLE_BYTES,
+    frame_bytes: int = FRAME_BYTES, date: str | None = None
+) -> None:
     """Writes a record for every page to bundles below path. date (now by default, one for all): when
     the pages were fetched, which their table doesn't tell. A page's role is joined by its
     digest: both sides are plain shuffles, so a hot digest is split by adaptive execution."""
@@ -148,7 +163,13 @@ def write_bundles(pages: DataFrame, path: str, min_bytes: int = 1000, bundle_byt
                 name = "" if page is None else str(page)
                 visit = keeper is not None and keeper != page
                 uri = (url or "").replace("\r", "%0D").replace("\n", "%0A")
-                bundle.add(name, encode_record(name, "revisit" if visit else "response", uri, data, digest, len(data), str(keeper) if visit else None, date))
+                bundle.add(
+                    name,
+                    encode_record(
+                        name, "revisit" if visit else "response", uri, data, digest, len(data),
+                        str(keeper) if visit else None, date
+                    )
+                )
                 if bundle.size >= bundle_bytes:
                     yield close()
                     bundle = Bundle(frame_bytes)
@@ -172,7 +193,13 @@ def index_bundles(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for name, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids, frames, offsets, lengths = zip(*record_index(data.as_py()), strict=True)
-                yield pa.RecordBatch.from_pydict({"record_id": pa.array(ids, pa.string()), "path": pa.array([name] * len(ids), pa.string()), "frame": pa.array(frames, pa.int32()), "offset": pa.array(offsets, pa.int64()), "length": pa.array(lengths, pa.int64())})
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "record_id": pa.array(ids, pa.string()), "path": pa.array([name] * len(ids), pa.string()),
+                        "frame": pa.array(frames, pa.int32()), "offset": pa.array(offsets, pa.int64()),
+                        "length": pa.array(lengths, pa.int64())
+                    }
+                )
 
     return bundles(spark, path).mapInArrow(run, "record_id string, path string, frame int, offset long, length long")
 
@@ -181,7 +208,9 @@ def fetch(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
     """record_id, headers and payload of the records in wanted (record_id, path, frame, offset,
     length: rows of the index). Only the frames that hold them are decompressed. A file is read as
     a whole, once: Spark's readers have no ranges."""
-    per_file = wanted.groupBy("path").agg(F.collect_list(F.struct("record_id", "frame", "offset", "length")).alias("records"))
+    per_file = wanted.groupBy("path").agg(
+        F.collect_list(F.struct("record_id", "frame", "offset", "length")).alias("records")
+    )
     per_file = materialize(per_file, "warc-wanted")
     per_file = per_file.hint("broadcast" if per_file.count() <= BROADCAST_FILES else "merge")
 
@@ -193,9 +222,17 @@ def fetch(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
                     if r["frame"] not in held:
                         held[r["frame"]] = read_frame(data, r["frame"])
                     headers, block = decode_record(held[r["frame"]][r["offset"] : r["offset"] + r["length"]])
-                    yield pa.RecordBatch.from_pydict({"record_id": pa.array([r["record_id"]]), "headers": pa.array([list(headers.items())], pa.map_(pa.string(), pa.string())), "payload": pa.array([block], pa.binary())})
+                    yield pa.RecordBatch.from_pydict(
+                        {
+                            "record_id": pa.array([r["record_id"]]),
+                            "headers": pa.array([list(headers.items())], pa.map_(pa.string(), pa.string())),
+                            "payload": pa.array([block], pa.binary())
+                        }
+                    )
 
-    return bundles(spark, path).join(per_file, "path").select("content", "records").mapInArrow(run, "record_id string, headers map<string,string>, payload binary")
+    return bundles(spark, path).join(per_file, "path").select("content", "records").mapInArrow(
+        run, "record_id string, headers map<string,string>, payload binary"
+    )
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
@@ -219,11 +256,21 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
                     for offset, length in places:
                         h, block = decode_record(raw[offset : offset + length])
                         digest, size = h["warc-payload-digest"].removeprefix("sha1:"), int(h["warc-payload-length"])
-                        if h["warc-type"] == "response" and (hashlib.sha1(block).hexdigest(), len(block)) != (digest, size):
+                        if h["warc-type"] == "response" and (
+                            hashlib.sha1(block).hexdigest(), len(block)
+                        ) != (digest, size):
                             raise ValueError(f"payload of {h['warc-record-id']} doesn't agree with its headers")
-                        rows.append((number(h["warc-record-id"]), size, digest, h["warc-type"], number(h.get("warc-refers-to")), h["warc-target-uri"]))
+                        rows.append(
+                            (
+                                number(h["warc-record-id"]), size, digest, h["warc-type"],
+                                number(h.get("warc-refers-to")), h["warc-target-uri"]
+                            )
+                        )
                     kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url"])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)],
+                        names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url"]
+                    )
 
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string"
     return bundles(spark, path).select("content").mapInArrow(run, schema)

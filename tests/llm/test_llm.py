@@ -43,7 +43,10 @@ def table(spark, texts, lang="en", source="s"):
     return spark.createDataFrame([(i, t, lang, source, "x", 1, 2, 3, 4) for i, t in rows], SCHEMA)
 
 
-EDGES = [None, "", " \n\t ", "one", "a b", "Wörter – ünïcode ", "x" * 200_000, sentence(20_000, 1), "same text here", (8, "same text here"), (None, "no id"), (None, None)]
+EDGES = [
+    None, "", " \n\t ", "one", "a b", "Wörter – ünïcode ", "x" * 200_000, sentence(20_000, 1), "same text here",
+    (8, "same text here"), (None, "no id"), (None, None)
+]
 ROWWISE = {
     "quality": quality_rules.judge,
     "language": language_id.predict_held_out,
@@ -52,7 +55,9 @@ ROWWISE = {
     "license": license_scan.scan,
     "lm": lm_scoring.score,
     "mix": mixing.mix,
-    "decontaminate": lambda d: decontamination.contamination(d, d.sparkSession.createDataFrame([(1, "same text here"), (2, None), (3, "")], "item_id long, text string")),
+    "decontaminate": lambda d: decontamination.contamination(
+        d, d.sparkSession.createDataFrame([(1, "same text here"), (2, None), (3, "")], "item_id long, text string")
+    ),
 }
 
 
@@ -74,13 +79,17 @@ def test_quality_counts(spark):
         windows = collections.Counter(zip(w, w[1:], w[2:], strict=False))
         covered = {i + k for i, x in enumerate(zip(w, w[1:], w[2:], strict=False)) if windows[x] > 1 for k in range(3)}
         lines = [x for x in t.split("\n") if WORD.search(x)]
-        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(covered))
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (
+            len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(covered)
+        )
         assert r.base_failed == (len(w) < 50 or 100 * len(covered) > 50 * len(w))
 
 
 def test_quality_verdict(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    found = quality_rules.judge(docs).join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").where("not base_failed").collect()
+    found = quality_rules.judge(docs).join(
+        spark.read.parquet(f"{SF}/labels.parquet"), "doc_id"
+    ).where("not base_failed").collect()
     assert all(r.kept for r in found if r.quality == 1) and sum(not r.kept for r in found if r.quality == 0) > 0
     assert quality_rules.filter_documents(docs).columns == docs.columns
 
@@ -100,7 +109,10 @@ def test_token_histogram(spark):
     for limit in (1, 2, 7, 400, 10_000):
         assert token_counts.truncated_total(hist, limit) == sum(min(c, limit) for c in counts)
     for r in hist.collect():
-        assert (r.docs_ge, r.tokens_ge, r.truncated_total) == (sum(c >= r.n_tokens for c in counts), sum(c for c in counts if c >= r.n_tokens), sum(min(c, r.n_tokens) for c in counts))
+        assert (r.docs_ge, r.tokens_ge, r.truncated_total) == (
+            sum(c >= r.n_tokens for c in counts), sum(c for c in counts if c >= r.n_tokens),
+            sum(min(c, r.n_tokens) for c in counts)
+        )
     assert token_counts.quantile(hist, 0.5) == sorted(counts)[len(counts) // 2 - 1]
 
 
@@ -130,7 +142,9 @@ def test_jaccard_by_force(spark, k, percent):
     base, chain = sentence(150, 10), [sentence(120, 11)]
     for i in range(12):
         chain.append(edited(chain[-1], 0.015, i))
-    texts = [edited(base, 0.004 * (i % 14), 100 + i) for i in range(90)] + chain + [sentence(80, s) for s in range(20, 40)] + ["", None, "a b", "A B", "c"] + [f"{base[:200]} {sentence(100, s)}" for s in range(50, 70)]
+    texts = [
+        edited(base, 0.004 * (i % 14), 100 + i) for i in range(90)
+    ] + chain + [sentence(80, s) for s in range(20, 40)] + ["", None, "a b", "A B", "c"] + [f"{base[:200]} {sentence(100, s)}" for s in range(50, 70)]
     texts = list(enumerate(texts))
     want = groups_by_force(texts, k, percent)
     found = jaccard_join.groups(table(spark, texts), jaccard_join.Join(k, percent, block=16)).collect()
@@ -154,7 +168,9 @@ def share_enough(join, x, y):
     import numpy as np
 
     cells, needs = [set(), set()], [{}, {}]
-    for owner, cell, ring, least in jaccard_join.cells(join, 2, np.repeat([0, 1], [len(x), len(y)]), np.concatenate([x, y])):
+    for owner, cell, ring, least in jaccard_join.cells(
+        join, 2, np.repeat([0, 1], [len(x), len(y)]), np.concatenate([x, y])
+    ):
         for o, c in zip(owner, cell, strict=True):
             cells[o].add(int(c))
         for o in (0, 1):
@@ -218,7 +234,9 @@ def test_link_of_a_crowded_set(spark):
     from corpusflow.llm.scan import scans
 
     def places(words):
-        return [int(p) for scan in scans(pa.array([" ".join(words)])) for p in subspace(jaccard_join.sets(scan, 3)[1], 3)]
+        return [
+            int(p) for scan in scans(pa.array([" ".join(words)])) for p in subspace(jaccard_join.sets(scan, 3)[1], 3)
+        ]
 
     words, want = ["a", "b"], 0
     for i in range(20_000):
@@ -242,7 +260,10 @@ def test_components(spark):
 
 
 def test_license_templates(spark):
-    texts = ["x\nReleased under the MIT License.\ny", "licensed under CC BY-NC 4.0", "the mit way license", "Apache\nLicense", None]
+    texts = [
+        "x\nReleased under the MIT License.\ny", "licensed under CC BY-NC 4.0", "the mit way license",
+        "Apache\nLicense", None
+    ]
     rows = license_scan.scan(table(spark, texts)).orderBy("doc_id").collect()
     assert [r.base_labels for r in rows] == ["mit", "cc-by", "", "apache", ""]
     assert rows[0].labels == "mit" and rows[1].labels == "cc-by,cc-by-nc" and (rows[0].first_word, rows[0].last_word) == (4, 4) and rows[2].first_word is None
@@ -256,7 +277,9 @@ def test_against_sql(spark, oracle, name, sf):
 
 def test_short_items(spark):
     texts = ["alpha beta gamma delta", "x alpha beta y alpha beta", "gamma", None, sentence(40, 4)]
-    items = spark.createDataFrame([(1, "Alpha, BETA"), (2, sentence(40, 4)), (3, "..."), (4, None), (10, "gamma")], "item_id long, text string")
+    items = spark.createDataFrame(
+        [(1, "Alpha, BETA"), (2, sentence(40, 4)), (3, "..."), (4, None), (10, "gamma")], "item_id long, text string"
+    )
     rows = decontamination.contamination(table(spark, texts), items).orderBy("doc_id").collect()
     assert [(r.n_hit, r.n_items) for r in rows] == [(3, 2), (4, 1), (1, 1), (0, 0), (40, 1)]
     assert rows[0].items_sha256 == hashlib.sha256(b"1,10").hexdigest() and rows[3].items_sha256 == hashlib.sha256(b"").hexdigest()
@@ -268,7 +291,9 @@ def test_every_shared_window_is_found(spark):
     texts = [" ".join(source[i : i + 60]) for i in range(0, 300, 7)]
     item = " ".join(source[100:160])
     windows = {tuple(source[i : i + 13]) for i in range(100, 148)}
-    rows = decontamination.contamination(table(spark, texts), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    rows = decontamination.contamination(
+        table(spark, texts), spark.createDataFrame([(1, item)], "item_id long, text string")
+    ).collect()
     for row in rows:
         w = texts[row.doc_id].split()
         hit = {i + k for i in range(len(w) - 12) if tuple(w[i : i + 13]) in windows for k in range(13)}
@@ -292,7 +317,13 @@ def test_mix(spark):
 
 def test_warc(spark, tmp_path):
     big = "<p>" + sentence(400, 5) + "</p>"
-    pages = spark.createDataFrame([(1, "http://a/", big), (2, "http://b/", big), (3, "http://c/", None), (4, None, "small"), (5, "u", "small"), (6, "v", "é" * 600)], "page_id long, url string, html string")
+    pages = spark.createDataFrame(
+        [
+            (1, "http://a/", big), (2, "http://b/", big), (3, "http://c/", None), (4, None, "small"), (5, "u", "small"),
+            (6, "v", "é" * 600)
+        ],
+        "page_id long, url string, html string"
+    )
     path = str(tmp_path / "w")
     warc.write_bundles(pages, path, frame_bytes=1500, bundle_bytes=4000)
     rows = {r.page_id: r for r in warc.read_records(spark, path).collect()}
@@ -347,8 +378,16 @@ def test_html(spark):
     menu, tail = "<div>Home</div><div>About us</div>", "<div>Imprint</div>"
     page = lambda body: f"<html><head><title>t</title></head><body>{menu}{body}{tail}</body></html>"
     core = "<nav>m</nav><div class='ad'>buy</div><article><h1>A &amp; B</h1><p>one<br>two<p>three<div id=comments><p>c</p></div></article><footer>f</footer><p>loose</p>"
-    rows = [(1, "http://h/a/1", page("<p>first page</p>")), (2, "http://h/a/2", page("<p>second page</p>")), (3, "http://o/x", core), (4, "http://o/y", core), (5, None, None), (6, "http://z/", ""), (7, "http://z/q", "<p>open <b>tag")]
-    found = {r.page_id: r for r in html_extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    rows = [
+        (1, "http://h/a/1", page("<p>first page</p>")), (2, "http://h/a/2", page("<p>second page</p>")),
+        (3, "http://o/x", core), (4, "http://o/y", core), (5, None, None), (6, "http://z/", ""),
+        (7, "http://z/q", "<p>open <b>tag")
+    ]
+    found = {
+        r.page_id: r for r in html_extraction.extract(
+            spark.createDataFrame(rows, "page_id long, url string, html string")
+        ).collect()
+    }
     assert found[1].text == "first page" and found[2].text == "second page" and found[1].neighbour == 2 and found[1].n_shared == 3
     assert found[3].text == found[4].text == "A & B\none two\nthree"
     assert found[5].text == found[6].text == "" and found[7].text == "open tag" and found[7].n_chars == 8
@@ -362,7 +401,9 @@ def test_neighbours_cross_partitions(spark):
     for parts in (1, 7, 60):
         spark.conf.set("spark.sql.shuffle.partitions", parts)
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-        found = {r.row.id: r.neighbour and r.neighbour.id for r in html_extraction.neighbours(frame.repartition(7)).collect()}
+        found = {
+            r.row.id: r.neighbour and r.neighbour.id for r in html_extraction.neighbours(frame.repartition(7)).collect()
+        }
         spark.conf.set("spark.sql.shuffle.partitions", 4)
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
         assert found == {i: neighbour_by_loop(i, rows) for i in range(300)}
@@ -374,8 +415,16 @@ def neighbour_by_loop(i, rows):
     own = sorted((p, row[0]) for row, h, p, _ in rows if h == host)
     at = own.index((path, i))
     where = {row[0]: c for row, _, _, c in rows}
-    sides = [next((x for x in side if where[x[1]] != content), None) for side in (own[at - 1 :: -1] if at else [], own[at + 1 :])]
-    longest = [-1 if x is None else next((k for k, (a, b) in enumerate(zip(x[0], path, strict=False)) if a != b), min(len(x[0]), len(path))) for x in sides]
+    sides = [
+        next(
+            (x for x in side if where[x[1]] != content), None
+        ) for side in (own[at - 1 :: -1] if at else [], own[at + 1 :])
+    ]
+    longest = [
+        -1 if x is None else next(
+            (k for k, (a, b) in enumerate(zip(x[0], path, strict=False)) if a != b), min(len(x[0]), len(path))
+        ) for x in sides
+    ]
     if max(longest) < 0:
         return None
     return sides[0][1] if longest[0] >= longest[1] else sides[1][1]
@@ -390,14 +439,18 @@ def test_lm_base_score(spark):
     n, v = sum(count.values()), len(count)
     for r in lm_scoring.score(docs).collect():
         want = sum(math.log10((count[w] + 1) / (n + 1 * (v + 1))) for w in tokens[r.doc_id])
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held(r.doc_id), len(tokens[r.doc_id]), sum(count[w] > 0 for w in tokens[r.doc_id]), n)
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (
+            held(r.doc_id), len(tokens[r.doc_id]), sum(count[w] > 0 for w in tokens[r.doc_id]), n
+        )
         assert math.isclose(r.base_score, want, rel_tol=1e-9) and r.score < 0
 
 
 def test_lm_learns(spark):
     """Text like the training text costs less than a byte-frequency code, and than noise."""
     r = random.Random(9)
-    like, noise = [sentence(300, s) for s in range(60)], ["".join(chr(97 + r.randrange(26)) for _ in range(2000)) for _ in range(20)]
+    like, noise = [sentence(300, s) for s in range(60)], [
+        "".join(chr(97 + r.randrange(26)) for _ in range(2000)) for _ in range(20)
+    ]
     rows = [r for r in lm_scoring.score(table(spark, like + noise)).collect() if r.held_out]
     known, strange = ([r.bits_per_byte for r in rows if (r.doc_id < 60) == x] for x in (True, False))
     assert known and strange and max(known) < 3.2 < min(strange)
@@ -424,7 +477,9 @@ def test_pipeline(spark):
         windows |= {tuple(w[i : i + 13]) for i in range(max(1, len(w) - 12))} if w else set()
     for i, r in d3.items():
         w = word.findall(lower(r.text))
-        hit = {j + q for x in windows for j in range(len(w) - len(x) + 1) if tuple(w[j : j + len(x)]) == x for q in range(len(x))} if set(w) else set()
+        hit = {
+            j + q for x in windows for j in range(len(w) - len(x) + 1) if tuple(w[j : j + len(x)]) == x for q in range(len(x))
+        } if set(w) else set()
         assert (i in k3) == (not hit or 20 * len(hit) < len(w))
     mixed = corpus_pipeline.STAGES[-1][1](spark, kept, SF)
     assert mixed.columns == [*docs.columns, "taken"] and all(r.taken > 0 for r in mixed.collect())
@@ -444,7 +499,9 @@ def symbol_counts(docs):
 
 def walk_of(trees, symbol):
     at = trees.at[symbol]
-    return [(int(trees.nodes[i]), int(trees.bits[i]), int(trees.gates[i])) for i in range(at, at + trees.length[symbol])]
+    return [
+        (int(trees.nodes[i]), int(trees.bits[i]), int(trees.gates[i])) for i in range(at, at + trees.length[symbol])
+    ]
 
 
 def bits_by_loop(trees, nodes, data):
@@ -455,11 +512,17 @@ def bits_by_loop(trees, nodes, data):
         for i in range(start, min(start + 4096, len(data))):
             word = re.search(rb"[^\x20\x09-\x0D]*\Z", data[max(0, i - 6) : i])[0]
             own = []
-            for k, context in enumerate([*(data[max(0, i - n) : i] for n in (1, 2, 3, 4)), word or data[max(0, i - 1) : i]]):
+            for k, context in enumerate(
+                [*(data[max(0, i - n) : i] for n in (1, 2, 3, 4)), word or data[max(0, i - 1) : i]]
+            ):
                 known = 7 if k == 4 and i and not word else len(context)
                 own.append(k << 51 | known << 48 | int.from_bytes(context))
             for node, bit, gate in walk_of(trees, (data[i - 1] if i else 0) << 8 | data[i]):
-                odds = [math.log((nodes[c, node][1] + 0.4) / (nodes[c, node][0] + 0.4)) if (c, node) in nodes else 0.0 for c in own]
+                odds = [
+                    math.log(
+                        (nodes[c, node][1] + 0.4) / (nodes[c, node][0] + 0.4)
+                    ) if (c, node) in nodes else 0.0 for c in own
+                ]
                 bits.append((odds, bit, gate))
         weights, scale, shift = [[0.35] * 5 for _ in range(8)], 1.0, 0.0
         for b in range(0, len(bits), 64):
@@ -482,14 +545,18 @@ def test_lm_counts_every_context(spark, monkeypatch):
     texts = ["", "ab ab\x00a", "Wörter – ünïcode", None, *(sentence(60, s) for s in range(12))]
     docs = table(spark, texts).withColumn("held_out", lm_scoring.held_out())
     found = collections.Counter()
-    for r in lm_scoring.pieces(docs).mapInArrow(lm_scoring.count_contexts, "piece long, key long, n long").where("n > 0").collect():
+    for r in lm_scoring.pieces(docs).mapInArrow(
+        lm_scoring.count_contexts, "piece long, key long, n long"
+    ).where("n > 0").collect():
         found[r.key] += r.n
     want = collections.Counter()
     for r in docs.where("not held_out").collect():
         data = (r.text or "").encode() + b"\0"
         for i, byte in enumerate(data):
             word = re.search(rb"[^\x20\x09-\x0D]*\Z", data[max(0, i - 6) : i])[0]
-            for k, context in enumerate([*(data[max(0, i - n) : i] for n in (1, 2, 3, 4)), word or data[max(0, i - 1) : i]]):
+            for k, context in enumerate(
+                [*(data[max(0, i - n) : i] for n in (1, 2, 3, 4)), word or data[max(0, i - 1) : i]]
+            ):
                 known = 7 if k == 4 and i and not word else len(context)
                 want[k << 59 | known << 56 | int.from_bytes(context) << 8 | byte] += 1
     assert found == want
@@ -514,8 +581,15 @@ def test_html_template_in_main(spark):
     wrapped = lambda text: f"<main><div>Menu of the site</div><p>{text}</p><div>Tell your friends</div></main>"
     teasers = lambda text: f"<body><div>{text}</div><article>See also {text[:9]}</article></body>"
     a, b = sentence(40, 70), sentence(40, 71)
-    rows = [(1, "http://m/1", wrapped(a)), (2, "http://m/2", wrapped(b)), (3, "http://c/1", wrapped(a)), (4, "http://c/2", wrapped(a)), (5, "http://t/1", teasers(a)), (6, "http://t/2", teasers(b))]
-    found = {r.page_id: r.text for r in html_extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    rows = [
+        (1, "http://m/1", wrapped(a)), (2, "http://m/2", wrapped(b)), (3, "http://c/1", wrapped(a)),
+        (4, "http://c/2", wrapped(a)), (5, "http://t/1", teasers(a)), (6, "http://t/2", teasers(b))
+    ]
+    found = {
+        r.page_id: r.text for r in html_extraction.extract(
+            spark.createDataFrame(rows, "page_id long, url string, html string")
+        ).collect()
+    }
     assert found[1] == a and found[2] == b and found[3] == found[4] == f"Menu of the site\n{a}\nTell your friends"
     assert a in found[5] and b in found[6]
 
@@ -530,7 +604,9 @@ def test_license_across_lines(spark):
         "released\n" + sentence(9, 1) + "\nunder the MIT",
     ]
     rows = license_scan.scan(table(spark, texts)).orderBy("doc_id").collect()
-    assert [r.labels for r in rows] == ["bsd", "mpl", "lgpl", "cc-by,cc-by-nc", ""] and [r.score for r in rows] == [1.0, 1.0, 1.0, 1.0, 0.0]
+    assert [r.labels for r in rows] == [
+        "bsd", "mpl", "lgpl", "cc-by,cc-by-nc", ""
+    ] and [r.score for r in rows] == [1.0, 1.0, 1.0, 1.0, 0.0]
 
 
 def test_html_by_loop(spark):
@@ -538,10 +614,14 @@ def test_html_by_loop(spark):
     import numpy as np
 
     pages = [(r.page_id, r.url, r.html) for r in spark.read.parquet(f"{SF}/pages.parquet").collect()]
-    body = lambda i: "".join(f"<div>{x}</div>" for x in ["Home", "Contact", sentence(20, i), sentence(15, i % 7), "Imprint"])
+    body = lambda i: "".join(
+        f"<div>{x}</div>" for x in ["Home", "Contact", sentence(20, i), sentence(15, i % 7), "Imprint"]
+    )
     pages += [(10_000 + i, f"http://plain{i % 2}/p/{i:03d}", f"<body>{body(i // 3)}</body>") for i in range(40)]
     pages += [pages[0], pages[-1], (None, "http://plain0/p/zz", None), (20_000, None, "<p>alone")]
-    frame = spark.createDataFrame([(*p, 1, "x", 3) for p in pages], "page_id long, url string, html string, `row` int, text string, host int").repartition(5)
+    frame = spark.createDataFrame(
+        [(*p, 1, "x", 3) for p in pages], "page_id long, url string, html string, `row` int, text string, host int"
+    ).repartition(5)
     found = html_extraction.extract(frame).collect()
     parsed, host = {}, {}
     for page, url, text in set(pages):
@@ -554,15 +634,28 @@ def test_html_by_loop(spark):
         lines, kinds, h, path = parsed[page, url, text]
         own = sorted(host[h], key=lambda x: x[:2])
         at = own.index((path, -1 if page is None else page, page, url, text))
-        sides = [next((x for x in side if parsed[x[2:]][0] != lines), None) for side in (own[at - 1 :: -1] if at else [], own[at + 1 :])]
-        longest = [-1 if x is None else next((k for k, (a, b) in enumerate(zip(x[0], path, strict=False)) if a != b), min(len(x[0]), len(path))) for x in sides]
+        sides = [
+            next(
+                (x for x in side if parsed[x[2:]][0] != lines), None
+            ) for side in (own[at - 1 :: -1] if at else [], own[at + 1 :])
+        ]
+        longest = [
+            -1 if x is None else next(
+                (k for k, (a, b) in enumerate(zip(x[0], path, strict=False)) if a != b), min(len(x[0]), len(path))
+            ) for x in sides
+        ]
         shared, template = set(), set()
         if max(longest) >= 0:
             theirs, their_kinds, *_ = parsed[(sides[0] if longest[0] >= longest[1] else sides[1])[2:]]
             a, b = (np.array([zlib.crc32(x.encode()) for x in y], np.int64) for y in (lines, theirs))
             ka, kb = np.array(kinds, np.int64), np.array(their_kinds, np.int64)
             shared = set(np.flatnonzero(html_extraction.common_lines(a, b)).tolist())
-            template = set(html_extraction.template_lines(a, ka, np.array([len(x) for x in lines], np.int64), b, kb, np.array([len(x) for x in theirs], np.int64)).tolist())
+            template = set(
+                html_extraction.template_lines(
+                    a, ka, np.array([len(x) for x in lines], np.int64), b, kb,
+                    np.array([len(x) for x in theirs], np.int64)
+                ).tolist()
+            )
         text = "\n".join(html_extraction.main_lines(lines, kinds, shared, template))
         want[page, url, text, len(text)] += 1
     assert collections.Counter((r.page_id, r.url, r.text, r.n_chars) for r in found) == want
@@ -573,10 +666,21 @@ def test_html_by_loop(spark):
 
 def test_html_marks_and_speed():
     page = lambda name: html_extraction.page_lines(f"<article><p>a</p><div class='{name}'>b</div></article>")[1]
-    assert all(page(n) == [2, 2] for n in ("related-work", "share-prices", "leader", "headers-of-state", "adage", "menuetto", "x noticed"))
-    assert all(page(n) == [2, 0] for n in ("ad", "x cookie-banner", "ad-slot", "comment-list", "siteHeader", "post-comments", "sidebar-left"))
+    assert all(
+        page(n) == [2, 2] for n in (
+            "related-work", "share-prices", "leader", "headers-of-state", "adage", "menuetto", "x noticed"
+        )
+    )
+    assert all(
+        page(n) == [2, 0] for n in (
+            "ad", "x cookie-banner", "ad-slot", "comment-list", "siteHeader", "post-comments", "sidebar-left"
+        )
+    )
     began = time.time()
-    for odd in ("<a b ", "<b>", "<x><article><b></x>", "<li><ul>", "<a \"", "<a '\"", "<!", "</p>", "<p>", "&lt", "<script>", "<"):
+    for odd in (
+        "<a b ", "<b>", "<x><article><b></x>", "<li><ul>", "<a \"", "<a '\"", "<!", "</p>", "<p>", "&lt", "<script>",
+        "<"
+    ):
         html_extraction.page_lines(odd * 200_000)
     assert time.time() - began < 12
     assert html_extraction.page_lines("<p>" + "w " * 2_000_000)[0] == ["w " * 1_999_999 + "w"]
@@ -587,11 +691,16 @@ def test_language_sample(spark):
     texts = [sentence(40, s) for s in range(50)] + [sentence(9000, 99)]
     rows = [(i, t, f"l{i % 5}") for i, t in enumerate(texts)]
     settings = language_id.Settings(sample_blocks=4, block=500)
-    frames = [spark.createDataFrame(r, "doc_id long, text string, lang string").repartition(n) for r, n in ((rows, 1), (rows[::-1], 13), (rows + [rows[7]] * 200, 200))]
+    frames = [
+        spark.createDataFrame(r, "doc_id long, text string, lang string").repartition(n) for r,
+        n in ((rows, 1), (rows[::-1], 13), (rows + [rows[7]] * 200, 200))
+    ]
     found = [language_id.learn(f, settings) for f in frames]
     assert found[0] == found[1] == found[2] and sorted(found[0]) == [f"l{i}" for i in range(5)]
     assert all(len(set(d.split(b"\n"))) == 4 for d in found[0].values())
-    many = spark.createDataFrame([(i, f"wort {i} text", f"x{i:03d}") for i in range(400)], "doc_id long, text string, lang string")
+    many = spark.createDataFrame(
+        [(i, f"wort {i} text", f"x{i:03d}") for i in range(400)], "doc_id long, text string, lang string"
+    )
     assert len(language_id.learn(many, language_id.Settings(total_blocks=100))) == 400
 
 
@@ -609,7 +718,10 @@ def test_language_by_loop(spark):
             continue
         sizes = {}
         for lang, dictionary in learned.items():
-            packer = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT), level=6, write_content_size=False, write_checksum=False, write_dict_id=False)
+            packer = zstandard.ZstdCompressor(
+                dict_data=zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT), level=6,
+                write_content_size=False, write_checksum=False, write_dict_id=False
+            )
             sizes[lang] = sum(len(packer.compress(data[i : i + 4096])) for i in range(0, len(data), 4096))
         first, second = sorted(sizes.values())[:2]
         near = min(sizes, key=lambda k: (sizes[k], k))
@@ -680,7 +792,9 @@ def test_quality_references_ignore_layout(spark):
     rows = [(i, f"{sentence(30, i)} alpha beta", f"l{i % 3}") for i in range(40)]
     frames = [spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(n) for n in (1, 13, 200)]
     a, *others = [quality_rules.learn_references(f) for f in frames]
-    assert all(a.langs == b.langs and (a.vocabulary == b.vocabulary).all() and (a.words == b.words).all() and (a.classes == b.classes).all() for b in others)
+    assert all(
+        a.langs == b.langs and (a.vocabulary == b.vocabulary).all() and (a.words == b.words).all() and (a.classes == b.classes).all() for b in others
+    )
     assert len(a.vocabulary) >= 16
 
 
@@ -696,8 +810,15 @@ def test_quality_short_symbol_text(spark):
 def test_apportionment_by_loop(spark, seed):
     """Seats go one by one to the highest quotient; equal ones to the first."""
     r = random.Random(seed)
-    rows = [(g, k, float(r.choice([0, 1, 7, 7, r.random() * 100, r.random() * 3000])), house) for g, house in enumerate((0, 1, 5, 40, 333)) for k in range(r.choice((1, 3, 17)))]
-    found = {(x.g, x.k): x.seats for x in mixing.apportion(spark.createDataFrame(rows, "g int, k int, share double, house long"), "k", ["g"]).collect()}
+    rows = [
+        (g, k, float(r.choice([0, 1, 7, 7, r.random() * 100, r.random() * 3000])), house) for g,
+        house in enumerate((0, 1, 5, 40, 333)) for k in range(r.choice((1, 3, 17)))
+    ]
+    found = {
+        (x.g, x.k): x.seats for x in mixing.apportion(
+            spark.createDataFrame(rows, "g int, k int, share double, house long"), "k", ["g"]
+        ).collect()
+    }
     want = {(g, k): 0 for g, k, _, _ in rows}
     for g in {x[0] for x in rows}:
         own = [(k, t, h) for x, k, t, h in rows if x == g]
@@ -719,7 +840,10 @@ def wrapped(text, width, lead):
 
 def test_license_notices_wrap(spark):
     """Every template is found in a notice wrapped at any width; two in one line are both found."""
-    texts = [f"head of file\n{wrapped(t.text, width, lead)}\ncode" for t in license_scan.TEMPLATES for width, lead in ((10_000, ""), (72, " *"), (30, "#"))]
+    texts = [
+        f"head of file\n{wrapped(t.text, width, lead)}\ncode" for t in license_scan.TEMPLATES for width,
+        lead in ((10_000, ""), (72, " *"), (30, "#"))
+    ]
     both = "released under the mit license and also licensed under the apache license version 2"
     rows = license_scan.scan(table(spark, [*texts, both])).orderBy("doc_id").collect()
     for i, r in enumerate(rows[:-1]):
@@ -733,33 +857,56 @@ def test_license_lines_by_loop(spark):
     texts = []
     for i in range(150):
         own = r.sample(license_scan.TEMPLATES, r.choice((1, 1, 2, 3)))
-        words = [w for t in own for w in t.text.split() if r.random() < 0.93] + [r.choice(VOCABULARY) for _ in range(r.randrange(5))]
+        words = [
+            w for t in own for w in t.text.split() if r.random() < 0.93
+        ] + [r.choice(VOCABULARY) for _ in range(r.randrange(5))]
         r.shuffle(words)
         texts.append(" ".join(words))
     for row in license_scan.scan(table(spark, texts)).collect():
         words = set(texts[row.doc_id].split())
-        met = [(t, set(t.words) & words) for t in license_scan.TEMPLATES if len(set(t.words) & words) >= license_scan.need(len(t.words), 0.8)]
+        met = [
+            (t, set(t.words) & words) for t in license_scan.TEMPLATES if len(set(t.words) & words) >= license_scan.need(len(t.words), 0.8)
+        ]
         share = lambda x: len(x[1]) / len(x[0].words)
         left = [x for x in met if not any(share(o) > share(x) and x[1] <= o[1] for o in met)]
         base = {label for p, label in license_scan.PHRASES.items() if f" {p} " in f" {texts[row.doc_id]} "}
-        assert row.labels == ",".join(sorted({t.label for t, _ in left} | base)) and row.score == max(map(share, met), default=0.0)
+        assert row.labels == ",".join(
+            sorted({t.label for t, _ in left} | base)
+        ) and row.score == max(map(share, met), default=0.0)
 
 
 def test_warc_edges(spark, tmp_path):
     """Repeated rows, null ids, clashing columns, a very long page; records are whole WARC records."""
     long = "é" * 1_500_000
-    rows = [(1, "http://a/", long), (1, "http://a/", long), (None, "u", "x"), (2, "http://b/", "<p>\r\n\r\n</p>" * 200), (3, None, None)]
-    pages = spark.createDataFrame([(*r, "k", 5, "d") for r in rows], "page_id long, url string, html string, keeper string, n_bytes int, digest string").repartition(3)
-    found = collections.Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.round_trip(pages).collect())
+    rows = [
+        (1, "http://a/", long), (1, "http://a/", long), (None, "u", "x"), (2, "http://b/", "<p>\r\n\r\n</p>" * 200),
+        (3, None, None)
+    ]
+    pages = spark.createDataFrame(
+        [(*r, "k", 5, "d") for r in rows],
+        "page_id long, url string, html string, keeper string, n_bytes int, digest string"
+    ).repartition(3)
+    found = collections.Counter(
+        (
+            r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to
+        ) for r in warc.round_trip(pages).collect()
+    )
     digest = lambda t: hashlib.sha1(t.encode()).hexdigest()
-    assert found == {(1, 3_000_000, digest(long), "response", None): 2, (None, 1, digest("x"), "response", None): 1, (2, 2200, digest("<p>\r\n\r\n</p>" * 200), "response", None): 1, (3, 0, digest(""), "response", None): 1}
+    assert found == {
+        (1, 3_000_000, digest(long), "response", None): 2, (None, 1, digest("x"), "response", None): 1,
+        (2, 2200, digest("<p>\r\n\r\n</p>" * 200), "response", None): 1, (3, 0, digest(""), "response", None): 1
+    }
     raw = warc.encode_record("7", "revisit", "http://a/", b"abc", digest("abc"), 3, "9", "2020-01-02T03:04:05Z")
     head, rest = raw.split(b"\r\n\r\n", 1)
     lines = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
-    assert {"WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length", "Content-Type"} <= set(lines) and len(rest) == int(lines["Content-Length"]) + 4
+    assert {
+        "WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length", "Content-Type"
+    } <= set(lines) and len(rest) == int(lines["Content-Length"]) + 4
     warc.write_bundles(pages, str(tmp_path / "b"), bundle_bytes=1000, date="2020-01-02T03:04:05Z")
     index = warc.index_bundles(spark, str(tmp_path / "b"))
-    got = {r.record_id: r for r in warc.fetch(spark, str(tmp_path / "b"), index.where("record_id in ('2', '3')")).collect()}
+    got = {
+        r.record_id: r for r in warc.fetch(spark, str(tmp_path / "b"), index.where("record_id in ('2', '3')")).collect()
+    }
     assert got["2"].payload == (b"<p>\r\n\r\n</p>" * 200) and got["3"].payload == b"" and got["2"].headers["warc-date"] == "2020-01-02T03:04:05Z"
 
 
@@ -773,7 +920,9 @@ def test_pipeline_stages_on_odd_rows(spark):
     stages = dict(corpus_pipeline.STAGES)
     mixed = stages["mixing"](spark, docs, SF)
     assert mixed.columns == [*docs.columns, "taken"]
-    assert sorted((str(r.doc_id), len(r.text.split()), r.taken) for r in mixed.collect()) == [("1", 80, 80), ("1", 160, 160), ("None", 160, 160), ("None", 160, 160)]
+    assert sorted(
+        (str(r.doc_id), len(r.text.split()), r.taken) for r in mixed.collect()
+    ) == [("1", 80, 80), ("1", 160, 160), ("None", 160, 160), ("None", 160, 160)]
     assert stages["mixing"](spark, mixed, SF).columns == mixed.columns
     kept = {}
     for name, stage in corpus_pipeline.STAGES[:-1]:
