@@ -15,7 +15,10 @@ FENCED = r"(?dms)^ *```[^\n]*+(?:\z|\n.*?(?:^ *```[^\n]*+|\z))"
 BARE_ANSWERS = ("yes", "no", "да", "нет")
 
 #: Fixed values of the language gate: words that mark an English question.
-ENGLISH_INDICATORS = ["a", "an", "and", "are", "can", "do", "does", "for", "get", "how", "i", "in", "is", "it", "method", "of", "on", "the", "to", "use", "using", "what", "when", "where", "which", "why", "with"]
+ENGLISH_INDICATORS = [
+    "a", "an", "and", "are", "can", "do", "does", "for", "get", "how", "i", "in", "is", "it", "method", "of", "on",
+    "the", "to", "use", "using", "what", "when", "where", "which", "why", "with"
+]
 #: Greek, Arabic, two blocks of ideographs, kana and Hangul; letters that Russian lacks.
 UNSUPPORTED_SCRIPT = r"[Ͱ-Ͽ؀-ۿ一-鿿㐀-䶿぀-ヿ가-힯іїєґІЇЄҐ]"
 CYRILLIC = r"[Ѐ-ԯ]"
@@ -55,7 +58,9 @@ def normalize_text(text: Column) -> Column:
     first = lambda x: F.regexp_extract(x, r"^[^\n]*", 0)
     fenced = lambda x: ends(F.concat(blanks(first(x)), F.substring(x, F.length(first(x)) + 1, F.length(x))))
     inside = F.regexp_extract_all(plain, F.lit(FENCED), F.lit(0))
-    pieces = F.zip_with(F.split(plain, FENCED), inside, lambda x, y: F.concat(between(x), F.coalesce(fenced(y), F.lit(""))))
+    pieces = F.zip_with(
+        F.split(plain, FENCED), inside, lambda x, y: F.concat(between(x), F.coalesce(fenced(y), F.lit("")))
+    )
     whole = F.when(plain.contains("```"), F.array_join(pieces, "")).otherwise(between(plain))
     return F.btrim(whole, F.lit(" \n\t"))
 
@@ -70,7 +75,9 @@ def detect_language(text: Column) -> Column:
     then means Russian, an identifier or an indicator word English."""
     words = F.transform(F.regexp_extract_all(text, F.lit("[A-Za-z]+"), F.lit(0)), lambda w: F.lower(w))
     english = text.rlike(IDENTIFIER) | F.arrays_overlap(words, F.array(*map(F.lit, ENGLISH_INDICATORS)))
-    return F.when(text.rlike(UNSUPPORTED_SCRIPT), F.lit(None)).when(text.rlike(CYRILLIC), "Russian").when(english, "English")
+    return F.when(
+        text.rlike(UNSUPPORTED_SCRIPT), F.lit(None)
+    ).when(text.rlike(CYRILLIC), "Russian").when(english, "English")
 
 
 def uninformative(answer: Column, bare: tuple[str, ...] = BARE_ANSWERS) -> Column:
@@ -78,7 +85,11 @@ def uninformative(answer: Column, bare: tuple[str, ...] = BARE_ANSWERS) -> Colum
     brackets, after "source" or not, with "#" only after it; one end mark is allowed."""
     strip = lambda x: F.regexp_replace(F.regexp_replace(x, r"(?U)^\s+", ""), r"(?U)(?<!\s)\s++\z", "")
     said = F.lower(strip(answer))
-    said = strip(F.when(F.right(said, F.lit(1)).isin(".", "!", "?"), F.substring(said, F.lit(1), F.length(said) - 1)).otherwise(said))
+    said = strip(
+        F.when(
+            F.right(said, F.lit(1)).isin(".", "!", "?"), F.substring(said, F.lit(1), F.length(said) - 1)
+        ).otherwise(said)
+    )
     named = said.startswith("source")
     rest = F.when(named, strip(F.substring(said, F.lit(7), F.length(said)))).otherwise(said)
     marked = named & rest.startswith("#")

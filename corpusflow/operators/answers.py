@@ -27,32 +27,46 @@ class Texts:
 
 def validate_questions(questions: DataFrame, limit: int = 2000) -> DataFrame:
     """Adds `rejected`: Blank, TooLong or null."""
-    return questions.withColumn("rejected", F.when(is_blank(F.col("text")), "Blank").when(F.length("text") > limit, "TooLong"))
+    return questions.withColumn(
+        "rejected", F.when(is_blank(F.col("text")), "Blank").when(F.length("text") > limit, "TooLong")
+    )
 
 
 def with_language(questions: DataFrame) -> DataFrame:
     return questions.withColumn("language", detect_language(F.col("text")))
 
 
-def gate_questions(questions: DataFrame, candidates: DataFrame, domain: float = DOMAIN, evidence: float = EVIDENCE) -> DataFrame:
+def gate_questions(
+    questions: DataFrame, candidates: DataFrame, domain: float = DOMAIN, evidence: float = EVIDENCE
+) -> DataFrame:
     """Adds best (largest similarity) and status: UnsupportedLanguage, OutOfDomain (also without
     candidates), InsufficientEvidence or Eligible. Thresholds are inclusive."""
     best = candidates.groupBy("question_id").agg(F.max("similarity").alias("best"))
-    status = F.when(F.col("language").isNull(), "UnsupportedLanguage").when(F.coalesce(F.col("best") < domain, F.lit(True)), "OutOfDomain").when(F.col("best") < evidence, "InsufficientEvidence").otherwise("Eligible")
+    status = F.when(F.col("language").isNull(), "UnsupportedLanguage").when(
+        F.coalesce(F.col("best") < domain, F.lit(True)), "OutOfDomain"
+    ).when(F.col("best") < evidence, "InsufficientEvidence").otherwise("Eligible")
     return questions.join(best.hint("merge"), "question_id", "left").withColumn("status", status)
 
 
 def eligible_candidates(candidates: DataFrame, gated: DataFrame, evidence: float = EVIDENCE) -> DataFrame:
-    return candidates.where(F.col("similarity") >= evidence).join(gated.where("status = 'Eligible'").select("question_id").hint("merge"), "question_id", "left_semi")
+    return candidates.where(F.col("similarity") >= evidence).join(
+        gated.where("status = 'Eligible'").select("question_id").hint("merge"), "question_id", "left_semi"
+    )
 
 
 def context_filter(candidates: DataFrame, threshold: float, per_document: int, min_tokens: int) -> DataFrame:
     """Candidates (with document_id, content) at or above the threshold and long enough, one a
     content, the best per_document of each document. Only columns that rank are sorted."""
-    rows = candidates.where((F.col("similarity") >= threshold) & (count_tokens(F.col("content")) >= min_tokens)).withColumn("__h", F.sha2("content", 256))
+    rows = candidates.where(
+        (F.col("similarity") >= threshold) & (count_tokens(F.col("content")) >= min_tokens)
+    ).withColumn("__h", F.sha2("content", 256))
     best = [F.desc("similarity"), F.col("chunk_id")]
-    rows = rows.withColumn("__c", F.row_number().over(Window.partitionBy("question_id", "__h").orderBy(*best))).where("__c = 1")
-    rows = rows.withColumn("__d", F.row_number().over(Window.partitionBy("question_id", "document_id").orderBy(*best))).where(F.col("__d") <= per_document)
+    rows = rows.withColumn(
+        "__c", F.row_number().over(Window.partitionBy("question_id", "__h").orderBy(*best))
+    ).where("__c = 1")
+    rows = rows.withColumn(
+        "__d", F.row_number().over(Window.partitionBy("question_id", "document_id").orderBy(*best))
+    ).where(F.col("__d") <= per_document)
     return rows.drop("__h", "__c", "__d")
 
 
@@ -64,12 +78,18 @@ def score_lexical(questions: DataFrame, candidates: DataFrame, k1: float = 1.2,
     per = Window.partitionBy("question_id")
     sized = doc.withColumn("len", F.size("w")).withColumn("avg_len", F.avg("len").over(per)).withColumn("n", F.count(F.lit(1)).over(per))
     terms = questions.select("question_id", F.explode(F.array_distinct(words("text"))).alias("t"))
-    tf = sized.select("question_id", "chunk_id", "len", "avg_len", "n", F.explode("w").alias("t")).groupBy("question_id", "chunk_id", "len", "avg_len", "n", "t").agg(F.count(F.lit(1)).alias("tf"))
-    met = tf.join(terms.hint("merge"), ["question_id", "t"]).withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("question_id", "t")))
+    tf = sized.select(
+        "question_id", "chunk_id", "len", "avg_len", "n", F.explode("w").alias("t")
+    ).groupBy("question_id", "chunk_id", "len", "avg_len", "n", "t").agg(F.count(F.lit(1)).alias("tf"))
+    met = tf.join(terms.hint("merge"), ["question_id", "t"]).withColumn(
+        "df", F.count(F.lit(1)).over(Window.partitionBy("question_id", "t"))
+    )
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     score = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
     sums = met.groupBy("question_id", "chunk_id").agg(F.sum(score).alias("s"))
-    return doc.select("question_id", "chunk_id").join(sums.hint("merge"), ["question_id", "chunk_id"], "left").select("question_id", "chunk_id", F.round(F.coalesce("s", F.lit(0.0)), 6).alias("reranker_score"))
+    return doc.select("question_id", "chunk_id").join(sums.hint("merge"), ["question_id", "chunk_id"], "left").select(
+        "question_id", "chunk_id", F.round(F.coalesce("s", F.lit(0.0)), 6).alias("reranker_score")
+    )
 
 
 def apply_ranking(candidates: DataFrame, permutations: DataFrame) -> DataFrame:
@@ -77,16 +97,22 @@ def apply_ranking(candidates: DataFrame, permutations: DataFrame) -> DataFrame:
     final_rank from permutations (question_id, permutation: initial ranks, best first). A
     question whose permutation isn't complete keeps null for both."""
     n = candidates.groupBy("question_id").agg(F.count(F.lit(1)).alias("n"))
-    good = permutations.join(n.hint("merge"), "question_id").where(F.array_sort("permutation") == F.sequence(F.lit(1), F.col("n").cast("int")))
+    good = permutations.join(n.hint("merge"), "question_id").where(
+        F.array_sort("permutation") == F.sequence(F.lit(1), F.col("n").cast("int"))
+    )
     placed = good.select("question_id", "n", F.posexplode("permutation").alias("i", "initial_rank"))
     score = F.when(F.col("n") == 1, 1.0).otherwise(1 - F.col("i") / (F.col("n") - 1))
-    placed = placed.select("question_id", "initial_rank", F.round(score, 6).alias("reranker_score"), (F.col("i") + 1).alias("final_rank"))
+    placed = placed.select(
+        "question_id", "initial_rank", F.round(score, 6).alias("reranker_score"), (F.col("i") + 1).alias("final_rank")
+    )
     return candidates.join(placed.hint("merge"), ["question_id", "initial_rank"], "left")
 
 
 def rank_shift(ranked: DataFrame) -> DataFrame:
     """question_id, chunk_id and how many places a chunk rose by reranking."""
-    return ranked.where("final_rank is not null").select("question_id", "chunk_id", (F.col("initial_rank") - F.col("final_rank")).alias("rise"))
+    return ranked.where("final_rank is not null").select(
+        "question_id", "chunk_id", (F.col("initial_rank") - F.col("final_rank")).alias("rise")
+    )
 
 
 def top_evidence(reranked: DataFrame, n: int = 3) -> DataFrame:
@@ -110,32 +136,50 @@ def _quoted(value: Column) -> Column:
     return F.regexp_extract(F.to_json(F.struct(F.coalesce(value, F.lit("")).alias("v"))), r"(?s)^\{\"v\":(.*)\}$", 1)
 
 
-def _prompt(questions: DataFrame, sources: DataFrame, rules: str, order: str, fields: list[tuple[str, str]], reminder: bool) -> DataFrame:
+def _prompt(
+    questions: DataFrame, sources: DataFrame, rules: str, order: str, fields: list[tuple[str, str]], reminder: bool
+) -> DataFrame:
     line = lambda s: F.concat(*(x for name, c in fields for x in (F.lit(f"\n{name}: "), _quoted(s[c]))))
-    listed = sources.groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), *(c for _, c in fields)))).alias("s"))
-    records = F.array_join(F.transform("s", lambda s, i: F.concat(F.lit("SOURCE "), (i + 1).cast("string"), line(s))), "\n\n")
-    tell = F.when(F.col("language") == "Russian", "Answer strictly in Russian.").when(F.col("language") == "English", "Answer strictly in English.")
+    listed = sources.groupBy("question_id").agg(
+        F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), *(c for _, c in fields)))).alias("s")
+    )
+    records = F.array_join(
+        F.transform("s", lambda s, i: F.concat(F.lit("SOURCE "), (i + 1).cast("string"), line(s))), "\n\n"
+    )
+    tell = F.when(
+        F.col("language") == "Russian", "Answer strictly in Russian."
+    ).when(F.col("language") == "English", "Answer strictly in English.")
     system = F.concat_ws("\n", F.lit(rules), tell) if reminder else F.lit(rules)
     ends = [F.lit("\n\nThe question again: "), _quoted(F.col("text"))] if reminder else []
     user = F.concat(F.lit("Question: "), _quoted(F.col("text")), F.lit("\n\n"), records, *ends)
-    return questions.join(listed.hint("merge"), "question_id").select("question_id", system.alias("system"), user.alias("user"), F.size("s").alias("source_count"))
+    return questions.join(listed.hint("merge"), "question_id").select(
+        "question_id", system.alias("system"), user.alias("user"), F.size("s").alias("source_count")
+    )
 
 
 def build_rerank_prompt(questions: DataFrame, candidates: DataFrame) -> DataFrame:
     """question_id, system, user and source_count; sources in initial order, each field quoted
     as JSON. candidates: question_id, initial_rank, title, section, content."""
-    return _prompt(questions, candidates, RANK_RULES, "initial_rank", [("title", "title"), ("section", "section"), ("text", "content")], False)
+    return _prompt(
+        questions, candidates, RANK_RULES, "initial_rank",
+        [("title", "title"), ("section", "section"), ("text", "content")], False
+    )
 
 
 def build_answer_prompt(questions: DataFrame, evidence: DataFrame) -> DataFrame:
     """The same for answers, with URLs, the language asked for and the question repeated."""
-    return _prompt(questions, evidence, ANSWER_RULES, "final_rank", [("title", "title"), ("section", "section"), ("url", "url"), ("text", "content")], True)
+    return _prompt(
+        questions, evidence, ANSWER_RULES, "final_rank",
+        [("title", "title"), ("section", "section"), ("url", "url"), ("text", "content")], True
+    )
 
 
 def _is_json(content: Column) -> Column:
     """Whether content parses as JSON of any kind: a repeated key doesn't make it malformed."""
     whole = F.trim(content)
-    return F.json_object_keys(whole).isNotNull() | F.json_array_length(whole).isNotNull() | whole.rlike(r"^(?:true|false|null|-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?|\"(?:[^\"\\]|\\.)*\")$")
+    return F.json_object_keys(whole).isNotNull() | F.json_array_length(whole).isNotNull() | whole.rlike(
+        r"^(?:true|false|null|-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?|\"(?:[^\"\\]|\\.)*\")$"
+    )
 
 
 def parse_rank_response(responses: DataFrame) -> DataFrame:
@@ -150,7 +194,12 @@ def parse_rank_response(responses: DataFrame) -> DataFrame:
     n = F.col("source_count")
     reason = (
         F.when(~F.coalesce(_is_json(F.col("content")), F.lit(False)), "Malformed")
-        .when(keys.isNull() | (keys != F.array(F.lit("rankedSourceNumbers"))) | ~F.coalesce(raw.startswith("["), F.lit(False)) | texts.isNull(), "Shape")
+        .when(
+            keys.isNull() | (
+                keys != F.array(F.lit("rankedSourceNumbers"))
+            ) | ~F.coalesce(raw.startswith("["), F.lit(False)) | texts.isNull(),
+            "Shape"
+        )
         .when(~integer | ~F.forall(numbers, lambda x: (x >= 1) & (x <= n)), "Range")
         .when(F.size(F.array_distinct(numbers)) != F.size(numbers), "Duplicate")
         .when(F.size(numbers) != n, "Incomplete")
@@ -170,12 +219,21 @@ def parse_answer_response(responses: DataFrame) -> DataFrame:
     raw = F.get_json_object(whole, "$.citedSourceNumbers")
     texts = F.from_json(raw, "array<string>")
     numbers = F.transform(texts, lambda x: x.cast("int"))
-    n, sufficient, answer = F.col("source_count"), F.try_variant_get(typed, "$.sufficientEvidence", "boolean"), F.try_variant_get(typed, "$.answer", "string")
+    n, sufficient, answer = F.col("source_count"), F.try_variant_get(
+        typed, "$.sufficientEvidence", "boolean"
+    ), F.try_variant_get(typed, "$.answer", "string")
     shape = (
-        F.coalesce(F.array_sort(keys) == fields, F.lit(False)) & F.coalesce(kind("sufficientEvidence") == "BOOLEAN", F.lit(False))
+        F.coalesce(F.array_sort(keys) == fields, F.lit(False)) & F.coalesce(
+            kind("sufficientEvidence") == "BOOLEAN", F.lit(False)
+        )
         & F.coalesce(kind("answer") == "STRING", F.lit(False)) & F.coalesce(raw.startswith("["), F.lit(False))
     )
-    valid = F.forall(texts, lambda x: F.coalesce(x.rlike(r"^\d{1,9}$"), F.lit(False)) & F.coalesce((x.cast("int") >= 1) & (x.cast("int") <= n), F.lit(False)))
+    valid = F.forall(
+        texts,
+        lambda x: F.coalesce(x.rlike(r"^\d{1,9}$"), F.lit(False)) & F.coalesce(
+            (x.cast("int") >= 1) & (x.cast("int") <= n), F.lit(False)
+        )
+    )
     reason = (
         F.when(is_blank(F.col("content")), "MessageContentMissing")
         .when(~F.coalesce(_is_json(F.col("content")), F.lit(False)), "StructuredJsonMalformed")
@@ -188,7 +246,9 @@ def parse_answer_response(responses: DataFrame) -> DataFrame:
     )
     fine = F.col("reason").isNull()
     out = responses.withColumn("reason", reason)
-    return out.withColumns({"sufficient": F.when(fine, sufficient), "answer": F.when(fine, answer), "cited": F.when(fine, numbers)})
+    return out.withColumns(
+        {"sufficient": F.when(fine, sufficient), "answer": F.when(fine, answer), "cited": F.when(fine, numbers)}
+    )
 
 
 def needs_retry(parsed: DataFrame) -> DataFrame:
@@ -201,35 +261,56 @@ def needs_retry(parsed: DataFrame) -> DataFrame:
 
 def final_responses(parsed: DataFrame) -> DataFrame:
     """The latest attempt of each question; one that still says nothing gets its own code."""
-    latest = parsed.groupBy("question_id").agg(F.max_by(F.struct("attempt", "reason", "sufficient", "answer", "cited"), "attempt").alias("r")).select("question_id", "r.*")
+    latest = parsed.groupBy("question_id").agg(
+        F.max_by(F.struct("attempt", "reason", "sufficient", "answer", "cited"), "attempt").alias("r")
+    ).select("question_id", "r.*")
     dull = F.col("reason").isNull() & F.col("sufficient") & uninformative(F.col("answer"))
     return latest.withColumn("reason", F.when(dull, "NonSubstantiveAnswer").otherwise(F.col("reason")))
 
 
 def attach_citations(answers: DataFrame, evidence: DataFrame) -> DataFrame:
     """answers with citations: title, url and section of the cited evidence, in cited order."""
-    cited = answers.select("question_id", F.posexplode("cited").alias("i", "final_rank")).join(evidence.select("question_id", "final_rank", "title", "url", "section"), ["question_id", "final_rank"])
-    listed = cited.groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("i", "title", "url", "section"))).alias("c"))
-    strip = F.transform("c", lambda x: F.struct(x["title"].alias("title"), x["url"].alias("url"), x["section"].alias("section")))
+    cited = answers.select("question_id", F.posexplode("cited").alias("i", "final_rank")).join(
+        evidence.select("question_id", "final_rank", "title", "url", "section"), ["question_id", "final_rank"]
+    )
+    listed = cited.groupBy("question_id").agg(
+        F.array_sort(F.collect_list(F.struct("i", "title", "url", "section"))).alias("c")
+    )
+    strip = F.transform(
+        "c", lambda x: F.struct(x["title"].alias("title"), x["url"].alias("url"), x["section"].alias("section"))
+    )
     return answers.join(listed.hint("merge"), "question_id", "left").withColumn("citations", strip).drop("c")
 
 
 def finalize_answers(gated: DataFrame, answered: DataFrame, texts: Texts = Texts()) -> DataFrame:
     """question_id, status, language, text and citations: gated questions with their refusal
     text, others by their response; an answer needs text, language and a citation."""
-    rows = gated.select("question_id", F.col("status").alias("gate"), "language").join(answered.select("question_id", "reason", "sufficient", "answer", "citations"), "question_id", "left")
+    rows = gated.select("question_id", F.col("status").alias("gate"), "language").join(
+        answered.select("question_id", "reason", "sufficient", "answer", "citations"), "question_id", "left"
+    )
     full = F.col("reason").isNull() & F.col("sufficient") & ~is_blank(F.col("answer")) & (F.size("citations") > 0)
-    status = F.when(F.col("gate") != "Eligible", F.col("gate")).when(F.coalesce(full, F.lit(False)), "Answered").when(F.col("reason").isNotNull(), "Failed").otherwise("InsufficientEvidence")
+    status = F.when(
+        F.col("gate") != "Eligible", F.col("gate")
+    ).when(F.coalesce(full, F.lit(False)), "Answered").when(F.col("reason").isNotNull(), "Failed").otherwise("InsufficientEvidence")
     ru = F.col("language") == "Russian"
     text = (
         F.when(F.col("status") == "Answered", F.col("answer"))
         .when(F.col("status") == "OutOfDomain", F.when(ru, texts.out_of_domain_ru).otherwise(texts.out_of_domain_en))
-        .when(F.col("status") == "InsufficientEvidence", F.when(ru, texts.insufficient_ru).otherwise(texts.insufficient_en))
+        .when(
+            F.col("status") == "InsufficientEvidence",
+            F.when(ru, texts.insufficient_ru).otherwise(texts.insufficient_en)
+        )
+    )
+    return rows.withColumn("status", status).select(
+        "question_id", "status", "language", text.alias("text"),
+        F.when(F.col("status") == "Answered", F.col("citations")).alias("citations")
     )
-    return rows.withColumn("status", status).select("question_id", "status", "language", text.alias("text"), F.when(F.col("status") == "Answered", F.col("citations")).alias("citations"))
 
 
 def language_profile(docs: DataFrame, key: str = "source") -> DataFrame:
     """Detected languages by source: n_ru, n_en and n_null."""
     found = docs.select(key, detect_language(F.col("text")).alias("l"))
-    return found.groupBy(key).agg(F.count_if(F.col("l") == "Russian").alias("n_ru"), F.count_if(F.col("l") == "English").alias("n_en"), F.count_if(F.col("l").isNull()).alias("n_null"))
+    return found.groupBy(key).agg(
+        F.count_if(F.col("l") == "Russian").alias("n_ru"), F.count_if(F.col("l") == "English").alias("n_en"),
+        F.count_if(F.col("l").isNull()).alias("n_null")
+    )

@@ -112,7 +112,9 @@ def render_code(node: Node) -> str:
         if isinstance(x, Node):
             if x.tag == "br":
                 parts.append(last := "\n")
-            elif x.tag not in ("img", "script", "style") and not (x.tag == "h2" and " ".join(inline_text(x).split()).lower() == "declaration"):
+            elif x.tag not in ("img", "script", "style") and not (
+                x.tag == "h2" and " ".join(inline_text(x).split()).lower() == "declaration"
+            ):
                 waiting.extend(reversed(x.children))
         elif x:
             if last and WORD.match(last) and WORD.match(x[0]):
@@ -186,26 +188,41 @@ def html_blocks(pages: DataFrame, key: str = "document_id", container: str | Non
             rows = []
             for name, html in zip(frame[key], frame["html"], strict=True):
                 found = page_blocks(html, container)
-                rows += [(name, 0, "error", 0, "main content not found")] if found is None else [(name, i, *b) for i, b in enumerate(found)]
+                rows += [
+                    (name, 0, "error", 0, "main content not found")
+                ] if found is None else [(name, i, *b) for i, b in enumerate(found)]
             yield pd.DataFrame(rows, columns=[key, "pos", "kind", "level", "raw"])
 
     blocks = pages.select(key, "html").mapInPandas(run, f"{key} {kind}, pos int, kind string, level int, raw string")
     raw = F.col("raw")
-    clean = F.when(F.col("kind") == "code", raw).when(F.col("kind") == "service", normalize_service_line(raw)).otherwise(normalize_text(raw))
-    lead = {"heading": F.concat(F.repeat(F.lit("#"), F.col("level")), F.lit(" ")), "row": F.lit("- "), "item": F.lit("- "), "term": F.lit("- "), "definition": F.lit("  ")}
+    clean = F.when(F.col("kind") == "code", raw).when(
+        F.col("kind") == "service", normalize_service_line(raw)
+    ).otherwise(normalize_text(raw))
+    lead = {
+        "heading": F.concat(F.repeat(F.lit("#"), F.col("level")), F.lit(" ")), "row": F.lit("- "), "item": F.lit("- "),
+        "term": F.lit("- "), "definition": F.lit("  ")
+    }
     text = F.when(F.col("kind") == "code", F.concat(F.lit("```csharp\n"), clean, F.lit("\n```")))
     for name, prefix in lead.items():
         text = text.when(F.col("kind") == name, F.concat(prefix, clean))
-    blocks = blocks.withColumn("clean", clean).where((F.col("clean") != "") & ~(F.col("kind").isin("paragraph", "service") & (F.col("clean") == "/")))
+    blocks = blocks.withColumn("clean", clean).where(
+        (F.col("clean") != "") & ~(F.col("kind").isin("paragraph", "service") & (F.col("clean") == "/"))
+    )
     return blocks.select(key, "pos", "kind", "level", text.otherwise(F.col("clean")).alias("text"))
 
 
-TAG = re.compile(r"<!--.*?-->|<(?P<close>/)?(?P<name>[a-zA-Z][^\s/<>]*+)(?P<attrs>(?:[^<>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>", re.S)
+TAG = re.compile(
+    r"<!--.*?-->|<(?P<close>/)?(?P<name>[a-zA-Z][^\s/<>]*+)(?P<attrs>(?:[^<>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>",
+    re.S
+)
 ATTRIBUTE = re.compile(r"\b(class|id)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 
 
 def _attribute(tag: re.Match, name: str) -> set[str]:
-    return {x for kind, value in ATTRIBUTE.findall(tag["attrs"] or "") if kind.lower() == name for x in value.strip("\"'").split()}
+    return {
+        x for kind,
+        value in ATTRIBUTE.findall(tag["attrs"] or "") if kind.lower() == name for x in value.strip("\"'").split()
+    }
 
 
 def _element(html: str, test, at: int, stop: int) -> tuple[int, int] | None:
@@ -263,8 +280,18 @@ def strip_boilerplate(pages: DataFrame, key: str = "document_id", container: str
 def process_documents(blocks: DataFrame, titles: DataFrame, key: str = "document_id") -> DataFrame:
     """key, content, content_hash and error: `# title`, then the blocks, blank lines between.
     A document of its title alone, or without a container, is an error."""
-    texts = blocks.groupBy(key).agg(F.array_sort(F.collect_list(F.when(F.col("kind") != "error", F.struct("pos", "text")))).alias("b"), F.max(F.col("kind") == "error").alias("lost"))
-    joined = F.array_join(F.concat(F.array(F.concat(F.lit("# "), F.col("title"))), F.transform("b", lambda x: x["text"])), "\n\n")
+    texts = blocks.groupBy(key).agg(
+        F.array_sort(F.collect_list(F.when(F.col("kind") != "error", F.struct("pos", "text")))).alias("b"),
+        F.max(F.col("kind") == "error").alias("lost")
+    )
+    joined = F.array_join(
+        F.concat(F.array(F.concat(F.lit("# "), F.col("title"))), F.transform("b", lambda x: x["text"])), "\n\n"
+    )
     out = titles.join(texts.hint("merge"), key, "left").withColumn("content", normalize_text(joined))
-    error = F.when(F.col("lost"), "main content not found").when(F.coalesce(F.size("b"), F.lit(0)) < 1, "no useful text")
-    return out.select(key, F.when(error.isNull(), F.col("content")).alias("content"), F.when(error.isNull(), F.sha2("content", 256)).alias("content_hash"), error.alias("error"))
+    error = F.when(F.col("lost"), "main content not found").when(
+        F.coalesce(F.size("b"), F.lit(0)) < 1, "no useful text"
+    )
+    return out.select(
+        key, F.when(error.isNull(), F.col("content")).alias("content"),
+        F.when(error.isNull(), F.sha2("content", 256)).alias("content_hash"), error.alias("error")
+    )

@@ -23,10 +23,15 @@ def chunk_id(document_id: Column, ordinal: Column, text: Column) -> Column:
 
 def _windows(docs: DataFrame, size: int, stride: int, stop: Column) -> DataFrame:
     starts = F.when(F.size("w") > 0, F.sequence(F.lit(0), stop, F.lit(stride)))
-    rows = docs.select("document_id", tokens(F.col("content")).alias("w")).select("document_id", "w", F.posexplode(starts).alias("ordinal", "at"))
+    rows = docs.select("document_id", tokens(F.col("content")).alias("w")).select(
+        "document_id", "w", F.posexplode(starts).alias("ordinal", "at")
+    )
     rows = rows.withColumn("content", F.array_join(F.slice("w", F.col("at") + 1, F.lit(size)), " "))
     counted = F.least(F.lit(size), F.size("w") - F.col("at")).alias("approximate_token_count")
-    return rows.select("document_id", chunk_id(F.col("document_id"), F.col("ordinal"), F.col("content")).alias("chunk_id"), F.lit(None).cast("string").alias("section"), "ordinal", counted, "content")
+    return rows.select(
+        "document_id", chunk_id(F.col("document_id"), F.col("ordinal"), F.col("content")).alias("chunk_id"),
+        F.lit(None).cast("string").alias("section"), "ordinal", counted, "content"
+    )
 
 
 def chunk_fixed(docs: DataFrame, size: int = 512) -> DataFrame:
@@ -47,7 +52,11 @@ def chunk_paragraph(docs: DataFrame) -> DataFrame:
     """One chunk a line that isn't blank."""
     lines = F.filter(F.transform(F.split("content", r"\n+"), lambda x: F.trim(x)), lambda x: x.rlike(r"(?U)\S"))
     rows = docs.select("document_id", F.posexplode(lines).alias("ordinal", "content"))
-    return rows.select("document_id", chunk_id(F.col("document_id"), F.col("ordinal"), F.col("content")).alias("chunk_id"), F.lit(None).cast("string").alias("section"), "ordinal", count_tokens(F.col("content")).alias("approximate_token_count"), "content")
+    return rows.select(
+        "document_id", chunk_id(F.col("document_id"), F.col("ordinal"), F.col("content")).alias("chunk_id"),
+        F.lit(None).cast("string").alias("section"), "ordinal",
+        count_tokens(F.col("content")).alias("approximate_token_count"), "content"
+    )
 
 
 def sections(title: str, text: str) -> list[tuple[str | None, list[str]]]:
@@ -120,7 +129,12 @@ def heading_chunks(document_id: str, title: str, text: str, size: int, overlap:
         prefix = f"# {title.strip()}" + (f"\n\n## {name}" if name else "")
         budget = size - len(prefix.split())
         if budget < 1:
-            return [(document_id, None, name or None, None, None, None, f"size {size} leaves no room for a body token after the title and section")]
+            return [
+                (
+                    document_id, None, name or None, None, None, None,
+                    f"size {size} leaves no room for a body token after the title and section"
+                )
+            ]
         fitting = [x for unit in units for x in split_oversized(unit, budget, overlap)]
         for body in pack(fitting, budget, overlap):
             content, n = f"{prefix}\n\n{body.strip()}", len(out)
@@ -138,7 +152,11 @@ def chunk_heading_aware(docs: DataFrame, size: int = 512, overlap: int = 64) ->
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in parts:
-            rows = (r for d in frame.itertuples(index=False) for r in heading_chunks(d.document_id, d.title or "", d.content or "", size, overlap))
+            rows = (
+                r for d in frame.itertuples(index=False) for r in heading_chunks(
+                    d.document_id, d.title or "", d.content or "", size, overlap
+                )
+            )
             out = pd.DataFrame(list(rows), columns=[c.split()[0] for c in CHUNKS_OR_ERROR.split(", ")])
             yield out.astype({"ordinal": "Int32", "approximate_token_count": "Int32"})
 
@@ -150,10 +168,15 @@ def split_sections(docs: DataFrame) -> DataFrame:
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in parts:
-            rows = [(d.document_id, name, i, j, unit) for d in frame.itertuples(index=False) for i, (name, units) in enumerate(sections(d.title or "", d.content or "")) for j, unit in enumerate(units)]
+            rows = [
+                (d.document_id, name, i, j, unit) for d in frame.itertuples(index=False) for i,
+                (name, units) in enumerate(sections(d.title or "", d.content or "")) for j, unit in enumerate(units)
+            ]
             yield pd.DataFrame(rows, columns=["document_id", "section", "section_ordinal", "unit_ordinal", "unit"])
 
-    return docs.select("document_id", "title", "content").mapInPandas(run, "document_id string, section string, section_ordinal int, unit_ordinal int, unit string")
+    return docs.select("document_id", "title", "content").mapInPandas(
+        run, "document_id string, section string, section_ordinal int, unit_ordinal int, unit string"
+    )
 
 
 def split_units(units: DataFrame, budget: int, overlap: int) -> DataFrame:
@@ -161,14 +184,23 @@ def split_units(units: DataFrame, budget: int, overlap: int) -> DataFrame:
     w = tokens(F.col("unit"))
     step = max(1, budget - overlap)
     pieces = F.when(F.size(w) <= budget, F.array("unit")).otherwise(
-        F.transform(F.sequence(F.lit(0), F.size(w) - 1, F.lit(step)), lambda i: F.array_join(F.slice(w, i + 1, F.lit(step)), " "))
+        F.transform(
+            F.sequence(F.lit(0), F.size(w) - 1, F.lit(step)),
+            lambda i: F.array_join(F.slice(w, i + 1, F.lit(step)), " ")
+        )
     )
     return units.select("document_id", "unit_ordinal", F.posexplode(pieces).alias("piece", "content"))
 
 
 def chunk_profile(chunked: dict[str, DataFrame]) -> DataFrame:
     """Tokens per chunk by strategy: n_chunks, n_documents, min, avg, max and median."""
-    rows = reduce(DataFrame.unionByName, [c.select(F.lit(name).alias("strategy"), "document_id", "approximate_token_count") for name, c in chunked.items()])
+    rows = reduce(
+        DataFrame.unionByName,
+        [
+            c.select(F.lit(name).alias("strategy"), "document_id", "approximate_token_count") for name,
+            c in chunked.items()
+        ]
+    )
     n = F.col("approximate_token_count")
     return rows.groupBy("strategy").agg(
         F.count(F.lit(1)).alias("n_chunks"), F.countDistinct("document_id").alias("n_documents"), F.min(n).alias("min_tokens"),
@@ -178,4 +210,6 @@ def chunk_profile(chunked: dict[str, DataFrame]) -> DataFrame:
 
 def process_summary(docs: DataFrame, chunks: DataFrame) -> DataFrame:
     """One row from two of one row each."""
-    return docs.agg(F.count(F.lit(1)).alias("documents")).join(chunks.agg(F.count(F.lit(1)).alias("chunks"), F.countDistinct("document_id").alias("chunked_documents")))
+    return docs.agg(F.count(F.lit(1)).alias("documents")).join(
+        chunks.agg(F.count(F.lit(1)).alias("chunks"), F.countDistinct("document_id").alias("chunked_documents"))
+    )

@@ -14,10 +14,15 @@ from pyspark.sql.types import ArrayType, FloatType
 from corpusflow.functions.text import tokens
 
 
-def embed(texts: DataFrame, make_fn: Callable[[], Callable[[np.ndarray], np.ndarray]], column: str = "text", batch_size: int = 8) -> DataFrame:
+def embed(
+    texts: DataFrame, make_fn: Callable[[], Callable[[np.ndarray], np.ndarray]], column: str = "text",
+    batch_size: int = 8
+) -> DataFrame:
     """Adds `embedding`: make_fn gives each worker a function from a batch of texts to an array
     of vectors. Rows keep their order; batches never mix partitions."""
-    return texts.withColumn("embedding", predict_batch_udf(make_fn, return_type=ArrayType(FloatType()), batch_size=batch_size)(column))
+    return texts.withColumn(
+        "embedding", predict_batch_udf(make_fn, return_type=ArrayType(FloatType()), batch_size=batch_size)(column)
+    )
 
 
 def embed_hashing(texts: DataFrame, column: str = "text", dimension: int = 64) -> DataFrame:
@@ -27,7 +32,9 @@ def embed_hashing(texts: DataFrame, column: str = "text", dimension: int = 64) -
     words = texts.withColumn("__w", tokens(F.lower(column)))
     counted = HashingTF(inputCol="__w", outputCol="__tf", numFeatures=dimension).transform(words)
     unit = F.array(F.lit(1.0), *[F.lit(0.0)] * (dimension - 1)).cast("array<float>")
-    scaled = Normalizer(inputCol="__tf", outputCol="__v").transform(counted).withColumn("embedding", F.when(F.size("__w") > 0, vector_to_array("__v", "float32")).otherwise(unit))
+    scaled = Normalizer(inputCol="__tf", outputCol="__v").transform(counted).withColumn(
+        "embedding", F.when(F.size("__w") > 0, vector_to_array("__v", "float32")).otherwise(unit)
+    )
     return scaled.drop("__w", "__tf", "__v")
 
 
@@ -49,12 +56,20 @@ def validate_embeddings(embeddings: DataFrame, profiles: DataFrame) -> DataFrame
         "not_finite": ~finite,
         "zero_vector": finite & (norm(F.col("embedding")) == 0),
     }
-    broken = F.array_compact(F.array(*(F.when(F.coalesce(test, F.lit(False)), F.lit(name)) for name, test in rules.items())))
+    broken = F.array_compact(
+        F.array(*(F.when(F.coalesce(test, F.lit(False)), F.lit(name)) for name, test in rules.items()))
+    )
     key = F.concat_ws("|", F.col("chunk_id").cast("string"), "profile_key")
-    found = rows.select(F.explode(broken).alias("rule"), key.alias("key"), F.col("dimension").cast("string").alias("detail"))
+    found = rows.select(
+        F.explode(broken).alias("rule"), key.alias("key"), F.col("dimension").cast("string").alias("detail")
+    )
     repeats = embeddings.groupBy("chunk_id", "profile_key").count().where("count > 1")
-    return found.unionByName(repeats.select(F.lit("repeated").alias("rule"), key.alias("key"), F.col("count").cast("string").alias("detail")))
+    return found.unionByName(
+        repeats.select(F.lit("repeated").alias("rule"), key.alias("key"), F.col("count").cast("string").alias("detail"))
+    )
 
 
 def index_summary(embeddings: DataFrame) -> DataFrame:
-    return embeddings.groupBy("profile_key", "dimension").agg(F.countDistinct("chunk_id").alias("chunks"), F.count(F.lit(1)).alias("embeddings"))
+    return embeddings.groupBy("profile_key", "dimension").agg(
+        F.countDistinct("chunk_id").alias("chunks"), F.count(F.lit(1)).alias("embeddings")
+    )

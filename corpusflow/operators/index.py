@@ -17,7 +17,10 @@ from corpusflow.sources.scratch import materialize
 
 TABLES = ("profiles", "documents", "chunks", "embeddings")
 #: Keys of the tables, which a batch must not repeat or leave null.
-KEYS = {"profiles": ["profile_key"], "documents": ["document_id"], "chunks": ["chunk_id"], "embeddings": ["chunk_id", "profile_key"]}
+KEYS = {
+    "profiles": ["profile_key"], "documents": ["document_id"], "chunks": ["chunk_id"],
+    "embeddings": ["chunk_id", "profile_key"]
+}
 
 
 def upsert(existing: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
@@ -33,13 +36,17 @@ def upsert_profiles(existing: DataFrame, incoming: DataFrame) -> DataFrame:
 def upsert_documents(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     """By document_id. created_at of a known document stays; updated_at is the batch's."""
     old = existing.select("document_id", F.col("created_at").alias("__created"))
-    stamped = incoming.join(old.hint("merge"), "document_id", "left").withColumn("created_at", F.coalesce("__created", "updated_at")).drop("__created")
+    stamped = incoming.join(old.hint("merge"), "document_id", "left").withColumn(
+        "created_at", F.coalesce("__created", "updated_at")
+    ).drop("__created")
     return upsert(existing, stamped.select(*existing.columns), ["document_id"])
 
 
 def delete_stale_chunks(existing: DataFrame, batch_documents: DataFrame, current: DataFrame) -> DataFrame:
     """existing without those chunks of the batch's documents that aren't current."""
-    stale = existing.join(batch_documents.select("document_id").hint("merge"), "document_id", "left_semi").join(current.select("chunk_id").hint("merge"), "chunk_id", "left_anti")
+    stale = existing.join(
+        batch_documents.select("document_id").hint("merge"), "document_id", "left_semi"
+    ).join(current.select("chunk_id").hint("merge"), "chunk_id", "left_anti")
     return existing.join(stale.select("chunk_id").hint("merge"), "chunk_id", "left_anti")
 
 
@@ -82,23 +89,37 @@ def _bucketed(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
     }
 
 
-def read_snapshot(spark: SparkSession, root: str, schemas: dict[str, str] | None = None, only: list[int] | None = None) -> dict[str, DataFrame]:
+def read_snapshot(
+    spark: SparkSession, root: str, schemas: dict[str, str] | None = None, only: list[int] | None = None
+) -> dict[str, DataFrame]:
     """The tables as last published (or their buckets in `only`; profiles always whole)."""
     found = versions.pointers(spark, root)
-    return {t: versions.read(spark, found, t, (schemas or {}).get(t), None if t == "profiles" else only) for t in TABLES}
+    return {
+        t: versions.read(spark, found, t, (schemas or {}).get(t), None if t == "profiles" else only) for t in TABLES
+    }
 
 
 def publish_snapshot(spark: SparkSession, root: str, tables: dict[str, DataFrame], version: int) -> None:
     """Publishes whole tables as a version of an index that has none yet."""
     everything = list(range(versions.BUCKETS))
-    versions.publish(spark, root, version, _bucketed(tables), {t: [0] if t == "profiles" else everything for t in TABLES})
+    versions.publish(
+        spark, root, version, _bucketed(tables), {t: [0] if t == "profiles" else everything for t in TABLES}
+    )
 
 
-def apply_index_batch(spark: SparkSession, root: str, batch: dict[str, DataFrame], violations: list[DataFrame], version: int) -> None:
+def apply_index_batch(
+    spark: SparkSession, root: str, batch: dict[str, DataFrame], violations: list[DataFrame], version: int
+) -> None:
     """Publishes the version after a batch, which rewrites the buckets of the batch's documents only.
     With any violation, or a key that repeats or is null, nothing is published."""
     rows = [check_unique(batch[t], keys, f"repeated_{t}") for t, keys in KEYS.items()]
-    rows += [batch[t].where(" or ".join(f"{k} is null" for k in keys)).select(F.lit(f"null_{t}").alias("rule"), F.lit(None).cast("string").alias("key"), F.lit(None).cast("string").alias("detail")) for t, keys in KEYS.items()]
+    rows += [
+        batch[t].where(" or ".join(f"{k} is null" for k in keys)).select(
+            F.lit(f"null_{t}").alias("rule"), F.lit(None).cast("string").alias("key"),
+            F.lit(None).cast("string").alias("detail")
+        ) for t,
+        keys in KEYS.items()
+    ]
     first = reduce(DataFrame.unionByName, [*violations, *rows]).limit(1).collect()
     if first:
         raise ValueError(f"batch rejected: {first[0].rule} {first[0].key}")

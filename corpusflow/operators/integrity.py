@@ -32,7 +32,9 @@ def check_unique(df: DataFrame, keys: list[str], rule: str, ignore_case: bool =
 
 def check_references(child: DataFrame, parent: DataFrame, key: str, child_key: str, rule: str) -> DataFrame:
     """A row for each child without its parent."""
-    return _rows(child.join(parent.select(key).distinct().hint("merge"), key, "left_anti"), rule, F.col(child_key), F.col(key))
+    return _rows(
+        child.join(parent.select(key).distinct().hint("merge"), key, "left_anti"), rule, F.col(child_key), F.col(key)
+    )
 
 
 def check_hashes(documents: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -41,7 +43,9 @@ def check_hashes(documents: DataFrame, chunks: DataFrame) -> DataFrame:
     bad_id = chunks.where(F.lower("chunk_id") != chunk_id(F.col("document_id"), F.col("ordinal"), F.col("content")))
     bad_count = chunks.where(F.col("approximate_token_count") != count_tokens(F.col("content")))
     return union(
-        _rows(bad_hash, "content_hash", F.col("document_id"), F.col("content_hash")), _rows(bad_id, "chunk_id", F.col("chunk_id"), F.col("ordinal")),
+        _rows(
+            bad_hash, "content_hash", F.col("document_id"), F.col("content_hash")
+        ), _rows(bad_id, "chunk_id", F.col("chunk_id"), F.col("ordinal")),
         _rows(bad_count, "token_count", F.col("chunk_id"), F.col("approximate_token_count")),
     )
 
@@ -50,39 +54,71 @@ def check_denormalised(chunks: DataFrame, documents: DataFrame, columns: dict[st
     """Chunk columns that differ from their document's; columns: chunk column to document's."""
     theirs = documents.select("document_id", *(F.col(d).alias(f"__{c}") for c, d in columns.items()))
     rows = chunks.join(theirs.hint("merge"), "document_id")
-    return union(*(_rows(rows.where(~F.col(c).eqNullSafe(F.col(f"__{c}"))), f"{c}_differs", F.col("chunk_id"), F.col(c)) for c in columns))
+    return union(
+        *(
+            _rows(
+                rows.where(~F.col(c).eqNullSafe(F.col(f"__{c}"))), f"{c}_differs", F.col("chunk_id"), F.col(c)
+            ) for c in columns
+        )
+    )
 
 
 def check_constraints(df: DataFrame, key: str, rules: dict[str, Column]) -> DataFrame:
     """A row for each rule (name to condition) that a row breaks; null counts as broken. One
     pass over the table."""
-    broken = F.array_compact(F.array(*(F.when(~F.coalesce(test, F.lit(False)), F.lit(name)) for name, test in rules.items())))
-    return df.select(F.explode(broken).alias("rule"), F.col(key).cast("string").alias("key"), F.lit(None).cast("string").alias("detail"))
+    broken = F.array_compact(
+        F.array(*(F.when(~F.coalesce(test, F.lit(False)), F.lit(name)) for name, test in rules.items()))
+    )
+    return df.select(
+        F.explode(broken).alias("rule"), F.col(key).cast("string").alias("key"),
+        F.lit(None).cast("string").alias("detail")
+    )
 
 
 def chunk_rules() -> dict[str, Column]:
-    return {"blank_text": ~is_blank(F.col("content")), "ordinal": F.col("ordinal") >= 0, "tokens": F.col("approximate_token_count") > 0, "id_format": F.col("chunk_id").rlike(HASH)}
+    return {
+        "blank_text": ~is_blank(F.col("content")), "ordinal": F.col("ordinal") >= 0,
+        "tokens": F.col("approximate_token_count") > 0, "id_format": F.col("chunk_id").rlike(HASH)
+    }
 
 
 def document_rules() -> dict[str, Column]:
-    return {"blank_text": ~is_blank(F.col("content")), "blank_title": ~is_blank(F.col("title")), "hash_format": F.col("content_hash").rlike(HASH), "blank_url": ~is_blank(F.col("canonical_url"))}
+    return {
+        "blank_text": ~is_blank(F.col("content")), "blank_title": ~is_blank(F.col("title")),
+        "hash_format": F.col("content_hash").rlike(HASH), "blank_url": ~is_blank(F.col("canonical_url"))
+    }
 
 
 def check_headers(a: DataFrame, b: DataFrame) -> DataFrame:
     """Headers (version, corpus_version, chunk_size, overlap; one row each) of two artifacts."""
     valid = (F.col("version") == 1) & (F.col("chunk_size") > 0) & (F.col("overlap") >= 0) & (F.col("overlap") < F.col("chunk_size"))
     bad = a.withColumn("side", F.lit("documents")).unionByName(b.withColumn("side", F.lit("chunks"))).where(~F.coalesce(valid, F.lit(False)))
-    differ = a.alias("a").join(b.alias("b"), (F.col("a.version") != F.col("b.version")) | (F.col("a.corpus_version") != F.col("b.corpus_version")) | (F.col("a.chunk_size") != F.col("b.chunk_size")) | (F.col("a.overlap") != F.col("b.overlap")))
-    return union(_rows(bad, "header_invalid", F.col("side"), F.col("version")), _rows(differ, "headers_differ", F.lit("documents"), F.lit("chunks")))
+    differ = a.alias("a").join(
+        b.alias("b"),
+        (F.col("a.version") != F.col("b.version")) | (
+            F.col("a.corpus_version") != F.col("b.corpus_version")
+        ) | (F.col("a.chunk_size") != F.col("b.chunk_size")) | (F.col("a.overlap") != F.col("b.overlap"))
+    )
+    return union(
+        _rows(bad, "header_invalid", F.col("side"), F.col("version")),
+        _rows(differ, "headers_differ", F.lit("documents"), F.lit("chunks"))
+    )
 
 
 def check_artifacts(documents: DataFrame, chunks: DataFrame) -> DataFrame:
     """All rules of a pair of artifacts: unique ids, references, hashes and counts, columns that
     chunks take over from their documents, and the formats of chunks."""
-    taken = {"source_url": "canonical_url", "document_title": "title", "version": "version", "processed_content_hash": "content_hash"}
+    taken = {
+        "source_url": "canonical_url", "document_title": "title", "version": "version",
+        "processed_content_hash": "content_hash"
+    }
     return union(
-        check_unique(documents, ["document_id"], "repeated_document"), check_unique(chunks, ["chunk_id"], "repeated_chunk"),
-        check_unique(chunks, ["document_id", "ordinal"], "repeated_ordinal"), check_references(chunks, documents, "document_id", "chunk_id", "chunk_without_document"),
+        check_unique(
+            documents, ["document_id"], "repeated_document"
+        ), check_unique(chunks, ["chunk_id"], "repeated_chunk"),
+        check_unique(chunks, ["document_id", "ordinal"], "repeated_ordinal"), check_references(
+            chunks, documents, "document_id", "chunk_id", "chunk_without_document"
+        ),
         check_hashes(documents, chunks), check_denormalised(chunks, documents, taken), check_constraints(chunks, "chunk_id", chunk_rules()),
     )
 
@@ -102,4 +138,6 @@ def check_questions(questions: DataFrame) -> DataFrame:
         "multi_source": ~F.col("requires_multiple_sources") | (urls >= 2),
         "url_scheme": F.forall("expected_urls", lambda u: u.rlike("^(?i)https?://[^/]")),
     }
-    return check_constraints(questions, "question_id", rules).unionByName(check_unique(questions, ["question_id"], "repeated_id", ignore_case=True))
+    return check_constraints(questions, "question_id", rules).unionByName(
+        check_unique(questions, ["question_id"], "repeated_id", ignore_case=True)
+    )

@@ -21,7 +21,9 @@ def all_links(pages: DataFrame) -> DataFrame:
     """url and target of every distinct anchor of a page, made absolute; no Python."""
     href = F.regexp_extract_all("html", F.lit(r"(?i)<a\s[^>]*?href\s*=\s*[\"']([^\"']*)[\"']"), F.lit(1))
     found = pages.select("url", F.explode(href).alias("href"))
-    return found.select("url", resolve_url(F.col("url"), F.col("href")).alias("target")).where("target is not null").distinct()
+    return found.select(
+        "url", resolve_url(F.col("url"), F.col("href")).alias("target")
+    ).where("target is not null").distinct()
 
 
 class _Members(HTMLParser):
@@ -131,7 +133,9 @@ def link_graph_stats(links: DataFrame) -> DataFrame:
     out = links.groupBy("url").agg(F.countDistinct("target").alias("out_degree"))
     into = links.groupBy(F.col("target").alias("url")).agg(F.countDistinct(links["url"]).alias("in_degree"))
     zero = F.lit(0)
-    return out.join(into.hint("merge"), "url", "full").select("url", F.coalesce("out_degree", zero).alias("out_degree"), F.coalesce("in_degree", zero).alias("in_degree"))
+    return out.join(into.hint("merge"), "url", "full").select(
+        "url", F.coalesce("out_degree", zero).alias("out_degree"), F.coalesce("in_degree", zero).alias("in_degree")
+    )
 
 
 @F.pandas_udf(StringType())

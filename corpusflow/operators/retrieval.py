@@ -25,7 +25,9 @@ RANK_DIGITS = 12
 
 def cosine_similarity(a: Column, b: Column) -> Column:
     """Cosine as a double; null for a zero vector."""
-    dot = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    dot = F.aggregate(
+        F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x
+    )
     return F.try_divide(dot, norm(a) * norm(b))
 
 
@@ -66,7 +68,10 @@ def _by_id(column: pa.Array) -> np.ndarray:
     return np.argsort(np.array(column.to_pylist(), object if pa.types.is_string(column.type) else None), kind="stable")
 
 
-def _scored(ids: pa.Array, vectors: np.ndarray, chunk: pa.Array, unit: np.ndarray, k: int, threshold: float | None, digits: int, floors: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _scored(
+    ids: pa.Array, vectors: np.ndarray, chunk: pa.Array, unit: np.ndarray, k: int, threshold: float | None, digits: int,
+    floors: np.ndarray
+) -> Iterator[pa.RecordBatch]:
     """query_id, chunk_id and similarity of each query's k best chunks of a batch, tile by tile.
     floors: each query's k-th score so far (columns are its k best), which batches raise."""
     order = _by_id(chunk)
@@ -87,10 +92,15 @@ def _scored(ids: pa.Array, vectors: np.ndarray, chunk: pa.Array, unit: np.ndarra
             place = np.arange(len(row)) - np.searchsorted(row, row)
             both[row, k + place] = found
             floors[i : i + step] = np.sort(both, axis=1)[:, k:]
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(row + i)), chunk.take(pa.array(column)), pa.array(found)], names=["query_id", "chunk_id", "similarity"])
+            yield pa.RecordBatch.from_arrays(
+                [ids.take(pa.array(row + i)), chunk.take(pa.array(column)), pa.array(found)],
+                names=["query_id", "chunk_id", "similarity"]
+            )
 
 
-def retrieve_topk(queries: DataFrame, index: DataFrame, k: int, threshold: float | None = None, digits: int = 6) -> DataFrame:
+def retrieve_topk(
+    queries: DataFrame, index: DataFrame, k: int, threshold: float | None = None, digits: int = 6
+) -> DataFrame:
     """query_id, chunk_id, similarity and initial_rank of the k nearest chunks of each query.
 
     queries: query_id, embedding; index: chunk_id, embedding. Ordered by similarity descending, ties
@@ -114,14 +124,18 @@ def retrieve_topk(queries: DataFrame, index: DataFrame, k: int, threshold: float
         block = block.toArrow()
         if not block.num_rows:
             return spark.createDataFrame([], schema)
-        sent = spark.sparkContext.broadcast((block.column("query_id").combine_chunks(), _unit(block.column("embedding"))))
+        sent = spark.sparkContext.broadcast(
+            (block.column("query_id").combine_chunks(), _unit(block.column("embedding")))
+        )
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, vectors = sent.value
             floors = np.full((len(ids), k), -np.inf)
             for batch in batches:
                 if batch.num_rows:
-                    yield from _scored(ids, vectors, batch.column(0), _unit(batch.column(1)), k, threshold, digits, floors)
+                    yield from _scored(
+                        ids, vectors, batch.column(0), _unit(batch.column(1)), k, threshold, digits, floors
+                    )
 
         found = rows.mapInArrow(run, schema)
         if passes == 1:
@@ -131,7 +145,12 @@ def retrieve_topk(queries: DataFrame, index: DataFrame, k: int, threshold: float
         return found
 
     dealt = F.pmod(F.xxhash64("query_id"), F.lit(passes))
-    return _rank(reduce(DataFrame.unionByName, [one(queries if passes == 1 else queries.where(dealt == i)) for i in range(passes)]), k, digits)
+    return _rank(
+        reduce(
+            DataFrame.unionByName, [one(queries if passes == 1 else queries.where(dealt == i)) for i in range(passes)]
+        ),
+        k, digits
+    )
 
 
 def join_chunk_metadata(ranked: DataFrame, chunks: DataFrame, documents: DataFrame) -> DataFrame:
@@ -139,17 +158,27 @@ def join_chunk_metadata(ranked: DataFrame, chunks: DataFrame, documents: DataFra
     return ranked.join(chunks.hint("merge"), "chunk_id").join(documents.hint("merge"), "document_id")
 
 
-def semantic_search(questions: DataFrame, embed_fn: Callable[[DataFrame], DataFrame], index: DataFrame, k: int, threshold: float | None = None) -> DataFrame:
+def semantic_search(
+    questions: DataFrame, embed_fn: Callable[[DataFrame], DataFrame], index: DataFrame, k: int,
+    threshold: float | None = None
+) -> DataFrame:
     """Embeds questions (question_id, text) by embed_fn, which adds `embedding`, then retrieves."""
-    return retrieve_topk(embed_fn(questions).select(F.col("question_id").alias("query_id"), "embedding"), index, k, threshold)
+    return retrieve_topk(
+        embed_fn(questions).select(F.col("question_id").alias("query_id"), "embedding"), index, k, threshold
+    )
 
 
-def train_lists(index: DataFrame, sample: int = 20_000, rows_per_list: int = 8, most: int = 4096, seed: int = 7) -> np.ndarray:
+def train_lists(
+    index: DataFrame, sample: int = 20_000, rows_per_list: int = 8, most: int = 4096, seed: int = 7
+) -> np.ndarray:
     """Centres of inverted lists, by k-means on a bounded sample of unit vectors: the `sample` rows
     with the least id hashes. A list for each rows_per_list rows of the sample, `most` at most."""
     known = index.where("embedding is not null").withColumn("n", norm(F.col("embedding"))).where("n > 0")
     chosen = known.orderBy(F.xxhash64("chunk_id")).limit(sample)
-    unit = materialize(chosen.select(array_to_vector(F.transform("embedding", lambda x: x / F.col("n"))).alias("features")), "ann-sample")
+    unit = materialize(
+        chosen.select(array_to_vector(F.transform("embedding", lambda x: x / F.col("n"))).alias("features")),
+        "ann-sample"
+    )
     lists = min(most, max(1, unit.count() // rows_per_list))
     if unit.isEmpty():
         return np.zeros((0, 0))
@@ -170,12 +199,20 @@ def _to_lists(rows: DataFrame, key: str, centres: np.ndarray, probes: int) -> Da
                 continue
             near = np.argsort(-(unit[good] @ centres.T), axis=1, kind="stable")[:, :probes]
             at = pa.array(np.repeat(good, near.shape[1]))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(near.ravel().astype(np.int32))], names=[key, "embedding", "list"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(at), batch.column(1).take(at), pa.array(near.ravel().astype(np.int32))],
+                names=[key, "embedding", "list"]
+            )
 
-    return rows.where("embedding is not null").select(key, "embedding").mapInArrow(run, f"{key} {kind[key]}, embedding {kind['embedding']}, list int")
+    return rows.where("embedding is not null").select(key, "embedding").mapInArrow(
+        run, f"{key} {kind[key]}, embedding {kind['embedding']}, list int"
+    )
 
 
-def retrieve_approx(queries: DataFrame, index: DataFrame, k: int, probe_share: float = 0.4, part_rows: int = 8192, digits: int = 6, centres: np.ndarray | None = None) -> DataFrame:
+def retrieve_approx(
+    queries: DataFrame, index: DataFrame, k: int, probe_share: float = 0.4, part_rows: int = 8192, digits: int = 6,
+    centres: np.ndarray | None = None
+) -> DataFrame:
     """Approximate top k by inverted lists: every index row is in the list of its nearest centre, and
     a query is compared with the rows of its nearest lists, exactly: a share of all lists, which
     the test vectors, being spread evenly, need to be as large as this for a recall of 0.9.
@@ -192,15 +229,25 @@ def retrieve_approx(queries: DataFrame, index: DataFrame, k: int, probe_share: f
     parts = {r.list: r.parts for r in sizes.collect()}  # a row a list
     cut = F.create_map(*(x for n, p in parts.items() for x in (F.lit(n), F.lit(int(p)))))
     rows = rows.withColumn("part", F.pmod(F.xxhash64("chunk_id"), cut[F.col("list")]).cast("int"))
-    asked = _to_lists(queries, "query_id", centres, max(1, round(probe_share * len(centres)))).withColumn("parts", F.try_element_at(cut, F.col("list"))).where("parts is not null")
+    asked = _to_lists(
+        queries, "query_id", centres, max(1, round(probe_share * len(centres)))
+    ).withColumn("parts", F.try_element_at(cut, F.col("list"))).where("parts is not null")
     asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         ids = left.column("query_id").combine_chunks()
         found: list[pa.RecordBatch] = []
         if left.num_rows and right.num_rows:
-            found = list(_scored(ids, _unit(left.column("embedding")), right.column("chunk_id").combine_chunks(), _unit(right.column("embedding")), k, None, digits, np.full((len(ids), k), -np.inf)))
-        names = {"query_id": left.schema.field("query_id").type, "chunk_id": right.schema.field("chunk_id").type, "similarity": pa.float64()}
+            found = list(
+                _scored(
+                    ids, _unit(left.column("embedding")), right.column("chunk_id").combine_chunks(),
+                    _unit(right.column("embedding")), k, None, digits, np.full((len(ids), k), -np.inf)
+                )
+            )
+        names = {
+            "query_id": left.schema.field("query_id").type, "chunk_id": right.schema.field("chunk_id").type,
+            "similarity": pa.float64()
+        }
         return pa.Table.from_batches(found, pa.schema(names.items()))
 
     found = asked.groupBy("list", "part").cogroup(rows.groupBy("list", "part")).applyInArrow(run, schema)
@@ -210,11 +257,16 @@ def retrieve_approx(queries: DataFrame, index: DataFrame, k: int, probe_share: f
 def ann_recall(approx: DataFrame, exact: DataFrame) -> DataFrame:
     """query_id and recall: the share of the exact chunks that the approximate result has."""
     met = approx.select("query_id", "chunk_id", F.lit(1).alias("met"))
-    return exact.join(met.hint("merge"), ["query_id", "chunk_id"], "left").groupBy("query_id").agg(F.round(F.avg(F.coalesce("met", F.lit(0))), 6).alias("recall"))
+    return exact.join(met.hint("merge"), ["query_id", "chunk_id"], "left").groupBy("query_id").agg(
+        F.round(F.avg(F.coalesce("met", F.lit(0))), 6).alias("recall")
+    )
 
 
 def threshold_sweep(candidates: DataFrame, thresholds: list[float]) -> DataFrame:
     """threshold, kept rows, and questions answered or refused, for each threshold."""
     each = candidates.select("query_id", "similarity", F.explode(F.array(*map(F.lit, thresholds))).alias("threshold"))
     per = each.groupBy("threshold", "query_id").agg(F.count_if(F.col("similarity") >= F.col("threshold")).alias("n"))
-    return per.groupBy("threshold").agg(F.sum("n").alias("kept"), F.count_if(F.col("n") > 0).alias("answered"), F.count_if(F.col("n") == 0).alias("refused"))
+    return per.groupBy("threshold").agg(
+        F.sum("n").alias("kept"), F.count_if(F.col("n") > 0).alias("answered"),
+        F.count_if(F.col("n") == 0).alias("refused")
+    )

@@ -9,33 +9,45 @@ from pyspark.sql import functions as F
 def fan_out_models(evidence: DataFrame, gated: DataFrame, models: list[str]) -> DataFrame:
     """The same evidence once for each model (a short list, exploded); refusals get none."""
     open_questions = gated.where("status = 'Eligible'").select("question_id")
-    return evidence.join(open_questions.hint("merge"), "question_id", "left_semi").withColumn("model", F.explode(F.array(*map(F.lit, models))))
+    return evidence.join(
+        open_questions.hint("merge"), "question_id", "left_semi"
+    ).withColumn("model", F.explode(F.array(*map(F.lit, models))))
 
 
 def model_outcomes(runs: DataFrame) -> DataFrame:
     """runs (run_id, model, status, seconds) with a status for failed ones and no negative time."""
-    return runs.select("run_id", "model", F.coalesce("status", F.lit("Failed")).alias("status"), F.greatest(F.lit(0.0), F.coalesce("seconds", F.lit(0.0))).alias("seconds"))
+    return runs.select(
+        "run_id", "model", F.coalesce("status", F.lit("Failed")).alias("status"),
+        F.greatest(F.lit(0.0), F.coalesce("seconds", F.lit(0.0))).alias("seconds")
+    )
 
 
 def faster_model(outcomes: DataFrame) -> DataFrame:
     """run_id, faster and ratio (slower / faster time) of runs with exactly two successes; the
     ratio is null if a time is 0. Equal times go to the first model by name."""
     good = outcomes.where("status = 'Answered'")
-    sums = good.groupBy("run_id").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("seconds", "model")).alias("best"), F.max("seconds").alias("worst"))
+    sums = good.groupBy("run_id").agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.struct("seconds", "model")).alias("best"), F.max("seconds").alias("worst")
+    )
     ratio = F.when(F.col("best.seconds") > 0, F.round(F.try_divide("worst", F.col("best.seconds")), 6))
     return sums.where("n = 2").select("run_id", F.col("best.model").alias("faster"), ratio.alias("ratio"))
 
 
 def trace_rollup(results: DataFrame) -> DataFrame:
     """Per trace and stage: rows, distinct sources, best and worst similarity; no content."""
-    return results.groupBy("trace_id", "stage").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("source").alias("sources"), F.max("similarity").alias("best"), F.min("similarity").alias("worst"))
+    return results.groupBy("trace_id", "stage").agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("source").alias("sources"), F.max("similarity").alias("best"),
+        F.min("similarity").alias("worst")
+    )
 
 
 def similarity_by_rank(results: DataFrame, most: int = 20) -> DataFrame:
     """trace_id, stage, position (from 1) and similarity of each stage's `most` best results; equal
     ones by source. The cap is the report's own."""
     best = Window.partitionBy("trace_id", "stage").orderBy(F.desc("similarity"), "source")
-    ranked = results.select("trace_id", "stage", "source", "similarity").withColumn("position", F.row_number().over(best))
+    ranked = results.select(
+        "trace_id", "stage", "source", "similarity"
+    ).withColumn("position", F.row_number().over(best))
     return ranked.where(F.col("position") <= most).select("trace_id", "stage", "position", "similarity")
 
 
@@ -54,4 +66,7 @@ def sample_traces(traces: DataFrame, rate: float, parts: int = 10_000) -> DataFr
 
 def latest_run(runs: DataFrame) -> DataFrame:
     """The last completed measurement of each run."""
-    return runs.groupBy("run_id").agg(F.max_by(F.struct("model", "seconds", "status"), F.struct("completed_at", "event_id")).alias("r"), F.max("completed_at").alias("completed_at")).select("run_id", "r.*", "completed_at")
+    return runs.groupBy("run_id").agg(
+        F.max_by(F.struct("model", "seconds", "status"), F.struct("completed_at", "event_id")).alias("r"),
+        F.max("completed_at").alias("completed_at")
+    ).select("run_id", "r.*", "completed_at")

@@ -18,7 +18,9 @@ WORDS = "list_transform(regexp_extract_all(text, '[A-Za-z]+'), lambda w: lower(w
 LANGUAGE = rf"CASE WHEN regexp_matches(text, '{T.UNSUPPORTED_SCRIPT}') THEN NULL WHEN regexp_matches(text, '{T.CYRILLIC}') THEN 'Russian' WHEN list_has_any({WORDS}, {T.ENGLISH_INDICATORS}) OR regexp_matches(text, '{T.IDENTIFIER}') THEN 'English' END"
 
 
-@query("SELECT conv_id, turn, CASE WHEN text IS NULL OR NOT regexp_matches(text, '\\S') THEN 'Blank' WHEN length(text) > 2000 THEN 'TooLong' END AS rejected FROM conversations")
+@query(
+    "SELECT conv_id, turn, CASE WHEN text IS NULL OR NOT regexp_matches(text, '\\S') THEN 'Blank' WHEN length(text) > 2000 THEN 'TooLong' END AS rejected FROM conversations"
+)
 def validate_questions(spark: Spark, sf: str) -> DataFrame:
     return answers.validate_questions(table(spark, sf, "conversations")).select("conv_id", "turn", "rejected")
 
@@ -28,7 +30,9 @@ def detect_language(spark: Spark, sf: str) -> DataFrame:
     return answers.with_language(table(spark, sf, "documents")).select("doc_id", "language")
 
 
-@query(f"WITH d AS (SELECT source, {LANGUAGE} AS l FROM documents) SELECT source, count(*) FILTER (l = 'Russian') AS n_ru, count(*) FILTER (l = 'English') AS n_en, count(*) FILTER (l IS NULL) AS n_null FROM d GROUP BY 1")
+@query(
+    f"WITH d AS (SELECT source, {LANGUAGE} AS l FROM documents) SELECT source, count(*) FILTER (l = 'Russian') AS n_ru, count(*) FILTER (l = 'English') AS n_en, count(*) FILTER (l IS NULL) AS n_null FROM d GROUP BY 1"
+)
 def language_profile(spark: Spark, sf: str) -> DataFrame:
     return answers.language_profile(table(spark, sf, "documents"))
 
@@ -43,8 +47,15 @@ def _questions(spark: Spark, sf: str) -> DataFrame:
 def _candidates(spark: Spark, sf: str) -> DataFrame:
     """The ten nearest other vectors of each question, with their documents."""
     near = _top(spark, sf, 11).where("chunk_id <> query_id").withColumnRenamed("query_id", "question_id").drop("initial_rank")
-    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("title"), F.col("lang").alias("section"), F.concat(F.lit("https://corpus.example/"), "doc_id").alias("url"), F.col("text").alias("content"), F.col("source").alias("document_id"))
-    return near.join(docs.hint("merge"), "chunk_id").withColumn("initial_rank", F.expr("cast(row_number() over (partition by question_id order by similarity desc, chunk_id) as int)"))
+    docs = table(spark, sf, "documents").select(
+        F.col("doc_id").alias("chunk_id"), F.col("source").alias("title"), F.col("lang").alias("section"),
+        F.concat(F.lit("https://corpus.example/"), "doc_id").alias("url"), F.col("text").alias("content"),
+        F.col("source").alias("document_id")
+    )
+    return near.join(docs.hint("merge"), "chunk_id").withColumn(
+        "initial_rank",
+        F.expr("cast(row_number() over (partition by question_id order by similarity desc, chunk_id) as int)")
+    )
 
 
 CANDIDATES = f"{top_sql(11)}, questions AS (SELECT doc_id AS question_id, text, {LANGUAGE} AS language FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings WHERE vec_id % 100 = 0)), candidates AS (SELECT query_id AS question_id, chunk_id, similarity, source AS document_id, lang AS section, text AS content, 'https://corpus.example/' || doc_id AS url, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, chunk_id) AS initial_rank FROM top JOIN documents ON doc_id = chunk_id WHERE chunk_id <> query_id)"
@@ -62,12 +73,18 @@ def gate_questions(spark: Spark, sf: str) -> DataFrame:
     return _gated(spark, sf).select("question_id", "language", "best", "status")
 
 
-@query(f"WITH {GATED} SELECT question_id, chunk_id, similarity FROM candidates JOIN gated USING (question_id) WHERE status = 'Eligible' AND similarity >= {HIGH}")
+@query(
+    f"WITH {GATED} SELECT question_id, chunk_id, similarity FROM candidates JOIN gated USING (question_id) WHERE status = 'Eligible' AND similarity >= {HIGH}"
+)
 def eligible_candidates(spark: Spark, sf: str) -> DataFrame:
-    return answers.eligible_candidates(_candidates(spark, sf), _gated(spark, sf), HIGH).select("question_id", "chunk_id", "similarity")
+    return answers.eligible_candidates(
+        _candidates(spark, sf), _gated(spark, sf), HIGH
+    ).select("question_id", "chunk_id", "similarity")
 
 
-@query(rf"WITH {CANDIDATES}, a AS (SELECT * FROM candidates WHERE similarity >= 0.1 AND len(regexp_extract_all(content, '\S+')) >= 20 QUALIFY row_number() OVER (PARTITION BY question_id, sha256(content) ORDER BY similarity DESC, chunk_id) = 1) SELECT question_id, chunk_id, document_id FROM a QUALIFY row_number() OVER (PARTITION BY question_id, document_id ORDER BY similarity DESC, chunk_id) <= 1")
+@query(
+    rf"WITH {CANDIDATES}, a AS (SELECT * FROM candidates WHERE similarity >= 0.1 AND len(regexp_extract_all(content, '\S+')) >= 20 QUALIFY row_number() OVER (PARTITION BY question_id, sha256(content) ORDER BY similarity DESC, chunk_id) = 1) SELECT question_id, chunk_id, document_id FROM a QUALIFY row_number() OVER (PARTITION BY question_id, document_id ORDER BY similarity DESC, chunk_id) <= 1"
+)
 def context_filter(spark: Spark, sf: str) -> DataFrame:
     return answers.context_filter(_candidates(spark, sf), 0.1, 1, 20).select("question_id", "chunk_id", "document_id")
 
@@ -86,7 +103,9 @@ def score_lexical(spark: Spark, sf: str) -> DataFrame:
 def _reranked(spark: Spark, sf: str) -> DataFrame:
     """Candidates in reverse order, as a model might have answered."""
     found = _candidates(spark, sf)
-    order = found.groupBy("question_id").agg(F.sort_array(F.collect_list("initial_rank"), asc=False).alias("permutation"))
+    order = found.groupBy("question_id").agg(
+        F.sort_array(F.collect_list("initial_rank"), asc=False).alias("permutation")
+    )
     return answers.apply_ranking(found, order)
 
 
@@ -110,13 +129,20 @@ def top_evidence(spark: Spark, sf: str) -> DataFrame:
 
 def _prompt_sql(cte: str, rules: str, tell: str, rank: str, fields: dict[str, str], tail: str) -> str:
     """Prompts by string_agg; fields: name to column."""
-    lines = " || ".join(f"chr(10) || '{name}: ' || to_json(coalesce({column}, ''))::VARCHAR" for name, column in fields.items())
+    lines = " || ".join(
+        f"chr(10) || '{name}: ' || to_json(coalesce({column}, ''))::VARCHAR" for name, column in fields.items()
+    )
     return f"""WITH {cte}, sources AS (SELECT question_id, string_agg('SOURCE ' || n || {lines}, chr(10) || chr(10) ORDER BY n) AS listed, count(*)::INTEGER AS source_count
   FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY {rank}) AS n FROM picked) GROUP BY 1)
 SELECT question_id, '{rules}' {tell} AS system, 'Question: ' || to_json(text)::VARCHAR || chr(10) || chr(10) || listed {tail} AS "user", source_count FROM questions JOIN sources USING (question_id)"""
 
 
-@query(_prompt_sql(f"{CANDIDATES}, picked AS (SELECT * FROM candidates)", answers.RANK_RULES, "", "initial_rank", {"title": "document_id", "section": "section", "text": "content"}, ""))
+@query(
+    _prompt_sql(
+        f"{CANDIDATES}, picked AS (SELECT * FROM candidates)", answers.RANK_RULES, "", "initial_rank",
+        {"title": "document_id", "section": "section", "text": "content"}, ""
+    )
+)
 def build_rerank_prompt(spark: Spark, sf: str) -> DataFrame:
     return answers.build_rerank_prompt(_questions(spark, sf), _candidates(spark, sf))
 
@@ -125,7 +151,12 @@ TELL = "|| CASE language WHEN 'Russian' THEN chr(10) || 'Answer strictly in Russ
 AGAIN = "|| chr(10) || chr(10) || 'The question again: ' || to_json(text)::VARCHAR"
 
 
-@query(_prompt_sql(f"{RERANKED}, picked AS (SELECT * FROM reranked WHERE final_rank <= 3)", answers.ANSWER_RULES, TELL, "final_rank", {"title": "document_id", "section": "section", "url": "url", "text": "content"}, AGAIN))
+@query(
+    _prompt_sql(
+        f"{RERANKED}, picked AS (SELECT * FROM reranked WHERE final_rank <= 3)", answers.ANSWER_RULES, TELL,
+        "final_rank", {"title": "document_id", "section": "section", "url": "url", "text": "content"}, AGAIN
+    )
+)
 def build_answer_prompt(spark: Spark, sf: str) -> DataFrame:
     return answers.build_answer_prompt(_questions(spark, sf), answers.top_evidence(_reranked(spark, sf)))
 
@@ -157,88 +188,131 @@ ANSWER_CASES = {
 
 def _pick(values: list) -> str:
     """SQL for the value of a turn's case."""
-    return "CASE length(text) % " + str(len(values)) + "".join(f" WHEN {i} THEN '{v}'" for i, v in enumerate(values) if v is not None) + " END"
+    return "CASE length(text) % " + str(len(values)) + "".join(
+        f" WHEN {i} THEN '{v}'" for i, v in enumerate(values) if v is not None
+    ) + " END"
 
 
 def _responses(spark: Spark, sf: str, cases: dict) -> DataFrame:
     rows = table(spark, sf, "conversations")
-    return rows.select(F.concat("conv_id", F.lit("-"), "turn").alias("question_id"), F.lit(1).alias("attempt"), F.lit(3).alias("source_count"), "text", _cases(list(cases)).alias("content"))
+    return rows.select(
+        F.concat("conv_id", F.lit("-"), "turn").alias("question_id"), F.lit(1).alias("attempt"),
+        F.lit(3).alias("source_count"), "text", _cases(list(cases)).alias("content")
+    )
 
 
-@query(f"SELECT conv_id || '-' || turn AS question_id, {_pick(list(RANK_CASES.values()))} AS reason, {_pick(['2,1,3', *[None] * 7])} AS permutation FROM conversations")
+@query(
+    f"SELECT conv_id || '-' || turn AS question_id, {_pick(list(RANK_CASES.values()))} AS reason, {_pick(['2,1,3', *[None] * 7])} AS permutation FROM conversations"
+)
 def parse_rank_response(spark: Spark, sf: str) -> DataFrame:
     found = answers.parse_rank_response(_responses(spark, sf, RANK_CASES))
     return found.select("question_id", "reason", F.array_join("permutation", ",").alias("permutation"))
 
 
-@query(f"SELECT conv_id || '-' || turn AS question_id, {_pick(list(ANSWER_CASES.values()))} AS reason, {_pick(['A full answer.', '', 'Yes.', *[None] * 9])} AS answer, {_pick(['2,1', '', '1', *[None] * 9])} AS cited FROM conversations")
+@query(
+    f"SELECT conv_id || '-' || turn AS question_id, {_pick(list(ANSWER_CASES.values()))} AS reason, {_pick(['A full answer.', '', 'Yes.', *[None] * 9])} AS answer, {_pick(['2,1', '', '1', *[None] * 9])} AS cited FROM conversations"
+)
 def parse_answer_response(spark: Spark, sf: str) -> DataFrame:
     found = answers.parse_answer_response(_responses(spark, sf, ANSWER_CASES))
     return found.select("question_id", "reason", "answer", F.array_join("cited", ",").alias("cited"))
 
 
-@query(f"SELECT conv_id || '-' || turn AS question_id, {_pick([None, None, 'uninformative', 'malformed', *[None] * 8])} AS why FROM conversations WHERE length(text) % 12 IN (2, 3)")
+@query(
+    f"SELECT conv_id || '-' || turn AS question_id, {_pick([None, None, 'uninformative', 'malformed', *[None] * 8])} AS why FROM conversations WHERE length(text) % 12 IN (2, 3)"
+)
 def needs_retry(spark: Spark, sf: str) -> DataFrame:
     return answers.needs_retry(answers.parse_answer_response(_responses(spark, sf, ANSWER_CASES)))
 
 
-@query(f"SELECT conv_id || '-' || turn AS question_id, 1 AS attempt, {_pick([None, None, 'NonSubstantiveAnswer', *list(ANSWER_CASES.values())[3:]])} AS reason FROM conversations")
+@query(
+    f"SELECT conv_id || '-' || turn AS question_id, 1 AS attempt, {_pick([None, None, 'NonSubstantiveAnswer', *list(ANSWER_CASES.values())[3:]])} AS reason FROM conversations"
+)
 def final_responses(spark: Spark, sf: str) -> DataFrame:
-    return answers.final_responses(answers.parse_answer_response(_responses(spark, sf, ANSWER_CASES))).select("question_id", "attempt", "reason")
+    return answers.final_responses(
+        answers.parse_answer_response(_responses(spark, sf, ANSWER_CASES))
+    ).select("question_id", "attempt", "reason")
 
 
-@query("SELECT conv_id, turn, regexp_matches(text, '(?i)^\\s*(?:(?:source\\s*#?\\s*)?\\d+|(?:source\\s*)?\\[\\d+\\])\\s*[.!?]?\\s*$') OR regexp_matches(text, '(?i)^\\s*(?:да|нет|yes|no)\\s*[.!?]?\\s*$') AS uninformative FROM conversations")
+@query(
+    "SELECT conv_id, turn, regexp_matches(text, '(?i)^\\s*(?:(?:source\\s*#?\\s*)?\\d+|(?:source\\s*)?\\[\\d+\\])\\s*[.!?]?\\s*$') OR regexp_matches(text, '(?i)^\\s*(?:да|нет|yes|no)\\s*[.!?]?\\s*$') AS uninformative FROM conversations"
+)
 def uninformative(spark: Spark, sf: str) -> DataFrame:
-    return table(spark, sf, "conversations").select("conv_id", "turn", T.uninformative(F.col("text")).alias("uninformative"))
+    return table(spark, sf, "conversations").select(
+        "conv_id", "turn", T.uninformative(F.col("text")).alias("uninformative")
+    )
 
 
 def _answered(spark: Spark, sf: str) -> DataFrame:
     """Every question answered from the second and first evidence."""
-    rows = _questions(spark, sf).select("question_id", F.lit(None).cast("string").alias("reason"), F.lit(True).alias("sufficient"), F.lit("An answer.").alias("answer"), F.array(F.lit(2), F.lit(1)).alias("cited"))
+    rows = _questions(spark, sf).select(
+        "question_id", F.lit(None).cast("string").alias("reason"), F.lit(True).alias("sufficient"),
+        F.lit("An answer.").alias("answer"), F.array(F.lit(2), F.lit(1)).alias("cited")
+    )
     return answers.attach_citations(rows, answers.top_evidence(_reranked(spark, sf)))
 
 
-@query(f"WITH {RERANKED} SELECT q.question_id, string_agg(r.url, ' ' ORDER BY final_rank DESC) AS urls FROM questions q LEFT JOIN reranked r ON r.question_id = q.question_id AND final_rank <= 2 GROUP BY 1")
+@query(
+    f"WITH {RERANKED} SELECT q.question_id, string_agg(r.url, ' ' ORDER BY final_rank DESC) AS urls FROM questions q LEFT JOIN reranked r ON r.question_id = q.question_id AND final_rank <= 2 GROUP BY 1"
+)
 def attach_citations(spark: Spark, sf: str) -> DataFrame:
-    return _answered(spark, sf).select("question_id", F.array_join(F.transform("citations", lambda c: c["url"]), " ").alias("urls"))
+    return _answered(spark, sf).select(
+        "question_id", F.array_join(F.transform("citations", lambda c: c["url"]), " ").alias("urls")
+    )
 
 
 REFUSALS = answers.Texts()
 
 
-@query(f"WITH {GATED} SELECT question_id, CASE status WHEN 'Eligible' THEN 'Answered' ELSE status END AS status, language, CASE status WHEN 'Eligible' THEN 'An answer.' WHEN 'OutOfDomain' THEN CASE language WHEN 'Russian' THEN '{REFUSALS.out_of_domain_ru}' ELSE '{REFUSALS.out_of_domain_en}' END WHEN 'InsufficientEvidence' THEN CASE language WHEN 'Russian' THEN '{REFUSALS.insufficient_ru}' ELSE '{REFUSALS.insufficient_en}' END END AS text FROM gated")
+@query(
+    f"WITH {GATED} SELECT question_id, CASE status WHEN 'Eligible' THEN 'Answered' ELSE status END AS status, language, CASE status WHEN 'Eligible' THEN 'An answer.' WHEN 'OutOfDomain' THEN CASE language WHEN 'Russian' THEN '{REFUSALS.out_of_domain_ru}' ELSE '{REFUSALS.out_of_domain_en}' END WHEN 'InsufficientEvidence' THEN CASE language WHEN 'Russian' THEN '{REFUSALS.insufficient_ru}' ELSE '{REFUSALS.insufficient_en}' END END AS text FROM gated"
+)
 def finalize_answers(spark: Spark, sf: str) -> DataFrame:
     return answers.finalize_answers(_gated(spark, sf), _answered(spark, sf)).drop("citations")
 
 
-@query("SELECT doc_id, CASE WHEN length(t) > 512 THEN substr(t, 1, 512) || '…' ELSE t END AS text FROM (SELECT doc_id, translate(replace(text, source, '[redacted]'), chr(13) || chr(10), '  ') AS t FROM documents)")
+@query(
+    "SELECT doc_id, CASE WHEN length(t) > 512 THEN substr(t, 1, 512) || '…' ELSE t END AS text FROM (SELECT doc_id, translate(replace(text, source, '[redacted]'), chr(13) || chr(10), '  ') AS t FROM documents)"
+)
 def redact(spark: Spark, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", T.redact(F.col("text"), [F.col("source")]).alias("text"))
 
 
-@query(f"WITH {GATED} SELECT question_id, chunk_id, unnest(['model-a', 'model-b']) AS model FROM candidates JOIN gated USING (question_id) WHERE status = 'Eligible'")
+@query(
+    f"WITH {GATED} SELECT question_id, chunk_id, unnest(['model-a', 'model-b']) AS model FROM candidates JOIN gated USING (question_id) WHERE status = 'Eligible'"
+)
 def fan_out_models(spark: Spark, sf: str) -> DataFrame:
-    return traces.fan_out_models(_candidates(spark, sf), _gated(spark, sf), ["model-a", "model-b"]).select("question_id", "chunk_id", "model")
+    return traces.fan_out_models(
+        _candidates(spark, sf), _gated(spark, sf), ["model-a", "model-b"]
+    ).select("question_id", "chunk_id", "model")
 
 
 def _runs(spark: Spark, sf: str) -> DataFrame:
     """Events as model runs: a user's day is the run, the event type the model, the value its time;
     errors have no status."""
     status = F.when(F.col("event_type") != "error", "Answered")
-    return table(spark, sf, "events").select("event_id", (F.col("user_id") * 100 + F.dayofmonth("ts")).alias("run_id"), F.col("event_type").alias("model"), status.alias("status"), (F.col("value") - 10).alias("seconds"), F.col("ts").alias("completed_at"))
+    return table(spark, sf, "events").select(
+        "event_id", (F.col("user_id") * 100 + F.dayofmonth("ts")).alias("run_id"), F.col("event_type").alias("model"),
+        status.alias("status"), (F.col("value") - 10).alias("seconds"), F.col("ts").alias("completed_at")
+    )
 
 
-@query("SELECT user_id * 100 + day(ts) AS run_id, event_type AS model, CASE WHEN event_type <> 'error' THEN 'Answered' ELSE 'Failed' END AS status, greatest(0, coalesce(value - 10, 0)) AS seconds FROM events")
+@query(
+    "SELECT user_id * 100 + day(ts) AS run_id, event_type AS model, CASE WHEN event_type <> 'error' THEN 'Answered' ELSE 'Failed' END AS status, greatest(0, coalesce(value - 10, 0)) AS seconds FROM events"
+)
 def model_outcomes(spark: Spark, sf: str) -> DataFrame:
     return traces.model_outcomes(_runs(spark, sf))
 
 
-@query("WITH o AS (SELECT user_id * 100 + day(ts) AS run_id, event_type AS model, greatest(0, coalesce(value - 10, 0)) AS seconds FROM events WHERE event_type <> 'error'), s AS (SELECT run_id, count(*) AS n, min({'s': seconds, 'm': model}) AS best, max(seconds) AS worst FROM o GROUP BY 1) SELECT run_id, best.m AS faster, CASE WHEN best.s > 0 THEN round(worst / best.s, 6) END AS ratio FROM s WHERE n = 2")
+@query(
+    "WITH o AS (SELECT user_id * 100 + day(ts) AS run_id, event_type AS model, greatest(0, coalesce(value - 10, 0)) AS seconds FROM events WHERE event_type <> 'error'), s AS (SELECT run_id, count(*) AS n, min({'s': seconds, 'm': model}) AS best, max(seconds) AS worst FROM o GROUP BY 1) SELECT run_id, best.m AS faster, CASE WHEN best.s > 0 THEN round(worst / best.s, 6) END AS ratio FROM s WHERE n = 2"
+)
 def faster_model(spark: Spark, sf: str) -> DataFrame:
     return traces.faster_model(traces.model_outcomes(_runs(spark, sf)))
 
 
-@query("SELECT user_id * 100 + day(ts) AS run_id, arg_max(event_type, {'a': ts, 'b': event_id}) AS model, max(ts) AS completed_at FROM events GROUP BY 1")
+@query(
+    "SELECT user_id * 100 + day(ts) AS run_id, arg_max(event_type, {'a': ts, 'b': event_id}) AS model, max(ts) AS completed_at FROM events GROUP BY 1"
+)
 def load_latest_snapshot(spark: Spark, sf: str) -> DataFrame:
     """Runs saved to a snapshot table, then the latest of each."""
     path = scratch_path(spark, "runs")
@@ -248,30 +322,43 @@ def load_latest_snapshot(spark: Spark, sf: str) -> DataFrame:
 
 def _traces(spark: Spark, sf: str) -> DataFrame:
     rows = table(spark, sf, "events")
-    return rows.select(F.col("user_id").alias("trace_id"), F.col("event_type").alias("stage"), F.get_json_object("props", "$.k").alias("source"), F.col("value").alias("similarity"))
+    return rows.select(
+        F.col("user_id").alias("trace_id"), F.col("event_type").alias("stage"),
+        F.get_json_object("props", "$.k").alias("source"), F.col("value").alias("similarity")
+    )
 
 
-@query("SELECT user_id AS trace_id, event_type AS stage, count(*) AS n, count(DISTINCT json_extract_string(props, '$.k')) AS sources, max(value) AS best, min(value) AS worst FROM events GROUP BY 1, 2")
+@query(
+    "SELECT user_id AS trace_id, event_type AS stage, count(*) AS n, count(DISTINCT json_extract_string(props, '$.k')) AS sources, max(value) AS best, min(value) AS worst FROM events GROUP BY 1, 2"
+)
 def trace_rollup(spark: Spark, sf: str) -> DataFrame:
     return traces.trace_rollup(_traces(spark, sf))
 
 
-@query("SELECT trace_id, stage, position, similarity FROM (SELECT user_id AS trace_id, event_type AS stage, value AS similarity, row_number() OVER (PARTITION BY user_id, event_type ORDER BY value DESC, json_extract_string(props, '$.k')) AS position FROM events) WHERE position <= 20")
+@query(
+    "SELECT trace_id, stage, position, similarity FROM (SELECT user_id AS trace_id, event_type AS stage, value AS similarity, row_number() OVER (PARTITION BY user_id, event_type ORDER BY value DESC, json_extract_string(props, '$.k')) AS position FROM events) WHERE position <= 20"
+)
 def similarity_by_rank(spark: Spark, sf: str) -> DataFrame:
     return traces.similarity_by_rank(_traces(spark, sf))
 
 
-@query("SELECT user_id AS trace_id, count(*) FILTER (event_type = 'click') AS n_click, count(*) FILTER (event_type = 'view') AS n_view, count(*) FILTER (event_type = 'purchase') AS n_purchase, count(*) AS n FROM events GROUP BY 1")
+@query(
+    "SELECT user_id AS trace_id, count(*) FILTER (event_type = 'click') AS n_click, count(*) FILTER (event_type = 'view') AS n_view, count(*) FILTER (event_type = 'purchase') AS n_purchase, count(*) AS n FROM events GROUP BY 1"
+)
 def stage_counts(spark: Spark, sf: str) -> DataFrame:
     return traces.stage_counts(_traces(spark, sf), ["click", "view", "purchase"])
 
 
-@query("SELECT user_id AS trace_id, count(*) AS n FROM events WHERE ('0x' || substr(md5(user_id::VARCHAR), 1, 8))::BIGINT % 10000 < 2500 GROUP BY 1")
+@query(
+    "SELECT user_id AS trace_id, count(*) AS n FROM events WHERE ('0x' || substr(md5(user_id::VARCHAR), 1, 8))::BIGINT % 10000 < 2500 GROUP BY 1"
+)
 def sample_traces(spark: Spark, sf: str) -> DataFrame:
     return traces.sample_traces(_traces(spark, sf), 0.25).groupBy("trace_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH {MANIFEST} SELECT r.document_id, r.content_hash, CASE WHEN m.document_id IS NULL THEN r.document_id || '.html' ELSE m.document_id || '.html' END AS file_name, 'new title' AS title FROM raw r LEFT JOIN manifest m USING (document_id)")
+@query(
+    f"WITH {MANIFEST} SELECT r.document_id, r.content_hash, CASE WHEN m.document_id IS NULL THEN r.document_id || '.html' ELSE m.document_id || '.html' END AS file_name, 'new title' AS title FROM raw r LEFT JOIN manifest m USING (document_id)"
+)
 def stream_ingest_changes(spark: Spark, sf: str) -> DataFrame:
     """The manifest after a stream of two files: the earlier pages, then all of today's."""
     source, root = scratch_path(spark, "stream-in"), scratch_path(spark, "stream-out")
@@ -281,7 +368,9 @@ def stream_ingest_changes(spark: Spark, sf: str) -> DataFrame:
     manifest(spark, sf).select(columns).write.parquet(f"{source}/a")
     for part in "ab":  # one after the other; the second goes on from the first's manifest
         stream = jobs.file_stream(spark, f"{source}/{part}", schema, files=1_000_000)
-        jobs.stream_ingest_changes(stream, f"{root}/manifest", f"{root}/checkpoint-{part}", first_batch=int(part == "b")).awaitTermination()
+        jobs.stream_ingest_changes(
+            stream, f"{root}/manifest", f"{root}/checkpoint-{part}", first_batch=int(part == "b")
+        ).awaitTermination()
     return jobs.read_manifest(spark, f"{root}/manifest").select("document_id", "content_hash", "file_name", "title")
 
 
@@ -291,5 +380,7 @@ def stream_dedup(spark: Spark, sf: str) -> DataFrame:
     out, events = scratch_path(spark, "dedup"), materialize(table(spark, sf, "events"), "events")
     stream = jobs.file_stream(spark, events.inputFiles()[0].rpartition("/")[0], events.schema, files=1_000_000)
     found = jobs.stream_dedup(stream, ["user_id", "event_type"], "ts", "3650 days")
-    found.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-checkpoint").trigger(availableNow=True).start().awaitTermination()
+    found.writeStream.format("parquet").option("path", out).option(
+        "checkpointLocation", f"{out}-checkpoint"
+    ).trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(out).groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))

@@ -32,14 +32,23 @@ def raw_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusflow.operators.ingest import document_identity
 
     pages = document_identity(table(spark, sf_dir, "pages"))
-    return pages.select("document_id", "canonical_url", "content_hash", F.col("html").alias("content"), F.lit("new title").alias("title"), F.to_timestamp(F.lit("2024-02-01 00:00:00")).alias("retrieved_at"))
+    return pages.select(
+        "document_id", "canonical_url", "content_hash", F.col("html").alias("content"),
+        F.lit("new title").alias("title"), F.to_timestamp(F.lit("2024-02-01 00:00:00")).alias("retrieved_at")
+    )
 
 
 def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An earlier manifest: pages over https, of which those with a query had other content."""
     pages = raw_pages(spark, sf_dir).where(F.col("canonical_url").startswith("https://"))
-    old = F.when(F.col("canonical_url").contains("?"), F.sha2(F.concat(F.lit("old"), "content"), 256)).otherwise(F.upper("content_hash"))
-    return pages.select("document_id", "canonical_url", F.lit("old title").alias("title"), old.alias("content_hash"), F.to_timestamp(F.lit("2024-01-01 00:00:00")).alias("retrieved_at"), F.concat(F.lit("f-"), "document_id").alias("file_name"))
+    old = F.when(
+        F.col("canonical_url").contains("?"), F.sha2(F.concat(F.lit("old"), "content"), 256)
+    ).otherwise(F.upper("content_hash"))
+    return pages.select(
+        "document_id", "canonical_url", F.lit("old title").alias("title"), old.alias("content_hash"),
+        F.to_timestamp(F.lit("2024-01-01 00:00:00")).alias("retrieved_at"),
+        F.concat(F.lit("f-"), "document_id").alias("file_name")
+    )
 
 
 RAW = "raw AS (SELECT page_id, url AS canonical_url, html AS content, sha256(url) AS document_id, sha256(html) AS content_hash FROM pages)"
@@ -50,8 +59,13 @@ def processed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as processed ones: document_id, title, version, canonical_url, content, hash."""
     docs = table(spark, sf_dir, "documents")
     name = F.concat(F.lit("doc-"), F.col("doc_id").cast("string"))
-    url = F.concat(F.lit("https://corpus.example/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".html"))
-    return docs.select(name.alias("document_id"), F.col("source").alias("title"), F.lit("1").alias("version"), url.alias("canonical_url"), F.col("text").alias("content"), F.sha2("text", 256).alias("content_hash"))
+    url = F.concat(
+        F.lit("https://corpus.example/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".html")
+    )
+    return docs.select(
+        name.alias("document_id"), F.col("source").alias("title"), F.lit("1").alias("version"),
+        url.alias("canonical_url"), F.col("text").alias("content"), F.sha2("text", 256).alias("content_hash")
+    )
 
 
 TOKENS = r"regexp_extract_all(text, '[^\s\x{00A0}\x{0085}\p{Z}]+')"

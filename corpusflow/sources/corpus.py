@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from corpusflow.operators.integrity import check_artifacts, check_headers
 from corpusflow.sources.scratch import materialize
 
-ARTIFACT_COLUMNS = ["chunk_id", "document_id", "source_url", "document_title", "version", "processed_content_hash", "section", "ordinal", "approximate_token_count", "content"]
+ARTIFACT_COLUMNS = [
+    "chunk_id", "document_id", "source_url", "document_title", "version", "processed_content_hash", "section",
+    "ordinal", "approximate_token_count", "content"
+]
 QUESTION_FILE = "version int, questions array<struct<id:string,language:string,category:string,text:string,expectedStatus:string,requiresMultipleSources:boolean,expectedSourceUrls:array<string>,expectedFacts:array<string>>>"
 
 
@@ -24,7 +27,9 @@ def load_corpus(manifest: DataFrame, raw: DataFrame, strict: bool = False) -> Da
     """Manifest entries with their content and `violation`: MissingContent, HashMismatch (any
     case) or null. In strict mode a violation fails the job."""
     rows = manifest.join(raw.select("document_id", "content").hint("merge"), "document_id", "left")
-    bad = F.when(F.col("content").isNull(), "MissingContent").when(F.lower("content_hash") != F.sha2("content", 256), "HashMismatch")
+    bad = F.when(F.col("content").isNull(), "MissingContent").when(
+        F.lower("content_hash") != F.sha2("content", 256), "HashMismatch"
+    )
     if strict:
         bad = F.when(bad.isNotNull(), F.raise_error(F.concat(bad, F.lit(" "), F.col("document_id")))).cast("string")
     return rows.withColumn("violation", bad)
@@ -32,7 +37,10 @@ def load_corpus(manifest: DataFrame, raw: DataFrame, strict: bool = False) -> Da
 
 def denormalise(documents: DataFrame, chunks: DataFrame) -> DataFrame:
     """Chunk rows of the artifact: each with its document's URL, title, version and hash."""
-    theirs = documents.select("document_id", F.col("canonical_url").alias("source_url"), F.col("title").alias("document_title"), "version", F.col("content_hash").alias("processed_content_hash"))
+    theirs = documents.select(
+        "document_id", F.col("canonical_url").alias("source_url"), F.col("title").alias("document_title"), "version",
+        F.col("content_hash").alias("processed_content_hash")
+    )
     return chunks.join(theirs.hint("merge"), "document_id").select(*ARTIFACT_COLUMNS)
 
 
@@ -68,7 +76,9 @@ def read_artifacts(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame
 
 def load_questions(spark: SparkSession, path: str) -> DataFrame:
     """A question file: one row a question, position from 0."""
-    rows = spark.read.schema(QUESTION_FILE).json(path, multiLine=True).select("version", F.posexplode("questions").alias("position", "q"))
+    rows = spark.read.schema(QUESTION_FILE).json(path, multiLine=True).select(
+        "version", F.posexplode("questions").alias("position", "q")
+    )
     q = lambda name: F.col(f"q.{name}")
     return rows.select(
         "version", q("id").alias("question_id"), "position", q("language").alias("language"), q("category").alias("category"), q("text").alias("text"), q("expectedStatus").alias("expected_status"),

@@ -34,7 +34,10 @@ def pointers(spark: SparkSession, root: str, before: int | None = None) -> dict[
     return {(r.name, r.bucket): r.folder for r in last.collect()}
 
 
-def read(spark: SparkSession, found: dict[tuple[str, int], str | None], name: str, schema: str | None = None, only: list[int] | None = None) -> DataFrame:
+def read(
+    spark: SparkSession, found: dict[tuple[str, int], str | None], name: str, schema: str | None = None,
+    only: list[int] | None = None
+) -> DataFrame:
     """A table (or some of its buckets) by the pointers of one moment; empty if there is none, for
     which its schema must be given."""
     folders = sorted(f for (n, b), f in found.items() if n == name and f and (only is None or b in only))
@@ -43,7 +46,9 @@ def read(spark: SparkSession, found: dict[tuple[str, int], str | None], name: st
     return (spark.read.schema(schema) if schema else spark.read).parquet(*folders)
 
 
-def publish(spark: SparkSession, root: str, version: int, tables: dict[str, DataFrame], touched: dict[str, list[int]]) -> None:
+def publish(
+    spark: SparkSession, root: str, version: int, tables: dict[str, DataFrame], touched: dict[str, list[int]]
+) -> None:
     """Writes the touched buckets of tables (which have a column bucket) and then their pointers.
     A touched bucket without rows is empty from this version on. Versions must grow; one that is
     written again replaces itself."""

@@ -14,7 +14,9 @@ from corpusflow.sources.scratch import materialize
 MANIFEST = "document_id string, canonical_url string, title string, content_hash string, retrieved_at timestamp, file_name string"
 
 
-def read_manifest(spark: SparkSession, root: str, before: int | None = None, only: list[int] | None = None) -> DataFrame:
+def read_manifest(
+    spark: SparkSession, root: str, before: int | None = None, only: list[int] | None = None
+) -> DataFrame:
     """The manifest after the last batch (or the last before a given one), or some of its buckets;
     empty at first."""
     return versions.read(spark, versions.pointers(spark, root, before), "manifest", MANIFEST, only)
@@ -24,7 +26,10 @@ def ingest_batch(incoming: DataFrame, batch: int, root: str) -> None:
     """Writes the changes of one batch, and those buckets of the manifest that have its documents.
     A replayed batch overwrites itself; its pointers are the last write."""
     spark = incoming.sparkSession
-    latest = materialize(last_arrival(incoming, "retrieved_at").withColumn("bucket", versions.bucket_of(F.col("document_id"))), "stream-batch")
+    latest = materialize(
+        last_arrival(incoming, "retrieved_at").withColumn("bucket", versions.bucket_of(F.col("document_id"))),
+        "stream-batch"
+    )
     touched = versions.touched_by(latest)
     manifest, latest = read_manifest(spark, root, batch, touched), latest.drop("bucket")
     classify_changes(manifest, latest).select("document_id", "change").write.mode("overwrite").parquet(f"{root}/changes/batch={batch}")

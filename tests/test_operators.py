@@ -23,7 +23,13 @@ def one(spark, expression, value):
     return spark.createDataFrame([(value,)], "v string").select(expression(F.col("v"))).first()[0]
 
 
-@pytest.mark.parametrize("text,want", [("Как переместить?", "Russian"), ("how do I move it", "English"), ("Transform.Translate", "English"), ("Що це є?", None), ("你好 how", None), ("Bonjour monde", None), ("Γειά the", None)])
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        ("Как переместить?", "Russian"), ("how do I move it", "English"), ("Transform.Translate", "English"),
+        ("Що це є?", None), ("你好 how", None), ("Bonjour monde", None), ("Γειά the", None)
+    ]
+)
 def test_language(spark, text, want):
     assert one(spark, T.detect_language, text) == want
 
@@ -32,20 +38,43 @@ def test_normalize(spark):
     given_text = "One  two\t\n\n\n\n\n```py\nif  x:\t \n\n\n\n\n  y\n```\n\n three  "
     assert one(spark, T.normalize_text, given_text) == "One two\n\n\n```py\nif  x:\n\n\n\n\n  y\n```\n\n three"
     assert one(spark, T.count_tokens, "a b c d") == 4
-    assert one(spark, T.normalize_service_line, " Inherits  from:Behaviour\n/ Implemented in:Core ") == "Inherits from: Behaviour / Implemented in: Core"
-
-
-@pytest.mark.parametrize("answer,want", [("1", True), ("SOURCE 1", True), ("[1]", True), ("Да.", True), ("Нет", True), ("yes", True), ("NO!", True), ("Use Move.", False)])
+    assert one(
+        spark, T.normalize_service_line, " Inherits  from:Behaviour\n/ Implemented in:Core "
+    ) == "Inherits from: Behaviour / Implemented in: Core"
+
+
+@pytest.mark.parametrize(
+    "answer,want",
+    [
+        ("1", True), ("SOURCE 1", True), ("[1]", True), ("Да.", True), ("Нет", True), ("yes", True), ("NO!", True),
+        ("Use Move.", False)
+    ]
+)
 def test_uninformative(spark, answer, want):
     assert one(spark, T.uninformative, answer) is want
 
 
-@pytest.mark.parametrize("href,want", [("../x.html", "https://h.example/a/x.html"), ("x.html", "https://h.example/a/b/x.html"), ("/x", "https://h.example/x"), ("//o.example/x", "https://o.example/x"), ("mailto:a@b", None), ("#f", "https://h.example/a/b/c.html#f"), ("http://z.example/", "http://z.example/")])
+@pytest.mark.parametrize(
+    "href,want",
+    [
+        ("../x.html", "https://h.example/a/x.html"), ("x.html", "https://h.example/a/b/x.html"),
+        ("/x", "https://h.example/x"), ("//o.example/x", "https://o.example/x"), ("mailto:a@b", None),
+        ("#f", "https://h.example/a/b/c.html#f"), ("http://z.example/", "http://z.example/")
+    ]
+)
 def test_resolve(spark, href, want):
     assert one(spark, lambda c: resolve_url(F.lit("https://h.example/a/b/c.html"), c), href) == want
 
 
-@pytest.mark.parametrize("url,want", [("https://H.example:443/d/x.HTML", True), ("http://h.example/d/x.html", False), ("https://h.example:444/d/x.html", False), ("https://u@h.example/d/x.html", False), ("https://h.example/d/x.html?q", False), ("https://h.example/e/x.html", False), ("nonsense", False), (None, False)])
+@pytest.mark.parametrize(
+    "url,want",
+    [
+        ("https://H.example:443/d/x.HTML", True), ("http://h.example/d/x.html", False),
+        ("https://h.example:444/d/x.html", False), ("https://u@h.example/d/x.html", False),
+        ("https://h.example/d/x.html?q", False), ("https://h.example/e/x.html", False), ("nonsense", False),
+        (None, False)
+    ]
+)
 def test_allowed(spark, url, want):
     assert one(spark, lambda c: url_allowed(c, Rules("h.example", "/d/")), url) is want
 
@@ -58,15 +87,23 @@ MEMBERS = """<div class="section"><div class="subsection"><h3>Properties</h3><ta
 def test_member_links(spark):
     assert links.member_hrefs(MEMBERS) == ["a.html", "d.html"]
     assert links.member_hrefs(None) == links.member_hrefs("not valid markup {{{") == []
-    pages = spark.createDataFrame([("https://h.example/d/p.html", MEMBERS), ("https://h.example/d/a.html", "<a")], "url string, html string")
+    pages = spark.createDataFrame(
+        [("https://h.example/d/p.html", MEMBERS), ("https://h.example/d/a.html", "<a")], "url string, html string"
+    )
     found = links.extract_links(pages, Rules("h.example", "/d/")).collect()
     assert sorted(r.target for r in found) == ["https://h.example/d/a.html", "https://h.example/d/d.html"]
 
 
 def test_titles(spark):
-    rows = [("https://h/x/A.html", "<h1>  Game <em>Class</em> </h1><title>No</title>"), ("https://h/B.html", "<title>  Vector API </title>"), ("https://h/Quat%20X.html", "<p>none</p>"), ("https://host.example/", "")]
+    rows = [
+        ("https://h/x/A.html", "<h1>  Game <em>Class</em> </h1><title>No</title>"),
+        ("https://h/B.html", "<title>  Vector API </title>"), ("https://h/Quat%20X.html", "<p>none</p>"),
+        ("https://host.example/", "")
+    ]
     found = {r.url: r.title for r in links.page_title(spark.createDataFrame(rows, "url string, html string")).collect()}
-    assert list(found.values()) == ["Game Class", "Vector API", "Quat X", "host.example"] or set(found.values()) == {"Game Class", "Vector API", "Quat X", "host.example"}
+    assert list(found.values()) == [
+        "Game Class", "Vector API", "Quat X", "host.example"
+    ] or set(found.values()) == {"Game Class", "Vector API", "Quat X", "host.example"}
 
 
 PAGE = """<div id="content-wrap"><h1>T</h1><div class="section"><nav>menu</nav><div class="mb20"><p>Inherits from:<a>Base</a></p><p>/</p></div>
@@ -79,10 +116,15 @@ def test_blocks(spark):
     pages = spark.createDataFrame([("p", PAGE), ("q", "<h1>No content</h1>")], "document_id string, html string")
     found = blocks.html_blocks(pages).orderBy("document_id", "pos").collect()
     texts = [r.text for r in found if r.document_id == "p"]
-    assert texts == ["Inherits from: Base", "# Description", "One\ntwo `x`", "- first", "- n — d", "### Inherited", "```csharp\npublic void M()\n    x;\n```"]
+    assert texts == [
+        "Inherits from: Base", "# Description", "One\ntwo `x`", "- first", "- n — d", "### Inherited",
+        "```csharp\npublic void M()\n    x;\n```"
+    ]
     titles = spark.createDataFrame([("p", "T"), ("q", "U")], "document_id string, title string")
     done = {r.document_id: r for r in blocks.process_documents(blocks.html_blocks(pages), titles).collect()}
-    assert done["p"].content.startswith("# T\n\nInherits from: Base\n\n# Description") and done["q"].error == "main content not found"
+    assert done["p"].content.startswith(
+        "# T\n\nInherits from: Base\n\n# Description"
+    ) and done["q"].error == "main content not found"
 
 
 def chunks(text, size, overlap=0, title="Tides"):
@@ -92,7 +134,9 @@ def chunks(text, size, overlap=0, title="Tides"):
 def test_heading_chunks():
     long = " ".join(f"t{i}" for i in range(41))
     found = chunks(f"# Tides\n\n## Springs and neaps\n\n{long}", 11, 3)
-    assert all(c[4] <= 11 and c[5].startswith("# Tides\n\n## Springs and neaps\n\n") for c in found) and [c[3] for c in found] == list(range(len(found)))
+    assert all(
+        c[4] <= 11 and c[5].startswith("# Tides\n\n## Springs and neaps\n\n") for c in found
+    ) and [c[3] for c in found] == list(range(len(found)))
     said = [w for c in found for w in c[5].split()[6:]]
     assert set(said) == set(long.split()) and len(said) > 41
     assert [c[2] for c in chunks("## Nothing here\n\n## Moon\n\nfull", 9)] == ["Moon"]
@@ -116,7 +160,9 @@ def test_chunk_properties(lines, size, overlap):
 
 
 def test_chunk_options(spark):
-    docs = spark.createDataFrame([("d", "t", "a b c d e"), ("e", "t", None), ("f", "t", "")], "document_id string, title string, content string")
+    docs = spark.createDataFrame(
+        [("d", "t", "a b c d e"), ("e", "t", None), ("f", "t", "")], "document_id string, title string, content string"
+    )
     assert [r.content for r in chunking.chunk_overlap(docs, 3, 1).orderBy("ordinal").collect()] == ["a b c", "c d e"]
     assert chunking.chunk_fixed(docs, 2).count() == 3 and chunking.chunk_heading_aware(docs, 8, 1).count() == 1
     for bad in ((0, 0), (5, 5), (5, -1)):
@@ -126,8 +172,14 @@ def test_chunk_options(spark):
 
 def test_changes(spark):
     schema = "document_id string, canonical_url string, title string, content_hash string, retrieved_at timestamp, file_name string"
-    old = spark.createDataFrame([("a", "u", "t", "AB", None, "fa"), ("b", "u", "t", "cd", None, "fb"), ("z", "u", "t", "zz", None, "fz")], schema)
-    new = spark.createDataFrame([("a", "u2", "t2", "ab", None), ("b", "u", "t", "ef", None), ("c", "u", "t", "gh", None)], schema.rpartition(",")[0])
+    old = spark.createDataFrame(
+        [("a", "u", "t", "AB", None, "fa"), ("b", "u", "t", "cd", None, "fb"), ("z", "u", "t", "zz", None, "fz")],
+        schema
+    )
+    new = spark.createDataFrame(
+        [("a", "u2", "t2", "ab", None), ("b", "u", "t", "ef", None), ("c", "u", "t", "gh", None)],
+        schema.rpartition(",")[0]
+    )
     kinds = {r.document_id: r.change for r in ingest.classify_changes(old, new).collect()}
     assert kinds == {"a": "Unchanged", "b": "Updated", "c": "New"}
     merged = ingest.merge_manifest(old, new)
@@ -140,16 +192,25 @@ def test_changes(spark):
 
 
 def test_cosine(spark):
-    table = spark.createDataFrame([("a", [1.0, 0.0, 0.0]), ("b", [0.8, 0.6, 0.0]), ("c", [0.0, 1.0, 0.0]), ("z", [0.0, 0.0, 0.0])], "chunk_id string, embedding array<float>")
+    table = spark.createDataFrame(
+        [("a", [1.0, 0.0, 0.0]), ("b", [0.8, 0.6, 0.0]), ("c", [0.0, 1.0, 0.0]), ("z", [0.0, 0.0, 0.0])],
+        "chunk_id string, embedding array<float>"
+    )
     ask = spark.createDataFrame([("q", [1.0, 0.0, 0.0])], "query_id string, embedding array<float>")
-    top = [(r.chunk_id, r.similarity, r.initial_rank) for r in retrieval.retrieve_topk(ask, table, 3).orderBy("initial_rank").collect()]
+    top = [
+        (
+            r.chunk_id, r.similarity, r.initial_rank
+        ) for r in retrieval.retrieve_topk(ask, table, 3).orderBy("initial_rank").collect()
+    ]
     assert top == [("a", 1.0, 1), ("b", 0.8, 2), ("c", 0.0, 3)]
     assert retrieval.retrieve_topk(ask, table, 3, 0.9).count() == 1
     assert retrieval.retrieve_topk(ask.where("false"), table, 3).count() == 0
 
 
 def test_window_group_limit(spark):
-    plan = retrieval._rank(spark.range(10).selectExpr("id % 2 as query_id", "id as chunk_id", "cast(id as double) as similarity"), 2, 6)
+    plan = retrieval._rank(
+        spark.range(10).selectExpr("id % 2 as query_id", "id as chunk_id", "cast(id as double) as similarity"), 2, 6
+    )
     assert "WindowGroupLimit" in plan._jdf.queryExecution().executedPlan().toString()
 
 
@@ -160,19 +221,28 @@ def test_recall(spark):
 
 
 def test_metrics(spark):
-    questions = spark.createDataFrame([("A", "Answered", ["a", "b"]), ("N", "OutOfDomain", [])], "question_id string, expected_status string, expected_urls array<string>")
-    ranked = spark.createDataFrame([("A", 1, "other"), ("A", 2, "other"), ("A", 3, "b"), ("A", 4, "b")], "question_id string, rank int, url string")
+    questions = spark.createDataFrame(
+        [("A", "Answered", ["a", "b"]), ("N", "OutOfDomain", [])],
+        "question_id string, expected_status string, expected_urls array<string>"
+    )
+    ranked = spark.createDataFrame(
+        [("A", 1, "other"), ("A", 2, "other"), ("A", 3, "b"), ("A", 4, "b")], "question_id string, rank int, url string"
+    )
     rows = {r.question_id: r for r in evaluation.per_question(questions, ranked, (2, 3)).collect()}
     assert rows["A"].hit_2 == 0 and rows["A"].hit_3 == 1 and rows["A"].reciprocal_rank == 0.333333 and rows["A"].coverage_3 == 0.5
     assert rows["N"].reciprocal_rank is None
-    assert evaluation.status_match_rate(spark.createDataFrame([], "status string, expected_status string")).first()[0] is None
+    assert evaluation.status_match_rate(
+        spark.createDataFrame([], "status string, expected_status string")
+    ).first()[0] is None
     done = questions.selectExpr("question_id", "0 as position").where("question_id = 'N'")
     with pytest.raises(ValueError):
         evaluation.resume_remaining(questions.selectExpr("question_id", "1 as position"), done)
 
 
 def test_ranking(spark):
-    found = spark.createDataFrame([("q", i, f"c{i}") for i in (1, 2, 3)], "question_id string, initial_rank int, chunk_id string")
+    found = spark.createDataFrame(
+        [("q", i, f"c{i}") for i in (1, 2, 3)], "question_id string, initial_rank int, chunk_id string"
+    )
     order = spark.createDataFrame([("q", [3, 1, 2])], "question_id string, permutation array<int>")
     rows = sorted((r.final_rank, r.chunk_id, r.reranker_score) for r in answers.apply_ranking(found, order).collect())
     assert rows == [(1, "c3", 1.0), (2, "c1", 0.5), (3, "c2", 0.0)]
@@ -182,7 +252,14 @@ def test_ranking(spark):
 
 def test_snapshot_is_all_or_nothing(spark, tmp_path):
     frame = lambda rows, schema: spark.createDataFrame(rows, schema)
-    tables = {"profiles": frame([("p", 1)], "profile_key string, dimension int"), "documents": frame([("d", "h", 1, 1)], "document_id string, content_hash string, created_at int, updated_at int"), "chunks": frame([("c", "d", 0)], "chunk_id string, document_id string, ordinal int"), "embeddings": frame([("c", "p", [1.0])], "chunk_id string, profile_key string, embedding array<float>")}
+    tables = {
+        "profiles": frame([("p", 1)], "profile_key string, dimension int"),
+        "documents": frame(
+            [("d", "h", 1, 1)], "document_id string, content_hash string, created_at int, updated_at int"
+        ),
+        "chunks": frame([("c", "d", 0)], "chunk_id string, document_id string, ordinal int"),
+        "embeddings": frame([("c", "p", [1.0])], "chunk_id string, profile_key string, embedding array<float>")
+    }
     root = str(tmp_path / "index")
     index.publish_snapshot(spark, root, tables, 1)
     bad = frame([("r", "k", "x")], "rule string, key string, detail string")
@@ -221,18 +298,40 @@ def normal_by_loop(text):
 
 def test_normalize_by_loop(spark):
     r = random.Random(4)
-    pieces = ["a", "b  c", "\t", " ", "  ", "\u00a0", "\n", "\n", "\n\n", "\r\n", "\r", "```", "```cs\n", "\n```\n", " ```", "x```", "é \u2003", "\n\n\n\n\n"]
-    texts = ["".join(r.choice(pieces) for _ in range(r.randrange(30))) for _ in range(3000)] + ["```\n" * 20_000, " " * 200_000 + "x", "a\n" * 100_000, "```" + "\n\n" * 50_000]
-    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", "text", T.normalize_text(F.col("text")).alias("found")).collect()
+    pieces = [
+        "a", "b  c", "\t", " ", "  ", "\u00a0", "\n", "\n", "\n\n", "\r\n", "\r", "```", "```cs\n", "\n```\n", " ```",
+        "x```", "é \u2003", "\n\n\n\n\n"
+    ]
+    texts = ["".join(r.choice(pieces) for _ in range(r.randrange(30))) for _ in range(3000)] + [
+        "```\n" * 20_000, " " * 200_000 + "x", "a\n" * 100_000, "```" + "\n\n" * 50_000
+    ]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select(
+        "i", "text", T.normalize_text(F.col("text")).alias("found")
+    ).collect()
     assert all(x.found == normal_by_loop(x.text) for x in rows)
 
 
-@pytest.mark.parametrize("answer,want", [("source #12", True), ("Source [3]!", True), ("  7 ? ", True), ("source", False), ("#3", False), ("yes yes", False), ("[1", False), ("source#[1]", False), ("", False), ("нет !", True), ("1 2", False)])
+@pytest.mark.parametrize(
+    "answer,want",
+    [
+        ("source #12", True), ("Source [3]!", True), ("  7 ? ", True), ("source", False), ("#3", False),
+        ("yes yes", False), ("[1", False), ("source#[1]", False), ("", False), ("нет !", True), ("1 2", False)
+    ]
+)
 def test_uninformative_more(spark, answer, want):
     assert one(spark, T.uninformative, answer) is want
 
 
-@pytest.mark.parametrize("href,want", [("x/../y.html", "https://h.example/a/b/y.html"), ("/a/../b.html", "https://h.example/b.html"), ("..", "https://h.example/a/"), (".", "https://h.example/a/b/"), ("../../../../z", "https://h.example/z"), ("./d/./e/../f?q=../x#/./y", "https://h.example/a/b/d/f?q=../x#/./y"), ("http://z.example/a/../b", "http://z.example/b"), ("a..b/.c", "https://h.example/a/b/a..b/.c"), ("//o.example/./x", "https://o.example/x")])
+@pytest.mark.parametrize(
+    "href,want",
+    [
+        ("x/../y.html", "https://h.example/a/b/y.html"), ("/a/../b.html", "https://h.example/b.html"),
+        ("..", "https://h.example/a/"), (".", "https://h.example/a/b/"), ("../../../../z", "https://h.example/z"),
+        ("./d/./e/../f?q=../x#/./y", "https://h.example/a/b/d/f?q=../x#/./y"),
+        ("http://z.example/a/../b", "http://z.example/b"), ("a..b/.c", "https://h.example/a/b/a..b/.c"),
+        ("//o.example/./x", "https://o.example/x")
+    ]
+)
 def test_resolve_dots(spark, href, want):
     assert one(spark, lambda c: resolve_url(F.lit("https://h.example/a/b/c.html"), c), href) == want
 
@@ -245,7 +344,9 @@ def test_deep_pages(spark):
 
 
 def test_chunk_errors_are_rows(spark):
-    docs = spark.createDataFrame([("a", "one two three four", "body"), ("b", "t", "body")], "document_id string, title string, content string")
+    docs = spark.createDataFrame(
+        [("a", "one two three four", "body"), ("b", "t", "body")], "document_id string, title string, content string"
+    )
     rows = {r.document_id: r for r in chunking.chunk_heading_aware(docs, 4, 0).collect()}
     assert "no room" in rows["a"].error and rows["a"].content is None and rows["b"].error is None and rows["b"].content == "# t\n\nbody"
 
@@ -261,14 +362,19 @@ def test_topk_by_loop(spark, monkeypatch):
     base = [[r.choice([-1.0, 0.0, 1.0, 2.0]) for _ in range(3)] for _ in range(60)]
     rows = [(f"c{i:03d}", base[i % 60]) for i in range(300)] + [("z", [0.0] * 3), ("n", None)]
     asked = [(i, [r.random() - 0.5 for _ in range(3)]) for i in range(30)] + [(99, [0.0] * 3), (98, None)]
-    index_rows, queries = spark.createDataFrame(rows, "chunk_id string, embedding array<float>").repartition(5), spark.createDataFrame(asked, "query_id int, embedding array<float>")
+    index_rows, queries = spark.createDataFrame(
+        rows, "chunk_id string, embedding array<float>"
+    ).repartition(5), spark.createDataFrame(asked, "query_id int, embedding array<float>")
     norm = lambda v: math.sqrt(sum(x * x for x in v))
     for threshold in (None, 0.2):
         want = set()
         for q, v in asked:
             if not v or not norm(v):
                 continue
-            scores = [(round(sum(a * b for a, b in zip(v, w, strict=True)) / norm(v) / norm(w), 9), c) for c, w in rows if w and norm(w)]
+            scores = [
+                (round(sum(a * b for a, b in zip(v, w, strict=True)) / norm(v) / norm(w), 9), c) for c,
+                w in rows if w and norm(w)
+            ]
             best = sorted(((-s, c) for s, c in scores if threshold is None or round(s, 6) >= threshold))[:7]
             want |= {(q, c, n) for n, (_, c) in enumerate(best, 1)}
         for size, tile in ((32 << 20, 4 << 20), (100, 40)):
@@ -290,12 +396,20 @@ def test_lists_find_most_and_skip_most(spark):
     recall = retrieval.ann_recall(approx, exact).agg(F.avg("recall")).first()[0]
     held = retrieval._to_lists(vectors, "chunk_id", centres, 1).groupBy("list").count()
     n = vectors.count()
-    met = retrieval._to_lists(queries, "query_id", centres, round(0.4 * len(centres))).join(held, "list").agg(F.sum("count")).first()[0]
+    met = retrieval._to_lists(
+        queries, "query_id", centres, round(0.4 * len(centres))
+    ).join(held, "list").agg(F.sum("count")).first()[0]
     share = met / n / queries.count()
     assert recall >= 0.9 and share < 0.5
-    hot = spark.createDataFrame([(i, [1.0, float(i % 3 == 0)]) for i in range(3000)], "chunk_id int, embedding array<float>")
-    small = retrieval.retrieve_approx(hot.where("chunk_id < 4").withColumnRenamed("chunk_id", "query_id"), hot, 3, part_rows=100, centres=np.eye(2))
-    assert {(x.query_id, x.chunk_id) for x in small.collect()} == {(q, c) for q in range(4) for c in ((0, 3, 6) if q % 3 == 0 else (1, 2, 4))}
+    hot = spark.createDataFrame(
+        [(i, [1.0, float(i % 3 == 0)]) for i in range(3000)], "chunk_id int, embedding array<float>"
+    )
+    small = retrieval.retrieve_approx(
+        hot.where("chunk_id < 4").withColumnRenamed("chunk_id", "query_id"), hot, 3, part_rows=100, centres=np.eye(2)
+    )
+    assert {(x.query_id, x.chunk_id) for x in small.collect()} == {
+        (q, c) for q in range(4) for c in ((0, 3, 6) if q % 3 == 0 else (1, 2, 4))
+    }
 
 
 def files_of(root):
@@ -304,23 +418,41 @@ def files_of(root):
 
 def test_small_batch_rewrites_its_buckets_only(spark, tmp_path):
     root, n = str(tmp_path / "index"), 300
-    docs = spark.createDataFrame([(f"d{i}", "h", 1, 1) for i in range(n)], "document_id string, content_hash string, created_at int, updated_at int")
-    rows = spark.createDataFrame([(f"c{i}-{j}", f"d{i}", j) for i in range(n) for j in range(2)], "chunk_id string, document_id string, ordinal int")
+    docs = spark.createDataFrame(
+        [(f"d{i}", "h", 1, 1) for i in range(n)],
+        "document_id string, content_hash string, created_at int, updated_at int"
+    )
+    rows = spark.createDataFrame(
+        [(f"c{i}-{j}", f"d{i}", j) for i in range(n) for j in range(2)],
+        "chunk_id string, document_id string, ordinal int"
+    )
     vectors = rows.select("chunk_id", F.lit("p").alias("profile_key"), F.array(F.lit(1.0)).alias("embedding"))
     profiles = spark.createDataFrame([("p", 1)], "profile_key string, dimension int")
-    index.publish_snapshot(spark, root, {"profiles": profiles, "documents": docs, "chunks": rows, "embeddings": vectors}, 1)
+    index.publish_snapshot(
+        spark, root, {"profiles": profiles, "documents": docs, "chunks": rows, "embeddings": vectors}, 1
+    )
     before = files_of(root)
-    batch = {"profiles": profiles, "documents": docs.where("document_id = 'd7'").withColumn("updated_at", F.lit(2)), "chunks": rows.where("chunk_id = 'c7-0'"), "embeddings": vectors.where("chunk_id = 'c7-0'")}
+    batch = {
+        "profiles": profiles, "documents": docs.where("document_id = 'd7'").withColumn("updated_at", F.lit(2)),
+        "chunks": rows.where("chunk_id = 'c7-0'"), "embeddings": vectors.where("chunk_id = 'c7-0'")
+    }
     index.apply_index_batch(spark, root, batch, [], 2)
     new = files_of(root) - before
-    assert sorted({p.split("-")[0] for p in new if "=" in p}) == ["chunks", "documents", "embeddings", "profiles"] and len({p.rpartition("/")[0] for p in new if "=" in p}) == 4
+    assert sorted({p.split("-")[0] for p in new if "=" in p}) == [
+        "chunks", "documents", "embeddings", "profiles"
+    ] and len({p.rpartition("/")[0] for p in new if "=" in p}) == 4
     after = index.read_snapshot(spark, root)
     assert after["documents"].count() == n and after["documents"].where("updated_at = 2").select("document_id", "created_at").collect() == [("d7", 1)]
-    assert {r.chunk_id for r in after["chunks"].where("document_id = 'd7'").collect()} == {"c7-0"} and after["chunks"].count() == after["embeddings"].count() == 2 * n - 1
+    assert {
+        r.chunk_id for r in after["chunks"].where("document_id = 'd7'").collect()
+    } == {"c7-0"} and after["chunks"].count() == after["embeddings"].count() == 2 * n - 1
     with pytest.raises(ValueError, match="repeated_chunks"):
         index.apply_index_batch(spark, root, batch | {"chunks": batch["chunks"].unionByName(batch["chunks"])}, [], 3)
     with pytest.raises(ValueError, match="null_documents"):
-        index.apply_index_batch(spark, root, batch | {"documents": batch["documents"].withColumn("document_id", F.lit(None).cast("string"))}, [], 3)
+        index.apply_index_batch(
+            spark, root,
+            batch | {"documents": batch["documents"].withColumn("document_id", F.lit(None).cast("string"))}, [], 3
+        )
     gone = batch | {"chunks": batch["chunks"].where("false"), "embeddings": batch["embeddings"].where("false")}
     index.apply_index_batch(spark, root, gone, [], 3)
     assert index.read_snapshot(spark, root)["chunks"].count() == 2 * n - 2
@@ -330,23 +462,35 @@ def test_manifest_batches_touch_their_buckets(spark, tmp_path):
     root, schema = str(tmp_path / "m"), jobs.MANIFEST.rpartition(",")[0]
     jobs.ingest_batch(spark.createDataFrame([(f"d{i}", "u", "t", "h", None) for i in range(200)], schema), 0, root)
     before = files_of(root)
-    jobs.ingest_batch(spark.createDataFrame([("d3", "u", "t", "h2", None), ("new", "u", "t", "h", None)], schema), 1, root)
+    jobs.ingest_batch(
+        spark.createDataFrame([("d3", "u", "t", "h2", None), ("new", "u", "t", "h", None)], schema), 1, root
+    )
     assert len({p.rpartition("/")[0] for p in files_of(root) - before if p.startswith("manifest")}) <= 2
     assert jobs.read_manifest(spark, root).count() == 201 and jobs.read_manifest(spark, root, before=1).count() == 200
-    assert sorted((r.document_id, r.change) for r in spark.read.parquet(f"{root}/changes/batch=1").collect()) == [("d3", "Updated"), ("new", "New")]
+    assert sorted(
+        (r.document_id, r.change) for r in spark.read.parquet(f"{root}/changes/batch=1").collect()
+    ) == [("d3", "Updated"), ("new", "New")]
 
 
 def test_artifacts_are_checked(spark, tmp_path):
     text = "some words here"
-    docs = spark.createDataFrame([("d", "t", "1", "u", text, hashlib.sha256(text.encode()).hexdigest())], "document_id string, title string, version string, canonical_url string, content string, content_hash string")
+    docs = spark.createDataFrame(
+        [("d", "t", "1", "u", text, hashlib.sha256(text.encode()).hexdigest())],
+        "document_id string, title string, version string, canonical_url string, content string, content_hash string"
+    )
     rows, header = chunking.chunk_fixed(docs, 2), {"version": 1, "corpus_version": 1, "chunk_size": 2, "overlap": 0}
     corpus.write_artifacts(docs, rows, header, str(tmp_path / "a"))
     found = corpus.read_artifacts(spark, str(tmp_path / "a"))
     assert [r.ordinal for r in found[1].collect()] == [0, 1]
-    for bad_docs, bad_rows, bad_header in ((docs.withColumn("content_hash", F.lit("0" * 64)), rows, header), (docs, rows.unionByName(rows), header), (docs, rows.withColumn("ordinal", F.lit(0)), header), (docs, rows, header | {"version": 2})):
+    for bad_docs, bad_rows, bad_header in (
+        (docs.withColumn("content_hash", F.lit("0" * 64)), rows, header), (docs, rows.unionByName(rows), header),
+        (docs, rows.withColumn("ordinal", F.lit(0)), header), (docs, rows, header | {"version": 2})
+    ):
         with pytest.raises(ValueError, match="invalid artifacts"):
             corpus.write_artifacts(bad_docs, bad_rows, bad_header, str(tmp_path / "b"))
-    spark.range(1).selectExpr("1 version", "2 corpus_version", "2 chunk_size", "0 overlap").write.mode("overwrite").json(str(tmp_path / "a" / "header-chunks"))
+    spark.range(1).selectExpr(
+        "1 version", "2 corpus_version", "2 chunk_size", "0 overlap"
+    ).write.mode("overwrite").json(str(tmp_path / "a" / "header-chunks"))
     with pytest.raises(ValueError, match="headers_differ"):
         corpus.read_artifacts(spark, str(tmp_path / "a"))
 
@@ -355,7 +499,10 @@ def test_checkpoint_identity(spark):
     rows = spark.createDataFrame([("a", 0), ("b", 1)], "question_id string, position int")
     saved = evaluation.checkpoint_identity(rows, {"k": 3}, "/out")
     assert evaluation.resume_remaining(rows, rows.where("position = 0"), saved, {"k": 3}, "/out").count() == 1
-    for other, config, out in ((rows, {"k": 4}, "/out"), (rows, {"k": 3}, "/elsewhere"), (rows.withColumn("position", 1 - F.col("position")), {"k": 3}, "/out")):
+    for other, config, out in (
+        (rows, {"k": 4}, "/out"), (rows, {"k": 3}, "/elsewhere"),
+        (rows.withColumn("position", 1 - F.col("position")), {"k": 3}, "/out")
+    ):
         with pytest.raises(ValueError, match="saved run"):
             evaluation.resume_remaining(other, rows.where("false"), saved, config, out)
 
@@ -369,8 +516,14 @@ def test_scratch(spark):
 
 def test_strip_boilerplate(spark):
     page = '<nav>x</nav><div id="content-wrap"><div class="a section"><p>one</p><aside>a<aside>b</aside>c</aside><div class="suggest">s<div>t</div></div><!-- <nav> --><img src=x><p>two</p><script>"<nav>"</script></div>after</div>'
-    rows = {r.document_id: r for r in blocks.strip_boilerplate(spark.createDataFrame([("p", page), ("q", "<p>none"), ("r", None)], "document_id string, html string")).collect()}
+    rows = {
+        r.document_id: r for r in blocks.strip_boilerplate(
+            spark.createDataFrame([("p", page), ("q", "<p>none"), ("r", None)], "document_id string, html string")
+        ).collect()
+    }
     assert rows["p"].html == "<p>one</p><!-- <nav> --><p>two</p>" and rows["p"].error is None
     assert rows["q"].html is None and rows["q"].error == rows["r"].error == "main content not found"
-    assert blocks.main_html("a<nav>b<nav>c</nav>d</nav>e<input>f", None) == "aef" and blocks.main_html("a<form>b", None) == "a"
+    assert blocks.main_html(
+        "a<nav>b<nav>c</nav>d</nav>e<input>f", None
+    ) == "aef" and blocks.main_html("a<form>b", None) == "a"
     assert blocks.main_html("<a b " * 100_000, None) == "<a b " * 100_000
