@@ -81,6 +81,28 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight clusters of every 64-component vector after ten rounds."""
+    from corpusflow.llm import centroids
+
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for every benchmark item."""
+    from corpusflow.llm import lexical_search
+
+    index = lexical_search.build_index(table(spark, sf_dir, "documents"))
+    return lexical_search.search(index, table(spark, sf_dir, "benchmark"))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces in sequences of 2048 tokens."""
+    from corpusflow.llm import packing
+
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
 def quality_base_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Those columns of op5_quality_rules that SQL can express."""
     return op5_quality_rules(spark, sf_dir).drop("kept", "class_distance", "word_distance")

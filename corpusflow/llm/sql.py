@@ -166,7 +166,60 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, la
 FROM d JOIN lines USING (r) LEFT JOIN covered USING (r)
 """
 
+CLUSTER_START = """
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), c0 AS MATERIALIZED (
+  SELECT (row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1)::INTEGER AS c, v FROM kept ORDER BY sha256('3:' || vec_id) LIMIT 8
+)"""
+CLUSTER_ROUND = """, a{i} AS MATERIALIZED (
+  SELECT rid, vec_id, v, c, d FROM (
+    SELECT k.rid, k.vec_id, k.v, c.c, list_sum(list_transform(list_zip(k.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d
+    FROM kept k, c{i} c
+  ) QUALIFY row_number() OVER (PARTITION BY rid ORDER BY d, c) = 1
+)"""
+CLUSTER_MEANS = """, c{j} AS MATERIALIZED (
+  SELECT o.c, coalesce(n.v, o.v) AS v FROM c{i} o LEFT JOIN (
+    SELECT c, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY p) AS v FROM (
+      SELECT c, p, sum(x)::BIGINT AS s, count(*)::BIGINT AS n FROM (SELECT c, unnest(v) AS x, unnest(range(64)) AS p FROM a{i}) GROUP BY c, p
+    ) GROUP BY c
+  ) n ON o.c = n.c
+)"""
+CLUSTERS = (
+    CLUSTER_START + "".join(CLUSTER_ROUND.format(i=i) + CLUSTER_MEANS.format(i=i, j=i + 1) for i in range(10)) +
+    CLUSTER_ROUND.format(i=10) + """
+SELECT a.vec_id, a.c AS cluster, a.d AS distance, (sum(a.d) OVER (PARTITION BY a.c))::BIGINT AS cluster_inertia,
+  (sum(a.d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM a10 a JOIN c10 c ON a.c = c.c
+"""
+)
+
+TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+SEARCH = f"""
+WITH numbered AS (
+  SELECT row_number() OVER () AS rid, doc_id, {TERMS} AS w FROM documents
+), counted AS (
+  SELECT rid, t, count(*)::BIGINT AS tf FROM (SELECT rid, unnest(w) AS t FROM numbered) GROUP BY rid, t
+), sizes AS (
+  SELECT rid, doc_id, len(w)::BIGINT AS n FROM numbered WHERE len(w) > 0
+), corpus AS (
+  SELECT count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_terms FROM sizes
+), asked AS (
+  SELECT DISTINCT item_id, t FROM (SELECT item_id, unnest({TERMS}) AS t FROM benchmark)
+), weighed AS (
+  SELECT t, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w
+  FROM (SELECT t, count(*)::BIGINT AS df FROM counted WHERE t IN (SELECT t FROM asked) GROUP BY t), corpus
+), scored AS (
+  SELECT a.item_id, s.doc_id, c.rid, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * s.n * n_docs) // n_terms))))::BIGINT AS score
+  FROM asked a JOIN weighed USING (t) JOIN counted c USING (t) JOIN sizes s USING (rid), corpus GROUP BY a.item_id, s.doc_id, c.rid
+)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id, rid)::INTEGER AS rank, doc_id, score
+FROM scored WHERE score > 0 QUALIFY rank <= 10
+"""
+
 ORACLES: dict[str, str] = {
     "quality_base_columns": QUALITY, "op4_jaccard_join": JACCARD, "op2_warc": WARC, "op6_license_scan": _licenses(),
-    "op9_source_mixing": MIXING, "op10_decontamination": DECONTAMINATION
+    "op9_source_mixing": MIXING, "op10_decontamination": DECONTAMINATION,
+    "op11_centroid_clustering": CLUSTERS, "op12_lexical_search": SEARCH
 }
