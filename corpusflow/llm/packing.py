@@ -5,9 +5,9 @@ are dealt by hash into shards of bounded size, and each shard is evolved on seve
 genome says which bin each piece is in. Crossover injects whole well-filled bins of one parent
 into the other, drops the other's bins that hold the same pieces, and puts the displaced ones
 where they fit best. After each epoch an island's best genome migrates to the next island, through
-a stored table. Bins that stay open in their shards are then dissolved, and their pieces dealt and
-evolved again across shards, as long as that at least halves them; so what cutting into shards
-costs is a bin for the whole table rather than one a shard.
+a stored table. The least filled bins of each shard, a quarter of its pieces at most, are then
+dissolved, and their pieces dealt and evolved again across shards until one shard is left; so
+what cutting into shards costs is about a bin for the whole table rather than one a shard.
 
 A shard whose genome needs no more bins than its tokens do is done at once. No result depends on
 the layout of the input but for which equally good sequences are found.
@@ -49,7 +49,7 @@ MARK = "\x01"
 class Packing:
     """Sequences of `limit` tokens; shards of about `shard` pieces, each on `islands` islands with
     `population` genomes, of which `children` are bred in each of `epochs` epochs. Bins filled to
-    less than `closed` are dealt across shards again."""
+    less than `closed`, with a share of `again` of a shard's pieces, are dealt across shards again."""
 
     limit: int = 2048
     shard: int = 2048
@@ -57,7 +57,8 @@ class Packing:
     population: int = 4
     children: int = 12
     epochs: int = 3
-    closed: float = 0.995
+    closed: float = 0.999
+    again: float = 0.25
     seed: int = 11
 
 
@@ -299,8 +300,9 @@ def _evolve(shards: DataFrame, how: Packing, name: str) -> DataFrame:
     return state.groupBy("shard").agg(F.min_by(best, F.struct(used, "island")).alias("bins"))
 
 
-def _placed(shards: DataFrame, level: int, limit: int) -> DataFrame:
-    """uid, length, sequence_id, offset and fill of each piece of shards (shard, uids, lengths, bins)."""
+def _placed(shards: DataFrame, level: int, how: Packing) -> DataFrame:
+    """uid, length, sequence_id, offset and loose (whether to deal it again) of each piece of shards
+    (shard, uids, lengths, bins)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -313,13 +315,18 @@ def _placed(shards: DataFrame, level: int, limit: int) -> DataFrame:
                 fill = np.bincount(bins, length).astype(np.int64)
                 before = np.concatenate([[0], np.cumsum(fill)])[:-1]
                 number = ((level << 40) + batch.column(0)[i].as_py() << 14) + bins
+                size = np.bincount(bins)
+                rank = np.argsort(fill, kind="stable")
+                few = np.cumsum(size[rank]) <= max(how.again * len(bins), size[rank[0]])
+                loose = np.zeros(len(fill), bool)
+                loose[rank[few]] = fill[rank[few]] < how.closed * how.limit
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x) for x in (uid, length, number, np.cumsum(length) - length - before[bins], fill[bins])],
-                    names=["uid", "length", "sequence_id", "offset", "fill"]
+                    [pa.array(x) for x in (uid, length, number, np.cumsum(length) - length - before[bins], loose[bins])],
+                    names=["uid", "length", "sequence_id", "offset", "loose"]
                 )
 
     return shards.select("shard", "uids", "lengths", "bins").mapInArrow(
-        run, "uid long, length long, sequence_id long, offset long, fill long"
+        run, "uid long, length long, sequence_id long, offset long, loose boolean"
     )
 
 
@@ -338,13 +345,13 @@ def pack(cut: DataFrame, how: Packing = Packing()) -> DataFrame:
             "pack-shards"
         )
         best = _evolve(listed.select("shard", "lengths"), how, "pack-islands")
-        placed = materialize(_placed(listed.join(best.hint("merge"), "shard"), level, how.limit), "packed")
-        loose = placed.where(F.col("fill") < how.closed * how.limit)
+        placed = materialize(_placed(listed.join(best.hint("merge"), "shard"), level, how), "packed")
+        loose = placed.where("loose")
         left = loose.count() if shards > 1 else 0
         if not 0 < 2 * left <= n:
             done.append(placed.select("uid", "sequence_id", "offset"))
             break
-        done.append(placed.where(F.col("fill") >= how.closed * how.limit).select("uid", "sequence_id", "offset"))
+        done.append(placed.where("not loose").select("uid", "sequence_id", "offset"))
         rest, n, level = loose.select("uid", "length"), left, level + 1
     out = done[0]
     for more in done[1:]:
