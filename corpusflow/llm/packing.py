@@ -12,11 +12,12 @@ what cutting into shards costs is about a bin for the whole table rather than on
 A shard whose genome needs no more bins than its tokens do is done at once. No result depends on
 the layout of the input but for which equally good sequences are found.
 
-Texts are encoded word by word: the vocabulary's rules never join across ASCII white space, so
-the distinct words of a batch are encoded once and their ids laid out in the texts' order (words
-are told apart by 64-bit hashes).
+Texts are encoded in parts: the vocabulary's pattern never joins across ASCII white space, or ASCII
+letters with signs, and the vocabulary knows no case. So distinct parts are encoded once and their
+ids laid out in the texts' order (parts are told apart by 64-bit hashes).
 
-Defined results: null and empty texts have one token, the separator; rows that repeat, or share
+Defined results: null and empty texts have one token, the separator; names of special tokens get
+their ids, as the vocabulary's library does by itself; rows that repeat, or share
 an id, or have none, are packed each; an empty table gives an empty one; other columns are
 ignored, whatever their names.
 """
@@ -26,7 +27,7 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from pathlib import Path
 
 import numpy as np
@@ -36,13 +37,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from corpusflow.llm.scan import Scan, scans
+from corpusflow.llm.scan import SPACE, Scan, scans
 from corpusflow.sources.scratch import materialize
 
 VOCABULARY = "word_bpe_49k.json"
 SEPARATOR = 0
 #: A character that ASCII white space never touches once words are joined by it and spaces.
 MARK = "\x01"
+#: How the vocabulary marks tokens that end a unit of its pattern.
+END = "</w>"
 
 
 @dataclass(frozen=True)
@@ -68,11 +71,41 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+#: Kinds of bytes: white space, letters, digits, signs, and what takes a look around: apostrophes,
+#: bars (which names of special tokens have) and all above ASCII.
+_SPACE, _LETTER, _DIGIT, _SIGN, _QUOTE, _HIGH = range(6)
+_KIND, BAR = np.full(256, _SIGN, np.uint8), 124
+_KIND[SPACE], _KIND[128:], _KIND[[39, BAR]] = _SPACE, _HIGH, _QUOTE
+_KIND[48:58], _KIND[65:91], _KIND[97:123] = _DIGIT, _LETTER, _LETTER
+
+
+def parts(scan: Scan) -> tuple[Scan, np.ndarray]:
+    """A scan of parts of words that are encoded alike wherever they stand, and whether each is one
+    unit of the vocabulary's pattern. Beside white space the pattern never joins ASCII letters and
+    signs, nor a digit with anything."""
+    kind = _KIND[scan.data]
+    word, cut = kind != _SPACE, np.zeros(len(kind) + 1, bool)
+    a, b = kind[:-1], kind[1:]
+    cut[1:-1] = ((a == _LETTER) & (b == _SIGN)) | ((a == _SIGN) & (b == _LETTER)) | (
+        ((a == _DIGIT) | (b == _DIGIT)) & (a != _HIGH) & (b != _HIGH)
+    )
+    cut[scan.offsets] = True
+    start, end = word.copy(), word.copy()
+    start[1:] &= ~word[:-1] | cut[1:-1]
+    end[:-1] &= ~word[1:] | cut[1:-1]
+    start, end = np.flatnonzero(start), np.flatnonzero(end) + 1
+    odd = np.concatenate([[0], np.cumsum((kind == _QUOTE) | (kind == _HIGH), dtype=np.int64)])
+    doc = np.searchsorted(scan.offsets, start, "right") - 1
+    return replace(scan, start=start, end=end, doc=doc), odd[end] == odd[start]
+
+
 class Coder:
-    """Ids of words, each distinct one encoded once while the cache holds it."""
+    """Ids of parts of words, each distinct one encoded once while the cache holds it."""
 
     def __init__(self, vocabulary: bytes, most: int = 1 << 20):
         self.tokenizer, self.most = Tokenizer.from_buffer(vocabulary), most
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(END)]] = True
         self.mark = self._encode(MARK)
         self._clear()
 
@@ -81,45 +114,57 @@ class Coder:
 
     def _clear(self) -> None:
         self.known = np.zeros(0, np.uint64)  # sorted
-        self.place = np.zeros(0, np.int64)  # of each known word in start and count
+        self.place = np.zeros(0, np.int64)  # of each known part in start and count
         self.start, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
 
-    def _words(self, words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """ids of some words one after another, and how many each has."""
-        for i in range(0, len(words), 1 << 15):
-            some = words[i : i + (1 << 15)]
-            odd = [len(self.mark) != 1 or MARK in w for w in some]
-            ids = np.array(self._encode(f" {MARK} ".join("" if o else w for w, o in zip(some, odd, strict=True))), np.uint32)
-            cut = np.flatnonzero(ids == self.mark[0])
-            if not any(odd):
-                count = np.diff(np.concatenate([[-1], cut, [len(ids)]])) - 1
-                yield np.delete(ids, cut), count
-                continue
-            parts = np.split(np.delete(ids, cut), (cut - np.arange(len(cut))))
-            parts = [np.array(self._encode(w), np.uint32) if o else p for w, o, p in zip(some, odd, parts, strict=True)]
-            yield np.concatenate(parts), np.array([len(p) for p in parts])
-
-    def encode(self, scan: Scan) -> tuple[np.ndarray, np.ndarray]:
-        """ids of all words of a scan, in order, and how many each word has."""
-        words, first, which = np.unique(scan.word_hashes(lower=False), return_index=True, return_inverse=True)
+    def _units(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """ids of some units one after another, and how many each has: the last is one that ends words."""
+        ids = np.array(self._encode(" ".join(words)), np.uint32)
+        return ids, np.diff(np.flatnonzero(self.ends[ids]), prepend=-1)
+
+    def _others(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for any parts, by marks between them; those that hold the mark go one by one."""
+        odd = [len(self.mark) != 1 or MARK in w for w in words]
+        ids = np.array(self._encode(f" {MARK} ".join("" if o else w for w, o in zip(words, odd, strict=True))), np.uint32)
+        cut = np.flatnonzero(ids == self.mark[0])
+        each = np.split(np.delete(ids, cut), cut - np.arange(len(cut)))
+        each = [np.array(self._encode(w), np.uint32) if o else p for w, o, p in zip(words, odd, each, strict=True)]
+        return np.concatenate(each), np.array([len(p) for p in each])
+
+    def _learn(self, scan: Scan, units: np.ndarray, hashes: np.ndarray, first: np.ndarray) -> None:
+        data, known, starts, counts, ids = scan.data.tobytes(), [self.known], [self.start], [self.count], [self.ids]
+        for mine, encode in ((units[first], self._units), (~units[first], self._others)):
+            at = np.flatnonzero(mine)
+            for i in range(0, len(at), 1 << 15):
+                some = at[i : i + (1 << 15)]
+                a, b = scan.start[first[some]].tolist(), scan.end[first[some]].tolist()
+                got, count = encode([data[x:y].decode() for x, y in zip(a, b, strict=True)])
+                starts.append(sum(map(len, ids)) + np.cumsum(count) - count)
+                ids.append(got)
+                counts.append(count)
+                known.append(hashes[some])
+        self.ids, self.start, self.count = np.concatenate(ids), np.concatenate(starts), np.concatenate(counts)
+        place = np.concatenate([self.place, np.arange(len(self.place), len(self.start))])
+        all_known = np.concatenate(known)
+        order = np.argsort(all_known, kind="stable")
+        self.known, self.place = all_known[order], place[order]
+
+    def encode(self, scan: Scan, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """ids of all parts of a scan, in order, and how many each has."""
+        h = scan.word_hashes(lower=True)
+        if (scan.data == BAR).any():  # names of special tokens have their case
+            bars = np.concatenate([[0], np.cumsum(scan.data == BAR)])
+            some = np.flatnonzero(bars[scan.end] > bars[scan.start])
+            h[some] = ~scan.hashes(scan.start[some], scan.end[some], lower=False)
+        words, first, which = np.unique(h, return_index=True, return_inverse=True)
         if len(self.known) > self.most:
             self._clear()
         at = np.searchsorted(self.known, words)
         new = np.ones(len(words), bool)
         new[at < len(self.known)] = self.known[at[at < len(self.known)]] != words[at < len(self.known)]
         if new.any():
-            data = scan.data.tobytes()
-            a, b = scan.start[first[new]], scan.end[first[new]]
-            parts = list(self._words([data[i:j].decode() for i, j in zip(a.tolist(), b.tolist(), strict=True)]))
-            count = np.concatenate([c for _, c in parts])
-            start = len(self.ids) + np.cumsum(count) - count
-            self.ids = np.concatenate([self.ids, *(x for x, _ in parts)])
-            known = np.concatenate([self.known, words[new]])
-            place = np.concatenate([self.place, len(self.start) + np.arange(len(count))])
-            self.start, self.count = np.concatenate([self.start, start]), np.concatenate([self.count, count])
-            order = np.argsort(known, kind="stable")
-            self.known, self.place = known[order], place[order]
+            self._learn(scan, units, words[new], first[new])
         place = self.place[np.searchsorted(self.known, words)][which]
         count = self.count[place]
         stop = np.cumsum(count)
@@ -128,7 +173,8 @@ class Coder:
 
 def encoded(coder: Coder, scan: Scan) -> tuple[np.ndarray, np.ndarray]:
     """ids of a scan's documents, each with the separator at its end, and where each begins."""
-    ids, count = coder.encode(scan) if len(scan.start) else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+    scan, units = parts(scan)
+    ids, count = coder.encode(scan, units) if len(scan.start) else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
     length = np.bincount(scan.doc, count, scan.n).astype(np.int64) + 1
     begin = np.concatenate([[0], np.cumsum(length)])
     out = np.full(begin[-1], SEPARATOR, np.uint32)

@@ -155,7 +155,7 @@ def test_bounds_are_never_too_low_and_exclude():
 
 ODD = [
     None, "", " \n\t ", "word", "Don't we'll 'tis it's,'s 12 345 a1b2", "a\x01b \x01 x\x01\x01", "é é ́x a ́",
-    "no break space\u0085line", "İstanbul ΣΑΣ ΟΔΟΣ ς", "<|endoftext|> x<|startoftext|>y", "漢字かな交じり文 🙂👩‍👩‍👧 ﬁ",
+    "no break space\u0085line", "İstanbul ΣΑΣ ΟΔΟΣ ς", "<|endoftext|> x<|startoftext|>y <|ENDOFTEXT|>", "a|b|c |d", "漢字かな交じり文 🙂👩‍👩‍👧 ﬁ",
     "x" * 30_000, "tab\x0bvt\x0cff\x1fus", " " * 5000 + "end", "a.b.c...!!! ??", "ẞß ǅ"
 ]
 
@@ -166,7 +166,7 @@ def test_ids_are_the_tokenizers(spark):
 
     plain = Tokenizer.from_file(packing.vocabulary_path())
     r = random.Random(4)
-    marks = ["'", "s", "S", "re", " ", "́", "9", ".", "\x01", "é", "\n", " ", "ll", "-", "K", "🙂"]
+    marks = ["'", "s", "S", "re", " ", "́", "9", ".", "\x01", "é", "\n", " ", "ll", "-", "<|endoftext|>", "|", "<|EndOfText|>", "T", "K", "🙂"]
     texts = ODD + ["".join(r.choice(marks) for _ in range(60)) for _ in range(300)]
     with open(packing.vocabulary_path(), "rb") as f:
         vocabulary = f.read()
