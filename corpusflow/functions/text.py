@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -80,23 +82,30 @@ def detect_language(text: Column) -> Column:
     ).when(text.rlike(CYRILLIC), "Russian").when(english, "English")
 
 
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often the body has it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def uninformative(answer: Column, bare: tuple[str, ...] = BARE_ANSWERS) -> Column:
     """Whether an answer is only a bare word, or the number of a source: digits alone or in
     brackets, after "source" or not, with "#" only after it; one end mark is allowed."""
     strip = lambda x: F.regexp_replace(F.regexp_replace(x, r"(?U)^\s+", ""), r"(?U)(?<!\s)\s++\z", "")
-    said = F.lower(strip(answer))
-    said = strip(
-        F.when(
-            F.right(said, F.lit(1)).isin(".", "!", "?"), F.substring(said, F.lit(1), F.length(said) - 1)
-        ).otherwise(said)
-    )
-    named = said.startswith("source")
-    rest = F.when(named, strip(F.substring(said, F.lit(7), F.length(said)))).otherwise(said)
-    marked = named & rest.startswith("#")
-    rest = F.when(marked, strip(F.substring(rest, F.lit(2), F.length(rest)))).otherwise(rest)
-    quoted = ~marked & rest.startswith("[") & rest.endswith("]")
-    number = F.when(quoted, F.substring(rest, F.lit(2), F.length(rest) - 2)).otherwise(rest)
-    return said.isin(*bare) | number.rlike(r"^\d+$")
+    cut = lambda x, first, left: F.substring(x, F.lit(first), F.length(x) - left)
+    unmarked = lambda x: F.when(F.right(x, F.lit(1)).isin(".", "!", "?"), cut(x, 1, 1)).otherwise(x)
+
+    def number(rest: Column) -> Column:
+        quoted = rest.startswith("[") & rest.endswith("]")
+        return F.when(quoted, cut(rest, 2, 2)).otherwise(rest).rlike(r"^\d+$")
+
+    def named(rest: Column) -> Column:
+        return F.when(rest.startswith("#"), strip(cut(rest, 2, 1)).rlike(r"^\d+$")).otherwise(number(rest))
+
+    def judged(said: Column) -> Column:
+        source = F.when(said.startswith("source"), once(strip(cut(said, 7, 6)), named)).otherwise(number(said))
+        return said.isin(*bare) | source
+
+    return once(strip(once(F.lower(strip(answer)), unmarked)), judged)
 
 
 def redact(text: Column, secrets: list[Column], limit: int = 512, marker: str = "[redacted]") -> Column:

@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusflow.functions.text import count_tokens, detect_language, is_blank, tokens, uninformative
+from corpusflow.functions.text import count_tokens, detect_language, is_blank, once, tokens, uninformative
 
 DOMAIN, EVIDENCE = 0.25, 0.45
 LANGUAGE_CODE = {"Russian": "ru", "English": "en"}
@@ -19,10 +19,10 @@ LANGUAGE_CODE = {"Russian": "ru", "English": "en"}
 class Texts:
     """Texts shown for a refusal, by status and language; a caller names its own subject."""
 
-    out_of_domain_ru: str = "Поддерживаются только вопросы по этой документации."
-    out_of_domain_en: str = "Only questions about this documentation are supported."
-    insufficient_ru: str = "В найденной документации недостаточно информации для ответа."
-    insufficient_en: str = "The retrieved documentation does not contain enough information to answer."
+    out_of_domain_ru: str = "Вопрос не относится к этому собранию документов."
+    out_of_domain_en: str = "The question lies outside this collection of documents."
+    insufficient_ru: str = "Среди найденных отрывков ответа нет."
+    insufficient_en: str = "None of the passages found answers the question."
 
 
 def validate_questions(questions: DataFrame, limit: int = 2000) -> DataFrame:
@@ -174,81 +174,141 @@ def build_answer_prompt(questions: DataFrame, evidence: DataFrame) -> DataFrame:
     )
 
 
-def _is_json(content: Column) -> Column:
-    """Whether content parses as JSON of any kind: a repeated key doesn't make it malformed."""
-    whole = F.trim(content)
-    return F.json_object_keys(whole).isNotNull() | F.json_array_length(whole).isNotNull() | whole.rlike(
-        r"^(?:true|false|null|-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?|\"(?:[^\"\\]|\\.)*\")$"
+#: One sign for each kind of JSON value in a skeleton.
+_STRING, _NUMBER, _BOOLEAN, _NULL, _ARRAY, _OBJECT = "\x01\x02\x03\x04\x05\x06"
+_ANY = "[\x01-\x06]"
+_ARRAY_OF = rf"\[(?:{_ANY}(?:,{_ANY})*+)?\]"
+_OBJECT_OF = rf"\{{(?:{_STRING}:{_ANY}(?:,{_STRING}:{_ANY})*+)?\}}"
+#: Levels of brackets that a response may have.
+DEPTH = 64
+
+
+def _masked(text: Column) -> Column:
+    """text with a sign for each string."""
+    plain = F.regexp_replace(text, r'\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4})', "_")
+    return F.regexp_replace(plain, r'"[^"\\\x00-\x1f]*"', _STRING)
+
+
+def _folded(text: Column, levels: int) -> Column:
+    """text with a sign for each array and object, from the innermost out."""
+    once = lambda s, _: F.regexp_replace(F.regexp_replace(s, _ARRAY_OF, _ARRAY), _OBJECT_OF, _OBJECT)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(levels)), text, once)
+
+
+def json_kinds(content: Column) -> Column:
+    """Strict reading of a text as one JSON value: null if it isn't one, an empty array if it is no
+    object, else an array with a sign for the kind of each of its values, in order. Nothing may
+    stand before or after the value, strings have double quotes, and keys may repeat."""
+    alone = r"(?<![\w.+\-])(?:%s)(?![\w.+\-])"
+    s = _masked(F.when(~content.rlike(r"[\x00-\x08\x0b\x0c\x0e-\x1f]"), content))
+    s = F.regexp_replace(s, alone % r"-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+\-]?[0-9]+)?", _NUMBER)
+    s = F.regexp_replace(F.regexp_replace(s, alone % "true|false", _BOOLEAN), alone % "null", _NULL)
+    s = F.regexp_replace(s, r"[ \t\r\n]+", "")
+    none = F.array().cast("array<string>")
+    kinds = lambda pairs: F.when(
+        pairs.rlike(rf"^(?:{_STRING}:{_ANY}(?:,{_STRING}:{_ANY})*+)?\z"),
+        F.when(pairs == "", none).otherwise(F.transform(F.split(pairs, ","), lambda x: F.right(x, F.lit(1))))
     )
+    inner = lambda s: F.substring(s, F.lit(2), F.length(s) - 2)
+    other = lambda s: F.when(_folded(s, DEPTH).rlike(rf"^{_ANY}\z"), none)
+    is_object = lambda s: s.startswith("{") & s.endswith("}")
+    return once(s, lambda s: F.when(is_object(s), once(_folded(inner(s), DEPTH - 1), kinds)).otherwise(other(s)))
+
+
+def _numbers(content: Column, field: str, most: Column) -> Column:
+    """Elements of an array of source numbers, null where one isn't a whole number from 1 to most.
+    No more than most + 1 are read, among which one must then be wrong or repeat."""
+    inner = lambda raw: _masked(F.substring(raw, F.lit(2), F.length(raw) - 2))
+    parts = lambda x: F.when(x == "", F.array().cast("array<string>")).otherwise(F.slice(F.split(x, ","), F.lit(1), most + 1))
+    number = lambda x: F.when(x.rlike(r"^[0-9]{1,10}\z"), x.cast("long"))
+    one = lambda x: once(number(x), lambda i: F.when((i >= 1) & (i <= most), i.cast("int")))
+    return F.transform(once(once(F.get_json_object(content, f"$.{field}"), inner), parts), one)
+
+
+def _first_fault(numbers: Column, wrong: str, repeated: str) -> Column:
+    """Name of the first element's fault, in order; null if there is none."""
+    faults = F.transform(
+        numbers, lambda x, i: F.when(x.isNull(), wrong).when(F.array_position(numbers, x) < i + 1, repeated)
+    )
+    return F.get(F.filter(faults, lambda x: x.isNotNull()), 0)
 
 
 def parse_rank_response(responses: DataFrame) -> DataFrame:
     """responses (question_id, source_count, content) with permutation, or reason why it was
-    rejected: Malformed, Shape, Range, Duplicate or Incomplete."""
-    whole = F.trim("content")
-    keys = F.json_object_keys(whole)
-    raw = F.get_json_object(whole, "$.rankedSourceNumbers")
-    texts = F.from_json(raw, "array<string>")
-    integer = F.forall(texts, lambda x: F.coalesce(x.rlike(r"^-?\d{1,9}$"), F.lit(False)))
-    numbers = F.transform(texts, lambda x: x.cast("int"))
+    rejected: Malformed, Shape, Range, Duplicate or Incomplete. The content must be one JSON object
+    and nothing else; elements are judged in order, and only whole numbers count as such."""
     n = F.col("source_count")
-    reason = (
-        F.when(~F.coalesce(_is_json(F.col("content")), F.lit(False)), "Malformed")
-        .when(
-            keys.isNull() | (
-                keys != F.array(F.lit("rankedSourceNumbers"))
-            ) | ~F.coalesce(raw.startswith("["), F.lit(False)) | texts.isNull(),
-            "Shape"
-        )
-        .when(~integer | ~F.forall(numbers, lambda x: (x >= 1) & (x <= n)), "Range")
-        .when(F.size(F.array_distinct(numbers)) != F.size(numbers), "Duplicate")
-        .when(F.size(numbers) != n, "Incomplete")
+    named = lambda content: F.coalesce(
+        F.json_object_keys(content) == F.array(F.lit("rankedSourceNumbers")), F.lit(False)
     )
-    return responses.withColumn("reason", reason).withColumn("permutation", F.when(F.col("reason").isNull(), numbers))
+
+    def judged(numbers: Column) -> Column:
+        fault = F.coalesce(_first_fault(numbers, "Range", "Duplicate"), F.when(F.size(numbers) != n, "Incomplete"))
+        return once(fault, lambda f: F.struct(f.alias("reason"), F.when(f.isNull(), numbers).alias("numbers")))
+
+    failed = lambda why: F.struct(F.lit(why).alias("reason"), F.lit(None).cast("array<int>").alias("numbers"))
+    verdict = lambda content: once(
+        json_kinds(content), lambda kinds: F.when(kinds.isNull(), failed("Malformed")).when(
+            named(content) & (F.get(kinds, 0) == _ARRAY), once(_numbers(content, "rankedSourceNumbers", n), judged)
+        ).otherwise(failed("Shape"))
+    )
+    out = responses.withColumn("__verdict", once(F.col("content"), verdict))
+    return out.withColumns({"reason": F.col("__verdict.reason"), "permutation": F.col("__verdict.numbers")}).drop("__verdict")
 
 
 def parse_answer_response(responses: DataFrame) -> DataFrame:
     """responses (question_id, source_count, content) with sufficient, answer and cited, or
-    reason: the first rule that the content breaks, in fixed order."""
-    whole = F.trim("content")
-    keys = F.json_object_keys(whole)
-    fields = F.array_sort(F.array(F.lit("answer"), F.lit("citedSourceNumbers"), F.lit("sufficientEvidence")))
-    # to_json of a variant keeps JSON types apart; get_json_object alone turns all to text.
-    typed = F.try_parse_json(whole)
-    kind = lambda f: F.schema_of_variant(F.try_variant_get(typed, f"$.{f}", "variant"))
-    raw = F.get_json_object(whole, "$.citedSourceNumbers")
-    texts = F.from_json(raw, "array<string>")
-    numbers = F.transform(texts, lambda x: x.cast("int"))
-    n, sufficient, answer = F.col("source_count"), F.try_variant_get(
-        typed, "$.sufficientEvidence", "boolean"
-    ), F.try_variant_get(typed, "$.answer", "string")
-    shape = (
-        F.coalesce(F.array_sort(keys) == fields, F.lit(False)) & F.coalesce(
-            kind("sufficientEvidence") == "BOOLEAN", F.lit(False)
+    reason: the first rule that the content breaks, field by field in the order they come in."""
+    n = F.col("source_count")
+
+    def shaped(keys: Column, kinds: Column, numbers: Column) -> Column:
+        cited = _first_fault(numbers, "CitationNumberInvalid", "CitationNumberDuplicate")
+
+        def fault(key: Column, i: Column) -> Column:
+            named = lambda name, sign: (key == name) & (F.get(kinds, i) == sign)
+            return (
+                F.when(F.array_position(keys, key) < i + 1, "StructuredShapeInvalid")
+                .when(named("sufficientEvidence", _BOOLEAN) | named("answer", _STRING), F.lit(None).cast("string"))
+                .when(named("citedSourceNumbers", _ARRAY), cited)
+                .otherwise("StructuredShapeInvalid")
+            )
+
+        first = F.get(F.filter(F.transform(keys, fault), lambda x: x.isNotNull()), 0)
+        return F.coalesce(first, F.when(F.size(keys) != 3, "StructuredShapeInvalid"))
+
+    def judged(content: Column, r: Column) -> Column:
+        told = r["sufficient"] == "true"
+        why = (
+            F.when(is_blank(content), "MessageContentMissing")
+            .when(r["kinds"].isNull(), "StructuredJsonMalformed")
+            .otherwise(
+                F.coalesce(
+                    shaped(r["keys"], r["kinds"], r["numbers"]), F.when(told & is_blank(r["answer"]), "AnswerMissing"),
+                    F.when(told & r["answer"].rlike(r"(?i)https?://\S+"), "AnswerUrlForbidden"),
+                    F.when(told & (F.size(r["numbers"]) == 0), "CitationMissing")
+                )
+            )
+        )
+        kept = lambda w, c, name: F.when(w.isNull(), c).alias(name)
+        return once(
+            why, lambda w: F.struct(
+                w.alias("reason"), kept(w, told, "sufficient"), kept(w, r["answer"], "answer"), kept(w, r["numbers"], "cited")
+            )
         )
-        & F.coalesce(kind("answer") == "STRING", F.lit(False)) & F.coalesce(raw.startswith("["), F.lit(False))
-    )
-    valid = F.forall(
-        texts,
-        lambda x: F.coalesce(x.rlike(r"^\d{1,9}$"), F.lit(False)) & F.coalesce(
-            (x.cast("int") >= 1) & (x.cast("int") <= n), F.lit(False)
+
+    def verdict(content: Column) -> Column:
+        # Of three names that may come once each, the fourth field is wrong at the latest.
+        keys = F.slice(F.coalesce(F.json_object_keys(content), F.array().cast("array<string>")), 1, 4)
+        read = F.struct(
+            json_kinds(content).alias("kinds"), keys.alias("keys"), _numbers(content, "citedSourceNumbers", n).alias("numbers"),
+            F.get_json_object(content, "$.sufficientEvidence").alias("sufficient"),
+            F.get_json_object(content, "$.answer").alias("answer")
         )
-    )
-    reason = (
-        F.when(is_blank(F.col("content")), "MessageContentMissing")
-        .when(~F.coalesce(_is_json(F.col("content")), F.lit(False)), "StructuredJsonMalformed")
-        .when(~shape, "StructuredShapeInvalid")
-        .when(~F.coalesce(valid, F.lit(False)), "CitationNumberInvalid")
-        .when(F.size(F.array_distinct(numbers)) != F.size(numbers), "CitationNumberDuplicate")
-        .when(sufficient & is_blank(answer), "AnswerMissing")
-        .when(sufficient & answer.rlike(r"(?i)https?://\S+"), "AnswerUrlForbidden")
-        .when(sufficient & (F.size(numbers) == 0), "CitationMissing")
-    )
-    fine = F.col("reason").isNull()
-    out = responses.withColumn("reason", reason)
-    return out.withColumns(
-        {"sufficient": F.when(fine, sufficient), "answer": F.when(fine, answer), "cited": F.when(fine, numbers)}
-    )
+        return once(read, lambda r: judged(content, r))
+
+    out = responses.withColumn("__verdict", once(F.col("content"), verdict))
+    names = ("reason", "sufficient", "answer", "cited")
+    return out.withColumns({name: F.col(f"__verdict.{name}") for name in names}).drop("__verdict")
 
 
 def needs_retry(parsed: DataFrame) -> DataFrame:
@@ -271,7 +331,7 @@ def final_responses(parsed: DataFrame) -> DataFrame:
 def attach_citations(answers: DataFrame, evidence: DataFrame) -> DataFrame:
     """answers with citations: title, url and section of the cited evidence, in cited order."""
     cited = answers.select("question_id", F.posexplode("cited").alias("i", "final_rank")).join(
-        evidence.select("question_id", "final_rank", "title", "url", "section"), ["question_id", "final_rank"]
+        evidence.select("question_id", "final_rank", "title", "url", "section").hint("merge"), ["question_id", "final_rank"]
     )
     listed = cited.groupBy("question_id").agg(
         F.array_sort(F.collect_list(F.struct("i", "title", "url", "section"))).alias("c")
@@ -286,7 +346,7 @@ def finalize_answers(gated: DataFrame, answered: DataFrame, texts: Texts = Texts
     """question_id, status, language, text and citations: gated questions with their refusal
     text, others by their response; an answer needs text, language and a citation."""
     rows = gated.select("question_id", F.col("status").alias("gate"), "language").join(
-        answered.select("question_id", "reason", "sufficient", "answer", "citations"), "question_id", "left"
+        answered.select("question_id", "reason", "sufficient", "answer", "citations").hint("merge"), "question_id", "left"
     )
     full = F.col("reason").isNull() & F.col("sufficient") & ~is_blank(F.col("answer")) & (F.size("citations") > 0)
     status = F.when(

@@ -166,9 +166,15 @@ def _cases(cases: list[str]) -> Column:
     return F.get(F.array(*map(F.lit, cases)), F.length("text") % len(cases))
 
 
+#: Responses for three sources: content to the reason of its rejection.
 RANK_CASES = {
     '{"rankedSourceNumbers": [2, 1, 3]}': None, '{"rankedSourceNumbers": [1, 1, 3]}': "Duplicate", '{"rankedSourceNumbers": [1, 2]}': "Incomplete", '{"rankedSourceNumbers": [1, 2, 4]}': "Range",
     '{"rankedSourceNumbers": [1, 2, 3], "why": ""}': "Shape", "not json": "Malformed", "[1, 2, 3]": "Shape", '{"rankedSourceNumbers": [1, 2.5, 3]}': "Range",
+    '{"rankedSourceNumbers": [1,2,3]} trailing': "Malformed", '{"rankedSourceNumbers": ["1",2,3]}': "Range", "{'rankedSourceNumbers': [1,2,3]}": "Malformed", '{"rankedSourceNumbers": [1,2,3]}{}': "Malformed",
+    '{"rankedSourceNumbers": [1,2,3], "rankedSourceNumbers": [1,2,3]}': "Shape", '{"rankedSourceNumbers": [1,1,9]}': "Duplicate", '{"rankedSourceNumbers": [9,1,1]}': "Range", '{"rankedSourceNumbers": [[1],2,3]}': "Range",
+    '{"rankedSourceNumbers": [1,2,3,]}': "Malformed", '{"rankedSourceNumbers": {"a": [1,2,3]}}': "Shape", '{"rankedSourceNumbers": "[1,2,3]"}': "Shape", '{"rankedSourceNumbers": [1.0,2,3]}': "Range",
+    '{"rankedSourceNumbers": [01,2,3]}': "Malformed", '{"rankedSourceNumbers": [1,2,null]}': "Range", '{"rankedSourceNumbers": []}': "Incomplete", '{"rankedSourceNumbers": [-1,2,3]}': "Range",
+    '{"ranked\\u0053ourceNumbers":\t[3,2,1]}\r\n': None, "{}": "Shape", "": "Malformed", '{"rankedSourceNumbers": [1,2,3]}] , [{}': "Malformed",
 }
 ANSWER_CASES = {
     '{"sufficientEvidence": true, "answer": "A full answer.", "citedSourceNumbers": [2, 1]}': None,
@@ -183,7 +189,25 @@ ANSWER_CASES = {
     '{"sufficientEvidence": true, "answer": " ", "citedSourceNumbers": [1]}': "AnswerMissing",
     '{"sufficientEvidence": true, "answer": "see HTTP://x.y/z", "citedSourceNumbers": [1]}': "AnswerUrlForbidden",
     '{"sufficientEvidence": true, "answer": "x", "citedSourceNumbers": []}': "CitationMissing",
+    '{"sufficientEvidence": true, "answer": "x", "citedSourceNumbers": ["1"]}': "CitationNumberInvalid",
+    '{"sufficientEvidence": true, "answer": "x", "citedSourceNumbers": [1]} x': "StructuredJsonMalformed",
+    "{'sufficientEvidence': true, 'answer': 'x', 'citedSourceNumbers': [1]}": "StructuredJsonMalformed",
+    '{"sufficientEvidence": true, "answer": "x", "citedSourceNumbers": [1.5]}': "CitationNumberInvalid",
+    '{"sufficientEvidence": true, "answer": "x", "citedSourceNumbers": [2e0]}': "CitationNumberInvalid",
+    '{"sufficientEvidence": true, "answer": "x", "answer": "y", "citedSourceNumbers": [1]}': "StructuredShapeInvalid",
+    '{"citedSourceNumbers": [9], "answer": 1, "sufficientEvidence": true}': "CitationNumberInvalid",
+    '{"answer": 1, "citedSourceNumbers": [9], "sufficientEvidence": true}': "StructuredShapeInvalid",
+    '{"sufficientEvidence": true, "answer": "x", "citedSourceNumbers": [{"a": 1, "a": [2]}, 1]}': "CitationNumberInvalid",
+    '{"sufficientEvidence": true, "answer": {"a": "x"}, "citedSourceNumbers": [1]}': "StructuredShapeInvalid",
+    '{"sufficientEvidence": true, "answer": "x", "citedSourceNumbers": [1], "more": null}': "StructuredShapeInvalid",
+    '{"sufficientEvidence": null, "answer": "x", "citedSourceNumbers": [1]}': "StructuredShapeInvalid",
+    '{"citedSourceNumbers": [3], "answer": "Full \\"quote\\", {1}.", "sufficientEvidence": true}': None,
+    '"text"': "StructuredShapeInvalid",
+    '{"sufficientEvidence": true, "answer": "a\\q", "citedSourceNumbers": [1]}': "StructuredJsonMalformed",
 }
+_N = len(ANSWER_CASES)
+#: Of answers that are accepted, by their place among the cases: text and citations.
+ACCEPTED = {0: ("A full answer.", "2,1"), 1: ("", ""), 2: ("Yes.", "1"), 24: ('Full "quote", {1}.', "3")}
 
 
 def _pick(values: list) -> str:
@@ -202,7 +226,7 @@ def _responses(spark: Spark, sf: str, cases: dict) -> DataFrame:
 
 
 @query(
-    f"SELECT conv_id || '-' || turn AS question_id, {_pick(list(RANK_CASES.values()))} AS reason, {_pick(['2,1,3', *[None] * 7])} AS permutation FROM conversations"
+    f"SELECT conv_id || '-' || turn AS question_id, {_pick(list(RANK_CASES.values()))} AS reason, {_pick(['2,1,3', *[None] * 23, '3,2,1', *[None] * 3])} AS permutation FROM conversations"
 )
 def parse_rank_response(spark: Spark, sf: str) -> DataFrame:
     found = answers.parse_rank_response(_responses(spark, sf, RANK_CASES))
@@ -210,7 +234,7 @@ def parse_rank_response(spark: Spark, sf: str) -> DataFrame:
 
 
 @query(
-    f"SELECT conv_id || '-' || turn AS question_id, {_pick(list(ANSWER_CASES.values()))} AS reason, {_pick(['A full answer.', '', 'Yes.', *[None] * 9])} AS answer, {_pick(['2,1', '', '1', *[None] * 9])} AS cited FROM conversations"
+    f"SELECT conv_id || '-' || turn AS question_id, {_pick(list(ANSWER_CASES.values()))} AS reason, {_pick([ACCEPTED.get(i, (None,))[0] for i in range(_N)])} AS answer, {_pick([ACCEPTED.get(i, (None, None))[1] for i in range(_N)])} AS cited FROM conversations"
 )
 def parse_answer_response(spark: Spark, sf: str) -> DataFrame:
     found = answers.parse_answer_response(_responses(spark, sf, ANSWER_CASES))
@@ -218,7 +242,7 @@ def parse_answer_response(spark: Spark, sf: str) -> DataFrame:
 
 
 @query(
-    f"SELECT conv_id || '-' || turn AS question_id, {_pick([None, None, 'uninformative', 'malformed', *[None] * 8])} AS why FROM conversations WHERE length(text) % 12 IN (2, 3)"
+    f"SELECT conv_id || '-' || turn AS question_id, {_pick(['uninformative' if i == 2 else 'malformed' if r == 'StructuredJsonMalformed' else None for i, r in enumerate(ANSWER_CASES.values())])} AS why FROM conversations WHERE length(text) % {_N} IN ({', '.join(str(i) for i, r in enumerate(ANSWER_CASES.values()) if i == 2 or r == 'StructuredJsonMalformed')})"
 )
 def needs_retry(spark: Spark, sf: str) -> DataFrame:
     return answers.needs_retry(answers.parse_answer_response(_responses(spark, sf, ANSWER_CASES)))
@@ -234,7 +258,17 @@ def final_responses(spark: Spark, sf: str) -> DataFrame:
 
 
 @query(
-    "SELECT conv_id, turn, regexp_matches(text, '(?i)^\\s*(?:(?:source\\s*#?\\s*)?\\d+|(?:source\\s*)?\\[\\d+\\])\\s*[.!?]?\\s*$') OR regexp_matches(text, '(?i)^\\s*(?:да|нет|yes|no)\\s*[.!?]?\\s*$') AS uninformative FROM conversations"
+    """
+WITH said AS (
+  SELECT conv_id, turn, regexp_replace(lower(regexp_replace(text, '^\\s+|\\s+$', '', 'g')), '\\s*[.!?]$', '') AS t FROM conversations
+), numbers AS (
+  SELECT conv_id, turn, t, CASE WHEN starts_with(t, 'source') THEN ltrim(substr(t, 7), E' \\t\\n\\r') ELSE t END AS r FROM said
+)
+SELECT conv_id, turn, t IN ('yes', 'no', 'да', 'нет')
+  OR (r = t OR NOT starts_with(r, '#')) AND (len(r) > 0 AND translate(r, '0123456789', '') = '' OR regexp_full_match(r, '\\[[0-9]+\\]'))
+  OR r <> t AND starts_with(r, '#') AND regexp_full_match(substr(r, 2), '\\s*[0-9]+') AS uninformative
+FROM numbers
+"""
 )
 def uninformative(spark: Spark, sf: str) -> DataFrame:
     return table(spark, sf, "conversations").select(

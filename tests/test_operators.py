@@ -86,7 +86,7 @@ MEMBERS = """<div class="section"><div class="subsection"><h3>Properties</h3><ta
 
 def test_member_links(spark):
     assert links.member_hrefs(MEMBERS) == ["a.html", "d.html"]
-    assert links.member_hrefs(None) == links.member_hrefs("not valid markup {{{") == []
+    assert links.member_hrefs(None) == links.member_hrefs("no [closing part") == []
     pages = spark.createDataFrame(
         [("https://h.example/d/p.html", MEMBERS), ("https://h.example/d/a.html", "<a")], "url string, html string"
     )
@@ -527,3 +527,54 @@ def test_strip_boilerplate(spark):
         "a<nav>b<nav>c</nav>d</nav>e<input>f", None
     ) == "aef" and blocks.main_html("a<form>b", None) == "a"
     assert blocks.main_html("<a b " * 100_000, None) == "<a b " * 100_000
+
+
+def test_strict_json(spark):
+    """Against the json module, which needs its leniency taken away."""
+    import json
+    import random
+
+    r = random.Random(2)
+    parts = ['{', '}', '[', ']', ',', ':', '"a"', '"b\\n"', '1', '-0', '01', '1.5e3', 'true', 'null', ' ', "'x'", '"', 'NaN', '"\\u00e9"', '\\q']
+
+    def value(depth):
+        kind = r.randint(0, 7 if depth else 5)
+        if kind < 6:
+            return r.choice(['"x"', '""', '"q\\"[{"', '12', '-3.5', 'true', 'false', 'null', '1E+9', '"\\\\"'])
+        inner = [value(depth - 1) for _ in range(r.randint(0, 3))]
+        pad = r.choice(["", " ", "\n"])
+        return f"[{pad}{(pad + ',').join(inner)}]" if kind == 6 else "{" + ",".join(f'"k"{pad}:{x}' for x in inner) + "}"
+
+    texts = [value(4) for _ in range(300)] + ["".join(r.choice(parts) for _ in range(r.randint(1, 7))) for _ in range(1500)]
+    texts += [t + e for t in texts[:60] for e in (" ", "x", "1", ",", "{}", "]")] + ["{'a': 1}", '{"a": 1,}', "[1 2]", '"a\tb"', "", " "]
+    texts += ["[" * 64 + "]" * 64, "[" * 65 + "]" * 65, '{"a":' * 64 + "1" + "}" * 64, '{"a":' * 65 + "1" + "}" * 65]
+    texts += ["[" + "1," * 50_000 + "1]", '["' + "\\n" * 50_000 + '"]', '{"k":' + '"' + "x" * 200_000 + '"}']
+
+    def strict(t):
+        if t.count("[") > 64 and len(t) < 200 or t.count("{") > 64 and len(t) < 900:
+            return None
+
+        def refuse(x):
+            raise ValueError(x)
+
+        try:
+            found = json.loads(t.strip(" \t\r\n"), parse_constant=refuse, object_pairs_hook=lambda p: ("object", [v for _, v in p]))
+        except ValueError:
+            return None
+        sign = lambda v: "\x06" if isinstance(v, tuple) else "\x05" if isinstance(v, list) else "\x04" if v is None else "\x03" if isinstance(v, bool) else "\x01" if isinstance(v, str) else "\x02"
+        return [sign(v) for v in found[1]] if isinstance(found, tuple) else []
+
+    found = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", answers.json_kinds(F.col("t")).alias("k"))
+    got = {x.i: x.k for x in found.collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == strict(t), t[:100]
+    assert answers.json_kinds(F.lit(None).cast("string")) is not None
+
+
+def test_responses_with_odd_rows(spark):
+    rows = [(1, None, 3, 'x'), (2, '{"rankedSourceNumbers": [1]}', 1, 'x'), (3, '{"rankedSourceNumbers": []}', 0, 'x')]
+    table = spark.createDataFrame(rows, "question_id int, content string, source_count int, reason string")
+    assert [(r.reason, r.permutation) for r in answers.parse_rank_response(table).orderBy("question_id").collect()] == [
+        ("Malformed", None), (None, [1]), (None, [])
+    ]
+    assert {r.reason for r in answers.parse_answer_response(table).collect()} == {"MessageContentMissing", "StructuredShapeInvalid"}
