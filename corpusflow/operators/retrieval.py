@@ -1,4 +1,4 @@
-"""Exact and approximate nearest neighbours by cosine similarity, for tables of queries."""
+"""Exact nearest neighbours by cosine similarity, for tables of queries."""
 
 from __future__ import annotations
 
@@ -7,8 +7,6 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -168,92 +166,6 @@ def semantic_search(
     )
 
 
-def train_lists(
-    index: DataFrame, sample: int = 20_000, rows_per_list: int = 8, most: int = 4096, seed: int = 7
-) -> np.ndarray:
-    """Centres of inverted lists, by k-means on a bounded sample of unit vectors: the `sample` rows
-    with the least id hashes. A list for each rows_per_list rows of the sample, `most` at most."""
-    known = index.where("embedding is not null").withColumn("n", norm(F.col("embedding"))).where("n > 0")
-    chosen = known.orderBy(F.xxhash64("chunk_id")).limit(sample)
-    unit = materialize(
-        chosen.select(array_to_vector(F.transform("embedding", lambda x: x / F.col("n"))).alias("features")),
-        "ann-sample"
-    )
-    lists = min(most, max(1, unit.count() // rows_per_list))
-    if unit.isEmpty():
-        return np.zeros((0, 0))
-    centres = np.array(KMeans(k=lists, seed=seed, maxIter=12, initMode="random").fit(unit).clusterCenters())
-    return centres / np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12)
-
-
-def _to_lists(rows: DataFrame, key: str, centres: np.ndarray, probes: int) -> DataFrame:
-    """key, embedding and list, a row for each of the `probes` nearest centres. The centres are a
-    bounded number (see train_lists)."""
-    kind = {f.name: f.dataType.simpleString() for f in rows.schema}
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            unit = _unit(batch.column(1)) if batch.num_rows else np.zeros((0, 1))
-            good = np.flatnonzero(np.isfinite(unit).all(1))
-            if not len(good):
-                continue
-            near = np.argsort(-(unit[good] @ centres.T), axis=1, kind="stable")[:, :probes]
-            at = pa.array(np.repeat(good, near.shape[1]))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(at), batch.column(1).take(at), pa.array(near.ravel().astype(np.int32))],
-                names=[key, "embedding", "list"]
-            )
-
-    return rows.where("embedding is not null").select(key, "embedding").mapInArrow(
-        run, f"{key} {kind[key]}, embedding {kind['embedding']}, list int"
-    )
-
-
-def retrieve_approx(
-    queries: DataFrame, index: DataFrame, k: int, probe_share: float = 0.4, part_rows: int = 8192, digits: int = 6,
-    centres: np.ndarray | None = None
-) -> DataFrame:
-    """Approximate top k by inverted lists: every index row is in the list of its nearest centre, and
-    a query is compared with the rows of its nearest lists, exactly: a share of all lists, which
-    the test vectors, being spread evenly, need to be as large as this for a recall of 0.9.
-
-    Lists of over part_rows rows are cut into parts by hash, so that a hot list is many bounded
-    groups; the queries that probe it go to each part."""
-    centres = train_lists(index) if centres is None else centres
-    kind = {f.name: f.dataType.simpleString() for f in [*queries.schema, *index.schema]}
-    schema = f"query_id {kind['query_id']}, chunk_id {kind['chunk_id']}, similarity double"
-    if not len(centres):
-        return _rank(queries.sparkSession.createDataFrame([], schema), k, digits)
-    rows = materialize(_to_lists(index, "chunk_id", centres, 1), "ann-lists")
-    sizes = materialize(rows.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / part_rows).alias("parts")), "ann-sizes")
-    parts = {r.list: r.parts for r in sizes.collect()}  # a row a list
-    cut = F.create_map(*(x for n, p in parts.items() for x in (F.lit(n), F.lit(int(p)))))
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("chunk_id"), cut[F.col("list")]).cast("int"))
-    asked = _to_lists(
-        queries, "query_id", centres, max(1, round(probe_share * len(centres)))
-    ).withColumn("parts", F.try_element_at(cut, F.col("list"))).where("parts is not null")
-    asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids = left.column("query_id").combine_chunks()
-        found: list[pa.RecordBatch] = []
-        if left.num_rows and right.num_rows:
-            found = list(
-                _scored(
-                    ids, _unit(left.column("embedding")), right.column("chunk_id").combine_chunks(),
-                    _unit(right.column("embedding")), k, None, digits, np.full((len(ids), k), -np.inf)
-                )
-            )
-        names = {
-            "query_id": left.schema.field("query_id").type, "chunk_id": right.schema.field("chunk_id").type,
-            "similarity": pa.float64()
-        }
-        return pa.Table.from_batches(found, pa.schema(names.items()))
-
-    found = asked.groupBy("list", "part").cogroup(rows.groupBy("list", "part")).applyInArrow(run, schema)
-    return _rank(found, k, digits)
-
-
 def ann_recall(approx: DataFrame, exact: DataFrame) -> DataFrame:
     """query_id and recall: the share of the exact chunks that the approximate result has."""
     met = approx.select("query_id", "chunk_id", F.lit(1).alias("met"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusflow.functions import text as T
-from corpusflow.operators import embedding, evaluation, index, retrieval
+from corpusflow.operators import approximate, embedding, evaluation, index, retrieval
 from corpusflow.plans.base import query, table
 from corpusflow.sources.scratch import scratch_path
 
@@ -154,14 +154,14 @@ def index_summary(spark: Spark, sf: str) -> DataFrame:
 
 @query()
 def retrieve_approx(spark: Spark, sf: str) -> DataFrame:
-    return retrieval.retrieve_approx(_queries(spark, sf), _vectors(spark, sf), 5)
+    return approximate.retrieve_approx(_queries(spark, sf), _vectors(spark, sf), 5)
 
 
 @query()
 def ann_recall_of_lists(spark: Spark, sf: str) -> DataFrame:
     """Recall of retrieve_approx against the exact result."""
     return retrieval.ann_recall(
-        retrieval.retrieve_approx(_queries(spark, sf), _vectors(spark, sf), 5), _top(spark, sf, 5, None)
+        approximate.retrieve_approx(_queries(spark, sf), _vectors(spark, sf), 5), _top(spark, sf, 5, None)
     )
 
 
