@@ -1,7 +1,8 @@
 """The vector index: profiles, documents, chunks and embeddings, maintained batch by batch.
 
-All tables but the profiles are cut into buckets by document, so a batch reads and writes only the
-buckets of its own documents (see sources.versions for how a version is published at once).
+The tables are bucketed by their keys, and a batch adds its changes (see sources.snapshots for how a
+version is published at once): it writes in proportion to its own rows, and where it looks known
+rows up by their key, the index isn't moved.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusflow.operators.integrity import check_unique
-from corpusflow.sources import versions
+from corpusflow.sources import snapshots
 from corpusflow.sources.scratch import materialize
 
 TABLES = ("profiles", "documents", "chunks", "embeddings")
@@ -74,44 +75,27 @@ def next_snapshot(old: dict[str, DataFrame], batch: dict[str, DataFrame]) -> dic
     }
 
 
-def _columns(table: DataFrame) -> str:
-    return ", ".join(f"{name} {kind}" for name, kind in table.drop("bucket").dtypes)
+def read_snapshot(spark: SparkSession, root: str, schemas: dict[str, str] | None = None) -> dict[str, DataFrame]:
+    """The tables as last published."""
+    found = snapshots.pointer(spark, root)
+    return {t: snapshots.read(spark, found.get(t, []), KEYS[t], (schemas or {}).get(t)) for t in TABLES}
 
 
-def _bucketed(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """Tables with their rows' buckets; embeddings have those of their chunks' documents."""
-    chunks = tables["chunks"].withColumn("bucket", versions.bucket_of(F.col("document_id")))
-    return {
-        "profiles": tables["profiles"].withColumn("bucket", F.lit(0)),
-        "documents": tables["documents"].withColumn("bucket", versions.bucket_of(F.col("document_id"))),
-        "chunks": chunks,
-        "embeddings": tables["embeddings"].join(chunks.select("chunk_id", "bucket").hint("merge"), "chunk_id"),
-    }
-
-
-def read_snapshot(
-    spark: SparkSession, root: str, schemas: dict[str, str] | None = None, only: list[int] | None = None
-) -> dict[str, DataFrame]:
-    """The tables as last published (or their buckets in `only`; profiles always whole)."""
-    found = versions.pointers(spark, root)
-    return {
-        t: versions.read(spark, found, t, (schemas or {}).get(t), None if t == "profiles" else only) for t in TABLES
-    }
-
-
-def publish_snapshot(spark: SparkSession, root: str, tables: dict[str, DataFrame], version: int) -> None:
-    """Publishes whole tables as a version of an index that has none yet."""
-    everything = list(range(versions.BUCKETS))
-    versions.publish(
-        spark, root, version, _bucketed(tables), {t: [0] if t == "profiles" else everything for t in TABLES}
-    )
+def publish_snapshot(
+    spark: SparkSession, root: str, tables: dict[str, DataFrame], version: int,
+    bucket_bytes: int = snapshots.BUCKET_BYTES
+) -> None:
+    """Publishes whole tables as a version: bases with a bucket for each bucket_bytes."""
+    parts = {t: [snapshots.write_base(tables[t], root, t, KEYS[t], bucket_bytes)] for t in TABLES}
+    snapshots.publish(spark, root, version, parts)
 
 
 def apply_index_batch(
     spark: SparkSession, root: str, batch: dict[str, DataFrame], violations: list[DataFrame], version: int
 ) -> None:
-    """Publishes the version after a batch, which rewrites the buckets of the batch's documents only.
-    With any violation, or a key that repeats or is null, nothing is published."""
+    """Publishes the version after a batch, which adds folders of changes: the batch's rows, and the
+    keys of its documents' chunks that aren't current, with their embeddings. With any violation, or
+    a key that repeats or is null, nothing is published."""
     rows = [check_unique(batch[t], keys, f"repeated_{t}") for t, keys in KEYS.items()]
     rows += [
         batch[t].where(" or ".join(f"{k} is null" for k in keys)).select(
@@ -123,9 +107,31 @@ def apply_index_batch(
     first = reduce(DataFrame.unionByName, [*violations, *rows]).limit(1).collect()
     if first:
         raise ValueError(f"batch rejected: {first[0].rule} {first[0].key}")
-    schemas = {t: _columns(batch[t]) for t in TABLES}
-    documents = batch["documents"].withColumn("bucket", versions.bucket_of(F.col("document_id")))
-    touched = versions.touched_by(documents)
-    after = next_snapshot(read_snapshot(spark, root, schemas, touched), batch)
-    after["chunks"] = materialize(after["chunks"], "index-chunks")
-    versions.publish(spark, root, version, _bucketed(after), {t: [0] if t == "profiles" else touched for t in TABLES})
+    found = snapshots.pointer(spark, root)
+    if not found:
+        return publish_snapshot(spark, root, batch, version)
+    known = lambda t, some, by: snapshots.known(spark, found[t], KEYS[t], some, by)
+    documents = batch["documents"]
+    old = known("documents", documents, ["document_id"]).select("document_id", F.col("created_at").alias("__created"))
+    stamped = documents.join(old.hint("merge"), "document_id", "left").withColumn(
+        "created_at", F.coalesce("__created", "updated_at")
+    ).select(*documents.columns)
+    stale = known("chunks", documents, ["document_id"]).select("chunk_id").join(
+        batch["chunks"].select("chunk_id").hint("merge"), "chunk_id", "left_anti"
+    )
+    stale = materialize(stale, "stale-chunks")
+    lost = known("embeddings", stale, ["chunk_id"]).select(*KEYS["embeddings"]).join(
+        batch["embeddings"].select(*KEYS["embeddings"]).hint("merge"), KEYS["embeddings"], "left_anti"
+    )
+    made = {
+        "profiles": snapshots.write_changes(batch["profiles"], root, "profiles"),
+        "documents": snapshots.write_changes(stamped, root, "documents"),
+        "chunks": snapshots.write_changes(batch["chunks"], root, "chunks", stale),
+        "embeddings": snapshots.write_changes(batch["embeddings"], root, "embeddings", lost),
+    }
+    snapshots.publish(spark, root, version, {t: [*found[t], made[t]] for t in TABLES})
+
+
+def compact_index(spark: SparkSession, root: str, version: int) -> None:
+    """A version with the same rows and no changes beside the bases."""
+    snapshots.compact(spark, root, version, KEYS)

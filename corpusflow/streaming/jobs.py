@@ -8,33 +8,36 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from corpusflow.operators.ingest import classify_changes, last_arrival, merge_manifest
-from corpusflow.sources import versions
+from corpusflow.sources import snapshots
 from corpusflow.sources.scratch import materialize
 
 MANIFEST = "document_id string, canonical_url string, title string, content_hash string, retrieved_at timestamp, file_name string"
 
 
-def read_manifest(
-    spark: SparkSession, root: str, before: int | None = None, only: list[int] | None = None
-) -> DataFrame:
-    """The manifest after the last batch (or the last before a given one), or some of its buckets;
-    empty at first."""
-    return versions.read(spark, versions.pointers(spark, root, before), "manifest", MANIFEST, only)
+KEY = ["document_id"]
+
+
+def read_manifest(spark: SparkSession, root: str, before: int | None = None) -> DataFrame:
+    """The manifest after the last batch (or the last before a given one); empty at first."""
+    return snapshots.read(spark, snapshots.pointer(spark, root, before).get("manifest", []), KEY, MANIFEST)
 
 
 def ingest_batch(incoming: DataFrame, batch: int, root: str) -> None:
-    """Writes the changes of one batch, and those buckets of the manifest that have its documents.
-    A replayed batch overwrites itself; its pointers are the last write."""
+    """Writes the changes of one batch, and its documents' rows of the manifest beside the rows that
+    are there. A replayed batch overwrites itself; its pointer is the last write."""
     spark = incoming.sparkSession
-    latest = materialize(
-        last_arrival(incoming, "retrieved_at").withColumn("bucket", versions.bucket_of(F.col("document_id"))),
-        "stream-batch"
-    )
-    touched = versions.touched_by(latest)
-    manifest, latest = read_manifest(spark, root, batch, touched), latest.drop("bucket")
+    latest = materialize(last_arrival(incoming, "retrieved_at"), "stream-batch")
+    held = snapshots.pointer(spark, root, batch).get("manifest", [])
+    manifest = materialize(snapshots.known(spark, held, KEY, latest, KEY, MANIFEST), "stream-known")
     classify_changes(manifest, latest).select("document_id", "change").write.mode("overwrite").parquet(f"{root}/changes/batch={batch}")
-    after = merge_manifest(manifest, latest).withColumn("bucket", versions.bucket_of(F.col("document_id")))
-    versions.publish(spark, root, batch, {"manifest": after}, {"manifest": touched})
+    after = merge_manifest(manifest, latest)
+    made = snapshots.write_changes(after, root, "manifest") if held else snapshots.write_base(after, root, "manifest", KEY)
+    snapshots.publish(spark, root, batch, {"manifest": [*held, made]})
+
+
+def compact_manifest(spark: SparkSession, root: str, batch: int) -> None:
+    """The same manifest as one base, published as a batch of its own, between two runs."""
+    snapshots.compact(spark, root, batch, {"manifest": KEY})
 
 
 def stream_ingest_changes(pages: DataFrame, root: str, checkpoint: str, first_batch: int = 0) -> StreamingQuery:

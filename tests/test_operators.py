@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from corpusflow.functions import text as T
 from corpusflow.functions.urls import Rules, resolve_url, url_allowed
 from corpusflow.operators import answers, approximate, blocks, chunking, embedding, evaluation, index, ingest, links, retrieval
-from corpusflow.sources import corpus
+from corpusflow.sources import corpus, snapshots
 from corpusflow.streaming import jobs
 
 
@@ -429,7 +429,7 @@ def files_of(root):
     return {str(p.relative_to(root)) for p in Path(root).rglob("*.parquet")}
 
 
-def test_small_batch_rewrites_its_buckets_only(spark, tmp_path):
+def test_small_batch_writes_its_own_rows_only(spark, tmp_path):
     root, n = str(tmp_path / "index"), 300
     docs = spark.createDataFrame(
         [(f"d{i}", "h", 1, 1) for i in range(n)],
@@ -442,7 +442,7 @@ def test_small_batch_rewrites_its_buckets_only(spark, tmp_path):
     vectors = rows.select("chunk_id", F.lit("p").alias("profile_key"), F.array(F.lit(1.0)).alias("embedding"))
     profiles = spark.createDataFrame([("p", 1)], "profile_key string, dimension int")
     index.publish_snapshot(
-        spark, root, {"profiles": profiles, "documents": docs, "chunks": rows, "embeddings": vectors}, 1
+        spark, root, {"profiles": profiles, "documents": docs, "chunks": rows, "embeddings": vectors}, 1, bucket_bytes=4000
     )
     before = files_of(root)
     batch = {
@@ -451,9 +451,8 @@ def test_small_batch_rewrites_its_buckets_only(spark, tmp_path):
     }
     index.apply_index_batch(spark, root, batch, [], 2)
     new = files_of(root) - before
-    assert sorted({p.split("-")[0] for p in new if "=" in p}) == [
-        "chunks", "documents", "embeddings", "profiles"
-    ] and len({p.rpartition("/")[0] for p in new if "=" in p}) == 4
+    assert before < files_of(root) and {p.split("-")[0].split("/")[0] for p in new} == {"chunks", "documents", "embeddings", "profiles", "pointer"}
+    assert sum((Path(root) / p).stat().st_size for p in new) < 40_000
     after = index.read_snapshot(spark, root)
     assert after["documents"].count() == n and after["documents"].where("updated_at = 2").select("document_id", "created_at").collect() == [("d7", 1)]
     assert {
@@ -468,17 +467,50 @@ def test_small_batch_rewrites_its_buckets_only(spark, tmp_path):
         )
     gone = batch | {"chunks": batch["chunks"].where("false"), "embeddings": batch["embeddings"].where("false")}
     index.apply_index_batch(spark, root, gone, [], 3)
-    assert index.read_snapshot(spark, root)["chunks"].count() == 2 * n - 2
-
-
-def test_manifest_batches_touch_their_buckets(spark, tmp_path):
+    assert index.read_snapshot(spark, root)["chunks"].count() == index.read_snapshot(spark, root)["embeddings"].count() == 2 * n - 2
+    index.apply_index_batch(spark, root, batch, [], 4)
+    rows_of = lambda: {t: sorted(map(str, d.collect())) for t, d in index.read_snapshot(spark, root).items()}
+    held = rows_of()
+    assert len(held["chunks"]) == 2 * n - 1
+    index.compact_index(spark, root, 5)
+    assert rows_of() == held and all(len(p) == 1 for p in snapshots.pointer(spark, root).values())
+    assert snapshots.vacuum(spark, root, keep=1) > 8 and rows_of() == held
+
+
+def test_index_side_of_joins_has_no_exchange(spark, tmp_path):
+    root, n = str(tmp_path / "t"), 4000
+    rows = spark.range(n).select(F.col("id").cast("string").alias("document_id"), F.lit("x").alias("v"))
+    part = snapshots.write_base(rows, root, "documents", ["document_id"], bucket_bytes=4000)
+    assert part.buckets > 4
+    change = snapshots.write_changes(rows.where("document_id < '2'").withColumn("v", F.lit("y")), root, "documents", rows.where("document_id = '77'").select("document_id"))
+    snapshots.publish(spark, root, 1, {"documents": [part, change]})
+    parts = snapshots.pointer(spark, root)["documents"]
+    found = snapshots.known(spark, parts, ["document_id"], rows.where("document_id like '1%'"), ["document_id"])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    scan = next(line for line in plan.splitlines() if "Bucketed: true" in line)
+    above = plan.splitlines()[: plan.splitlines().index(scan)]
+    # From the scan up to its join there are filters, projections and perhaps a sort, but no exchange.
+    depth = lambda line: len(line) - len(line.lstrip(" :+-*(0123456789)"))
+    near, at = [], depth(scan)
+    for line in reversed(above):
+        if depth(line) < at:
+            near.append(line)
+            at = depth(line)
+    joins = [i for i, line in enumerate(near) if "SortMergeJoin" in line]
+    assert joins and not any("Exchange" in line for line in near[: joins[0]])
+    whole = snapshots.read(spark, parts, ["document_id"])
+    assert whole.count() == n - 1 and whole.where("v = 'y'").count() == rows.where("document_id < '2'").count()
+
+
+def test_manifest_batches_write_their_own_rows(spark, tmp_path):
     root, schema = str(tmp_path / "m"), jobs.MANIFEST.rpartition(",")[0]
     jobs.ingest_batch(spark.createDataFrame([(f"d{i}", "u", "t", "h", None) for i in range(200)], schema), 0, root)
     before = files_of(root)
     jobs.ingest_batch(
         spark.createDataFrame([("d3", "u", "t", "h2", None), ("new", "u", "t", "h", None)], schema), 1, root
     )
-    assert len({p.rpartition("/")[0] for p in files_of(root) - before if p.startswith("manifest")}) <= 2
+    new = [p for p in files_of(root) - before if p.startswith("manifest")]
+    assert before < files_of(root) and sum(spark.read.parquet(f"{root}/{p}").count() for p in new) == 2
     assert jobs.read_manifest(spark, root).count() == 201 and jobs.read_manifest(spark, root, before=1).count() == 200
     assert sorted(
         (r.document_id, r.change) for r in spark.read.parquet(f"{root}/changes/batch=1").collect()
