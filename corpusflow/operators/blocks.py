@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -46,30 +47,39 @@ class Node:
 
 
 class _Tree(HTMLParser):
+    """open: how many elements of each name are open, so that end tags without a start cost nothing."""
+
     def __init__(self):
         super().__init__()
         self.root = self.at = Node("", {})
+        self.open: Counter[str] = Counter()
+
+    def _up_to(self, node):
+        while self.at is not node:
+            self.open[self.at.tag] -= 1
+            self.at = self.at.parent
 
     def handle_starttag(self, tag, attrs):
-        if tag in CLOSES_P:  # an open paragraph ends, whatever inline elements are open in it
+        if tag in CLOSES_P and self.open["p"] > 0:  # an open paragraph ends, whatever inline elements are open in it
             node = self.at
             while node is not None and node.tag not in CONTAINERS and node.tag != "p":
                 node = node.parent
             if node is not None and node.tag == "p":
-                self.at = node.parent
+                self._up_to(node.parent)
         if tag == "li" and self.at.tag == "li":
-            self.at = self.at.parent
+            self._up_to(self.at.parent)
         node = Node(tag, dict(attrs), self.at)
         self.at.children.append(node)
         if tag not in VOID:
             self.at = node
+            self.open[tag] += 1
 
     def handle_endtag(self, tag):
-        node = self.at
-        while node is not None and node.tag != tag:
-            node = node.parent
-        if node is not None and node.parent is not None:
-            self.at = node.parent
+        if self.open[tag] > 0:
+            node = self.at
+            while node.tag != tag:
+                node = node.parent
+            self._up_to(node.parent)
 
     def handle_data(self, data):
         self.at.children.append(data)
@@ -179,18 +189,19 @@ def page_blocks(html: str | None, container: str | None = "section") -> list[tup
 
 
 def html_blocks(pages: DataFrame, key: str = "document_id", container: str | None = "section") -> DataFrame:
-    """key, pos, kind, level and text of every block; a page without its container has one row
-    of kind error. The only Python of this stage; text is normalised by expressions."""
+    """key, pos, kind, level and text of every block; a page without its container, or one that the
+    parser refuses, has one row of kind error. The only Python of this stage; text is normalised by expressions."""
     kind = pages.schema[key].dataType.simpleString()
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in parts:
             rows = []
             for name, html in zip(frame[key], frame["html"], strict=True):
-                found = page_blocks(html, container)
-                rows += [
-                    (name, 0, "error", 0, "main content not found")
-                ] if found is None else [(name, i, *b) for i, b in enumerate(found)]
+                try:
+                    found, why = page_blocks(html, container), "main content not found"
+                except (AssertionError, ValueError):  # what the parser raises on broken declarations
+                    found, why = None, "page can't be parsed"
+                rows += [(name, 0, "error", 0, why)] if found is None else [(name, i, *b) for i, b in enumerate(found)]
             yield pd.DataFrame(rows, columns=[key, "pos", "kind", "level", "raw"])
 
     blocks = pages.select(key, "html").mapInPandas(run, f"{key} {kind}, pos int, kind string, level int, raw string")
@@ -211,9 +222,11 @@ def html_blocks(pages: DataFrame, key: str = "document_id", container: str | Non
     return blocks.select(key, "pos", "kind", "level", text.otherwise(F.col("clean")).alias("text"))
 
 
+_ATTRIBUTES = r"(?:[^<>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+"
+#: A comment, or a tag; an element of plain text is taken up to the end tag of its name.
 TAG = re.compile(
-    r"<!--.*?-->|<(?P<close>/)?(?P<name>[a-zA-Z][^\s/<>]*+)(?P<attrs>(?:[^<>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>",
-    re.S
+    rf"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|textarea|title)(?P<own>(?:\s{_ATTRIBUTES})?)>.*?(?=</(?P=raw)\b|\Z)"
+    rf"|<(?P<close>/)?(?P<name>[a-zA-Z][^\s/<>]*+)(?P<attrs>{_ATTRIBUTES})>", re.S | re.I
 )
 ATTRIBUTE = re.compile(r"\b(class|id)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 
@@ -221,15 +234,19 @@ ATTRIBUTE = re.compile(r"\b(class|id)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 def _attribute(tag: re.Match, name: str) -> set[str]:
     return {
         x for kind,
-        value in ATTRIBUTE.findall(tag["attrs"] or "") if kind.lower() == name for x in value.strip("\"'").split()
+        value in ATTRIBUTE.findall(tag["attrs"] or tag["own"] or "") if kind.lower() == name for x in value.strip("\"'").split()
     }
 
 
+def _name(tag: re.Match) -> str:
+    return (tag["name"] or tag["raw"] or "").lower()
+
+
 def _element(html: str, test, at: int, stop: int) -> tuple[int, int] | None:
     """Start and end of the inside of the first element from at on whose tag passes the test."""
     name, start, depth = "", 0, 0
     for tag in TAG.finditer(html, at, stop):
-        own = (tag["name"] or "").lower()
+        own = _name(tag)
         if not depth and own and not tag["close"] and own not in VOID and test(tag):
             name, start, depth = own, tag.end(), 1
         elif depth and own == name:
@@ -249,19 +266,32 @@ def main_html(html: str | None, container: str | None = "section") -> str | None
         place = place and _element(html, lambda t: container in _attribute(t, "class"), *place)
         if place is None:
             return None
-    (at, stop), out, skip, depth = place, [], None, 0
+    (at, stop), out, skip = place, [], None
+    around: Counter[str] = Counter()  # open elements that are kept
+    within: Counter[str] = Counter()  # open ones of the noise element
     for tag in TAG.finditer(html, at, stop):
-        name = (tag["name"] or "").lower()
-        if skip is None:
-            if name and not tag["close"] and (name in SKIP or _attribute(tag, "class") & SKIP_CLASSES):
-                out.append(html[at : tag.start()])
-                at = tag.end()
-                if name not in VOID:
-                    skip, depth = name, 1
-        elif name == skip:
-            depth += -1 if tag["close"] else 1
-            if not depth:
-                skip, at = None, tag.end()
+        name = _name(tag)
+        if not name:
+            continue
+        if skip is not None:
+            if not tag["close"]:
+                within[name] += name not in VOID
+            elif within[name] > 0:
+                within[name] -= 1
+                if name == skip and not within[name]:
+                    skip, at = None, tag.end()
+            elif around[name] > 0:  # the end of what holds a noise element that has no end
+                skip, at = None, tag.start()
+                around[name] -= 1
+        elif tag["close"]:
+            around[name] -= around[name] > 0
+        elif name in SKIP or _attribute(tag, "class") & SKIP_CLASSES:
+            out.append(html[at : tag.start()])
+            at = tag.end()
+            if name not in VOID:
+                skip, within = name, Counter({name: 1})
+        else:
+            around[name] += name not in VOID
     return "".join(out) + (html[at:stop] if skip is None else "")
 
 

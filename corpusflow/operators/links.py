@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html as entities
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -18,11 +19,11 @@ MEMBER_HEADINGS = ("propert", "constructor", "operator", "method")
 
 
 def all_links(pages: DataFrame) -> DataFrame:
-    """url and target of every distinct anchor of a page, made absolute; no Python."""
+    """url and target of every distinct anchor of a page, character references decoded, made absolute."""
     href = F.regexp_extract_all("html", F.lit(r"(?i)<a\s[^>]*?href\s*=\s*[\"']([^\"']*)[\"']"), F.lit(1))
     found = pages.select("url", F.explode(href).alias("href"))
     return found.select(
-        "url", resolve_url(F.col("url"), F.col("href")).alias("target")
+        "url", resolve_url(F.col("url"), decode_entities(F.col("href"))).alias("target")
     ).where("target is not null").distinct()
 
 
@@ -36,6 +37,8 @@ class _Members(HTMLParser):
         super().__init__()
         self.stack: list[dict] = []
         self.main = False
+        self.open: Counter[str] = Counter()  # by name, and of list tables and nested subsections
+        self.headings: list[list[str]] = []
         self.subsection: dict | None = None
         self.links: list[str] = []
 
@@ -54,22 +57,31 @@ class _Members(HTMLParser):
             if self.subsection["heading"] is None and (tag in ("h2", "h3", "h4") or "subsection-title" in names):
                 node["heading"] = []
             node["list"] = tag == "table" and "list" in names
-            inside = [n for n in self.stack if n.get("list") or n.get("nested")]
-            if tag == "a" and attrs.get("href") and any(n.get("list") for n in inside) and not any(n.get("nested") for n in inside):
+            if tag == "a" and attrs.get("href") and self.open["<list>"] and not self.open["<nested>"]:
                 self.subsection["links"].append(attrs["href"].strip())
         if tag not in ("area", "base", "br", "col", "hr", "img", "input", "link", "meta", "wbr"):
             self.stack.append(node)
+            self._count(node, 1)
+            if "heading" in node:
+                self.headings.append(node["heading"])
+
+    def _count(self, node, n):
+        self.open[node["tag"]] += n
+        self.open["<list>"] += n * bool(node.get("list"))
+        self.open["<nested>"] += n * bool(node.get("nested"))
 
     def handle_data(self, data):
-        for node in self.stack:
-            if "heading" in node:
-                node["heading"].append(data)
+        for heading in self.headings:
+            heading.append(data)
 
     def handle_endtag(self, tag):
-        if not any(n["tag"] == tag for n in self.stack):
+        if not self.open[tag]:
             return
         while True:
             node = self.stack.pop()
+            self._count(node, -1)
+            if "heading" in node:
+                self.headings.pop()
             if "heading" in node and self.subsection is not None and self.subsection["heading"] is None:
                 self.subsection["heading"] = " ".join("".join(node["heading"]).split()).lower()
             if "subsection" in node:

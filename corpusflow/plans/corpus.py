@@ -85,7 +85,7 @@ def exact_duplicates(spark: Spark, sf: str) -> DataFrame:
     return ingest.exact_duplicates(table(spark, sf, "documents"), "doc_id", F.sha2("text", 256))
 
 
-ANCHORS = r"anchors AS (SELECT DISTINCT url, CASE WHEN h LIKE 'http%://%' THEN h WHEN h LIKE '/%' THEN regexp_extract(url, '^[a-z]+://[^/?#]*') || h END AS target FROM (SELECT url, unnest(regexp_extract_all(html, '(?i)<a\s[^>]*?href\s*=\s*[\x22'']([^\x22'']*)[\x22'']', 1)) AS h FROM pages))"
+ANCHORS = r"anchors AS (SELECT DISTINCT url, CASE WHEN h LIKE 'http%://%' THEN h WHEN h LIKE '/%' THEN regexp_extract(url, '^[a-z]+://[^/?#]*') || h END AS target FROM (SELECT url, replace(replace(replace(replace(replace(unnest(regexp_extract_all(html, '(?i)<a\s[^>]*?href\s*=\s*[\x22'']([^\x22'']*)[\x22'']', 1)), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#39;', chr(39)), '&amp;', '&') AS h FROM pages))"
 
 
 @query(f"WITH {ANCHORS} SELECT url, target FROM anchors")

@@ -623,3 +623,25 @@ def test_responses_with_odd_rows(spark):
         ("Malformed", None), (None, [1]), (None, [])
     ]
     assert {r.reason for r in answers.parse_answer_response(table).collect()} == {"MessageContentMissing", "StructuredShapeInvalid"}
+
+
+def test_odd_mark_up_is_read_in_linear_time(spark):
+    import time
+
+    main = lambda x: blocks.main_html(x, None)
+    assert main("<script>x='<script>'</script><p>b</p>") == "<p>b</p>"
+    assert main("<div><header>menu<p>x</div><p>b</p>") == "<div></div><p>b</p>"
+    assert main("<style>a > b {}</STYLE><p>b</p><textarea><p></textarea>c") == "<p>b</p>c"
+    assert main("<nav><nav>x</nav>y</nav>z<!-- <nav> -->w") == "z<!-- <nav> -->w"
+    pages = spark.createDataFrame([("a", "<p>a</p><![foo[ x ]]><p>b</p>"), ("b", "<p>fine</p>")], "document_id string, html string")
+    rows = [(r.document_id, r.kind, r.text) for r in blocks.html_blocks(pages, container=None).orderBy("document_id", "pos").collect()]
+    assert rows in ([("a", "error", "page can't be parsed"), ("b", "paragraph", "fine")], [("a", "paragraph", "a"), ("a", "paragraph", "b"), ("b", "paragraph", "fine")])
+    for read, text in (
+        (main, "<!--" * 200_000), (main, "<script>" * 100_000), (blocks.page_blocks, "<b>" * 40_000 + "</x>" * 40_000),
+        (links.member_hrefs, "<div>" * 40_000 + "x</y>" * 40_000)
+    ):
+        began = time.time()
+        read(text)
+        assert time.time() - began < 5
+    page = spark.createDataFrame([("https://a.b/c", "<a href='/x?a=1&amp;b=2'>x</a>")], "url string, html string")
+    assert [r.target for r in links.all_links(page).collect()] == ["https://a.b/x?a=1&b=2"]
