@@ -6,9 +6,11 @@ start of the path. Both pages' text lines (blocks) are aligned by
 longest common subsequence and the shared lines, which a site's template repeats, are deleted.
 What the mark-up says is checked next: lines in menus, headers, footers, sidebars, notices,
 adverts, forms, scripts, styles and comments go even if they are unique. Lines inside an <article>
-or <main> (the core) are aligned with the neighbour's core, and go if shared, unless they make up
-most of both cores' text, for copies of an article are no template. If a page has a core, lines
-outside it go, unless the core holds under CORE_SHARE of what the page has for itself.
+or <main> are the core. An article's lines and those in elements of prose (headings, paragraphs,
+list items, cells and the like) stay even if the neighbour has them too, for texts quote each other.
+Other lines of a <main>, in plain containers, are aligned with the neighbour's core, and go if
+shared, unless they make up most of both cores' text, for copies are no template. If a page has a
+core, lines outside it go, unless the core holds under CORE_SHARE of what the page has for itself.
 
 Defined results: a null or empty html gives an empty text; a page alone on its host has no
 neighbour, nor have pages whose host has only copies of them, so only the mark-up decides; pages with equal URLs are ordered by page_id; unclosed
@@ -40,6 +42,10 @@ BLOCKS = set(
 )
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
+#: Elements whose lines are text of the page rather than of its site's frame, if they are in its core.
+PROSE = HEADINGS | set("article blockquote caption dd dt figcaption li p pre summary td th".split())
+#: Kinds of lines.
+NOISY, LOOSE, FRAME, TEXT = range(4)
 #: Words of class and id names that mark noise, and words that may stand beside them in a name:
 #: "ad-slot" and "comment-list" are marks, "related-work" and "share-prices" aren't.
 MARKS = set(
@@ -96,7 +102,8 @@ def _noisy(name: str, attrs: str, inside: bool) -> bool:
 
 
 def page_lines(html: str | None) -> tuple[list[str], list[int]]:
-    """Text blocks in page order, and for each 2 in main mark-up, 1 in none, 0 in noise."""
+    """Text blocks in page order, and for each its kind: NOISY, LOOSE (in no core), or in a core FRAME
+    (in plain containers) or TEXT (in an article, or an element of prose)."""
     lines: list[str] = []
     kinds: list[int] = []
     held: list[str] = []
@@ -108,7 +115,8 @@ def page_lines(html: str | None) -> tuple[list[str], list[int]]:
         held.clear()
         if text:
             lines.append(text)
-            kinds.append(0 if noise else 2 if main else 1)
+            prose = main and any(open_at.get(x) for x in PROSE)
+            kinds.append(NOISY if noise else TEXT if prose else FRAME if main else LOOSE)
 
     open_at: dict[str, list[int]] = {}  # places in the stack by name
     blocks: list[int] = []  # places of block elements
@@ -237,11 +245,13 @@ def common_lines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def template_lines(
     a: np.ndarray, kinds: np.ndarray, sizes: np.ndarray, b: np.ndarray, their_kinds: np.ndarray, their_sizes: np.ndarray
 ) -> np.ndarray:
-    """Numbers of the core lines of a page that its neighbour repeats in its core (or, without
+    """Numbers of the FRAME lines of a page that its neighbour repeats in its core (or, without
     one, unmarked); none if they are most of both cores' text. a, b: the pages' line hashes."""
-    core = np.flatnonzero(kinds == 2)
-    theirs = their_kinds == (2 if (their_kinds == 2).any() else 1)
+    core = np.flatnonzero(kinds >= FRAME)
+    theirs = their_kinds >= FRAME
+    theirs = theirs if theirs.any() else their_kinds == LOOSE
     met = core[common_lines(a[core], b[theirs])]
+    met = met[kinds[met] == FRAME]
     both = 2 * sizes[met].sum()
     copied = both > sizes[core].sum() and both > their_sizes[theirs].sum()
     return met[:0] if copied else met
@@ -250,10 +260,10 @@ def template_lines(
 def main_lines(lines: list[str], kinds: list[int], shared: set[int], template: set[int]) -> list[str]:
     """The lines that stay. shared: lines in common with the neighbour; template: core lines
     that its template repeats."""
-    core = [i for i, k in enumerate(kinds) if k == 2 and i not in template]
-    loose = [i for i, k in enumerate(kinds) if k == 1 and i not in shared]
+    core = [i for i, k in enumerate(kinds) if k >= FRAME and i not in template]
+    loose = [i for i, k in enumerate(kinds) if k == LOOSE and i not in shared]
     inside, outside = (sum(len(lines[i]) for i in x) for x in (core, loose))
-    if 2 in kinds and inside >= CORE_SHARE * (inside + outside):
+    if any(k >= FRAME for k in kinds) and inside >= CORE_SHARE * (inside + outside):
         loose = []
     return [lines[i] for i in sorted(core + loose)]
 

@@ -12,6 +12,7 @@ columns are ignored, whatever their names.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -23,10 +24,24 @@ from pyspark.sql import functions as F
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How the vocabulary's makers cut text before pairs are merged (a fixed value of the format).
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: White space of PATTERN, in runs too long for the library's matcher, which nests with their length.
+LONG_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{1000,}")
 #: Lengths of one bucket: suffix sums are taken over buckets, then within each.
 BUCKET = 1024
 
 
+def encoded_length(coder: tiktoken.Encoding, text: str) -> int:
+    """Tokens of a text. PATTERN takes a run of white space as one unit, but for its last character
+    if something follows; so long runs are cut out at these places and merged on their own."""
+    total, at = 0, 0
+    for run in LONG_SPACE.finditer(text):
+        end = run.end() if run.end() == len(text) else run.end() - 1
+        total += len(coder.encode_ordinary(text[at : run.start()]))
+        total += len(coder._encode_single_piece(text[run.start() : end]))
+        at = end
+    return total + len(coder.encode_ordinary(text[at:]))
+
+
 def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """doc_id and n_tokens of every document. The vocabulary is read on the driver and sent to
     the tasks; it has a fixed size of under 1 MB."""
@@ -36,7 +51,7 @@ def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, sent.value.splitlines())}
         coder = tiktoken.Encoding("counts", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         for batch in batches:
-            counts = [len(coder.encode_ordinary(x.as_py() or "")) for x in batch.column(1)]
+            counts = [encoded_length(coder, x.as_py() or "") for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(counts, pa.int64())], names=["doc_id", "n_tokens"]
             )
