@@ -2,7 +2,8 @@
 
 A block is a line, or as many consecutive words as a template has that cross a line end, so that
 statements which wrap are found. It meets a template if it has at least `threshold` of the template's
-distinct words. The words of all templates are put into one global order, rarest in the corpus
+distinct words, and all those that tell its license from others. A line counts whole, however long it
+is and wherever in it the words stand. The words of all templates are put into one global order, rarest in the corpus
 first. A block that meets a template T must have one of T's first |T| - need + 1 words (prefix
 filter), at least need words of the templates' vocabulary (length filter), and enough words of
 either side from the first common one on (positional filter); what is left is verified by
@@ -34,8 +35,12 @@ PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc
 
 @dataclass(frozen=True)
 class Template:
+    """A statement of a license. must: words without which a block is another license's, however
+    many of the others it has; short statements differ in nothing else."""
+
     label: str
     text: str
+    must: tuple[str, ...] = ()
 
     @property
     def words(self) -> list[str]:
@@ -45,17 +50,23 @@ class Template:
 #: Usual statements of public licenses and sentences of their notices as published, in
 #: lower-case words.
 TEMPLATES = (
-    Template("gpl-3", "this work is licensed under the gnu general public license version 3"),
-    Template("apache-2.0", "licensed under the apache license version 2 0"),
-    Template("mit", "released under the mit license"),
-    Template("cc-by-nc", "licensed under cc by nc 4 0"),
-    Template("cc-by-sa", "licensed under cc by sa 4 0"),
-    Template("cc-by", "licensed under the creative commons attribution license"),
+    Template("gpl-3", "this work is licensed under the gnu general public license version 3", ("gnu", "general", "public")),
+    Template("apache-2.0", "licensed under the apache license version 2 0", ("apache",)),
+    Template("mit", "released under the mit license", ("mit",)),
+    Template("bsd", "released under the bsd license", ("bsd",)),
+    Template("gpl", "released under the gpl license", ("gpl",)),
+    Template("cc-by", "licensed under cc by 4 0", ("cc", "by")),
+    Template("cc-by-nc", "licensed under cc by nc 4 0", ("cc", "by", "nc")),
+    Template("cc-by-nd", "licensed under cc by nd 4 0", ("cc", "by", "nd")),
+    Template("cc-by-sa", "licensed under cc by sa 4 0", ("cc", "by", "sa")),
+    Template("cc-by-nc-nd", "licensed under cc by nc nd 4 0", ("cc", "by", "nc", "nd")),
+    Template("cc-by-nc-sa", "licensed under cc by nc sa 4 0", ("cc", "by", "nc", "sa")),
+    Template("cc-by", "licensed under the creative commons attribution license", ("creative", "commons", "attribution")),
     Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
     Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted"),
-    Template("lgpl", "this library is free software under the gnu lesser general public license"),
-    Template("mpl", "subject to the terms of the mozilla public license v 2 0"),
-    Template("all-rights-reserved", "all rights reserved no part may be reproduced"),
+    Template("lgpl", "this library is free software under the gnu lesser general public license", ("lesser",)),
+    Template("mpl", "subject to the terms of the mozilla public license v 2 0", ("mozilla",)),
+    Template("all-rights-reserved", "all rights reserved no part may be reproduced", ("rights", "reserved")),
     Template(
         "gpl",
         "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"
@@ -90,7 +101,8 @@ TEMPLATES = (
     ),
     Template(
         "epl",
-        "this program and the accompanying materials are made available under the terms of the eclipse public license"
+        "this program and the accompanying materials are made available under the terms of the eclipse public license",
+        ("eclipse",)
     ),
     Template(
         "cc0",
@@ -124,11 +136,11 @@ def _prefixes(docs: DataFrame, templates: Sequence[Template], threshold: float)
     for number, t in enumerate(templates):
         own = sorted(t.words, key=order.index)
         least = need(len(own), threshold)
-        rows += [(number, t.label, own, least, i, w) for i, w in enumerate(own[: len(own) - least + 1])]
+        rows += [(number, t.label, own, least, list(t.must), i, w) for i, w in enumerate(own[: len(own) - least + 1])]
     return order, rows
 
 
-PREFIX = "template int, label string, own array<string>, need int, i int, word string"
+PREFIX = "template int, label string, own array<string>, need int, must array<string>, i int, word string"
 
 
 def match_windows(
@@ -168,7 +180,7 @@ def match_windows(
     begin = F.greatest(F.col("j") - F.col("length") + 1, F.lit(0))
     near = lambda c: F.slice(c, begin + 1, F.col("j") + F.col("length") - begin)
     seen = seen.select(
-        *keys, "template", "label", "own", "need", "length", near("w").alias("w"), near("line").alias("line")
+        *keys, "template", "label", "own", "need", "must", "length", near("w").alias("w"), near("line").alias("line")
     )
     seen = seen.where(
         (F.element_at("line", 1) < F.element_at("line", -1)) & (F.size(F.array_intersect("own", "w")) >= F.col("need"))
@@ -177,7 +189,8 @@ def match_windows(
     def window(s):
         met = F.array_intersect("own", F.slice("w", s + 1, F.col("length")))
         crosses = F.get("line", s) < F.get("line", F.least(s + F.col("length"), F.size("line")) - 1)
-        return F.struct(F.when(crosses, F.size(met)).otherwise(0).alias("n"), met.alias("met"))
+        told = crosses & (F.size(F.array_except("must", met)) == 0)
+        return F.struct(F.when(told, F.size(met)).otherwise(0).alias("n"), met.alias("met"))
 
     starts = F.sequence(F.lit(0), F.greatest(F.size("w") - F.col("length"), F.lit(0)))
     best = seen.withColumn("best", F.array_max(F.transform(starts, window))).where("best.n >= need")
@@ -185,7 +198,7 @@ def match_windows(
     nearer = [
         (
             F.size(F.array_intersect(own, "w")) >= need(len(t.words), threshold)
-        ) & (F.size(F.array_intersect(own, "w")) / len(t.words) > share) & (F.size(F.array_except("best.met", own)) == 0)
+        ) & (F.size(F.array_except(_literal(t.must).cast("array<string>"), "w")) == 0) & (F.size(F.array_intersect(own, "w")) / len(t.words) > share) & (F.size(F.array_except("best.met", own)) == 0)
         for t in templates
         for own in [_literal(t.words)]
     ]
@@ -210,7 +223,8 @@ def match_blocks(docs: DataFrame, keys: list[str], order: list[str], rows: list[
     pairs = seen.join(F.broadcast(prefixes), "word").where((F.size("has") >= F.col("need")) & (bound >= F.col("need")))
     shared = F.size(F.array_intersect("own", "has"))
     one = F.struct((shared / F.size("own")).alias("containment"), "label", F.array_intersect("own", "has").alias("met"))
-    met = pairs.where(shared >= F.col("need")).select(*keys, "block", "template", one.alias("m"))
+    told = F.size(F.array_except("must", "has")) == 0
+    met = pairs.where((shared >= F.col("need")) & told).select(*keys, "block", "template", one.alias("m"))
     # A row a template at most.
     met = met.groupBy(*keys, "block").agg(F.collect_set("m").alias("all"))
     nearer = lambda m: F.exists(

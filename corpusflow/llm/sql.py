@@ -103,9 +103,11 @@ def _licenses(threshold: float = 0.8) -> str:
     from corpusflow.llm.license_scan import PHRASES, TEMPLATES, need
 
     phrases = ", ".join(f"({p.split()}, '{label}')" for p, label in PHRASES.items())
-    templates = ", ".join(f"('{t.label}', {t.words}, {need(len(t.words), threshold)})" for t in TEMPLATES)
+    templates = ", ".join(
+        f"('{t.label}', {t.words}, {need(len(t.words), threshold)}, {list(t.must)}::VARCHAR[])" for t in TEMPLATES
+    )
     return rf"""
-WITH phrases(p, label) AS (VALUES {phrases}), templates(label, t, need) AS (VALUES {templates}),
+WITH phrases(p, label) AS (VALUES {phrases}), templates(label, t, need, must) AS (VALUES {templates}),
 d AS (SELECT row_number() OVER () AS r, doc_id, text, {WORDS} AS w FROM documents),
 places AS (
   SELECT r, label, unnest(list_filter(range(0, len(w)), lambda i: w[i + 1 : i + len(p)] = p)) AS i FROM d, phrases
@@ -114,7 +116,7 @@ places AS (
 ), lines AS (
   SELECT r, row_number() OVER () AS line, {WORDS} AS b FROM (SELECT r, unnest(string_split(text, chr(10))) AS text FROM d WHERE text IS NOT NULL)
 ), pairs AS (
-  SELECT r, line, label, list_intersect(t, b) AS m, len(list_intersect(t, b)) / len(t) AS part FROM lines, templates WHERE len(list_intersect(t, b)) >= need
+  SELECT r, line, label, list_intersect(t, b) AS m, len(list_intersect(t, b)) / len(t) AS part FROM lines, templates WHERE len(list_intersect(t, b)) >= need AND len(list_intersect(must, b)) = len(must)
 ), met AS (
   SELECT r, list(DISTINCT label) AS own, max(part) AS best FROM pairs p
   WHERE NOT EXISTS (SELECT 1 FROM pairs o WHERE o.line = p.line AND o.part > p.part AND len(list_intersect(p.m, o.m)) = len(p.m)) GROUP BY r

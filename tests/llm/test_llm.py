@@ -924,7 +924,7 @@ def test_license_lines_by_loop(spark):
     for row in license_scan.scan(table(spark, texts)).collect():
         words = set(texts[row.doc_id].split())
         met = [
-            (t, set(t.words) & words) for t in license_scan.TEMPLATES if len(set(t.words) & words) >= license_scan.need(len(t.words), 0.8)
+            (t, set(t.words) & words) for t in license_scan.TEMPLATES if len(set(t.words) & words) >= license_scan.need(len(t.words), 0.8) and set(t.must) <= words
         ]
         share = lambda x: len(x[1]) / len(x[0].words)
         left = [x for x in met if not any(share(o) > share(x) and x[1] <= o[1] for o in met)]
@@ -992,3 +992,15 @@ def test_pipeline_stages_on_odd_rows(spark):
     assert ("2", "") not in kept["quality_rules"] and ("3", "") not in kept["quality_rules"]
     assert kept["near_duplicates"].count(("None", long[0])) == 1 and ("1", half) in kept["near_duplicates"] and ("2", "") in kept["near_duplicates"]
     assert len(kept["decontamination"]) == 6
+
+
+def test_license_labels_are_not_their_neighbours(spark):
+    """Statements that differ in a word have their own labels only."""
+    texts = {
+        "Licensed under CC BY 4.0": "cc-by", "Licensed under CC BY-NC 4.0": "cc-by,cc-by-nc", "released under the BSD license": "bsd",
+        "licensed under CC BY-NC-ND 4.0": "cc-by,cc-by-nc-nd", "Licensed under CC\nBY-SA 4.0": "cc-by,cc-by-sa", "released under the gpl license": "gpl",
+        "Released under\nthe BSD license": "bsd", "released under the license": "", "licensed under by 4 0": "",
+        "Released under the terms of the MIT license": "mit", "Licensed under the Apache License, Version 2.0": "apache,apache-2.0",
+    }
+    rows = license_scan.scan(table(spark, list(texts))).orderBy("doc_id").collect()
+    assert [r.labels for r in rows] == list(texts.values())
