@@ -195,20 +195,20 @@ def match_windows(
     starts = F.sequence(F.lit(0), F.greatest(F.size("w") - F.col("length"), F.lit(0)))
     best = seen.withColumn("best", F.array_max(F.transform(starts, window))).where("best.n >= need")
     share = F.col("best.n") / F.size("own")
-    nearer = [
-        (
-            F.size(F.array_intersect(own, "w")) >= need(len(t.words), threshold)
-        ) & (F.size(F.array_except(_literal(t.must).cast("array<string>"), "w")) == 0) & (F.size(F.array_intersect(own, "w")) / len(t.words) > share) & (F.size(F.array_except("best.met", own)) == 0)
-        for t in templates
-        for own in [_literal(t.words)]
-    ]
-    return best.where(~reduce(or_, nearer)).select(*keys, "label", share.alias("containment"))
+    def nearer(t):
+        own, must = _literal(t.words), _literal(t.must).cast("array<string>")
+        n = F.size(F.array_intersect(own, "w"))
+        more = (n / len(t.words) > share) | ((n / len(t.words) == share) & (n > F.col("best.n")))
+        told = (n >= need(len(t.words), threshold)) & (F.size(F.array_except(must, "w")) == 0)
+        return told & more & (F.size(F.array_except("best.met", own)) == 0)
+
+    return best.where(~reduce(or_, map(nearer, templates))).select(*keys, "label", share.alias("containment"))
 
 
 def match_blocks(docs: DataFrame, keys: list[str], order: list[str], rows: list[tuple]) -> DataFrame:
     """keys, label and containment of every line and template that meet, but for templates whose
-    words in the line are all words of a nearer one: statements that differ in a word meet each
-    other's templates."""
+    words in the line are all words of a nearer one, met to a larger share or, of equal shares, with
+    more words: statements that differ in a word meet each other's templates."""
     prefixes = docs.sparkSession.createDataFrame(rows, PREFIX)
     rare = _literal(sorted({r[-1] for r in rows}))
     lines = docs.withColumn("__lower", F.translate("text", UPPER, LOWER)).where(
@@ -227,9 +227,10 @@ def match_blocks(docs: DataFrame, keys: list[str], order: list[str], rows: list[
     met = pairs.where((shared >= F.col("need")) & told).select(*keys, "block", "template", one.alias("m"))
     # A row a template at most.
     met = met.groupBy(*keys, "block").agg(F.collect_set("m").alias("all"))
-    nearer = lambda m: F.exists(
-        "all", lambda o: (o["containment"] > m["containment"]) & (F.size(F.array_except(m["met"], o["met"])) == 0)
+    more = lambda o, m: (o["containment"] > m["containment"]) | (
+        (o["containment"] == m["containment"]) & (F.size(o["met"]) > F.size(m["met"]))
     )
+    nearer = lambda m: F.exists("all", lambda o: more(o, m) & (F.size(F.array_except(m["met"], o["met"])) == 0))
     met = met.select(*keys, F.explode(F.filter("all", lambda m: ~nearer(m))).alias("m"))
     return met.select(*keys, "m.label", "m.containment")
 

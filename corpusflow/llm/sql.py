@@ -119,7 +119,7 @@ places AS (
   SELECT r, line, label, list_intersect(t, b) AS m, len(list_intersect(t, b)) / len(t) AS part FROM lines, templates WHERE len(list_intersect(t, b)) >= need AND len(list_intersect(must, b)) = len(must)
 ), met AS (
   SELECT r, list(DISTINCT label) AS own, max(part) AS best FROM pairs p
-  WHERE NOT EXISTS (SELECT 1 FROM pairs o WHERE o.line = p.line AND o.part > p.part AND len(list_intersect(p.m, o.m)) = len(p.m)) GROUP BY r
+  WHERE NOT EXISTS (SELECT 1 FROM pairs o WHERE o.line = p.line AND (o.part > p.part OR o.part = p.part AND len(o.m) > len(p.m)) AND len(list_intersect(p.m, o.m)) = len(p.m)) GROUP BY r
 )
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
   array_to_string(list_sort(coalesce(base, [])), ',') AS base_labels,

@@ -927,7 +927,7 @@ def test_license_lines_by_loop(spark):
             (t, set(t.words) & words) for t in license_scan.TEMPLATES if len(set(t.words) & words) >= license_scan.need(len(t.words), 0.8) and set(t.must) <= words
         ]
         share = lambda x: len(x[1]) / len(x[0].words)
-        left = [x for x in met if not any(share(o) > share(x) and x[1] <= o[1] for o in met)]
+        left = [x for x in met if not any((share(o), len(o[1])) > (share(x), len(x[1])) and x[1] <= o[1] for o in met)]
         base = {label for p, label in license_scan.PHRASES.items() if f" {p} " in f" {texts[row.doc_id]} "}
         assert row.labels == ",".join(
             sorted({t.label for t, _ in left} | base)
