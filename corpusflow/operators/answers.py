@@ -374,3 +374,18 @@ def language_profile(docs: DataFrame, key: str = "source") -> DataFrame:
         F.count_if(F.col("l") == "Russian").alias("n_ru"), F.count_if(F.col("l") == "English").alias("n_en"),
         F.count_if(F.col("l").isNull()).alias("n_null")
     )
+
+
+def language_matrix(docs: DataFrame, label: str = "lang", key: str = "source") -> DataFrame:
+    """Detected against labelled languages, with margins, in one pass over docs: a row for each key
+    and label, for each of either over all of the other, and for all (all_keys and all_labels say
+    which), with n_ru, n_en, n_null and n_agree, the documents whose label is the detected one."""
+    codes = F.create_map(*(F.lit(x) for pair in LANGUAGE_CODE.items() for x in pair))
+    found = docs.select(key, label, detect_language(F.col("text")).alias("l"))
+    agree = F.coalesce(codes[F.col("l")] == F.lower(label), F.lit(False))
+    return found.withColumn("agree", agree).cube(key, label).agg(
+        F.grouping(key).cast("int").alias("all_keys"), F.grouping(label).cast("int").alias("all_labels"),
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("l") == "Russian").alias("n_ru"),
+        F.count_if(F.col("l") == "English").alias("n_en"), F.count_if(F.col("l").isNull()).alias("n_null"),
+        F.count_if("agree").alias("n_agree")
+    )

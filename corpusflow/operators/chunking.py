@@ -208,6 +208,24 @@ def chunk_profile(chunked: dict[str, DataFrame]) -> DataFrame:
     )
 
 
+def chunk_matrix(chunked: dict[str, DataFrame]) -> DataFrame:
+    """Chunks and tokens by strategy and document, by strategy, by document, and over all, in one
+    pass; all_strategies and all_documents say what a row is summed over. A document's chunks are
+    summed up before they are shuffled."""
+    rows = reduce(
+        DataFrame.unionByName,
+        [
+            c.select(F.lit(name).alias("strategy"), "document_id", "approximate_token_count") for name,
+            c in chunked.items()
+        ]
+    )
+    n = F.col("approximate_token_count")
+    return rows.cube("strategy", "document_id").agg(
+        F.grouping("strategy").cast("int").alias("all_strategies"), F.grouping("document_id").cast("int").alias("all_documents"),
+        F.count(F.lit(1)).alias("n_chunks"), F.sum(n).alias("n_tokens"), F.min(n).alias("min_tokens"), F.max(n).alias("max_tokens")
+    )
+
+
 def process_summary(docs: DataFrame, chunks: DataFrame) -> DataFrame:
     """One row from two of one row each."""
     return docs.agg(F.count(F.lit(1)).alias("documents")).join(

@@ -37,6 +37,25 @@ def check_references(child: DataFrame, parent: DataFrame, key: str, child_key: s
     )
 
 
+def check_presence(tables: dict[str, DataFrame], key: str, needs: dict[str, list[str]]) -> DataFrame:
+    """A row for each key of a table that isn't in another one which it needs (`chunks` to
+    `[documents]`), by one aggregate over all tables' keys: a bit a table, summed up before the one
+    shuffle, instead of a join a rule. Null keys are nobody's."""
+    bit = {name: 1 << i for i, name in enumerate(tables)}
+    keys = reduce(
+        DataFrame.unionByName,
+        [t.select(F.col(key).cast("string").alias("k"), F.lit(bit[name]).alias("b")) for name, t in tables.items()]
+    )
+    seen = keys.groupBy("k").agg(F.bit_or("b").alias("b"))
+    has = lambda name: F.col("b").bitwiseAND(bit[name]) != 0
+    rules = [
+        F.when(has(name) & (F.col("k").isNull() | ~has(other)), F.lit(f"{name}_without_{other}"))
+        for name, others in needs.items() for other in others
+    ]
+    found = seen.select("k", F.explode(F.array_compact(F.array(*rules))).alias("rule"))
+    return found.select("rule", F.col("k").alias("key"), F.lit(None).cast("string").alias("detail"))
+
+
 def check_hashes(documents: DataFrame, chunks: DataFrame) -> DataFrame:
     """Content hashes (any case), chunk ids and token counts against recomputed ones."""
     bad_hash = documents.where(F.lower("content_hash") != F.sha2("content", 256))
@@ -105,9 +124,15 @@ def check_headers(a: DataFrame, b: DataFrame) -> DataFrame:
     )
 
 
+def check_pairing(documents: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Chunks without their document, and documents without any chunk."""
+    tables = {"chunks": chunks, "documents": documents}
+    return check_presence(tables, "document_id", {"chunks": ["documents"], "documents": ["chunks"]})
+
+
 def check_artifacts(documents: DataFrame, chunks: DataFrame) -> DataFrame:
     """All rules of a pair of artifacts: unique ids, references, hashes and counts, columns that
-    chunks take over from their documents, and the formats of chunks."""
+    chunks take over from their documents, and the formats of both."""
     taken = {
         "source_url": "canonical_url", "document_title": "title", "version": "version",
         "processed_content_hash": "content_hash"
@@ -116,10 +141,9 @@ def check_artifacts(documents: DataFrame, chunks: DataFrame) -> DataFrame:
         check_unique(
             documents, ["document_id"], "repeated_document"
         ), check_unique(chunks, ["chunk_id"], "repeated_chunk"),
-        check_unique(chunks, ["document_id", "ordinal"], "repeated_ordinal"), check_references(
-            chunks, documents, "document_id", "chunk_id", "chunk_without_document"
-        ),
+        check_unique(chunks, ["document_id", "ordinal"], "repeated_ordinal"), check_pairing(documents, chunks),
         check_hashes(documents, chunks), check_denormalised(chunks, documents, taken), check_constraints(chunks, "chunk_id", chunk_rules()),
+        check_constraints(documents, "document_id", document_rules()),
     )
 
 

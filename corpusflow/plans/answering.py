@@ -37,6 +37,13 @@ def language_profile(spark: Spark, sf: str) -> DataFrame:
     return answers.language_profile(table(spark, sf, "documents"))
 
 
+@query(
+    f"WITH d AS (SELECT source, lang, {LANGUAGE} AS l FROM documents) SELECT source, lang, grouping(source)::INTEGER AS all_keys, grouping(lang)::INTEGER AS all_labels, count(*) AS n, count(*) FILTER (l = 'Russian') AS n_ru, count(*) FILTER (l = 'English') AS n_en, count(*) FILTER (l IS NULL) AS n_null, count(*) FILTER (l = 'Russian' AND lower(lang) = 'ru' OR l = 'English' AND lower(lang) = 'en') AS n_agree FROM d GROUP BY GROUPING SETS ((source, lang), (source), (lang), ())"
+)
+def language_matrix(spark: Spark, sf: str) -> DataFrame:
+    return answers.language_matrix(table(spark, sf, "documents"))
+
+
 def _questions(spark: Spark, sf: str) -> DataFrame:
     """Query vectors as questions whose text is the document of the same id."""
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("question_id"), "text")

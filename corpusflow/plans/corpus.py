@@ -260,6 +260,29 @@ def chunk_profile(spark: Spark, sf: str) -> DataFrame:
     )
 
 
+@query(
+    f"WITH c AS (SELECT 'fixed' AS strategy, document_id, approximate_token_count AS n FROM (WITH {FIXED} SELECT * FROM chunks) UNION ALL SELECT 'overlap', document_id, approximate_token_count FROM (WITH {OVERLAPPED} SELECT * FROM chunks)) SELECT strategy, document_id, grouping(strategy)::INTEGER AS all_strategies, grouping(document_id)::INTEGER AS all_documents, count(*) AS n_chunks, sum(n)::BIGINT AS n_tokens, min(n) AS min_tokens, max(n) AS max_tokens FROM c GROUP BY GROUPING SETS ((strategy, document_id), (strategy), (document_id), ())"
+)
+def chunk_matrix(spark: Spark, sf: str) -> DataFrame:
+    docs = processed(spark, sf)
+    return chunking.chunk_matrix(
+        {"fixed": chunking.chunk_fixed(docs, SIZE), "overlap": chunking.chunk_overlap(docs, SIZE, OVERLAP)}
+    )
+
+
+@query(
+    "SELECT 'documents_without_labels' AS rule, doc_id::VARCHAR AS key, NULL::VARCHAR AS detail FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT 'documents_without_vectors', doc_id::VARCHAR, NULL FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings) UNION ALL SELECT 'vectors_without_labels', vec_id::VARCHAR, NULL FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT 'labels_without_documents', doc_id::VARCHAR, NULL FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)"
+)
+def check_presence(spark: Spark, sf: str) -> DataFrame:
+    """Which of documents, labels and vectors an id lacks."""
+    tables = {
+        "documents": table(spark, sf, "documents").select("doc_id"), "labels": table(spark, sf, "labels").select("doc_id"),
+        "vectors": table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"))
+    }
+    needs = {"documents": ["labels", "vectors"], "vectors": ["labels"], "labels": ["documents"]}
+    return integrity.check_presence(tables, "doc_id", needs)
+
+
 @query(
     f"WITH {FIXED} SELECT (SELECT count(*) FROM docs) AS documents, count(*) AS chunks, count(DISTINCT document_id) AS chunked_documents FROM chunks"
 )

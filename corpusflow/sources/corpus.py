@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusflow.operators.integrity import check_artifacts, check_headers
+from corpusflow.operators.integrity import check_artifacts, check_headers, check_pairing
 from corpusflow.sources.scratch import materialize
 
 ARTIFACT_COLUMNS = [
@@ -53,6 +53,7 @@ def _reject(violations: DataFrame) -> None:
 def write_artifacts(documents: DataFrame, chunks: DataFrame, header: dict[str, int], root: str) -> None:
     """Documents, denormalised chunks (both sorted) and either one's header, below a new folder.
     Artifacts that break a rule of integrity aren't written."""
+    _reject(check_pairing(documents, chunks))  # the join below would lose chunks without document
     rows = materialize(denormalise(documents, chunks), "artifact-chunks")
     _reject(check_artifacts(documents, rows))
     values = [F.lit(v).alias(k) for k, v in header.items()]

@@ -529,7 +529,10 @@ def test_artifacts_are_checked(spark, tmp_path):
     assert [r.ordinal for r in found[1].collect()] == [0, 1]
     for bad_docs, bad_rows, bad_header in (
         (docs.withColumn("content_hash", F.lit("0" * 64)), rows, header), (docs, rows.unionByName(rows), header),
-        (docs, rows.withColumn("ordinal", F.lit(0)), header), (docs, rows, header | {"version": 2})
+        (docs, rows.withColumn("ordinal", F.lit(0)), header), (docs, rows, header | {"version": 2}),
+        (docs.unionByName(docs.withColumn("document_id", F.lit("childless"))), rows, header),
+        (docs.withColumn("title", F.lit(" ")), rows, header),
+        (docs, rows.unionByName(rows.withColumn("document_id", F.lit("nobody")).withColumn("chunk_id", F.lit("x"))), header)
     ):
         with pytest.raises(ValueError, match="invalid artifacts"):
             corpus.write_artifacts(bad_docs, bad_rows, bad_header, str(tmp_path / "b"))
