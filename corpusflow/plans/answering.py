@@ -376,6 +376,27 @@ def trace_rollup(spark: Spark, sf: str) -> DataFrame:
     return traces.trace_rollup(_traces(spark, sf))
 
 
+def _spans(spark: Spark, sf: str) -> DataFrame:
+    """Events as spans of four stages; errors failed."""
+    return table(spark, sf, "events").select(
+        F.concat(F.lit("stage-"), F.col("user_id") % 4).alias("stage"),
+        F.when(F.col("event_type") == "error", "error").otherwise("ok").alias("status"),
+        F.col("ts").alias("started"), F.col("value").alias("duration")
+    )
+
+
+@query(
+    "SELECT 'stage-' || user_id % 4 AS stage, ts::DATE AS day, count(*) AS n, count(*) FILTER (event_type = 'error') AS n_failed, round(sum(value), 6) AS total, min(value) AS least, max(value) AS longest FROM events GROUP BY 1, 2"
+)
+def stage_durations(spark: Spark, sf: str) -> DataFrame:
+    return traces.stage_durations(_spans(spark, sf)).drop("sketch").withColumn("total", F.round("total", 6))
+
+
+@query()
+def duration_quantiles(spark: Spark, sf: str) -> DataFrame:
+    return traces.duration_quantiles(traces.stage_durations(_spans(spark, sf)), ["stage"])
+
+
 @query(
     "SELECT trace_id, stage, position, similarity FROM (SELECT user_id AS trace_id, event_type AS stage, value AS similarity, row_number() OVER (PARTITION BY user_id, event_type ORDER BY value DESC, json_extract_string(props, '$.k')) AS position FROM events) WHERE position <= 20"
 )

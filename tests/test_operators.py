@@ -648,3 +648,24 @@ def test_odd_mark_up_is_read_in_linear_time(spark):
         assert time.time() - began < 5
     page = spark.createDataFrame([("https://a.b/c", "<a href='/x?a=1&amp;b=2'>x</a>")], "url string, html string")
     assert [r.target for r in links.all_links(page).collect()] == ["https://a.b/x?a=1&b=2"]
+
+
+def test_daily_sketches_answer_quantiles(spark):
+    from corpusflow.operators import traces
+
+    r = random.Random(12)
+    rows = [(f"s{i % 2}", r.choice(["ok", "ok", "failed", None]), f"2024-01-{1 + i % 9:02d} 10:00:00", r.expovariate(0.1)) for i in range(20_000)]
+    rows += [("idle", "ok", "2024-01-01 00:00:00", None)]
+    spans = spark.createDataFrame(rows, "stage string, status string, started string, duration double")
+    daily = traces.stage_durations(spans)
+    assert daily.count() == 19
+    for keys in (["stage"], ["stage", "day"]):
+        for x in traces.duration_quantiles(daily, keys).collect():
+            mine = sorted(d for s, _, t, d in rows if s == x.stage and d is not None and ("day" not in keys or t[:10] == str(x.day)))
+            failed = sum(s == x.stage and st != "ok" and ("day" not in keys or t[:10] == str(x.day)) for s, st, t, _ in rows)
+            assert x.n_failed == failed and (x.least, x.longest) == ((mine[0], mine[-1]) if mine else (None, None))
+            for q, found in ((0.5, x.p50), (0.95, x.p95)):
+                if mine:
+                    assert abs(sum(d <= found for d in mine) / len(mine) - q) < 0.02
+                else:
+                    assert found is None
