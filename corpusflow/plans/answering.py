@@ -386,10 +386,11 @@ def _spans(spark: Spark, sf: str) -> DataFrame:
 
 
 @query(
-    "SELECT 'stage-' || user_id % 4 AS stage, ts::DATE AS day, count(*) AS n, count(*) FILTER (event_type = 'error') AS n_failed, round(sum(value), 6) AS total, min(value) AS least, max(value) AS longest FROM events GROUP BY 1, 2"
+    "SELECT 'stage-' || user_id % 4 AS stage, ts::DATE::VARCHAR AS day, count(*) AS n, count(*) FILTER (event_type = 'error') AS n_failed, round(sum(value), 6) AS total, min(value) AS least, max(value) AS longest FROM events GROUP BY 1, 2"
 )
 def stage_durations(spark: Spark, sf: str) -> DataFrame:
-    return traces.stage_durations(_spans(spark, sf)).drop("sketch").withColumn("total", F.round("total", 6))
+    found = traces.stage_durations(_spans(spark, sf)).drop("sketch")
+    return found.withColumn("total", F.round("total", 6)).withColumn("day", F.col("day").cast("string"))
 
 
 @query()
