@@ -240,6 +240,40 @@ def split_sections(spark: Spark, sf: str) -> DataFrame:
     return chunking.split_sections(processed(spark, sf))
 
 
+def headed(spark: Spark, sf: str) -> DataFrame:
+    """Documents with headings, a title line, fences and paragraphs, all derived from their sentences."""
+    text = F.replace(F.col("text"), F.lit(". "), F.lit(".\n\n"))
+    text = F.regexp_replace(text, "\n([A-M][a-z]*) ", "\n## $1 and more\n")
+    text = F.regexp_replace(text, "\n([N-S])", "\n```\n\n$1")
+    return table(spark, sf, "documents").select(
+        F.concat(F.lit("doc-"), "doc_id").alias("document_id"), F.concat(F.lit("Title "), F.col("doc_id") % 3).alias("title"),
+        F.concat(F.lit("# Title 1\n"), text).alias("content")
+    )
+
+
+HEADED = r"""headed AS (SELECT 'doc-' || doc_id AS document_id, 'Title ' || (doc_id % 3) AS title, E'# Title 1\n' || regexp_replace(regexp_replace(replace(text, '. ', E'.\n\n'), '\n([A-M][a-z]*) ', E'\n## \\1 and more\n', 'g'), '\n([N-S])', E'\n```\n\n\\1', 'g') AS content FROM documents)"""
+
+
+@query(
+    rf"""WITH {HEADED}, lines AS (SELECT document_id, title, unnest(l) AS line, unnest(range(len(l))) AS i FROM (SELECT document_id, title, string_split(replace(content, E'\r\n', E'\n'), E'\n') AS l FROM headed)),
+    fences AS (SELECT *, sum(starts_with(line, '```')::INT) OVER (PARTITION BY document_id ORDER BY i) % 2 AS after, (sum(starts_with(line, '```')::INT) OVER (PARTITION BY document_id ORDER BY i) - starts_with(line, '```')::INT) % 2 AS before FROM lines),
+    kinds AS (SELECT *, before = 0 AND starts_with(line, '## ') AS head, (before = 0 AND (starts_with(line, '## ') OR trim(line) = '# ' || title)) OR (after = 0 AND trim(line) = '') AS brk FROM fences),
+    placed AS (SELECT *, sum(head::INT) OVER (PARTITION BY document_id ORDER BY i) AS sec, sum(brk::INT) OVER (PARTITION BY document_id ORDER BY i) AS run FROM kinds),
+    names AS (SELECT document_id, sec, trim(line[4:]) AS section FROM placed WHERE head),
+    units AS (SELECT document_id, sec, run, trim(string_agg(line, E'\n' ORDER BY i), E' \n\t\r') AS unit FROM placed WHERE NOT brk GROUP BY ALL HAVING unit <> ''),
+    homes AS (SELECT *, CASE WHEN sec > 0 THEN sec ELSE coalesce(min(sec) FILTER (sec > 0) OVER (PARTITION BY document_id), 0) END AS home FROM units)
+    SELECT h.document_id, section, (dense_rank() OVER (PARTITION BY h.document_id ORDER BY home) - 1)::INTEGER AS section_ordinal, (row_number() OVER (PARTITION BY h.document_id, home ORDER BY h.sec, run) - 1)::INTEGER AS unit_ordinal, unit FROM homes h LEFT JOIN names n ON n.document_id = h.document_id AND n.sec = home"""
+)
+def split_headed_sections(spark: Spark, sf: str) -> DataFrame:
+    """Sections and units of documents with headings, fences that may not end and title lines."""
+    return chunking.split_sections(headed(spark, sf))
+
+
+@query()
+def chunk_headed_documents(spark: Spark, sf: str) -> DataFrame:
+    return chunking.chunk_heading_aware(headed(spark, sf), SIZE, OVERLAP)
+
+
 @query(
     f"WITH {DOCS}, s AS (SELECT document_id, content, w, CASE WHEN len(w) <= 64 THEN [0] ELSE range(0, len(w), 56) END AS offs FROM docs) SELECT document_id, (i - 1)::INTEGER AS piece, CASE WHEN len(w) <= 64 THEN content ELSE array_to_string(w[offs[i] + 1 : offs[i] + 56], ' ') END AS content FROM (SELECT *, unnest(range(1, len(offs) + 1)) AS i FROM s)"
 )

@@ -6,6 +6,7 @@ import random
 import re
 from pathlib import Path
 
+import chunk_loops
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -127,36 +128,76 @@ def test_blocks(spark):
     ) and done["q"].error == "main content not found"
 
 
-def chunks(text, size, overlap=0, title="Tides"):
-    return chunking.heading_chunks("d", title, text, size, overlap)
+def chunks(spark, text, size, overlap=0, title="Tides"):
+    docs = spark.createDataFrame([("d", title, text)], "document_id string, title string, content string")
+    return [tuple(r) for r in chunking.chunk_heading_aware(docs, size, overlap).orderBy("ordinal").collect()]
 
 
-def test_heading_chunks():
+def test_heading_chunks(spark):
     long = " ".join(f"t{i}" for i in range(41))
-    found = chunks(f"# Tides\n\n## Springs and neaps\n\n{long}", 11, 3)
+    found = chunks(spark, f"# Tides\n\n## Springs and neaps\n\n{long}", 11, 3)
     assert all(
         c[4] <= 11 and c[5].startswith("# Tides\n\n## Springs and neaps\n\n") for c in found
     ) and [c[3] for c in found] == list(range(len(found)))
     said = [w for c in found for w in c[5].split()[6:]]
     assert set(said) == set(long.split()) and len(said) > 41
-    assert [c[2] for c in chunks("## Nothing here\n\n## Moon\n\nfull", 9)] == ["Moon"]
-    (whole,) = chunks("before any\n\nheading\n\n## Sun\n\nweaker", 30)
+    assert [c[2] for c in chunks(spark, "## Nothing here\n\n## Moon\n\nfull", 9)] == ["Moon"]
+    (whole,) = chunks(spark, "before any\n\nheading\n\n## Sun\n\nweaker", 30)
     assert whole[2] == "Sun" and whole[5].endswith("before any\n\nheading\n\nweaker")
-    assert chunks("plain", 9)[0][2] is None
+    assert chunks(spark, "plain", 9)[0][2] is None
     units = "\n\n".join(" ".join(f"{n}{i}" for i in range(6)) for n in "abc")
-    assert max(c[4] for c in chunks(units, 8, 4)) <= 8
+    assert max(c[4] for c in chunks(spark, units, 8, 4)) <= 8
     fence = "~~~\n".replace("~", "`") + "## in a fence\n\nleft whole\n" + "```"
-    assert any(fence in c[5] for c in chunks(f"## Code\n\n{' '.join('x' * 30)}\n\n{fence}", 16, 2))
-    (error,) = chunks("## Of the sea\n\nx", 6)
+    assert any(fence in c[5] for c in chunks(spark, f"## Code\n\n{' '.join('x' * 30)}\n\n{fence}", 16, 2))
+    (error,) = chunks(spark, "## Of the sea\n\nx", 6)
     assert error[:2] == ("d", None) and "no room" in error[-1]
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.text("ab #\n`", max_size=30), max_size=8), st.integers(6, 30), st.integers(0, 5))
-def test_chunk_properties(lines, size, overlap):
-    text = "\n".join(lines)
-    found = chunking.heading_chunks("d", "T", text.replace("##", "x"), size, overlap)
-    assert all(c[4] <= size for c in found) and [c[3] for c in found] == list(range(len(found)))
+def marked_up(n, seed):
+    """Texts of headings, fences that may not end, title lines, blank lines and words, in any order."""
+    lots = random.Random(seed)
+    line = lambda: lots.choice([
+        "", "", " ", "\u00a0", "## ", "## Sea  floor ", "##no", " ## in", "# T", "  # T ", "```", "```py", " ```", "\t```",
+        "- \u00e9t\u00e9", " ".join(f"w{lots.randrange(99)}" for _ in range(lots.randrange(1, 30)))
+    ])
+    ends = ["\n", "\n", "\n", "\r\n"]
+    return ["".join(line() + lots.choice(ends) for _ in range(lots.randrange(16))) + line() for _ in range(n)]
+
+
+def test_heading_chunks_are_those_of_a_loop(spark):
+    texts = marked_up(400, 5) + [None, "", "```", "# T", "## a"]
+    rows = [(f"d{i}", None if i % 17 == 3 else "T", x) for i, x in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "document_id string, title string, content string")
+    key = lambda r: (r[0], -1 if r[3] is None else r[3])
+    for size, overlap in ((4, 0), (6, 2), (12, 5), (40, 39)):
+        found = sorted((tuple(r) for r in chunking.chunk_heading_aware(docs, size, overlap).collect()), key=key)
+        want = [c for d, t, x in rows for c in chunk_loops.heading_chunks(d, t or "", x or "", size, overlap)]
+        assert found == sorted(want, key=key)
+    units = {(r[0], r[2], r[3]): (r[1], r[4]) for r in chunking.split_sections(docs).collect()}
+    assert units == {
+        (d, i, j): (name, unit) for d, t, x in rows
+        for i, (name, held) in enumerate(chunk_loops.sections(t or "", x or "")) for j, unit in enumerate(held)
+    }
+
+
+def test_heading_chunks_of_pages(spark):
+    """Documents with headings, made from pages; the plan has no Python and no exchange."""
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select(F.col("url").alias("document_id"), "html")
+    lines = F.regexp_replace(F.regexp_replace("html", "<h[1-6][^>]*>", "\n\n## "), "</?(p|div|li|h[1-6])[^>]*>", "\n\n")
+    docs = pages.select("document_id", F.lit("T").alias("title"), lines.alias("content"))
+    found = sorted(tuple(r) for r in chunking.chunk_heading_aware(docs, 64, 8).collect())
+    rows = docs.collect()
+    assert found == sorted(c for d in rows for c in chunk_loops.heading_chunks(d[0], d[1], d[2], 64, 8)) and len(found) > len(rows)
+    plan = chunking.chunk_heading_aware(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan and "Exchange" not in plan
+
+
+def test_long_fences_and_lines(spark):
+    """A fence of many lines, one of a single line, and a unit of many words: linear, and no deep stack."""
+    long = "```\n" + "code line\n\n" * 100_000 + "```\n\n" + "w " * 300_000 + "\n\n```" + "x" * 1_000_000
+    found = chunks(spark, long, 512, 64)
+    assert [c[3] for c in found] == list(range(len(found))) and max(c[4] for c in found) <= 512
+    assert sum(c[5].split().count("line") for c in found) >= 100_000
 
 
 def test_chunk_options(spark):
