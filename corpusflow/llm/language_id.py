@@ -14,17 +14,18 @@ get equal rows; other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+import regex
 import zstandard as zstd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-LETTER = re.compile(r"[^\W\d_]")
-OTHER = re.compile(r"[\W\d_]+")
+#: Letters in the sense of the rule in learn: fractions and superscripts are none.
+LETTER = regex.compile(r"\p{L}")
+OTHER = regex.compile(r"\P{L}+")
 #: Groups by hash in which blocks are ranked before a language's ranks.
 GROUPS = 64
 
