@@ -2,8 +2,9 @@
 
 Every run of 13 words of a document or item is a window of 7 hashes of 7 consecutive words;
 its fingerprint is the least of them, the rightmost among equals. Equal windows have equal
-fingerprints, so joining fingerprints misses no shared window. A joined fingerprint is then
-extended to all windows around it that really agree. Items of fewer words are looked up as
+fingerprints, so joining fingerprints misses no shared window. A document's
+fingerprint that an item has is then extended to the windows that hold it, which are joined by what
+they cover, so a passage costs a document one row, however many items hold it in whatever surroundings. Items of fewer words are looked up as
 whole runs of their own length. All of it is DataFrame functions.
 
 Defined results: null and empty texts have no words and no hits; an item without words is
@@ -24,7 +25,9 @@ WINDOW = 13
 GRAM = 7
 #: A key holds the high bits of a hash above a position counted down.
 PLACE = (1 << 28) - 1
-#: Fingerprint tables of at most this many rows (about 150 bytes each) are broadcast.
+#: What two equal windows have in common.
+WINDOW_KEY = ["print", "first", "last"]
+#: Tables of fingerprints or windows of at most this many rows (about 150 bytes each) are broadcast.
 BROADCAST_ROWS = 200_000
 
 
@@ -92,10 +95,25 @@ def _grouped(prints: DataFrame, by: list) -> DataFrame:
     return found.withColumn("items_key", F.xxhash64("items"))
 
 
-def item_fingerprints(items: DataFrame) -> DataFrame:
-    """Distinct surroundings of fingerprints, with items and items_key."""
-    own = fingerprints(items, ["item_id"])
-    return _grouped(own, ["print", F.col("around").alias("item_around"), F.col("before").alias("item_before")])
+def item_windows(items: DataFrame) -> DataFrame:
+    """Distinct windows of items by their first and last hash, with their fingerprint, items and
+    items_key. A passage that many items hold in different surroundings is one window of all of them."""
+    reach = WINDOW - GRAM
+    spans = F.explode(F.transform("offsets", lambda o: F.struct(*_ends(o, "around", "before"))))
+    own = fingerprints(items, ["item_id"]).withColumn("offsets", _offsets("around", "before", reach))
+    return _grouped(own.select("item_id", "print", spans.alias("w")).select("item_id", "print", "w.*"), WINDOW_KEY)
+
+
+def _offsets(around: str, before: str, reach: int) -> Column:
+    """How far before the fingerprint the windows that hold it start."""
+    first = F.greatest(F.col(before) + reach + 1 - F.size(around), F.lit(0))
+    return F.sequence(first, F.least(F.col(before), F.lit(reach)))
+
+
+def _ends(o: Column, around: str, before: str) -> tuple[Column, Column]:
+    """First and last hash of the window that starts o before the fingerprint; together they cover it."""
+    at = F.col(before) - o
+    return F.get(around, at).alias("first"), F.get(around, at + (WINDOW - GRAM)).alias("last")
 
 
 def _small(table: DataFrame) -> DataFrame:
@@ -109,19 +127,18 @@ def hits(docs: DataFrame, benchmark: DataFrame, keys: list[str]) -> tuple[DataFr
         benchmark.select("item_id", words(F.col("text")).alias("words")).where(F.size("words") > 0), "items"
     )
     spoken = docs.select(*keys, words(F.col("text")).alias("words"))
-    prints = materialize(item_fingerprints(items), "item-prints")
-    groups = prints.select("items_key", "items")
-    met = fingerprints(spoken, keys).join(_small(prints.drop("items")), "print")
-    # Window at offset o before the print: its first and its last hash must agree.
-    ours = lambda o: F.get("around", F.col("before") - o)
-    theirs = lambda o: F.get("item_around", F.col("item_before") - o)
-    reach = WINDOW - GRAM
-    offsets = F.filter(
-        F.sequence(F.lit(0), F.least("before", "item_before")),
-        lambda o: F.coalesce((ours(o) == theirs(o)) & (ours(o - reach) == theirs(o - reach)), F.lit(False)),
+    windows = materialize(item_windows(items), "item-windows")
+    groups = windows.select("items_key", "items")
+    # Fingerprints that an item has are kept; each is then extended to the windows that hold it, and
+    # a window meets one row at most, however many items have it.
+    met = fingerprints(spoken, keys).join(_small(windows.select("print").distinct()), "print", "left_semi")
+    spans = F.transform(
+        _offsets("around", "before", WINDOW - GRAM),
+        lambda o: F.struct((F.col("place") - o).alias("start"), *_ends(o, "around", "before"))
     )
-    found = met.select(*keys, "place", "items_key", F.explode(offsets).alias("o")).select(
-        *keys, (F.col("place") - F.col("o")).alias("start"), F.lit(WINDOW).alias("length"), "items_key"
+    tried = met.select(*keys, "print", F.explode(spans).alias("w")).select(*keys, "print", "w.*")
+    found = tried.join(_small(windows.drop("items")), WINDOW_KEY).select(
+        *keys, "start", F.lit(WINDOW).alias("length"), "items_key"
     )
     short = items.where(F.size("words") < WINDOW)
     for row in short.select(F.size("words").alias("n")).distinct().orderBy("n").collect():  # at most 12 lengths

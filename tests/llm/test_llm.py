@@ -317,6 +317,26 @@ def test_every_shared_window_is_found(spark):
         assert row.n_hit == len(hit)
 
 
+def test_a_passage_in_many_surroundings_costs_a_row_a_document(spark):
+    """300 items hold one passage of 13 words, each between words of its own."""
+    passage = sentence(13, 9)
+    items = [(i, f"a{i} b{i} c{i} d{i} e{i} f{i} {passage} g{i} h{i} i{i} j{i}") for i in range(300)]
+    texts = [f"{sentence(30, 100 + i)} x{i} {passage} y{i} {sentence(20, 200 + i)}" for i in range(40)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found, _ = decontamination.hits(table(spark, texts), bench, ["doc_id"])
+    assert found.count() <= 2 * len(texts)
+    want = hashlib.sha256(",".join(sorted(str(i) for i, _ in items)).encode()).hexdigest()
+    for r in decontamination.contamination(table(spark, texts), bench).collect():
+        assert (r.n_hit, r.n_items, r.items_sha256, r.contaminated) == (13, 300, want, True)
+
+
+def test_a_letter_is_a_letter_by_one_rule(spark):
+    rows = [(0, "a plain text of letters", "en"), (1, "½ ² ① Ⅷ 12", None), (3, "½ été", None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = {r.doc_id: r.lang_pred for r in language_id.classify(frame, language_id.learn(frame)).collect()}
+    assert found[1] == "und" and found[3] == "en"
+
+
 def test_mix(spark):
     docs = [(i, sentence(5 + i % 40, i), f"s{i % 4}" if i % 9 else None) for i in range(600)]
     frame = spark.createDataFrame(docs, "doc_id long, text string, source string")
