@@ -54,10 +54,13 @@ def eligible_candidates(candidates: DataFrame, gated: DataFrame, evidence: float
     )
 
 
-def context_filter(candidates: DataFrame, threshold: float, per_document: int, min_tokens: int) -> DataFrame:
+def context_filter(
+    candidates: DataFrame, threshold: float, per_document: int, min_tokens: int, metadata: Column | None = None
+) -> DataFrame:
     """Candidates (with document_id, content) at or above the threshold and long enough, one a
-    content, the best per_document of each document. Only columns that rank are sorted."""
-    rows = candidates.where(
+    content, the best per_document of each document; `metadata` is a condition on other columns, which
+    holds before any are ranked. Only columns that rank are sorted."""
+    rows = candidates.where(F.lit(True) if metadata is None else metadata).where(
         (F.col("similarity") >= threshold) & (count_tokens(F.col("content")) >= min_tokens)
     ).withColumn("__h", F.sha2("content", 256))
     best = [F.desc("similarity"), F.col("chunk_id")]
@@ -70,6 +73,33 @@ def context_filter(candidates: DataFrame, threshold: float, per_document: int, m
     return rows.drop("__h", "__c", "__d")
 
 
+def merge_context(candidates: DataFrame, size: int, overlap: int) -> DataFrame:
+    """Candidates that are overlapping windows of tokens (question_id, document_id, ordinal, similarity,
+    approximate_token_count, content, as chunk_overlap cuts them), those of a document that overlap or
+    touch made one passage: question_id, document_id, start, n_tokens, n_chunks, best and content, each
+    token once. A window that repeats adds nothing. A group is what one question found in one document."""
+    if not 0 <= overlap < size:
+        raise ValueError("overlap must be from 0 to size - 1")
+    found = candidates.groupBy("question_id", "document_id", "ordinal").agg(
+        F.max("similarity").alias("similarity"), F.max_by("content", "approximate_token_count").alias("content"),
+        F.max("approximate_token_count").alias("n")
+    )
+    found = found.withColumn("start", F.col("ordinal") * (size - overlap)).withColumn("stop", F.col("start") + F.col("n"))
+    order = Window.partitionBy("question_id", "document_id").orderBy("start")
+    held = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    found = found.withColumn("held", held).withColumn("opens", F.coalesce(F.col("start") > F.col("held"), F.lit(True)))
+    found = found.withColumn("passage", F.sum(F.col("opens").cast("int")).over(order))
+    known = F.when(F.col("opens"), 0).otherwise(F.least(F.col("held") - F.col("start"), F.col("n")))
+    fresh = F.slice(tokens(F.col("content")), known + 1, F.col("n") - known)
+    merged = found.groupBy("question_id", "document_id", "passage").agg(
+        F.min("start").alias("start"), (F.max("stop") - F.min("start")).alias("n_tokens"),
+        F.count(F.lit(1)).cast("int").alias("n_chunks"), F.max("similarity").alias("best"),
+        F.array_sort(F.collect_list(F.struct("start", fresh.alias("fresh")))).alias("parts")
+    )
+    content = F.array_join(F.flatten(F.transform("parts", lambda p: p["fresh"])), " ")
+    return merged.select("question_id", "document_id", "start", "n_tokens", "n_chunks", "best", content.alias("content"))
+
+
 def score_lexical(questions: DataFrame, candidates: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """question_id, chunk_id and reranker_score: BM25 of the question's words over its own
     candidates (question_id, chunk_id, content), the built-in stand-in for a model."""
@@ -115,6 +145,24 @@ def rank_shift(ranked: DataFrame) -> DataFrame:
     )
 
 
+def rank_effect(ranked: DataFrame, relevant: DataFrame, k: int = 3) -> DataFrame:
+    """What reranking did to a question's metrics: reciprocal rank and hit at k before and after, and their
+    differences. relevant (question_id, chunk_id) may repeat rows; a question without a relevant
+    candidate has zeros, and a candidate without a final rank counts as it stood before."""
+    good = relevant.select("question_id", "chunk_id", F.lit(True).alias("__good")).distinct()
+    rows = ranked.join(good.hint("merge"), ["question_id", "chunk_id"], "left")
+    first = lambda rank: F.min(F.when(F.col("__good"), rank))
+    best = rows.groupBy("question_id").agg(
+        first(F.col("initial_rank")).alias("a"), first(F.coalesce("final_rank", "initial_rank")).alias("b")
+    )
+    rr = lambda c: F.coalesce(F.round(1 / F.col(c), 6), F.lit(0.0))
+    hit = lambda c: F.coalesce((F.col(c) <= k).cast("int"), F.lit(0))
+    return best.select(
+        "question_id", rr("a").alias("rr_before"), rr("b").alias("rr_after"), F.round(rr("b") - rr("a"), 6).alias("rr_delta"),
+        hit("a").alias("hit_before"), hit("b").alias("hit_after"), (hit("b") - hit("a")).alias("hit_delta")
+    )
+
+
 def top_evidence(reranked: DataFrame, n: int = 3) -> DataFrame:
     return reranked.where(F.col("final_rank") <= n)
 

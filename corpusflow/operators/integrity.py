@@ -108,6 +108,29 @@ def document_rules() -> dict[str, Column]:
     }
 
 
+def manifest_rules() -> dict[str, Column]:
+    """Fields of a manifest's entries. A file name is one path element, so that no file outside is read."""
+    given = {f"blank_{c}": ~is_blank(F.col(c)) for c in ("document_id", "canonical_url", "title", "content_hash", "file_name")}
+    return given | {
+        "no_time": F.col("retrieved_at").isNotNull(),
+        "unsafe_file_name": ~F.col("file_name").rlike(r"[/\\]|^\.{1,2}$|^[A-Za-z]:"),
+    }
+
+
+def check_manifest(manifest: DataFrame, version: int = 1) -> DataFrame:
+    """All rules of a manifest: version 1, entries at all, unique ids, unique file names in any case, and
+    the entries' fields. An empty manifest is one row without a key."""
+    empty = manifest.agg(F.count(F.lit(1)).alias("n")).where((F.col("n") == 0) | (F.lit(version) != 1))
+    rule = F.when(F.lit(version) != 1, "manifest_version").otherwise("manifest_empty")
+    none = F.lit(None).cast("string")
+    return union(
+        empty.select(rule.alias("rule"), none.alias("key"), none.alias("detail")),
+        check_unique(manifest, ["document_id"], "repeated_document"),
+        check_unique(manifest, ["file_name"], "repeated_file", ignore_case=True),
+        check_constraints(manifest, "document_id", manifest_rules()),
+    )
+
+
 def check_headers(a: DataFrame, b: DataFrame) -> DataFrame:
     """Headers (version, corpus_version, chunk_size, overlap; one row each) of two artifacts."""
     valid = (F.col("version") == 1) & (F.col("chunk_size") > 0) & (F.col("overlap") >= 0) & (F.col("overlap") < F.col("chunk_size"))

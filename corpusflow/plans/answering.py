@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusflow.functions import text as T
-from corpusflow.operators import answers, traces
-from corpusflow.plans.base import MANIFEST, manifest, query, raw_pages, table
+from corpusflow.operators import answers, chunking, traces
+from corpusflow.plans.base import MANIFEST, fixed_sql, manifest, processed, query, raw_pages, table
 from corpusflow.plans.search import _top, top_sql
 from corpusflow.sources import corpus
 from corpusflow.sources.scratch import materialize, scratch_path
@@ -96,6 +96,36 @@ def context_filter(spark: Spark, sf: str) -> DataFrame:
     return answers.context_filter(_candidates(spark, sf), 0.1, 1, 20).select("question_id", "chunk_id", "document_id")
 
 
+@query(
+    rf"WITH {CANDIDATES}, a AS (SELECT * FROM candidates WHERE section = 'en' AND similarity >= 0.1 AND len(regexp_extract_all(content, '\S+')) >= 20 QUALIFY row_number() OVER (PARTITION BY question_id, sha256(content) ORDER BY similarity DESC, chunk_id) = 1) SELECT question_id, chunk_id, document_id FROM a QUALIFY row_number() OVER (PARTITION BY question_id, document_id ORDER BY similarity DESC, chunk_id) <= 1"
+)
+def context_filter_metadata(spark: Spark, sf: str) -> DataFrame:
+    found = answers.context_filter(_candidates(spark, sf), 0.1, 1, 20, F.col("section") == "en")
+    return found.select("question_id", "chunk_id", "document_id")
+
+
+#: Words that stand for questions: a window that has the word is a candidate.
+ASKED = ("that", "die", "pour")
+WINDOW, SHARED = 64, 8
+#: By single tokens: the positions that candidates cover, and runs of them.
+MERGED = f"""{fixed_sql(WINDOW, WINDOW - SHARED, f"greatest(len(w) - 1 - {SHARED}, 0)")}, found AS (SELECT question_id, document_id, ordinal, ordinal * {WINDOW - SHARED} AS start, approximate_token_count AS n, len(list_filter(string_split(lower(content), ' '), lambda x: x = question_id)) / approximate_token_count AS similarity FROM chunks, (SELECT unnest({list(ASKED)}) AS question_id) WHERE list_contains(string_split(lower(content), ' '), question_id)),
+places AS (SELECT DISTINCT question_id, document_id, unnest(range(start, start + n)) AS pos FROM found),
+runs AS (SELECT question_id, document_id, min(pos) AS start, count(*) AS n_tokens FROM (SELECT *, pos - row_number() OVER (PARTITION BY question_id, document_id ORDER BY pos) AS island FROM places) GROUP BY question_id, document_id, island)"""
+
+
+@query(
+    f"WITH {MERGED} SELECT question_id, document_id, r.start::INTEGER AS start, r.n_tokens::INTEGER AS n_tokens, count(*)::INTEGER AS n_chunks, round(max(similarity), 6) AS best, any_value(array_to_string(w[r.start + 1 : r.start + r.n_tokens], ' ')) AS content FROM runs r JOIN found f USING (question_id, document_id) JOIN docs USING (document_id) WHERE f.start BETWEEN r.start AND r.start + r.n_tokens - 1 GROUP BY question_id, document_id, r.start, r.n_tokens"
+)
+def merge_context(spark: Spark, sf: str) -> DataFrame:
+    """Overlapping windows of all documents that hold a word; similarity is the word's share."""
+    windows = chunking.chunk_overlap(processed(spark, sf), WINDOW, SHARED)
+    said = F.filter(F.split(F.lower("content"), " "), lambda x: x == F.col("question_id"))
+    found = windows.select("*", F.explode(F.array(*map(F.lit, ASKED))).alias("question_id")).withColumn(
+        "similarity", F.size(said) / F.col("approximate_token_count")
+    ).where("similarity > 0")
+    return answers.merge_context(found, WINDOW, SHARED).withColumn("best", F.round("best", 6))
+
+
 @query(rf"""WITH {CANDIDATES}, doc AS (SELECT question_id, chunk_id, list_transform(regexp_extract_all(content, '[^\s\x{{00A0}}\x{{0085}}\p{{Z}}]+'), lambda x: lower(x)) AS w FROM candidates),
 sized AS (SELECT *, len(w) AS n, avg(len(w)) OVER (PARTITION BY question_id) AS avg_len, count(*) OVER (PARTITION BY question_id) AS docs FROM doc),
 terms AS (SELECT DISTINCT question_id, unnest(list_transform(regexp_extract_all(text, '[^\s\x{{00A0}}\x{{0085}}\p{{Z}}]+'), lambda x: lower(x))) AS t FROM questions),
@@ -129,6 +159,17 @@ def rank_shift(spark: Spark, sf: str) -> DataFrame:
     return answers.rank_shift(_reranked(spark, sf))
 
 
+@query(
+    f"WITH {RERANKED}, best AS (SELECT question_id, min(CASE WHEN r.document_id = d.source THEN initial_rank END) AS a, min(CASE WHEN r.document_id = d.source THEN final_rank END) AS b FROM reranked r LEFT JOIN documents d ON d.doc_id = question_id GROUP BY 1), m AS (SELECT question_id, coalesce(round(1 / a, 6), 0) AS rr_before, coalesce(round(1 / b, 6), 0) AS rr_after, coalesce((a <= 3)::INTEGER, 0) AS hit_before, coalesce((b <= 3)::INTEGER, 0) AS hit_after FROM best) SELECT question_id, rr_before, rr_after, round(rr_after - rr_before, 6) AS rr_delta, hit_before, hit_after, hit_after - hit_before AS hit_delta FROM m"
+)
+def rank_effect(spark: Spark, sf: str) -> DataFrame:
+    """Relevant are candidates of the question's own source."""
+    ranked = materialize(_reranked(spark, sf), "reranked")
+    own = table(spark, sf, "documents").select(F.col("doc_id").alias("question_id"), F.col("source").alias("own"))
+    relevant = ranked.join(own.hint("merge"), "question_id").where("document_id = own")
+    return answers.rank_effect(ranked, relevant)
+
+
 @query(f"WITH {RERANKED} SELECT question_id, chunk_id, final_rank FROM reranked WHERE final_rank <= 3")
 def top_evidence(spark: Spark, sf: str) -> DataFrame:
     return answers.top_evidence(_reranked(spark, sf)).select("question_id", "chunk_id", "final_rank")

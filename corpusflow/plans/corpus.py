@@ -31,6 +31,15 @@ def load_corpus(spark: Spark, sf: str) -> DataFrame:
     return corpus.load_corpus(manifest(spark, sf), raw_pages(spark, sf)).select("document_id", "file_name", "violation")
 
 
+@query(
+    f"WITH {RAW}, m AS (SELECT document_id, canonical_url, regexp_extract(canonical_url, '[^/]*$') AS file_name FROM raw) SELECT 'repeated_document' AS rule, document_id AS key, count(*)::VARCHAR AS detail FROM m GROUP BY document_id HAVING count(*) > 1 UNION ALL SELECT 'repeated_file', lower(file_name), count(*)::VARCHAR FROM m GROUP BY lower(file_name) HAVING count(*) > 1 UNION ALL SELECT 'blank_file_name', document_id, NULL FROM m WHERE trim(file_name) = ''"
+)
+def check_manifest(spark: Spark, sf: str) -> DataFrame:
+    """All pages as a manifest whose file names are the last elements of their paths."""
+    name = F.regexp_extract("canonical_url", "[^/]*$", 0)
+    return integrity.check_manifest(raw_pages(spark, sf).withColumn("file_name", name))
+
+
 @query(
     "SELECT page_id, sha256(url) AS document_id, sha256(html) AS content_hash, url AS canonical_url, url AS source, 'text/html' AS content_type FROM pages"
 )

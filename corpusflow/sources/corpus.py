@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusflow.operators.integrity import check_artifacts, check_headers, check_pairing
+from corpusflow.operators.integrity import check_artifacts, check_headers, check_manifest, check_pairing
 from corpusflow.sources.scratch import materialize
 
 ARTIFACT_COLUMNS = [
@@ -23,9 +23,12 @@ def load_pages(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.input_file_name().alias("url"), F.col("value").alias("html"))
 
 
-def load_corpus(manifest: DataFrame, raw: DataFrame, strict: bool = False) -> DataFrame:
+def load_corpus(manifest: DataFrame, raw: DataFrame, strict: bool = False, version: int = 1) -> DataFrame:
     """Manifest entries with their content and `violation`: MissingContent, HashMismatch (any
-    case) or null. In strict mode a violation fails the job."""
+    case) or null. In strict mode a manifest that breaks a rule is rejected before any content is read,
+    and a violation fails the job."""
+    if strict:
+        _reject(check_manifest(manifest, version), "manifest")
     rows = manifest.join(raw.select("document_id", "content").hint("merge"), "document_id", "left")
     bad = F.when(F.col("content").isNull(), "MissingContent").when(
         F.lower("content_hash") != F.sha2("content", 256), "HashMismatch"
@@ -44,10 +47,10 @@ def denormalise(documents: DataFrame, chunks: DataFrame) -> DataFrame:
     return chunks.join(theirs.hint("merge"), "document_id").select(*ARTIFACT_COLUMNS)
 
 
-def _reject(violations: DataFrame) -> None:
+def _reject(violations: DataFrame, what: str = "artifacts") -> None:
     found = violations.limit(1).collect()
     if found:
-        raise ValueError(f"invalid artifacts: {found[0].rule} {found[0].key} {found[0].detail}")
+        raise ValueError(f"invalid {what}: {found[0].rule} {found[0].key} {found[0].detail}")
 
 
 def write_artifacts(documents: DataFrame, chunks: DataFrame, header: dict[str, int], root: str) -> None:

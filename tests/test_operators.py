@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from corpusflow.functions import text as T
 from corpusflow.functions.urls import Rules, resolve_url, url_allowed
-from corpusflow.operators import answers, approximate, blocks, chunking, embedding, evaluation, index, ingest, links, retrieval
+from corpusflow.operators import answers, approximate, blocks, chunking, embedding, evaluation, index, ingest, integrity, links, retrieval
 from corpusflow.sources import corpus, snapshots
 from corpusflow.streaming import jobs
 
@@ -192,6 +192,48 @@ def test_heading_chunks_of_pages(spark):
     assert "Python" not in plan and "Pandas" not in plan and "Exchange" not in plan
 
 
+def test_manifest_rules(spark):
+    row = lambda d, f, title="t": (d, "https://h/a", title, "ab" * 32, f, "2024-01-01")
+    columns = "document_id string, canonical_url string, title string, content_hash string, file_name string, at string"
+    make = lambda rows: spark.createDataFrame(rows, columns).withColumn("retrieved_at", F.to_timestamp("at"))
+    raw = spark.createDataFrame([("a", "x")], "document_id string, content string")
+    bad = [row("a", "F.html"), row("a", "f.HTML"), row("b", "../x"), row("c", ".."), row("d", "C:x"), row("e", "..x", " ")]
+    found = {(r.rule, r.key) for r in integrity.check_manifest(make(bad)).collect()}
+    assert found == {("repeated_document", "a"), ("repeated_file", "f.html"), ("blank_title", "e")} | {("unsafe_file_name", x) for x in "bcd"}
+    assert [r.rule for r in integrity.check_manifest(make([])).collect()] == ["manifest_empty"]
+    assert [r.rule for r in integrity.check_manifest(make([row("a", "f")]), 2).collect()] == ["manifest_version"]
+    with pytest.raises(ValueError, match="invalid manifest"):
+        corpus.load_corpus(make(bad), raw, strict=True)
+
+
+def test_merged_context_by_loop(spark):
+    """Every subset of windows, some of them twice: runs of covered tokens."""
+    lots = random.Random(4)
+    words = [f"w{i}" for i in range(61)]
+    docs = spark.createDataFrame([("d", " ".join(words))], "document_id string, content string")
+    windows = [r.asDict() for r in chunking.chunk_overlap(docs, 7, 2).collect()]
+    picked = {q: [w for w in windows if lots.random() < 0.5] for q in range(20)} | {98: windows, 99: windows[:1] * 3}
+    rows = [(q, w["document_id"], w["ordinal"], float(w["ordinal"]), w["approximate_token_count"], w["content"]) for q, ws in picked.items() for w in ws]
+    frame = spark.createDataFrame(rows, "question_id int, document_id string, ordinal int, similarity double, approximate_token_count int, content string")
+    want = set()
+    for q, ws in picked.items():
+        covered = {i for w in ws for i in range(w["ordinal"] * 5, w["ordinal"] * 5 + w["approximate_token_count"])}
+        for start in sorted(i for i in covered if i - 1 not in covered):
+            stop = next(i for i in range(start, 99) if i not in covered)
+            inside = {w["ordinal"] for w in ws if start <= w["ordinal"] * 5 < stop}
+            want.add((q, "d", start, stop - start, len(inside), float(max(inside)), " ".join(words[start:stop])))
+    assert {tuple(r) for r in answers.merge_context(frame, 7, 2).collect()} == want
+
+
+def test_rank_effect(spark):
+    ranked = spark.createDataFrame(
+        [(1, 1, 1, 4), (1, 2, 2, 1), (1, 3, 3, None), (2, 9, 1, 1)], "question_id int, chunk_id int, initial_rank int, final_rank int"
+    )
+    good = spark.createDataFrame([(1, 2), (1, 2), (1, 3), (7, 1)], "question_id int, chunk_id int")
+    rows = [tuple(r) for r in answers.rank_effect(ranked, good, 1).orderBy("question_id").collect()]
+    assert rows == [(1, 0.5, 1.0, 0.5, 0, 1, 1), (2, 0.0, 0.0, 0.0, 0, 0, 0)]
+
+
 def test_long_fences_and_lines(spark):
     """A fence of many lines, one of a single line, and a unit of many words: linear, and no deep stack."""
     long = "```\n" + "code line\n\n" * 100_000 + "```\n\n" + "w " * 300_000 + "\n\n```" + "x" * 1_000_000
