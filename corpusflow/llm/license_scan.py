@@ -2,8 +2,9 @@
 
 A block is a line, or as many consecutive words as a template has that cross a line end, so that
 statements which wrap are found. It meets a template if it has at least `threshold` of the template's
-distinct words, and all those that tell its license from others. A line counts whole, however long it
-is and wherever in it the words stand. The words of all templates are put into one global order, rarest in the corpus
+distinct words, and all those that tell its license from others. Of a line of more than ROOM times a
+template's words, each run of that many is a block: words scattered over a long line aren't a statement.
+The words of all templates are put into one global order, rarest in the corpus
 first. A block that meets a template T must have one of T's first |T| - need + 1 words (prefix
 filter), at least need words of the templates' vocabulary (length filter), and enough words of
 either side from the first common one on (positional filter); what is left is verified by
@@ -32,6 +33,9 @@ from corpusflow.llm.decontamination import LOWER, SEPARATOR, UPPER, words
 #: Phrases and their labels, as the contract gives them.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
+#: Words of a line, as a multiple of a template's, among which the template's may stand.
+ROOM = 2
+
 
 @dataclass(frozen=True)
 class Template:
@@ -46,6 +50,10 @@ class Template:
     def words(self) -> list[str]:
         return sorted(set(self.text.split()))
 
+    @property
+    def length(self) -> int:
+        return len(self.text.split())
+
 
 #: Usual statements of public licenses and sentences of their notices as published, in
 #: lower-case words.
@@ -136,11 +144,12 @@ def _prefixes(docs: DataFrame, templates: Sequence[Template], threshold: float)
     for number, t in enumerate(templates):
         own = sorted(t.words, key=order.index)
         least = need(len(own), threshold)
-        rows += [(number, t.label, own, least, list(t.must), i, w) for i, w in enumerate(own[: len(own) - least + 1])]
+        head = own[: len(own) - least + 1]
+        rows += [(number, t.label, own, least, list(t.must), t.length, i, w) for i, w in enumerate(head)]
     return order, rows
 
 
-PREFIX = "template int, label string, own array<string>, need int, must array<string>, i int, word string"
+PREFIX = "template int, label string, own array<string>, need int, must array<string>, length int, i int, word string"
 
 
 def match_windows(
@@ -149,8 +158,8 @@ def match_windows(
     """keys, label and containment of templates met by words that cross a line end: by a window
     as long as the template, around one of its prefix words. A template isn't met if a nearer one
     in the words around has all words that it shares."""
-    length = [len(t.text.split()) for t in templates]
-    prefixes = docs.sparkSession.createDataFrame([(*r, length[r[0]]) for r in rows], PREFIX + ", length int")
+    length = [t.length for t in templates]
+    prefixes = docs.sparkSession.createDataFrame(rows, PREFIX)
     lines = F.transform(F.split("text", "\n"), words)
     spoken = docs.where(
         F.arrays_overlap(words(F.col("text")), _literal(sorted({r[-1] for r in rows})))
@@ -205,26 +214,50 @@ def match_windows(
     return best.where(~reduce(or_, map(nearer, templates))).select(*keys, "label", share.alias("containment"))
 
 
-def match_blocks(docs: DataFrame, keys: list[str], order: list[str], rows: list[tuple]) -> DataFrame:
-    """keys, label and containment of every line and template that meet, but for templates whose
-    words in the line are all words of a nearer one, met to a larger share or, of equal shares, with
-    more words: statements that differ in a word meet each other's templates."""
+def _parts(b: str, room: int) -> Column:
+    """A line's words in parts of bounded size, so that each run of `room` words is inside one of them."""
+    step = 3 * room
+    last = F.greatest(F.ceil((F.size(b) - step - room) / step), F.lit(0)).cast("int")
+    return F.transform(F.sequence(F.lit(0), last), lambda c: F.slice(b, c * step + 1, step + room))
+
+
+def match_blocks(
+    docs: DataFrame, keys: list[str], templates: Sequence[Template], order: list[str], rows: list[tuple]
+) -> DataFrame:
+    """keys, label and containment of every line and template that meet in a block, but for templates whose
+    words in the line's best block are all words of a nearer one, met to a larger share or, of equal shares,
+    with more words: statements that differ in a word meet each other's templates."""
     prefixes = docs.sparkSession.createDataFrame(rows, PREFIX)
     rare = _literal(sorted({r[-1] for r in rows}))
     lines = docs.withColumn("__lower", F.translate("text", UPPER, LOWER)).where(
         F.arrays_overlap(F.split("__lower", SEPARATOR), rare)
     )
     blocks = lines.select(*keys, F.posexplode(F.split("__lower", "\n")).alias("block", "line"))
-    blocks = blocks.select(*keys, "block", F.array_intersect(_literal(order), F.split("line", SEPARATOR)).alias("has"))
-    blocks = blocks.where(F.size("has") >= min(r[3] for r in rows))
-    seen = blocks.select(*keys, "block", "has", F.posexplode("has").alias("j", "word"))
+    blocks = blocks.select(*keys, "block", F.array_remove(F.split("line", SEPARATOR), "").alias("b"))
+    known, least = _literal(order), min(r[3] for r in rows)
+    # Few lines have enough words of the vocabulary; only these are cut into parts.
+    blocks = blocks.where(F.size(F.array_intersect(known, "b")) >= least)
+    blocks = blocks.select(*keys, "block", F.explode(_parts("b", ROOM * max(t.length for t in templates))).alias("b"))
+    blocks = blocks.withColumn("has", F.array_intersect(known, "b")).where(F.size("has") >= least)
+    seen = blocks.select(*keys, "block", "b", "has", F.posexplode("has").alias("j", "word"))
     bound = 1 + F.least(F.size("own") - F.col("i") - 1, F.size("has") - F.col("j") - 1)
     # The prefixes are a parameter of the scan, a few rows a template.
     pairs = seen.join(F.broadcast(prefixes), "word").where((F.size("has") >= F.col("need")) & (bound >= F.col("need")))
-    shared = F.size(F.array_intersect("own", "has"))
-    one = F.struct((shared / F.size("own")).alias("containment"), "label", F.array_intersect("own", "has").alias("met"))
-    told = F.size(F.array_except("must", "has")) == 0
-    met = pairs.where((shared >= F.col("need")) & told).select(*keys, "block", "template", one.alias("m"))
+    # Own words are in the global order, as those of a line are: a pair is verified at its first common one.
+    shared = F.array_intersect("own", "has")
+    pairs = pairs.where((F.get(shared, F.lit(0)) == F.col("word")) & (F.size(shared) >= F.col("need")))
+    pairs = pairs.where(F.size(F.array_except("must", "has")) == 0)
+
+    def run(s):
+        met = F.array_intersect("own", F.slice("b", s + 1, ROOM * F.col("length")))
+        told = F.size(F.array_except("must", met)) == 0
+        return F.struct(F.when(told, F.size(met)).otherwise(0).alias("n"), F.array_sort(met).alias("met"))
+
+    # Of all runs, those that start with a word of the template have the most of them.
+    starts = F.filter(F.sequence(F.lit(0), F.size("b") - 1), lambda s: F.array_contains("own", F.get("b", s)))
+    met = pairs.withColumn("best", F.array_max(F.transform(starts, run))).where("best.n >= need")
+    one = F.struct((F.col("best.n") / F.size("own")).alias("containment"), "label", F.col("best.met").alias("met"))
+    met = met.groupBy(*keys, "block", "template").agg(F.max(one).alias("m"))
     # A row a template at most.
     met = met.groupBy(*keys, "block").agg(F.collect_set("m").alias("all"))
     more = lambda o, m: (o["containment"] > m["containment"]) | (
@@ -242,7 +275,7 @@ def scan(docs: DataFrame, templates: Sequence[Template] = TEMPLATES, threshold:
     mark = F.xxhash64("doc_id", "text")
     marked = docs.select("doc_id", "text", mark.alias("__mark"))
     order, rows = _prefixes(marked, templates, threshold)
-    met = match_blocks(marked, ["doc_id", "__mark"], order, rows)
+    met = match_blocks(marked, ["doc_id", "__mark"], templates, order, rows)
     met = met.unionByName(match_windows(marked, ["doc_id", "__mark"], templates, rows, threshold))
     by_doc = met.groupBy(F.col("doc_id").alias("__id"), F.col("__mark").alias("__key")).agg(
         F.collect_set("label").alias("own_labels"), F.max("containment").alias("best")

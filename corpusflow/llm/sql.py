@@ -99,15 +99,15 @@ FROM k
 
 
 def _licenses(threshold: float = 0.8) -> str:
-    """Brute force: all phrases at all places, all templates against all lines."""
-    from corpusflow.llm.license_scan import PHRASES, TEMPLATES, need
+    """Brute force: all phrases at all places, all templates against all runs of words of all lines."""
+    from corpusflow.llm.license_scan import PHRASES, ROOM, TEMPLATES, need
 
     phrases = ", ".join(f"({p.split()}, '{label}')" for p, label in PHRASES.items())
     templates = ", ".join(
-        f"('{t.label}', {t.words}, {need(len(t.words), threshold)}, {list(t.must)}::VARCHAR[])" for t in TEMPLATES
+        f"('{t.label}', {t.words}, {need(len(t.words), threshold)}, {list(t.must)}::VARCHAR[], {ROOM * t.length})" for t in TEMPLATES
     )
     return rf"""
-WITH phrases(p, label) AS (VALUES {phrases}), templates(label, t, need, must) AS (VALUES {templates}),
+WITH phrases(p, label) AS (VALUES {phrases}), templates(label, t, need, must, room) AS (VALUES {templates}),
 d AS (SELECT row_number() OVER () AS r, doc_id, text, {WORDS} AS w FROM documents),
 places AS (
   SELECT r, label, unnest(list_filter(range(0, len(w)), lambda i: w[i + 1 : i + len(p)] = p)) AS i FROM d, phrases
@@ -115,8 +115,13 @@ places AS (
   SELECT r, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list(DISTINCT label) AS base FROM places GROUP BY r
 ), lines AS (
   SELECT r, row_number() OVER () AS line, {WORDS} AS b FROM (SELECT r, unnest(string_split(text, chr(10))) AS text FROM d WHERE text IS NOT NULL)
+), runs AS (
+  SELECT r, line, label, t, need, list_sort(list_filter(list_transform(range(0, greatest(len(b) - room, 0) + 1), lambda s: list_sort(list_intersect(t, b[s + 1 : s + room]))), lambda m: len(m) >= need AND len(list_intersect(must, m)) = len(must)), 'DESC') AS ms
+  FROM lines, templates WHERE len(list_intersect(t, b)) >= need AND len(list_intersect(must, b)) = len(must)
+), best AS (
+  SELECT r, line, label, t, list_filter(ms, lambda m: len(m) = list_max(list_transform(ms, lambda o: len(o))))[1] AS m FROM runs WHERE len(ms) > 0
 ), pairs AS (
-  SELECT r, line, label, list_intersect(t, b) AS m, len(list_intersect(t, b)) / len(t) AS part FROM lines, templates WHERE len(list_intersect(t, b)) >= need AND len(list_intersect(must, b)) = len(must)
+  SELECT r, line, label, m, len(m) / len(t) AS part FROM best
 ), met AS (
   SELECT r, list(DISTINCT label) AS own, max(part) AS best FROM pairs p
   WHERE NOT EXISTS (SELECT 1 FROM pairs o WHERE o.line = p.line AND (o.part > p.part OR o.part = p.part AND len(o.m) > len(p.m)) AND len(list_intersect(p.m, o.m)) = len(p.m)) GROUP BY r

@@ -930,6 +930,18 @@ def test_license_notices_wrap(spark):
     assert rows[-1].labels == "apache,apache-2.0,mit"
 
 
+def met_by_force(line):
+    """Each template that a line meets, and its words in the best run of twice its length."""
+    met = []
+    for t in license_scan.TEMPLATES:
+        room = license_scan.ROOM * len(t.text.split())
+        runs = [set(t.words) & set(line[s : s + room]) for s in range(max(len(line) - room, 0) + 1)]
+        runs = [x for x in runs if len(x) >= license_scan.need(len(t.words), 0.8) and set(t.must) <= x]
+        if runs:
+            met.append((t, max(runs, key=lambda x: (len(x), sorted(x)))))
+    return met
+
+
 def test_license_lines_by_loop(spark):
     """Labels of lines with words of the templates at random, by trying every template."""
     r = random.Random(12)
@@ -942,10 +954,7 @@ def test_license_lines_by_loop(spark):
         r.shuffle(words)
         texts.append(" ".join(words))
     for row in license_scan.scan(table(spark, texts)).collect():
-        words = set(texts[row.doc_id].split())
-        met = [
-            (t, set(t.words) & words) for t in license_scan.TEMPLATES if len(set(t.words) & words) >= license_scan.need(len(t.words), 0.8) and set(t.must) <= words
-        ]
+        met = met_by_force(texts[row.doc_id].split())
         share = lambda x: len(x[1]) / len(x[0].words)
         left = [x for x in met if not any((share(o), len(o[1])) > (share(x), len(x[1])) and x[1] <= o[1] for o in met)]
         base = {label for p, label in license_scan.PHRASES.items() if f" {p} " in f" {texts[row.doc_id]} "}
@@ -1024,3 +1033,27 @@ def test_license_labels_are_not_their_neighbours(spark):
     }
     rows = license_scan.scan(table(spark, list(texts))).orderBy("doc_id").collect()
     assert [r.labels for r in rows] == list(texts.values())
+
+
+def test_license_words_scattered_over_a_long_line(spark):
+    """Words of a template count within a bounded run of a line only, wherever parts of the line are cut."""
+    r = random.Random(7)
+    filler = [f"word{i}" for i in range(1800)]
+    scattered = list(filler)
+    for at, w in zip((3, 700, 1200, 1790), ("released", "under", "license", "mit"), strict=True):
+        scattered[at] = w
+    texts = [" ".join(scattered), *(" ".join([*filler[:n], "released under the mit license", *filler]) for n in range(0, 700, 7))]
+    for _ in range(60):
+        own = r.sample(license_scan.TEMPLATES, 2)
+        words = [w for t in own for w in t.text.split()] + [r.choice(filler) for _ in range(r.choice((20, 300, 900)))]
+        at = r.randrange(len(words))
+        r.shuffle(words)
+        texts.append(" ".join([*words[:at], *own[0].text.split(), *words[at:]]))
+    rows = license_scan.scan(table(spark, texts)).orderBy("doc_id").collect()
+    assert rows[0].labels == "" and rows[0].score == 0 and all(x.labels == "mit" for x in rows[1:101])
+    share = lambda x: len(x[1]) / len(x[0].words)
+    for row in rows[101:]:
+        met = met_by_force(texts[row.doc_id].split())
+        left = [x for x in met if not any((share(o), len(o[1])) > (share(x), len(x[1])) and x[1] <= o[1] for o in met)]
+        base = {label for p, label in license_scan.PHRASES.items() if f" {p} " in f" {texts[row.doc_id]} "}
+        assert row.labels == ",".join(sorted({t.label for t, _ in left} | base)) and row.score == max(map(share, met))
