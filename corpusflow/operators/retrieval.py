@@ -19,6 +19,12 @@ PASS_BYTES = 32 << 20
 TILE = 4 << 20
 #: Decimals of a similarity that count for its rank; more would be the noise of its sum.
 RANK_DIGITS = 12
+#: Directions whose part of a product is taken first; the rest is bounded by what is left of both lengths.
+HEAD = 16
+#: Rows of a batch that are multiplied first, so that the others meet a floor.
+FIRST_ROWS = 1024
+#: Room for the error of bounds, which are sums of floats of 32 bits.
+SLACK = 1e-5
 
 
 def cosine_similarity(a: Column, b: Column) -> Column:
@@ -66,34 +72,115 @@ def _by_id(column: pa.Array) -> np.ndarray:
     return np.argsort(np.array(column.to_pylist(), object if pa.types.is_string(column.type) else None), kind="stable")
 
 
+def directions(vectors: np.ndarray) -> np.ndarray | None:
+    """The HEAD orthonormal directions that hold most of the queries' lengths, as columns; None where too
+    few queries or components are given for bounds to pay."""
+    if vectors.shape[0] <= 2 * HEAD or vectors.shape[1] < 2 * HEAD:
+        return None
+    known = np.nan_to_num(vectors)
+    return np.linalg.eigh(known.T @ known)[1][:, -HEAD:]
+
+
+def _headed(unit: np.ndarray, along: np.ndarray) -> np.ndarray:
+    """Parts of unit vectors along the directions, then the length of what is left: the product of
+    two such rows is no less than that of their vectors."""
+    head = unit @ along
+    left = np.sqrt(np.maximum(1 - np.einsum("ij,ij->i", head, head), 0))
+    return np.column_stack([head, left]).astype(np.float32)
+
+
+def _exact(vectors: np.ndarray, unit: np.ndarray, row: np.ndarray, column: np.ndarray) -> np.ndarray:
+    """Products of the pairs (row, column), some at a time."""
+    step = max(1, TILE // vectors.shape[1])
+    parts = [
+        np.einsum("ij,ij->i", vectors[row[i : i + step]], unit[column[i : i + step]]) for i in range(0, len(row), step)
+    ]
+    return np.round(np.concatenate(parts), RANK_DIGITS) if parts else np.zeros(0)
+
+
+def _first_of_each(row: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k highest scores of each row, rows in order; of equal scores the first ones."""
+    order = np.lexsort((np.arange(len(row)), -scores, row))
+    own = row[order]
+    return order[np.arange(len(own)) - np.searchsorted(own, own) < k]
+
+
 def _scored(
     ids: pa.Array, vectors: np.ndarray, chunk: pa.Array, unit: np.ndarray, k: int, threshold: float | None, digits: int,
-    floors: np.ndarray
+    floors: np.ndarray, along: np.ndarray | None, heads: np.ndarray | None, work: np.ndarray
 ) -> Iterator[pa.RecordBatch]:
     """query_id, chunk_id and similarity of each query's k best chunks of a batch, tile by tile.
-    floors: each query's k-th score so far (columns are its k best), which batches raise."""
+    floors: each query's k-th score so far (columns are its k best), which batches raise. along and
+    heads: directions and the queries' parts along them. work: pairs, and those multiplied in full."""
     order = _by_id(chunk)
     chunk, unit = chunk.take(pa.array(order)), unit[order]
-    step = max(1, TILE // max(1, len(chunk)))
-    for i in range(0, len(ids), step):
-        with np.errstate(invalid="ignore"):
-            scores = np.round(vectors[i : i + step] @ unit.T, RANK_DIGITS)
-        low = np.isnan(scores)
-        if threshold is not None:
-            low |= np.round(scores, digits) < threshold
-        scores[low] = -np.inf
-        row, column = _best(scores, k, floors[i : i + step, 0])
-        found = scores[row, column]
-        if len(row):
-            both = np.full((len(scores), 2 * k), -np.inf)
-            both[:, :k] = floors[i : i + step]
-            place = np.arange(len(row)) - np.searchsorted(row, row)
-            both[row, k + place] = found
-            floors[i : i + step] = np.sort(both, axis=1)[:, k:]
-            yield pa.RecordBatch.from_arrays(
-                [ids.take(pa.array(row + i)), chunk.take(pa.array(column)), pa.array(found)],
-                names=["query_id", "chunk_id", "similarity"]
-            )
+    own_heads = None if along is None else _headed(unit, along)
+    low_end = -np.inf if threshold is None else threshold - 10.0**-digits
+    cuts = [0, len(chunk)] if along is None else sorted({0, min(FIRST_ROWS, len(chunk)), len(chunk)})
+    for first, stop in zip(cuts, cuts[1:], strict=False):
+        rows = unit[first:stop]
+        step = max(1, TILE // max(1, len(rows)))
+        for i in range(0, len(ids), step):
+            mine, floor = vectors[i : i + step], np.maximum(floors[i : i + step, 0], low_end)
+            work[0] += len(mine) * len(rows)
+            met = None
+            if along is not None and np.isfinite(floor).any():
+                with np.errstate(invalid="ignore"):
+                    bound = heads[i : i + step] @ own_heads[first:stop].T
+                met = np.flatnonzero(bound >= (floor - SLACK).astype(np.float32)[:, None])
+            if met is not None and 8 * len(met) < len(mine) * len(rows):
+                work[1] += len(met)
+                row, column = np.divmod(met, len(rows))
+                found = _exact(mine, rows, row, column)
+                kept = found >= floor[row]
+                if threshold is not None:
+                    kept &= np.round(found, digits) >= threshold
+                row, column, found = row[kept], column[kept], found[kept]
+                best = _first_of_each(row, found, k)
+                row, column, found = row[best], column[best], found[best]
+            else:
+                work[1] += len(mine) * len(rows)
+                with np.errstate(invalid="ignore"):
+                    scores = np.round(mine @ rows.T, RANK_DIGITS)
+                low = np.isnan(scores)
+                if threshold is not None:
+                    low |= np.round(scores, digits) < threshold
+                scores[low] = -np.inf
+                row, column = _best(scores, k, floors[i : i + step, 0])
+                found = scores[row, column]
+            if len(row):
+                both = np.full((len(mine), 2 * k), -np.inf)
+                both[:, :k] = floors[i : i + step]
+                both[row, k + np.arange(len(row)) - np.searchsorted(row, row)] = found
+                floors[i : i + step] = np.sort(both, axis=1)[:, k:]
+                yield pa.RecordBatch.from_arrays(
+                    [ids.take(pa.array(row + i)), chunk.take(pa.array(column + first)), pa.array(found)],
+                    names=["query_id", "chunk_id", "similarity"]
+                )
+
+
+def topk_work(queries: DataFrame, index: DataFrame, k: int, threshold: float | None = None) -> DataFrame:
+    """pairs of queries and chunks that retrieve_topk looks at, those it multiplies in full, and the share
+    that bounds skip: one row a task. Queries are those of one pass (PASS_BYTES)."""
+    block = queries.where("embedding is not null").select("query_id", "embedding").toArrow()
+    ids, vectors = block.column("query_id").combine_chunks(), _unit(block.column("embedding"))
+    along = directions(vectors)
+    sent = queries.sparkSession.sparkContext.broadcast(
+        (ids, vectors, along, None if along is None else _headed(vectors, along))
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, vectors, along, heads = sent.value
+        floors, work = np.full((len(ids), k), -np.inf), np.zeros(2, np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                own = batch.column(0), _unit(batch.column(1)), k, threshold, 6, floors, along, heads, work
+                for _ in _scored(ids, vectors, *own):
+                    pass
+        yield pa.RecordBatch.from_arrays([pa.array(work[:1]), pa.array(work[1:])], names=["pairs", "multiplied"])
+
+    found = index.where("embedding is not null").select("chunk_id", "embedding").mapInArrow(run, "pairs long, multiplied long")
+    return found.withColumn("skipped", F.try_divide(F.col("pairs") - F.col("multiplied"), F.col("pairs")))
 
 
 def retrieve_topk(
@@ -122,18 +209,18 @@ def retrieve_topk(
         block = block.toArrow()
         if not block.num_rows:
             return spark.createDataFrame([], schema)
-        sent = spark.sparkContext.broadcast(
-            (block.column("query_id").combine_chunks(), _unit(block.column("embedding")))
-        )
+        vectors = _unit(block.column("embedding"))
+        along = directions(vectors)
+        heads = None if along is None else _headed(vectors, along)
+        sent = spark.sparkContext.broadcast((block.column("query_id").combine_chunks(), vectors, along, heads))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, vectors = sent.value
-            floors = np.full((len(ids), k), -np.inf)
+            ids, vectors, along, heads = sent.value
+            floors, work = np.full((len(ids), k), -np.inf), np.zeros(2, np.int64)
             for batch in batches:
                 if batch.num_rows:
-                    yield from _scored(
-                        ids, vectors, batch.column(0), _unit(batch.column(1)), k, threshold, digits, floors
-                    )
+                    own = batch.column(0), _unit(batch.column(1)), k, threshold, digits, floors, along, heads, work
+                    yield from _scored(ids, vectors, *own)
 
         found = rows.mapInArrow(run, schema)
         if passes == 1:

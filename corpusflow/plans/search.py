@@ -40,6 +40,15 @@ def retrieve_topk(spark: Spark, sf: str) -> DataFrame:
     return _top(spark, sf, 5)
 
 
+@query("SELECT (SELECT count(*) FROM embeddings WHERE vec_id % 100 = 0) * count(*) AS pairs, true AS no_more_multiplied FROM embeddings")
+def topk_work(spark: Spark, sf: str) -> DataFrame:
+    """Pairs that exact retrieval looks at; those that it multiplies in full are no more."""
+    done = retrieval.topk_work(_queries(spark, sf), _vectors(spark, sf), 5).agg(
+        F.sum("pairs").alias("pairs"), F.sum("multiplied").alias("multiplied")
+    )
+    return done.select("pairs", (F.col("multiplied") <= F.col("pairs")).alias("no_more_multiplied"))
+
+
 @query(
     "SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], list_reverse(embedding)::DOUBLE[]), 6) AS similarity FROM embeddings"
 )

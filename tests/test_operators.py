@@ -752,3 +752,48 @@ def test_daily_sketches_answer_quantiles(spark):
                     assert abs(sum(d <= found for d in mine) / len(mine) - q) < 0.02
                 else:
                     assert found is None
+
+
+def test_topk_skips_pairs_by_bounds(spark):
+    """Rows are those of all products, with ties, zero vectors and a threshold; of vectors with few main
+    directions most pairs are never multiplied in full."""
+    r = np.random.default_rng(5)
+    for decay, least in ((0.8, 0.8), (1.0, 0.0)):
+        base = (r.normal(size=(6000, 64)) * decay ** np.arange(64)).astype(np.float32)
+        base[3000:3500] = base[:500]
+        base[17] = 0
+        asked = base[::40].copy()  # the zero vector isn't among them
+        asked[3] = 0
+        rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(base)], "chunk_id int, embedding array<float>").repartition(2)
+        queries = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(asked)], "query_id int, embedding array<float>")
+        unit = lambda v: v.astype(float) / np.maximum(np.linalg.norm(v.astype(float), axis=1, keepdims=True), 1e-300)
+        scores = np.round(unit(asked) @ unit(base).T, 9)
+        scores[3], scores[:, 17] = -9, -9
+        for threshold in (None, 0.9):
+            low = -8 if threshold is None else threshold
+            want = set()
+            for q, own in enumerate(scores):
+                best = [c for c in np.lexsort((np.arange(len(own)), -own))[:6] if own[c] >= low]
+                want |= {(q, int(c), n) for n, c in enumerate(best, 1)}
+            found = retrieval.retrieve_topk(queries, rows, 6, threshold).collect()
+            assert {(x.query_id, x.chunk_id, x.initial_rank) for x in found} == want
+            work = retrieval.topk_work(queries, rows, 6, threshold).agg(F.sum("pairs").alias("p"), F.sum("multiplied").alias("m")).first()
+            assert work.p == len(asked) * len(base) and 1 - work.m / work.p >= (least if threshold else min(least, 0.5))
+
+
+def test_semantic_search_by_loop(spark):
+    """Questions meet the chunks that products of the same hashed vectors rank first; texts without
+    tokens have the first direction."""
+    texts = ["alpha beta gamma", "beta gamma delta", "delta epsilon", "zeta eta theta", "alpha alpha beta", "", None]
+    chunks = embedding.embed_hashing(spark.createDataFrame(list(enumerate(texts)), "chunk_id int, text string"))
+    asked = spark.createDataFrame([(1, "alpha beta"), (2, "epsilon delta"), (3, ""), (4, None)], "question_id int, text string")
+    index = {x.chunk_id: x.embedding for x in chunks.collect() if x.embedding and any(x.embedding)}
+    want = set()
+    for x in embedding.embed_hashing(asked).collect():
+        if x.embedding and any(x.embedding):
+            dot = lambda a, b: sum(p * q for p, q in zip(a, b, strict=True))
+            score = {c: dot(x.embedding, v) / math.sqrt(dot(x.embedding, x.embedding) * dot(v, v)) for c, v in index.items()}
+            best = sorted(score, key=lambda c: (-round(score[c], 9), c))[:2]
+            want |= {(x.question_id, c, n) for n, c in enumerate(best, 1)}
+    found = retrieval.semantic_search(asked, embedding.embed_hashing, chunks.select("chunk_id", "embedding"), 2).collect()
+    assert {(x.query_id, x.chunk_id, x.initial_rank) for x in found} == want and {x[0] for x in want} == {1, 2, 3, 4}
