@@ -8,6 +8,7 @@ from pathlib import Path
 
 import chunk_loops
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from corpusflow.functions import text as T
 from corpusflow.functions.urls import Rules, resolve_url, url_allowed
 from corpusflow.operators import answers, approximate, blocks, chunking, embedding, evaluation, index, ingest, integrity, links, retrieval
+from corpusflow.plans.registry import oracle_sql, queries
 from corpusflow.sources import corpus, snapshots
 from corpusflow.streaming import jobs
 
@@ -439,6 +441,16 @@ def test_title_entities(spark):
     assert links.page_title(spark.createDataFrame(rows, "url string, html string")).first().title == "Aé–A <T> &lt;"
 
 
+def test_titles_are_those_of_their_sql(spark, oracle, tmp_path):
+    heads = [
+        "<h1>A &amp&amp; b&amp</h1>", "<h1>&notit; &notin; &no; &; &#; &bogus; &NotEqualTilde;x&nbsp;</h1>", "<h1>&#x80;&#65 &#x1F600;&#0;&#xD800;&#1;&#99999999999;.</h1>",
+        "<h1> &nbsp;\u2003 </h1><title>T &lt;i&gt; &amp;amp;</title>", "<H1 class='x'>it's <b>b</b>\u0085c</H1 >", "<h1></h1><title> </title>", "none", None
+    ]
+    rows = [(i, f"https://host.example/d/{name}", h) for h in heads for i, name in enumerate(["", "A+b%20c.html", "50%.html"])]
+    pd.DataFrame(rows, columns=["page_id", "url", "html"]).to_parquet(tmp_path / "pages.parquet")
+    assert oracle(queries()["page_title"](spark, str(tmp_path)), oracle_sql()["page_title"], str(tmp_path)) == len(rows)
+
+
 def test_topk_by_loop(spark, monkeypatch):
     """Ties by id, zero vectors, thresholds, several passes and tiles against a plain loop."""
     r = random.Random(3)
