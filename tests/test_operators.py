@@ -451,6 +451,14 @@ def test_titles_are_those_of_their_sql(spark, oracle, tmp_path):
     assert oracle(queries()["page_title"](spark, str(tmp_path)), oracle_sql()["page_title"], str(tmp_path)) == len(rows)
 
 
+def test_streamed_manifest_has_one_row_an_id_as_its_sql(spark, oracle, tmp_path):
+    urls = ["https://h/a", "https://h/a", "https://h/b?q", "https://h/b?q", "http://h/c", "http://h/c", "http://h/d"]
+    rows = [(i, url, f"<p>{i * 7 % 5}</p>") for i, url in enumerate(urls)]
+    pd.DataFrame(rows, columns=["page_id", "url", "html"]).to_parquet(tmp_path / "pages.parquet")
+    found = queries()["stream_ingest_changes"](spark, str(tmp_path))
+    assert oracle(found, oracle_sql()["stream_ingest_changes"], str(tmp_path)) == 4
+
+
 def test_topk_by_loop(spark, monkeypatch):
     """Ties by id, zero vectors, thresholds, several passes and tiles against a plain loop."""
     r = random.Random(3)
