@@ -15,8 +15,10 @@ from corpusflow.sources.scratch import materialize
 
 #: Bytes of the queries' vectors that one pass over the index takes, as sent to every task.
 PASS_BYTES = 32 << 20
-#: Scores of one tile: queries of a pass times rows of a batch.
-TILE = 4 << 20
+#: Scores of one tile: queries of a pass times rows of a slice. A task has few tables of this size at once.
+TILE = 512 << 10
+#: Components of the rows that a task takes from a batch at once, whatever the vectors' length.
+SLICE = 1 << 20
 #: Decimals of a similarity that count for its rank; more would be the noise of its sum.
 RANK_DIGITS = 12
 #: Directions whose part of a product is taken first; the rest is bounded by what is left of both lengths.
@@ -54,6 +56,14 @@ def _unit(column: pa.Array) -> np.ndarray:
         return table / np.linalg.norm(table, axis=1, keepdims=True)
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of batches in slices of SLICE components at most (or of one row); column 1 has the vectors."""
+    for batch in batches:
+        width = len(batch.column(1).flatten()) // max(1, batch.num_rows)
+        step = max(1, SLICE // max(1, width))
+        yield from (batch.slice(i, step) for i in range(0, batch.num_rows, step))
+
+
 def _best(scores: np.ndarray, k: int, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Row and column of the k highest scores of each row that reach its floor; of equal scores the
     first columns."""
@@ -141,7 +151,8 @@ def _scored(
             else:
                 work[1] += len(mine) * len(rows)
                 with np.errstate(invalid="ignore"):
-                    scores = np.round(mine @ rows.T, RANK_DIGITS)
+                    scores = mine @ rows.T
+                    np.round(scores, RANK_DIGITS, out=scores)
                 low = np.isnan(scores)
                 if threshold is not None:
                     low |= np.round(scores, digits) < threshold
@@ -172,11 +183,10 @@ def topk_work(queries: DataFrame, index: DataFrame, k: int, threshold: float | N
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, vectors, along, heads = sent.value
         floors, work = np.full((len(ids), k), -np.inf), np.zeros(2, np.int64)
-        for batch in batches:
-            if batch.num_rows:
-                own = batch.column(0), _unit(batch.column(1)), k, threshold, 6, floors, along, heads, work
-                for _ in _scored(ids, vectors, *own):
-                    pass
+        for rows in _slices(batches):
+            own = rows.column(0), _unit(rows.column(1)), k, threshold, 6, floors, along, heads, work
+            for _ in _scored(ids, vectors, *own):
+                pass
         yield pa.RecordBatch.from_arrays([pa.array(work[:1]), pa.array(work[1:])], names=["pairs", "multiplied"])
 
     found = index.where("embedding is not null").select("chunk_id", "embedding").mapInArrow(run, "pairs long, multiplied long")
@@ -194,8 +204,9 @@ def retrieve_topk(
 
     A pass over the index takes queries of PASS_BYTES at most, which are sent to every task; if
     there are more, each pass's result is written before the next one's queries are fetched. A task
-    multiplies them with batches of the index tile by tile, and passes on what may be among a
-    query's k best; no pair of rows is ever formed outside a task.
+    multiplies them with slices of the index tile by tile, and passes on what may be among a
+    query's k best; no pair of rows is ever formed outside a task. Beside the pass's queries a task
+    holds a few tables of TILE scores or SLICE components, however many rows and queries there are.
     """
     spark = queries.sparkSession
     queries = queries.where("embedding is not null").select("query_id", "embedding")
@@ -217,10 +228,9 @@ def retrieve_topk(
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, vectors, along, heads = sent.value
             floors, work = np.full((len(ids), k), -np.inf), np.zeros(2, np.int64)
-            for batch in batches:
-                if batch.num_rows:
-                    own = batch.column(0), _unit(batch.column(1)), k, threshold, digits, floors, along, heads, work
-                    yield from _scored(ids, vectors, *own)
+            for part in _slices(batches):
+                own = part.column(0), _unit(part.column(1)), k, threshold, digits, floors, along, heads, work
+                yield from _scored(ids, vectors, *own)
 
         found = rows.mapInArrow(run, schema)
         if passes == 1:

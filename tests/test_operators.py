@@ -4,11 +4,13 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 from pathlib import Path
 
 import chunk_loops
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -801,6 +803,27 @@ def test_topk_skips_pairs_by_bounds(spark):
             assert work.p == len(asked) * len(base) and 1 - work.m / work.p >= (least if threshold else min(least, 0.5))
 
 
+def test_topk_task_holds_bounded_tables():
+    """What a task holds beside queries and rows doesn't grow with either's number, nor with their length."""
+    r, peaks = np.random.default_rng(6), []
+    for n_queries, n_rows, width in ((200, 4000, 64), (2000, 12000, 64), (50, 12000, 768)):
+        vectors = r.normal(size=(n_queries, width))
+        vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+        rows = pa.array(r.normal(size=(n_rows, width)).astype(np.float32).tolist(), pa.list_(pa.float32()))
+        batch = pa.RecordBatch.from_arrays([pa.array(np.arange(n_rows)), rows], names=["chunk_id", "embedding"])
+        floors, work, found = np.full((n_queries, 20), -np.inf), np.zeros(2, np.int64), 0
+        along = retrieval.directions(vectors)
+        heads = retrieval._headed(vectors, along)
+        tracemalloc.start()
+        for part in retrieval._slices([batch]):
+            own = part.column(0), retrieval._unit(part.column(1)), 20, 0.0, 6, floors, along, heads, work
+            found += sum(len(x) for x in retrieval._scored(pa.array(np.arange(n_queries)), vectors, *own))
+        peaks.append(tracemalloc.get_traced_memory()[1] / 2**20)
+        tracemalloc.stop()
+        assert work[0] == n_queries * n_rows and found >= 20 * n_queries
+    assert max(peaks) < 64, peaks
+
+
 def test_semantic_search_by_loop(spark):
     """Questions meet the chunks that products of the same hashed vectors rank first; texts without
     tokens have the first direction."""
