@@ -70,16 +70,18 @@ def check_hashes(documents: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def check_denormalised(chunks: DataFrame, documents: DataFrame, columns: dict[str, str]) -> DataFrame:
-    """Chunk columns that differ from their document's; columns: chunk column to document's."""
+    """Chunk columns that differ from their document's; columns: chunk column to document's. One join
+    compares all columns, so chunks' ids are shuffled once."""
     theirs = documents.select("document_id", *(F.col(d).alias(f"__{c}") for c, d in columns.items()))
-    rows = chunks.join(theirs.hint("merge"), "document_id")
-    return union(
-        *(
-            _rows(
-                rows.where(~F.col(c).eqNullSafe(F.col(f"__{c}"))), f"{c}_differs", F.col("chunk_id"), F.col(c)
-            ) for c in columns
-        )
-    )
+    rows = chunks.select("document_id", "chunk_id", *columns).join(theirs.hint("merge"), "document_id")
+    found = [
+        F.when(
+            ~F.col(c).eqNullSafe(F.col(f"__{c}")),
+            F.struct(F.lit(f"{c}_differs").alias("rule"), F.col(c).cast("string").alias("detail"))
+        ) for c in columns
+    ]
+    broken = rows.select("chunk_id", F.explode(F.array_compact(F.array(*found))).alias("x"))
+    return broken.select("x.rule", F.col("chunk_id").cast("string").alias("key"), "x.detail")
 
 
 def check_constraints(df: DataFrame, key: str, rules: dict[str, Column]) -> DataFrame:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusflow.operators.integrity import check_artifacts, check_headers, check_manifest, check_pairing
-from corpusflow.sources.scratch import materialize
+from corpusflow.sources.scratch import delete_path, dropping_shuffles
 
 ARTIFACT_COLUMNS = [
     "chunk_id", "document_id", "source_url", "document_title", "version", "processed_content_hash", "section",
@@ -53,17 +53,35 @@ def _reject(violations: DataFrame, what: str = "artifacts") -> None:
         raise ValueError(f"invalid {what}: {found[0].rule} {found[0].key} {found[0].detail}")
 
 
+def _denormalised_in_order(documents: DataFrame, chunks: DataFrame) -> DataFrame:
+    """denormalise of chunks that all have one document, sorted by document and ordinal: texts are shuffled
+    once, by ranges of documents, each of which stands before its chunks and is then left out."""
+    taken = {"source_url": "canonical_url", "document_title": "title", "version": "version", "processed_content_hash": "content_hash"}
+    heads = documents.select("document_id", F.struct(*(F.col(d).alias(c) for c, d in taken.items())).alias("head"))
+    both = chunks.withColumn("is_chunk", F.lit(True)).unionByName(heads.withColumn("is_chunk", F.lit(False)), allowMissingColumns=True)
+    in_order = Window.partitionBy("document_id").orderBy("is_chunk", "ordinal").rowsBetween(Window.unboundedPreceding, 0)
+    rows = both.repartitionByRange("document_id").withColumn("head", F.first("head").over(in_order)).where("is_chunk")
+    return rows.select("*", "head.*").select(*ARTIFACT_COLUMNS).sortWithinPartitions("document_id", "ordinal")
+
+
 def write_artifacts(documents: DataFrame, chunks: DataFrame, header: dict[str, int], root: str) -> None:
     """Documents, denormalised chunks (both sorted) and either one's header, below a new folder.
-    Artifacts that break a rule of integrity aren't written."""
-    _reject(check_pairing(documents, chunks))  # the join below would lose chunks without document
-    rows = materialize(denormalise(documents, chunks), "artifact-chunks")
-    _reject(check_artifacts(documents, rows))
+    Artifacts that break a rule of integrity don't stay: chunks are checked as written, and deleted before
+    anything else is there, where a rule is broken."""
+    spark = documents.sparkSession
+    _reject(check_pairing(documents, chunks))  # below, each chunk takes over its document's columns
     values = [F.lit(v).alias(k) for k, v in header.items()]
-    heads = documents.sparkSession.range(1).select(*values)
+    heads = spark.range(1).select(*values)
     _reject(check_headers(heads, heads))
-    documents.repartitionByRange("document_id").sortWithinPartitions("document_id").write.mode("errorifexists").parquet(f"{root}/documents")
-    rows.repartitionByRange("document_id", "ordinal").sortWithinPartitions("document_id", "ordinal").write.mode("errorifexists").parquet(f"{root}/chunks")
+    with dropping_shuffles(spark):
+        _denormalised_in_order(documents, chunks).write.mode("errorifexists").parquet(f"{root}/chunks", compression="zstd")
+    try:
+        _reject(check_artifacts(documents, spark.read.parquet(f"{root}/chunks")))
+    except BaseException:
+        delete_path(spark, f"{root}/chunks")
+        raise
+    with dropping_shuffles(spark):
+        documents.repartitionByRange("document_id").sortWithinPartitions("document_id").write.mode("errorifexists").parquet(f"{root}/documents", compression="zstd")
     for side in ("documents", "chunks"):
         heads.write.mode("errorifexists").json(f"{root}/header-{side}")
 

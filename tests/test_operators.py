@@ -648,6 +648,28 @@ def test_artifacts_are_checked(spark, tmp_path):
         corpus.read_artifacts(spark, str(tmp_path / "a"))
 
 
+def test_artifacts_move_texts_once(spark, tmp_path):
+    """Texts pass one exchange on their way to the file, and all columns are compared by one join; rows are
+    those of the join, in order. Chunks that break a rule don't stay."""
+    made = [(f"d{i:02d}", f"t{i}", "1", f"u{i}", "w " * (i % 7 + 1)) for i in range(40)]
+    docs = spark.createDataFrame(made, "document_id string, title string, version string, canonical_url string, content string")
+    docs = docs.withColumn("content_hash", F.sha2("content", 256)).repartition(3)
+    rows, header = chunking.chunk_fixed(docs, 2), {"version": 1, "corpus_version": 1, "chunk_size": 2, "overlap": 0}
+    exchanged = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+    assert exchanged(corpus._denormalised_in_order(docs, rows)) == exchanged(docs) + exchanged(rows) + 1
+    corpus.write_artifacts(docs, rows, header, str(tmp_path / "a"))
+    written = spark.read.parquet(str(tmp_path / "a" / "chunks"))
+    assert sorted(written.collect()) == sorted(corpus.denormalise(docs, rows).withColumn("section", F.lit(None)).collect())
+    for part in (tmp_path / "a" / "chunks").glob("part-*"):
+        order = [(r.document_id, r.ordinal) for r in spark.read.parquet(str(part)).collect()]
+        assert order == sorted(order)
+    with pytest.raises(ValueError, match="repeated_"):
+        corpus.write_artifacts(docs, rows.withColumn("ordinal", F.lit(0)), header, str(tmp_path / "b"))
+    assert not (tmp_path / "b" / "chunks").exists() and not (tmp_path / "b" / "documents").exists()
+    found = integrity.check_denormalised(written, docs, {"source_url": "canonical_url", "document_title": "title", "version": "version"})
+    assert found._jdf.queryExecution().executedPlan().toString().count("SortMergeJoin") == 1
+
+
 def test_checkpoint_identity(spark):
     rows = spark.createDataFrame([("a", 0), ("b", 1)], "question_id string, position int")
     saved = evaluation.checkpoint_identity(rows, {"k": 3}, "/out")
