@@ -29,7 +29,7 @@ other columns are ignored, whatever their names.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusflow.llm.scan import SPACE, scans
+from corpusflow.sources.batches import bound_batches
 from corpusflow.sources.scratch import materialize
 
 ORDERS = 5
@@ -53,6 +54,10 @@ FREQUENT_PAIRS = 1 << 20
 #: of text that is worked on at a time.
 PIECE = 1 << 24
 STRETCH = 1 << 21
+#: Pairs whose tree nodes are counted at a time (a context's pairs stay together).
+NODE_PAIRS = 1 << 17
+#: Distinct keys, or pairs, whose steps are looked up at a time.
+LOOKUPS = 1 << 16
 #: Hash of the end token, which no word has: words are never empty.
 END = -1
 
@@ -114,7 +119,7 @@ def with_ends(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return out, at
 
 
-def stretches(offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def stretches(offsets: np.ndarray, size: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Document, first byte and end of each block, stretch by stretch; blocks lie end to end."""
     n_blocks = -(-np.diff(offsets) // BLOCK)
     doc = np.repeat(np.arange(len(n_blocks)), n_blocks)
@@ -123,7 +128,7 @@ def stretches(offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.
     stops = np.minimum(starts + BLOCK, offsets[doc + 1])
     i = 0
     while i < len(doc):
-        j = max(i + 1, int(np.searchsorted(stops, starts[i] + STRETCH, "right")))
+        j = max(i + 1, int(np.searchsorted(stops, starts[i] + (size or STRETCH), "right")))
         yield doc[i:j], starts[i:j], stops[i:j]
         i = j
 
@@ -185,16 +190,51 @@ def add_up(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[first], np.add.reduceat(n, first) if len(first) else n
 
 
-class Odds:
-    """Log odds of tree nodes in contexts, from counts of (context << 8 | byte)."""
+def in_parts(pairs: np.ndarray, n: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Distinct pairs and their counts in order, some contexts at a time."""
+    order, i = np.argsort(pairs), 0
+    pairs, n = pairs[order], n[order]
+    while i < len(pairs):
+        last = pairs[min(i + NODE_PAIRS, len(pairs)) - 1]
+        stop = int(np.searchsorted(pairs, (last >> 8) + 1 << 8))
+        yield pairs[i:stop], n[i:stop]
+        i = stop
+
+
+def joined_in_parts(right: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The same from contexts with lists of (count << 8 | byte)."""
+    lists, context = right.column("bytes").combine_chunks(), right.column("context").to_numpy()
+    order = np.argsort(context)
+    step = max(1, NODE_PAIRS * len(order) // max(1, len(lists.values)))
+    for i in range(0, len(order), step):
+        own = lists.take(pa.array(order[i : i + step]))
+        values = own.flatten().to_numpy()
+        pairs = np.repeat(context[order[i : i + step]], np.diff(own.offsets.to_numpy())) << 8 | values & 255
+        within = np.argsort(pairs)
+        yield pairs[within], values[within] >> 8
 
-    def __init__(self, trees: Trees, pairs: np.ndarray, n: np.ndarray):
+
+class Odds:
+    """Log odds of tree nodes in contexts, from counts of (context << 8 | byte). They come in parts in
+    order of context, none of which is in two parts, so that only the odds are held for all."""
+
+    def __init__(self, trees: Trees, parts: Iterable[tuple[np.ndarray, np.ndarray]]):
+        node, odds = [np.zeros(0, np.int64)], [np.zeros(0, np.float32)]
+        for pairs, n in parts:
+            for into, values in zip((node, odds), self._count(trees, pairs, n), strict=True):
+                into.append(values)
+        self.node = np.concatenate(node)
+        del node
+        self.odds = np.concatenate(odds)
+
+    @staticmethod
+    def _count(trees: Trees, pairs: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         first, step = trees.walk(pairs & 0xFFFF)
         length = np.diff(first)
-        self.node, at = np.unique(np.repeat(pairs >> 8 << 8, length) | trees.nodes[step], return_inverse=True)
+        node, at = np.unique(np.repeat(pairs >> 8 << 8, length) | trees.nodes[step], return_inverse=True)
         n, bit = np.repeat(n, length), trees.bits[step]
-        ones, both = np.bincount(at, n * bit, len(self.node)), np.bincount(at, n, len(self.node))
-        self.odds = np.log((ones + 0.4) / (both - ones + 0.4)).astype(np.float32)
+        ones, both = np.bincount(at, n * bit, len(node)), np.bincount(at, n, len(node))
+        return node, np.log((ones + 0.4) / (both - ones + 0.4)).astype(np.float32)
 
     def fill(self, nodes: np.ndarray, into: np.ndarray) -> None:
         if len(self.node):
@@ -210,10 +250,10 @@ class Steps:
     def __init__(self, trees: Trees, known: list[Odds], keys: np.ndarray):
         self.first, step = trees.walk(keys & 0xFFFF)
         self.length = np.diff(self.first)
-        sign, self.gate = (trees.bits[step] * 2 - 1).astype(np.float32), trees.gates[step]
+        self.gate = trees.gates[step]
         self.inputs = np.empty((len(step), ORDERS + 1), np.float32)
-        self.inputs[:, ORDERS] = sign
-        inside = np.arange(len(step)) - np.repeat(self.first[:-1], self.length)
+        self.inputs[:, ORDERS] = trees.bits[step] * 2 - 1
+        del step
         for k, own in enumerate(contexts(keys)):
             pairs = own << 8 | keys & 255
             new = firsts(pairs)
@@ -221,13 +261,22 @@ class Steps:
             order = np.argsort(pairs)  # for the tables are searched faster in order
             rank = np.empty(len(order), np.int64)
             rank[order] = np.arange(len(order))
-            at, pairs = rank.take(at), pairs[order]
-            begin, walk = trees.walk(pairs & 0xFFFF)
-            odds = np.zeros(len(walk), np.float32)
-            nodes = np.repeat(pairs >> 8 << 8, np.diff(begin)) | trees.nodes.take(walk)
-            for table in known:
-                table.fill(nodes, odds)
-            np.multiply(odds.take(np.repeat(begin.take(at), self.length) + inside), sign, out=self.inputs[:, k])
+            pairs = pairs[order]
+            # Some pairs, then some keys, at a time: what they take meanwhile is small beside the inputs.
+            begin = np.concatenate([[0], np.cumsum(trees.length[pairs & 0xFFFF])])
+            odds = np.zeros(begin[-1], np.float32)
+            for i in range(0, len(pairs), LOOKUPS):
+                part = pairs[i : i + LOOKUPS]
+                first, walk = trees.walk(part & 0xFFFF)
+                nodes = np.repeat(part >> 8 << 8, np.diff(first)) | trees.nodes.take(walk)
+                for table in known:
+                    table.fill(nodes, odds[begin[i] : begin[i] + len(nodes)])
+            start = begin.take(rank.take(at))
+            for i in range(0, len(keys), LOOKUPS):
+                own = slice(self.first[i], self.first[min(i + LOOKUPS, len(keys))])
+                shift = start[i : i + LOOKUPS] - self.first[i : i + LOOKUPS][: len(keys) - i]
+                at_step = np.repeat(shift, self.length[i : i + LOOKUPS]) + np.arange(own.start, own.stop)
+                np.multiply(odds.take(at_step), self.inputs[own, ORDERS], out=self.inputs[own, k])
 
 
 def pieces(docs: DataFrame) -> DataFrame:
@@ -269,25 +318,27 @@ def count_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         for piece, packed, offsets, out in zip(
             batch.column("piece"), batch.column("packed"), batch.column("offsets"), batch.column("held"), strict=True
         ):
-            (data, offsets), used, held = unpack(packed, offsets), ~np.array(out.as_py(), bool), []
+            (data, offsets), used = unpack(packed, offsets), ~np.array(out.as_py(), bool)
+            held: list[list] = [[] for _ in range(ORDERS)]  # each predictor's, which are added up by themselves
             for doc, starts, stops in stretches(offsets):
                 mine = np.repeat(used[doc], stops - starts)
                 keys, at = distinct(byte_keys(data, offsets, starts[0], stops[-1]))
                 often = np.bincount(at[mine], minlength=len(keys))
-                for own in contexts(keys):
+                for met, own in zip(held, contexts(keys), strict=True):
                     pairs = own << 8 | keys & 255
                     new = np.flatnonzero(firsts(pairs))
-                    held.append((pairs[new], np.add.reduceat(often, new)))
-            pairs, n = add_up(*map(np.concatenate, zip(*held, strict=True)))
-            own = pairs >> 8  # in order, as pairs are
-            own = own[firsts(own)]
-            for keys, often in ((pairs[n > 0], n[n > 0]), (own, np.zeros(len(own), np.int64))):
-                for i in range(0, len(keys), 100_000):
-                    part = keys[i : i + 100_000]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(part), piece.as_py())), pa.array(part), pa.array(often[i : i + 100_000])],
-                        names=["piece", "key", "n"]
-                    )
+                    met.append((pairs[new], np.add.reduceat(often, new)))
+            while held:
+                pairs, n = add_up(*map(np.concatenate, zip(*held.pop(), strict=True)))
+                own = pairs >> 8  # in order, as pairs are
+                own = own[firsts(own)]
+                for keys, often in ((pairs[n > 0], n[n > 0]), (own, np.zeros(len(own), np.int64))):
+                    for i in range(0, len(keys), 100_000):
+                        part = keys[i : i + 100_000]
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(np.full(len(part), piece.as_py())), pa.array(part), pa.array(often[i : i + 100_000])],
+                            names=["piece", "key", "n"]
+                        )
 
 
 def mix_cost(steps: Steps, step: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -337,7 +388,7 @@ def text_bits(trees: Trees, known: list[Odds], data: np.ndarray, offsets: np.nda
     """Bits of each document, end marks included. known: tables that hold all contexts' odds.
     Blocks are coded group by group."""
     total = np.zeros(len(offsets) - 1)
-    for doc, starts, stops in stretches(offsets):
+    for doc, starts, stops in stretches(offsets, STRETCH // 2):  # for a key's steps take more than its counts
         keys, at = distinct(byte_keys(data, offsets, starts[0], stops[-1]))
         steps = Steps(trees, known, keys)
         for g in range(0, len(doc), group):
@@ -393,6 +444,7 @@ def score(docs: DataFrame, modulus: int = 7, remainder: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and
     bits_per_byte of every document."""
     spark = docs.sparkSession
+    bound_batches(spark)
     docs = docs.select("doc_id", "text").withColumn("held_out", held_out(modulus, remainder))
     training = docs.where(~F.col("held_out"))
     counted = materialize(word_counts(training), "lm-words")
@@ -414,7 +466,7 @@ def score(docs: DataFrame, modulus: int = 7, remainder: int = 2) -> DataFrame:
     often_met = materialize(most_frequent(by_context, FREQUENT_PAIRS, "pairs").select("context"), "lm-frequent")
     held = pairs.join(F.broadcast(often_met), "context").select("pair", "n").toArrow()  # FREQUENT_PAIRS rows at most
     held = [held.column(c).to_numpy() for c in ("pair", "n")]
-    model = spark.sparkContext.broadcast((Odds(trees, *held), words, often))
+    model = spark.sparkContext.broadcast((Odds(trees, in_parts(*held)), words, often))
     rare = met.where("n = 0").select("piece", F.col("key").alias("context")).join(
         F.broadcast(often_met), "context", "left_anti"
     )
@@ -428,12 +480,7 @@ def score(docs: DataFrame, modulus: int = 7, remainder: int = 2) -> DataFrame:
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         odds, word, count = model.value
-        lists = right.column("bytes").combine_chunks()
-        context = np.repeat(
-            right.column("context").to_numpy(), np.diff(lists.offsets.to_numpy())
-        ) if len(lists) else np.zeros(0, np.int64)
-        values = lists.flatten().to_numpy()
-        own = Odds(trees, context << 8 | values & 255, values >> 8)
+        own = Odds(trees, joined_in_parts(right))
         found = []
         for row in range(left.num_rows):
             at = {c: left.column(c)[row] for c in left.column_names}

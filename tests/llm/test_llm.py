@@ -1057,3 +1057,56 @@ def test_license_words_scattered_over_a_long_line(spark):
         left = [x for x in met if not any((share(o), len(o[1])) > (share(x), len(x[1])) and x[1] <= o[1] for o in met)]
         base = {label for p, label in license_scan.PHRASES.items() if f" {p} " in f" {texts[row.doc_id]} "}
         assert row.labels == ",".join(sorted({t.label for t, _ in left} | base)) and row.score == max(map(share, met))
+
+
+def test_lm_nodes_are_counted_some_contexts_at_a_time():
+    """What making odds takes is a small multiple of them, and counting in parts doesn't change them."""
+    import tracemalloc
+
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    counts = r.integers(0, 50, (256, 256))
+    trees = lm_scoring.Trees(counts)
+    pairs = np.unique(r.integers(0, 1 << 18, 1_500_000) << 16 | r.integers(32, 128, 1_500_000) << 8 | r.integers(32, 128, 1_500_000))
+    n = r.integers(1, 9, len(pairs))
+    shuffled = r.permutation(len(pairs))
+    tracemalloc.start()
+    found = lm_scoring.Odds(trees, lm_scoring.in_parts(pairs[shuffled], n[shuffled]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2.5 * (found.node.nbytes + found.odds.nbytes)
+    few = slice(0, 20_000)
+    want = collections.defaultdict(lambda: [0, 0])
+    for pair, often in zip(pairs[few].tolist(), n[few].tolist(), strict=True):
+        for node, bit, _ in walk_of(trees, pair & 0xFFFF):
+            want[pair >> 8 << 8 | node][bit] += often
+    nodes = sorted(want)
+    for size in (1, 7, 1 << 17):
+        lm_scoring.NODE_PAIRS, before = size, lm_scoring.NODE_PAIRS
+        own = lm_scoring.Odds(trees, lm_scoring.in_parts(pairs[few], n[few]))
+        lm_scoring.NODE_PAIRS = before
+        assert own.node.tolist() == nodes
+        assert np.allclose(own.odds, [math.log((want[x][1] + 0.4) / (want[x][0] + 0.4)) for x in nodes], atol=1e-6)
+    assert np.isin(nodes[: len(nodes) // 2], found.node).all()
+
+
+def test_batches_to_python_are_bounded(spark):
+    """Long texts come in batches of some MB, whatever the number of rows."""
+    import pyarrow as pa
+
+    from corpusflow.sources import batches
+
+    before = spark.conf.get(batches.SETTING, None)
+    spark.conf.unset(batches.SETTING)
+    try:
+        docs = table(spark, ["word " * 10_000] * 800).coalesce(1)
+        assert jaccard_join.keep_one(docs).count() == 1  # an operator over texts sets the bound
+        sizes = lambda rows: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"]) for b in rows)
+        most = max(r.n for r in docs.select("text").mapInArrow(sizes, "n long").collect())
+        assert most < 2 * batches.BATCH_BYTES
+        spark.conf.set(batches.SETTING, "1000000")
+        batches.bound_batches(spark)
+        assert spark.conf.get(batches.SETTING) == "1000000"
+    finally:
+        spark.conf.unset(batches.SETTING) if before is None else spark.conf.set(batches.SETTING, before)
