@@ -46,6 +46,7 @@ from pyspark.sql import functions as F
 
 from corpusflow.llm.components import components
 from corpusflow.llm.scan import Scan, distinct, mix, scans, whole, windows
+from corpusflow.sources.batches import bound_batches
 from corpusflow.sources.scratch import materialize
 
 U = np.uint64
@@ -166,6 +167,7 @@ def measure(docs: DataFrame, join: Join) -> DataFrame:
                     names=["doc_id", "n_shingles", "set", "text_hash"]
                 )
 
+    bound_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     return materialize(

@@ -23,6 +23,8 @@ import zstandard as zstd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusflow.sources.batches import bound_batches
+
 #: Letters in the sense of the rule in learn: fractions and superscripts are none.
 LETTER = regex.compile(r"\p{L}")
 OTHER = regex.compile(r"\P{L}+")
@@ -135,6 +137,7 @@ def classify(docs: DataFrame, dictionaries: dict[str, bytes], settings: Settings
 def filter_documents(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """The rows of docs whose language isn't rejected, with their columns. Dictionaries are
     learned from all labelled documents' sample."""
+    bound_batches(docs.sparkSession)
     dictionaries, at = learn(docs, settings), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

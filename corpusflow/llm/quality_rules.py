@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusflow.llm.scan import SPACE, Scan, distinct, scans, windows
+from corpusflow.sources.batches import bound_batches
 from corpusflow.sources.scratch import materialize
 
 #: The symbols that the contract counts.
@@ -128,6 +129,7 @@ def learn_references(docs: DataFrame, rules: Rules = Rules()) -> References:
     """Histograms over all documents with a language, from exact counts of all their words, so
     they don't depend on partitions. What comes to the driver is a row for each language and common
     word; equally common words are taken by hash."""
+    bound_batches(docs.sparkSession)
     known = docs.where("lang is not null and text is not null").select("text", "lang")
     counted = known.mapInArrow(_counts, "lang string, word long, n long, counts array<long>")
     sums = [F.sum(F.get("counts", F.lit(i))).alias(f"c{i}") for i in range(CLASSES)]
