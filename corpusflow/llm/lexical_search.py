@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusflow.llm.scan import distinct, mix, scans
+from corpusflow.sources.batches import bound_batches
 from corpusflow.sources.scratch import materialize
 
 U = np.uint64
@@ -45,12 +46,18 @@ for a, b in ((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A)):
 LEVELS = 4
 _LEVEL, _TURN = U(0xA24BAED4963EE407), U(0x9FB21C651E98DF25)
 #: (query, document) entries that are added up at once.
-STEP = 1 << 21
+STEP = 1 << 18
+#: Bits of terms' bitmaps that are unpacked at once.
+CELLS = 1 << 20
+#: Entries of a block's largest document, at most so many times those of its smallest or of a document of so many.
+SPREAD, SMALL = 4, 64
+#: Bytes of a row group of the stored index.
+ROW_GROUP = 4 << 20
 
 
 @dataclass(frozen=True)
 class Signatures:
-    """Blocks of at most `docs` documents and `terms` terms (but for one larger document), with
+    """Blocks of at most `docs` documents of like size and `terms` terms (but for one larger document), with
     `bits` bits or more for each entry of the largest one, of which each entry sets `hashes`."""
 
     docs: int = 1024
@@ -92,11 +99,11 @@ class Block:
 def _blocks(column: pa.Array, how: Signatures) -> Iterator[tuple]:
     """Documents (places in the column), lengths, width, slices, starts, terms and tf of each block."""
     doc, terms, tf, lengths, firsts = [], [], [], [], []
-    for scan in scans(column, SEPARATOR, size=2 << 20):
+    for scan in scans(column, SEPARATOR):
         d, h, c = distinct(scan.doc, scan.word_hashes(lower=True))
         doc.append(d + scan.first)
         terms.append(h.view(np.int64))
-        tf.append(c)
+        tf.append(c.astype(np.int32))
         lengths.append(scan.per_doc(scan.doc))
         firsts.append(scan.first)
     if not doc:
@@ -111,6 +118,7 @@ def _blocks(column: pa.Array, how: Signatures) -> Iterator[tuple]:
     while i < len(order):
         some = order[i : i + how.docs]
         some = some[: max(1, int(np.searchsorted(np.cumsum(count[some]), how.terms, "right")))]
+        some = some[: int(np.searchsorted(entries[some], SPREAD * max(SMALL, int(entries[some[0]])), "right"))]
         i += len(some)
         size = count[some]
         starts = np.concatenate([[0], np.cumsum(size)])
@@ -121,7 +129,10 @@ def _blocks(column: pa.Array, how: Signatures) -> Iterator[tuple]:
 
 
 def build_index(docs: DataFrame, how: Signatures = Signatures()) -> DataFrame:
-    """The stored index of documents (doc_id, text): a row a block."""
+    """The stored index of documents (doc_id, text): a row a block. Rows are large, so they are written in
+    small row groups, one or a few of which a task holds while it writes or reads; numbers are
+    stored as bytes: starts in 64 bits, terms in 64, tf in 32."""
+    bound_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,19 +140,19 @@ def build_index(docs: DataFrame, how: Signatures = Signatures()) -> DataFrame:
             for some, n, width, bits, starts, terms, tf in _blocks(batch.column(1), how):
                 one = lambda values, t: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values.cast(t))
                 ids = batch.column(0).take(pa.array(some))
+                raw = lambda values: pa.array([values.tobytes()], pa.binary())
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([len(some)], pa.int64()), pa.array([int(n.sum())], pa.int64()), one(ids, ids.type),
-                        one(pa.array(n), pa.int64()), pa.array([width], pa.int32()), pa.array([bits.tobytes()], pa.binary()),
-                        one(pa.array(starts), pa.int64()), one(pa.array(terms), pa.int64()), one(pa.array(tf), pa.int64())
+                        one(pa.array(n), pa.int64()), pa.array([width], pa.int32()), raw(bits), raw(starts), raw(terms), raw(tf)
                     ], names=["n_docs", "n_terms", "ids", "n", "width", "bits", "starts", "terms", "tf"]
                 )
 
     return materialize(
         docs.select("doc_id", "text").mapInArrow(
             run, f"n_docs long, n_terms long, ids array<{kind}>, n array<long>, width int, bits binary, "
-            "starts array<long>, terms array<long>, tf array<long>"
-        ), "signatures"
+            "starts binary, terms binary, tf binary"
+        ), "signatures", row_group=ROW_GROUP
     )
 
 
@@ -173,10 +184,10 @@ class Lookup:
     of: np.ndarray
     n: int
 
-    def added(self, t: np.ndarray, d: np.ndarray, value: np.ndarray, width: int) -> np.ndarray:
-        """Sum of the value of each (term, document) over the terms of each query: queries x width
+    def add(self, t: np.ndarray, d: np.ndarray, value: np.ndarray, total: np.ndarray) -> None:
+        """Adds the value of each (term, document) to the terms' queries in total: queries x
         documents. Sums stay below 2^53 up to 100,000 terms a query, and so are exact."""
-        total, each = np.zeros(self.n * width), self.at[t + 1] - self.at[t]
+        each, flat = self.at[t + 1] - self.at[t], total.reshape(-1)
         cut = np.searchsorted(np.cumsum(each), np.arange(STEP, each.sum() + STEP, STEP), "left") + 1
         for a, b in zip([0, *cut[:-1].tolist()], cut.tolist(), strict=True):
             e = each[a:b]
@@ -184,8 +195,7 @@ class Lookup:
                 continue
             stop = np.cumsum(e)
             query = self.of[np.repeat(self.at[t[a:b]] - stop + e, e) + np.arange(stop[-1])]
-            total += np.bincount(query * width + np.repeat(d[a:b], e), np.repeat(value[a:b], e), len(total))
-        return total.reshape(self.n, width)
+            np.add.at(flat, query * total.shape[1] + np.repeat(d[a:b], e), np.repeat(value[a:b], e).astype(float))
 
 
 def factor(tf: np.ndarray | int, m: np.ndarray) -> np.ndarray:
@@ -193,18 +203,25 @@ def factor(tf: np.ndarray | int, m: np.ndarray) -> np.ndarray:
 
 
 def bounds(block: Block, look: Lookup, m: np.ndarray, hashes: int) -> np.ndarray:
-    """Upper bounds of all queries' scores in a block's documents, from its slices alone."""
-    width, total, before = len(block.n), None, 0
-    for level in range(LEVELS):
-        maps = np.bitwise_and.reduce(block.bits[positions(look.terms, level, block.width, hashes)], axis=1)
-        some = np.flatnonzero(maps.any(axis=1))
-        if not len(some):
-            break
-        t, d = np.nonzero(np.unpackbits(maps[some], axis=1, count=width, bitorder="little"))
-        most = factor((2 << level) - 1, m) if level < LEVELS - 1 else np.full(width, 1_000_000)
-        found = look.added(some[t], d, look.weight[some[t]] * (most - before)[d], width)
-        total, before = found if total is None else total + found, most
-    return np.zeros((look.n, width)) if total is None else total
+    """Upper bounds of all queries' scores in a block's documents, from its slices alone; some terms
+    at a time."""
+    width = len(block.n)
+    total, step = np.zeros((look.n, width)), max(1, CELLS // width)
+    for i in range(0, len(look.terms), step):
+        before = 0
+        for level in range(LEVELS):
+            at = positions(look.terms[i : i + step], level, block.width, hashes)
+            maps = block.bits[at[:, 0]]
+            for k in range(1, hashes):
+                maps &= block.bits[at[:, k]]
+            some = np.flatnonzero(maps.any(axis=1))
+            if not len(some):
+                break
+            t, d = np.nonzero(np.unpackbits(maps[some], axis=1, count=width, bitorder="little"))
+            most = factor((2 << level) - 1, m) if level < LEVELS - 1 else np.full(width, 1_000_000)
+            look.add(some[t] + i, d, look.weight[some + i][t] * (most - before)[d], total)
+            before = most
+    return total
 
 
 def exact(block: Block, look: Lookup, m: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -217,7 +234,10 @@ def exact(block: Block, look: Lookup, m: np.ndarray, wanted: np.ndarray) -> np.n
     t = np.minimum(np.searchsorted(look.terms, terms), len(look.terms) - 1)
     met = look.terms[t] == terms
     t, d, tf = t[met], d[met], tf[met]
-    return np.where(wanted, look.added(t, d, look.weight[t] * factor(tf, m[d]), len(block.n)), -1)
+    total = np.zeros(wanted.shape)
+    look.add(t, d, look.weight[t] * factor(tf.astype(np.int64), m[d]), total)
+    np.putmask(total, ~wanted, -1)
+    return total
 
 
 class Best:
@@ -243,7 +263,7 @@ def search_block(block: Block, look: Lookup, m: np.ndarray, best: Best, hashes:
     bound, scored = bounds(block, look, m, hashes), 0
     left = bound >= best.floor[:, None]
     k = min(best.k, len(block.n))
-    high = np.partition(bound, -k, axis=1)[:, -k][:, None]
+    high = np.concatenate([np.partition(bound[i : i + 64], -k, axis=1)[:, -k] for i in range(0, len(bound), 64)])[:, None]
     for first in (True, False):
         wanted = left & (bound >= high) if first else left & (bound < high) & (bound >= best.floor[:, None])
         if wanted.any():
@@ -256,8 +276,11 @@ def _read(batch: pa.RecordBatch, i: int) -> Block:
     part = {n: batch.column(k).slice(i, 1) for k, n in enumerate(batch.schema.names)}
     flat = lambda n: part[n].flatten().to_numpy(zero_copy_only=False)
     width = part["width"][0].as_py()
-    bits = np.frombuffer(part["bits"][0].as_buffer(), np.uint8).reshape(width, -1)
-    return Block(part["ids"].flatten().to_pylist(), flat("n"), width, bits, flat("starts"), flat("terms"), flat("tf"))
+    raw = lambda n, kind: np.frombuffer(part[n][0].as_buffer(), kind)
+    return Block(
+        part["ids"].flatten().to_pylist(), flat("n"), width, raw("bits", np.uint8).reshape(width, -1),
+        raw("starts", np.int64), raw("terms", np.int64), raw("tf", np.int32)
+    )
 
 
 def document_frequencies(index: DataFrame, terms: np.ndarray) -> dict[int, int]:
@@ -265,8 +288,7 @@ def document_frequencies(index: DataFrame, terms: np.ndarray) -> dict[int, int]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(terms), np.int64)
-        for batch in batches:
-            here = batch.column(0).flatten().to_numpy(zero_copy_only=False)
+        for here in (np.frombuffer(x.as_buffer(), np.int64) for batch in batches for x in batch.column(0)):
             at = np.minimum(np.searchsorted(terms, here), len(terms) - 1)
             total += np.bincount(at[terms[at] == here], minlength=len(terms))
         some = np.flatnonzero(total)
@@ -320,6 +342,7 @@ def search(
     """item_id, rank, doc_id and score: the k best documents with a score above 0 of each query
     (item_id, text). A pass takes about pass_queries queries and pass_terms terms, which are sent to
     every task; it reads the index twice, once for its terms' document frequencies."""
+    bound_batches(index.sparkSession)
     asked = query_terms(queries)
     size = asked.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("terms")), F.lit(0)).alias("terms")).first()
     total = index.agg(

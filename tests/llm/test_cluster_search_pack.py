@@ -153,6 +153,50 @@ def test_bounds_are_never_too_low_and_exclude():
     assert scored < 0.5 * all_pairs
 
 
+def test_blocks_hold_documents_of_like_size():
+    """A large document doesn't widen the signatures of small ones."""
+    import pyarrow as pa
+
+    texts = [f"few words {i}" for i in range(1000)] + [" ".join(map(str, range(50_000)))]
+    blocks = list(lexical_search._blocks(pa.array(texts), lexical_search.Signatures()))
+    assert sorted(i for b in blocks for i in b[0].tolist()) == list(range(1001))
+    assert sum(b[3].nbytes for b in blocks) < 2_000_000
+
+
+def test_index_is_stored_in_small_row_groups(spark):
+    """Of an index's large rows, a task that writes or reads them holds a few."""
+    import pyarrow.parquet as pq
+
+    texts = [(i, " ".join(f"{i}x{j}" for j in range(60_000))) for i in range(20)]
+    index = lexical_search.build_index(spark.createDataFrame(texts, "doc_id long, text string").coalesce(1))
+    files = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in index.inputFiles()]
+    sizes = [f.row_group(i).total_byte_size for f in files for i in range(f.num_row_groups)]
+    assert sum(sizes) > 16 << 20 and max(sizes) < 8 << 20
+    found = lexical_search.search(index, spark.createDataFrame([(1, "3x7 3x8 19x5")], "item_id long, text string"))
+    assert [r.doc_id for r in found.orderBy("rank").collect()] == [3, 19]
+
+
+def test_bounds_take_little_memory():
+    """Beside the sums, a block's bounds take some MB, however many terms and queries there are."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    r, how = random.Random(5), lexical_search.Signatures()
+    texts = [" ".join(str(r.randrange(20_000)) for _ in range(60)) for _ in range(1024)]
+    ((some, n, width, bits, starts, terms, tf),) = lexical_search._blocks(pa.array(texts), how)
+    block = lexical_search.Block(some.tolist(), n, width, bits, starts, terms, tf)
+    every = np.unique(terms)
+    of = np.concatenate([(np.arange(50) * 7 + i) % 500 for i in range(len(every))])
+    look = lexical_search.Lookup(every, np.full(len(every), 700), np.arange(len(every) + 1) * 50, of, 500)
+    tracemalloc.start()
+    bound = lexical_search.bounds(block, look, np.full(len(n), 100), how.hashes)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < bound.nbytes + (48 << 20)
+    assert (bound >= lexical_search.exact(block, look, np.full(len(n), 100), np.ones(bound.shape, bool))).all()
+
+
 ODD = [
     None, "", " \n\t ", "word", "Don't we'll 'tis it's,'s 12 345 a1b2", "a\x01b \x01 x\x01\x01", "é é ́x a ́",
     "no break space\u0085line", "İstanbul ΣΑΣ ΟΔΟΣ ς", "<|endoftext|> x<|startoftext|>y <|ENDOFTEXT|>", "a|b|c |d", "漢字かな交じり文 🙂👩‍👩‍👧 ﬁ",
