@@ -54,6 +54,8 @@ FREQUENT_PAIRS = 1 << 20
 #: of text that is worked on at a time.
 PIECE = 1 << 24
 STRETCH = 1 << 21
+#: Bytes of a row group of the stored pieces, beyond which a piece has one of its own.
+ROW_GROUP = 1 << 20
 #: Pairs whose tree nodes are counted at a time (a context's pairs stay together).
 NODE_PAIRS = 1 << 17
 #: Distinct keys, or pairs, whose steps are looked up at a time.
@@ -140,7 +142,9 @@ def byte_keys(data: np.ndarray, offsets: np.ndarray, first: int, stop: int) -> n
     before = data[max(0, first - 7) : first]
     full = np.concatenate([np.zeros(7 - len(before), np.uint8), before, data[first:stop]])
     eight = np.ndarray(stop - first, ">u8", full.tobytes(), strides=(1,)).astype(np.int64)
-    keys = eight & ((1 << 56) - 1) | 6 << 56
+    keys = eight
+    keys &= (1 << 56) - 1
+    keys |= 6 << 56
     own = slice(np.searchsorted(offsets, first), np.searchsorted(offsets, stop))
     begins, ends = offsets[own] - first, np.append(offsets, offsets[-1])[own.start + 1 : own.stop + 1] - first
     for i in range(6):
@@ -154,6 +158,8 @@ def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys, ordered by byte, byte before, and so on, and each key's place among them; by
     hash, so that only the distinct ones are sorted."""
     found = pa.array(keys).dictionary_encode()
+    del keys
+    pa.default_memory_pool().release_unused()  # the table of hashes, which is larger than the keys
     own = found.dictionary.to_numpy()
     order = np.argsort(own.view(np.uint64).byteswap())
     place = np.empty(len(own), np.int64)
@@ -187,7 +193,7 @@ def add_up(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(keys)
     keys, n = keys[order], n[order]
     first = np.flatnonzero(firsts(keys))
-    return keys[first], np.add.reduceat(n, first) if len(first) else n
+    return keys[first], np.add.reduceat(n, first, dtype=np.int64) if len(first) else n.astype(np.int64)
 
 
 def in_parts(pairs: np.ndarray, n: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -248,12 +254,15 @@ class Steps:
     odds of the bit that is taken (0 for nodes never seen), then 1 or -1 for a one or zero."""
 
     def __init__(self, trees: Trees, known: list[Odds], keys: np.ndarray):
-        self.first, step = trees.walk(keys & 0xFFFF)
-        self.length = np.diff(self.first)
-        self.gate = trees.gates[step]
-        self.inputs = np.empty((len(step), ORDERS + 1), np.float32)
-        self.inputs[:, ORDERS] = trees.bits[step] * 2 - 1
-        del step
+        self.length = trees.length[keys & 0xFFFF]
+        self.first = np.concatenate([[0], np.cumsum(self.length)])
+        self.gate = np.empty(self.first[-1], np.int8)
+        self.inputs = np.empty((self.first[-1], ORDERS + 1), np.float32)
+        for i in range(0, len(keys), LOOKUPS):
+            first, step = trees.walk(keys[i : i + LOOKUPS] & 0xFFFF)
+            own = slice(self.first[i], self.first[i] + first[-1])
+            self.gate[own] = trees.gates[step]
+            self.inputs[own, ORDERS] = trees.bits[step] * 2 - 1
         for k, own in enumerate(contexts(keys)):
             pairs = own << 8 | keys & 255
             new = firsts(pairs)
@@ -281,7 +290,7 @@ class Steps:
 
 def pieces(docs: DataFrame) -> DataFrame:
     """Documents by pieces of about PIECE bytes, written out: piece, ids, held (out), offsets and
-    packed (the bytes, end marks included)."""
+    packed (the bytes, end marks included). Pieces are large rows, so a row group holds one or a few."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstd.ZstdCompressor(level=3)
@@ -303,7 +312,7 @@ def pieces(docs: DataFrame) -> DataFrame:
     found = docs.select("doc_id", "text", "held_out").mapInArrow(
         run, f"ids array<{kind}>, held array<boolean>, offsets array<long>, packed binary"
     )
-    return materialize(found.withColumn("piece", F.monotonically_increasing_id()), "lm-pieces")
+    return materialize(found.withColumn("piece", F.monotonically_increasing_id()), "lm-pieces", row_group=ROW_GROUP)
 
 
 def unpack(packed: pa.Scalar, offsets: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
@@ -324,10 +333,12 @@ def count_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 mine = np.repeat(used[doc], stops - starts)
                 keys, at = distinct(byte_keys(data, offsets, starts[0], stops[-1]))
                 often = np.bincount(at[mine], minlength=len(keys))
+                del at, mine
                 for met, own in zip(held, contexts(keys), strict=True):
                     pairs = own << 8 | keys & 255
                     new = np.flatnonzero(firsts(pairs))
-                    met.append((pairs[new], np.add.reduceat(often, new)))
+                    met.append((pairs[new], np.add.reduceat(often, new).astype(np.int32)))  # a stretch is small
+                del keys, often, own, pairs, new  # else they are held while the next stretch's are made
             while held:
                 pairs, n = add_up(*map(np.concatenate, zip(*held.pop(), strict=True)))
                 own = pairs >> 8  # in order, as pairs are
@@ -347,12 +358,12 @@ def mix_cost(steps: Steps, step: np.ndarray, begins: np.ndarray, ends: np.ndarra
     length, cost = ends - begins, np.zeros(len(begins))
     order = np.argsort(-length, kind="stable")
     n, rounds = len(order), -(-int(length[order[0]]) // STEP)
-    inputs, gate = steps.inputs.take(step, axis=0), steps.gate.take(step)
     x = np.zeros((rounds, n, STEP, ORDERS + 1), np.float32)  # 0 beyond a block's end
     slot = np.zeros((rounds, n, STEP), np.int64)  # a bit's place among (block, gate, bit)
     for row, i in enumerate(order):
-        for into, values in ((x, inputs), (slot, gate)):
-            own, whole = values[begins[i] : ends[i]], int(length[i]) // STEP
+        mine, whole = step[begins[i] : ends[i]], int(length[i]) // STEP
+        for into, values in ((x, steps.inputs), (slot, steps.gate)):
+            own = values.take(mine, axis=0)
             into[:whole, row] = own[: whole * STEP].reshape(whole, STEP, *own.shape[1:])
             if whole * STEP < length[i]:
                 into[whole, row, : length[i] - whole * STEP] = own[whole * STEP :]
@@ -400,6 +411,8 @@ def text_bits(trees: Trees, known: list[Odds], data: np.ndarray, offsets: np.nda
             step = np.arange(first[-1]) + np.repeat(steps.first.take(part) - first[:-1], length)
             cost = mix_cost(steps, step, first[starts[own] - low], first[stops[own] - low])
             total += np.bincount(doc[own], cost, len(total))
+            del part, length, first, step
+        del keys, at, steps  # else they are held while the next stretch's are made
     return total
 
 

@@ -1110,3 +1110,35 @@ def test_batches_to_python_are_bounded(spark):
         assert spark.conf.get(batches.SETTING) == "1000000"
     finally:
         spark.conf.unset(batches.SETTING) if before is None else spark.conf.set(batches.SETTING, before)
+
+
+def test_lm_stretches_are_held_one_at_a_time(monkeypatch):
+    """Coding a text of several stretches takes the memory of one."""
+    import tracemalloc
+
+    import numpy as np
+
+    r = np.random.default_rng(4)
+    data = r.integers(97, 105, 1 << 19).astype(np.uint8)
+    trees = lm_scoring.Trees(r.integers(0, 50, (256, 256)))
+    monkeypatch.setattr(lm_scoring, "STRETCH", 1 << 18)
+    peaks, bits = [], []
+    for size in (1 << 17, 1 << 17, 1 << 19):  # one stretch, the first time with what is loaded meanwhile; four
+        tracemalloc.start()
+        bits.append(lm_scoring.text_bits(trees, [], data[:size], np.arange(0, size + 1, 1 << 17), group=4))
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[2] < 1.15 * peaks[1]
+    assert bits[0][0] == bits[2][0] and len(bits[2]) == 4
+
+
+def test_lm_pieces_are_stored_in_row_groups_of_their_own(spark):
+    """Of large pieces, a task that writes or reads them holds one or a few."""
+    import pyarrow.parquet as pq
+
+    r = random.Random(5)
+    docs = table(spark, [r.randbytes(3_000_000).hex() for _ in range(4)]).coalesce(1)
+    lm_scoring.bound_batches(spark)
+    cut = lm_scoring.pieces(docs.selectExpr("*", "false AS held_out"))
+    files = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in cut.inputFiles()]
+    assert cut.count() > 1 and sum(f.num_row_groups for f in files) == cut.count()
