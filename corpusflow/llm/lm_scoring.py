@@ -33,15 +33,17 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard as zstd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusflow.llm.scan import SPACE, scans
 from corpusflow.sources.batches import bound_batches
-from corpusflow.sources.scratch import materialize
+from corpusflow.sources.scratch import drop_part, materialize
 
 ORDERS = 5
+WIDTH = 8  # of a step's row of inputs: 32 bytes are gathered faster than what is used of them
 BLOCK = 4096
 STEP = 64  # a power of 2
 GATES = 8
@@ -51,15 +53,17 @@ START_WEIGHT = 0.35
 FREQUENT_WORDS = 1 << 17
 FREQUENT_PAIRS = 1 << 20
 #: Bytes of text whose contexts are joined together (a longer document is a piece of its own), and
-#: of text that is worked on at a time.
+#: twice those of text that is worked on at a time.
 PIECE = 1 << 24
-STRETCH = 1 << 21
+STRETCH = 1 << 23
 #: Bytes of a row group of the stored pieces, beyond which a piece has one of its own.
 ROW_GROUP = 1 << 20
 #: Pairs whose tree nodes are counted at a time (a context's pairs stay together).
 NODE_PAIRS = 1 << 17
 #: Distinct keys, or pairs, whose steps are looked up at a time.
-LOOKUPS = 1 << 16
+LOOKUPS = 1 << 14
+#: Bits of a key that are the byte and so many before it.
+KNOWN = (1 << (8 * np.arange(7) + 8)) - 1
 #: Hash of the end token, which no word has: words are never empty.
 END = -1
 
@@ -121,7 +125,7 @@ def with_ends(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return out, at
 
 
-def stretches(offsets: np.ndarray, size: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def stretches(offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Document, first byte and end of each block, stretch by stretch; blocks lie end to end."""
     n_blocks = -(-np.diff(offsets) // BLOCK)
     doc = np.repeat(np.arange(len(n_blocks)), n_blocks)
@@ -130,27 +134,35 @@ def stretches(offsets: np.ndarray, size: int = 0) -> Iterator[tuple[np.ndarray,
     stops = np.minimum(starts + BLOCK, offsets[doc + 1])
     i = 0
     while i < len(doc):
-        j = max(i + 1, int(np.searchsorted(stops, starts[i] + (size or STRETCH), "right")))
+        j = max(i + 1, int(np.searchsorted(stops, starts[i] + STRETCH // 2, "right")))
         yield doc[i:j], starts[i:j], stops[i:j]
         i = j
 
 
 def byte_keys(data: np.ndarray, offsets: np.ndarray, first: int, stop: int) -> np.ndarray:
-    """Key of each byte from first (the start of a block) to stop: the byte (8 bits), the six before
-    it (48 bits; 0 beyond the document's start) and how many of these there are (3 bits). Its low 16
-    bits are the byte's symbol."""
+    """Key of each byte from first (the start of a block) to stop: the byte (8 bits), those before it
+    that a predictor knows (48 bits; the last four, up to six of the current word; 0 beyond the document's
+    start) and how many of these there are (3 bits). Its low 16 bits are the byte's symbol."""
     before = data[max(0, first - 7) : first]
     full = np.concatenate([np.zeros(7 - len(before), np.uint8), before, data[first:stop]])
-    eight = np.ndarray(stop - first, ">u8", full.tobytes(), strides=(1,)).astype(np.int64)
-    keys = eight
-    keys &= (1 << 56) - 1
-    keys |= 6 << 56
+    n = stop - first
+    keys = np.ndarray(n, ">u8", full.tobytes(), strides=(1,)).astype(np.int64)
+    space = (full == 32) | (full >= 9) & (full <= 13)
+    apart = space[6 : 6 + n]
+    for i in range(2, 6):
+        apart = apart | space[7 - i : 7 - i + n]
+    known = 6 - apart.view(np.int8)  # the fifth byte before is of another word, or is none of a word
+    known -= (apart | space[1 : 1 + n]).view(np.int8)
     own = slice(np.searchsorted(offsets, first), np.searchsorted(offsets, stop))
     begins, ends = offsets[own] - first, np.append(offsets, offsets[-1])[own.start + 1 : own.stop + 1] - first
     for i in range(6):
         at = begins[ends - begins > i] + i
-        at = at[at < len(keys)]
-        keys[at] = keys[at] & ((1 << (8 * i + 8)) - 1) | i << 56
+        at = at[at < n]
+        known[at] = np.minimum(known[at], i)
+    for i in range(0, n, LOOKUPS):  # some at a time, in the cache
+        part, of = keys[i : i + LOOKUPS], known[i : i + LOOKUPS]
+        part &= KNOWN.take(of)
+        part |= of.astype(np.int64) << 56
     return keys
 
 
@@ -162,7 +174,7 @@ def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     pa.default_memory_pool().release_unused()  # the table of hashes, which is larger than the keys
     own = found.dictionary.to_numpy()
     order = np.argsort(own.view(np.uint64).byteswap())
-    place = np.empty(len(own), np.int64)
+    place = np.empty(len(own), np.int32)
     place[order] = np.arange(len(own))
     return own[order], place.take(found.indices.to_numpy())
 
@@ -242,50 +254,74 @@ class Odds:
         ones, both = np.bincount(at, n * bit, len(node)), np.bincount(at, n, len(node))
         return node, np.log((ones + 0.4) / (both - ones + 0.4)).astype(np.float32)
 
-    def fill(self, nodes: np.ndarray, into: np.ndarray) -> None:
-        if len(self.node):
-            at = np.minimum(np.searchsorted(self.node, nodes), len(self.node) - 1)
-            met = self.node[at] == nodes
-            into[met] = self.odds[at[met]]
+    def look_up(self, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which nodes are here, and the odds of these."""
+        if not len(self.node):
+            return np.zeros(len(nodes), bool), self.odds
+        at = np.minimum(np.searchsorted(self.node, nodes), len(self.node) - 1)
+        met = self.node.take(at) == nodes
+        return met, self.odds.take(at[met])
 
 
 class Steps:
     """The steps of each distinct key: the first one, number, gate, and inputs: each predictor's log
-    odds of the bit that is taken (0 for nodes never seen), then 1 or -1 for a one or zero."""
+    odds of the bit that is taken (0 for nodes never seen), then 1 or -1 for a one or zero, then 0.
+    One more step, of zeros, stands for places beyond a block's end."""
 
     def __init__(self, trees: Trees, known: list[Odds], keys: np.ndarray):
         self.length = trees.length[keys & 0xFFFF]
         self.first = np.concatenate([[0], np.cumsum(self.length)])
-        self.gate = np.empty(self.first[-1], np.int8)
-        self.inputs = np.empty((self.first[-1], ORDERS + 1), np.float32)
+        self.gate = np.zeros(self.first[-1] + 1, np.int8)
+        self.inputs = np.zeros((self.first[-1] + 1, WIDTH), np.float32)
+        found = [self._odds(trees, known, own << 8 | keys & 255) for own in contexts(keys)]
+        # Some keys at a time: their inputs stay in the cache, and what they take meanwhile is small.
         for i in range(0, len(keys), LOOKUPS):
-            first, step = trees.walk(keys[i : i + LOOKUPS] & 0xFFFF)
+            part = slice(i, i + LOOKUPS)
+            first, step = trees.walk(keys[part] & 0xFFFF)
             own = slice(self.first[i], self.first[i] + first[-1])
             self.gate[own] = trees.gates[step]
             self.inputs[own, ORDERS] = trees.bits[step] * 2 - 1
-        for k, own in enumerate(contexts(keys)):
-            pairs = own << 8 | keys & 255
-            new = firsts(pairs)
-            at, pairs = np.cumsum(new) - 1, pairs[new]
-            order = np.argsort(pairs)  # for the tables are searched faster in order
-            rank = np.empty(len(order), np.int64)
-            rank[order] = np.arange(len(order))
-            pairs = pairs[order]
-            # Some pairs, then some keys, at a time: what they take meanwhile is small beside the inputs.
-            begin = np.concatenate([[0], np.cumsum(trees.length[pairs & 0xFFFF])])
-            odds = np.zeros(begin[-1], np.float32)
-            for i in range(0, len(pairs), LOOKUPS):
-                part = pairs[i : i + LOOKUPS]
-                first, walk = trees.walk(part & 0xFFFF)
-                nodes = np.repeat(part >> 8 << 8, np.diff(first)) | trees.nodes.take(walk)
-                for table in known:
-                    table.fill(nodes, odds[begin[i] : begin[i] + len(nodes)])
-            start = begin.take(rank.take(at))
-            for i in range(0, len(keys), LOOKUPS):
-                own = slice(self.first[i], self.first[min(i + LOOKUPS, len(keys))])
-                shift = start[i : i + LOOKUPS] - self.first[i : i + LOOKUPS][: len(keys) - i]
-                at_step = np.repeat(shift, self.length[i : i + LOOKUPS]) + np.arange(own.start, own.stop)
-                np.multiply(odds.take(at_step), self.inputs[own, ORDERS], out=self.inputs[own, k])
+            length, place = self.length[part], np.arange(first[-1])
+            for k, (start, odds) in enumerate(found):
+                self.inputs[own, k] = odds.take(np.repeat(start[part] - first[:-1], length) + place)
+
+    @staticmethod
+    def _odds(trees: Trees, known: list[Odds], pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each key's steps start among those of the distinct pairs, and the log odds of these."""
+        new = firsts(pairs)
+        at, pairs = np.cumsum(new) - 1, pairs[new]
+        order = np.argsort(pairs)  # for the tables are searched faster in order
+        pairs = pairs[order]
+        begin = np.concatenate([[0], np.cumsum(trees.length[pairs & 0xFFFF])])
+        odds = np.zeros(begin[-1], np.float32)
+        for i in range(0, len(pairs), LOOKUPS):
+            part = pairs[i : i + LOOKUPS]
+            first, walk = trees.walk(part & 0xFFFF)
+            nodes = np.repeat(part >> 8 << 8, np.diff(first)) | trees.nodes.take(walk)
+            own, left = odds[begin[i] : begin[i] + len(nodes)], np.arange(len(nodes))
+            for table in known:  # a node is in one of them
+                met, values = table.look_up(nodes)
+                own[left[met]] = values
+                left, nodes = left[~met], nodes[~met]
+            own *= trees.bits.take(walk) * 2 - 1
+        start = np.empty(len(order), np.int64)
+        start[order] = begin[:-1]
+        return start.take(at), odds
+
+
+def gathered(batches: Iterable[pa.RecordBatch], size: int) -> Iterator[pa.Table]:
+    """Batches of texts (the second column), so many together as hold size bytes at most, or one."""
+    held, n = [], 0
+    for batch in batches:
+        text = batch.column(1)
+        own = pc.sum(pc.binary_length(text)).as_py() or 0
+        if held and n + own > size:
+            yield pa.Table.from_batches(held)
+            held, n = [], 0
+        held.append(batch)
+        n += own
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 def pieces(docs: DataFrame) -> DataFrame:
@@ -294,9 +330,9 @@ def pieces(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstd.ZstdCompressor(level=3)
-        for batch in batches:
-            ids, held = batch.column(0), batch.column(2)
-            for scan in scans(batch.column(1), size=PIECE):
+        for table in gathered(batches, PIECE):
+            ids, held = (table.column(c).combine_chunks() for c in (0, 2))
+            for scan in scans(table.column(1), size=PIECE):
                 data, offsets = with_ends(scan.data, scan.offsets)
                 row = lambda of: pa.ListArray.from_arrays(pa.array([0, len(of)], pa.int32()), of)
                 own = [row(x.slice(scan.first, scan.n)) for x in (ids, held)]
@@ -352,65 +388,59 @@ def count_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                         )
 
 
-def mix_cost(steps: Steps, step: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Bits that each block costs: those coded at step[begins[i]:ends[i]]. Blocks are coded side by
-    side, a mini-batch of each at a time."""
-    length, cost = ends - begins, np.zeros(len(begins))
-    order = np.argsort(-length, kind="stable")
-    n, rounds = len(order), -(-int(length[order[0]]) // STEP)
-    x = np.zeros((rounds, n, STEP, ORDERS + 1), np.float32)  # 0 beyond a block's end
-    slot = np.zeros((rounds, n, STEP), np.int64)  # a bit's place among (block, gate, bit)
-    for row, i in enumerate(order):
-        mine, whole = step[begins[i] : ends[i]], int(length[i]) // STEP
-        for into, values in ((x, steps.inputs), (slot, steps.gate)):
-            own = values.take(mine, axis=0)
-            into[:whole, row] = own[: whole * STEP].reshape(whole, STEP, *own.shape[1:])
-            if whole * STEP < length[i]:
-                into[whole, row, : length[i] - whole * STEP] = own[whole * STEP :]
-    slot += (np.arange(n) * GATES)[:, None]
-    slot *= STEP
-    slot += np.arange(STEP)
-    shift_by = STEP.bit_length() - 1
-    # The last weight is 0: the sign has its part in the second stage alone.
-    weights = np.full((n * GATES, ORDERS + 1), START_WEIGHT, np.float32)
-    weights[:, ORDERS] = 0
-    learns = np.full(ORDERS + 1, RATE, np.float32)
-    learns[ORDERS] = 0
-    scale, shift = np.ones((n, 1), np.float32), np.zeros((n, 1), np.float32)
-    sum_up = np.ones(ORDERS + 1, np.float32)
+def mix_cost(steps: Steps, step: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Bits that each block costs, whose steps lie end to end, the longest block first. Blocks are
+    coded side by side, a mini-batch of each at a time."""
+    n, rounds, cost = len(length), -(-int(length[0]) // STEP), np.zeros(len(length))
+    place = np.full((n, rounds * STEP), len(steps.gate) - 1)
+    place[np.arange(rounds * STEP) < length[:, None]] = step
+    base = np.arange(n * STEP).reshape(n, STEP) * GATES  # slots are (block, bit, gate)
+    # The weights of the sign and beyond are 0: it has its part in the second stage alone.
+    weights = np.zeros((n, GATES, WIDTH), np.float32)
+    weights[:, :, :ORDERS] = START_WEIGHT
+    learns = np.zeros(WIDTH, np.float32)
+    learns[:ORDERS] = RATE
+    scale, shift = np.ones(n, np.float32), np.zeros(n, np.float32)
     for r in range(rounds):
-        live = int(np.searchsorted(-length[order], -r * STEP))
-        own, where = x[r, :live], slot[r, :live]
-        z = (own * weights.take(where >> shift_by, axis=0)) @ sum_up  # log odds of the bit taken
-        sign = own[:, :, ORDERS]
-        against = np.exp(np.minimum(-(scale[:live] * z + shift[:live] * sign), 30))
+        live = int(np.searchsorted(-length, -r * STEP))
+        at = place[:live, r * STEP : (r + 1) * STEP]
+        own, slot = steps.inputs.take(at, axis=0), steps.gate.take(at) + base[:live]
+        both = weights[:live] * -scale[:live, None, None]  # both stages in one
+        both[:, :, ORDERS] = -shift[:live, None]
+        # Odds against the bit taken, by each gate's weights, of which its own gate's count.
+        against = (own @ both.transpose(0, 2, 1)).take(slot)
+        np.exp(np.minimum(against, 30, out=against), out=against)
         against += 1
-        cost[order[:live]] += np.log(against).sum(1) / np.log(2)
+        cost[:live] += np.log(against).sum(1)
         miss = 1 - 1 / against
-        by_gate = np.zeros(live * GATES * STEP, np.float32)
-        by_gate[where.ravel()] = miss.ravel()
-        weights[: live * GATES] += (by_gate.reshape(live, GATES, STEP) @ own).reshape(-1, ORDERS + 1) * learns
-        scale[:live, 0] += REFINE_RATE * np.einsum("ij,ij->i", miss, z)
-        shift[:live, 0] += REFINE_RATE * np.einsum("ij,ij->i", miss, sign)
-    return cost - (-length % STEP)  # a bit for each place beyond the end
+        by_gate = np.zeros((live, STEP, GATES), np.float32)
+        by_gate.reshape(-1)[slot.reshape(-1)] = miss.reshape(-1)
+        change = by_gate.transpose(0, 2, 1) @ own  # of the sign: the sum of misses of ones, less that of zeros
+        scale[:live] += REFINE_RATE * np.vecdot(weights[:live].reshape(live, -1), change.reshape(live, -1))
+        shift[:live] += REFINE_RATE * change[:, :, ORDERS].sum(1)
+        weights[:live] += change * learns
+    return cost / np.log(2) - (-length % STEP)  # a bit for each place beyond the end
 
 
 def text_bits(trees: Trees, known: list[Odds], data: np.ndarray, offsets: np.ndarray, group: int = 64) -> np.ndarray:
     """Bits of each document, end marks included. known: tables that hold all contexts' odds.
-    Blocks are coded group by group."""
+    Blocks are coded group by group, those of like length together."""
     total = np.zeros(len(offsets) - 1)
-    for doc, starts, stops in stretches(offsets, STRETCH // 2):  # for a key's steps take more than its counts
+    for doc, starts, stops in stretches(offsets):
         keys, at = distinct(byte_keys(data, offsets, starts[0], stops[-1]))
         steps = Steps(trees, known, keys)
-        for g in range(0, len(doc), group):
-            own = slice(g, g + group)
-            low = starts[own][0]
-            part = at[low - starts[0] : stops[own][-1] - starts[0]]
-            length = steps.length.take(part)
-            first = np.concatenate([[0], np.cumsum(length)])
-            step = np.arange(first[-1]) + np.repeat(steps.first.take(part) - first[:-1], length)
-            cost = mix_cost(steps, step, first[starts[own] - low], first[stops[own] - low])
-            total += np.bincount(doc[own], cost, len(total))
+        starts, stops = starts - starts[0], stops - starts[0]
+        size = np.add.reduceat(steps.length.astype(np.uint8).take(at), starts, dtype=np.int64)  # 255 at most each
+        order = np.argsort(-size, kind="stable")
+        for g in range(0, len(order), group):
+            own = order[g : g + group]
+            part = np.concatenate([at[starts[i] : stops[i]] for i in own])
+            length, first = steps.length.take(part), steps.first.take(part)
+            step = np.ones(size[own].sum(), np.int64)  # on from the one before, but for a byte's first
+            step[0] = first[0]
+            step[np.cumsum(length[:-1])] = first[1:] - first[:-1] - length[:-1] + 1
+            np.cumsum(step, out=step)
+            total += np.bincount(doc[own], mix_cost(steps, step, size[own]), len(total))
             del part, length, first, step
         del keys, at, steps  # else they are held while the next stretch's are made
     return total
@@ -472,15 +502,17 @@ def score(docs: DataFrame, modulus: int = 7, remainder: int = 2) -> DataFrame:
     words, often = (top.column(c).to_numpy() for c in ("word", "n"))
     trees = Trees(symbols.reshape(256, 256))
     cut = pieces(docs)
-    met = materialize(cut.mapInArrow(count_contexts, "piece long, key long, n long"), "lm-met")
-    pairs = materialize(met.where("n > 0").groupBy(F.col("key").alias("pair")).agg(F.sum("n").alias("n")), "lm-pairs")
+    met = cut.mapInArrow(count_contexts, "piece long, key long, n long").withColumn("counted", F.col("n") > 0)
+    met = materialize(met, "lm-met", by="counted")
+    pairs = materialize(met.where("counted").groupBy(F.col("key").alias("pair")).agg(F.sum("n").alias("n")), "lm-pairs")
+    drop_part(met, "counted", "true")  # the largest table, which nothing reads again
     pairs = pairs.select(F.shiftright("pair", 8).alias("context"), "pair", "n")
     by_context = pairs.groupBy("context").agg(F.sum("n").alias("n"), F.count("n").alias("pairs"))
     often_met = materialize(most_frequent(by_context, FREQUENT_PAIRS, "pairs").select("context"), "lm-frequent")
     held = pairs.join(F.broadcast(often_met), "context").select("pair", "n").toArrow()  # FREQUENT_PAIRS rows at most
     held = [held.column(c).to_numpy() for c in ("pair", "n")]
     model = spark.sparkContext.broadcast((Odds(trees, in_parts(*held)), words, often))
-    rare = met.where("n = 0").select("piece", F.col("key").alias("context")).join(
+    rare = met.where("not counted").select("piece", F.col("key").alias("context")).join(
         F.broadcast(often_met), "context", "left_anti"
     )
     # No context here is among the most frequent ones, so none is hot; one has 256 bytes at most.

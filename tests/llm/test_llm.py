@@ -1142,3 +1142,50 @@ def test_lm_pieces_are_stored_in_row_groups_of_their_own(spark):
     cut = lm_scoring.pieces(docs.selectExpr("*", "false AS held_out"))
     files = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in cut.inputFiles()]
     assert cut.count() > 1 and sum(f.num_row_groups for f in files) == cut.count()
+
+
+def test_lm_keys_hold_what_predictors_know(spark):
+    """Bytes that all predictors see alike have one key, so that their steps are looked up once."""
+    import numpy as np
+
+    r = random.Random(8)
+    texts = ["", "a", "\0\0b", *(" ".join(r.choice(["a", "to", "the", "word", "words", "letter", "letters\n"]) for _ in range(400)) for _ in range(9))]
+    data = np.frombuffer(b"".join(t.encode() + b"\0" for t in texts), np.uint8)
+    offsets = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
+    seen = []
+    for t in texts:
+        own = t.encode() + b"\0"
+        for i, byte in enumerate(own):
+            word = re.search(rb"[^\x20\x09-\x0D]*\Z", own[max(0, i - 6) : i])[0]
+            seen.append((byte, own[max(0, i - 4) : i], word))
+    keys, place = lm_scoring.distinct(lm_scoring.byte_keys(data, offsets, 0, len(data)))
+    first = {}
+    assert [first.setdefault(x, k) for x, k in zip(seen, place.tolist(), strict=True)] == place.tolist()
+    assert len(keys) == len(first) == len(set(place.tolist()))
+
+
+def test_lm_counted_pairs_leave_the_disk(spark):
+    """Once the pieces' pairs are counted, the largest scratch table goes; contexts to be joined stay."""
+    import glob
+
+    from corpusflow.sources import scratch
+
+    docs = table(spark, [sentence(60, s) for s in range(12)])
+    before = {k: spark.conf.get(k, None) for k in (scratch.CLEANUP, scratch.WRITERS)}
+    scored = lm_scoring.score(docs.repartition(3))
+    path = [p for p in scratch._made[spark.sparkContext.applicationId] if "/lm-met-" in p][-1].removeprefix("file:")
+    assert glob.glob(f"{path}/counted=false/*.parquet") and not glob.glob(f"{path}/counted=true/*.parquet")
+    assert scored.count() == 12 and before == {k: spark.conf.get(k, None) for k in before}
+    # One part of several is dropped alone.
+    found = scratch.materialize(spark.range(9).selectExpr("id", "id % 3 AS part"), "parts", by="part")
+    scratch.drop_part(found, "part", "1")
+    assert sorted(r.id for r in found.where("part != 1").collect()) == [0, 2, 3, 5, 6, 8]
+
+
+def test_lm_pieces_span_batches(spark):
+    """Pieces hold the texts of several batches, up to their bound."""
+    import pyarrow as pa
+
+    batches = [pa.RecordBatch.from_pydict({"id": [i, i], "text": ["x" * n, None]}) for i, n in enumerate((40, 30, 50, 200, 5))]
+    sizes = [t.column(0).to_pylist() for t in lm_scoring.gathered(iter(batches), 100)]
+    assert sizes == [[0, 0, 1, 1], [2, 2], [3, 3], [4, 4]] and not list(lm_scoring.gathered(iter([]), 100))
