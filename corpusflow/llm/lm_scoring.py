@@ -38,7 +38,7 @@ import zstandard as zstd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusflow.llm.scan import SPACE, scans
+from corpusflow.llm.scan import SPACE, parts, scans
 from corpusflow.sources.batches import bound_batches
 from corpusflow.sources.scratch import drop_part, materialize
 
@@ -54,12 +54,14 @@ FREQUENT_WORDS = 1 << 17
 FREQUENT_PAIRS = 1 << 20
 #: Bytes of text whose contexts are joined together (a longer document is a piece of its own), and
 #: twice those of text that is worked on at a time.
-PIECE = 1 << 24
+PIECE = 1 << 23
 STRETCH = 1 << 23
 #: Bytes of a row group of the stored pieces, beyond which a piece has one of its own.
 ROW_GROUP = 1 << 20
 #: Pairs whose tree nodes are counted at a time (a context's pairs stay together).
 NODE_PAIRS = 1 << 17
+#: Pairs of a task's pieces that are added up before they are written.
+MERGED = 1 << 21
 #: Distinct keys, or pairs, whose steps are looked up at a time.
 LOOKUPS = 1 << 14
 #: Bits of a key that are the byte and so many before it.
@@ -146,7 +148,7 @@ def byte_keys(data: np.ndarray, offsets: np.ndarray, first: int, stop: int) -> n
     before = data[max(0, first - 7) : first]
     full = np.concatenate([np.zeros(7 - len(before), np.uint8), before, data[first:stop]])
     n = stop - first
-    keys = np.ndarray(n, ">u8", full.tobytes(), strides=(1,)).astype(np.int64)
+    keys = np.ndarray(n, "<i8", full[::-1].tobytes(), n - 1, (-1,)).astype(np.int64)  # a byte and the seven before
     space = (full == 32) | (full >= 9) & (full <= 13)
     apart = space[6 : 6 + n]
     for i in range(2, 6):
@@ -208,6 +210,11 @@ def add_up(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[first], np.add.reduceat(n, first, dtype=np.int64) if len(first) else n.astype(np.int64)
 
 
+def merge(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """add_up() of all; one alone is in order already, unless it is a stretch's."""
+    return found[0] if len(found) == 1 and (np.diff(found[0][0]) > 0).all() else add_up(*map(np.concatenate, zip(*found, strict=True)))
+
+
 def in_parts(pairs: np.ndarray, n: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Distinct pairs and their counts in order, some contexts at a time."""
     order, i = np.argsort(pairs), 0
@@ -304,17 +311,16 @@ class Steps:
                 own[left[met]] = values
                 left, nodes = left[~met], nodes[~met]
             own *= trees.bits.take(walk) * 2 - 1
-        start = np.empty(len(order), np.int64)
+        start = np.empty(len(order), np.int32)
         start[order] = begin[:-1]
         return start.take(at), odds
 
 
-def gathered(batches: Iterable[pa.RecordBatch], size: int) -> Iterator[pa.Table]:
-    """Batches of texts (the second column), so many together as hold size bytes at most, or one."""
+def gathered(batches: Iterable[pa.RecordBatch], size: int, column: int = 1) -> Iterator[pa.Table]:
+    """Batches of texts (in that column), so many together as hold size bytes at most, or one."""
     held, n = [], 0
     for batch in batches:
-        text = batch.column(1)
-        own = pc.sum(pc.binary_length(text)).as_py() or 0
+        own = pc.sum(pc.binary_length(batch.column(column))).as_py() or 0
         if held and n + own > size:
             yield pa.Table.from_batches(held)
             held, n = [], 0
@@ -329,13 +335,13 @@ def pieces(docs: DataFrame) -> DataFrame:
     packed (the bytes, end marks included). Pieces are large rows, so a row group holds one or a few."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = zstd.ZstdCompressor(level=3)
+        packer = zstd.ZstdCompressor(level=1)
         for table in gathered(batches, PIECE):
             ids, held = (table.column(c).combine_chunks() for c in (0, 2))
-            for scan in scans(table.column(1), size=PIECE):
-                data, offsets = with_ends(scan.data, scan.offsets)
+            for i, data, offsets in parts(table.column(1), PIECE):
+                data, offsets = with_ends(data, offsets)
                 row = lambda of: pa.ListArray.from_arrays(pa.array([0, len(of)], pa.int32()), of)
-                own = [row(x.slice(scan.first, scan.n)) for x in (ids, held)]
+                own = [row(x.slice(i, len(offsets) - 1)) for x in (ids, held)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         *own, row(pa.array(offsets, pa.int64())),
@@ -357,14 +363,24 @@ def unpack(packed: pa.Scalar, offsets: pa.Scalar) -> tuple[np.ndarray, np.ndarra
 
 
 def count_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each piece's distinct pairs (context << 8 | byte) with their number n in training documents,
-    if there is any, and its distinct contexts with n = 0: piece, key, n."""
+    """Distinct pairs (context << 8 | byte) with their number n in training documents, if there is
+    any, of one or more pieces; each piece's distinct contexts with n = 0: piece, key, n."""
+
+    def rows(piece: int, keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(keys), 100_000):
+            part = keys[i : i + 100_000]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(part), piece)), pa.array(part), pa.array(n[i : i + 100_000])], names=["piece", "key", "n"]
+            )
+
+    total: list[list] = [[] for _ in range(ORDERS)]  # each predictor's, which are added up by themselves
+    merged, last = 0, 0
     for batch in batches:
         for piece, packed, offsets, out in zip(
             batch.column("piece"), batch.column("packed"), batch.column("offsets"), batch.column("held"), strict=True
         ):
             (data, offsets), used = unpack(packed, offsets), ~np.array(out.as_py(), bool)
-            held: list[list] = [[] for _ in range(ORDERS)]  # each predictor's, which are added up by themselves
+            held: list[list] = [[] for _ in range(ORDERS)]
             for doc, starts, stops in stretches(offsets):
                 mine = np.repeat(used[doc], stops - starts)
                 keys, at = distinct(byte_keys(data, offsets, starts[0], stops[-1]))
@@ -375,17 +391,21 @@ def count_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                     new = np.flatnonzero(firsts(pairs))
                     met.append((pairs[new], np.add.reduceat(often, new).astype(np.int32)))  # a stretch is small
                 del keys, often, own, pairs, new  # else they are held while the next stretch's are made
-            while held:
-                pairs, n = add_up(*map(np.concatenate, zip(*held.pop(), strict=True)))
+            last = piece.as_py()
+            for k in range(ORDERS):
+                (pairs, n), held[k] = merge(held[k]), []
                 own = pairs >> 8  # in order, as pairs are
                 own = own[firsts(own)]
-                for keys, often in ((pairs[n > 0], n[n > 0]), (own, np.zeros(len(own), np.int64))):
-                    for i in range(0, len(keys), 100_000):
-                        part = keys[i : i + 100_000]
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.full(len(part), piece.as_py())), pa.array(part), pa.array(often[i : i + 100_000])],
-                            names=["piece", "key", "n"]
-                        )
+                yield from rows(last, own, np.zeros(len(own), np.int64))
+                total[k].append((pairs[n > 0], n[n > 0]))
+                merged += len(total[k][-1][0])
+            if merged >= MERGED:
+                for own in total:
+                    yield from rows(last, *merge(own))
+                    own.clear()
+                merged = 0
+    for own in total if merged else []:
+        yield from rows(last, *merge(own))
 
 
 def mix_cost(steps: Steps, step: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -404,11 +424,12 @@ def mix_cost(steps: Steps, step: np.ndarray, length: np.ndarray) -> np.ndarray:
     for r in range(rounds):
         live = int(np.searchsorted(-length, -r * STEP))
         at = place[:live, r * STEP : (r + 1) * STEP]
-        own, slot = steps.inputs.take(at, axis=0), steps.gate.take(at) + base[:live]
+        # No place is out of range; clipping is the faster check.
+        own, slot = steps.inputs.take(at, axis=0, mode="clip"), steps.gate.take(at, mode="clip") + base[:live]
         both = weights[:live] * -scale[:live, None, None]  # both stages in one
         both[:, :, ORDERS] = -shift[:live, None]
         # Odds against the bit taken, by each gate's weights, of which its own gate's count.
-        against = (own @ both.transpose(0, 2, 1)).take(slot)
+        against = (own @ both.transpose(0, 2, 1)).take(slot, mode="clip")
         np.exp(np.minimum(against, 30, out=against), out=against)
         against += 1
         cost[:live] += np.log(against).sum(1)
@@ -447,25 +468,14 @@ def text_bits(trees: Trees, known: list[Odds], data: np.ndarray, offsets: np.nda
 
 
 def word_counts(training: DataFrame) -> DataFrame:
-    """word (64-bit hash) and count over all training documents, end tokens included; rows of
-    the negative words -1 - s hold the counts of symbols (see Trees)."""
+    """word (64-bit hash) and count over all training documents, end tokens not included."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(1 << 16, np.int64)
-        for batch in batches:
-            words = []
-            for scan in scans(batch.column(0)):
-                words.append((scan.word_hashes(lower=True) >> np.uint64(1)).astype(np.int64))
-                data, offsets = with_ends(scan.data, scan.offsets)
-                symbols = data.astype(np.int64)
-                symbols[1:] |= symbols[:-1] << 8
-                symbols[offsets[:-1]] &= 255
-                held += np.bincount(symbols, minlength=1 << 16)
+        for table in gathered(batches, PIECE, 0):
+            words = [(x.word_hashes(lower=True) >> np.uint64(1)).astype(np.int64) for x in scans(table.column(0))]
             if words:
                 found = pa.array(np.concatenate(words)).value_counts()
                 yield pa.RecordBatch.from_arrays([found.field("values"), found.field("counts")], names=["word", "n"])
-        met = np.flatnonzero(held)
-        yield pa.RecordBatch.from_arrays([pa.array(-1 - met), pa.array(held[met])], names=["word", "n"])
 
     return training.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -490,23 +500,22 @@ def score(docs: DataFrame, modulus: int = 7, remainder: int = 2) -> DataFrame:
     bound_batches(spark)
     docs = docs.select("doc_id", "text").withColumn("held_out", held_out(modulus, remainder))
     training = docs.where(~F.col("held_out"))
-    counted = materialize(word_counts(training), "lm-words")
-    symbols = np.zeros(1 << 16, np.int64)
-    for r in counted.where("word < 0").collect():  # at most 65,536 rows
-        symbols[-1 - r.word] = r.n
+    counts = materialize(word_counts(training), "lm-words")
     n_docs = training.count()
-    counts = counted.where("word >= 0")
     sums = counts.agg(F.sum("n").alias("n"), F.count("n").alias("v")).first()
     tokens, kinds = (sums.n or 0) + n_docs, sums.v + (n_docs > 0)
     top = most_frequent(counts, FREQUENT_WORDS).toArrow().sort_by("word")
     words, often = (top.column(c).to_numpy() for c in ("word", "n"))
-    trees = Trees(symbols.reshape(256, 256))
     cut = pieces(docs)
     met = cut.mapInArrow(count_contexts, "piece long, key long, n long").withColumn("counted", F.col("n") > 0)
     met = materialize(met, "lm-met", by="counted")
     pairs = materialize(met.where("counted").groupBy(F.col("key").alias("pair")).agg(F.sum("n").alias("n")), "lm-pairs")
     drop_part(met, "counted", "true")  # the largest table, which nothing reads again
     pairs = pairs.select(F.shiftright("pair", 8).alias("context"), "pair", "n")
+    symbols = np.zeros(1 << 16, np.int64)
+    for r in pairs.where(F.col("pair") < 1 << 59).collect():  # the first predictor's: at most 65,792 rows
+        symbols[r.pair & 0xFFFF] += r.n
+    trees = Trees(symbols.reshape(256, 256))
     by_context = pairs.groupBy("context").agg(F.sum("n").alias("n"), F.count("n").alias("pairs"))
     often_met = materialize(most_frequent(by_context, FREQUENT_PAIRS, "pairs").select("context"), "lm-frequent")
     held = pairs.join(F.broadcast(often_met), "context").select("pair", "n").toArrow()  # FREQUENT_PAIRS rows at most
@@ -537,31 +546,35 @@ def score(docs: DataFrame, modulus: int = 7, remainder: int = 2) -> DataFrame:
             texts = pa.LargeStringArray.from_buffers(len(bare) - 1, pa.py_buffer(bare), pa.py_buffer(data[keep]))
             for scan in scans(texts):
                 part = slice(scan.first, scan.first + scan.n)
-                h = (scan.word_hashes(lower=True) >> np.uint64(1)).astype(np.int64)
-                at_word = np.minimum(np.searchsorted(word, h), max(len(word) - 1, 0))
-                met = word[at_word] == h if len(word) else np.zeros(len(h), bool)
+                h = pa.array((scan.word_hashes(lower=True) >> np.uint64(1)).astype(np.int64)).dictionary_encode()
+                kinds, h = h.dictionary.to_numpy(), h.indices.to_numpy()
+                at_word = np.minimum(np.searchsorted(word, kinds), max(len(word) - 1, 0))
+                frequent = word[at_word] == kinds if len(word) else np.zeros(len(kinds), bool)
+                part_of = np.zeros(len(kinds))
+                part_of[frequent] = np.log10(count[at_word[frequent]] + 1) - total
+                met = frequent.take(h)
                 n_words, n_met = scan.per_doc(scan.doc), scan.per_doc(scan.doc[met])
-                base = np.bincount(
-                    scan.doc[met], np.log10(count[at_word[met]] + 1) - total, scan.n
-                ) + end if met.any() else np.full(scan.n, end)
-                cuts = np.concatenate([[0], np.cumsum(scan.per_doc(scan.doc[~met]))]).astype(np.int32)
+                base = np.bincount(scan.doc, part_of.take(h), scan.n) + end
+                rest, tf = np.unique(scan.doc[~met] * len(kinds) + h[~met], return_counts=True)
+                doc, kind = np.divmod(rest, max(len(kinds), 1))
+                cuts = pa.array(np.concatenate([[0], np.cumsum(scan.per_doc(doc))]).astype(np.int32))
                 found.append(pa.Table.from_arrays(
                     [at["ids"].values.slice(scan.first, scan.n), at["held"].values.slice(scan.first, scan.n), pa.array(n_words + 1), pa.array(n_met + int(n_docs > 0)), pa.array(base),
                      pa.array(cost[part] * -np.log10(2)), pa.array(
                          cost[part] / (np.diff(scan.offsets) + 1)
-                     ), pa.ListArray.from_arrays(pa.array(cuts), pa.array(h[~met]))],
-                    names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "bits_per_byte", "rest"],
+                     ), *(pa.ListArray.from_arrays(cuts, pa.array(x)) for x in (kinds[kind], tf))],
+                    names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "bits_per_byte", "word", "tf"],
                 ))
         return pa.concat_tables(found)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     scored = cut.groupBy("piece").cogroup(rest_odds.groupBy("piece")).applyInArrow(
         run,
-        f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, bits_per_byte double, rest array<long>"
+        f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, bits_per_byte double, word array<long>, tf array<long>"
     )
     scored = materialize(scored.withColumn("row", F.monotonically_increasing_id()), "lm-scored")
     # Rare words, exactly: no word here is among the most frequent ones, so none is hot.
-    rare = scored.select("row", F.explode("rest").alias("word")).groupBy("row", "word").agg(F.count("word").alias("tf"))
+    rare = scored.select("row", F.inline(F.arrays_zip("word", "tf")))
     rare = rare.join(counts.hint("merge"), "word", "left")
     n = F.coalesce("n", F.lit(0))
     sums = rare.groupBy("row").agg(

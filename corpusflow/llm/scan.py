@@ -97,8 +97,8 @@ def spans(mask: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.flatnonzero(start), np.flatnonzero(end) + 1
 
 
-def scans(column: pa.Array | pa.ChunkedArray, separator: np.ndarray = SPACE, size: int = 1 << 20) -> Iterator[Scan]:
-    """Scans of pieces of about `size` bytes; a longer document is a piece of its own.
+def parts(column: pa.Array | pa.ChunkedArray, size: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """First document, bytes and offsets of pieces of about `size` bytes; a longer document is one of its own.
 
     Null documents count as empty ones.
     """
@@ -116,12 +116,19 @@ def scans(column: pa.Array | pa.ChunkedArray, separator: np.ndarray = SPACE, siz
     while i < n:
         j = max(i + 1, int(np.searchsorted(at, at[i] + size, "right")) - 1)
         j = min(j, n, i + 50_000)
-        piece, offsets = data[at[i] : at[j]], at[i : j + 1] - at[i]
-        start, end = spans(~separator[piece], offsets)
-        yield Scan(i, j - i, piece, offsets, start, end, np.searchsorted(offsets, start, "right") - 1)
+        yield i, data[at[i] : at[j]], at[i : j + 1] - at[i]
         i = j
 
 
+def scans(column: pa.Array | pa.ChunkedArray, separator: np.ndarray = SPACE, size: int = 1 << 20) -> Iterator[Scan]:
+    """Scans of parts()."""
+    for first, piece, offsets in parts(column, size):
+        start, end = spans(~separator[piece], offsets)
+        yield Scan(
+            first, len(offsets) - 1, piece, offsets, start, end, np.searchsorted(offsets, start, "right") - 1
+        )
+
+
 def windows(scan: Scan, h: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash and first word of every run of k words inside one document."""
     if len(h) < k:

@@ -1144,7 +1144,7 @@ def test_lm_pieces_are_stored_in_row_groups_of_their_own(spark):
     assert cut.count() > 1 and sum(f.num_row_groups for f in files) == cut.count()
 
 
-def test_lm_keys_hold_what_predictors_know(spark):
+def test_lm_keys_hold_what_predictors_know():
     """Bytes that all predictors see alike have one key, so that their steps are looked up once."""
     import numpy as np
 
