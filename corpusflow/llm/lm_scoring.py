@@ -8,8 +8,8 @@ stage refines the mix. Weights start equal and are adapted online while a block
 coded, a mini-batch of STEP bits at a time; each block starts anew, so a block's cost doesn't
 depend on how documents are dealt to tasks.
 
-Everything that a predictor needs to know of a byte is its key: the byte, the six before it and
-how many of these are the document's. A stretch of text has far fewer distinct keys than bytes, so
+Everything that a predictor needs to know of a byte is its key: the byte, the four before it, up to
+six if they are of the current word, and how many of these there are. A stretch of text has far fewer distinct keys than bytes, so
 odds are looked up once a distinct key and then gathered. Distinct keys are sorted by byte, the
 byte before it, and so on: then all keys with the same byte and context are neighbours.
 
@@ -61,7 +61,7 @@ ROW_GROUP = 1 << 20
 #: Pairs whose tree nodes are counted at a time (a context's pairs stay together).
 NODE_PAIRS = 1 << 17
 #: Pairs of a task's pieces that are added up before they are written.
-MERGED = 1 << 21
+MERGED = 1 << 22
 #: Distinct keys, or pairs, whose steps are looked up at a time.
 LOOKUPS = 1 << 14
 #: Bits of a key that are the byte and so many before it.
@@ -451,15 +451,16 @@ def text_bits(trees: Trees, known: list[Odds], data: np.ndarray, offsets: np.nda
         keys, at = distinct(byte_keys(data, offsets, starts[0], stops[-1]))
         steps = Steps(trees, known, keys)
         starts, stops = starts - starts[0], stops - starts[0]
-        size = np.add.reduceat(steps.length.astype(np.uint8).take(at), starts, dtype=np.int64)  # 255 at most each
+        lengths, begins = steps.length.astype(np.int16), steps.first.astype(np.int32)  # small, for the cache
+        size = np.add.reduceat(lengths.take(at), starts, dtype=np.int64)
         order = np.argsort(-size, kind="stable")
         for g in range(0, len(order), group):
             own = order[g : g + group]
             part = np.concatenate([at[starts[i] : stops[i]] for i in own])
-            length, first = steps.length.take(part), steps.first.take(part)
-            step = np.ones(size[own].sum(), np.int64)  # on from the one before, but for a byte's first
+            length, first = lengths.take(part), begins.take(part)
+            step = np.ones(size[own].sum(), np.int32)  # on from the one before, but for a byte's first
             step[0] = first[0]
-            step[np.cumsum(length[:-1])] = first[1:] - first[:-1] - length[:-1] + 1
+            step[np.cumsum(length[:-1], dtype=np.int32)] += first[1:] - first[:-1] - length[:-1]
             np.cumsum(step, out=step)
             total += np.bincount(doc[own], mix_cost(steps, step, size[own]), len(total))
             del part, length, first, step
