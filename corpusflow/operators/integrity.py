@@ -56,17 +56,40 @@ def check_presence(tables: dict[str, DataFrame], key: str, needs: dict[str, list
     return found.select("rule", F.col("k").alias("key"), F.lit(None).cast("string").alias("detail"))
 
 
+def _broken(df: DataFrame, key: str, rules: dict[str, tuple[Column, Column]]) -> DataFrame:
+    """A row for each rule (name to condition and detail) whose condition a row meets, by one pass over the
+    table, in which rows that meet none are left out first."""
+    found = [
+        F.when(bad, F.struct(F.lit(rule).alias("rule"), detail.cast("string").alias("detail")))
+        for rule, (bad, detail) in rules.items()
+    ]
+    rows = df.where(reduce(Column.__or__, [bad for bad, _ in rules.values()]))
+    broken = rows.select(F.col(key).cast("string").alias("key"), F.explode(F.array_compact(F.array(*found))).alias("x"))
+    return broken.select("x.rule", "key", "x.detail")
+
+
+def _unmet(rules: dict[str, Column]) -> dict[str, tuple[Column, Column]]:
+    """Conditions that must hold, as rules of _broken; null counts as broken."""
+    return {name: (~F.coalesce(test, F.lit(False)), F.lit(None)) for name, test in rules.items()}
+
+
+def _document_hashes() -> dict[str, tuple[Column, Column]]:
+    return {"content_hash": (F.lower("content_hash") != F.sha2("content", 256), F.col("content_hash"))}
+
+
+def _chunk_hashes() -> dict[str, tuple[Column, Column]]:
+    own = chunk_id(F.col("document_id"), F.col("ordinal"), F.col("content"))
+    n = F.col("approximate_token_count")
+    return {
+        "chunk_id": (F.lower("chunk_id") != own, F.col("ordinal")), "token_count": (n != count_tokens(F.col("content")), n)
+    }
+
+
 def check_hashes(documents: DataFrame, chunks: DataFrame) -> DataFrame:
     """Content hashes (any case), chunk ids and token counts against recomputed ones."""
-    bad_hash = documents.where(F.lower("content_hash") != F.sha2("content", 256))
-    bad_id = chunks.where(F.lower("chunk_id") != chunk_id(F.col("document_id"), F.col("ordinal"), F.col("content")))
-    bad_count = chunks.where(F.col("approximate_token_count") != count_tokens(F.col("content")))
     return union(
-        _rows(
-            bad_hash, "content_hash", F.col("document_id"), F.col("content_hash")
-        ), _rows(bad_id, "chunk_id", F.col("chunk_id"), F.col("ordinal")),
-        _rows(bad_count, "token_count", F.col("chunk_id"), F.col("approximate_token_count")),
-    )
+        _broken(documents, "document_id", _document_hashes()), _broken(chunks, "chunk_id", _chunk_hashes())
+    )
 
 
 def check_denormalised(chunks: DataFrame, documents: DataFrame, columns: dict[str, str]) -> DataFrame:
@@ -74,26 +97,14 @@ def check_denormalised(chunks: DataFrame, documents: DataFrame, columns: dict[st
     compares all columns, so chunks' ids are shuffled once."""
     theirs = documents.select("document_id", *(F.col(d).alias(f"__{c}") for c, d in columns.items()))
     rows = chunks.select("document_id", "chunk_id", *columns).join(theirs.hint("merge"), "document_id")
-    found = [
-        F.when(
-            ~F.col(c).eqNullSafe(F.col(f"__{c}")),
-            F.struct(F.lit(f"{c}_differs").alias("rule"), F.col(c).cast("string").alias("detail"))
-        ) for c in columns
-    ]
-    broken = rows.select("chunk_id", F.explode(F.array_compact(F.array(*found))).alias("x"))
-    return broken.select("x.rule", F.col("chunk_id").cast("string").alias("key"), "x.detail")
+    differ = {f"{c}_differs": (~F.col(c).eqNullSafe(F.col(f"__{c}")), F.col(c)) for c in columns}
+    return _broken(rows, "chunk_id", differ)
 
 
 def check_constraints(df: DataFrame, key: str, rules: dict[str, Column]) -> DataFrame:
     """A row for each rule (name to condition) that a row breaks; null counts as broken. One
     pass over the table."""
-    broken = F.array_compact(
-        F.array(*(F.when(~F.coalesce(test, F.lit(False)), F.lit(name)) for name, test in rules.items()))
-    )
-    return df.select(
-        F.explode(broken).alias("rule"), F.col(key).cast("string").alias("key"),
-        F.lit(None).cast("string").alias("detail")
-    )
+    return _broken(df, key, _unmet(rules))
 
 
 def chunk_rules() -> dict[str, Column]:
@@ -157,7 +168,7 @@ def check_pairing(documents: DataFrame, chunks: DataFrame) -> DataFrame:
 
 def check_artifacts(documents: DataFrame, chunks: DataFrame) -> DataFrame:
     """All rules of a pair of artifacts: unique ids, references, hashes and counts, columns that
-    chunks take over from their documents, and the formats of both."""
+    chunks take over from their documents, and the formats of both. Texts are read once a side."""
     taken = {
         "source_url": "canonical_url", "document_title": "title", "version": "version",
         "processed_content_hash": "content_hash"
@@ -167,8 +178,8 @@ def check_artifacts(documents: DataFrame, chunks: DataFrame) -> DataFrame:
             documents, ["document_id"], "repeated_document"
         ), check_unique(chunks, ["chunk_id"], "repeated_chunk"),
         check_unique(chunks, ["document_id", "ordinal"], "repeated_ordinal"), check_pairing(documents, chunks),
-        check_hashes(documents, chunks), check_denormalised(chunks, documents, taken), check_constraints(chunks, "chunk_id", chunk_rules()),
-        check_constraints(documents, "document_id", document_rules()),
+        check_denormalised(chunks, documents, taken), _broken(chunks, "chunk_id", _chunk_hashes() | _unmet(chunk_rules())),
+        _broken(documents, "document_id", _document_hashes() | _unmet(document_rules())),
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusflow.operators.integrity import check_artifacts, check_headers, check_manifest, check_pairing
+from corpusflow.operators.integrity import check_artifacts, check_headers, check_manifest
 from corpusflow.sources.scratch import delete_path, dropping_shuffles
 
 ARTIFACT_COLUMNS = [
@@ -48,14 +48,16 @@ def denormalise(documents: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def _reject(violations: DataFrame, what: str = "artifacts") -> None:
-    found = violations.limit(1).collect()
+    with dropping_shuffles(violations.sparkSession):
+        found = violations.limit(1).collect()
     if found:
         raise ValueError(f"invalid {what}: {found[0].rule} {found[0].key} {found[0].detail}")
 
 
 def _denormalised_in_order(documents: DataFrame, chunks: DataFrame) -> DataFrame:
     """denormalise of chunks that all have one document, sorted by document and ordinal: texts are shuffled
-    once, by ranges of documents, each of which stands before its chunks and is then left out."""
+    once, by ranges of documents, each of which stands before its chunks and is then left out. A chunk
+    without document stays, with nulls."""
     taken = {"source_url": "canonical_url", "document_title": "title", "version": "version", "processed_content_hash": "content_hash"}
     heads = documents.select("document_id", F.struct(*(F.col(d).alias(c) for c, d in taken.items())).alias("head"))
     both = chunks.withColumn("is_chunk", F.lit(True)).unionByName(heads.withColumn("is_chunk", F.lit(False)), allowMissingColumns=True)
@@ -66,10 +68,9 @@ def _denormalised_in_order(documents: DataFrame, chunks: DataFrame) -> DataFrame
 
 def write_artifacts(documents: DataFrame, chunks: DataFrame, header: dict[str, int], root: str) -> None:
     """Documents, denormalised chunks (both sorted) and either one's header, below a new folder.
-    Artifacts that break a rule of integrity don't stay: chunks are checked as written, and deleted before
-    anything else is there, where a rule is broken."""
+    Artifacts that break a rule of integrity don't stay: chunks are checked as written, pairing too, and
+    deleted before anything else is there, where a rule is broken."""
     spark = documents.sparkSession
-    _reject(check_pairing(documents, chunks))  # below, each chunk takes over its document's columns
     values = [F.lit(v).alias(k) for k, v in header.items()]
     heads = spark.range(1).select(*values)
     _reject(check_headers(heads, heads))

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import tracemalloc
 from pathlib import Path
 
@@ -670,6 +671,48 @@ def test_artifacts_move_texts_once(spark, tmp_path):
     assert found._jdf.queryExecution().executedPlan().toString().count("SortMergeJoin") == 1
 
 
+def test_artifacts_leave_out_documents_without_tokens(spark, oracle, tmp_path):
+    """The query's rows are those of its SQL where some texts are null, empty or white space; the sink itself
+    refuses such documents, and chunks without document, and leaves nothing."""
+    texts = ["some words", None, "", " \n\t\u00a0\u3000", "w " * 200]
+    pd.DataFrame({"doc_id": range(len(texts)), "text": texts, "source": "s"}).to_parquet(tmp_path / "documents.parquet")
+    assert oracle(queries()["artifacts_round_trip"](spark, str(tmp_path)), oracle_sql()["artifacts_round_trip"], str(tmp_path)) == 5
+    docs = spark.createDataFrame([("a", "t", "1", "u", "x y"), ("b", "t", "1", "u", " ")], "document_id string, title string, version string, canonical_url string, content string")
+    docs, header = docs.withColumn("content_hash", F.sha2("content", 256)), {"version": 1, "corpus_version": 1, "chunk_size": 2, "overlap": 0}
+    rows = chunking.chunk_fixed(docs, 2)
+    for bad in (docs, docs.where("document_id = 'b'")):
+        with pytest.raises(ValueError, match="_without_"):
+            corpus.write_artifacts(bad, rows, header, str(tmp_path / "out"))
+        assert not (tmp_path / "out" / "chunks").exists() and not (tmp_path / "out" / "documents").exists()
+
+
+def test_artifact_checks_read_texts_once(spark, tmp_path):
+    """One scan with texts a side, for the same violations as rule by rule; a check's shuffle files go with it."""
+    docs = spark.createDataFrame([(f"d{i}", "t" * (i % 3), "1", "u", "w " * (i + 1)) for i in range(20)], "document_id string, title string, version string, canonical_url string, content string")
+    docs = docs.withColumn("content_hash", F.sha2(F.concat("content", F.when(F.length("title") == 1, "x").otherwise("")), 256))
+    rows = corpus.denormalise(docs, chunking.chunk_fixed(docs, 4)).withColumn("approximate_token_count", F.col("approximate_token_count") - 1)
+    for table, name in ((docs, "docs"), (rows.withColumn("content", F.when(F.col("ordinal") == 2, " ").otherwise(F.col("content"))), "rows")):
+        table.write.parquet(str(tmp_path / name))
+    docs, rows = (spark.read.parquet(str(tmp_path / name)) for name in ("docs", "rows"))
+    found = integrity.check_artifacts(docs, rows)
+    scans = re.findall(r"FileScan parquet \[([^\]]*)\]", found._jdf.queryExecution().executedPlan().toString())
+    assert sum(bool(re.search(r"\bcontent#", columns)) for columns in scans) == 2
+    single = integrity.union(
+        integrity.check_hashes(docs, rows), integrity.check_constraints(rows, "chunk_id", integrity.chunk_rules()),
+        integrity.check_constraints(docs, "document_id", integrity.document_rules())
+    )
+    assert sorted(map(str, found.collect())) == sorted(map(str, single.collect())) and single.select("rule").distinct().count() == 6
+    blocks_on_disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: set(re.findall(r"shuffle_\d+_\d+_\d+\.data", blocks_on_disk.getAllFiles().mkString(" ")))
+    before = shuffled()
+    with pytest.raises(ValueError, match="blank_title|content_hash|chunk_id|token_count|blank_text"):
+        corpus._reject(integrity.check_artifacts(docs, rows))
+    until = time.time() + 20
+    while shuffled() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not shuffled() - before
+
+
 def test_checkpoint_identity(spark):
     rows = spark.createDataFrame([("a", 0), ("b", 1)], "question_id string, position int")
     saved = evaluation.checkpoint_identity(rows, {"k": 3}, "/out")
